@@ -42,6 +42,11 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    prepare(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[dict] | dict]], schema: str) -> DataFrame:
     """mapInArrow with per-task state: `make()` runs once a task, what it returns gets each batch and gives columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -57,7 +62,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterat
                 columns = step(batch)
                 yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, struct)
+    return map_arrow(df, run, struct)
 
 
 def _array(values, kind: pa.DataType) -> pa.Array:

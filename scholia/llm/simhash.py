@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import cut, map_rows, table
+from scholia.llm.common import cut, map_arrow, map_rows, table
 from scholia.llm.components import components
 
 BITS, SHINGLE, SEED, GROUP = 3, 3, 42, 512
@@ -176,7 +176,7 @@ def link_groups(rows: DataFrame, budget: int = BITS) -> DataFrame:
         if size and (out := joined(np.concatenate(keys), np.concatenate(fps))) is not None:
             yield out
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_arrow(rows, run, "a long, b long")
 
 
 def grouped(fps: DataFrame, most: int = GROUP) -> DataFrame:

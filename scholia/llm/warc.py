@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import cut, new_folder, table
+from scholia.llm.common import cut, map_arrow, new_folder, table
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -183,7 +183,7 @@ def write_archives(rows: DataFrame, path: str) -> None:
         if waiting:
             yield flush()
 
-    rows.mapInArrow(run, "archive string, content binary").write.parquet(path)
+    map_arrow(rows, run, "archive string, content binary").write.parquet(path)
 
 
 def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
@@ -213,7 +213,7 @@ def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    return archives.select(content).mapInArrow(run, schema)
+    return map_arrow(archives.select(content), run, schema)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
