@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import map_arrow, map_rows, table
+from scholia.llm.common import cut, map_arrow, map_rows, table
 
 #: Hashed features, those kept for the model at most, and what keeps one: the share of toxic texts that have it, and how
-#: much more frequent it is there. Other words would only let copies and long texts add up to a false alarm.
+#: many times as frequent it is there. Other words would only let copies and long texts add up to a false alarm.
 SPACE, KEPT, LEAST, TIMES = 1 << 22, 8192, 0.01, 25
 #: Labelled rows that the fit reads of each class, about.
 SAMPLE = {1: 6000, 0: 6000}
@@ -53,69 +53,47 @@ class OrdinalModel:
 def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> OrdinalModel:
     """Fits weights and thresholds to feature lists (a feature repeats for each word that has it) and whole grades from 0.
 
-    Features are kept by chi-square of their presence against grade > 0, of those that mark toxic texts. Classes weigh alike. Fewer than two grades give
-    the empty model.
+    Classes weigh alike. Fewer than two grades give the empty model.
     """
     grades = np.asarray(grades)
     if len(grades) == 0 or grades.min() == grades.max():
         return OrdinalModel()
-    first_of = list({r.tobytes() + bytes([g]): i for i, (r, g) in reversed(list(enumerate(zip(rows, grades.tolist(), strict=True))))}.values())
-    rows, grades = [rows[i] for i in first_of], grades[first_of]  # copies count once
     own = [np.unique(r, return_counts=True) for r in rows]
-    ids, where = np.unique(np.concatenate([u for u, _ in own]), return_inverse=True)
+    ids, col = np.unique(np.concatenate([u for u, _ in own]), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), [len(u) for u, _ in own])
-    value = np.concatenate([n for _, n in own]).astype(float)
-    toxic = (grades > 0).astype(float)
-    a = np.bincount(where, toxic[row], len(ids))  # rows with the feature: toxic, and all
-    n, all_toxic, total = np.bincount(where, minlength=len(ids)), toxic.sum(), len(rows)
-    b, c, d = n - a, all_toxic - a, total - all_toxic - (n - a)
-    chi = total * (a * d - b * c) ** 2 / np.maximum(n * (total - n) * all_toxic * (total - all_toxic), 1e-9)
-    chosen = np.argsort(-chi, kind="stable")[:KEPT]
-    marks = (a >= max(3, LEAST * all_toxic)) & ((a + 0.5) / all_toxic >= TIMES * (b + 0.5) / (total - all_toxic))
-    chosen = np.sort(chosen[marks[chosen]])
-    place = np.full(len(ids), -1)
-    place[chosen] = np.arange(len(chosen))
-    use = place[where] >= 0
-    row, col, value = row[use], place[where[use]], np.log1p(value[use])
-    steps = int(grades.max())
+    value = np.log1p(np.concatenate([n for _, n in own]))
+    steps, total = int(grades.max()), len(rows)
     at_least = grades[:, None] >= np.arange(1, steps + 1)
     share = np.bincount(grades, minlength=steps + 1) / total
     weight = (1 / np.maximum((share > 0).sum() * share, 1e-9))[grades][:, None]
-    w, first, gaps = np.zeros(len(chosen)), 0.0, np.zeros(steps - 1)  # thresholds: first, then rising by exp(gaps)
-    state = [np.zeros(len(chosen) + steps), np.zeros(len(chosen) + steps)]
+    w, first, gaps = np.zeros(len(ids)), 0.0, np.zeros(steps - 1)  # thresholds: first, then rising by exp(gaps)
+    state = [np.zeros(len(ids) + steps), np.zeros(len(ids) + steps)]
     for k in range(1, rounds + 1):  # Adam on the mean log loss of the binary events grade >= k
         t = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         z = np.bincount(row, w[col] * value, total)[:, None] - t
         e = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - at_least) / total
         gt = -e.sum(0)
         gg = np.exp(gaps) * np.array([gt[i + 1 :].sum() for i in range(steps - 1)])
-        g = np.concatenate([np.bincount(col, e.sum(1)[row] * value, len(chosen)) + ridge * w / total, [gt.sum()], gg])
+        g = np.concatenate([np.bincount(col, e.sum(1)[row] * value, len(ids)) + ridge * w / total, [gt.sum()], gg])
         state = [0.9 * state[0] + 0.1 * g, 0.999 * state[1] + 0.001 * g * g]
         move = 0.1 * (state[0] / (1 - 0.9**k)) / (np.sqrt(state[1] / (1 - 0.999**k)) + 1e-9)
-        w, first, gaps = w - move[: len(chosen)], first - move[len(chosen)], gaps - move[len(chosen) + 1 :]
+        w, first, gaps = w - move[: len(ids)], first - move[len(ids)], gaps - move[len(ids) + 1 :]
     t = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-    return OrdinalModel(dict(zip(ids[chosen].tolist(), w.tolist(), strict=True)), t.tolist())
+    return OrdinalModel(dict(zip(ids.tolist(), w.tolist(), strict=True)), t.tolist())
 
 
 def grade(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Severity grades from 0/1 labels: clean 0; toxic texts 1, or 2 where they have more features that mark toxic rows (much
-    more frequent there, as for the model) than the median of toxic rows."""
+    """Severity grades from 0/1 labels: clean 0; toxic texts 1, or 2 where they have more of the features than the median
+    of toxic texts."""
     toxic = np.asarray(toxic)
-    if not toxic.any() or toxic.all():
-        return toxic
-    sets = [np.unique(r) for r in rows]
-    ids, where = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), [len(s) for s in sets])
-    hits = np.bincount(where, toxic[row], len(ids))
-    other = np.bincount(where, 1 - toxic[row], len(ids))
-    marks = (hits >= max(3, LEAST * toxic.sum())) & ((hits + 0.5) / toxic.sum() >= TIMES * (other + 0.5) / (1 - toxic).sum())
-    found = np.bincount(row, marks[where], len(rows))
-    return toxic + (toxic == 1) * (found > np.median(found[toxic == 1]))
+    found = np.array([len(np.unique(r)) for r in rows])
+    return toxic + (toxic == 1) * (found > np.median(found[toxic == 1])) if toxic.any() else toxic
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> OrdinalModel:
-    """Fits the model on about sample[c] labelled documents of each class c, chosen by a hash of the id. Only their ids are
-    broadcast and only their features reach the driver. Null labels, ids and texts are passed over."""
+    """Fits the model on about sample[c] labelled documents of each class c, chosen by a hash of the id; texts with equal
+    words count once. Features are counted where the texts are: only the chosen texts' ids are broadcast, and only the
+    features that are kept, and where they occur, reach the driver. Null labels, ids and texts are passed over."""
     labels = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
     sizes = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     places, chosen = 1_000_003, F.lit(False)
@@ -126,13 +104,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             found = [sorted(f for w in words(t) for f in word_features(w)) for t in batch.column("text").to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "x": found}
+            return {"toxic": batch.column("toxic"), "x": found}
 
         return step
 
-    got = sorted(map_rows(rows.select("doc_id", "text", "toxic"), make, "doc_id long, toxic int, x array<int>").toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["x"]))
-    x, toxic = [np.array(r["x"], np.int64) for r in got], np.array([r["toxic"] for r in got], np.int64)
-    return fit(x, grade(x, toxic)) if len(got) else OrdinalModel()
+    rows = cut(map_rows(rows.select("text", "toxic"), make, "toxic int, x array<int>").withColumn("key", F.xxhash64("x")).dropDuplicates(["toxic", "key"]))
+    total = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(total) < 2:
+        return OrdinalModel()
+    seen = rows.select("toxic", F.explode(F.array_distinct("x")).alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    marks = seen.filter((F.col("a") >= max(3, LEAST * total[1])) & ((F.col("a") + 0.5) / total[1] >= TIMES * (F.col("b") + 0.5) / total[0]))
+    kept = np.array(sorted(r.f for r in marks.orderBy(F.desc("a"), "f").limit(KEPT).select("f").collect()), np.int64)
+    if not len(kept):
+        return OrdinalModel()
+
+    def only(batches):
+        for batch in batches:
+            lists = [np.asarray(x.values) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[np.isin(x, kept)].astype("<i4").tobytes() for x in lists], pa.binary())], names=["toxic", "key", "x"])
+
+    got = map_arrow(rows.select("toxic", "x", "key"), only, "toxic int, key long, x binary").toArrow().sort_by([("toxic", "ascending"), ("key", "ascending")])
+    x = [np.frombuffer(b.as_py(), "<i4").astype(np.int64) for b in got["x"]]
+    return fit(x, grade(x, got["toxic"].to_numpy().astype(np.int64)))
 
 
 def _scorer(model: OrdinalModel):
