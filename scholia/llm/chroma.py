@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import io
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -108,15 +108,20 @@ def fingerprint(audio: bytes | None) -> np.ndarray:
     return out
 
 
-def fingerprints(recordings: DataFrame, audio: str = "audio") -> DataFrame:
-    """(id, fp binary) for each row of recordings (id, audio binary); fp holds the integers, little-endian."""
+def fingerprints(recordings: DataFrame, key: str = "id", audio: str = "audio", make: Callable[[], Callable] | None = None) -> DataFrame:
+    """(id, fp binary) for each row of recordings (key, audio); fp holds the integers, little-endian.
+
+    audio is a column of WAV bytes, or whatever `make()`, which runs once a task, gives a function to make WAV bytes of;
+    recordings that are made so never stand in a column all at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to_audio = make() if make else lambda x: x
         for batch in batches:
-            found = [fingerprint(x.as_py()).astype("<u4").tobytes() for x in batch.column(1)]
+            found = [fingerprint(to_audio(x.as_py())).astype("<u4").tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, pa.binary())], names=["id", "fp"])
 
-    return map_arrow(recordings.select("id", audio), run, "id long, fp binary")
+    return map_arrow(recordings.select(key, audio), run, "id long, fp binary")
 
 
 def in_blocks(fps: DataFrame, most: int) -> DataFrame:
@@ -200,31 +205,27 @@ def align(fps: DataFrame, queries: DataFrame) -> DataFrame:
     return found.groupBy("id").agg(best, F.sum("n").alias("n_queries")).select("id", "best.query", "best.offset", "best.errors", "n_queries")
 
 
-def sonify(embeddings: DataFrame, note: int = 512, rate: int = 8000) -> DataFrame:
-    """(id, audio): each vector played as notes of three octaves, a component each. The test tables have no audio; this
-    makes recordings of which copies and near copies sound alike. Null vectors give null audio, null components rests."""
+def sonify(note: int = 512, rate: int = 8000) -> Callable[[list | None], bytes | None]:
+    """What plays a vector as notes of three octaves, a component each, as WAV bytes. The test tables have no audio; this
+    makes recordings of which copies and near copies sound alike. Null vectors give null, null components rests."""
     tones = 261.63 * 2 ** (np.arange(36) / 12)
+    waves = np.concatenate([0.8 * np.sin(2 * np.pi * tones[:, None] * np.arange(note) / rate) * np.hanning(note) ** 0.25, np.zeros((1, note))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waves = np.concatenate([0.8 * np.sin(2 * np.pi * tones[:, None] * np.arange(note) / rate) * np.hanning(note) ** 0.25, np.zeros((1, note))])
-        for batch in batches:
-            out = []
-            for v in batch.column(1).to_pylist():
-                if v is None:
-                    out.append(None)
-                else:
-                    x = np.array([np.nan if c is None else c for c in v], float)
-                    out.append(encode(waves[np.where(np.isnan(x), 36, np.floor(18 + 60 * np.nan_to_num(x)).astype(int) % 36)].ravel(), rate))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())], names=["id", "audio"])
+    def play(vector: list | None) -> bytes | None:
+        if vector is None:
+            return None
+        x = np.array([np.nan if c is None else c for c in vector], float)
+        finite = np.isfinite(x)
+        return encode(waves[np.where(finite, np.floor(18 + 60 * np.where(finite, x, 0)).astype(int) % 36, 36)].ravel(), rate)
 
-    return map_arrow(embeddings.select("vec_id", "embedding"), run, "id long, audio binary")
+    return play
 
 
-def op5_chroma(spark: SparkSession, sf_dir: str, recordings: DataFrame | None = None) -> DataFrame:
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of `embeddings`, played: vec_id, n_frames, fingerprint (hex of the integers), and how it aligns with the
     recordings whose id is divisible by 100: the best one, its offset and share of differing bits, and how many align
     (null and 0 where none). An empty table gives no rows."""
-    fps = cut(fingerprints(recordings if recordings is not None else sonify(table(spark, sf_dir, "embeddings"))))
+    fps = cut(fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", sonify))
     found = align(fps, fps.filter("id % 100 = 0"))
     size: Column = (F.octet_length("fp") / 4).cast("long")
     return fps.join(found, "id", "left").select(F.col("id").alias("vec_id"), size.alias("n_frames"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("query").alias("aligned_id"), "offset", F.round("errors", 6).alias("bit_error_rate"), F.coalesce("n_queries", F.lit(0)).alias("n_aligned"))
