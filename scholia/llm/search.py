@@ -25,7 +25,7 @@ from scholia.llm.common import cut, map_arrow, table
 K1, B, TOP = 1.2, 0.75, 10
 #: Documents and terms that end a shard, documents of a block, queries of a block, and the share of a shard's documents
 #: from which a term's list is laid out by document.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERIES, DENSE = 4096, 1 << 20, 64, 1024, 1 / 16
+SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERIES, DENSE = 1 << 14, 1 << 22, 64, 1024, 1 / 32
 _TERM = re.compile(r"\w+")
 
 
@@ -92,7 +92,8 @@ class Shard:
         self.blocks = -(-self.n // BLOCK)
         self.where = np.arange(self.n) // BLOCK
         self.dense: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for t in np.flatnonzero(df > max(DENSE * self.n, 8)).tolist():
+        self.is_dense = df > max(DENSE * self.n, 8)
+        for t in np.flatnonzero(self.is_dense).tolist():
             row = np.zeros(self.blocks * BLOCK)
             s = slice(self.starts[t], self.starts[t + 1])
             row[self.doc[s]] = self.part[s]
@@ -105,24 +106,20 @@ class Shard:
         at[at == len(self.terms)] = 0
         found = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
         at, weights = at[found], weights[found]
-        score = np.zeros(self.n)
-        sparse = np.array([t not in self.dense for t in at.tolist()], bool)
-        for t, w in zip(at[sparse].tolist(), weights[sparse].tolist(), strict=True):
-            s = slice(self.starts[t], self.starts[t + 1])
-            score[self.doc[s]] += w * self.part[s]
-        rest = list(zip(at[~sparse].tolist(), weights[~sparse].tolist(), strict=True))
+        sparse = ~self.is_dense[at]
+        rare = at[sparse]
+        n = self.starts[rare + 1] - self.starts[rare]
+        where = np.repeat(self.starts[rare] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        own = np.bincount(self.doc[where], np.repeat(weights[sparse], n) * self.part[where], self.n)
+        live, rest, weights = np.arange(self.n), at[~sparse].tolist(), weights[~sparse]
         if rest:
-            bounds = np.cumsum(np.stack([w * self.dense[t][1] for t, w in rest])[::-1], axis=0)[::-1]  # of this and later terms, by block
-            live, own = np.arange(self.n), score
-            for (t, w), bound in zip(rest, bounds, strict=True):
-                if len(live) > k:
+            bounds = np.cumsum((weights[:, None] * np.stack([self.dense[t][1] for t in rest]))[::-1], axis=0)[::-1]  # of this and later terms, by block
+            for i, (t, w) in enumerate(zip(rest, weights.tolist(), strict=True)):
+                if len(live) > k and (i % 4 == 0 or len(live) > 4 * k):
                     least = np.partition(own, len(own) - k)[len(own) - k]
-                    keep = own + bound[self.where[live]] * (1 + 1e-9) >= least
-                    if not keep.all():
-                        live, own = live[keep], own[keep]
+                    keep = own + bounds[i][self.where[live]] * (1 + 1e-9) >= least
+                    live, own = live[keep], own[keep]
                 own = own + w * self.dense[t][0][live]
-        else:
-            live, own = np.arange(self.n), score
         live, own = live[own > 0], own[own > 0]
         if len(live) > k:
             keep = own >= np.partition(own, len(own) - k)[len(own) - k] * (1 - 1e-9)
