@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 #: Words after which a full stop doesn't end a sentence, and words that name what a number follows.
 SHORT = frozenset("e.g. i.e. et al. etc. vs. cf. Dr. Mr. Ms. Mrs. Prof. Fig. Figs. Eq. Eqs. Ref. Refs. Sec. Tab. No. Vol. pp. approx.".split())
@@ -30,26 +31,45 @@ def split_sentences(text: str | None) -> list[str]:
     return out
 
 
+def edits_within(a: str, b: str, most: int) -> bool:
+    """Whether at most `most` single-letter edits turn a into b. Equal ends go first, then a band of the table is enough."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    a, b = a[start:], b[start:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return len(a) + len(b) <= most
+    row = {j: j for j in range(min(most, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = i if j == 0 else min(row.get(j, 99) + 1, new.get(j - 1, 99) + 1, row.get(j - 1, 99) + (x != b[j - 1]))
+        if min(new.values()) > most:
+            return False
+        row = new
+    return row.get(len(b), 99) <= most
+
+
+def bare(word: str) -> str:
+    return word.lower().strip(".,;:!?\"'()")
+
+
 def word_grade(typed: str, answer: str) -> str:
     """ok, near (one edit; two from eight letters on) or ng."""
-    a, t = answer.lower().strip(".,;:!?\"'()"), typed.lower().strip(".,;:!?\"'()")
-    if a == t:
-        return "ok"
-    if not t:
-        return "ng"
-    row = list(range(len(t) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(t, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return "near" if row[-1] <= (2 if len(a) >= 8 else 1) else "ng"
+    a, t = bare(answer), bare(typed)
+    return "ok" if a == t else "near" if t and edits_within(a, t, 2 if len(a) >= 8 else 1) else "ng"
 
 
 def sentence_grade(original: str | None, typed: str | None) -> tuple[list[str], float]:
     """The grade of each word of the original, by a longest common subsequence with fuzzy equality, and the score: the mean
     of 1 for ok and 0.5 for near; 0 for an empty original."""
     a, b = (original or "").split(), (typed or "").split()
-    grades = [[word_grade(y, x) for y in b] for x in a]
+    known = {(x, y): word_grade(y, x) for x in set(a) for y in set(b)}
+    grades = [[known[x, y] for y in b] for x in a]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -83,17 +103,17 @@ def expansion(acronym: str, before: str) -> str | None:
     return None
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def sentences_udf(text: pd.Series) -> pd.Series:
     return text.map(split_sentences)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sentence_score_udf(original: pd.Series, typed: pd.Series) -> pd.Series:
     return pd.Series([sentence_grade(a, b)[1] for a, b in zip(original, typed, strict=True)])
 
 
-@F.pandas_udf("array<struct<acronym:string,expansion:string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("acronym", StringType()), StructField("expansion", StringType())])))
 def expansions_udf(text: pd.Series) -> pd.Series:
     def one(t: str | None) -> list[dict]:
         found = [(m[1], expansion(m[1], t[max(0, m.start() - 200) : m.start()])) for m in re.finditer(r"\(([A-Z][A-Z0-9]{1,6})s?\)", t or "")]

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters that only appear where decoding went wrong, and the private-use area.
+GARBLED, PRIVATE = r"[ðÞ\x{FFFD}\x{0700}-\x{0DFF}]", r"[\x{E000}-\x{F8FF}]"
+
 
 def line_rules(lines: DataFrame) -> DataFrame:
     """(doc_id, level, code, n) of lines (doc_id, line): long, short, glued, garbled and private-use text. All counts come
@@ -14,7 +17,7 @@ def line_rules(lines: DataFrame) -> DataFrame:
     size = F.length("line")
     counts = lines.filter("trim(line) <> ''").groupBy("doc_id").agg(
         F.count_if(size > 450).alias("long_sentences"), F.count_if(size < 15).alias("short_sentences"), F.count_if(F.col("line").rlike("[A-Za-z]{25}")).alias("glued"),
-        F.count_if(F.col("line").rlike("[ðÞ�܀-෿]")).alias("garbled"), F.count_if(F.col("line").rlike("[-]")).alias("pua"), F.count("*").alias("lines"),
+        F.count_if(F.col("line").rlike(GARBLED)).alias("garbled"), F.count_if(F.col("line").rlike(PRIVATE)).alias("pua"), F.count("*").alias("lines"),
     )
     rules = [("long_sentences", "minor", 3), ("short_sentences", "minor", 5), ("glued", "minor", 1), ("pua", "major", 1)]
     found = [counts.filter(F.col(c) >= least).select("doc_id", F.lit(level).alias("level"), F.lit(c).alias("code"), F.col(c).alias("n")) for c, level, least in rules]

@@ -1,6 +1,378 @@
-"""All queries by name, with the SQL that gives the same rows."""
+"""All queries by name, with the SQL that gives the same rows where SQL can say it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scholia.functions import align, srs, text
+from scholia.operators import artefacts, logs, outline, quality, terms
+from scholia.plans import views as v
+from scholia.sources import adapters as a
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+#: The review queue's "now": within the test tables' month.
+NOW = 1705320000
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+# --- sources and catalog ---------------------------------------------------------------------------------------------
+
+
+@query(v.sql(v.PAPERS, query="SELECT paper_id, doc_id, folder, lang, title, length(text) AS chars FROM papers"))
+def import_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return a.papers(spark, d).select("paper_id", "doc_id", "folder", "lang", "title", F.length("text").cast("long").alias("chars"))
+
+
+@query(v.sql(v.PAPERS, v.LINES, v.MARKS, query="""SELECT p.paper_id, p.folder, coalesce(l.n, 0) AS n_lines, coalesce(m.n, 0) AS n_marks, m.last_at AS last_read
+  FROM papers p LEFT JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1) l USING (doc_id)
+  LEFT JOIN (SELECT paper, count(*) AS n, max(updated_at) AS last_at FROM marks WHERE deleted = 0 GROUP BY 1) m ON m.paper = p.doc_id"""))
+def paper_catalog_join(spark: SparkSession, d: str) -> DataFrame:
+    n = a.lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    m = a.marks(spark, d).filter("deleted = 0").groupBy("paper").agg(F.count("*").alias("n_marks"), F.max("updated_at").alias("last_read"))
+    p = a.papers(spark, d).select("paper_id", "doc_id", "folder").join(n, "doc_id", "left").join(m, F.col("paper") == F.col("doc_id"), "left")
+    return p.select("paper_id", "folder", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_marks", F.lit(0)).alias("n_marks"), "last_read")
+
+
+@query(v.sql(v.PAPERS, query="SELECT row_number() OVER (ORDER BY nullif(lower(lang), 'de') DESC NULLS LAST, lower(title), doc_id) AS place, doc_id FROM papers QUALIFY place <= 100"))
+def paper_sort_nulls_last(spark: SparkSession, d: str) -> DataFrame:
+    key = [F.nullif(F.lower("lang"), F.lit("de")).desc_nulls_last(), F.lower("title"), F.col("doc_id")]
+    top = a.papers(spark, d).select("doc_id", "lang", "title").orderBy(*key).limit(100)  # the page shown: a top-k
+    return top.select(F.row_number().over(a.over(order=key)).cast("long").alias("place"), "doc_id")
+
+
+@query(v.sql(v.PAPERS, v.LINES, query="SELECT doc_id, n, 'p' || n || '_' || length(line) AS item_id, trim(line, ' ') AS spoken FROM lines WHERE trim(line, ' ') <> '' UNION ALL SELECT doc_id, 0, 'h', title || '.' FROM papers"))
+def sentence_items(spark: SparkSession, d: str) -> DataFrame:
+    rows = a.lines(spark, d).filter("trim(line) <> ''").select("doc_id", F.col("n").cast("long").alias("n"), F.concat(F.lit("p"), F.col("n").cast("string"), F.lit("_"), F.length("line").cast("string")).alias("item_id"), F.trim("line").alias("spoken"))
+    return rows.unionByName(a.papers(spark, d).select("doc_id", F.lit(0).cast("long").alias("n"), F.lit("h").alias("item_id"), F.concat("title", F.lit(".")).alias("spoken")))
+
+
+# --- terms -----------------------------------------------------------------------------------------------------------
+
+
+_COUNTS = """counts AS (SELECT doc_id, lower(token) AS word, count(*) AS n, count(*) FILTER (substr(token, 1, 1) = substr(lower(token), 1, 1)) AS lower_n, min(pos) AS first_pos FROM tokens
+  WHERE NOT regexp_matches(regexp_replace(token, 's$', ''), '^[A-Z][A-Z0-9]{1,6}$') GROUP BY 1, 2)"""
+_WORDS = f"""words AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos, word) AS rank FROM counts WHERE length(word) >= 4 AND n >= CASE WHEN length(word) <= 5 THEN 3 ELSE 2 END
+  AND lower_n > 0 AND word NOT IN ({v.STOPS}) AND word NOT IN (SELECT lower FROM dictionary) QUALIFY rank <= 40)"""
+
+
+@query(v.sql(v.PAPERS, v.TOKENS, _COUNTS, query="SELECT doc_id, word, n, lower_n, first_pos FROM counts"))
+def token_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return terms.word_counts(a.tokens(spark, d)).select("doc_id", "word", "n", "lower_n", F.col("first_pos").cast("long").alias("first_pos"))
+
+
+@query(v.sql(v.PAPERS, v.TOKENS, v.DICTIONARY, _COUNTS, _WORDS, query="SELECT doc_id, rank, word, n FROM words"))
+def glossary_words(spark: SparkSession, d: str) -> DataFrame:
+    return terms.glossary_words(a.tokens(spark, d), a.dictionary(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(v.sql(v.PAPERS, v.TOKENS, query="""SELECT doc_id, acronym, n FROM (SELECT doc_id, CASE WHEN regexp_matches(token, '^[A-Z][A-Z0-9]{1,6}s$') THEN regexp_replace(token, 's$', '') ELSE token END AS acronym, count(*) AS n, min(pos) AS first_pos FROM tokens GROUP BY 1, 2)
+  WHERE regexp_matches(acronym, '^[A-Z][A-Z0-9]{1,6}$') AND n >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos, acronym) <= 25"""))
+def glossary_acronyms(spark: SparkSession, d: str) -> DataFrame:
+    return terms.acronyms(a.tokens(spark, d))
+
+
+@query(v.sql(v.PAPERS, v.TOKENS, f"""w AS (SELECT doc_id, pos, lower(token) AS t, length(token) >= 3 AND lower(token) NOT IN ({v.STOPS}) AND NOT contains(token, '-') AS ok FROM tokens)""", """g AS (SELECT doc_id, t AS t1, ok AS o1, lead(t, 1) OVER x AS t2, lead(ok, 1) OVER x AS o2, lead(t, 2) OVER x AS t3, lead(ok, 2) OVER x AS o3 FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY pos))""",
+    """two AS (SELECT doc_id, t1 || ' ' || t2 AS phrase, count(*) AS n FROM g WHERE o1 AND o2 GROUP BY 1, 2 HAVING n >= 4)""", """three AS (SELECT doc_id, t1 || ' ' || t2 || ' ' || t3 AS phrase, count(*) AS n FROM g WHERE o1 AND o2 AND o3 GROUP BY 1, 2 HAVING n >= 4)""",
+    query="""SELECT doc_id, phrase, n FROM (SELECT * FROM two WHERE NOT EXISTS (SELECT 1 FROM three WHERE three.doc_id = two.doc_id AND three.n = two.n AND contains(three.phrase, two.phrase)) UNION ALL SELECT * FROM three)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(phrase) DESC, phrase) <= 25"""))
+def glossary_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return terms.phrases(a.papers(spark, d), a.TOKEN)
+
+
+@query(v.sql(v.PAPERS, v.TOKENS, v.DICTIONARY, _COUNTS, _WORDS, query="""SELECT key, doc_id, term, n FROM (SELECT CASE WHEN length(word) > 3 AND word LIKE '%s' AND word NOT LIKE '%ss' THEN substr(word, 1, length(word) - 1) ELSE word END AS key, doc_id, word AS term, n FROM words)
+  QUALIFY row_number() OVER (PARTITION BY key, doc_id ORDER BY n DESC, term DESC) = 1"""))
+def glossary_index(spark: SparkSession, d: str) -> DataFrame:
+    return terms.glossary_index(terms.glossary_words(a.tokens(spark, d), a.dictionary(spark, d)))
+
+
+@query(v.sql(v.PAPERS, v.TOKENS, v.DICTIONARY, _COUNTS, _WORDS, query="""SELECT word, arg_max(doc_id, (n, -doc_id)) AS doc_id, max(n) AS n FROM words GROUP BY word"""))
+def glossary_fallback(spark: SparkSession, d: str) -> DataFrame:
+    found = terms.glossary_words(a.tokens(spark, d), a.dictionary(spark, d))
+    return found.groupBy("word").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id"), F.max("n").alias("n"))
+
+
+@query()
+def dictionary_ranked_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return terms.ranked_lookup(a.tokens(spark, d).select(F.col("token").alias("word")).distinct(), a.dictionary(spark, d))
+
+
+@query()
+def acronym_expansion(spark: SparkSession, d: str) -> DataFrame:
+    named = a.papers(spark, d).select("doc_id", F.concat("text", F.lit(" The adaptive optics (AO) and a deformable mirror (DM) follow.")).alias("text"))
+    return named.select("doc_id", F.explode(align.expansions_udf("text")).alias("x")).select("doc_id", "x.acronym", "x.expansion")
+
+
+# --- logs ------------------------------------------------------------------------------------------------------------
+
+
+@query(v.sql(v.REVIEWS, "lists AS (SELECT headword, list({'phase': CAST(rating AS BIGINT), 'step': CAST(0 AS BIGINT), 's': CAST(0 AS DOUBLE), 'd': CAST(0 AS DOUBLE), 'due': CAST(uid AS BIGINT), 'last': CAST(floor(epoch(reviewed_at)) AS BIGINT)} ORDER BY reviewed_at, uid) AS log, count(*) AS n FROM reviews GROUP BY 1)",
+    f"states AS (SELECT headword, n, {srs.fold_sql('log', False)} AS x FROM lists)", query="SELECT headword, x.phase AS phase, x.step AS step, round(x.s, 5) AS stability, round(x.d, 5) AS difficulty, x.due AS due, x.last AS last, n FROM states"))
+def review_replay_state(spark: SparkSession, d: str) -> DataFrame:
+    return srs.replay(a.reviews(spark, d))
+
+
+@query(v.sql(v.REVIEWS, query="SELECT headword, min(reviewed_at) AS first_at, count(*) AS n FROM reviews GROUP BY 1"))
+def review_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    return a.reviews(spark, d).groupBy("headword").agg(F.min("reviewed_at").alias("first_at"), F.count("*").alias("n"))
+
+
+@query(v.sql(v.REVIEWS, "words AS (SELECT c_custkey AS headword FROM customer WHERE c_custkey <= 400)", "past AS (SELECT * FROM reviews WHERE floor(epoch(reviewed_at)) <= 1705320000)",
+    "lists AS (SELECT headword, list({'phase': CAST(rating AS BIGINT), 'step': CAST(0 AS BIGINT), 's': CAST(0 AS DOUBLE), 'd': CAST(0 AS DOUBLE), 'due': CAST(uid AS BIGINT), 'last': CAST(floor(epoch(reviewed_at)) AS BIGINT)} ORDER BY reviewed_at, uid) AS log FROM past GROUP BY 1)",
+    f"states AS (SELECT headword, {srs.fold_sql('log', False)} AS x FROM lists)", "cards AS (SELECT w.headword, x.phase AS phase, x.due AS due FROM words w LEFT JOIN states USING (headword))",
+    "used AS (SELECT count(*) AS used FROM (SELECT min(floor(epoch(reviewed_at))) AS f FROM past GROUP BY headword) WHERE f >= 1705276800)",
+    query="SELECT least(new_waiting, greatest(20 - used, 0)) AS new, learning, review, total, new_waiting, next_due FROM (SELECT count(*) FILTER (phase IS NULL) AS new_waiting, count(*) FILTER (due <= 1705320000 AND phase <> 2) AS learning, count(*) FILTER (due <= 1705320000 AND phase = 2) AS review, count(*) AS total, min(due) FILTER (due > 1705320000) AS next_due FROM cards), used"))
+def review_queue(spark: SparkSession, d: str) -> DataFrame:
+    past = a.reviews(spark, d).filter(F.floor(F.unix_micros(F.col("reviewed_at").cast("timestamp")) / 1_000_000) <= NOW)
+    words = a.table(spark, d, "customer").filter("c_custkey <= 400").select(F.col("c_custkey").alias("headword"))
+    return logs.queue_counts(srs.replay(past).select("headword", "phase", "due"), words, past, NOW)
+
+
+@query(v.sql(v.REVIEWS, "known AS (SELECT c_custkey AS headword FROM customer)", "old AS (SELECT * FROM reviews WHERE device = 0)", "incoming AS (SELECT * FROM reviews WHERE uid % 3 <> 0 UNION ALL SELECT * FROM reviews WHERE uid % 4 = 1)",
+    query="SELECT DISTINCT uid, headword, rating, reviewed_at, device FROM incoming WHERE headword IN (SELECT headword FROM known) AND uid NOT IN (SELECT uid FROM old)"))
+def merge_reviews_idempotent(spark: SparkSession, d: str) -> DataFrame:
+    rows = a.reviews(spark, d)
+    incoming = rows.filter("uid % 3 <> 0").union(rows.filter("uid % 4 = 1"))
+    return logs.merge_new(rows.filter("device = 0"), incoming, a.table(spark, d, "customer").select(F.col("c_custkey").alias("headword"))).select("uid", "headword", "rating", "reviewed_at", "device")
+
+
+@query(v.sql(v.MARKS, query="SELECT uid, updated_at, event_id, paper, note, deleted, device FROM marks QUALIFY row_number() OVER (PARTITION BY uid ORDER BY updated_at DESC, event_id) = 1"))
+def marks_lww(spark: SparkSession, d: str) -> DataFrame:
+    return logs.last_write(a.marks(spark, d), "uid")
+
+
+@query(v.sql(v.MARKS, query="SELECT paper, updated_at, event_id, uid, note, deleted, device FROM marks QUALIFY row_number() OVER (PARTITION BY paper ORDER BY updated_at DESC, event_id) = 1"))
+def positions_lww(spark: SparkSession, d: str) -> DataFrame:
+    return logs.last_write(a.marks(spark, d), "paper")
+
+
+@query(v.sql(v.MARKS, query="SELECT paper, device, uid % 7 AS sentence, count(*) AS n FROM marks GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1"))
+def marks_toggle_parity(spark: SparkSession, d: str) -> DataFrame:
+    return logs.toggled(a.marks(spark, d).withColumn("sentence", F.col("uid") % 7), "paper", "device", "sentence")
+
+
+@query(v.sql(v.REVIEWS, query="SELECT device, count(*) AS n, max(reviewed_at) AS last_at FROM reviews WHERE uid <> (SELECT uid FROM reviews WHERE device = 1 ORDER BY reviewed_at DESC, uid DESC LIMIT 1) GROUP BY 1"))
+def undo_last_device_event(spark: SparkSession, d: str) -> DataFrame:
+    return logs.undo_last(a.reviews(spark, d), 1).groupBy("device").agg(F.count("*").alias("n"), F.max("reviewed_at").alias("last_at"))
+
+
+@query(v.sql(v.REVIEWS, query="SELECT headword, uid, row_number() OVER (PARTITION BY headword ORDER BY reviewed_at DESC, uid DESC) AS back FROM reviews QUALIFY back <= 3"))
+def vocab_top_examples(spark: SparkSession, d: str) -> DataFrame:
+    return logs.tail(a.reviews(spark, d), "headword", 3, [F.desc("reviewed_at"), F.desc("uid")]).select("headword", "uid", F.col("back").cast("long").alias("back"))
+
+
+@query(v.sql(v.REVIEWS, query="SELECT device, uid, row_number() OVER (PARTITION BY device ORDER BY reviewed_at DESC, uid DESC) AS back FROM reviews QUALIFY back <= 80"))
+def ring_buffer_tail(spark: SparkSession, d: str) -> DataFrame:
+    return logs.tail(a.reviews(spark, d), "device", 80, [F.desc("reviewed_at"), F.desc("uid")]).select("device", "uid", F.col("back").cast("long").alias("back"))
+
+
+@query(v.sql(v.REVIEWS, "last20 AS (SELECT headword, rating, row_number() OVER (PARTITION BY headword ORDER BY reviewed_at DESC, uid DESC) AS back FROM reviews QUALIFY back <= 20)",
+    query="SELECT headword, count(*) AS n, round(avg(CASE WHEN rating >= 3 THEN 1.0 WHEN rating = 2 THEN 0.5 ELSE 0.0 END), 6) AS score, CASE WHEN count(*) < 10 THEN 'none' WHEN avg(CASE WHEN rating >= 3 THEN 1.0 WHEN rating = 2 THEN 0.5 ELSE 0.0 END) > 0.9 THEN 'up' WHEN avg(CASE WHEN rating >= 3 THEN 1.0 WHEN rating = 2 THEN 0.5 ELSE 0.0 END) < 0.5 THEN 'down' ELSE 'none' END AS advice FROM last20 GROUP BY 1"))
+def level_advice(spark: SparkSession, d: str) -> DataFrame:
+    score = F.avg(F.when(F.col("rating") >= 3, 1.0).when(F.col("rating") == 2, 0.5).otherwise(0.0))
+    last = logs.tail(a.reviews(spark, d), "headword", 20, [F.desc("reviewed_at"), F.desc("uid")]).groupBy("headword").agg(F.count("*").alias("n"), score.alias("score"))
+    return last.select("headword", "n", F.round("score", 6).alias("score"), F.when(F.col("n") < 10, "none").when(F.col("score") > 0.9, "up").when(F.col("score") < 0.5, "down").otherwise("none").alias("advice"))
+
+
+@query(v.sql(v.PAPERS, v.MARKS, "live AS (SELECT * FROM marks QUALIFY row_number() OVER (PARTITION BY uid ORDER BY updated_at DESC, event_id) = 1)",
+    query="SELECT p.paper_id, m.uid, m.note, row_number() OVER (PARTITION BY m.paper ORDER BY m.updated_at, m.uid) AS place, coalesce(m.device <> lag(m.device) OVER (PARTITION BY m.paper ORDER BY m.updated_at, m.uid), true) AS new_header FROM live m LEFT JOIN papers p ON p.doc_id = m.paper WHERE m.deleted = 0"))
+def marks_export_rows(spark: SparkSession, d: str) -> DataFrame:
+    w = a.over("paper", order=[F.col("updated_at"), F.col("uid")])
+    rows = logs.live(a.marks(spark, d), "uid").join(a.papers(spark, d).select("doc_id", "paper_id"), F.col("doc_id") == F.col("paper"), "left")
+    return rows.select("paper_id", "uid", "note", F.row_number().over(w).cast("long").alias("place"), F.coalesce(F.col("device") != F.lag("device").over(w), F.lit(True)).alias("new_header"))
+
+
+# --- outlines --------------------------------------------------------------------------------------------------------
+
+
+_SECTIONS = "sections AS (SELECT doc_id, n, number, level FROM annotated WHERE opens)"
+
+
+def _sections(spark: SparkSession, d: str) -> DataFrame:
+    return a.annotated(spark, d).filter("opens").select("doc_id", "n", "number", "level")
+
+
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, _SECTIONS, query="SELECT doc_id, n, level, max(CASE WHEN level <= 1 THEN n END) OVER (PARTITION BY doc_id ORDER BY n) AS chapter FROM sections"))
+def chapter_of(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(outline.chapter_of(_sections(spark, d)).select("doc_id", "n", "level", "chapter"), "n", "chapter")
+
+
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, _SECTIONS, query="SELECT doc_id, n, level, (SELECT min(y.n) FROM sections y WHERE y.doc_id = x.doc_id AND y.n > x.n AND y.level <= x.level) AS until FROM sections x"))
+def section_subtree(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(outline.subtree_end(_sections(spark, d)).select("doc_id", "n", "level", "until"), "n", "until")
+
+
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, _SECTIONS, "x AS (SELECT *, list_transform(string_split(number, '.'), lambda y: CAST(y AS INT)) AS p, lag(number) OVER w AS previous, list_transform(string_split(lag(number) OVER w, '.'), lambda y: CAST(y AS INT)) AS q FROM sections WINDOW w AS (PARTITION BY doc_id ORDER BY n))",
+    query="SELECT doc_id, n, number, previous FROM x WHERE q IS NOT NULL AND (p <= q OR (len(p) = len(q) AND len(p) > 1 AND p[1] = q[1] AND p[-1] - q[-1] > 1) OR p[1] - q[1] > 1)"))
+def numbering_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(outline.numbering_gaps(_sections(spark, d)), "n")
+
+
+@query(v.sql("i AS (SELECT l_orderkey, l_linenumber AS item, sum(l_quantity) AS secs FROM lineitem GROUP BY 1, 2)", query="SELECT l_orderkey, item, secs, coalesce(sum(secs) OVER (PARTITION BY l_orderkey ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS starts, sum(secs) OVER (PARTITION BY l_orderkey) AS total FROM i"))
+def playlist_timeline(spark: SparkSession, d: str) -> DataFrame:
+    items = a.table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("item")).agg(F.sum("l_quantity").alias("secs"))
+    return outline.offsets(items, "l_orderkey", ["item"], "secs").select("l_orderkey", "item", "secs", "starts", "total")
+
+
+@query(v.sql("i AS (SELECT l_orderkey, l_linenumber AS item, sum(l_quantity) AS secs FROM lineitem GROUP BY 1, 2)", "t AS (SELECT *, coalesce(sum(secs) OVER (PARTITION BY l_orderkey ORDER BY item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS starts FROM i)",
+    query="SELECT l_orderkey, item, starts FROM t WHERE starts <= 60 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY starts DESC, item DESC) = 1"))
+def seek_item(spark: SparkSession, d: str) -> DataFrame:
+    return outline.seek(playlist_timeline(spark, d), "l_orderkey", F.lit(60))
+
+
+@query(v.sql(v.PAPERS, v.LINES, query="SELECT doc_id, run, count(*) AS n_lines, sum(length(line)) AS chars FROM (SELECT *, sum(CASE WHEN breaks OR n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM (SELECT *, length(line) < 20 AS breaks FROM lines)) GROUP BY 1, 2"))
+def line_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = outline.runs(a.lines(spark, d), F.length("line") < 20)
+    return _as_long(rows.groupBy("doc_id", "run").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars")), "run")
+
+
+@query(v.sql(v.PAPERS, v.LINES, "r AS (SELECT doc_id, sum(CASE WHEN length(line) < 20 OR n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS run, length(line) AS c FROM lines)",
+    query="SELECT doc_id, run, sum(c) AS chars FROM r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sum(c) DESC, run) = 1"))
+def abstract_run(spark: SparkSession, d: str) -> DataFrame:
+    return line_runs(spark, d).groupBy("doc_id").agg(F.max_by("run", F.struct("chars", -F.col("run"))).alias("run"), F.max("chars").alias("chars"))
+
+
+@query(v.sql(v.PAPERS, v.LINES, query="SELECT doc_id, regexp_replace(substr(line, 1, 12), '[0-9]', '#', 'g') AS mark, count(*) AS n FROM lines GROUP BY 1, 2 HAVING count(*) >= 3"))
+def repeated_margins(spark: SparkSession, d: str) -> DataFrame:
+    return a.lines(spark, d).groupBy("doc_id", F.regexp_replace(F.substring("line", 1, 12), "[0-9]", "#").alias("mark")).agg(F.count("*").alias("n")).filter("n >= 3")
+
+
+@query(v.sql(v.PAPERS, v.LINES, query="SELECT doc_id, size, chars FROM (SELECT doc_id, length(line) // 50 AS size, sum(length(line)) AS chars FROM lines GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, size) = 1"))
+def weighted_mode(spark: SparkSession, d: str) -> DataFrame:
+    sizes = a.lines(spark, d).groupBy("doc_id", F.floor(F.length("line") / 50).alias("size")).agg(F.sum(F.length("line")).alias("chars"))
+    return sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", -F.col("size"))).alias("size"), F.max("chars").alias("chars"))
+
+
+def _as_long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+# --- text functions --------------------------------------------------------------------------------------------------
+
+
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query=r"SELECT doc_id, n, trim(regexp_replace(regexp_replace(regexp_replace(body, '\s*\([^()]*(19|20)\d\d[a-z]?[^()]*\)', '', 'g'), '\s*\[\d+([,–-]\s*\d+)*\]', '', 'g'), '\s+([.,;:])', '\1', 'g'), ' ') AS spoken FROM annotated"))
+def speech_text(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(a.annotated(spark, d).select("doc_id", "n", text.speech(F.col("body")).alias("spoken")), "n")
+
+
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query="SELECT doc_id, n, CASE WHEN n % 5 = 0 THEN 'figure:' || (n % 9 + 1) ELSE 'table:' || (n % 4 + 1) END AS key FROM annotated WHERE n % 5 < 2"))
+def figure_refs(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(a.annotated(spark, d).select("doc_id", "n", F.explode(text.figure_keys(F.col("body"))).alias("key")), "n")
+
+
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, "cited AS (SELECT DISTINCT doc_id, CASE WHEN n % 5 = 0 THEN 'figure:' || (n % 9 + 1) ELSE 'table:' || (n % 4 + 1) END AS key FROM annotated WHERE n % 5 < 2)",
+    query="SELECT doc_id, key FROM cited WHERE NOT (key LIKE 'figure:%' AND CAST(split_part(key, ':', 2) AS INT) <= 4)"))
+def missing_figures(spark: SparkSession, d: str) -> DataFrame:
+    cited = figure_refs(spark, d).select("doc_id", "key")
+    available = a.papers(spark, d).select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("doc_id", F.concat(F.lit("figure:"), F.col("i").cast("string")).alias("key"))
+    return quality.missing_figures(cited, available)
+
+
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query="SELECT doc_id, n, replace(replace('Peak of plus or minus ' || (n % 5) || ' volts at ' || n || ' kelvin, lambda over ' || (n + 1) || ' and 3 nanometers.', 'X', 'X'), 'Y', 'Y') AS spoken FROM annotated"))
+def pronunciation_builtin(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n").cast("string")
+    said = F.concat(F.lit("Peak of ±"), (F.col("n") % 5).cast("string"), F.lit(" V at "), n, F.lit(" K, λ/"), (F.col("n") + 1).cast("string"), F.lit(" and 3 nm."))
+    return _as_long(a.annotated(spark, d).select("doc_id", "n", text.pronounce(said).alias("spoken")), "n")
+
+
+@query(v.sql(v.PAPERS, v.TOKENS, query="""SELECT doc_id, pos, CASE WHEN t = a THEN 'exact' WHEN levenshtein(t, a) <= CASE WHEN length(a) >= 8 THEN 2 ELSE 1 END THEN 'near' ELSE 'wrong' END AS grade
+  FROM (SELECT doc_id, pos, lower(token) AS a, CASE pos % 3 WHEN 0 THEN lower(token) WHEN 1 THEN 'x' || lower(token) ELSE 'qqqqqqqqqqqq' END AS t FROM tokens WHERE length(token) >= 4)"""))
+def cloze_grade(spark: SparkSession, d: str) -> DataFrame:
+    w = F.lower("token")
+    typed = F.when(F.col("pos") % 3 == 0, w).when(F.col("pos") % 3 == 1, F.concat(F.lit("x"), w)).otherwise("qqqqqqqqqqqq")
+    return _as_long(a.tokens(spark, d).filter(F.length("token") >= 4).select("doc_id", "pos", text.cloze_grade(typed, F.col("token"), F.col("token")).alias("grade")), "pos")
+
+
+@query(v.sql(v.REVIEWS, query="SELECT headword, round(avg(CASE rating WHEN 1 THEN 0.0 WHEN 2 THEN 0.5 ELSE 1.0 END), 6) AS score, count(*) AS n FROM reviews GROUP BY 1"))
+def dictation_score(spark: SparkSession, d: str) -> DataFrame:
+    return a.reviews(spark, d).groupBy("headword").agg(F.round(F.avg(F.when(F.col("rating") == 1, 0.0).when(F.col("rating") == 2, 0.5).otherwise(1.0)), 6).alias("score"), F.count("*").alias("n"))
+
+
+@query()
+def sentence_grade_lcs(spark: SparkSession, d: str) -> DataFrame:
+    typed = F.regexp_replace(F.col("text"), r"\b(the|of)\b ", "")
+    rows = a.table(spark, d, "conversations").select("conv_id", "turn", "text", typed.alias("typed"))
+    return rows.select("conv_id", "turn", F.round(align.sentence_score_udf("text", "typed"), 6).alias("score"))
+
+
+@query()
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    return a.papers(spark, d).select("doc_id", F.posexplode(align.sentences_udf("text"))).select("doc_id", F.col("pos").cast("long").alias("k"), F.col("col").alias("sentence"))
+
+
+@query(v.sql(v.PAPERS, v.TOKENS, f"w AS (SELECT *, md5('7:' || doc_id || ':' || pos) AS h FROM tokens WHERE length(token) >= 3 AND lower(token) NOT IN ({v.STOPS}))",
+    query="SELECT doc_id, pos, token FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h, pos) <= greatest(1, floor(0.2 * count(*) OVER (PARTITION BY doc_id)))"))
+def blank_selection(spark: SparkSession, d: str) -> DataFrame:
+    w = a.tokens(spark, d).filter((F.length("token") >= 3) & ~F.lower("token").isin(a.STOP)).withColumn("h", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("pos").cast("string"))))
+    place, n = F.row_number().over(a.over("doc_id", order=[F.col("h"), F.col("pos")])), F.count("*").over(a.Window.partitionBy("doc_id"))
+    return _as_long(w.withColumn("place", place).withColumn("size", n).filter(F.col("place") <= F.greatest(F.lit(1), F.floor(0.2 * F.col("size")))).select("doc_id", "pos", "token"), "pos")
+
+
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query=r"SELECT doc_id, sum(len(regexp_extract_all(body, '\[\d+\]'))) AS citations, sum(len(regexp_extract_all(body, '[A-Z][A-Z0-9]{1,6}'))) AS capitals, sum(len(regexp_extract_all(body, '[%&*$#|]'))) AS symbols FROM annotated GROUP BY 1"))
+def speech_risk_counts(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda p: F.sum(F.size(F.regexp_extract_all("body", F.lit(p), F.lit(0))))
+    return a.annotated(spark, d).groupBy("doc_id").agg(n(r"\[\d+\]").alias("citations"), n("[A-Z][A-Z0-9]{1,6}").alias("capitals"), n("[%&*$#|]").alias("symbols"))
+
+
+# --- quality and artefacts -------------------------------------------------------------------------------------------
+
+
+_RULES = r"""c AS (SELECT doc_id, count(*) FILTER (length(line) > 450) AS a, count(*) FILTER (length(line) < 15) AS b, count(*) FILTER (regexp_matches(line, '[A-Za-z]{25}')) AS c, count(*) FILTER (regexp_matches(line, '[ðÞ\x{FFFD}\x{0700}-\x{0DFF}]')) AS d, count(*) FILTER (regexp_matches(line, '[\x{E000}-\x{F8FF}]')) AS e, count(*) AS f FROM lines WHERE trim(line, ' ') <> '' GROUP BY 1),
+issues AS (SELECT doc_id, 'minor' AS level, 'long_sentences' AS code, a AS n FROM c WHERE a >= 3 UNION ALL SELECT doc_id, 'minor', 'short_sentences', b FROM c WHERE b >= 5 UNION ALL SELECT doc_id, 'minor', 'glued', c FROM c WHERE c >= 1 UNION ALL SELECT doc_id, 'major', 'pua', e FROM c WHERE e >= 1
+  UNION ALL SELECT doc_id, CASE WHEN d >= 3 THEN 'major' ELSE 'minor' END, 'garbled', d FROM c WHERE d > 0 UNION ALL SELECT doc_id, 'minor', 'long_section', f FROM c WHERE f > 70)"""
+
+
+@query(v.sql(v.PAPERS, v.LINES, _RULES, query="SELECT doc_id, level, code, n FROM issues"))
+def quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality.line_rules(a.lines(spark, d))
+
+
+@query(v.sql(v.PAPERS, v.LINES, _RULES, query="SELECT doc_id, major, minor, major > 0 OR minor >= 5 AS recommend FROM (SELECT doc_id, count(*) FILTER (level = 'major') AS major, count(*) FILTER (level = 'minor') AS minor FROM issues GROUP BY 1)"))
+def quality_summary(spark: SparkSession, d: str) -> DataFrame:
+    return quality.summary(quality.line_rules(a.lines(spark, d)))
+
+
+@query(v.sql(v.PAPERS, v.TOKENS, "t AS (SELECT DISTINCT doc_id, lower(token) AS key FROM tokens WHERE pos % 2 = 0)", "f AS (SELECT DISTINCT doc_id, lower(token) AS key FROM tokens WHERE pos % 3 = 0)",
+    "x AS (SELECT coalesce(t.doc_id, f.doc_id) AS doc_id, count(t.key) AS nt, count(f.key) AS nf, count(*) FILTER (t.key IS NOT NULL AND f.key IS NOT NULL) AS hits FROM t FULL JOIN f ON t.doc_id = f.doc_id AND t.key = f.key GROUP BY 1)",
+    query='SELECT doc_id, hits, round(hits / greatest(nf, 1), 3) AS "precision", round(hits / greatest(nt, 1), 3) AS recall, round(CASE WHEN hits > 0 THEN 2 * (hits / greatest(nf, 1)) * (hits / greatest(nt, 1)) / (hits / greatest(nf, 1) + hits / greatest(nt, 1)) ELSE 0.0 END, 3) AS f1 FROM x'))
+def set_eval_prf(spark: SparkSession, d: str) -> DataFrame:
+    t = a.tokens(spark, d).select("doc_id", "pos", F.lower("token").alias("key"))
+    return quality.set_scores(t.filter("pos % 2 = 0"), t.filter("pos % 3 = 0"), "doc_id")
+
+
+@query(v.sql(v.PAPERS, v.LINES, query="SELECT doc_id, sha1(string_agg(sha1(line), ',' ORDER BY n)) AS items_hash FROM lines WHERE doc_id % 3 <> 0 OR doc_id % 2 = 1 GROUP BY 1"))
+def fingerprint_stale(spark: SparkSession, d: str) -> DataFrame:
+    now = artefacts.fingerprint(a.lines(spark, d), "doc_id", "n", "line")
+    return artefacts.stale(now, now.filter("doc_id % 3 = 0 and doc_id % 2 = 0"), "doc_id")
+
+
+@query("SELECT DISTINCT text FROM conversations WHERE text NOT IN (SELECT text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)")
+def translation_todo(spark: SparkSession, d: str) -> DataFrame:
+    c = a.table(spark, d, "conversations")
+    return artefacts.todo(c.filter("text is not null"), c.filter("role = 'assistant'"), "text")
+
+
+@query("SELECT DISTINCT text FROM conversations WHERE role = 'assistant' AND text IN (SELECT text FROM conversations WHERE turn % 2 = 1)")
+def cache_gc(spark: SparkSession, d: str) -> DataFrame:
+    c = a.table(spark, d, "conversations")
+    return artefacts.in_use(c.filter("role = 'assistant'").select("text").distinct(), c.filter("turn % 2 = 1"), "text")
+
+
+@query("SELECT item_id, length(text) AS chars FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(documents.text, benchmark.text))")
+def quiz_validation(spark: SparkSession, d: str) -> DataFrame:
+    items, docs = a.table(spark, d, "benchmark"), a.table(spark, d, "documents")
+    held = F.col("text").contains(F.col("evidence"))  # the benchmark is small by its nature, and checked to be so
+    used = docs.select("text").join(terms.small(items.select("item_id", F.col("text").alias("evidence")), 10_000), held).select("item_id").distinct()
+    return items.join(used, "item_id", "left_anti").select("item_id", F.length("text").cast("long").alias("chars"))

@@ -7,6 +7,8 @@ the documents' lines, by modular arithmetic, so that operators which look for th
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ STOP = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # for Python workers of a local session
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
