@@ -1,10 +1,11 @@
-"""Exact top-k search by BM25 over an inverted index with block-max dynamic pruning.
-
-The index is cut into shards of bounded size. A shard has, for each of its terms, a postings list; lists of frequent terms
-are also laid out by document, with the maximum of each block of BLOCK documents. A query's rare terms are scored first,
-list by list. The k-th best partial score is a threshold that the final one can't fall below, so only documents stay whose
-partial score and the block maxima of the terms still to come reach it; it is raised again before each next term. Term
-weights use the statistics of the whole corpus, so the shards' best k, merged, are exactly the best k of all.
+"""Exact top-k search by BM25 over an inverted index with block-max WAND pruning.
+
+The index is cut into shards of bounded size. Within a shard, documents are ordered so that like ones stand together, and
+each frequent term has the maximum of its scores in every block of BLOCK documents. For a query, the lists of its rare
+terms are scored; a document's upper bound is that partial score and its block's maxima of the frequent terms. The best
+by upper bound are scored wholly, the k-th of them gives the threshold, and only documents whose upper bound reaches it
+(WAND's condition, with block maxima) are scored at all. Term weights use the statistics of the whole corpus, so the
+shards' best k, merged, are exactly the best k of all.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from scholia.llm.common import cut, map_arrow, table
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Documents and terms that end a shard, documents of a block, queries of a block, and the share of a shard's documents
-#: from which a term's list is laid out by document.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERIES, DENSE = 1 << 14, 1 << 22, 64, 1024, 1 / 32
+#: from which a term counts as frequent and is laid out by document.
+SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERIES, DENSE = 1 << 14, 1 << 21, 16, 1024, 1 / 16
 _TERM = re.compile(r"\w+")
 
 
@@ -41,6 +42,7 @@ def _hash(term: str) -> int:
 def build_shard(docs: list[tuple[int | None, Counter]]) -> dict[str, np.ndarray]:
     """A shard's index. A null id is -1 with its flag."""
     vocabulary: dict[str, int] = {}
+    docs = sorted(docs, key=lambda d: (max(d[1], key=d[1].get) if d[1] else "", d[1].total()))
     local = np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for _, c in docs for t in c), np.int32)
     tf = np.fromiter((n for _, c in docs for n in c.values()), np.float32)
     doc = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(c) for _, c in docs])
@@ -87,44 +89,49 @@ class Shard:
         norm = K1 * (1 - B + B * data["length"] / max(mean, 1e-9))
         tf = data["tf"].astype(np.float64)
         self.part = tf * (K1 + 1) / (tf + norm[self.doc])
-        self.n = len(self.ids)
-        df = np.diff(self.starts)
-        self.blocks = -(-self.n // BLOCK)
-        self.where = np.arange(self.n) // BLOCK
-        self.dense: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.is_dense = df > max(DENSE * self.n, 8)
-        for t in np.flatnonzero(self.is_dense).tolist():
-            row = np.zeros(self.blocks * BLOCK)
+        self.n, df = len(self.ids), np.diff(self.starts)
+        frequent = np.flatnonzero(df > max(DENSE * self.n, 8))
+        self.row = np.full(len(df), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        size = -(-self.n // BLOCK) * BLOCK
+        self.dense = np.zeros((len(frequent), size))
+        for i, t in enumerate(frequent.tolist()):
             s = slice(self.starts[t], self.starts[t + 1])
-            row[self.doc[s]] = self.part[s]
-            self.dense[t] = row, row.reshape(self.blocks, BLOCK).max(1)
+            self.dense[i, self.doc[s]] = self.part[s]
+        self.most = self.dense.reshape(len(frequent), size // BLOCK, BLOCK).max(2)
 
-    def top(self, hashes: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best k documents (all that tie with the last) of those with any of the query's terms, and their scores.
-        Terms come in the query's order, rare ones first."""
-        at = np.searchsorted(self.terms, hashes)
+    def search(self, q: dict[str, np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query of the block: its id, the documents that are among its best k here (with all that tie with the
+        last), and their scores."""
+        at = np.searchsorted(self.terms, q["terms"])
         at[at == len(self.terms)] = 0
-        found = self.terms[at] == hashes if len(self.terms) else np.zeros(len(hashes), bool)
-        at, weights = at[found], weights[found]
-        sparse = ~self.is_dense[at]
-        rare = at[sparse]
-        n = self.starts[rare + 1] - self.starts[rare]
-        where = np.repeat(self.starts[rare] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        own = np.bincount(self.doc[where], np.repeat(weights[sparse], n) * self.part[where], self.n)
-        live, rest, weights = np.arange(self.n), at[~sparse].tolist(), weights[~sparse]
-        if rest:
-            bounds = np.cumsum((weights[:, None] * np.stack([self.dense[t][1] for t in rest]))[::-1], axis=0)[::-1]  # of this and later terms, by block
-            for i, (t, w) in enumerate(zip(rest, weights.tolist(), strict=True)):
-                if len(live) > k and (i % 4 == 0 or len(live) > 4 * k):
-                    least = np.partition(own, len(own) - k)[len(own) - k]
-                    keep = own + bounds[i][self.where[live]] * (1 + 1e-9) >= least
-                    live, own = live[keep], own[keep]
-                own = own + w * self.dense[t][0][live]
-        live, own = live[own > 0], own[own > 0]
-        if len(live) > k:
-            keep = own >= np.partition(own, len(own) - k)[len(own) - k] * (1 - 1e-9)
-            live, own = live[keep], own[keep]
-        return live, own
+        here = self.terms[at] == q["terms"] if len(self.terms) else np.zeros(len(at), bool)
+        of = np.repeat(np.arange(len(q["ids"])), np.diff(q["starts"]))
+        row = np.where(here, self.row[at] if len(self.row) else -1, -1)
+        heavy = np.zeros((len(q["ids"]), len(self.dense)))
+        heavy[of[row >= 0], row[row >= 0]] = q["weights"][row >= 0]
+        bounds = heavy @ self.most
+        for i, query in enumerate(q["ids"].tolist()):
+            mine = np.arange(q["starts"][i], q["starts"][i + 1])
+            mine = mine[here[mine] & (row[mine] < 0)]
+            rare = at[mine]
+            n = self.starts[rare + 1] - self.starts[rare]
+            where = np.repeat(self.starts[rare] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            own = np.bincount(self.doc[where], np.repeat(q["weights"][mine], n) * self.part[where], self.n)
+            upper = (own + np.repeat(bounds[i], BLOCK)[: self.n]) * (1 + 1e-9)
+            use = np.flatnonzero(heavy[i])
+            weights = heavy[i, use]
+            live = np.flatnonzero(upper > 0)
+            if len(live) > 4 * k:
+                seeds = np.argpartition(upper, self.n - 4 * k)[-4 * k :]
+                score = own[seeds] + weights @ self.dense[np.ix_(use, seeds)]
+                live = np.flatnonzero((upper >= np.partition(score, 3 * k)[3 * k]) & (upper > 0))
+            score = own[live] + weights @ self.dense[np.ix_(use, live)]
+            live, score = live[score > 0], score[score > 0]
+            if len(live) > k:
+                keep = score >= np.partition(score, len(score) - k)[len(score) - k] * (1 - 1e-9)
+                live, score = live[keep], score[keep]
+            yield query, live, score
 
 
 def query_blocks(docs: DataFrame, df: DataFrame, n_docs: int, at_a_time: int = QUERIES) -> DataFrame:
@@ -166,11 +173,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         if shard[0] is not block:
             shard[:] = [block, Shard(block, mean)]
         s, out = shard[1], ([], [], [])
-        for i, query in enumerate(q["ids"]):
-            mine = slice(q["starts"][i], q["starts"][i + 1])
-            live, own = s.top(q["terms"][mine], q["weights"][mine], k)
-            ids, null = s.ids[live], s.null[live]
-            own = np.round(own, 6)
+        for query, live, own in s.search(q, k):
+            ids, null, own = s.ids[live], s.null[live], np.round(own, 6)
             order = [j for j in np.lexsort((ids, -own)) if not null[j]][:k]
             out[0].append(np.full(len(order), query))
             out[1].append(ids[order])
