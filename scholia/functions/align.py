@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 #: Words after which a full stop doesn't end a sentence, and words that name what a number follows.
+GRADES = ("ng", "near", "ok")
 SHORT = frozenset("e.g. i.e. et al. etc. vs. cf. Dr. Mr. Ms. Mrs. Prof. Fig. Figs. Eq. Eqs. Ref. Refs. Sec. Tab. No. Vol. pp. approx.".split())
 NAMED = frozenset("Fig. Figs. Table Eq. Eqs. Ref. Refs. Section Sec. Tab.".split())
 
@@ -35,6 +37,9 @@ def edits_within(a: str, b: str, most: int) -> bool:
     """Whether at most `most` single-letter edits turn a into b. Equal ends go first, then a band of the table is enough."""
     if abs(len(a) - len(b)) > most:
         return False
+    cut = len(a) // (most + 1)  # of most + 1 parts of a, one stands in b as it is
+    if not (b.startswith(a[:cut]) or b.endswith(a[-cut:] if most > 1 else a[cut:]) or most > 1 and a[cut : len(a) - cut] in b):
+        return False
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
@@ -68,18 +73,19 @@ def sentence_grade(original: str | None, typed: str | None) -> tuple[list[str],
     """The grade of each word of the original, by a longest common subsequence with fuzzy equality, and the score: the mean
     of 1 for ok and 0.5 for near; 0 for an empty original."""
     a, b = (original or "").split(), (typed or "").split()
-    known = {(x, y): word_grade(y, x) for x in set(a) for y in set(b)}
-    grades = [[known[x, y] for y in b] for x in a]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if grades[i][j] != "ng" else max(best[i + 1][j], best[i][j + 1])
+    left, row_of = np.unique(a, return_inverse=True)
+    right, column_of = np.unique(b, return_inverse=True)
+    known = np.array([[GRADES.index(word_grade(y, x)) for y in right.tolist()] for x in left.tolist()], np.int8).reshape(len(left), len(right))
+    grades = known[row_of][:, column_of] if a and b else np.zeros((len(a), len(b)), np.int8)
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    for i in range(len(a) - 1, -1, -1):  # a row at once: the best of the row below, a match, and what stands to the right
+        best[i, :-1] = np.maximum.accumulate(np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (grades[i] > 0))[::-1])[::-1]
     marks, i, j = [], 0, 0
     while i < len(a):
-        if j < len(b) and grades[i][j] != "ng":
-            marks.append(grades[i][j])
+        if j < len(b) and grades[i, j]:
+            marks.append(GRADES[grades[i, j]])
             i, j = i + 1, j + 1
-        elif j >= len(b) or best[i + 1][j] >= best[i][j + 1]:
+        elif j >= len(b) or best[i + 1, j] >= best[i, j + 1]:
             marks.append("ng")
             i += 1
         else:

@@ -195,3 +195,16 @@ def test_files(spark, tmp_path):
     assert files.marks_markdown(marks).first().markdown == "## A\n\n> first\n\nwhy\n\n## B\n\n> second"
     page = spark.createDataFrame([(1, i, x) for i, x in enumerate(["# Top", "", "2.1 Setup", "Some longer text follows here.", "", "Results", ""])], "doc_id int, n int, line string")
     assert [r.level for r in files.headings(page).orderBy("n").collect()] == [1, None, 2, None, None, 1, None]
+
+
+def test_edits_within_random():
+    rnd = random.Random(3)
+    for _ in range(4000):
+        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(1, 11))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            diagonal, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
+        most = 2 if len(a) >= 8 else 1
+        assert align.edits_within(a, b, most) == (row[-1] <= most)
