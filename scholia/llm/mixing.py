@@ -110,7 +110,7 @@ def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.select("doc_id", *LEAF, "tokens", (F.col("whole") + F.col("more")).cast("int").alias("copies"))
+    return out.select("doc_id", *LEAF, "tokens", (F.col("whole") + F.when(F.col("tokens") > 0, F.col("more")).otherwise(0)).cast("int").alias("copies"))
 
 
 def domain_of(source: Column) -> Column:
@@ -120,3 +120,26 @@ def domain_of(source: Column) -> Column:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), domain_of(F.col("source")))
+
+
+def _share_sql(parent: str, keys: str, weight: str, got: str, out: str, nodes: str) -> str:
+    rows = f"""SELECT *, greatest({got} - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS l, sum({weight}) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM {nodes} WINDOW w AS (PARTITION BY {parent} ORDER BY CAST(cap AS DOUBLE) / CAST({weight} AS DOUBLE), {keys})"""
+    full = "CAST(cap AS HUGEINT) * ws <= CAST(l AS HUGEINT) * " + weight
+    return f"""SELECT *, CASE WHEN f THEN cap ELSE least(CAST((max(CASE WHEN NOT f THEN l END) OVER p) AS HUGEINT) * {weight} // max(CASE WHEN NOT f THEN ws END) OVER p, cap) END AS {out} FROM (SELECT *, {full} AS f FROM ({rows})) WINDOW p AS (PARTITION BY {parent})"""
+
+
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, 'd' || coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT), 0) % 4 AS domain, lang, source,
+  coalesce(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')), 0) AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens, {EPOCHS} * sum(tokens) AS cap3, CAST(substr(domain, 2) AS INT) + 1 AS w1, CASE WHEN lang = 'en' THEN 3 ELSE 1 END AS w2, length(source) - 3 AS w3 FROM d GROUP BY domain, lang, source),
+live AS (SELECT *, (SELECT sum(tokens) * {SHARE_PERCENT} // 100 FROM leaves) AS got0 FROM leaves WHERE cap3 > 0 AND least(w1, w2, w3) > 0),
+n1 AS (SELECT 0 AS root, domain, any_value(got0) AS got0, sum(cap3) AS cap, max(w1) AS w1 FROM live GROUP BY domain),
+s1 AS ({_share_sql("root", "domain", "w1", "got0", "got1", "n1")}),
+n2 AS (SELECT domain, lang, sum(cap3) AS cap, max(w2) AS w2, any_value(got1) AS got1 FROM live JOIN (SELECT domain, got1 FROM s1) USING (domain) GROUP BY domain, lang),
+s2 AS ({_share_sql("domain", "lang", "w2", "got1", "got2", "n2")}),
+n3 AS (SELECT domain, lang, source, tokens, cap3 AS cap, w3, got2 FROM live JOIN (SELECT domain, lang, got2 FROM s2) USING (domain, lang)),
+s3 AS ({_share_sql("domain, lang", "source", "w3", "got2", "target", "n3")}),
+t AS (SELECT domain, lang, source, CAST(target // tokens AS BIGINT) AS whole, CAST(target % tokens AS BIGINT) AS part FROM s3),
+r AS (SELECT d.*, coalesce(whole, 0) AS whole, coalesce(part, 0) AS part FROM d LEFT JOIN t USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens, CAST(whole + CASE WHEN tokens > 0 AND part > 0 AND sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || whole || ':' || doc_id), tokens) <= part THEN 1 ELSE 0 END AS INT) AS copies FROM r
+"""

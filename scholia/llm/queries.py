@@ -16,4 +16,4 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_langid": langid.op10_langid,
 }
-ORACLES = {"op9_warc": warc.ORACLE}
+ORACLES = {"op8_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
