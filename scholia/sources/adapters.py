@@ -24,8 +24,13 @@ STOP = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # for Python workers of a local session
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    context = spark.sparkContext
+    context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # for Python workers of a local session
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # texts in fewer splits than there are cores are few: dealing them out costs little beside reading their words on one core
+    if name in ("documents", "conversations") and df.rdd.getNumPartitions() < context.defaultParallelism:
+        df = df.repartition(context.defaultParallelism)
+    return df
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
