@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from scholia.plans import more  # noqa: F401  registers its queries
 from scholia.plans.catalog import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
