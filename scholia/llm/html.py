@@ -33,6 +33,8 @@ GONE_WORDS = frozenset(
     "alert popup modal overlay newsletter subscribe signup login form search comment comments commentlist respond disqus discussion replies reply "
     "share sharing social related recommended pagination pager toolbar skip copyright".split()
 )
+#: Of these, what stays gone even where an article stands in it: a comment or a teaser may be an article too.
+HARD_WORDS = frozenset("comment comments commentlist respond disqus discussion replies reply sidebar related recommended ad ads advert".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -137,8 +139,10 @@ def _names(node: Node) -> set[str]:
 def boilerplate(node: Node) -> bool:
     if node.tag in GONE_TAGS or node.tag in RAW:
         return True
-    if not node.attrs or node.tag in ("html", "body", "article", "main"):
+    if not node.attrs or node.tag in ("html", "body", "main"):
         return False
+    if node.tag == "article":
+        return bool(_names(node) & HARD_WORDS)
     a = node.attrs
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in GONE_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
@@ -176,11 +180,12 @@ def main_text(source: str | None) -> str:
     """The main text of a page: its blocks, joined by one line feed; empty if there is none."""
     root, nodes = parse(source or "")
     holds = set()  # elements that hold an article, main or top heading are layout, whatever their class says
+    leading = set()  # those that hold main or a top heading
     for n in nodes:
-        if n.tag in ("article", "main") or n.tag == "h1":
-            p = n.parent
-            while p is not None and id(p) not in holds:
-                holds.add(id(p))
+        for tags, found in ((("article", "main", "h1"), holds), (("main", "h1"), leading)):
+            p = n.parent if n.tag in tags and not (n.tag == "article" and boilerplate(n)) else None
+            while p is not None and id(p) not in found:
+                found.add(id(p))
                 p = p.parent
     for n in nodes:
         if n.tag == "header":
@@ -194,7 +199,7 @@ def main_text(source: str | None) -> str:
                     if isinstance(k, Node) and k.tag not in HEADINGS:
                         k.gone = True
                 n.kids = [k for k in n.kids if isinstance(k, Node)]
-        elif boilerplate(n) and (n.tag in GONE_TAGS or id(n) not in holds or n.tag == "form"):
+        elif boilerplate(n) and (n.tag in GONE_TAGS or id(n) not in holds or id(n) not in leading and _names(n) & HARD_WORDS):
             n.gone = True
     blocks: dict[int, tuple[Node, int, int, int]] = {}  # paragraphs: characters, commas, characters in links
     todo: list[tuple] = [(root, root, False)]

@@ -142,6 +142,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var x = "</p>";</sc
 def test_main_text():
     assert html.main_text(PAGE) == "The & title\nFirst, with a link, and more text. Next line.\nSecond <b> one.\nitem one\nitem two"
     assert html.main_text("<div><div><p>One, two, three.</p><p>Four.</p></div><div class=menu><a>x</a></div></div>") == "One, two, three.\nFour."
+    assert html.main_text("<main><article><h1>T</h1><p>Body, text.</p><section id=comments><article class=comment><p>Nice, post, this.</p></article></section></article></main><section class='comments'><article><p>More, of it.</p></article></section>") == "T\nBody, text."
     assert html.main_text("no markup  at all") == "no markup at all"
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
     assert html.main_text("<p>1 < 2 & 3</p>") == "1 < 2 & 3"
