@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -126,3 +127,9 @@ def expansions_udf(text: pd.Series) -> pd.Series:
         return [{"acronym": a, "expansion": e} for a, e in found if e]
 
     return text.map(one)
+
+
+@F.pandas_udf(StringType())
+def nfkc_udf(text: pd.Series) -> pd.Series:
+    """Compatibility forms as plain characters (ligatures, full-width letters); raised and lowered digits stay."""
+    return text.map(lambda t: None if t is None else re.sub(r"[^\u00b2\u00b3\u00b9\u2070-\u209c]+", lambda m: unicodedata.normalize("NFKC", m[0]), t))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import candidates, normalise, term_key
+from scholia.functions.text import derived, inflected, normalise, term_key
 from scholia.sources.adapters import STOP
 
 TOP_WORDS, TOP_ACRONYMS, TOP_PHRASES = 40, 25, 25
 ACRONYM = "^[A-Z][A-Z0-9]{1,6}$"
+#: Units that no phrase begins with.
+UNITS = "rad arcsec arcmin mrad nm mm cm khz hz mas".split()
 #: Documents' words that one dictionary lookup may broadcast: beyond this many rows Spark shuffles instead.
 BROADCAST_ROWS = 500_000
 
@@ -26,13 +28,42 @@ def word_counts(tokens: DataFrame) -> DataFrame:
     return plain.groupBy("doc_id", lower.alias("word")).agg(F.count("*").alias("n"), F.count_if(F.substring("token", 1, 1) == F.substring(lower, 1, 1)).alias("lower_n"), F.min("pos").alias("first_pos"))
 
 
+def singulars(counts: DataFrame) -> DataFrame:
+    """(doc_id, word, one): words (doc_id, word) whose singular the same document has, with that singular. Only words in s are
+    looked up, by an equi-join on the document and the form."""
+    w = F.col("word")
+    cut = lambda k, put="": F.concat(F.substring(w, F.lit(1), F.length(w) - k), F.lit(put))
+    forms = F.array(F.when(w.endswith("ies"), cut(3, "y")), F.when(w.endswith("es") & F.substring(w, -3, 1).isin("s", "x", "z"), cut(2)), F.when(~w.endswith("ss"), cut(1)))
+    asked = counts.filter(w.endswith("s")).select("doc_id", "word", F.posexplode(forms)).filter("col is not null").select("doc_id", "word", "pos", F.col("col").alias("form"))
+    known = counts.select("doc_id", F.col("word").alias("form"))
+    return asked.join(known, ["doc_id", "form"]).groupBy("doc_id", "word").agg(F.min_by("form", "pos").alias("one"))
+
+
+def folded_words(tokens: DataFrame) -> DataFrame:
+    """`word_counts` with plurals counted as their singular."""
+    counts = word_counts(tokens)
+    rows = counts.join(singulars(counts), ["doc_id", "word"], "left").withColumn("word", F.coalesce("one", "word"))
+    return rows.groupBy("doc_id", "word").agg(F.sum("n").alias("n"), F.sum("lower_n").alias("lower_n"), F.min("first_pos").alias("first_pos"))
+
+
+def found_surely(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Distinct words (word) that the dictionary (lower) has, as they are or by undoing an inflection."""
+    distinct = words.select("word").distinct().filter(F.col("word").rlike("^[a-z][a-z-]*$"))
+    forms = distinct.select("word", F.explode(inflected(F.col("word"))).alias("lower"))
+    return forms.join(small(dictionary), "lower", "left_semi").select("word").distinct()
+
+
+def technical_words(tokens: DataFrame, dictionary: DataFrame, stop: list[str] = STOP) -> DataFrame:
+    """Words of each document that are no stop words, stand somewhere in lower case, and that the dictionary lacks or knows
+    by a derivation or part only: seen three times up to five letters, else twice."""
+    kept = folded_words(tokens).filter((F.length("word") >= 4) & (F.col("n") >= F.when(F.length("word") <= 5, 3).otherwise(2)) & (F.col("lower_n") > 0) & ~F.col("word").isin(stop))
+    return kept.join(found_surely(kept, dictionary), "word", "left_anti").select("doc_id", "word", "n", "first_pos")
+
+
 def glossary_words(tokens: DataFrame, dictionary: DataFrame, top: int = TOP_WORDS) -> DataFrame:
-    """The most frequent words of each document that are no stop words, stand somewhere in lower case and aren't in the
-    dictionary (lower): seen three times up to five letters, else twice. Ties go by first appearance."""
-    kept = word_counts(tokens).filter((F.length("word") >= 4) & (F.col("n") >= F.when(F.length("word") <= 5, 3).otherwise(2)) & (F.col("lower_n") > 0) & ~F.col("word").isin(STOP))
-    unknown = kept.join(small(dictionary), kept["word"] == dictionary["lower"], "left_anti")
+    """The most frequent technical words of each document. Ties go by first appearance."""
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first_pos", "word"))
-    return unknown.withColumn("rank", rank).filter(F.col("rank") <= top).select("doc_id", "rank", "word", "n")
+    return technical_words(tokens, dictionary).withColumn("rank", rank).filter(F.col("rank") <= top).select("doc_id", "rank", "word", "n")
 
 
 def acronyms(tokens: DataFrame, top: int = TOP_ACRONYMS) -> DataFrame:
@@ -43,31 +74,47 @@ def acronyms(tokens: DataFrame, top: int = TOP_ACRONYMS) -> DataFrame:
     return counts.withColumn("rank", rank).filter(F.col("rank") <= top).select("doc_id", "acronym", "n")
 
 
-def phrases(papers: DataFrame, token: str, top: int = TOP_PHRASES) -> DataFrame:
-    """(doc_id, phrase, n): two or three words of three letters or more, none a stop word, seen four times; a pair within a
-    triple of the same count goes. N-grams are made from a document's own array of tokens: no window over its words."""
+def phrases(papers: DataFrame, token: str, tokens: DataFrame, dictionary: DataFrame, top: int = TOP_PHRASES) -> DataFrame:
+    """(doc_id, phrase, n): two or three words of three letters or more, none a stop word, the last one in the singular if
+    the document has it; seen four times, or three with a technical word among them; no unit first; a pair within a triple
+    of the same count goes. N-grams are made from a document's own array of tokens: no window over its words."""
     words = papers.select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(token), 0), F.lower).alias("w"))
-
-    def grams(k: int) -> DataFrame:
-        at = F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))
-        good = [F.transform("w", lambda x: (F.length(x) >= 3) & ~x.isin(STOP) & ~x.contains("-")).alias("ok")]
-        rows = words.select("doc_id", "w", *good).filter(F.size("w") >= k)
-        fits = F.filter(at, lambda i: F.forall(F.slice("ok", i, k), lambda x: x))
-        return rows.select("doc_id", F.explode(F.transform(fits, lambda i: F.array_join(F.slice("w", i, k), " "))).alias("phrase")).groupBy("doc_id", "phrase").agg(F.count("*").alias("n")).filter("n >= 4")
-
-    two, three = grams(2), grams(3).select(F.col("doc_id").alias("d"), F.col("phrase").alias("longer"), F.col("n").alias("m"))
+    triples = words.select("doc_id", F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"), F.slice("w", 3, F.greatest(F.size("w"), F.lit(1))).alias("c")).alias("z"))
+    triples = triples.select("doc_id", F.explode("z").alias("z")).select("doc_id", "z.*").toDF("doc_id", "a", "b", "c")
+
+    def good(name: str):
+        return F.coalesce((F.length(name) >= 3) & ~F.col(name).isin(STOP) & ~F.contains(F.col(name), F.lit("-")), F.lit(False))
+
+    both = F.when(good("a") & good("b"), F.array(F.array("a", "b"), F.when(good("c"), F.array("a", "b", "c"))))
+    grams = triples.select("doc_id", F.explode(both).alias("g")).filter("g is not null").groupBy("doc_id", "g").agg(F.count("*").alias("n"))
+    last = F.element_at("g", -1)
+    fold = singulars(word_counts(tokens)).withColumnRenamed("word", "last")
+    named = grams.filter(~F.col("g")[0].isin(UNITS)).withColumn("last", last).join(fold, ["doc_id", "last"], "left")
+    named = named.withColumn("phrase", F.array_join(F.concat(F.slice("g", 1, F.size("g") - 1), F.array(F.coalesce("one", "last"))), " "))
+    counts = named.groupBy("doc_id", "phrase").agg(F.sum("n").alias("n")).filter("n >= 3")
+    technical = technical_words(tokens, dictionary).select("doc_id", "word")
+    rare = counts.filter("n = 3").select("doc_id", "phrase", F.explode(F.split("phrase", " ")).alias("word")).join(technical, ["doc_id", "word"], "left_semi").select("doc_id", "phrase", F.lit(True).alias("has")).distinct()
+    kept = counts.join(rare, ["doc_id", "phrase"], "left").filter("n >= 4 or has")
+    triple = F.size(F.split("phrase", " ")) == 3
+    three = counts.filter(triple).select(F.col("doc_id").alias("d"), F.col("phrase").alias("longer"), F.col("n").alias("m"))
     inside = (F.col("doc_id") == F.col("d")) & (F.col("n") == F.col("m")) & F.col("longer").contains(F.col("phrase"))
-    kept = two.join(three, inside, "left_anti").union(three)
+    kept = kept.filter(~triple).join(three, inside, "left_anti").union(kept.filter(triple))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), F.desc(F.length("phrase")), "phrase"))
     return kept.withColumn("rank", rank).filter(F.col("rank") <= top).select("doc_id", "phrase", "n")
 
 
 def ranked_lookup(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(word, headword, match) for the words (word) that the dictionary (lower) has a form of: the first candidate that it
-    has; match is exact, base or part (of a hyphenated word, the last part first)."""
+    has; match is exact, base (an inflection undone), near (a derivation undone) or part (of a hyphenated word, the last
+    part first)."""
     w = words.select("word", normalise(F.col("word")).alias("key")).filter(F.col("key").rlike("^[a-z][a-z'-]*$"))
-    forms = w.select("word", "key", F.posexplode(candidates(F.col("key")))).select("word", F.col("pos").alias("rank"), F.col("col").alias("form"), F.when(F.col("pos") == 0, "exact").otherwise("base").alias("match"))
-    parts = w.filter(F.col("key").contains("-")).select("word", F.posexplode(F.reverse(F.split("key", "-")))).select("word", (F.col("pos") + 1000).alias("rank"), F.col("col").alias("form"), F.lit("part").alias("match"))
+
+    def ranked(forms, start: int, match) -> DataFrame:
+        return w.select("word", F.posexplode(forms)).select("word", (F.col("pos") + start).alias("rank"), F.col("col").alias("form"), match.alias("match"))
+
+    key = F.col("key")
+    forms = ranked(inflected(key), 0, F.when(F.col("pos") == 0, "exact").otherwise("base")).union(ranked(derived(key), 100, F.lit("near")))
+    parts = ranked(F.when(key.contains("-"), F.reverse(F.split(key, "-"))), 1000, F.lit("part"))
     found = forms.union(parts).join(small(dictionary), F.col("form") == F.col("lower"))
     best = F.min(F.struct("rank", F.col("form").alias("headword"), "match")).alias("best")
     return found.groupBy("word").agg(best).select("word", "best.headword", "best.match")

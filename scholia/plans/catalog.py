@@ -46,13 +46,6 @@ def paper_catalog_join(spark: SparkSession, d: str) -> DataFrame:
     return p.select("paper_id", "folder", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_marks", F.lit(0)).alias("n_marks"), "last_read")
 
 
-@query(v.sql(v.PAPERS, query="SELECT row_number() OVER (ORDER BY nullif(lower(lang), 'de') DESC NULLS LAST, lower(title), doc_id) AS place, doc_id FROM papers QUALIFY place <= 100"))
-def paper_sort_nulls_last(spark: SparkSession, d: str) -> DataFrame:
-    key = [F.nullif(F.lower("lang"), F.lit("de")).desc_nulls_last(), F.lower("title"), F.col("doc_id")]
-    top = a.papers(spark, d).select("doc_id", "lang", "title").orderBy(*key).limit(100)  # the page shown: a top-k
-    return top.select(F.row_number().over(a.over(order=key)).cast("long").alias("place"), "doc_id")
-
-
 @query(v.sql(v.PAPERS, v.LINES, query="SELECT doc_id, n, 'p' || n || '_' || length(line) AS item_id, trim(line, ' ') AS spoken FROM lines WHERE trim(line, ' ') <> '' UNION ALL SELECT doc_id, 0, 'h', title || '.' FROM papers"))
 def sentence_items(spark: SparkSession, d: str) -> DataFrame:
     rows = a.lines(spark, d).filter("trim(line) <> ''").select("doc_id", F.col("n").cast("long").alias("n"), F.concat(F.lit("p"), F.col("n").cast("string"), F.lit("_"), F.length("line").cast("string")).alias("item_id"), F.trim("line").alias("spoken"))
@@ -64,8 +57,28 @@ def sentence_items(spark: SparkSession, d: str) -> DataFrame:
 
 _COUNTS = """counts AS (SELECT doc_id, lower(token) AS word, count(*) AS n, count(*) FILTER (substr(token, 1, 1) = substr(lower(token), 1, 1)) AS lower_n, min(pos) AS first_pos FROM tokens
   WHERE NOT regexp_matches(regexp_replace(token, 's$', ''), '^[A-Z][A-Z0-9]{1,6}$') GROUP BY 1, 2)"""
-_WORDS = f"""words AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos, word) AS rank FROM counts WHERE length(word) >= 4 AND n >= CASE WHEN length(word) <= 5 THEN 3 ELSE 2 END
-  AND lower_n > 0 AND word NOT IN ({v.STOPS}) AND word NOT IN (SELECT lower FROM dictionary) QUALIFY rank <= 40)"""
+_FOLD = """pairs AS (SELECT c.*, coalesce(y.word, e.word, s.word, c.word) AS one FROM counts c
+  LEFT JOIN counts y ON y.doc_id = c.doc_id AND y.word = CASE WHEN c.word LIKE '%ies' THEN substr(c.word, 1, length(c.word) - 3) || 'y' END
+  LEFT JOIN counts e ON e.doc_id = c.doc_id AND e.word = CASE WHEN regexp_matches(c.word, '[sxz]es$') THEN substr(c.word, 1, length(c.word) - 2) END
+  LEFT JOIN counts s ON s.doc_id = c.doc_id AND s.word = CASE WHEN c.word LIKE '%s' AND c.word NOT LIKE '%ss' THEN substr(c.word, 1, length(c.word) - 1) END),
+folded AS (SELECT doc_id, one AS word, CAST(sum(n) AS BIGINT) AS n, CAST(sum(lower_n) AS BIGINT) AS lower_n, min(first_pos) AS first_pos FROM pairs GROUP BY 1, 2)"""
+
+
+def _cut(suffix: str, put: str = "", keep: str = "true", less: int = 0) -> str:
+    return f"CASE WHEN word LIKE '%{suffix}' AND {keep} THEN substr(word, 1, length(word) - {len(suffix) + less}) || '{put}' END"
+
+
+def _twice(suffix: str) -> str:
+    k = len(suffix)
+    return _cut(suffix, keep=f"length(word) > {k + 2} AND substr(word, -{k + 1}, 1) = substr(word, -{k + 2}, 1)", less=1)
+
+
+_FORMS = ", ".join(["word", _cut("ies", "y"), _cut("es"), _cut("s", keep="word NOT LIKE '%ss'"), _cut("ied", "y"), _cut("ed"), _cut("ed", "e"), _twice("ed"), _cut("ing"), _cut("ing", "e"), _twice("ing"), _cut("er"), _cut("er", "e"), _cut("est"), _cut("est", "e"), _cut("ly")])
+_TECHNICAL = f"""forms AS (SELECT word, unnest([{_FORMS}]) AS form FROM (SELECT DISTINCT word FROM folded WHERE regexp_matches(word, '^[a-z][a-z-]*$'))),
+sure AS (SELECT DISTINCT word FROM forms WHERE length(form) >= 2 AND form IN (SELECT lower FROM dictionary)),
+technical AS (SELECT * FROM folded WHERE length(word) >= 4 AND n >= CASE WHEN length(word) <= 5 THEN 3 ELSE 2 END AND lower_n > 0 AND word NOT IN ({v.STOPS}) AND word NOT IN (SELECT word FROM sure))"""
+_WORDS = f"""{_FOLD}, {_TECHNICAL},
+words AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_pos, word) AS rank FROM technical QUALIFY rank <= 40)"""
 
 
 @query(v.sql(v.PAPERS, v.TOKENS, _COUNTS, query="SELECT doc_id, word, n, lower_n, first_pos FROM counts"))
@@ -84,12 +97,16 @@ def glossary_acronyms(spark: SparkSession, d: str) -> DataFrame:
     return terms.acronyms(a.tokens(spark, d))
 
 
-@query(v.sql(v.PAPERS, v.TOKENS, f"""w AS (SELECT doc_id, pos, lower(token) AS t, length(token) >= 3 AND lower(token) NOT IN ({v.STOPS}) AND NOT contains(token, '-') AS ok FROM tokens)""", """g AS (SELECT doc_id, t AS t1, ok AS o1, lead(t, 1) OVER x AS t2, lead(ok, 1) OVER x AS o2, lead(t, 2) OVER x AS t3, lead(ok, 2) OVER x AS o3 FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY pos))""",
-    """two AS (SELECT doc_id, t1 || ' ' || t2 AS phrase, count(*) AS n FROM g WHERE o1 AND o2 GROUP BY 1, 2 HAVING n >= 4)""", """three AS (SELECT doc_id, t1 || ' ' || t2 || ' ' || t3 AS phrase, count(*) AS n FROM g WHERE o1 AND o2 AND o3 GROUP BY 1, 2 HAVING n >= 4)""",
-    query="""SELECT doc_id, phrase, n FROM (SELECT * FROM two WHERE NOT EXISTS (SELECT 1 FROM three WHERE three.doc_id = two.doc_id AND three.n = two.n AND contains(three.phrase, two.phrase)) UNION ALL SELECT * FROM three)
+@query(v.sql(v.PAPERS, v.TOKENS, v.DICTIONARY, _COUNTS, _FOLD, _TECHNICAL, f"""w AS (SELECT doc_id, pos, lower(token) AS t, length(token) >= 3 AND lower(token) NOT IN ({v.STOPS}) AND NOT contains(token, '-') AS ok FROM tokens)""",
+    """g AS (SELECT doc_id, t AS t1, ok AS o1, lead(t, 1) OVER x AS t2, lead(ok, 1) OVER x AS o2, lead(t, 2) OVER x AS t3, lead(ok, 2) OVER x AS o3 FROM w WINDOW x AS (PARTITION BY doc_id ORDER BY pos))""",
+    """grams AS (SELECT doc_id, t1 AS head, t2 AS last, 2 AS k FROM g WHERE o1 AND o2 UNION ALL SELECT doc_id, t1 || ' ' || t2, t3, 3 FROM g WHERE o1 AND o2 AND o3)""",
+    f"""named AS (SELECT s.doc_id, k, head || ' ' || coalesce(p.one, last) AS phrase FROM grams s LEFT JOIN pairs p ON p.doc_id = s.doc_id AND p.word = s.last WHERE split_part(head, ' ', 1) NOT IN ({", ".join(f"'{u}'" for u in terms.UNITS)}))""",
+    """c AS (SELECT doc_id, k, phrase, count(*) AS n FROM named GROUP BY 1, 2, 3 HAVING count(*) >= 3)""",
+    """rare AS (SELECT DISTINCT x.doc_id, x.phrase FROM (SELECT doc_id, phrase, unnest(string_split(phrase, ' ')) AS word FROM c WHERE n = 3) x JOIN technical USING (doc_id, word))""",
+    query="""SELECT doc_id, phrase, n FROM c WHERE (n >= 4 OR (doc_id, phrase) IN (SELECT (doc_id, phrase) FROM rare)) AND (k = 3 OR NOT EXISTS (SELECT 1 FROM c t WHERE t.k = 3 AND t.doc_id = c.doc_id AND t.n = c.n AND contains(t.phrase, c.phrase)))
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(phrase) DESC, phrase) <= 25"""))
 def glossary_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return terms.phrases(a.papers(spark, d), a.TOKEN)
+    return terms.phrases(a.papers(spark, d), a.TOKEN, a.tokens(spark, d), a.dictionary(spark, d))
 
 
 @query(v.sql(v.PAPERS, v.TOKENS, v.DICTIONARY, _COUNTS, _WORDS, query="""SELECT key, doc_id, term, n FROM (SELECT CASE WHEN length(word) > 3 AND word LIKE '%s' AND word NOT LIKE '%ss' THEN substr(word, 1, length(word) - 1) ELSE word END AS key, doc_id, word AS term, n FROM words)
@@ -129,14 +146,14 @@ def review_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return a.reviews(spark, d).groupBy("headword").agg(F.min("reviewed_at").alias("first_at"), F.count("*").alias("n"))
 
 
-@query(v.sql(v.REVIEWS, "words AS (SELECT c_custkey AS headword FROM customer WHERE c_custkey <= 400)", "past AS (SELECT * FROM reviews WHERE floor(epoch(reviewed_at)) <= 1705320000)",
+@query(v.sql(v.REVIEWS, "words AS (SELECT c_custkey AS headword FROM customer)", "past AS (SELECT * FROM reviews WHERE floor(epoch(reviewed_at)) <= 1705320000)",
     "lists AS (SELECT headword, list({'phase': CAST(rating AS BIGINT), 'step': CAST(0 AS BIGINT), 's': CAST(0 AS DOUBLE), 'd': CAST(0 AS DOUBLE), 'due': CAST(uid AS BIGINT), 'last': CAST(floor(epoch(reviewed_at)) AS BIGINT)} ORDER BY reviewed_at, uid) AS log FROM past GROUP BY 1)",
     f"states AS (SELECT headword, {srs.fold_sql('log', False)} AS x FROM lists)", "cards AS (SELECT w.headword, x.phase AS phase, x.due AS due FROM words w LEFT JOIN states USING (headword))",
     "used AS (SELECT count(*) AS used FROM (SELECT min(floor(epoch(reviewed_at))) AS f FROM past GROUP BY headword) WHERE f >= 1705276800)",
     query="SELECT least(new_waiting, greatest(20 - used, 0)) AS new, learning, review, total, new_waiting, next_due FROM (SELECT count(*) FILTER (phase IS NULL) AS new_waiting, count(*) FILTER (due <= 1705320000 AND phase <> 2) AS learning, count(*) FILTER (due <= 1705320000 AND phase = 2) AS review, count(*) AS total, min(due) FILTER (due > 1705320000) AS next_due FROM cards), used"))
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     past = a.reviews(spark, d).filter(F.floor(F.unix_micros(F.col("reviewed_at").cast("timestamp")) / 1_000_000) <= NOW)
-    words = a.table(spark, d, "customer").filter("c_custkey <= 400").select(F.col("c_custkey").alias("headword"))
+    words = a.table(spark, d, "customer").select(F.col("c_custkey").alias("headword"))
     return logs.queue_counts(srs.replay(past).select("headword", "phase", "due"), words, past, NOW)
 
 
@@ -262,9 +279,19 @@ def _as_long(df: DataFrame, *names: str) -> DataFrame:
 # --- text functions --------------------------------------------------------------------------------------------------
 
 
-@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query=r"SELECT doc_id, n, trim(regexp_replace(regexp_replace(regexp_replace(body, '\s*\([^()]*(19|20)\d\d[a-z]?[^()]*\)', '', 'g'), '\s*\[\d+([,–-]\s*\d+)*\]', '', 'g'), '\s+([.,;:])', '\1', 'g'), ' ') AS spoken FROM annotated"))
+_SAID = "said AS (SELECT doc_id, n, body || CASE WHEN n % 6 = 0 THEN ' At the Observatory⁴˒⁵, 0.15 rad² (equation).' ELSE '' END AS body FROM annotated)"
+_SPOKEN = r"spoken AS (SELECT doc_id, n, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '\s*\([^()]*\b(19|20)\d\d[a-z]?\b[^()]*\)', '', 'g'), '\s*\[\d+(\s*[,–-]\s*\d+)*\]', '', 'g'), '([A-Za-z]{4}|[.,;:)\]])[⁰¹²³⁴⁵⁶⁷⁸⁹]+([˒⁻,–-][⁰¹²³⁴⁵⁶⁷⁸⁹]+)*', '\1', 'g'), '\s+([.,;:])', '\1', 'g'), ' ') AS spoken FROM said)"
+
+
+def _spoken(spark: SparkSession, d: str) -> DataFrame:
+    """What is read aloud of the annotated lines, some with raised citations, an exponent and an equation added."""
+    said = F.concat("body", F.when(F.col("n") % 6 == 0, " At the Observatory⁴˒⁵, 0.15 rad² (equation).").otherwise(""))
+    return _as_long(a.annotated(spark, d).select("doc_id", "n", text.speech(said).alias("spoken")), "n")
+
+
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, _SAID, _SPOKEN, query="SELECT doc_id, n, spoken FROM spoken"))
 def speech_text(spark: SparkSession, d: str) -> DataFrame:
-    return _as_long(a.annotated(spark, d).select("doc_id", "n", text.speech(F.col("body")).alias("spoken")), "n")
+    return _spoken(spark, d)
 
 
 @query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query="SELECT doc_id, n, CASE WHEN n % 5 = 0 THEN 'figure:' || (n % 9 + 1) ELSE 'table:' || (n % 4 + 1) END AS key FROM annotated WHERE n % 5 < 2"))
@@ -320,28 +347,26 @@ def blank_selection(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(w.withColumn("place", place).withColumn("size", n).filter(F.col("place") <= F.greatest(F.lit(1), F.floor(0.2 * F.col("size")))).select("doc_id", "pos", "token"), "pos")
 
 
-@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query=r"SELECT doc_id, sum(len(regexp_extract_all(body, '\[\d+\]'))) AS citations, sum(len(regexp_extract_all(body, '[A-Z][A-Z0-9]{1,6}'))) AS capitals, sum(len(regexp_extract_all(body, '[%&*$#|]'))) AS symbols FROM annotated GROUP BY 1"))
-def speech_risk_counts(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda p: F.sum(F.size(F.regexp_extract_all("body", F.lit(p), F.lit(0))))
-    return a.annotated(spark, d).groupBy("doc_id").agg(n(r"\[\d+\]").alias("citations"), n("[A-Z][A-Z0-9]{1,6}").alias("capitals"), n("[%&*$#|]").alias("symbols"))
+_KNOWN = ["AO", "DM", "USA"]
+_HITS = r"""w AS (SELECT doc_id, n, unnest(regexp_extract_all(spoken, '[A-Za-z0-9_À-ÿ]+')) AS x FROM spoken),
+hits AS (SELECT doc_id, 'equation' AS risk, '(equation)' AS x, n FROM (SELECT doc_id, n, unnest(regexp_extract_all(spoken, '\(equation\)')) FROM spoken)
+  UNION ALL SELECT doc_id, 'symbol', unnest(regexp_extract_all(spoken, '[_^=<>≈~√∑∫∂/\\|²³⁰¹⁴⁵⁶⁷⁸⁹⁻⁺₀₁₂₃₄₅₆₇₈₉]')), n FROM spoken
+  UNION ALL SELECT doc_id, 'mixed', x, n FROM w WHERE regexp_matches(x, '^[A-Za-z0-9]+$') AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') AND NOT regexp_matches(x, '^[0-9]+s$')
+  UNION ALL SELECT doc_id, 'acronym', x, n FROM w WHERE regexp_matches(x, '^[A-Z][A-Z0-9]{1,6}s?$') AND x NOT IN ('AO', 'DM', 'USA'))"""
 
 
-# --- quality and artefacts -------------------------------------------------------------------------------------------
-
-
-_RULES = r"""c AS (SELECT doc_id, count(*) FILTER (length(line) > 450) AS a, count(*) FILTER (length(line) < 15) AS b, count(*) FILTER (regexp_matches(line, '[A-Za-z]{25}')) AS c, count(*) FILTER (regexp_matches(line, '[ðÞ\x{FFFD}\x{0700}-\x{0DFF}]')) AS d, count(*) FILTER (regexp_matches(line, '[\x{E000}-\x{F8FF}]')) AS e, count(*) AS f FROM lines WHERE trim(line, ' ') <> '' GROUP BY 1),
-issues AS (SELECT doc_id, 'minor' AS level, 'long_sentences' AS code, a AS n FROM c WHERE a >= 3 UNION ALL SELECT doc_id, 'minor', 'short_sentences', b FROM c WHERE b >= 5 UNION ALL SELECT doc_id, 'minor', 'glued', c FROM c WHERE c >= 1 UNION ALL SELECT doc_id, 'major', 'pua', e FROM c WHERE e >= 1
-  UNION ALL SELECT doc_id, CASE WHEN d >= 3 THEN 'major' ELSE 'minor' END, 'garbled', d FROM c WHERE d > 0 UNION ALL SELECT doc_id, 'minor', 'long_section', f FROM c WHERE f > 70)"""
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, _SAID, _SPOKEN, _HITS, query="SELECT doc_id, risk, count(*) AS n FROM hits GROUP BY 1, 2"))
+def speech_risk_counts(spark: SparkSession, d: str) -> DataFrame:
+    return quality.speech_risks(_spoken(spark, d), _KNOWN).groupBy("doc_id", "risk").agg(F.count("*").alias("n"))
 
 
-@query(v.sql(v.PAPERS, v.LINES, _RULES, query="SELECT doc_id, level, code, n FROM issues"))
-def quality_rules(spark: SparkSession, d: str) -> DataFrame:
-    return quality.line_rules(a.lines(spark, d))
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, _SAID, _SPOKEN, _HITS, query="SELECT doc_id, risk, x AS example, min(n) AS first_n FROM hits GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY doc_id, risk ORDER BY min(n), x) <= 12"))
+def speech_risk_examples(spark: SparkSession, d: str) -> DataFrame:
+    firsts = quality.speech_risks(_spoken(spark, d), _KNOWN).groupBy("doc_id", "risk", "example").agg(F.min("n").alias("first_n"))
+    return firsts.withColumn("r", F.row_number().over(a.over("doc_id", "risk", order=[F.col("first_n"), F.col("example")]))).filter("r <= 12").drop("r")
 
 
-@query(v.sql(v.PAPERS, v.LINES, _RULES, query="SELECT doc_id, major, minor, major > 0 OR minor >= 5 AS recommend FROM (SELECT doc_id, count(*) FILTER (level = 'major') AS major, count(*) FILTER (level = 'minor') AS minor FROM issues GROUP BY 1)"))
-def quality_summary(spark: SparkSession, d: str) -> DataFrame:
-    return quality.summary(quality.line_rules(a.lines(spark, d)))
+# --- quality and artefacts -------------------------------------------------------------------------------------------
 
 
 @query(v.sql(v.PAPERS, v.TOKENS, "t AS (SELECT DISTINCT doc_id, lower(token) AS key FROM tokens WHERE pos % 2 = 0)", "f AS (SELECT DISTINCT doc_id, lower(token) AS key FROM tokens WHERE pos % 3 = 0)",

@@ -49,28 +49,6 @@ def practice_eligible(spark: SparkSession, d: str) -> DataFrame:
     return a.lines(spark, d).filter(F.size(F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0))) >= 4).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT length(text) AS size, sha256(text) AS sha, min(doc_id) AS oldest, count(*) AS files FROM documents WHERE text IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
-def file_match(spark: SparkSession, d: str) -> DataFrame:
-    docs = a.table(spark, d, "documents").filter("text is not null")
-    return docs.groupBy(F.length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("oldest"), F.count("*").alias("files")).filter("files > 1")
-
-
-@query(v.sql(v.PAPERS, v.TOKENS, "p AS (SELECT doc_id, pos, lower(token) AS x, lower(lead(token) OVER (PARTITION BY doc_id ORDER BY pos)) AS y FROM tokens)", "voc AS (SELECT doc_id, lower(token) AS w, count(*) AS n FROM tokens GROUP BY 1, 2)",
-    query="SELECT p.doc_id, p.pos, x, y FROM p JOIN voc j ON j.doc_id = p.doc_id AND j.w = x || substr(y, 2) WHERE length(x) >= 2 AND length(y) >= 2 AND substr(x, -1) = substr(y, 1, 1) AND j.n >= 2"))
-def doubled_words(spark: SparkSession, d: str) -> DataFrame:
-    t = a.tokens(spark, d)
-    p = t.select("doc_id", "pos", F.lower("token").alias("x"), F.lower(F.lead("token").over(a.over("doc_id", order=[F.col("pos")]))).alias("y"))
-    p = p.filter((F.length("x") >= 2) & (F.length("y") >= 2) & (F.substring("x", -1, 1) == F.substring("y", 1, 1))).withColumn("w", F.concat("x", F.expr("substring(y, 2)")))
-    voc = t.groupBy("doc_id", F.lower("token").alias("w")).agg(F.count("*").alias("n")).filter("n >= 2")
-    return _as_long(p.join(voc, ["doc_id", "w"]).select("doc_id", "pos", "x", "y"), "pos")
-
-
-@query("SELECT c.conv_id, coalesce(max(CASE WHEN turn = 3 AND role = 'user' THEN turn END), max(CASE WHEN turn = 2 THEN turn END), 0) AS resume_at FROM conversations c GROUP BY 1")
-def resume_position(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("turn")
-    return a.table(spark, d, "conversations").groupBy("conv_id").agg(F.coalesce(F.max(F.when((t == 3) & (F.col("role") == "user"), t)), F.max(F.when(t == 2, t)), F.lit(0)).alias("resume_at"))
-
-
 @query(v.sql(v.REVIEWS, query="SELECT headword, count(*) AS n, max(c) / sum(c) > 0.6 AND sum(c) >= 6 AS skewed FROM (SELECT headword, rating, count(*) AS c FROM reviews GROUP BY 1, 2) GROUP BY 1"))
 def answer_position_skew(spark: SparkSession, d: str) -> DataFrame:
     c = a.reviews(spark, d).groupBy("headword", "rating").agg(F.count("*").alias("c"))

@@ -11,6 +11,9 @@ ANNOTATED = """annotated AS (SELECT *, CASE WHEN section % 2 = 0 THEN CAST(top A
   line || CASE WHEN n % 2 = 0 THEN ' [' || n || ']' ELSE ' (Smith et al., ' || (2000 + n % 20) || ')' END
     || CASE WHEN n % 5 = 0 THEN ' as in Fig. ' || (n % 9 + 1) || '.' WHEN n % 5 = 1 THEN ' see Table ' || (n % 4 + 1) || '.' ELSE '' END AS body
   FROM (SELECT doc_id, n, line, (n - 1) % 3 = 0 AS opens, (n - 1) // 3 AS section, ((n - 1) // 3) // 2 + 1 + CASE WHEN doc_id % 7 = 0 AND (n - 1) // 3 >= 4 THEN 1 ELSE 0 END AS top FROM lines))"""
+SECTIONS = """rows3 AS (SELECT *, section + 1 AS sec FROM annotated),
+sections AS (SELECT doc_id, sec AS n, level, number, CASE WHEN sec = 1 AND doc_id % 2 = 0 THEN 'front' WHEN sec > 12 THEN 'back' ELSE 'body' END AS kind, CASE WHEN sec = 4 AND doc_id % 5 = 0 THEN 'Abstract' ELSE number || ' ' || substr(line, 1, 40) END AS title FROM rows3 WHERE opens),
+sentences AS (SELECT doc_id, sec AS section, (n - 1) % 3 AS k, body AS text FROM rows3 WHERE NOT opens)"""
 TOKENS = f"""tokens AS (SELECT doc_id, pos - 1 AS pos, words[pos] AS token FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS words FROM papers)))"""
 DICTIONARY = f"""dictionary AS (SELECT DISTINCT lower(w) AS lower FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS w FROM benchmark))"""
 REVIEWS = """reviews AS (SELECT event_id AS uid, user_id AS headword, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 3 ELSE 4 END AS rating, ts AS reviewed_at, event_id % 2 AS device FROM events)"""

@@ -67,6 +67,18 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def outlined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sections, sentences): sections (doc_id, n, level, number, kind, title) of `annotated`, and the lines between them as
+    sentences (doc_id, section, k, text). Synthetic: the first section of even documents is an abstract, sections from the
+    twelfth on are back matter, and the fourth of documents divisible by 5 is titled Abstract, too late."""
+    k = F.floor((F.col("n") - 1) / 3).cast("long")
+    rows = annotated(spark, sf_dir).select("doc_id", "n", "opens", "level", "number", "line", "body", (k + 1).alias("section"))
+    kind = F.when((F.col("section") == 1) & (F.col("doc_id") % 2 == 0), "front").when(F.col("section") > 12, "back").otherwise("body")
+    title = F.when((F.col("section") == 4) & (F.col("doc_id") % 5 == 0), "Abstract").otherwise(F.concat(F.col("number"), F.lit(" "), F.substring("line", 1, 40)))
+    sections = rows.filter("opens").select("doc_id", F.col("section").alias("n"), "level", "number", kind.alias("kind"), title.alias("title"))
+    return sections, rows.filter("not opens").select("doc_id", "section", ((F.col("n") - 1) % 3).cast("long").alias("k"), F.col("body").alias("text"))
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(uid, headword, rating, reviewed_at, device): the events as answers; error 1, view 2, click 3, others 4."""
     rating = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "view", 2).when(F.col("event_type").isin("click", "purchase"), 3).otherwise(4)

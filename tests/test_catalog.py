@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from scholia.plans import more  # noqa: F401  registers its queries
+from scholia.plans import more, papers  # noqa: F401  register their queries
 from scholia.plans.catalog import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,6 +27,7 @@ def test_query(spark, sf, name):
     assert len(got) or name in MAY_BE_EMPTY
     if name in ORACLES:
         c = duckdb.connect()
+        c.execute("set max_temp_directory_size = '1GB'")
         for t in TABLES:
             c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
         want = c.sql(ORACLES[name]).df()

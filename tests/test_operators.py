@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholia.functions import align, srs, text
-from scholia.operators import folders, logs, outline, quality, terms
+from scholia.operators import folders, logs, outline, papers, quality, terms
 from scholia.sources import files
 
 
@@ -30,7 +30,7 @@ def test_figure_keys(spark, said, keys):
     assert one(spark, text.figure_keys(F.col("t")), t=said) == keys
 
 
-@pytest.mark.parametrize(("typed", "grade"), [("actuators", "exact"), ("Actuator", "form"), ("actuater", "near"), ("mirror", "wrong"), ("", "wrong")])
+@pytest.mark.parametrize(("typed", "grade"), [("actuators", "exact"), ("Actuator", "form"), ("actuater", "near"), ("mirror", "wrong"), ("", "wrong"), ("stopped", "wrong")])
 def test_cloze(spark, typed, grade):
     assert one(spark, text.cloze_grade(F.col("t"), F.lit("actuators"), F.lit("actuator")), t=typed) == grade
 
@@ -47,7 +47,8 @@ def test_lookup(spark):
     assert got["Mirror,"] == ("mirror", "exact")
     assert got["flown"] == ("flown", "exact")
     assert got["satellite's"] == ("satellite", "exact")
-    assert {w: got[w][0] for w in ("satellites", "measured", "running", "studies", "deformable")} == {"satellites": "satellite", "measured": "measure", "running": "run", "studies": "study", "deformable": "deform"}
+    assert {w: got[w] for w in ("satellites", "measured", "running", "studies")} == {w: (h, "base") for w, h in {"satellites": "satellite", "measured": "measure", "running": "run", "studies": "study"}.items()}
+    assert {w: got[w] for w in ("deformable", "actuators")} == {"deformable": ("deform", "near"), "actuators": ("actuate", "near")}
     assert got["tip-mirror"] == ("mirror", "part")
     assert "wavefront" not in got
     assert "12" not in got
@@ -165,11 +166,87 @@ def test_folders(spark):
     assert row.select(folders.move(f, "b", -1), folders.move(f, "b", 1), folders.add(f, "c")).first()[:] == (["b", "a"], ["a", "b"], ["a", "b", "c"])
 
 
+def issues_of(spark, sections, sentences, cited=()):
+    sec = spark.createDataFrame(sections, "doc_id long, n long, kind string, title string, number string")
+    sent = spark.createDataFrame(sentences, "doc_id long, section long, k long, text string")
+    figures = spark.createDataFrame([(1, "figure:1", "figure"), (2, None, "image")], "doc_id long, key string, kind string")
+    texts = sec.select("doc_id", (F.col("n") * 1000).alias("id"), F.col("title").alias("text")).union(sent.select("doc_id", F.col("section") * 1000 + F.col("k"), "text"))
+    doubles = quality.doubled(texts).withColumn("section", F.floor(F.col("id") / 1000)).withColumn("heading", F.col("id") % 1000 == 0)
+    gaps = outline.numbering_gaps(sec.filter("kind = 'body' and number is not null").select("doc_id", "n", "number"))
+    return quality.inspect(sec, sent, figures, gaps, doubles, spark.createDataFrame(list(cited), "doc_id long, key string"))
+
+
 def test_quality(spark):
-    lines = spark.createDataFrame([(1, "x" * 30), (1, " odd"), (1, "short")] + [(2, "A plain sentence that is fine.")], "doc_id int, line string")
-    got = {(r.doc_id, r.code) for r in quality.line_rules(lines).collect()}
-    assert got == {(1, "glued"), (1, "pua")}
-    assert [tuple(r) for r in quality.summary(quality.line_rules(lines)).collect()] == [(1, 1, 1, True)]
+    bad = [(1, 1, "front", "Abstract", None), (1, 2, "body", "1 Start", "1"), (1, 3, "body", "3 Actua ator", "3"), (1, 4, "front", "Abstract again", None)]
+    said = [(1, 1, 1, "Opt. Soc. Proc. Phys. stand here."), (1, 2, 1, "An actuator has a private sign \uf06d and ð here."), (1, 3, 1, "x" * 30 + " glued words stand here.")]
+    said += [(1, 2, k, "w " * 230) for k in range(2, 5)] + [(1, 2, k, "Short.") for k in range(5, 10)] + [(1, 2, k, f"A plain sentence, number {k}.") for k in range(10, 125)]
+    good = [(2, 1, "front", "Abstract", None), (2, 2, "body", "1 Start", "1"), (2, 3, "body", "2 End", "2")]
+    fine = [(2, 1, 1, "It sums the work up."), (2, 2, 1, "A plain sentence that is fine."), (2, 3, 1, "Another one of that kind.")]
+    found = issues_of(spark, bad + good, said + fine, [(1, "figure:2")])
+    got = {(r.doc_id, r.level, r.code) for r in found.collect()}
+    major, minor = ("abstract_order", "numbering", "few_sections", "doubled_heading", "pua", "abstract_refs"), ("long_section", "garbled", "long_sentences", "short_sentences", "glued", "missing_figures")
+    assert got == {(1, "major", c) for c in major} | {(1, "minor", c) for c in minor} | {(2, "minor", "unlabeled_images")}
+    assert sorted(tuple(r) for r in quality.summary(found).collect()) == [(1, 6, 6, True), (2, 0, 1, False)]
+    assert quality.top_issues(found).filter("doc_id = 1").count() == 8
+    assert {r.code for r in issues_of(spark, good, []).filter("doc_id = 2").collect()} == {"no_abstract", "unlabeled_images"}
+    assert issues_of(spark, [], []).filter("doc_id = 1").count() == 0
+
+
+def test_quiz(spark):
+    kind = "doc_id int, question int, chapter string, q string, choices array<string>, answer int, explain string, evidence array<string>"
+    quiz = spark.createDataFrame([(1, 1, "A", "Why?", ["a", "b", "c", "d"], 0, "x", ["Seen."]), (1, 2, "B", " ", ["a", "b", "c"], 4, None, None), (1, 3, "A", "What?", ["a", "b", "c", "d"], 1, "x", ["Not there."])], kind)
+    titles, texts = spark.createDataFrame([(1, "A")], "doc_id int, title string"), spark.createDataFrame([(1, "Seen.")], "doc_id int, text string")
+    got = {tuple(r)[1:] for r in quality.quiz_issues(quiz, titles, texts).collect()}
+    assert got == {(2, "error", "question"), (2, "error", "choices"), (2, "error", "answer"), (2, "error", "chapter"), (2, "warning", "explain"), (2, "warning", "evidence"), (3, "warning", "evidence_unknown")}
+
+
+def test_speech_risks(spark):
+    said = spark.createDataFrame([(1, 1, "The M4 in (equation) has rad² for ADS and AO in the 1990s.")], "doc_id int, n int, spoken string")
+    assert {(r.risk, r.example) for r in quality.speech_risks(said, ["AO"]).collect()} == {("mixed", "M4"), ("equation", "(equation)"), ("symbol", "²"), ("acronym", "M4"), ("acronym", "ADS")}
+
+
+@pytest.mark.parametrize(("raw", "want"), [("seen (Smith et al., 2020; Lee 2019a) [3, 4] .", "seen."), ("the Observatory⁴˒⁵, of 0.15 rad²", "the Observatory, of 0.15 rad²"), ("tests⁴ and (not a cite)", "tests and (not a cite)")])
+def test_speech(spark, raw, want):
+    assert one(spark, text.speech(F.col("t")), t=raw) == want
+
+
+def test_text_functions(spark):
+    assert one(spark, text.clean(F.col("t")), t="5 \uf06dm \u0711\u0712x") == "5 μm x"
+    assert one(spark, align.nfkc_udf("t"), t="ﬁeld ｘ m²") == "field x m²"
+    assert [one(spark, text.title(F.lit(None), F.col("t")), t=x) for x in ("\n A  title \nmore", "Ends here.\nx", "", "a b c d e f g h i j k l m")] == ["A title", "Ends here. x", "Untitled", "a b c d e f g h"]
+    assert [one(spark, text.section_level(F.col("t")), t=x) for x in ("", "2", "2.1", "2.1.3.4")] == [1, 1, 2, 3]
+    assert [one(spark, text.is_back_matter(F.col("t")), t=x) for x in ("References", "Acknowledgments", "Referencess", "Results")] == [True, True, False, False]
+    assert [one(spark, text.page_heading(F.col("t"), F.lit(size), F.lit(bold), F.lit(10.0)), t=x) for x, size, bold in (("Big", 11.0, True), ("Big", 11.0, False), ("2. Results", 9.0, True), ("plain words", 9.5, True))] == [True, False, True, False]
+    assert [one(spark, text.slug(F.col("t")), t=x) for x in ("2.1 A/B test!", "日本", "x" * 70)] == ["2-1-A-B-test", "section", "x" * 60]
+    assert one(spark, text.scrub(F.col("t")), t="at /home/ann/x and /Users/bo/y") == "at /home/~/x and /Users/~/y"
+    assert [one(spark, text.clock(F.col("t")), t=x) for x in (5, 65, 3600, 3725)] == ["0:05", "1:05", "1:00:00", "1:02:05"]
+    assert one(spark, text.apply_rules(F.col("t"), [("DM", "mirror", True), ("DMs", "mirrors", False), ("x", "$1", True)]), t="The DM and dms, a DM-x, dm, x.") == "The mirror and mirrors, a DM-x, dm, $1."
+
+
+def test_cloze_parts(spark):
+    rows = spark.createDataFrame([("The actuators move.", "actuator", None), ("It was deformed.", "deform", "was"), ("A c++ (x) here", "c++", None), ("Studies go on.", "study", None), ("None", "zz", None), ("a" * 5 + " w" * 60 + " mirror", "mirror", None)], "s string, h string, q string")
+    got = [r.p for r in rows.select(text.cloze_parts(F.col("s"), F.col("h"), F.col("q")).alias("p")).collect()]
+    assert [p and p.answer for p in got] == ["actuators", "was", "c++", "Studies", None, "mirror"]
+    assert got[0][:] == ("The ", "actuators", " move.")
+    long = rows.filter("h = 'mirror'").select(text.cloze_context(text.cloze_parts(F.col("s"), F.col("h"), F.col("q"))).alias("c")).first().c
+    assert long.before.startswith("… w w")
+    assert len(long.before) <= 92
+
+
+def test_papers(spark):
+    page = spark.createDataFrame([(1, 1, "# Top", 1), (1, 2, "A print-through is a de-", None), (1, 3, "formable thing; the print-", None), (1, 4, "through of G-", None), (1, 5, "release.", None), (1, 6, "", None), (1, 7, "Next.", None)], "doc_id int, n int, line string, level int")
+    assert [r.text for r in papers.pasted_paragraphs(page).orderBy("section", "paragraph").collect()] == ["A print-through is a deformable thing; the print-through of G-release.", "Next."]
+    sections = spark.createDataFrame([(1, i, f"H{i}") for i in range(1, 4)], "doc_id int, n int, title string")
+    sentences = spark.createDataFrame([(1, i, 1, f"s{i}") for i in range(1, 4)], "doc_id int, section int, k int, text string")
+    rows, left = papers.merge_section(sentences, sections, F.col("n").isin(1, 2))
+    assert [(r.section, r.k, r.text) for r in rows.orderBy("section", "k").collect()] == [(1, 1, "s1"), (1, 2, "H2"), (1, 3, "s2"), (2, 1, "s3")]
+    assert [(r.n, r.title) for r in left.orderBy("n").collect()] == [(1, "H1"), (2, "H3")]
+    placed = papers.ranked(spark.range(1000).withColumn("x", F.col("id") % 7), F.desc("x"), F.col("id")).collect()
+    assert {r.id: r.place for r in placed} == {i: p for p, i in enumerate(sorted(range(1000), key=lambda i: (-(i % 7), i)), 1)}
+    lookups = spark.createDataFrame([("u", 1, "s1"), ("w", 1, None), ("x", 2, "s1")], "uid string, doc_id int, sentence string")
+    twice = sentences.union(sentences).withColumn("spoken", F.col("text"))
+    found = papers.with_examples(lookups, twice, spark.createDataFrame([(1, 1, 1, "t")], "doc_id int, section int, k int, translated string")).collect()
+    assert sorted((r.uid, r.audio_ref, r.translated) for r in found) == [("u", "1/1_1", "t"), ("w", None, None), ("x", None, None)]
 
 
 def test_files(spark, tmp_path):
