@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions.text import derived, inflected, normalise, term_key
 from scholia.sources.adapters import STOP
+from scholia.sources.stored import stored
 
 TOP_WORDS, TOP_ACRONYMS, TOP_PHRASES = 40, 25, 25
 ACRONYM = "^[A-Z][A-Z0-9]{1,6}$"
@@ -39,9 +40,8 @@ def singulars(counts: DataFrame) -> DataFrame:
     return asked.join(known, ["doc_id", "form"]).groupBy("doc_id", "word").agg(F.min_by("form", "pos").alias("one"))
 
 
-def folded_words(tokens: DataFrame) -> DataFrame:
+def folded_words(counts: DataFrame) -> DataFrame:
     """`word_counts` with plurals counted as their singular."""
-    counts = word_counts(tokens)
     rows = counts.join(singulars(counts), ["doc_id", "word"], "left").withColumn("word", F.coalesce("one", "word"))
     return rows.groupBy("doc_id", "word").agg(F.sum("n").alias("n"), F.sum("lower_n").alias("lower_n"), F.min("first_pos").alias("first_pos"))
 
@@ -53,17 +53,19 @@ def found_surely(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return forms.join(small(dictionary), "lower", "left_semi").select("word").distinct()
 
 
-def technical_words(tokens: DataFrame, dictionary: DataFrame, stop: list[str] = STOP) -> DataFrame:
-    """Words of each document that are no stop words, stand somewhere in lower case, and that the dictionary lacks or knows
+def technical_words(counts: DataFrame, dictionary: DataFrame, stop: list[str] = STOP) -> DataFrame:
+    """Of `word_counts`, words of each document that are no stop words, stand somewhere in lower case, and that the dictionary lacks or knows
     by a derivation or part only: seen three times up to five letters, else twice."""
-    kept = folded_words(tokens).filter((F.length("word") >= 4) & (F.col("n") >= F.when(F.length("word") <= 5, 3).otherwise(2)) & (F.col("lower_n") > 0) & ~F.col("word").isin(stop))
+    kept = folded_words(counts).filter((F.length("word") >= 4) & (F.col("n") >= F.when(F.length("word") <= 5, 3).otherwise(2)) & (F.col("lower_n") > 0) & ~F.col("word").isin(stop))
     return kept.join(found_surely(kept, dictionary), "word", "left_anti").select("doc_id", "word", "n", "first_pos")
 
 
 def glossary_words(tokens: DataFrame, dictionary: DataFrame, top: int = TOP_WORDS) -> DataFrame:
-    """The most frequent technical words of each document. Ties go by first appearance."""
+    """The most frequent technical words of each document. Ties go by first appearance. Counts are stored once: they are
+    joined with themselves, and reading them again is cheaper than reading the texts again."""
+    counts = stored(word_counts(tokens))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first_pos", "word"))
-    return technical_words(tokens, dictionary).withColumn("rank", rank).filter(F.col("rank") <= top).select("doc_id", "rank", "word", "n")
+    return technical_words(counts, dictionary).withColumn("rank", rank).filter(F.col("rank") <= top).select("doc_id", "rank", "word", "n")
 
 
 def acronyms(tokens: DataFrame, top: int = TOP_ACRONYMS) -> DataFrame:
@@ -79,6 +81,7 @@ def phrases(papers: DataFrame, token: str, tokens: DataFrame, dictionary: DataFr
     the document has it; seen four times, or three with a technical word among them; no unit first; a pair within a triple
     of the same count goes. N-grams are made from a document's own array of tokens: no window over its words."""
     words = papers.select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(token), 0), F.lower).alias("w"))
+    known = stored(word_counts(tokens))
     triples = words.select("doc_id", F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"), F.slice("w", 3, F.greatest(F.size("w"), F.lit(1))).alias("c")).alias("z"))
     triples = triples.select("doc_id", F.explode("z").alias("z")).select("doc_id", "z.*").toDF("doc_id", "a", "b", "c")
 
@@ -88,11 +91,11 @@ def phrases(papers: DataFrame, token: str, tokens: DataFrame, dictionary: DataFr
     both = F.when(good("a") & good("b"), F.array(F.array("a", "b"), F.when(good("c"), F.array("a", "b", "c"))))
     grams = triples.select("doc_id", F.explode(both).alias("g")).filter("g is not null").groupBy("doc_id", "g").agg(F.count("*").alias("n"))
     last = F.element_at("g", -1)
-    fold = singulars(word_counts(tokens)).withColumnRenamed("word", "last")
+    fold = singulars(known).withColumnRenamed("word", "last")
     named = grams.filter(~F.col("g")[0].isin(UNITS)).withColumn("last", last).join(fold, ["doc_id", "last"], "left")
     named = named.withColumn("phrase", F.array_join(F.concat(F.slice("g", 1, F.size("g") - 1), F.array(F.coalesce("one", "last"))), " "))
-    counts = named.groupBy("doc_id", "phrase").agg(F.sum("n").alias("n")).filter("n >= 3")
-    technical = technical_words(tokens, dictionary).select("doc_id", "word")
+    counts = stored(named.groupBy("doc_id", "phrase").agg(F.sum("n").alias("n")).filter("n >= 3"))
+    technical = technical_words(known, dictionary).select("doc_id", "word")
     rare = counts.filter("n = 3").select("doc_id", "phrase", F.explode(F.split("phrase", " ")).alias("word")).join(technical, ["doc_id", "word"], "left_semi").select("doc_id", "phrase", F.lit(True).alias("has")).distinct()
     kept = counts.join(rare, ["doc_id", "phrase"], "left").filter("n >= 4 or has")
     triple = F.size(F.split("phrase", " ")) == 3
