@@ -24,12 +24,13 @@ DIGITS, LEVELS = 2, 2
 
 
 def default_weights(leaves: DataFrame) -> DataFrame:
-    """The query's weights: domains by number, English threefold, sources by the length of their name. All whole numbers."""
+    """The query's weights: domains by number, English threefold, sources by the length of their name less 3, null and shorter
+    names 1. All whole numbers above zero."""
     return leaves.select(
         *LEAF,
         (F.coalesce(F.regexp_extract("domain", r"([0-9]+)$", 1).try_cast("int"), F.lit(0)) + 1).cast("long").alias("w1"),
         F.when(F.col("lang") == "en", 3).otherwise(1).cast("long").alias("w2"),
-        (F.length("source") - 3).cast("long").alias("w3"),
+        F.greatest(F.coalesce(F.length("source"), F.lit(0)) - 3, F.lit(1)).cast("long").alias("w3"),
     )
 
 
@@ -65,7 +66,7 @@ def budgets(totals: DataFrame, weights: DataFrame, budget: Column, epochs: int =
     gives its node nothing. A leaf without tokens gets nothing.
     """
     rows = totals.alias("t").join(weights.alias("x"), [F.col(f"t.{c}").eqNullSafe(F.col(f"x.{c}")) for c in LEAF], "left").select("t.*", "w1", "w2", "w3")
-    rows = rows.withColumn("usable", F.coalesce(F.least("w1", "w2", "w3") > 0, F.lit(False))).withColumn("cap3", F.when(F.col("usable"), F.col("tokens") * epochs).otherwise(0)).withColumn("got0", budget.cast("long"))
+    rows = rows.withColumn("usable", F.coalesce((F.col("w1") > 0) & (F.col("w2") > 0) & (F.col("w3") > 0), F.lit(False))).withColumn("cap3", F.when(F.col("usable"), F.col("tokens") * epochs).otherwise(0)).withColumn("got0", budget.cast("long"))
     live = rows.filter("cap3 > 0")
     level1 = live.groupBy("domain", "got0").agg(F.sum("cap3").alias("cap"), F.max("w1").alias("w1"))
     level1 = share(level1.withColumn("root", F.lit(0)), ["root"], "w1", "got0", "got1").select("domain", "got1")

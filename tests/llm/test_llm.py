@@ -355,6 +355,23 @@ def test_mixing(spark, docs):
             assert r.copies == whole + (upto <= part), (leaf, target[leaf])
 
 
+def test_mixing_null_and_short_sources(spark):
+    sizes = {None: 4000, "": 300, "c4": 500, "web": 700, "books": 1000, "encyclopedia": 2000}
+    totals = spark.createDataFrame([("d0", "en", s, n) for s, n in sizes.items()], "domain string, lang string, source string, tokens long")
+    weights = mixing.default_weights(totals)
+    budget = 4000
+    got = {r.source: r.target for r in mixing.budgets(totals, weights, F.lit(budget)).collect()}
+    nodes = [(max(len(s or "") - 3, 1), 2 * n) for s, n in sizes.items()]
+    assert got == dict(zip(sizes, slow_share(budget, nodes), strict=True))
+    assert all(got.values()) and sum(got.values()) <= budget
+    none = weights.withColumn("w3", F.when(F.col("source").isNotNull(), F.col("w3")))
+    got = {r.source: r.target for r in mixing.budgets(totals, none, F.lit(budget)).collect()}
+    assert got == dict(zip(sizes, [0, *slow_share(budget, nodes[1:])], strict=True))
+    rows = [(i, "a b c d e", "en", s) for i, s in enumerate([s for s in sizes for _ in range(40)])]
+    taken = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), F.lit("d0")).groupBy("source").agg(F.sum("copies").alias("n")).collect()
+    assert {r.source for r in taken if r.n} == set(sizes)
+
+
 # --- 9 -------------------------------------------------------------------------------------------------------------------
 
 
