@@ -37,7 +37,9 @@ GONE_WORDS = frozenset(
 HARD_WORDS = frozenset("comment comments commentlist respond disqus discussion replies reply sidebar related recommended ad ads advert".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_ATTR = re.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: What comes next inside a tag: its end, or an attribute with a double-quoted, single-quoted or unquoted value, a quoted
+#: value that nothing ends, or none. Possessive, so that every character is read once.
+_NEXT = re.compile(r"""[ \t\n\f\r/]*+(?:(>)|([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"([^"]*+)"|'([^']*+)'|(["'])|([^ \t\n\f\r>"'][^ \t\n\f\r>]*+)|(?=>)))?+)""")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _SPACE = re.compile(r"\s+")
 
@@ -50,6 +52,21 @@ class Node:
         self.gone, self.score, self.chars, self.linked, self.commas = False, 0.0, 0, 0, 0
 
 
+def _attributes(source: str, at: int) -> tuple[int, list[tuple[str, str]]]:
+    """Where the tag whose name ends at `at` has its >, or -1, and its attributes. A > inside a quoted value doesn't end the
+    tag, nor does a quote of the other kind or inside an unquoted value begin one. A quoted value that nothing ends is
+    taken as cut off by the next >."""
+    found = []
+    while m := _NEXT.match(source, at):
+        if m[1]:
+            return m.end() - 1, found
+        if m[5]:
+            return source.find(">", m.end()), found
+        found.append((m[2], m[3] or m[4] or m[6] or ""))
+        at = m.end()
+    return -1, found
+
+
 def parse(source: str) -> tuple[Node, list[Node]]:
     """The root of the element tree, and all elements, parents before children."""
     root = Node("html", {}, None)
@@ -91,14 +108,10 @@ def parse(source: str) -> tuple[Node, list[Node]]:
                 at = less + 1
             continue
         end = source.find(">", m.end())
-        for _ in range(16):  # a > inside a quoted value doesn't end the tag
-            inner = source[m.end() : end]
-            if end < 0 or inner.count('"') % 2 == 0 and (inner.count("'") % 2 == 0 or '"' in inner):
-                break
-            further = source.find(">", end + 1)
-            if further < 0:
-                break
-            end = further
+        inner = source[m.end() : size if end < 0 else end]
+        found: list[tuple[str, str]] = []
+        if "=" in inner or "hidden" in inner:
+            end, found = _attributes(source, m.end())
         end = size if end < 0 else end
         tag, inner, at = m[1].lower(), source[m.end() : end], end + 1
         if source[less + 1] == "/":
@@ -114,7 +127,7 @@ def parse(source: str) -> tuple[Node, list[Node]]:
             pop_to(i)
         if tag in ENDS and any(open_tags.get(x) for x in ENDS[tag][0]) and (i := depth_of(*ENDS[tag])) is not None:
             pop_to(i)
-        attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(inner)} if "=" in inner or "hidden" in inner else {}
+        attrs = {k.lower(): html.unescape(v) for k, v in found}
         node = Node(tag, attrs, stack[-1])
         stack[-1].kids.append(node)
         nodes.append(node)

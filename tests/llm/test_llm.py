@@ -149,6 +149,20 @@ def test_main_text():
     assert html.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_tag_ends():
+    around = lambda tag: html.main_text(f"<article><p>Before it, text.</p>{tag}<p>After it, text.</p></article>")
+    plain = "Before it, text.\nAfter it, text."
+    for n in (1, 16, 17, 400):
+        for quote in "\"'":
+            assert around(f"<div data-x={quote}{'<b>x</b>' * n}{quote}></div>") == plain
+            assert around(f"</i x={quote}{'<b>x</b>' * n}{quote}>") == plain
+    for tag in ("<img alt='24\" screen'>", '<img alt="it\'s">', "<img alt=it's>", "<img alt=24\">", "<img alt='\">\"'>", "<br 'x>", '<img alt="a"">', "<img alt=>", "<img alt = 'a>b' id=\"c>d'\"/>", "<img alt='no end>", '<img alt="no end>'):
+        assert around(tag) == plain, tag
+    assert html.parse("<a b=\"c>'d\" e='f\"' G=h'i/ j k = l>m")[1][1].attrs == {"b": "c>'d", "e": 'f"', "g": "h'i/", "j": "", "k": "l"}
+    for tag in ("<a b='", '<a b="', "<a b=", "<a b='>", "<a b=x "):  # linear: these would take hours otherwise
+        html.parse(tag * 20000)
+
+
 # --- 3 -------------------------------------------------------------------------------------------------------------------
 
 
