@@ -101,8 +101,8 @@ class Shard:
         self.most = self.dense.reshape(len(frequent), size // BLOCK, BLOCK).max(2)
 
     def search(self, q: dict[str, np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query of the block: its id, the documents that are among its best k here (with all that tie with the
-        last), and their scores."""
+        """For each query of the block: its id, the documents with an id that are among its best k here (with all that tie
+        with the last), and their scores."""
         at = np.searchsorted(self.terms, q["terms"])
         at[at == len(self.terms)] = 0
         here = self.terms[at] == q["terms"] if len(self.terms) else np.zeros(len(at), bool)
@@ -119,6 +119,7 @@ class Shard:
             where = np.repeat(self.starts[rare] - np.cumsum(n) + n, n) + np.arange(n.sum())
             own = np.bincount(self.doc[where], np.repeat(q["weights"][mine], n) * self.part[where], self.n)
             upper = (own + np.repeat(bounds[i], BLOCK)[: self.n]) * (1 + 1e-9)
+            upper[self.null] = 0  # these can't be found, so they mustn't raise the threshold
             use = np.flatnonzero(heavy[i])
             weights = heavy[i, use]
             live = np.flatnonzero(upper > 0)
@@ -174,8 +175,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
             shard[:] = [block, Shard(block, mean)]
         s, out = shard[1], ([], [], [])
         for query, live, own in s.search(q, k):
-            ids, null, own = s.ids[live], s.null[live], np.round(own, 6)
-            order = [j for j in np.lexsort((ids, -own)) if not null[j]][:k]
+            ids, own = s.ids[live], np.round(own, 6)
+            order = np.lexsort((ids, -own))[:k]
             out[0].append(np.full(len(order), query))
             out[1].append(ids[order])
             out[2].append(own[order])

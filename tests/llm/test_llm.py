@@ -276,6 +276,23 @@ def test_search(spark, docs):
         assert {x[1] for x in found} == {i for i, _ in want} or want[-1][1] == pytest.approx(want[-2][1], abs=3e-6)
 
 
+@pytest.mark.parametrize("copies", [15, 200])
+def test_search_passes_over_rows_without_id(spark, copies):
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    rows = [(i, " ".join([*words[: 1 + i % 12], *["other"] * (i // 12)])) for i in range(100, 160)]
+    asked = spark.createDataFrame([(100, " ".join(words))], "doc_id long, text string")
+    table = spark.createDataFrame([*rows, *[(None, " ".join(words))] * copies], "doc_id long, text string").coalesce(1)
+    counts = [(i, collections.Counter(t.split())) for i, t in rows] + [(None, collections.Counter(words))] * copies
+    mean, n = sum(c.total() for _, c in counts) / len(counts), len(counts)
+    df = collections.Counter(w for _, c in counts for w in c)
+    idf = {w: math.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) for w in words}
+    bm25 = lambda c: sum(idf[w] * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w in words if c[w])
+    best = sorted(((-round(bm25(c), 6), i) for i, c in counts if i is not None))[:10]
+    got = sorted(search.search(table, asked).collect(), key=lambda r: r["rank"])
+    assert [r.doc_id for r in got] == [i for _, i in best]
+    assert [-r.score for r in got] == pytest.approx([s for s, _ in best], abs=2e-6)
+
+
 # --- 7 -------------------------------------------------------------------------------------------------------------------
 
 
