@@ -111,9 +111,13 @@ def frames(content: bytes) -> Iterator[bytes]:
             raise WarcError("not a frame")
         end = _frame_end(data, at)
         try:
-            yield z.decompress(data[at:end])
+            d = z.decompressobj()  # a frame's header needn't give the size of its content
+            record = d.decompress(data[at:end])
         except zstandard.ZstdError as e:
             raise WarcError(str(e)) from None
+        if not d.eof:
+            raise WarcError("an archive ends inside a frame")
+        yield record
         at = end
 
 

@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -441,6 +442,29 @@ def test_warc_archives(spark, tmp_path):
     assert base64.b32decode(warc.parse(good)["fields"]["warc-payload-digest"][7:]).hex() == hashlib.sha256(payloads[0]).hexdigest()
 
 
+@pytest.mark.parametrize("with_dictionary", [False, True])
+def test_warc_frames_without_size(spark, tmp_path, with_dictionary):
+    rng = np.random.default_rng(9)
+    payloads = [b"", b"x", *(bytes(rng.integers(97, 105, 3000, np.uint8)) for _ in range(60)), b"long " * 200_000]
+    records = [warc.make_record(i, "http://x/", p, None) for i, p in enumerate(payloads)]
+    dictionary = warc.train(payloads * 4) if with_dictionary else b""
+    assert bool(dictionary) == with_dictionary
+    known = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+    content = warc.pack([], dictionary)
+    for r in records:
+        z = zstandard.ZstdCompressor(write_checksum=True, **known).compressobj()
+        frame = b"".join([z.compress(r[:100]), z.compress(r[100:]), z.flush()])
+        assert zstandard.get_frame_parameters(frame).content_size == zstandard.CONTENTSIZE_UNKNOWN
+        content += frame
+    assert list(warc.frames(content)) == records
+    for broken in (content[:-3], content[:-2] + bytes([content[-2] ^ 1]) + content[-1:]):
+        with pytest.raises(warc.WarcError):
+            list(warc.frames(broken))
+    (tmp_path / "a.warc.zst").write_bytes(content)
+    back = warc.read_archives(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert [bytes(r.payload) for r in back] == payloads
+
+
 def test_revisits(spark):
     same = "y" * 100
     pages = spark.createDataFrame([(3, "u", same), (1, "u", same), (2, "u", same[:-1]), (4, "u", same[:-1]), (5, "u", None)], "page_id long, url string, html string")
