@@ -2,8 +2,8 @@
 sources are mixed to their target weights, and what is left is packed into sequences.
 
 A stage gets the documents that the last one kept, re-read from Parquet, and returns those that it keeps (the last one:
-the pieces of the sequences). Rows without a doc_id are never near copies of another document; everything else about
-nulls, empty texts and repeated rows is as the stages' operators define it.
+the pieces of the sequences). Of near copies one row stays, whether or not the rows have ids of their own; everything else
+about nulls, empty texts and repeated rows is as the stages' operators define it.
 """
 
 from __future__ import annotations
@@ -23,10 +23,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest id stays."""
+    """Of each component of linked fingerprints one row stays: that with the smallest id, null ids last. Rows are numbered
+    and stored first, so that both readings of them agree on the numbers."""
     prepare(spark)
-    gone = simhash.near_groups(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")).write.parquet(path := new_folder(spark, "rows"))
+    rows = spark.read.parquet(path)
+    return rows.join(simhash.first_rows(rows), "row", "left_semi").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,17 +40,17 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp), fp being the fingerprint as a signed long; null text counts as empty."""
+def fingerprints(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys (long columns) and fp, the fingerprint as a signed long; null text counts as empty."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             fps = np.fromiter((fingerprint(t or "") for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
-            return {"doc_id": batch.column("doc_id"), "fp": fps.view(np.int64)}
+            return {**{k: batch.column(k) for k in keys}, "fp": fps.view(np.int64)}
 
         return step
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, fp long")
+    return map_rows(docs.select(*keys, "text"), make, "".join(f"{k} long, " for k in keys) + "fp long")
 
 
 class Tries:
@@ -213,17 +213,21 @@ def grouped(fps: DataFrame, most: int = GROUP) -> DataFrame:
     return small.union(less).union(pairs.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")), "fp"))
 
 
+def edges_of(fps: DataFrame) -> DataFrame:
+    """Edges between the distinct fingerprints of fps (fp) that are within BITS of each other, as stars."""
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return link_groups(grouped(fps.select("fp")).repartition(n, "key").sortWithinPartitions("key"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text).
 
     Null and empty texts have fingerprint zero; rows without an id take part in links but never name a component (it is
     null where no row has an id); repeated rows are each returned; an empty table gives no rows.
     """
-    spark = docs.sparkSession
     by_doc = cut(fingerprints(docs))
     firsts = cut(by_doc.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = link_groups(grouped(firsts.select("fp")).repartition(n, "key").sortWithinPartitions("key"))
+    edges = edges_of(firsts)
     linked = cut(components(edges).join(firsts, F.col("v") == F.col("fp")).select("fp", "root", "first"))
     least = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
     named = cut(linked.join(least, "root").select("fp", "component_id"))
@@ -231,5 +235,16 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return by_doc.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_rows(docs: DataFrame) -> DataFrame:
+    """(row) of the one row of docs (row, doc_id, text) that stays of each component: that with the least id, null ids last,
+    and of these the least row. Rows are told apart by `row`, a whole number of its own for each."""
+    by_row = cut(fingerprints(docs, ("row", "doc_id")))
+    place = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")
+    firsts = cut(by_row.groupBy("fp").agg(F.min(place).alias("first")))
+    linked = cut(components(edges_of(firsts)).join(firsts, F.col("v") == F.col("fp")).select("fp", "root", "first"))
+    alone = firsts.join(linked.select("fp"), "fp", "left_anti").select("first.row")
+    return linked.groupBy("root").agg(F.min("first").alias("first")).select("first.row").union(alone)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))

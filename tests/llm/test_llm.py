@@ -510,3 +510,16 @@ def test_pipeline_stages(spark, sf, docs):
     assert isinstance(docs.schema, StructType)
     pieces = corpus_pipeline.run(spark, sf)
     assert pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").count() == 0
+
+
+def test_one_row_of_each_group_stays(spark, docs):
+    import corpus_pipeline
+
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, a), (3, c), (None, c), (None, d), (None, d), (4, None), (None, ""), (4, "")]
+    table = spark.createDataFrame([(i, t, "en", "src1", 1) for i, t in rows], DOCS).repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, table, "").collect())
+    assert sum(got.values()) == 5
+    assert all(got[x] == 1 for x in [(1, a), (2, b), (3, c), (None, d)]) and got[4, None] + got[4, ""] == 1
+    twice = corpus_pipeline.drop_near_copies(spark, docs.union(docs), "").groupBy("doc_id").count().collect()
+    assert collections.Counter({r.doc_id: r["count"] for r in twice}) == collections.Counter(dict.fromkeys({r.component_id for r in simhash.near_groups(docs).collect()}, 1))
