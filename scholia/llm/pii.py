@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from scholia.llm.common import map_rows, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
+#: Candidates of a text that are trained on, at most.
+EACH = 8
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -184,8 +187,9 @@ def estimate(v: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, f
 
 
 def fit(rows: list[tuple[list[int], list[float]]], rounds: int = 300) -> SpanModel:
-    """The span classifier from (votes, features) of candidates. Without candidates the majority of votes decides."""
-    if len(rows) < 20:
+    """The span classifier from (votes, features) of candidates, however few: the labelers' prior and the ridge hold it
+    then. Without candidates two votes more for than against decide."""
+    if not rows:
         return SpanModel()
     rows = sorted(rows)
     v, x = np.array([r[0] for r in rows], float), np.array([[1.0, *r[1]] for r in rows])
@@ -200,21 +204,32 @@ def fit(rows: list[tuple[list[int], list[float]]], rounds: int = 300) -> SpanMod
     return SpanModel(dict(zip(LABELERS, accuracy.tolist(), strict=True)), prior, w.tolist())
 
 
+def some_candidates(text: str) -> list[tuple[str, int, int]]:
+    """Up to EACH of a text's candidates, from anywhere in it, by a hash of text and place."""
+    found = candidates(text)
+    if len(found) <= EACH:
+        return found
+    seed = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return sorted(found, key=lambda x: (xxhash.xxh64_intdigest(f"{x[0]}:{x[1]}:{x[2]}", seed), x))[:EACH]
+
+
 def train(docs: DataFrame, sample: int = 20_000) -> SpanModel:
-    """Fits the model on candidates of about `sample` documents, chosen by a hash of the text, at most; `sample` bounds
-    the documents that are scanned and, with eight candidates of a document, the votes that reach the driver."""
+    """Fits the model on candidates of about `sample` distinct texts at most, chosen by a hash of the text, up to EACH of
+    each text, chosen by a hash of text and place; these bound the texts that are scanned and the votes that reach the
+    driver."""
     n = docs.count()
     share = 1.0 if n <= sample else sample / n
-    chosen = docs.select("text").filter("text is not null").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * share) + 1)
+    chosen = docs.select("text").filter("text is not null").withColumn("key", F.xxhash64("text")).filter(F.pmod("key", F.lit(1_000_003)) < int(1_000_003 * share) + 1)
+    chosen = chosen.dropDuplicates(["key"])
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            found = [(votes(k, t, a, b), features(k, t, a, b)) for t in batch.column("text").to_pylist() for k, a, b in candidates(t)[:8]]
+            found = [(votes(k, t, a, b), features(k, t, a, b)) for t in batch.column("text").to_pylist() for k, a, b in some_candidates(t)]
             return {"v": [x[0] for x in found], "x": [x[1] for x in found]}
 
         return step
 
-    return fit([(list(r.v), list(r.x)) for r in map_rows(chosen, make, "v array<int>, x array<double>").collect()])
+    return fit([(list(r.v), list(r.x)) for r in map_rows(chosen.select("text"), make, "v array<int>, x array<double>").collect()])
 
 
 def all_spans(text: str, model: SpanModel) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

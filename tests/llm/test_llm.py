@@ -325,6 +325,19 @@ def test_pii(spark, docs):
     assert pii.redact("mail a@b.co now", [("email", 5, 11)]) == "mail [EMAIL] now"
 
 
+def test_pii_training_sample(spark, docs):
+    text = " ".join(f"token=a{i}b{i * 7919 % 1000}c9Zq key {i} and 12{i % 10}-45-678{i % 7}," for i in range(200))
+    found = pii.candidates(text)
+    some = pii.some_candidates(text)
+    assert len(some) == pii.EACH < len(found) and set(some) <= set(found)
+    assert max(a for _, a, _ in some) > len(text) / 2
+    assert pii.train(docs.union(docs).union(docs)) == pii.train(docs)
+    rows = [(pii.votes(k, text, a, b), pii.features(k, text, a, b)) for k, a, b in found]
+    few, many = pii.fit(rows[:6]), pii.fit(rows)
+    assert few.weights and few.reliability
+    assert [few.accepts(k, text, a, b) for k, a, b in found[:6]] == [many.accepts(k, text, a, b) for k, a, b in found[:6]]
+
+
 def test_labelers_reliability():
     rng = np.random.default_rng(9)
     truth, accuracy = rng.random(4000) < 0.5, np.array([0.95, 0.8, 0.6, 0.9])
