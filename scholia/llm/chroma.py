@@ -162,18 +162,16 @@ def align_block(rows: dict, queries: dict) -> tuple[list[int], list[int], list[i
         own = fp >> np.uint32(32 - HIT_BITS)
         lo, hi = np.searchsorted(key, own, "left"), np.searchsorted(key, own, "right")
         n = hi - lo
-        if n.sum() < HITS:
+        if not n.any():
             continue
         hit = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         offset = np.repeat(np.arange(len(fp)), n) - q_at[hit]
         pair, count = np.unique(q_of[hit] << 32 | offset + (1 << 30), return_counts=True)
-        pair, count = pair[count >= HITS], count[count >= HITS]
+        # recordings with fewer integers than HITS can't have as many hits
+        pair = pair[count >= np.minimum(HITS, np.minimum(q_len[pair >> 32], len(fp)))]
         if not len(pair):
             continue
         q, off = pair >> 32, (pair & 0xFFFFFFFF) - (1 << 30)
-        best = np.lexsort((off, -count, q))  # the offset with most hits, for each query
-        best = best[np.concatenate([[True], q[best][1:] != q[best][:-1]])]
-        q, off = q[best], off[best]
         errors = np.ones(len(q))
         for o in np.unique(off).tolist():  # queries at one offset are compared together
             mine = np.flatnonzero(off == o)
@@ -185,8 +183,8 @@ def align_block(rows: dict, queries: dict) -> tuple[list[int], list[int], list[i
                     errors[some] = np.bitwise_count(queries["fp"][at] ^ fp[a:b]).sum(1) / (32 * (b - a))
         good = errors <= MOST_ERRORS
         if good.any():
-            j = np.lexsort((queries["ids"][q], errors))[0]
-            for col, v in zip(out, (row_id, int(queries["ids"][q[j]]), int(off[j]), float(errors[j]), int(good.sum())), strict=True):
+            j = np.lexsort((off, queries["ids"][q], errors))[0]
+            for col, v in zip(out, (row_id, int(queries["ids"][q[j]]), int(off[j]), float(errors[j]), len(np.unique(q[good]))), strict=True):
                 col.append(v)
     return out
 

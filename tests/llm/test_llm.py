@@ -258,6 +258,23 @@ def test_chroma(spark):
 # --- 6 -------------------------------------------------------------------------------------------------------------------
 
 
+def test_chroma_short_and_repeated():
+    block = lambda fps: {"ids": np.arange(len(fps)), "starts": np.cumsum([0, *map(len, fps)]), "fp": np.concatenate(fps).astype(np.uint32)}
+    rng = np.random.default_rng(8)
+    new = lambda n: rng.integers(0, 1 << 32, n, np.uint32)
+    for n in (1, 2, 3):
+        x = new(n)
+        assert chroma.align_block(block([x]), block([new(n), x])) == ([0], [1], [0], [0.0], [1])
+    x = new(40)
+    x[20:26] = x[0]  # the offsets of this run have more hits than the true one
+    y = x.copy()
+    y[[i for i in range(40) if i not in (0, 20, 21, 22, 23, 24, 25)]] ^= np.uint32(1 << 31)
+    assert chroma.align_block(block([y]), block([x])) == ([0], [0], [0], [33 / (32 * 40)], [1])
+    run = np.full(6, x[0], np.uint32)
+    a, b = np.concatenate([run, x[6:20], new(3)]), np.concatenate([new(3), run, x[6:20] ^ np.uint32(1 << 31)])
+    assert chroma.align_block(block([b]), block([a]))[2] == [3]
+
+
 def test_search(spark, docs):
     rows = {r.doc_id: search.terms(r.text) for r in docs.collect()}
     n, mean = len(rows), np.mean([c.total() for c in rows.values()])
