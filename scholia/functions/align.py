@@ -1,37 +1,53 @@
-"""Functions whose algorithms are sequential, as vectorised UDFs: sentence alignment, acronym expansion, sentence splitting."""
+"""Functions whose algorithms are sequential, as vectorised UDFs: sentence alignment, sentence splitting, compatibility forms."""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-#: Words after which a full stop doesn't end a sentence, and words that name what a number follows.
 GRADES = ("ng", "near", "ok")
-SHORT = frozenset("e.g. i.e. et al. etc. vs. cf. Dr. Mr. Ms. Mrs. Prof. Fig. Figs. Eq. Eqs. Ref. Refs. Sec. Tab. No. Vol. pp. approx.".split())
-NAMED = frozenset("Fig. Figs. Table Eq. Eqs. Ref. Refs. Section Sec. Tab.".split())
+#: Words after which a full stop doesn't end a sentence, and units that may end one after a number.
+SHORT = frozenset("e.g. i.e. et al. etc. vs. cf. Dr. Mr. Ms. Mrs. Prof. Fig. Figs. Eq. Eqs. Ref. Refs. Sec. Secs. Tab. No. Vol. pp. approx.".split())
+UNIT_ENDS = frozenset("K V Hz nm mm cm μm µm kHz MHz s h W mW %".split())
+#: Words of a citation in brackets, however many spaces it has inside; what may close a sentence after its stop.
+_WORDS, _NUMBERS, _CLOSING = re.compile(r"\[\d[\d\s,–-]*\]|\S+"), re.compile(r"\[\d+(?:\s*[,–-]\s*\d+)*\]"), "\"”’')]"
+
+
+def _ends(word: str, before: str, after: str) -> bool:
+    """Whether a sentence ends at a word, by the words around it."""
+    bare = word.rstrip(_CLOSING)
+    if not bare.endswith((".", "!", "?")) or bare in SHORT or re.match(r"\([a-z]\)", after):
+        return False
+    first = after.lstrip("(\"“‘'")[:1]
+    if not (first.isupper() or after[:1] in "(\"“" and first.isdigit()):
+        return False
+    lone = bare[:-1]  # an initial ends a sentence only where it is a unit after a number, and a word follows
+    number = re.fullmatch(r"\D*\d[\d.,]*(\D+)", lone)
+    unit = number[1] in UNIT_ENDS if number else lone in UNIT_ENDS and before[-1:].isdigit()
+    return not (len(lone) == 1 and lone.isupper()) or unit and after[1:2].islower()
 
 
 def split_sentences(text: str | None) -> list[str]:
-    """Sentences by rule: a break after . ! or ? before a capital, unless an abbreviation stands there; but "Fig. 2. The"
-    and "300 K. The" break."""
-    parts = re.split(r"(?<=[.!?])\s+(?=[A-Z(\"“])", re.sub(r"\s+", " ", text or "").strip())
-    out: list[str] = []
-    for p in parts:
-        if not p:
-            continue
-        last = out[-1].split()[-1] if out else ""
-        alone = out and sum(c.isalnum() for c in p) < 3
-        joins = out and (last in SHORT or last in NAMED or re.fullmatch(r"[A-Z]\.", last) and not re.search(r"\d [A-Z]\.$", out[-1]))
-        if alone or joins:
-            out[-1] += " " + p
-        else:
-            out.append(p)
-    return out
+    """Sentences by rule, word by word. A citation in brackets after a sentence's stop belongs to that sentence; what has
+    fewer than three letters and digits is no sentence of its own."""
+    words = _WORDS.findall(text or "")
+    out: list[list[str]] = [[]]
+    for i, w in enumerate(words):
+        out[-1].append(w)
+        at = next((j for j in range(i, -1, -1) if not _NUMBERS.fullmatch(words[j])), i)  # the word that citations follow
+        after = words[i + 1] if i + 1 < len(words) else ""
+        if after and not _NUMBERS.fullmatch(after) and _ends(words[at], words[at - 1] if at else "", after) and sum(c.isalnum() for x in out[-1] for c in x) >= 3:
+            out.append([])
+    found = [" ".join(x) for x in out if x]
+    if len(found) > 1 and sum(c.isalnum() for c in found[-1]) < 3:
+        found[-2:] = [" ".join(found[-2:])]
+    return found
 
 
 def edits_within(a: str, b: str, most: int) -> bool:
@@ -60,54 +76,70 @@ def edits_within(a: str, b: str, most: int) -> bool:
     return row.get(len(b), 99) <= most
 
 
-def bare(word: str) -> str:
-    return word.lower().strip(".,;:!?\"'()")
+#: Fixed value: a word as it is shown: ASCII letters, with apostrophes and hyphens inside.
+SHOWN = re.compile(r"[A-Za-z](?:[A-Za-z'’-]*[A-Za-z])?")
+#: Endings that leave another form of the same word, and what stands for them.
+OTHER_FORMS = [("ies", "y"), ("es", ""), ("s", ""), ("ied", "y"), ("ed", ""), ("ed", "e"), ("ing", ""), ("ing", "e")]
+
+
+def forms(word: str) -> set[str]:
+    """A word and it without plural, past and -ing endings, as `text.stems` has them."""
+    found = {word}
+    for suffix, put in OTHER_FORMS:
+        stem = word.removesuffix(suffix)
+        if stem == word or suffix == "s" and word.endswith("ss"):
+            continue
+        found |= {x for x in (stem + put, stem[:-1] if suffix in ("ed", "ing") and len(stem) > 2 and stem[-1] == stem[-2] else "") if len(x) >= 2}
+    return found
+
+
+def same_case(word: str) -> str:
+    return word.strip().replace("’", "'").lower()
+
+
+def grades(answers: list[str], typed: list[str]) -> np.ndarray:
+    """How each typed word answers each word asked for, as places in GRADES: ok, near (another form, or one edit, two from
+    eight letters on) or ng. Forms are looked up by form; edits are counted only where lengths allow them."""
+    a, b = [same_case(x) for x in answers], [same_case(x) for x in typed]
+    out = np.zeros((len(a), len(b)), np.int8)
+    by_form, by_length = defaultdict(list), defaultdict(list)
+    for j, t in enumerate(b):
+        by_length[len(t)].append(j)
+        for f in forms(t) if t else ():
+            by_form[f].append(j)
+    for i, x in enumerate(a):
+        most = 2 if len(x) >= 8 else 1
+        for n in range(max(1, len(x) - most), len(x) + most + 1):
+            out[i, [j for j in by_length[n] if edits_within(x, b[j], most)]] = 1
+        for f in forms(x):
+            out[i, by_form[f]] = 1
+        out[i, [j for j in by_length[len(x)] if x and b[j] == x]] = 2
+    return out
 
 
 def word_grade(typed: str, answer: str) -> str:
-    """ok, near (one edit; two from eight letters on) or ng."""
-    a, t = bare(answer), bare(typed)
-    return "ok" if a == t else "near" if t and edits_within(a, t, 2 if len(a) >= 8 else 1) else "ng"
+    return GRADES[grades([answer], [typed])[0, 0]]
 
 
-def sentence_grade(original: str | None, typed: str | None) -> tuple[list[str], float]:
-    """The grade of each word of the original, by a longest common subsequence with fuzzy equality, and the score: the mean
-    of 1 for ok and 0.5 for near; 0 for an empty original."""
-    a, b = (original or "").split(), (typed or "").split()
+def sentence_grade(original: str | None, typed: str | None) -> tuple[list[str], list[str], float]:
+    """The grade of each word of the original, by a longest common subsequence with fuzzy equality; the words typed beside it;
+    and the score: the mean of 1 for ok and 0.5 for near, 0 for an original without words."""
+    a, b = SHOWN.findall(original or ""), SHOWN.findall(typed or "")
     left, row_of = np.unique(a, return_inverse=True)
     right, column_of = np.unique(b, return_inverse=True)
-    known = np.array([[GRADES.index(word_grade(y, x)) for y in right.tolist()] for x in left.tolist()], np.int8).reshape(len(left), len(right))
-    grades = known[row_of][:, column_of] if a and b else np.zeros((len(a), len(b)), np.int8)
+    table = grades(left.tolist(), right.tolist())[row_of][:, column_of] if a and b else np.zeros((len(a), len(b)), np.int8)
     best = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     for i in range(len(a) - 1, -1, -1):  # a row at once: the best of the row below, a match, and what stands to the right
-        best[i, :-1] = np.maximum.accumulate(np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (grades[i] > 0))[::-1])[::-1]
-    marks, i, j = [], 0, 0
-    while i < len(a):
-        if j < len(b) and grades[i, j]:
-            marks.append(GRADES[grades[i, j]])
-            i, j = i + 1, j + 1
-        elif j >= len(b) or best[i + 1, j] >= best[i, j + 1]:
-            marks.append("ng")
-            i += 1
-        else:
+        best[i, :-1] = np.maximum.accumulate(np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (table[i] > 0))[::-1])[::-1]
+    marks, extra, j = [], [], 0
+    for i in range(len(a)):
+        while j < len(b) and not table[i, j] and best[i + 1, j] < best[i, j + 1]:
+            extra.append(b[j])
             j += 1
-    return marks, (marks.count("ok") + marks.count("near") / 2) / len(marks) if marks else 0.0
-
-
-def expansion(acronym: str, before: str) -> str | None:
-    """What an acronym in parentheses stands for, from the words before it: the longest run that starts with its first letter,
-    has its letters among the initials in order, and ends with its last one."""
-    words = re.findall(r"[A-Za-z][A-Za-z-]*", before)[-(len(acronym) + 3) :]
-    letters = acronym.lower()
-    for k in range(len(words)):
-        tail = words[k:]
-        initials = [p[0].lower() for w in tail for p in w.split("-") if p]
-        if len(tail) > len(letters) + 1 or len(tail[0]) < 2 or initials[0] != letters[0] or initials[-1] != letters[-1]:
-            continue
-        rest = iter(initials)
-        if all(c in rest for c in letters):
-            return " ".join(tail)
-    return None
+        hit = j < len(b) and table[i, j] > 0
+        marks.append(GRADES[table[i, j]] if hit else "ng")
+        j += hit
+    return marks, extra + b[j:], (marks.count("ok") + marks.count("near") / 2) / len(marks) if marks else 0.0
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -115,18 +147,9 @@ def sentences_udf(text: pd.Series) -> pd.Series:
     return text.map(split_sentences)
 
 
-@F.pandas_udf(DoubleType())
-def sentence_score_udf(original: pd.Series, typed: pd.Series) -> pd.Series:
-    return pd.Series([sentence_grade(a, b)[1] for a, b in zip(original, typed, strict=True)])
-
-
-@F.pandas_udf(ArrayType(StructType([StructField("acronym", StringType()), StructField("expansion", StringType())])))
-def expansions_udf(text: pd.Series) -> pd.Series:
-    def one(t: str | None) -> list[dict]:
-        found = [(m[1], expansion(m[1], t[max(0, m.start() - 200) : m.start()])) for m in re.finditer(r"\(([A-Z][A-Z0-9]{1,6})s?\)", t or "")]
-        return [{"acronym": a, "expansion": e} for a, e in found if e]
-
-    return text.map(one)
+@F.pandas_udf(StructType([StructField("grades", ArrayType(StringType())), StructField("extra", ArrayType(StringType())), StructField("score", DoubleType())]))
+def sentence_grade_udf(original: pd.Series, typed: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([sentence_grade(a, b) for a, b in zip(original, typed, strict=True)], columns=["grades", "extra", "score"])
 
 
 @F.pandas_udf(StringType())

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import compounds, join_lines, term_key
+from scholia.functions.align import sentences_udf
+from scholia.functions.text import compounds, join_lines, speech, term_key
 from scholia.sources.stored import stored
 
 
@@ -27,6 +28,13 @@ def pasted_paragraphs(headed: DataFrame) -> DataFrame:
     return joined(both, "place").select("doc_id", "place.section", "place.paragraph", "text")
 
 
+def pasted_sentences(headed: DataFrame) -> DataFrame:
+    """(doc_id, section, k, text, spoken): the sentences of pasted paragraphs, counted through each section from 1."""
+    rows = pasted_paragraphs(headed).select("doc_id", "section", "paragraph", F.posexplode(sentences_udf("text")))
+    place = F.row_number().over(Window.partitionBy("doc_id", "section").orderBy("paragraph", "pos"))
+    return rows.select("doc_id", "section", place.alias("k"), F.col("col").alias("text"), speech(F.col("col")).alias("spoken"))
+
+
 def first_places(sentences: DataFrame) -> DataFrame:
     """(doc_id, text, section, k): where each text of a document first stands. A partial aggregate, so repeats of a text
     never multiply rows of a join."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scholia.functions.text import derived, inflected, normalise, term_key
+from scholia.functions.text import derived, expansions, inflected, normalise, term_key
 from scholia.sources.adapters import STOP
 from scholia.sources.stored import stored
 
@@ -13,15 +13,6 @@ TOP_WORDS, TOP_ACRONYMS, TOP_PHRASES = 40, 25, 25
 ACRONYM = "^[A-Z][A-Z0-9]{1,6}$"
 #: Units that no phrase begins with.
 UNITS = "rad arcsec arcmin mrad nm mm cm khz hz mas".split()
-#: Documents' words that one dictionary lookup may broadcast: beyond this many rows Spark shuffles instead.
-BROADCAST_ROWS = 500_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` marked for broadcast if it has at most `most` rows; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
-
-
 def word_counts(tokens: DataFrame) -> DataFrame:
     """(doc_id, word, n, lower_n, first_pos) of tokens (doc_id, pos, token), without acronyms; words in lower case."""
     plain = tokens.filter(~F.regexp_replace("token", "s$", "").rlike(ACRONYM))
@@ -50,7 +41,7 @@ def found_surely(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Distinct words (word) that the dictionary (lower) has, as they are or by undoing an inflection."""
     distinct = words.select("word").distinct().filter(F.col("word").rlike("^[a-z][a-z-]*$"))
     forms = distinct.select("word", F.explode(inflected(F.col("word"))).alias("lower"))
-    return forms.join(small(dictionary), "lower", "left_semi").select("word").distinct()
+    return forms.join(dictionary, "lower", "left_semi").select("word").distinct()
 
 
 def technical_words(counts: DataFrame, dictionary: DataFrame, stop: list[str] = STOP) -> DataFrame:
@@ -118,11 +109,26 @@ def ranked_lookup(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     key = F.col("key")
     forms = ranked(inflected(key), 0, F.when(F.col("pos") == 0, "exact").otherwise("base")).union(ranked(derived(key), 100, F.lit("near")))
     parts = ranked(F.when(key.contains("-"), F.reverse(F.split(key, "-"))), 1000, F.lit("part"))
-    found = forms.union(parts).join(small(dictionary), F.col("form") == F.col("lower"))
+    found = forms.union(parts).join(dictionary, F.col("form") == F.col("lower"))
     best = F.min(F.struct("rank", F.col("form").alias("headword"), "match")).alias("best")
     return found.groupBy("word").agg(best).select("word", "best.headword", "best.match")
 
 
+def entries(found: DataFrame, dictionary: DataFrame, most: int = 5) -> DataFrame:
+    """(word, headword, match, mean, place): the first entries of what was found (word, headword, match) in a dictionary
+    (lower, mean, id), in the order of ids."""
+    rows = found.join(dictionary, F.col("headword") == F.col("lower"))
+    place = F.row_number().over(Window.partitionBy("word").orderBy("id", "mean"))
+    return rows.withColumn("place", place).filter(F.col("place") <= most).select("word", "headword", "match", "mean", "place")
+
+
+def expanded(texts: DataFrame, stop: list[str] = STOP) -> DataFrame:
+    """(doc_id, acronym, expansion) of texts (doc_id, n, text): for each acronym of a document what it stands for by the
+    first place where its words stand before it in parentheses."""
+    hits = texts.select("doc_id", "n", F.explode(expansions(F.col("text"), stop)).alias("x"))
+    return hits.groupBy("doc_id", F.col("x.acronym").alias("acronym")).agg(F.min_by("x.expansion", F.struct("n", "x.at")).alias("expansion"))
+
+
 def glossary_index(terms: DataFrame) -> DataFrame:
     """(key, doc_id, term, n): for each term key and document the row with the greatest count."""
     best = F.max(F.struct("n", F.col("word").alias("term"))).alias("best")

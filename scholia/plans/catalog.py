@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions import align, srs, text
-from scholia.operators import artefacts, logs, outline, quality, terms
+from scholia.operators import artefacts, logs, outline, quality, study, terms
 from scholia.plans import views as v
 from scholia.sources import adapters as a
 
@@ -64,17 +64,7 @@ _FOLD = """pairs AS (SELECT c.*, coalesce(y.word, e.word, s.word, c.word) AS one
 folded AS (SELECT doc_id, one AS word, CAST(sum(n) AS BIGINT) AS n, CAST(sum(lower_n) AS BIGINT) AS lower_n, min(first_pos) AS first_pos FROM pairs GROUP BY 1, 2)"""
 
 
-def _cut(suffix: str, put: str = "", keep: str = "true", less: int = 0) -> str:
-    return f"CASE WHEN word LIKE '%{suffix}' AND {keep} THEN substr(word, 1, length(word) - {len(suffix) + less}) || '{put}' END"
-
-
-def _twice(suffix: str) -> str:
-    k = len(suffix)
-    return _cut(suffix, keep=f"length(word) > {k + 2} AND substr(word, -{k + 1}, 1) = substr(word, -{k + 2}, 1)", less=1)
-
-
-_FORMS = ", ".join(["word", _cut("ies", "y"), _cut("es"), _cut("s", keep="word NOT LIKE '%ss'"), _cut("ied", "y"), _cut("ed"), _cut("ed", "e"), _twice("ed"), _cut("ing"), _cut("ing", "e"), _twice("ing"), _cut("er"), _cut("er", "e"), _cut("est"), _cut("est", "e"), _cut("ly")])
-_TECHNICAL = f"""forms AS (SELECT word, unnest([{_FORMS}]) AS form FROM (SELECT DISTINCT word FROM folded WHERE regexp_matches(word, '^[a-z][a-z-]*$'))),
+_TECHNICAL = f"""forms AS (SELECT word, unnest({v.undone('word', text.INFLECTIONS)}) AS form FROM (SELECT DISTINCT word FROM folded WHERE regexp_matches(word, '^[a-z][a-z-]*$'))),
 sure AS (SELECT DISTINCT word FROM forms WHERE length(form) >= 2 AND form IN (SELECT lower FROM dictionary)),
 technical AS (SELECT * FROM folded WHERE length(word) >= 4 AND n >= CASE WHEN length(word) <= 5 THEN 3 ELSE 2 END AND lower_n > 0 AND word NOT IN ({v.STOPS}) AND word NOT IN (SELECT word FROM sure))"""
 _WORDS = f"""{_FOLD}, {_TECHNICAL},
@@ -121,15 +111,46 @@ def glossary_fallback(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("word").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id"), F.max("n").alias("n"))
 
 
-@query()
+#: Candidates of a word by rank, as `terms.ranked_lookup` tries them, and the first that the dictionary has.
+_DERIVED_SQL = ", ".join(f"CASE WHEN key LIKE '%{s_}' AND length(key) - {len(s_)} >= 3 THEN substr(key, 1, length(key) - {len(s_)}) || '{p}' END" for s_, p in text.DERIVED)
+_LOOKUP = rf"""asked AS (SELECT *, lower(regexp_replace(regexp_replace(word, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), '[''’]s$', '')) AS key FROM (SELECT DISTINCT token AS word FROM tokens)),
+usable AS (SELECT * FROM asked WHERE regexp_matches(key, '^[a-z][a-z''-]*$')),
+base AS (SELECT word, unnest({v.undone('key', text.INFLECTIONS)}) AS form, generate_subscripts({v.undone('key', text.INFLECTIONS)}, 1) AS rank FROM usable),
+near AS (SELECT word, key, unnest([{_DERIVED_SQL}]) AS form, generate_subscripts([{_DERIVED_SQL}], 1) + 100 AS rank FROM usable),
+parts AS (SELECT word, unnest(list_reverse(string_split(key, '-'))) AS form, generate_subscripts(string_split(key, '-'), 1) + 1000 AS rank FROM usable WHERE contains(key, '-')),
+found AS (SELECT word, arg_min(form, rank) AS headword, min(rank) AS rank FROM (SELECT word, form, rank FROM base WHERE length(form) >= 2 UNION ALL SELECT word, form, rank FROM near WHERE form <> key UNION ALL SELECT * FROM parts) WHERE form IN (SELECT lower FROM dictionary) GROUP BY word),
+looked AS (SELECT word, headword, CASE WHEN rank = 1 THEN 'exact' WHEN rank < 100 THEN 'base' WHEN rank < 1000 THEN 'near' ELSE 'part' END AS "match" FROM found)"""
+
+
+@query(v.sql(v.PAPERS, v.TOKENS, v.DICTIONARY, _LOOKUP, query="SELECT * FROM looked"))
 def dictionary_ranked_lookup(spark: SparkSession, d: str) -> DataFrame:
     return terms.ranked_lookup(a.tokens(spark, d).select(F.col("token").alias("word")).distinct(), a.dictionary(spark, d))
 
 
-@query()
+_ENTRIES = f"entries AS (SELECT DISTINCT lower(w) AS lower, 'm' || item_id AS mean, item_id AS id FROM (SELECT item_id, unnest(regexp_extract_all(text, '{a.TOKEN}')) AS w FROM benchmark))"
+
+
+@query(v.sql(v.PAPERS, v.TOKENS, v.DICTIONARY, _LOOKUP, _ENTRIES, query='SELECT word, headword, "match", mean, place FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY id, mean) AS place FROM looked JOIN entries ON lower = headword) WHERE place <= 5'))
+def dictionary_entries(spark: SparkSession, d: str) -> DataFrame:
+    words = a.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(a.TOKEN), F.lit(0))).alias("w"), F.concat(F.lit("m"), F.col("item_id").cast("string")).alias("mean"), F.col("item_id").alias("id"))
+    return _as_long(terms.entries(dictionary_ranked_lookup(spark, d), words.select(F.lower("w").alias("lower"), "mean", "id").distinct()), "place")
+
+
+#: Every fourth line with its last three words' initials after it, as an acronym is defined.
+_DEFINED = """defined AS (SELECT doc_id, n, line || ' (' || upper(array_to_string(list_transform(w[-3:], lambda x: x[1]), '')) || ')' AS text FROM (SELECT *, regexp_extract_all(line, '[A-Za-z]+') AS w FROM lines) WHERE n % 4 = 0)"""
+_EXPANDED = rf"""told AS (SELECT doc_id, n, regexp_extract_all(text, '\(\s*{text.ACRONYM}s?\s*\)|[A-Za-z][A-Za-z-]*') AS w FROM defined),
+hits AS (SELECT doc_id, n, w, i, regexp_replace(w[i], '^\(\s*|s?\s*\)$', '', 'g') AS acronym FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM told) WHERE w[i] LIKE '(%'),
+tries AS (SELECT doc_id, n, i, acronym, k, list_transform(w[i - k : i - 1], lambda x: regexp_replace(x, '[^A-Za-z-]', '', 'g')) AS run FROM (SELECT *, unnest(range(1, least(length(acronym) + 1, i - 1) + 1)) AS k FROM hits)),
+fits AS (SELECT * FROM tries WHERE length(run[1]) > 1 AND lower(run[1]) NOT IN ({v.STOPS})
+  AND regexp_matches(array_to_string(list_transform(list_filter(string_split(lower(array_to_string(run, '-')), '-'), lambda x: x <> ''), lambda x: x[1]), ''), '^' || array_to_string(string_split(lower(acronym), ''), '.*') || '$')),
+best AS (SELECT doc_id, n, i, acronym, array_to_string(arg_max(run, k), ' ') AS expansion FROM fits GROUP BY 1, 2, 3, 4)"""
+
+
+@query(v.sql(v.PAPERS, v.LINES, _DEFINED, _EXPANDED, query="SELECT doc_id, acronym, arg_min(expansion, (n, i)) AS expansion FROM best GROUP BY 1, 2"))
 def acronym_expansion(spark: SparkSession, d: str) -> DataFrame:
-    named = a.papers(spark, d).select("doc_id", F.concat("text", F.lit(" The adaptive optics (AO) and a deformable mirror (DM) follow.")).alias("text"))
-    return named.select("doc_id", F.explode(align.expansions_udf("text")).alias("x")).select("doc_id", "x.acronym", "x.expansion")
+    initials = F.transform(F.slice(F.concat(F.array(F.lit(""), F.lit(""), F.lit("")), F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0))), -3, 3), lambda w: F.substring(w, 1, 1))
+    defined = a.lines(spark, d).filter("n % 4 = 0").select("doc_id", "n", F.concat("line", F.lit(" ("), F.upper(F.array_join(initials, "")), F.lit(")")).alias("text"))
+    return terms.expanded(defined, a.STOP)
 
 
 # --- logs ------------------------------------------------------------------------------------------------------------
@@ -294,44 +315,78 @@ def speech_text(spark: SparkSession, d: str) -> DataFrame:
     return _spoken(spark, d)
 
 
-@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query="SELECT doc_id, n, CASE WHEN n % 5 = 0 THEN 'figure:' || (n % 9 + 1) ELSE 'table:' || (n % 4 + 1) END AS key FROM annotated WHERE n % 5 < 2"))
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, v.REFERENCES, query="SELECT doc_id, n, key FROM refs"))
 def figure_refs(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(a.annotated(spark, d).select("doc_id", "n", F.explode(text.figure_keys(F.col("body"))).alias("key")), "n")
 
 
-@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, "cited AS (SELECT DISTINCT doc_id, CASE WHEN n % 5 = 0 THEN 'figure:' || (n % 9 + 1) ELSE 'table:' || (n % 4 + 1) END AS key FROM annotated WHERE n % 5 < 2)",
-    query="SELECT doc_id, key FROM cited WHERE NOT (key LIKE 'figure:%' AND CAST(split_part(key, ':', 2) AS INT) <= 4)"))
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, v.REFERENCES,
+    query="SELECT DISTINCT doc_id, key FROM refs WHERE key NOT IN ('figure:1', 'figure:2', 'figure:3', 'figure:4')"))
 def missing_figures(spark: SparkSession, d: str) -> DataFrame:
     cited = figure_refs(spark, d).select("doc_id", "key")
     available = a.papers(spark, d).select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("doc_id", F.concat(F.lit("figure:"), F.col("i").cast("string")).alias("key"))
     return quality.missing_figures(cited, available)
 
 
-@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query="SELECT doc_id, n, replace(replace('Peak of plus or minus ' || (n % 5) || ' volts at ' || n || ' kelvin, lambda over ' || (n + 1) || ' and 3 nanometers.', 'X', 'X'), 'Y', 'Y') AS spoken FROM annotated"))
+#: Sentences with what a voice can't read; # stands for a number.
+_HARD = [
+    "Peak of ±# V at 3 K, λ/# and 3nm.", "Fluence # J/cm² and 20 °C over 10 m/s.", "An error of 0.15 rad² in the 1990s, a # s run.", "Stroke of #μm, 10 MHz, 3 × 10⁴ m, 5 cm⁻².",
+    "Δφ of 2 × 10⁻⁶ with Ω and (x)³ at 90°.", "# N-type parts of 7 kg, T⁴ and # h at # W/m².",
+]
+
+
+def _hard_sql() -> str:
+    return "CASE n % 6 " + " ".join(f"WHEN {i} THEN replace('{x}', '#', n::VARCHAR)" for i, x in enumerate(_HARD)) + " END"
+
+
+def _said_sql(x: str) -> str:
+    """The readings as a chain of replacements, rule by rule: another way than that of `text.pronounce`."""
+    r, end = "[⁰¹²³⁴⁵⁶⁷⁸⁹]+", "([^A-Za-z0-9-]|$)"
+    rules = [(rf"(\d)\s?×\s?10⁻({r})", r"\1 times 10 to the minus \2"), (rf"(\d)\s?×\s?10({r})", r"\1 times 10 to the \2"), (r"([A-Za-z²³])/(cm|mm|m|s|h|K|Hz|W|J|kg|g|min)([²³⁻\s.,;:)]|$)", r"\1 per \2\3")]
+    rules += [(rf"per {u}²", f"per square {w}") for u, w in text.PER_SQUARE.items()] + [(r"([A-Za-zα-ω])\s?/\s?(\d+)", r"\1 over \2"), ("rad²", "radians²"), ("cm⁻", "centimeters⁻")]
+    rules += [(r"([A-Za-z0-9)])²", r"\1 squared"), (r"([A-Za-z0-9)])³", r"\1 cubed"), (rf"([A-Za-z0-9)])⁻({r})", r"\1 to the minus \2"), (rf"([A-Za-z0-9)])({r})", r"\1 to the \2")]
+    rules += [(rf"(\d)\s{'?' if len(u) > 1 or u == '°' else ''}{u}{end}", rf"\1 {text.UNITS[u]}\2") for u in sorted(text.UNITS, key=len, reverse=True)]
+    rules += [(rf"\bper {u}\b", f"per {w}") for u, w in text.PER.items()] + [(r"\s?×\s?", " times "), (r"±\s?(\d)", r" plus or minus \1")] + [(g, f" {w} ") for g, w in text.GREEK.items()] + [(r"\s{2,}", " ")]
+    for find, put in rules:
+        x = f"regexp_replace({x}, '{find}', '{put}', 'g')"
+    return f"trim(translate({x}, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789'), ' ')"
+
+
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query=f"SELECT doc_id, n, {_said_sql(_hard_sql())} AS spoken FROM annotated"))
 def pronunciation_builtin(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("n").cast("string")
-    said = F.concat(F.lit("Peak of ±"), (F.col("n") % 5).cast("string"), F.lit(" V at "), n, F.lit(" K, λ/"), (F.col("n") + 1).cast("string"), F.lit(" and 3 nm."))
+    kinds = F.array(*[F.lit(x) for x in _HARD])
+    said = F.replace(F.get(kinds, (F.col("n") % len(_HARD)).cast("int")), F.lit("#"), F.col("n").cast("string"))
     return _as_long(a.annotated(spark, d).select("doc_id", "n", text.pronounce(said).alias("spoken")), "n")
 
 
-@query(v.sql(v.PAPERS, v.TOKENS, query="""SELECT doc_id, pos, CASE WHEN t = a THEN 'exact' WHEN levenshtein(t, a) <= CASE WHEN length(a) >= 8 THEN 2 ELSE 1 END THEN 'near' ELSE 'wrong' END AS grade
-  FROM (SELECT doc_id, pos, lower(token) AS a, CASE pos % 3 WHEN 0 THEN lower(token) WHEN 1 THEN 'x' || lower(token) ELSE 'qqqqqqqqqqqq' END AS t FROM tokens WHERE length(token) >= 4)"""))
-def cloze_grade(spark: SparkSession, d: str) -> DataFrame:
+_STEMS = text.INFLECTIONS[: text.SAME_WORD]
+#: Words of the papers, and what a learner typed for them: right, in another form, with a letter too much, or nothing like it.
+_TYPED = f"""typed AS (SELECT *, CASE WHEN t = a THEN 'exact' WHEN list_has_any({v.undone('t', _STEMS)}, {v.undone('a', _STEMS)}) THEN 'form'
+    WHEN levenshtein(t, a) <= CASE WHEN length(a) >= 8 THEN 2 ELSE 1 END THEN 'near' ELSE 'wrong' END AS grade
+  FROM (SELECT doc_id, pos, lower(token) AS a, CASE pos % 4 WHEN 0 THEN lower(token) WHEN 1 THEN 'x' || lower(token) WHEN 2 THEN lower(token) || 'ing' ELSE 'qqqqqqqqqqqq' END AS t FROM tokens WHERE length(token) >= 4))"""
+
+
+def _typed(spark: SparkSession, d: str) -> DataFrame:
     w = F.lower("token")
-    typed = F.when(F.col("pos") % 3 == 0, w).when(F.col("pos") % 3 == 1, F.concat(F.lit("x"), w)).otherwise("qqqqqqqqqqqq")
-    return _as_long(a.tokens(spark, d).filter(F.length("token") >= 4).select("doc_id", "pos", text.cloze_grade(typed, F.col("token"), F.col("token")).alias("grade")), "pos")
+    typed = F.when(F.col("pos") % 4 == 0, w).when(F.col("pos") % 4 == 1, F.concat(F.lit("x"), w)).when(F.col("pos") % 4 == 2, F.concat(w, F.lit("ing"))).otherwise("qqqqqqqqqqqq")
+    return a.tokens(spark, d).filter(F.length("token") >= 4).select("doc_id", "pos", text.cloze_grade(typed, F.col("token"), F.col("token")).alias("grade"))
 
 
-@query(v.sql(v.REVIEWS, query="SELECT headword, round(avg(CASE rating WHEN 1 THEN 0.0 WHEN 2 THEN 0.5 ELSE 1.0 END), 6) AS score, count(*) AS n FROM reviews GROUP BY 1"))
+@query(v.sql(v.PAPERS, v.TOKENS, _TYPED, query="SELECT doc_id, pos, grade FROM typed"))
+def cloze_grade(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(_typed(spark, d), "pos")
+
+
+@query(v.sql(v.PAPERS, v.TOKENS, _TYPED, query="SELECT doc_id, count(*) AS n, round(avg(CASE grade WHEN 'exact' THEN 1.0 WHEN 'wrong' THEN 0.0 ELSE 0.5 END), 6) AS score FROM typed GROUP BY 1"))
 def dictation_score(spark: SparkSession, d: str) -> DataFrame:
-    return a.reviews(spark, d).groupBy("headword").agg(F.round(F.avg(F.when(F.col("rating") == 1, 0.0).when(F.col("rating") == 2, 0.5).otherwise(1.0)), 6).alias("score"), F.count("*").alias("n"))
+    return study.dictation_scores(_typed(spark, d), "doc_id").withColumn("score", F.round("score", 6))
 
 
 @query()
 def sentence_grade_lcs(spark: SparkSession, d: str) -> DataFrame:
     typed = F.regexp_replace(F.col("text"), r"\b(the|of)\b ", "")
-    rows = a.table(spark, d, "conversations").select("conv_id", "turn", "text", typed.alias("typed"))
-    return rows.select("conv_id", "turn", F.round(align.sentence_score_udf("text", "typed"), 6).alias("score"))
+    rows = a.table(spark, d, "conversations").select("conv_id", "turn", align.sentence_grade_udf("text", typed).alias("x"))
+    return rows.select("conv_id", "turn", F.round("x.score", 6).alias("score"), F.size("x.extra").alias("extra"))
 
 
 @query()
@@ -393,11 +448,3 @@ def translation_todo(spark: SparkSession, d: str) -> DataFrame:
 def cache_gc(spark: SparkSession, d: str) -> DataFrame:
     c = a.table(spark, d, "conversations")
     return artefacts.in_use(c.filter("role = 'assistant'").select("text").distinct(), c.filter("turn % 2 = 1"), "text")
-
-
-@query("SELECT item_id, length(text) AS chars FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(documents.text, benchmark.text))")
-def quiz_validation(spark: SparkSession, d: str) -> DataFrame:
-    items, docs = a.table(spark, d, "benchmark"), a.table(spark, d, "documents")
-    held = F.col("text").contains(F.col("evidence"))  # the benchmark is small by its nature, and checked to be so
-    used = docs.select("text").join(terms.small(items.select("item_id", F.col("text").alias("evidence")), 10_000), held).select("item_id").distinct()
-    return items.join(used, "item_id", "left_anti").select("item_id", F.length("text").cast("long").alias("chars"))

@@ -19,7 +19,7 @@ pieces AS (SELECT doc_id, id, unnest(list_zip(p, p[2:], p[3:])) AS t FROM (SELEC
 near AS (SELECT doc_id, id, lower(t[1]) AS x, lower(t[3]) AS y FROM pieces WHERE length(t[2]) = 1 AND regexp_matches(t[1], '^[A-Za-z]{2}') AND regexp_matches(t[3], '^[A-Za-z]{2}')),
 doubles AS (SELECT near.doc_id, id, x, y FROM near JOIN voc w ON w.doc_id = near.doc_id AND w.w = x || substr(y, 2) JOIN voc b ON b.doc_id = near.doc_id AND b.w = x JOIN voc c ON c.doc_id = near.doc_id AND c.w = y
   WHERE substr(x, -1) = substr(y, 1, 1) AND least(b.c, c.c) <= 2)"""
-_PAPER = v.PAPERS, v.LINES, v.ANNOTATED, v.SECTIONS
+_PAPER = v.PAPERS, v.LINES, v.ANNOTATED, v.SECTIONS, v.REFERENCES
 
 
 def _texts(sections: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ of_body AS (SELECT doc_id, count(DISTINCT id) AS doubled FROM doubles JOIN secti
 paper AS (SELECT s.doc_id, count(*) FILTER (kind = 'body') AS sections, coalesce(sum(size) FILTER (kind = 'body'), 0) AS sentences, coalesce(sum(pua), 0) AS pua, coalesce(sum(garbled), 0) AS garbled, coalesce(sum(refs) FILTER (kind = 'front'), 0) AS refs, coalesce(sum(size) FILTER (kind = 'front'), 0) AS abstract,
   coalesce(sum(long) FILTER (kind = 'body'), 0) AS long, coalesce(sum(short) FILTER (kind = 'body'), 0) AS short, coalesce(sum(glued) FILTER (kind = 'body'), 0) AS glued, min(n) FILTER (kind = 'body') AS first_body, coalesce(any_value(doubled), 0) AS doubled
   FROM sections s LEFT JOIN per ON per.doc_id = s.doc_id AND per.section = s.n LEFT JOIN of_body b ON b.doc_id = s.doc_id GROUP BY 1),
-cited AS (SELECT DISTINCT s.doc_id, CASE WHEN r.n % 5 = 0 THEN 'figure:' || (r.n % 9 + 1) ELSE 'table:' || (r.n % 4 + 1) END AS key FROM rows3 r JOIN sections s ON s.doc_id = r.doc_id AND s.n = r.sec WHERE NOT r.opens AND s.kind = 'body' AND r.n % 5 < 2),
+cited AS (SELECT DISTINCT s.doc_id, key FROM refs JOIN rows3 r ON r.doc_id = refs.doc_id AND r.n = refs.n JOIN sections s ON s.doc_id = r.doc_id AND s.n = r.sec WHERE NOT r.opens AND s.kind = 'body'),
 numbered AS (SELECT *, list_transform(string_split(number, '.'), lambda y: CAST(y AS INT)) AS p, list_transform(string_split(lag(number) OVER w, '.'), lambda y: CAST(y AS INT)) AS q FROM sections WHERE kind = 'body' AND regexp_matches(title, '^[0-9]') WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
 issues AS (SELECT doc_id, 'major' AS level, 'few_sections' AS code, CAST(NULL AS BIGINT) AS section, CAST(sentences AS BIGINT) AS n FROM paper WHERE sections <= 3 AND sentences >= 120
   UNION ALL SELECT doc_id, 'major', 'doubled_text', NULL, doubled FROM paper WHERE sentences > 0 AND doubled / sentences > 0.05 UNION ALL SELECT doc_id, 'major', 'pua', NULL, pua FROM paper WHERE pua > 0
@@ -183,9 +183,9 @@ def paper_sort_nulls_last(spark: SparkSession, d: str) -> DataFrame:
 # --- outlines and edits ----------------------------------------------------------------------------------------------
 
 
-@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query="SELECT doc_id, n, CASE WHEN n % 5 = 0 THEN 'figure:' || (n % 9 + 1) WHEN n % 5 = 1 THEN 'table:' || (n % 4 + 1) END AS key FROM annotated QUALIFY key IS NULL OR row_number() OVER (PARTITION BY doc_id, key ORDER BY n) = 1"))
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, v.FIRST_REFERENCE, query="SELECT doc_id, n, key FROM annotated LEFT JOIN first_refs USING (doc_id, n) QUALIFY key IS NULL OR row_number() OVER (PARTITION BY doc_id, key ORDER BY n) = 1"))
 def figure_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _as_long(papers.first_labels(a.annotated(spark, d).select("doc_id", "n", "body"), F.get(text.figure_keys(F.col("body")), F.lit(0))).select("doc_id", "n", "key"), "n")
+    return _as_long(papers.first_labels(a.annotated(spark, d).select("doc_id", "n", "body"), text.first_figure_key(F.col("body"))).select("doc_id", "n", "key"), "n")
 
 
 @query(v.sql(_LINES, query="SELECT page, line, sum(CASE WHEN up > 0.025 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y, line) AS chain FROM (SELECT *, y - lag(y) OVER (PARTITION BY page ORDER BY y, line) AS up FROM marks)"))
@@ -209,26 +209,39 @@ def sections_renamed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pasted(spark: SparkSession, d: str) -> DataFrame:
-    """Lines with headings put in: every seventh is a Markdown one, every seventh a numbered one."""
-    line = F.when(F.col("n") % 7 == 1, F.concat(F.lit("## "), F.substring("line", 1, 20))).when(F.col("n") % 7 == 4, "2.1 Setup of parts").otherwise(F.col("line"))
+    """Lines with headings put in: every seventh is a Markdown one, every seventh a numbered one, and a word is broken over
+    every fifth and sixth of seven."""
+    m = F.col("n") % 7
+    line = F.when(m == 1, F.concat(F.lit("## "), F.substring("line", 1, 20), F.lit(" #"))).when(m == 4, "2.1 Setup of parts").when(m == 5, F.concat("line", F.lit(" inter-"))).when(m == 6, F.concat(F.lit("national "), "line")).otherwise(F.col("line"))
     return files.headings(_as_long(a.lines(spark, d), "n").withColumn("line", line))
 
 
-@query(v.sql(v.PAPERS, v.LINES, "p AS (SELECT doc_id, n, trim(CASE n % 7 WHEN 1 THEN '## ' || substr(line, 1, 20) WHEN 4 THEN '2.1 Setup of parts' ELSE line END, ' ') AS line FROM lines)", r"w AS (SELECT *, len(regexp_split_to_array(line, '\s+')) AS words, lag(line) OVER o AS before, lead(line) OVER o AS after FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY n))",
-    query=r"SELECT * FROM (SELECT doc_id, n, CASE WHEN regexp_matches(line, '^#{1,3}\s+\S') THEN length(regexp_extract(line, '^#+', 0)) WHEN words > 12 OR regexp_matches(line, '[.!?,;:]$') OR NOT regexp_matches(line, '[A-Za-z]') THEN NULL WHEN regexp_matches(line, '^\d+(\.\d+)*\.?\s+[A-Z]') THEN least(len(string_split(regexp_extract(line, '^\d+(\.\d+)*', 0), '.')), 3) WHEN coalesce(before, '') = '' AND (after = '' OR regexp_matches(after, '^[A-Z]')) AND words <= 8 AND regexp_matches(line, '^[A-Z0-9]') THEN 1 END AS level FROM w) WHERE level IS NOT NULL"))
+_PASTED = r"""p AS (SELECT doc_id, n, trim(CASE n % 7 WHEN 1 THEN '## ' || substr(line, 1, 20) || ' #' WHEN 4 THEN '2.1 Setup of parts' WHEN 5 THEN line || ' inter-' WHEN 6 THEN 'national ' || line ELSE line END, ' ') AS line FROM lines),
+w AS (SELECT *, len(regexp_split_to_array(line, '\s+')) AS words, lag(line) OVER o AS before, lead(line) OVER o AS after FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY n)),
+levels AS (SELECT doc_id, n, line, CASE WHEN regexp_matches(line, '^#{1,3}\s+\S') THEN length(regexp_extract(line, '^#+', 0)) WHEN words > 12 OR regexp_matches(line, '[.!?,;:]$') OR NOT regexp_matches(line, '[A-Za-z]') THEN NULL
+  WHEN regexp_matches(line, '^\d+(\.\d+)*\.?\s+[A-Z]') THEN least(len(string_split(regexp_extract(line, '^\d+(\.\d+)*', 0), '.')), 3) WHEN coalesce(before, '') = '' AND (coalesce(after, '') = '' OR regexp_matches(after, '^[A-Z]')) AND words <= 8 AND regexp_matches(line, '^[A-Z0-9]') THEN 1 END AS level FROM w)"""
+
+
+@query(v.sql(v.PAPERS, v.LINES, _PASTED, query=r"SELECT doc_id, n, level, CASE WHEN regexp_matches(line, '^#{1,3}\s+\S') THEN regexp_replace(regexp_replace(line, '^#+\s+', ''), '\s*#*$', '') ELSE line END AS heading FROM levels WHERE level IS NOT NULL"))
 def pasted_outline(spark: SparkSession, d: str) -> DataFrame:
-    return _pasted(spark, d).filter("level is not null").select("doc_id", "n", "level")
+    return _pasted(spark, d).filter("level is not null").select("doc_id", "n", "level", "heading")
 
 
-@query()
+@query(v.sql(v.PAPERS, v.LINES, _PASTED, "g AS (SELECT *, count(level) OVER o AS section, count(*) FILTER (line = '' OR level IS NOT NULL) OVER o AS paragraph FROM levels WINDOW o AS (PARTITION BY doc_id ORDER BY n))",
+    query=r"SELECT doc_id, section, paragraph, regexp_replace(string_agg(line, ' ' ORDER BY n), 'inter- national', 'international', 'g') AS text FROM g WHERE level IS NULL AND line <> '' GROUP BY 1, 2, 3"))
 def pasted_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return papers.pasted_paragraphs(_pasted(spark, d))
 
 
-@query(r"""SELECT doc_id, CASE WHEN line <> '' AND len(string_split(line, ' ')) <= 12 AND NOT regexp_matches(line, '[.!?]$') THEN line WHEN words <> '' THEN array_to_string(string_split(words, ' ')[1:8], ' ') ELSE 'Untitled' END AS title
-  FROM (SELECT doc_id, trim(regexp_replace(regexp_extract(text, '^\s*([^\n]*)', 1), '\s+', ' ', 'g'), ' ') AS line, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS words FROM documents)""")
+@query()
+def pasted_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(papers.pasted_sentences(_pasted(spark, d)), "section", "k")
+
+
+@query(r"""SELECT doc_id, CASE WHEN line <> '' AND len(regexp_split_to_array(line, '\s+')) <= 12 AND NOT regexp_matches(line, '[.!?]$') THEN regexp_replace(line, '^#{1,3}\s+(\S.*?)\s*#*$', '\1') WHEN line <> '' THEN array_to_string(regexp_split_to_array(line, '\s+')[1:8], ' ') ELSE 'Untitled' END AS title
+  FROM (SELECT doc_id, trim(regexp_extract(CASE doc_id % 3 WHEN 0 THEN '## ' || substr(text, 1, 30) || ' #' || chr(10) ELSE '' END || text, '^\s*([^\r\n]*)', 1), ' ') AS line FROM documents)""")
 def title_inferred(spark: SparkSession, d: str) -> DataFrame:
-    return a.table(spark, d, "documents").select("doc_id", text.title(F.lit(" "), F.col("text")).alias("title"))
+    return a.table(spark, d, "documents").select("doc_id", text.title(F.lit(" "), F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("## "), F.substring("text", 1, 30), F.lit(" #\n"))).otherwise(""), "text")).alias("title"))
 
 
 @query(v.sql(v.PAPERS, v.LINES, query=r"SELECT doc_id, n, regexp_replace(line, '[\x{0700}-\x{0DFF}]+', '', 'g') || 'μ α' AS cleaned FROM lines"))
@@ -245,15 +258,26 @@ def unicode_compatible(spark: SparkSession, d: str) -> DataFrame:
 # --- learning aids ---------------------------------------------------------------------------------------------------
 
 
-@query()
+_CITED_SQL = r"\s*\([^()]*\b(19|20)\d\d[a-z]?\b[^()]*\)|\s*\[\d+(\s*[,–-]\s*\d+)*\]"
+_CLOZE = f"""pieces AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS p FROM conversations),
+heads AS (SELECT DISTINCT conv_id, turn, p, CASE WHEN x LIKE '%s' AND x NOT LIKE '%ss' THEN substr(x, 1, length(x) - 1) ELSE x END AS headword FROM (SELECT conv_id, turn, p, lower(unnest(list_filter(p, lambda x: length(x) >= 9))) AS x FROM pieces)),
+stems AS (SELECT *, CASE WHEN length(headword) > 4 THEN regexp_replace(headword, '[ey]$', '') ELSE headword END AS stem, list_transform(p, lambda x: lower(x)) AS low FROM heads),
+places AS (SELECT *, coalesce(list_position(list_transform(low, lambda x: x IN (headword, headword || 's', headword || 'es', headword || 'd', headword || 'ed', headword || 'ing')), true),
+  list_position(list_transform(low, lambda x: starts_with(x, stem) AND length(x) - length(stem) <= 4), true)) AS spot FROM stems),
+sides AS (SELECT conv_id, turn, headword, p[spot] AS answer, regexp_replace(array_to_string(p[1:spot - 1], ''), '{_CITED_SQL}', '', 'g') AS b, regexp_replace(array_to_string(p[spot + 1:], ''), '{_CITED_SQL}', '', 'g') AS c FROM places WHERE spot > 0)"""
+
+
+@query(v.sql(_CLOZE, query=r"""SELECT conv_id, turn, headword, CASE WHEN length(b) > 110 THEN '… ' || regexp_replace(right(b, 90), '^\S*\s', '') ELSE b END AS before, answer, CASE WHEN length(c) > 110 THEN regexp_replace(left(c, 90), '\s\S*$', '') || ' …' ELSE c END AS after FROM sides"""))
 def cloze_questions(spark: SparkSession, d: str) -> DataFrame:
-    """Each turn of a conversation with its first word of five letters or more left out."""
-    word = F.regexp_extract("text", "[A-Za-z]{5,}", 0)
-    rows = a.table(spark, d, "conversations").select("conv_id", "turn", text.cloze_parts(F.col("text"), word, F.lit(None).cast("string")).alias("p"), "role").filter("p is not null")
-    return rows.select("conv_id", "turn", text.cloze_context(F.col("p")).alias("c")).select("conv_id", "turn", "c.before", "c.answer", "c.after")
+    """Each turn of a conversation with each of its words of nine letters or more left out, one at a time."""
+    words = F.filter(text.pieces(F.col("text"), text.LETTERS), lambda x: F.length(x) >= 9)
+    heads = F.array_distinct(F.transform(words, lambda w: text.term_key(F.lower(w))))
+    asked = a.table(spark, d, "conversations").select("conv_id", "turn", "text", F.explode(heads).alias("headword"))
+    parts = asked.select("conv_id", "turn", "headword", text.cloze_parts(F.col("text"), F.col("headword"), F.lit(None).cast("string")).alias("p")).filter("p is not null")
+    return parts.select("conv_id", "turn", "headword", text.cloze_context(F.col("p")).alias("c")).select("conv_id", "turn", "headword", "c.before", "c.answer", "c.after")
 
 
-@query()
+@query("SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_-]+|[^A-Za-z0-9_-]+'), lambda x: CASE WHEN lower(x) = 'the' THEN 'thee' WHEN x = 'a' THEN 'ay' ELSE x END), '') AS spoken FROM conversations")
 def pronunciation_rules(spark: SparkSession, d: str) -> DataFrame:
     return a.table(spark, d, "conversations").select("conv_id", "turn", text.apply_rules(F.col("text"), [("the", "thee", False), ("a", "ay", True)]).alias("spoken"))
 

@@ -9,8 +9,16 @@ PAPERS = """papers AS (SELECT substr(sha256(text), 1, 8) AS paper_id, doc_id, so
 LINES = """lines AS (SELECT doc_id, n, parts[n] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM papers)))"""
 ANNOTATED = """annotated AS (SELECT *, CASE WHEN section % 2 = 0 THEN CAST(top AS VARCHAR) ELSE CAST(top AS VARCHAR) || '.1' END AS number, CASE WHEN section % 2 = 0 THEN 1 ELSE 2 END AS level,
   line || CASE WHEN n % 2 = 0 THEN ' [' || n || ']' ELSE ' (Smith et al., ' || (2000 + n % 20) || ')' END
-    || CASE WHEN n % 5 = 0 THEN ' as in Fig. ' || (n % 9 + 1) || '.' WHEN n % 5 = 1 THEN ' see Table ' || (n % 4 + 1) || '.' ELSE '' END AS body
+    || CASE WHEN n % 5 = 0 THEN ' as in Fig. ' || (n % 9 + 1) || '.' WHEN n % 5 = 1 THEN ' see Table ' || (n % 4 + 1) || '.'
+      WHEN n % 7 = 2 THEN ' by Figs. ' || (n % 4 + 1) || '-' || (n % 9 + 1) || '(b), ' || (n % 4 + 1) || ' and A' || (n % 9 + 1)
+      WHEN n % 7 = 3 THEN ' of Eqs. (' || (n % 9 + 1) || ')–(' || (n % 4 + 1) || 'c) here' ELSE '' END AS body
   FROM (SELECT doc_id, n, line, (n - 1) % 3 = 0 AS opens, (n - 1) // 3 AS section, ((n - 1) // 3) // 2 + 1 + CASE WHEN doc_id % 7 = 0 AND (n - 1) // 3 >= 4 THEN 1 ELSE 0 END AS top FROM lines))"""
+_NUM = r"(?:[A-Z]-?\d+|\d+)(?:\([a-z]\)|[a-z]\b)?"
+REFERENCE = rf"\b(?:Fig(?:ure)?s?\.?|FIG(?:URE)?S?\.?|Tables?|TABLES?|Tabs?\.|Eq(?:uation)?s?\.?)\s*\(?{_NUM}\)?(?:\s*(?:,|and|&|–|-|to)\s*\(?{_NUM}\)?)*"
+REFERENCES = rf"""refs AS (SELECT DISTINCT doc_id, n, CASE lower(r[1]) WHEN 'f' THEN 'figure:' WHEN 't' THEN 'table:' ELSE 'equation:' END || regexp_replace(x, '^([A-Z])(\d)', '\1-\2') AS key
+  FROM (SELECT doc_id, n, r, unnest(regexp_extract_all(r, '[A-Z]-?\d+|\d+')) AS x FROM (SELECT doc_id, n, unnest(regexp_extract_all(body, '{REFERENCE}')) AS r FROM annotated)))"""
+FIRST_REFERENCE = rf"""first_refs AS (SELECT doc_id, n, CASE lower(r[1]) WHEN 'f' THEN 'figure:' WHEN 't' THEN 'table:' ELSE 'equation:' END || regexp_replace(regexp_extract(r, '[A-Z]-?\d+|\d+', 0), '^([A-Z])(\d)', '\1-\2') AS key
+  FROM (SELECT doc_id, n, regexp_extract(body, '{REFERENCE}', 0) AS r FROM annotated) WHERE r <> '')"""
 SECTIONS = """rows3 AS (SELECT *, section + 1 AS sec FROM annotated),
 sections AS (SELECT doc_id, sec AS n, level, number, CASE WHEN sec = 1 AND doc_id % 2 = 0 THEN 'front' WHEN sec > 12 THEN 'back' ELSE 'body' END AS kind, CASE WHEN sec = 4 AND doc_id % 5 = 0 THEN 'Abstract' ELSE number || ' ' || substr(line, 1, 40) END AS title FROM rows3 WHERE opens),
 sentences AS (SELECT doc_id, sec AS section, (n - 1) % 3 AS k, body AS text FROM rows3 WHERE NOT opens)"""
@@ -23,3 +31,15 @@ STOPS = ", ".join(f"'{w}'" for w in STOP)
 
 def sql(*views: str, query: str) -> str:
     return "WITH " + ",\n".join(views) + "\n" + query
+
+
+def undone(w: str, rules: list[tuple[str, str]]) -> str:
+    """`text._undone` in SQL: the word and what is left of it by the rules."""
+    forms = []
+    for suffix, put in rules:
+        k = len(suffix)
+        if put == "2":
+            forms.append(f"CASE WHEN {w} LIKE '%{suffix}' AND length({w}) > {k + 2} AND substr({w}, -{k + 1}, 1) = substr({w}, -{k + 2}, 1) THEN substr({w}, 1, length({w}) - {k + 1}) END")
+        else:
+            forms.append(f"CASE WHEN {w} LIKE '%{suffix}'{' AND ' + w + ' NOT LIKE ' + repr('%ss') if suffix == 's' else ''} THEN substr({w}, 1, length({w}) - {k}) || '{put}' END")
+    return f"list_concat([{w}], list_filter([{', '.join(forms)}], lambda x: x IS NOT NULL AND length(x) >= 2))"

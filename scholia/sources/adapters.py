@@ -24,24 +24,24 @@ STOP = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    context = spark.sparkContext
-    context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # for Python workers of a local session
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    # texts in fewer splits than there are cores are few: dealing them out costs little beside reading their words on one core
-    if name in ("documents", "conversations") and df.rdd.getNumPartitions() < context.defaultParallelism:
-        df = df.repartition(context.defaultParallelism)
-    return df
+    if spark.sparkContext.master.startswith("local"):  # its Python workers; a cluster gets the package with the job
+        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paper_id, doc_id, folder, lang, title, text): a paper for each distinct text, whose copy with the smallest id counts.
 
-    The id is the first 8 hex digits of the text's SHA-256. Copies are found by a partial aggregate of the ids alone.
+    The id is the first 8 hex digits of the text's SHA-256. Copies are found by a partial aggregate of hashes and row places
+    alone, each text being hashed once; of rows that repeat an id and a text, the first in its file counts.
     """
-    docs = table(spark, sf_dir, "documents").filter("text is not null and trim(text) <> ''")
-    first = docs.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id"))
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null and text is not null and trim(text) <> ''")
+    row = docs.withColumns({"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")})
+    place = F.struct("doc_id", "file", "row")
+    first = row.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(place).alias("p")).select("sha", "p.file", "p.row")
     title = F.substring_index("text", "\n", 1)
-    return docs.join(first, "doc_id", "left_semi").select(F.substring(F.sha2("text", 256), 1, 8).alias("paper_id"), "doc_id", F.col("source").alias("folder"), "lang", F.substring(title, 1, 60).alias("title"), "text")
+    named = row.join(first, ["file", "row"])
+    return named.select(F.substring("sha", 1, 8).alias("paper_id"), "doc_id", F.col("source").alias("folder"), "lang", F.substring(title, 1, 60).alias("title"), "text")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,14 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = F.floor(k / 2) + 1 + F.when((F.col("doc_id") % 7 == 0) & (k >= 4), 1).otherwise(0)
     number = F.when(k % 2 == 0, top.cast("string")).otherwise(F.concat(top.cast("string"), F.lit("."), F.lit("1")))
     cite = F.when(F.col("n") % 2 == 0, F.concat(F.lit(" ["), F.col("n").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit(" (Smith et al., "), (2000 + F.col("n") % 20).cast("string"), F.lit(")")))
-    figure = F.when(F.col("n") % 5 == 0, F.concat(F.lit(" as in Fig. "), (F.col("n") % 9 + 1).cast("string"), F.lit("."))).when(F.col("n") % 5 == 1, F.concat(F.lit(" see Table "), (F.col("n") % 4 + 1).cast("string"), F.lit("."))).otherwise("")
+    i, j = (F.col("n") % 9 + 1).cast("string"), (F.col("n") % 4 + 1).cast("string")
+    figure = (
+        F.when(F.col("n") % 5 == 0, F.concat(F.lit(" as in Fig. "), i, F.lit(".")))
+        .when(F.col("n") % 5 == 1, F.concat(F.lit(" see Table "), j, F.lit(".")))
+        .when(F.col("n") % 7 == 2, F.concat(F.lit(" by Figs. "), j, F.lit("-"), i, F.lit("(b), "), j, F.lit(" and A"), i))
+        .when(F.col("n") % 7 == 3, F.concat(F.lit(" of Eqs. ("), i, F.lit(")–("), j, F.lit("c) here")))
+        .otherwise("")
+    )
     return (
         lines(spark, sf_dir)
         .withColumn("opens", (F.col("n") - 1) % 3 == 0)

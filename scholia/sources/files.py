@@ -35,18 +35,31 @@ def import_texts(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["id"]).join(catalog.select("id"), "id", "left_anti").select("id", "title", "text")
 
 
+#: Words of a heading at most, words of one without a number at most, and the deepest level.
+MOST_WORDS, MOST_LONE, DEEPEST = 12, 8, 3
+
+
 def headings(text_lines: DataFrame) -> DataFrame:
-    """Adds level to lines (doc_id, n, line) of pasted text: 1 to 3 for headings, else null. Markdown headings by their
-    hashes; of other short lines (up to 12 words, no final punctuation, some letter) numbered ones by their dots, and
-    isolated ones of up to eight words as level 1."""
+    """Adds level and heading to lines (doc_id, n, line) of pasted text; both are null where a line is no heading.
+
+    Markdown's hashes give the level themselves. Any other heading is short, names something and doesn't end like a
+    sentence or a clause. If it begins with a section number and a capital, the number's parts give the level; without
+    one it stands alone between a blank line (or the start) and a blank line or a capital.
+    """
     w = Window.partitionBy("doc_id").orderBy("n")
-    line, before, after = F.trim("line"), F.trim(F.lag("line").over(w)), F.trim(F.lead("line").over(w))
-    words = F.size(F.split(line, r"\s+"))
-    short = (words <= 12) & ~line.rlike(r"[.!?,;:]$") & line.rlike("[A-Za-z]")
-    hashes, number = F.length(F.regexp_extract(line, r"^(#{1,3})\s+\S", 1)), F.regexp_extract(line, r"^(\d+(?:\.\d+)*)\.?\s+[A-Z]", 1)
-    alone = (before.isNull() | (before == "")) & ((after == "") | after.rlike("^[A-Z]")) & (words <= 8) & line.rlike("^[A-Z0-9]")
-    level = F.when(hashes > 0, hashes).when(~short, None).when(number != "", F.least(F.size(F.split(number, r"\.")), F.lit(3))).when(alone, 1)
-    return text_lines.withColumn("level", level.cast("int"))
+    line = F.trim("line")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    capital = lambda c: (F.substring(F.trim(c), 1, 1) != F.lower(F.substring(F.trim(c), 1, 1)))
+    words = F.split(line, r"\s+")
+    hashes, rest = F.length(F.regexp_extract(line, "^#*", 0)), F.regexp_extract(line, r"^#+\s+(\S.*?)\s*#*$", 1)
+    number = F.regexp_replace(words[0], r"\.$", "")
+    parts = F.when(F.forall(F.split(number, r"\."), lambda x: x.rlike("^[0-9]+$")), F.size(F.split(number, r"\.")))
+    phrase = (F.size(words) <= MOST_WORDS) & ~F.substring(line, -1, 1).isin(*".!?,;:") & line.rlike("[A-Za-z]")
+    lone = blank(F.lag("line").over(w)) & (blank(F.lead("line").over(w)) | capital(F.lead("line").over(w)))
+    plain = F.when(parts.isNotNull() & F.coalesce(capital(words[1]), F.lit(False)), F.least(parts, F.lit(DEEPEST))).when(lone & (F.size(words) <= MOST_LONE) & (capital(line) | line.rlike("^[0-9]")), 1)
+    level = F.when(hashes.between(1, DEEPEST) & (rest != ""), hashes).when(phrase, plain)
+    out = text_lines.withColumn("level", level.cast("int"))
+    return out.withColumn("heading", F.when(F.col("level").isNotNull(), F.coalesce(F.nullif(rest, F.lit("")), line)))
 
 
 def read_progress(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,9 @@ def one(spark, column, **values):
     ("The stroke is 7 μm at 300 K.", "The stroke is 7 micrometers at 300 kelvin."), ("Fluence 5 J/cm² and 20 °C.", "Fluence 5 joules per square centimeter and 20 degrees Celsius."),
     ("The error was 0.15 rad² at λ/14.", "The error was 0.15 radians squared at lambda over 14."), ("In the 1990s a 3 s run.", "In the 1990s a 3 seconds run."),
     ("Peak of ±5 V.", "Peak of plus or minus 5 volts."), ("Section 2 N-type.", "Section 2 N-type."),
+    ("Stroke of 7μm, 10 MHz, 3 × 10⁴ m, 5 cm⁻²", "Stroke of 7 micrometers, 10 megahertz, 3 times 10 to the 4 m, 5 centimeters to the minus 2"),
+    ("A load of 3 N at 2 × 10⁻³ m/s, 90° and 5 kHz-wide", "A load of 3 newtons at 2 times 10 to the minus 3 m per second, 90 degrees and 5 kHz-wide"),
+    ("x² + (a)³ + T⁴, 4 h", "x squared + (a) cubed + T to the 4, 4 hours"), ("Δ of 5 mN", "delta of 5 millinewtons"),
 ])
 def test_pronounce(spark, said, want):
     assert one(spark, text.pronounce(F.col("t")), t=said) == want
@@ -25,11 +28,18 @@ def test_pronounce(spark, said, want):
 @pytest.mark.parametrize(("said", "keys"), [
     ("as shown in Fig. 3(a) and Figs. 4 and 5.", ["figure:3", "figure:4", "figure:5"]), ("Figure A-1 shows it.", ["figure:A-1"]),
     ("see Table 2 and Eq. (3).", ["table:2", "equation:3"]), ("the figure shows", []),
+    ("Figs. 3-5 and 7, 8", ["figure:3", "figure:5", "figure:7", "figure:8"]), ("Fig. 3, and 4", ["figure:3"]), ("Eqs. (1)–(3a) & (4) hold for 5.", ["equation:1", "equation:3", "equation:4"]),
+    ("Fig. 3. Then 4 and Fig. 3", ["figure:3"]), ("FIGURE 2 | B1 Tables A1, 2", ["figure:2", "table:A-1", "table:2"]),
 ])
 def test_figure_keys(spark, said, keys):
     assert one(spark, text.figure_keys(F.col("t")), t=said) == keys
 
 
+@pytest.mark.parametrize(("label", "key"), [("Fig. 3", "figure:3"), ("FIGURE 2 |", "figure:2"), ("Table 1", "table:1"), ("Eq. (3)", "equation:3"), ("Fig. A-1", "figure:A-1"), ("fig. A1", "figure:A-1"), ("Eq. (unnumbered)", None), ("", None)])
+def test_label_key(spark, label, key):
+    assert one(spark, text.label_key(F.col("t")), t=label) == key
+
+
 @pytest.mark.parametrize(("typed", "grade"), [("actuators", "exact"), ("Actuator", "form"), ("actuater", "near"), ("mirror", "wrong"), ("", "wrong"), ("stopped", "wrong")])
 def test_cloze(spark, typed, grade):
     assert one(spark, text.cloze_grade(F.col("t"), F.lit("actuators"), F.lit("actuator")), t=typed) == grade
@@ -57,21 +67,25 @@ def test_lookup(spark):
 def test_sentences():
     said = "It is presented in Fig. 2. The material properties are listed in Table 1. In vector form, Eq. (1) can be rewritten. Modes are shown in Figs. 5(a) and 5(b)."
     assert [s.split()[-1] for s in align.split_sentences(said)] == ["2.", "1.", "rewritten.", "5(b)."]
-    assert len(align.split_sentences("It was cooled to 300 K. The end.")) == 2
+    assert align.split_sentences("It was cooled to 300 K. The end came at 5 nm. We stop.") == ["It was cooled to 300 K.", "The end came at 5 nm.", "We stop."]
+    assert align.split_sentences("It was better. [4] An idea follows. [6, 11] Another, by J. Doe et al. Then (b) and (c).") == ["It was better. [4]", "An idea follows. [6, 11]", "Another, by J. Doe et al. Then (b) and (c)."]
+    assert align.split_sentences('He said "Stop." Then it ended ( ). X.') == ['He said "Stop."', "Then it ended ( ). X."]
     assert align.split_sentences(None) == []
 
 
 def test_sentence_grade():
     assert [align.word_grade(t, "mirrors") for t in ("Mirrors", "mirror", "xx", "")] == ["ok", "near", "ng", "ng"]
-    marks, score = align.sentence_grade("a bc dd e", "a bc e more")
-    assert marks == ["ok", "ok", "ng", "ok"]
-    assert score == 0.75
-    assert align.sentence_grade("", "x") == ([], 0.0)
+    assert align.word_grade("stopped", "stop") == "near"
+    assert align.sentence_grade("The mirrors are deformed by the actuator", "the mirror ar deformed an actuator quickly") == (["ok", "near", "near", "ok", "ng", "ng", "ok"], ["an", "quickly"], 4 / 7)
+    assert align.sentence_grade("a bc dd e", "a bc e more") == (["ok", "ok", "ng", "ok"], ["more"], 0.75)
+    assert align.sentence_grade("", "x") == ([], ["x"], 0.0)
 
 
-def test_expansion():
-    assert align.expansion("DM", "We use a deformable mirror ") == "deformable mirror"
-    assert align.expansion("AO", "with no such words ") is None
+def test_expansions(spark):
+    said = "They are micro-electro-mechanical systems ( MEMSs ). We use a deformable mirror (DM). With no such words (AO); the adaptive (AO) one. " + "far " * 100 + "of the Optical Path Difference (OPD)"
+    found = one(spark, text.expansions(F.col("t"), ["the", "of"]), t=said)
+    assert [(r.acronym, r.expansion) for r in found] == [("MEMS", "micro-electro-mechanical systems"), ("DM", "deformable mirror"), ("OPD", "Optical Path Difference")]
+    assert one(spark, text.expansions(F.col("t"), []), t="") == []
 
 
 def slow_replay(answers):
@@ -205,7 +219,7 @@ def test_speech_risks(spark):
     assert {(r.risk, r.example) for r in quality.speech_risks(said, ["AO"]).collect()} == {("mixed", "M4"), ("equation", "(equation)"), ("symbol", "²"), ("acronym", "M4"), ("acronym", "ADS")}
 
 
-@pytest.mark.parametrize(("raw", "want"), [("seen (Smith et al., 2020; Lee 2019a) [3, 4] .", "seen."), ("the Observatory⁴˒⁵, of 0.15 rad²", "the Observatory, of 0.15 rad²"), ("tests⁴ and (not a cite)", "tests and (not a cite)")])
+@pytest.mark.parametrize(("raw", "want"), [("seen (Smith et al., 2020; Lee 2019a) [3, 4] .", "seen."), ("the Observatory⁴˒⁵, of 0.15 rad²", "the Observatory, of 0.15 rad²"), ("tests⁴ and (not a cite)", "tests and (not a cite)"), ("open ( in 2020 [3–5] [a] (x (2020) y)", "open ( in 2020 [a] (x y)"), ("", ""), ("a [ 3 ] b", "a [ 3 ] b")])
 def test_speech(spark, raw, want):
     assert one(spark, text.speech(F.col("t")), t=raw) == want
 
@@ -213,11 +227,13 @@ def test_speech(spark, raw, want):
 def test_text_functions(spark):
     assert one(spark, text.clean(F.col("t")), t="5 \uf06dm \u0711\u0712x") == "5 μm x"
     assert one(spark, align.nfkc_udf("t"), t="ﬁeld ｘ m²") == "field x m²"
-    assert [one(spark, text.title(F.lit(None), F.col("t")), t=x) for x in ("\n A  title \nmore", "Ends here.\nx", "", "a b c d e f g h i j k l m")] == ["A title", "Ends here. x", "Untitled", "a b c d e f g h"]
+    assert [one(spark, text.title(F.lit(None), F.col("t")), t=x) for x in ("\n A  title \nmore", "Ends here.\nx", "", "a b c d e f g h i j k l m")] == ["A  title", "Ends here.", "Untitled", "a b c d e f g h"]
+    assert one(spark, text.title(F.lit(None), F.col("t")), t="## A heading ##\nmore") == "A heading"
     assert [one(spark, text.section_level(F.col("t")), t=x) for x in ("", "2", "2.1", "2.1.3.4")] == [1, 1, 2, 3]
     assert [one(spark, text.is_back_matter(F.col("t")), t=x) for x in ("References", "Acknowledgments", "Referencess", "Results")] == [True, True, False, False]
     assert [one(spark, text.page_heading(F.col("t"), F.lit(size), F.lit(bold), F.lit(10.0)), t=x) for x, size, bold in (("Big", 11.0, True), ("Big", 11.0, False), ("2. Results", 9.0, True), ("plain words", 9.5, True))] == [True, False, True, False]
-    assert [one(spark, text.slug(F.col("t")), t=x) for x in ("2.1 A/B test!", "日本", "x" * 70)] == ["2-1-A-B-test", "section", "x" * 60]
+    assert [one(spark, text.slug(F.col("t")), t=x) for x in ("2.1 A/B test!", "日本", "x" * 70)] == ["2_1_A_B_test", "section", "x" * 60]
+    assert [one(spark, text.heading_speech(F.col("n"), F.col("t")), n=n, t=t) for n, t in (("2.1", "BIG THINGS"), ("", "Small"))] == ["Section 2.1. Big Things.", "Small."]
     assert one(spark, text.scrub(F.col("t")), t="at /home/ann/x and /Users/bo/y") == "at /home/~/x and /Users/~/y"
     assert [one(spark, text.clock(F.col("t")), t=x) for x in (5, 65, 3600, 3725)] == ["0:05", "1:05", "1:00:00", "1:02:05"]
     assert one(spark, text.apply_rules(F.col("t"), [("DM", "mirror", True), ("DMs", "mirrors", False), ("x", "$1", True)]), t="The DM and dms, a DM-x, dm, x.") == "The mirror and mirrors, a DM-x, dm, $1."
@@ -228,14 +244,16 @@ def test_cloze_parts(spark):
     got = [r.p for r in rows.select(text.cloze_parts(F.col("s"), F.col("h"), F.col("q")).alias("p")).collect()]
     assert [p and p.answer for p in got] == ["actuators", "was", "c++", "Studies", None, "mirror"]
     assert got[0][:] == ("The ", "actuators", " move.")
+    assert one(spark, text.example_at(F.from_json("t", "array<struct<s:string,translated:string>>"), F.lit(3))["s"], t='[{"s":"a"},{"s":"b","translated":"x"},{"s":"c","translated":"y"}]') == "c"
+    assert one(spark, text.raised(F.col("t")), t="-1,2") == "⁻¹˒²"
     long = rows.filter("h = 'mirror'").select(text.cloze_context(text.cloze_parts(F.col("s"), F.col("h"), F.col("q"))).alias("c")).first().c
     assert long.before.startswith("… w w")
     assert len(long.before) <= 92
 
 
 def test_papers(spark):
-    page = spark.createDataFrame([(1, 1, "# Top", 1), (1, 2, "A print-through is a de-", None), (1, 3, "formable thing; the print-", None), (1, 4, "through of G-", None), (1, 5, "release.", None), (1, 6, "", None), (1, 7, "Next.", None)], "doc_id int, n int, line string, level int")
-    assert [r.text for r in papers.pasted_paragraphs(page).orderBy("section", "paragraph").collect()] == ["A print-through is a deformable thing; the print-through of G-release.", "Next."]
+    page = spark.createDataFrame([(1, 1, "# Top", 1), (1, 2, "A print-through is a de-", None), (1, 3, "formable thing; the print-", None), (1, 4, "through of G-", None), (1, 5, "release.", None), (1, 6, "", None), (1, 7, "Next.", None), (1, 8, "", None), (1, 9, "the print-", None), (1, 10, "through-", None), (1, 11, "control", None)], "doc_id int, n int, line string, level int")
+    assert [r.text for r in papers.pasted_paragraphs(page).orderBy("section", "paragraph").collect()] == ["A print-through is a deformable thing; the print-through of G-release.", "Next.", "the print-throughcontrol"]
     sections = spark.createDataFrame([(1, i, f"H{i}") for i in range(1, 4)], "doc_id int, n int, title string")
     sentences = spark.createDataFrame([(1, i, 1, f"s{i}") for i in range(1, 4)], "doc_id int, section int, k int, text string")
     rows, left = papers.merge_section(sentences, sections, F.col("n").isin(1, 2))
