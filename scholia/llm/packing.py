@@ -3,7 +3,9 @@
 A document's ids fill whole sequences as far as they go; what remains of it (less than one sequence) waits in its task's
 window. A bounded subset-sum over the multiset of waiting lengths, as bits of an integer, finds the lengths that come
 closest to filling a sequence beside the longest one; walking back gives how many of each length. The pattern is used as
-often as the multiset allows. Tasks pack what they read: no row is shuffled, memory is bounded by the window.
+often as the multiset allows. A full window is packed down to its reserve, whether patterns fill sequences or not: pieces
+of those that don't are chained and cut where a sequence is full. So a task never holds more than the window and one
+sequence, whatever the lengths. Tasks pack what they read: no row is shuffled.
 """
 
 from __future__ import annotations
@@ -79,13 +81,11 @@ def fill(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
 
 def patterns(counts: dict[int, int], capacity: int, leave: int = 0) -> Iterator[tuple[list[tuple[int, int]], int]]:
     """Minimum bin slack: patterns (length, how many) and how often each is used, until at most `leave` pieces are left,
-    which counts then holds; with `leave`, a pattern that doesn't fill the capacity stays as well."""
+    which counts then holds."""
     total = sum(counts.values())
     while total > leave:
         found = fill(counts, capacity)
-        if leave and sum(x * k for x, k in found) < capacity:
-            break
-        times = min(counts[x] // k for x, k in found)
+        times = min(min(counts[x] // k for x, k in found), -(-(total - leave) // sum(k for _, k in found)))
         for x, k in found:
             counts[x] -= k * times
             if not counts[x]:
@@ -95,10 +95,11 @@ def patterns(counts: dict[int, int], capacity: int, leave: int = 0) -> Iterator[
 
 
 class Packer:
-    """One task's packing. A piece is (doc_id, start, doc_tokens, ids)."""
+    """One task's packing. A piece is (doc_id, start, doc_tokens, ids). At most `window` pieces wait, and less than a sequence
+    of cut ones."""
 
-    def __init__(self, task: int, size: int = SEQUENCE):
-        self.size, self.next, self.waiting, self.n = size, task << 33, defaultdict(list), 0
+    def __init__(self, task: int, size: int = SEQUENCE, window: int = WINDOW):
+        self.size, self.next, self.waiting, self.n, self.window = size, task << 33, defaultdict(list), 0, window
         self.rest: list[tuple] = []  # pieces of patterns that don't fill a sequence
         self.more = 0
 
@@ -116,8 +117,8 @@ class Packer:
         if whole < len(ids):
             self.waiting[len(ids) - whole].append((doc, whole, len(ids), ids[whole:].copy()))
             self.n += 1
-            if self.n >= WINDOW:
-                yield from self.pack(RESERVE)
+            if self.n >= self.window:
+                yield from self.pack(self.window * RESERVE // WINDOW)
 
     def pack(self, leave: int = 0) -> Iterator[tuple]:
         for found, times in patterns({k: len(v) for k, v in self.waiting.items() if v}, self.size, leave):
@@ -161,7 +162,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> Dat
 
     Null text counts as empty and gives the end id alone; repeated rows are packed each; an empty table gives no rows.
     A sequence is either full or has the length of a smaller power of two, so none needs padding. Its id is the task's
-    number and a counter: a task that runs again gives the same.
+    number and a counter: a task that runs again gives the same. Texts are tokenized whole, however long, one at a time;
+    other columns of docs, whatever their names, are never read.
     """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -191,4 +193,6 @@ def tokenizer_path() -> str:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 ids, or of a smaller power of two at a task's end. Nulls, empty and
+    long texts, repeated rows, empty tables and further columns are as `pack_documents` defines them."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())

@@ -553,3 +553,29 @@ def test_one_row_of_each_group_stays(spark, docs):
     assert all(got[x] == 1 for x in [(1, a), (2, b), (3, c), (None, d)]) and got[4, None] + got[4, ""] == 1
     twice = corpus_pipeline.drop_near_copies(spark, docs.union(docs), "").groupBy("doc_id").count().collect()
     assert collections.Counter({r.doc_id: r["count"] for r in twice}) == collections.Counter(dict.fromkeys({r.component_id for r in simhash.near_groups(docs).collect()}, 1))
+
+
+@pytest.mark.parametrize("lengths", [lambda rnd: 600, lambda rnd: rnd.integers(520, 1000), lambda rnd: rnd.integers(1, 3000), lambda rnd: 1024, lambda rnd: 341], ids=["600", "520-999", "1-2999", "1024", "341"])
+def test_packing_window_is_bounded(lengths):
+    """No lengths let a window grow, and nothing is padded or lost."""
+    rnd, packer, seen, fill = np.random.default_rng(5), packing.Packer(0, 1024, 512), collections.Counter(), collections.Counter()
+    want = {doc: int(lengths(rnd)) for doc in range(6000)}
+
+    def take(rows):
+        for doc, start, n, _, total, sequence, offset in rows:
+            assert total == want[doc]
+            assert offset == fill[sequence]
+            seen[doc] += n
+            fill[sequence] += n
+
+    most = 0
+    for doc, n in want.items():
+        take(packer.add(doc, np.full(n, doc, "<u4")))
+        most = max(most, packer.n)
+        assert sum(map(len, packer.waiting.values())) == packer.n
+        assert packer.more < 1024
+    assert most <= 512
+    take(packer.end())
+    assert seen == want
+    assert all(n == 1024 or n & n - 1 == 0 for n in fill.values())
+    assert sum(n < 1024 for n in fill.values()) <= 10
