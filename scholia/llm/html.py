@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
-A tolerant parser builds the element tree. Elements that by tag, role or class hold menus, headers, footers, sidebars,
-notices, adverts, forms, comments or no text go first. Each paragraph then passes points for its length and commas to its
+A tolerant parser builds the element tree. Elements that by tag or role hold menus, headers, footers, sidebars, notices,
+adverts, forms, comments or no text go first, and those that by class or id do. A name is taken whole: all its words must be
+words of layout ("ad-banner", but not "share-price"), or links must hold a good part of the text. Each paragraph then passes points for its length and commas to its
 parent, half to the next ancestor, a third to the one above, and so on; a container's score is discounted by the share of
 its text that stands in links. The best container, widened to an article that encloses it, and those of its siblings that
 look like text are kept, block by block.
@@ -25,7 +26,7 @@ BLOCK = frozenset(
 )
 #: Elements that a start tag ends if they are open, up to an element of the second set.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-GONE_TAGS = frozenset("head script style title textarea iframe noembed noframes xmp noscript nav aside footer form button input select option label fieldset dialog template svg canvas object embed audio video menu math".split())
+GONE_TAGS = frozenset("head script style title textarea iframe noembed noframes xmp noscript nav aside footer form button input select option label fieldset dialog template svg canvas object embed audio video menu annotation annotation-xml".split())
 GONE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 GONE_WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer foot bottombar sidebar side aside rail widget widgets "
@@ -33,7 +34,13 @@ GONE_WORDS = frozenset(
     "alert popup modal overlay newsletter subscribe signup login form search comment comments commentlist respond disqus discussion replies reply "
     "share sharing social related recommended pagination pager toolbar skip copyright".split()
 )
-#: Of these, what stays gone even where an article stands in it: a comment or a teaser may be an article too.
+#: What such names have beside these words.
+FILLER = frozenset(
+    "area bar block body bottom box btn button buttons cell center col column container content div elem element first full group head heading holder icon icons id inner item items "
+    "last left link links list main mobile module nested new node outer page panel part post posts primary right row sec secondary section site slot small story stories sub text "
+    "title top unit wrap wrapper zone article articles a in of on the to us your follow feed sticky fixed global js".split()
+)
+#: Of the first, what stays gone even where an article stands in it: a comment or a teaser may be an article too.
 HARD_WORDS = frozenset("comment comments commentlist respond disqus discussion replies reply sidebar related recommended ad ads advert".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -145,21 +152,28 @@ def parse(source: str) -> tuple[Node, list[Node]]:
     return root, nodes
 
 
-def _names(node: Node) -> set[str]:
-    return {w.lower() for k in ("class", "id") for w in _TOKEN.findall(node.attrs.get(k, ""))}
+def _names(node: Node) -> list[set[str]]:
+    """The words of each class and id."""
+    return [{w.lower() for w in _TOKEN.findall(name)} for k in ("class", "id") for name in node.attrs.get(k, "").split()]
+
+
+def _named(node: Node, words: frozenset[str]) -> bool:
+    """Whether a class or id of the node has one of the words and no other than words of layout."""
+    return any(x & words and x <= GONE_WORDS | FILLER for x in _names(node))
 
 
 def boilerplate(node: Node) -> bool:
+    """Whether a node by itself holds no text of an article; what its links tell is left to `main_text`."""
     if node.tag in GONE_TAGS or node.tag in RAW:
         return True
     if not node.attrs or node.tag in ("html", "body", "main"):
         return False
     if node.tag == "article":
-        return bool(_names(node) & HARD_WORDS)
+        return _named(node, HARD_WORDS)
     a = node.attrs
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in GONE_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    return bool(_names(node) & GONE_WORDS)
+    return _named(node, GONE_WORDS)
 
 
 def _lines(node: Node, only: list | None = None) -> list[str]:
@@ -212,7 +226,7 @@ def main_text(source: str | None) -> str:
                     if isinstance(k, Node) and k.tag not in HEADINGS:
                         k.gone = True
                 n.kids = [k for k in n.kids if isinstance(k, Node)]
-        elif boilerplate(n) and (n.tag in GONE_TAGS or id(n) not in holds or id(n) not in leading and _names(n) & HARD_WORDS):
+        elif boilerplate(n) and (n.tag in GONE_TAGS or id(n) not in holds or id(n) not in leading and _named(n, HARD_WORDS)):
             n.gone = True
     blocks: dict[int, tuple[Node, int, int, int]] = {}  # paragraphs: characters, commas, characters in links
     todo: list[tuple] = [(root, root, False)]
@@ -239,8 +253,10 @@ def main_text(source: str | None) -> str:
         if n.parent is not None and not n.gone:
             n.parent.chars += n.chars
             n.parent.linked += n.linked
-    for n in nodes:  # lists that are links and nothing else are menus
-        if n.tag in ("ul", "ol") and not n.gone and n.chars and n.linked / n.chars > 0.9 and sum(isinstance(k, Node) for k in n.kids) >= 3:
+    for n in nodes:  # lists that are links and nothing else are menus; so is what a name hints at and links make out
+        menu = n.tag in ("ul", "ol") and n.chars and n.linked / n.chars > 0.9 and sum(isinstance(k, Node) for k in n.kids) >= 3
+        hinted = n.attrs and n.chars and n.linked / n.chars > 0.3 and id(n) not in holds and any(x & GONE_WORDS for x in _names(n))
+        if not n.gone and n.tag not in ("html", "body", "main", "article") and (menu or hinted):
             n.gone = True
     live = [n for n in nodes if not n.gone and n.chars and n.tag in BLOCK and n.tag not in HEADINGS | {"p", "li", "html"}]
     if not live:
@@ -267,7 +283,8 @@ def main_text(source: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for each row of pages (page_id, url, html)."""
+    """page_id, url, text and n_chars for each row of pages (page_id, url, html); other columns, whatever their names, aren't
+    read. A page is read whole, in one pass and time linear in its length; its tree is what bounds the memory."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
@@ -280,6 +297,6 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's main text. Null and empty html give an empty text; markup without any element gives its text; repeated
+    """Every page's main text, however long. Further columns of the table aren't read. Null and empty html give an empty text; markup without any element gives its text; repeated
     rows are each extracted; an empty table gives no rows."""
     return extract(table(spark, sf_dir, "pages"))
