@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,8 +24,8 @@ from scholia.llm.common import map_rows, table
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
-#: Candidates of a text that are trained on, at most.
-EACH = 8
+#: Bounds of what the fit reads: documents that are sampled (about), and candidates of them.
+SAMPLE, CANDIDATES = 20_000, 50_000
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -89,13 +90,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- candidates beyond the base rules -------------------------------------------------------------------------------
 
 _WIDE = [
-    ("email", re.compile(r"(?<![\w.])[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot )[A-Za-z0-9-]{1,63}){1,5}", re.I)),
-    ("email", re.compile(r"(?<![\w.])[A-Za-z0-9][A-Za-z0-9._-]{0,63} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,5}", re.I)),
+    ("email", re.compile(r"(?<![\w.-])[A-Za-z0-9][A-Za-z0-9._-]*+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot )[A-Za-z0-9-]++)++", re.I)),
+    ("email", re.compile(r"(?<![\w.-])[A-Za-z0-9][A-Za-z0-9._-]*+ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++", re.I)),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}(?![0-9])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\) ?|00[1-9][0-9]{0,2}[ .-])?[0-9]{2,4}[ .-][0-9]{2,4}[ .-][0-9]{2,5}(?![0-9A-Za-z])")),
-    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[A-Z]{4}[0-9A-Z]{12,60}|[a-z]{2,4}_[0-9A-Za-z]{16,80}|[0-9a-f]{16,128})(?![0-9A-Za-z])")),
-    ("secret", re.compile(r"(?<=[=:\"' ])[0-9A-Za-z+/_-]{12,128}={0,2}(?=[\s\"',;.]|$)")),
+    ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[A-Z]{4}[0-9A-Z]{12,}+|[a-z]{2,4}_[0-9A-Za-z]{16,}+|[0-9a-f]{16,}+)(?![0-9A-Za-z])")),
+    ("secret", re.compile(r"(?<=[=:\"' ])[0-9A-Za-z+/_-]{12,}+={0,2}(?=[\s\"',;.]|$)")),
 ]
 #: Gazetteers: words that stand near personal data of a kind.
 NEAR = {
@@ -110,27 +111,39 @@ _WORD = re.compile(r"[^\W\d_][\w-]*")
 LABELERS = ("shape", "checksum", "gazetteer", "assignment", "entropy", "isolated", "mixed")
 
 
-def candidates(text: str) -> list[tuple[str, int, int]]:
-    """Spans that might be personal data and that no base span touches; the first kind in the list wins an overlap."""
+def candidates(text: str, base: list[tuple[str, int, int]] | None = None) -> list[tuple[str, int, int]]:
+    """Spans that might be personal data and that no base span touches; the first pattern in the list wins an overlap. Each
+    pattern's matches are merged with the sorted intervals so far, so that the work is linear in the spans."""
     spelled, digits = re.search(r"[(\[{]at[)\]}]| dot ", text, re.I), _DIGIT.search(text)
     if not spelled and not digits:
         return []
-    taken, out = sorted((a, b) for _, a, b in base_spans(text)), []
+    taken: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in (base_spans(text) if base is None else base)):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    out = []
     for kind, pattern in _WIDE:
         if not (spelled if kind == "email" else digits):
             continue
+        i, new = 0, []
         for m in pattern.finditer(text):
             a, b = m.span()
             if kind != "email" and not _DIGIT.search(m[0]):
                 continue
-            if all(b <= x or a >= y for x, y in taken) and all(b <= x or a >= y for _, x, y in out):
-                out.append((kind, a, b))
+            while i < len(taken) and taken[i][1] <= a:
+                i += 1
+            if i == len(taken) or b <= taken[i][0]:
+                new.append((a, b))
+        if new:
+            out += [(kind, *x) for x in new]
+            taken = sorted(taken + new)  # two sorted runs: linear
     return out
 
 
 def _entropy(s: str) -> float:
-    counts = {c: s.count(c) for c in set(s)}
-    return -sum(n / len(s) * math.log2(n / len(s)) for n in counts.values())
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
 def votes(kind: str, text: str, a: int, b: int) -> list[int]:
@@ -156,18 +169,23 @@ def features(kind: str, text: str, a: int, b: int) -> list[float]:
     return [float(kind == k) for k in KINDS] + [float(v) for v in votes(kind, text, a, b)] + [math.log1p(b - a), sum(map(str.isdigit, s)) / len(s), _entropy(s) / 4]
 
 
+#: What is believed before any candidate is seen: a labeler is right in 7 of 10 votes, and it takes 1.5 such votes more for
+#: than against to accept a span. The classifier's weights are drawn to these by the ridge, so one rule holds for any data.
+RIGHT, OF, NEEDED = 7, 10, 1.5
+_VOTE = math.log(RIGHT / (OF - RIGHT))
+BELIEF = [-NEEDED * _VOTE] + [0.0] * len(KINDS) + [_VOTE] * len(LABELERS) + [0.0] * 3
+
+
 @dataclass
 class SpanModel:
     """What the weak supervision learned: labelers' reliabilities and the classifier's weights."""
 
     reliability: dict[str, float] = field(default_factory=dict)
     prior: float = 0.5
-    weights: list[float] = field(default_factory=list)
+    weights: list[float] = field(default_factory=lambda: list(BELIEF))
     threshold: float = 0.5
 
     def accepts(self, kind: str, text: str, a: int, b: int) -> bool:
-        if not self.weights:
-            return sum(votes(kind, text, a, b)) >= 2
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], features(kind, text, a, b), strict=True))
         return z >= math.log(self.threshold / (1 - self.threshold))
 
@@ -175,67 +193,65 @@ class SpanModel:
 def estimate(v: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, float]:
     """EM over votes (rows x labelers, in -1, 0, 1): posteriors, accuracies of the labelers where they vote, and the
     prior. One-coin model; starts at the majority vote and accuracies of 0.7, which also fixes which class is which."""
-    accuracy, prior = np.full(v.shape[1], 0.7), 0.5
+    accuracy, prior = np.full(v.shape[1], RIGHT / OF), 0.5
     post = np.full(len(v), 0.5)
     for _ in range(rounds):
         weight = np.log(accuracy / (1 - accuracy))
         post = 1 / (1 + np.exp(-np.clip(v @ weight + np.log(prior / (1 - prior)), -30, 30)))
         right = (v == 1).T @ post + (v == -1).T @ (1 - post)
-        accuracy = np.clip((right + 7) / ((v != 0).sum(0) + 10), 0.55, 0.98)
+        accuracy = np.clip((right + RIGHT) / ((v != 0).sum(0) + OF), 0.55, 0.98)
         prior = float(np.clip(post.mean(), 0.05, 0.95)) if len(v) else 0.5
     return post, accuracy, prior
 
 
 def fit(rows: list[tuple[list[int], list[float]]], rounds: int = 300) -> SpanModel:
-    """The span classifier from (votes, features) of candidates, however few: the labelers' prior and the ridge hold it
-    then. Without candidates two votes more for than against decide."""
-    if not rows:
-        return SpanModel()
+    """The span classifier from (votes, features) of candidates, however few: what they don't show stays as believed."""
     rows = sorted(rows)
-    v, x = np.array([r[0] for r in rows], float), np.array([[1.0, *r[1]] for r in rows])
+    belief = np.array(BELIEF)
+    v = np.array([r[0] for r in rows], float).reshape(len(rows), len(LABELERS))
+    x = np.array([[1.0, *r[1]] for r in rows]).reshape(len(rows), len(belief))
     post, accuracy, prior = estimate(v)
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):  # logistic regression on soft labels by Newton's steps, with a ridge
+    w = belief.copy()
+    for _ in range(rounds):  # logistic regression on soft labels by Newton's steps, with a ridge towards the belief
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (post - p) - w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (post - p) - (w - belief))
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return SpanModel(dict(zip(LABELERS, accuracy.tolist(), strict=True)), prior, w.tolist())
 
 
-def some_candidates(text: str) -> list[tuple[str, int, int]]:
-    """Up to EACH of a text's candidates, from anywhere in it, by a hash of text and place."""
-    found = candidates(text)
-    if len(found) <= EACH:
-        return found
-    seed = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-    return sorted(found, key=lambda x: (xxhash.xxh64_intdigest(f"{x[0]}:{x[1]}:{x[2]}", seed), x))[:EACH]
-
-
-def train(docs: DataFrame, sample: int = 20_000) -> SpanModel:
-    """Fits the model on candidates of about `sample` distinct texts at most, chosen by a hash of the text, up to EACH of
-    each text, chosen by a hash of text and place; these bound the texts that are scanned and the votes that reach the
-    driver."""
-    n = docs.count()
-    share = 1.0 if n <= sample else sample / n
-    chosen = docs.select("text").filter("text is not null").withColumn("key", F.xxhash64("text")).filter(F.pmod("key", F.lit(1_000_003)) < int(1_000_003 * share) + 1)
-    chosen = chosen.dropDuplicates(["key"])
+def train(docs: DataFrame, sample: int = SAMPLE, most: int = CANDIDATES) -> SpanModel:
+    """Fits the model on about `sample` documents at most, chosen by a hash of the id (those without an id or a text are
+    passed over), each text once, and of their candidates on those with the `most` least hashes of text and place. So the
+    texts that are scanned and the votes that reach the driver are bounded, whatever copies a text has."""
+    rows = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    share = min(1.0, sample / max(1, docs.count()))
+    places = 1_000_003
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(places)) < int(places * share) + 1)
+    chosen = chosen.withColumn("key", F.xxhash64("text")).dropDuplicates(["key"]).select("text")
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
-            found = [(votes(k, t, a, b), features(k, t, a, b)) for t in batch.column("text").to_pylist() for k, a, b in some_candidates(t)]
-            return {"v": [x[0] for x in found], "x": [x[1] for x in found]}
+            out: dict = {"h": [], "v": [], "x": []}
+            for t in batch.column("text").to_pylist():
+                seed = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+                for k, a, b in candidates(t):
+                    out["h"].append(xxhash.xxh64_intdigest(f"{k}:{a}:{b}", seed) - (1 << 63))
+                    out["v"].append(votes(k, t, a, b))
+                    out["x"].append(features(k, t, a, b))
+            return out
 
         return step
 
-    return fit([(list(r.v), list(r.x)) for r in map_rows(chosen.select("text"), make, "v array<int>, x array<double>").collect()])
+    found = map_rows(chosen, make, "h long, v array<int>, x array<double>").orderBy("h").limit(most)
+    return fit([(list(r.v), list(r.x)) for r in found.collect()])
 
 
 def all_spans(text: str, model: SpanModel) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans; base spans and the model's, by kind as listed, then start."""
     base = base_spans(text)
-    more = [x for x in candidates(text) if model.accepts(x[0], text, x[1], x[2])]
+    more = [x for x in candidates(text, base) if model.accepts(x[0], text, x[1], x[2])]
     return base, sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
@@ -254,7 +270,8 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all) for each document."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all) for each row of docs (doc_id, text), of
+    which no other column is read, whatever its name. Texts are read whole, in time linear in their length and spans."""
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
@@ -286,7 +303,7 @@ def redact_pii(docs: DataFrame, model: SpanModel) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every whole document.
+    """Personal data in every whole document, however long. Further columns of the table aren't read.
 
     Null and empty texts give zero counts, the digest of an empty string and empty spans; repeated rows are each
     reported; an empty table gives no rows.
