@@ -2,7 +2,11 @@
 
 P(grade >= k) = sigmoid(w . x - t_k): one weight vector for all grades and rising thresholds t_1 < t_2 < ...; the
 severity is the expected grade, the sum of these probabilities. x counts a text's distinct words by hashed features: the
-word itself and its first four to six letters, so that other endings of a word are known by its stem.
+word itself and its first four to six letters, so that other endings of a word are known by its stem. Features that tell
+for and against alike take part; a ridge and a lasso penalty choose among them.
+
+The labels are 0 and 1. A toxic text's grade, 1 or 2, comes from a model that hasn't seen it: the sample is halved, each
+half is scored by a binary model of the other, and grade 2 is a margin above the median of the half's toxic texts.
 """
 
 from __future__ import annotations
@@ -16,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.llm.common import cut, map_arrow, map_rows, table
+from scholia.llm.common import map_arrow, map_rows, table
+from scholia.sources.stored import stored
 
-#: Hashed features, those kept for the model at most, and what keeps one: the share of toxic texts that have it, and how
-#: many times as frequent it is there. Other words would only let copies and long texts add up to a false alarm.
-SPACE, KEPT, LEAST, TIMES = 1 << 22, 8192, 0.01, 25
-#: Labelled rows that the fit reads of each class, about.
-SAMPLE = {1: 6000, 0: 6000}
+#: Hashed features, and texts of a class that must have one for it to take part: five, and this share.
+SPACE, LEAST, SHARE = 1 << 22, 5, 0.005
+#: Labelled rows that the fit reads of each class, at most.
+SAMPLE = {1: 3000, 0: 3000}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -43,17 +47,15 @@ class OrdinalModel:
     weights: dict[int, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
 
-    def word_weight(self, word: str) -> float:
-        return sum(self.weights.get(f, 0.0) for f in word_features(word))
-
     def probabilities(self, z: float) -> list[float]:
         return [1 / (1 + float(np.exp(np.clip(t - z, -40, 40)))) for t in self.thresholds]
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> OrdinalModel:
+def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 150, ridge: float = 1.0, lasso: float = 1.0) -> OrdinalModel:
     """Fits weights and thresholds to feature lists (a feature repeats for each word that has it) and whole grades from 0.
 
-    Classes weigh alike. Fewer than two grades give the empty model.
+    The lowest grade weighs as much as all others. The penalties are those of a log loss summed over the rows. Fewer than two grades give the empty
+    model.
     """
     grades = np.asarray(grades)
     if len(grades) == 0 or grades.min() == grades.max():
@@ -64,11 +66,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 400, ridge: fl
     value = np.log1p(np.concatenate([n for _, n in own]))
     steps, total = int(grades.max()), len(rows)
     at_least = grades[:, None] >= np.arange(1, steps + 1)
-    share = np.bincount(grades, minlength=steps + 1) / total
-    weight = (1 / np.maximum((share > 0).sum() * share, 1e-9))[grades][:, None]
+    clean = (grades == grades.min()).mean()
+    weight = np.where(grades == grades.min(), 0.5 / clean, 0.5 / (1 - clean))[:, None]
     w, first, gaps = np.zeros(len(ids)), 0.0, np.zeros(steps - 1)  # thresholds: first, then rising by exp(gaps)
     state = [np.zeros(len(ids) + steps), np.zeros(len(ids) + steps)]
-    for k in range(1, rounds + 1):  # Adam on the mean log loss of the binary events grade >= k
+    for k in range(1, rounds + 1):  # proximal Adam on the mean log loss of the binary events grade >= k
         t = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         z = np.bincount(row, w[col] * value, total)[:, None] - t
         e = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - at_least) / total
@@ -76,30 +78,45 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 400, ridge: fl
         gg = np.exp(gaps) * np.array([gt[i + 1 :].sum() for i in range(steps - 1)])
         g = np.concatenate([np.bincount(col, e.sum(1)[row] * value, len(ids)) + ridge * w / total, [gt.sum()], gg])
         state = [0.9 * state[0] + 0.1 * g, 0.999 * state[1] + 0.001 * g * g]
-        move = 0.1 * (state[0] / (1 - 0.9**k)) / (np.sqrt(state[1] / (1 - 0.999**k)) + 1e-9)
+        pace = 0.1 / (np.sqrt(state[1] / (1 - 0.999**k)) + 1e-9)
+        move = pace * state[0] / (1 - 0.9**k)
         w, first, gaps = w - move[: len(ids)], first - move[len(ids)], gaps - move[len(ids) + 1 :]
+        w = np.sign(w) * np.maximum(np.abs(w) - pace[: len(ids)] * lasso / total, 0)
     t = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-    return OrdinalModel(dict(zip(ids.tolist(), w.tolist(), strict=True)), t.tolist())
+    return OrdinalModel({f: x for f, x in zip(ids.tolist(), w.tolist(), strict=True) if x}, t.tolist())
+
+
+def margin(model: OrdinalModel, row: np.ndarray) -> float:
+    """w . x of a feature list."""
+    return sum(model.weights.get(f, 0.0) * float(np.log1p(n)) for f, n in zip(*(x.tolist() for x in np.unique(row, return_counts=True)), strict=True))
 
 
 def grade(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Severity grades from 0/1 labels: clean 0; toxic texts 1, or 2 where they have more of the features than the median
-    of toxic texts."""
+    """Severity grades from 0/1 labels: clean 0; a toxic text 2 where a binary model of the other half of the rows gives it a
+    margin above the median of its half's toxic texts, else 1."""
     toxic = np.asarray(toxic)
-    found = np.array([len(np.unique(r)) for r in rows])
-    return toxic + (toxic == 1) * (found > np.median(found[toxic == 1])) if toxic.any() else toxic
+    half, out = np.arange(len(rows)) % 2, toxic.copy()
+    for h in (0, 1):
+        mine = np.flatnonzero((half == h) & (toxic == 1))
+        other = np.flatnonzero(half != h)
+        if len(mine):
+            model = fit([rows[i] for i in other], toxic[other])
+            z = np.array([margin(model, rows[i]) for i in mine])
+            out[mine[z > np.median(z)]] = 2
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> OrdinalModel:
-    """Fits the model on about sample[c] labelled documents of each class c, chosen by a hash of the id; texts with equal
-    words count once. Features are counted where the texts are: only the chosen texts' ids are broadcast, and only the
-    features that are kept, and where they occur, reach the driver. Null labels, ids and texts are passed over."""
-    labels = labels.filter("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    """Fits the model on at most sample[c] labelled documents of each class c, chosen by a hash of the id; a document with both
+    labels is toxic, and texts with equal words count once. Features are counted where the texts are; those of the chosen
+    texts that have support reach the driver. Null labels, ids and texts are passed over."""
+    labels = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     sizes = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     places, chosen = 1_000_003, F.lit(False)
     for c, n in sizes.items():
         chosen = chosen | ((F.col("toxic") == c) & (F.pmod(F.xxhash64("doc_id"), F.lit(places)) < int(places * min(1.0, sample[c] / n)) + 1))
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(labels.filter(chosen)), "doc_id")
+    # written first, so that Spark knows how small it is
+    rows = docs.select("doc_id", "text").filter("text is not null").join(stored(labels.filter(chosen)), "doc_id")
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
@@ -108,15 +125,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
 
         return step
 
-    rows = cut(map_rows(rows.select("text", "toxic"), make, "toxic int, x array<int>").withColumn("key", F.xxhash64("x")).dropDuplicates(["toxic", "key"]))
+    found = map_rows(rows.select("text", "toxic"), make, "toxic int, x array<int>").withColumn("key", F.xxhash64("x")).dropDuplicates(["toxic", "key"])
+    found = stored(found)
+    rows = found.filter("toxic = 1").orderBy("key").limit(sample[1]).union(found.filter("toxic = 0").orderBy("key").limit(sample[0]))
+    rows = stored(rows)
     total = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return OrdinalModel()
     seen = rows.select("toxic", F.explode(F.array_distinct("x")).alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    marks = seen.filter((F.col("a") >= max(3, LEAST * total[1])) & ((F.col("a") + 0.5) / total[1] >= TIMES * (F.col("b") + 0.5) / total[0]))
-    kept = np.array(sorted(r.f for r in marks.orderBy(F.desc("a"), "f").limit(KEPT).select("f").collect()), np.int64)
-    if not len(kept):
-        return OrdinalModel()
+    often = (F.col("a") >= max(LEAST, SHARE * total[1])) | (F.col("b") >= max(LEAST, SHARE * total[0]))
+    kept = np.sort(seen.filter(often).select("f").toArrow()["f"].to_numpy().astype(np.int64))
 
     def only(batches):
         for batch in batches:
@@ -149,7 +167,8 @@ def _scorer(model: OrdinalModel):
 
 
 def severity(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """doc_id, severity (the expected grade), p_toxic (of grade 1 or more) and toxic (p_toxic over 0.5) for each row."""
+    """doc_id, severity (the expected grade), p_toxic (of grade 1 or more) and toxic (p_toxic over 0.5) for each row of docs
+    (doc_id, text), of which no other column is read, whatever its name. Texts are read whole, their distinct words once."""
 
     def make():
         score = _scorer(model)
@@ -178,7 +197,7 @@ def keep_clean(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's severity. Null and empty texts have the severity of a text without words; repeated rows are each
+    """Every document's severity. Texts are scored whole, however long; further columns aren't read. Null and empty texts have the severity of a text without words; repeated rows are each
     scored; without labels of both classes all severities are 0; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     return severity(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -227,7 +227,7 @@ def test_ordinal_regression():
         grades.append(min(bad, 3))
     model = toxicity.fit(rows, np.array(grades))
     assert model.thresholds == sorted(model.thresholds)
-    expected = [sum(model.probabilities(sum(model.weights[f] * math.log1p(n) for f, n in collections.Counter(r.tolist()).items()))) for r in rows]
+    expected = [sum(model.probabilities(sum(model.weights.get(f, 0) * math.log1p(n) for f, n in collections.Counter(r.tolist()).items()))) for r in rows]
     assert np.mean(np.abs(np.array(expected) - grades)) < 0.3
     assert toxicity.fit([], np.array([])).probabilities(3) == []
 
@@ -241,6 +241,46 @@ def test_toxicity(spark, sf, docs):
     assert all(got[i] == (i >= 2000) for i, _ in rows)
 
 
+def test_severity_against_plain_version(spark, docs):
+    rng = np.random.default_rng(6)
+    known = sorted({w for r in docs.limit(40).collect() for w in toxicity.words(r.text)})[::3]
+    weights = {f: float(rng.normal()) for w in known for f in toxicity.word_features(w)}
+    model = toxicity.OrdinalModel(weights, [-1.0, 0.5, 2.0])
+    got = {r.doc_id: r for r in toxicity.severity(docs, model).collect()}
+    for r in docs.collect():
+        counts = collections.Counter(zlib.crc32(p.encode()) % toxicity.SPACE for w in set(re.findall(r"[^\W\d_]+", (r.text or "").lower())) for p in ("=" + w, *(w[:n] for n in (4, 5, 6) if len(w) >= n)))
+        z = sum(weights.get(f, 0) * math.log1p(n) for f, n in counts.items())
+        p = [1 / (1 + math.exp(min(max(t - z, -40), 40))) for t in (-1.0, 0.5, 2.0)]
+        assert got[r.doc_id].severity == pytest.approx(sum(p), abs=1e-6)
+        assert got[r.doc_id].toxic == (p[0] > 0.5)
+
+
+def test_toxicity_held_out(spark):
+    """Learned from the labels of two thirds of the ids, on the others."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    mine = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)) > 0
+    model = toxicity.train(docs, labels.filter(mine))
+    rows = toxicity.severity(docs, model).withColumnRenamed("toxic", "found").join(labels.filter(~mine), "doc_id").collect()
+    hit = [r.found for r in rows if r.toxic]
+    false = [r.found for r in rows if not r.toxic]
+    assert len(hit) > 50
+    assert np.mean(hit) >= 0.93  # some texts that are labelled toxic are one word over and over
+    assert np.mean(false) <= 0.01
+    assert any(x < 0 for x in model.weights.values())
+    assert len(model.thresholds) == 2
+
+
+def test_toxicity_bounds(spark):
+    """Neither repeated labels nor repeated ids let the fit read more than its sample."""
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} fine day") for i in range(200)] + [(7, f"nasty fool{chr(97 + i % 26)} {chr(97 + i // 26)}x") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(200) if i != 7] + [(7, 1)] * 50 + [(7, 0)] * 50, "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, {1: 100, 0: 100})
+    got = {r.text: r.toxic for r in toxicity.severity(docs, model).withColumnRenamed("doc_id", "d").join(docs, F.col("d") == docs.doc_id).select("text", "toxic").distinct().collect() if "nasty" in r.text}
+    assert any(got.values())
+    assert toxicity.train(docs, labels.limit(0)).thresholds == []
+
+
 # --- 4 -------------------------------------------------------------------------------------------------------------------
 
 
