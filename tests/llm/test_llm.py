@@ -328,42 +328,120 @@ def test_fill_is_best():
 # --- 5 -------------------------------------------------------------------------------------------------------------------
 
 
+def played(vector, late=0, noise=0.0, seed=0):
+    return chroma.sonify()({"id": seed, "vector": vector, "late": late, "noise": noise})
+
+
 def test_chroma(spark):
     rng = np.random.default_rng(5)
-    play = chroma.sonify()
     songs = [rng.uniform(-0.3, 0.3, 96).tolist() for _ in range(6)]
-    noisy = chroma.encode(chroma.decode(play(songs[0]))[0] + rng.normal(0, 0.02, 96 * 512), 8000)
-    late = play([None] * 16 + songs[1])
-    assert np.bitwise_count(chroma.fingerprint(noisy) ^ chroma.fingerprint(play(songs[0]))).mean() < 4
-    rows = [(100 * i, play(s)) for i, s in enumerate(songs)] + [(1, noisy), (2, late), (3, play(rng.uniform(-0.3, 0.3, 96).tolist())), (4, None)]
+    noisy = played(songs[0], noise=0.02)
+    late = played(songs[1], late=16)
+    assert np.bitwise_count(chroma.fingerprint(noisy) ^ chroma.fingerprint(played(songs[0]))).mean() < 4
+    rows = [(100 * i, played(s)) for i, s in enumerate(songs)] + [(1, noisy), (2, late), (3, played(rng.uniform(-0.3, 0.3, 96).tolist())), (4, None)]
+    rows += [(500, played(songs[5]))] * 2 + [(700, played(songs[5])), (None, played(songs[5])), (None, played(songs[4]))]
     fps = chroma.fingerprints(spark.createDataFrame(rows, "id long, audio binary"))
-    got = {r.id: r for r in chroma.align(fps, fps.filter("id % 100 = 0")).collect()}
+    found = chroma.align(fps, fps.filter("id % 100 = 0"))
+    got = {r.id: r for r in fps.join(found, "fp").collect()}
     assert (got[1].query, got[1].offset) == (0, 0)
     assert (got[2].query, got[2].offset) == (100, 16)
     assert 3 not in got
     assert 4 not in got
     assert all(got[100 * i].query == 100 * i and got[100 * i].errors == 0 for i in range(6))
-    assert len(chroma.fingerprint(play([0.1] * 8))) == 0
-
-
-# --- 6 -------------------------------------------------------------------------------------------------------------------
+    assert (got[700].query, got[700].n_queries, got[0].n_queries) == (500, 2, 1)  # ids 500 and 700, the first of them twice
+    assert got[None].errors == 0
+    assert len(chroma.fingerprint(played([0.1] * 8))) == 0
+
+
+def test_broken_recordings():
+    good = played([0.1, -0.2] * 40)
+    assert len(chroma.fingerprint(good)) > 40
+    for bad in (b"", b"RIFF", b"x" * 100, good[:10], good[:40], good.replace(b"WAVE", b"WOVE"), good[:34] + struct.pack("<H", 24) + good[36:]):
+        assert len(chroma.fingerprint(bad)) == 0
+    assert len(chroma.fingerprint(good[:-1])) > 40
+    wide = chroma.decode(good)[0]
+    for width, dtype, scale, zero in ((1, "u1", 127, 128), (4, "<i4", 2**31 - 1, 0)):
+        import io
+        import wave
+
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((2, width, 8000, 0, "NONE", ""))
+            w.writeframes(np.repeat(wide * scale + zero, 2).astype(dtype).tobytes())
+        assert np.abs(chroma.decode(out.getvalue())[0] - wide).max() < 0.02
+
+
+def slow_align(a, b):
+    """The least share of differing bits of two fingerprints at any offset that overlaps half of the shorter one."""
+    best = (2.0, 0)
+    for o in range(-len(b) + 1, len(a)):
+        lo, hi = max(0, o), min(len(a), o + len(b))
+        if hi - lo >= 0.5 * min(len(a), len(b)):
+            best = min(best, (float(np.bitwise_count(a[lo:hi] ^ b[lo - o : hi - o]).sum()) / (32 * (hi - lo)), o))
+    return best
+
+
+def in_block(fps):
+    return {"ids": np.arange(len(fps)), "starts": np.cumsum([0, *map(len, fps)]), "fp": np.concatenate(fps).astype(np.uint32)}
+
+
+def test_alignment_recall():
+    """Of the pairs that an exhaustive search aligns, `align` finds at least nine in ten; and it aligns no others."""
+    rng = np.random.default_rng(12)
+    songs = [rng.uniform(-0.3, 0.3, 80).tolist() for _ in range(20)]
+    queries = [chroma.fingerprint(played(s)) for s in songs]
+    rows = [chroma.fingerprint(played(songs[i % 20], int(rng.integers(0, 12)), float(rng.choice([0.0, 0.02, 0.05, 0.1, 0.2])), i)) for i in range(120)]
+    slow = {(i, j): slow_align(a, b) for i, a in enumerate(rows) for j, b in enumerate(queries)}
+    want = {p for p, (e, _) in slow.items() if e <= chroma.MOST_ERRORS}
+    got = chroma.align_block(in_block(rows), in_block(queries))
+    found = {(i, q) for i, which in zip(got[0], got[5], strict=True) for q in which}
+    assert len(want) >= 100
+    assert found <= want
+    assert len(found) >= 0.9 * len(want)
+    exact = [abs(e - min(slow[i, q][0] for q in range(20))) < 1e-9 for i, e in zip(got[0], got[3], strict=True)]
+    assert np.mean(exact) > 0.95
 
 
 def test_chroma_short_and_repeated():
-    block = lambda fps: {"ids": np.arange(len(fps)), "starts": np.cumsum([0, *map(len, fps)]), "fp": np.concatenate(fps).astype(np.uint32)}
     rng = np.random.default_rng(8)
     new = lambda n: rng.integers(0, 1 << 32, n, np.uint32)
     for n in (1, 2, 3):
         x = new(n)
-        assert chroma.align_block(block([x]), block([new(n), x])) == ([0], [1], [0], [0.0], [1])
+        assert chroma.align_block(in_block([x]), in_block([new(n), x])) == ([0], [1], [0], [0.0], [1], [[1]])
     x = new(40)
     x[20:26] = x[0]  # the offsets of this run have more hits than the true one
     y = x.copy()
     y[[i for i in range(40) if i not in (0, 20, 21, 22, 23, 24, 25)]] ^= np.uint32(1 << 31)
-    assert chroma.align_block(block([y]), block([x])) == ([0], [0], [0], [33 / (32 * 40)], [1])
+    assert chroma.align_block(in_block([y]), in_block([x]))[:5] == ([0], [0], [0], [33 / (32 * 40)], [1])
     run = np.full(6, x[0], np.uint32)
     a, b = np.concatenate([run, x[6:20], new(3)]), np.concatenate([new(3), run, x[6:20] ^ np.uint32(1 << 31)])
-    assert chroma.align_block(block([b]), block([a]))[2] == [3]
+    assert chroma.align_block(in_block([b]), in_block([a]))[2] == [3]
+
+
+def test_offset_histograms(monkeypatch):
+    """Runs give the hits that pairs of integers do, however few cells are held; and both ways to count errors agree."""
+    rng = np.random.default_rng(21)
+    fps = [np.repeat(rng.integers(0, 4, n, np.uint32) << np.uint32(8), rng.integers(1, 6, n)) for n in rng.integers(1, 12, 40)]
+    rows, queries = fps[:20], fps[20:]
+    block = chroma.Block(in_block(queries))
+    for cells in (1, 200, 1 << 22):
+        monkeypatch.setattr(chroma, "CELLS", cells)
+        for a in rows:
+            q, off = chroma.candidates(a, block)
+            want = set()
+            for j, b in enumerate(queries):
+                hits = collections.Counter(x - y for x in range(len(a)) for y in range(len(b)) if a[x] == b[y])
+                want |= {(j, o) for o, n in hits.items() if n >= min(chroma.HITS, len(a), len(b))}
+            assert set(zip(q.tolist(), off.tolist(), strict=True)) == want
+            few = chroma.judged(a, block, q, off)
+            monkeypatch.setattr(chroma, "MANY", 0)
+            assert chroma.judged(a, block, q, off) == pytest.approx(few)
+            monkeypatch.setattr(chroma, "MANY", 64)
+    silence = [np.zeros(20_000, np.uint32), np.zeros(15_000, np.uint32)]  # 300 million pairs of integers
+    assert chroma.align_block(in_block(silence), in_block(silence))[4] == [2, 2]
+
+
+# --- 6 -------------------------------------------------------------------------------------------------------------------
 
 
 def test_search(spark, docs):
