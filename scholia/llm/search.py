@@ -1,11 +1,12 @@
 """Exact top-k search by BM25 over an inverted index with block-max WAND pruning.
 
 The index is cut into shards of bounded size. Within a shard, documents are ordered so that like ones stand together, and
-each frequent term has the maximum of its scores in every block of BLOCK documents. For a query, the lists of its rare
-terms are scored; a document's upper bound is that partial score and its block's maxima of the frequent terms. The best
-by upper bound are scored wholly, the k-th of them gives the threshold, and only documents whose upper bound reaches it
-(WAND's condition, with block maxima) are scored at all. Term weights use the statistics of the whole corpus, so the
-shards' best k, merged, are exactly the best k of all.
+postings by term and document. Every term has the maximum of its scores in the whole list and in every block of BLOCK
+documents. For a query, the lists' maxima tell first whether any document of the shard can reach the k-th best score so
+far; then the sums of the block maxima give each block's bound. The pivot is the next block in document order whose bound
+reaches that score; only pivots' postings are read, several pivots at a time, and the score to reach rises with them. It
+is carried from shard to shard within a task. Term weights use the statistics of the whole corpus, so the shards' best k,
+merged, are exactly the best k of all.
 """
 
 from __future__ import annotations
@@ -24,9 +25,12 @@ from scholia.llm import blocks
 from scholia.llm.common import cut, map_arrow, table
 
 K1, B, TOP = 1.2, 0.75, 10
-#: Documents and terms that end a shard, documents of a block, queries of a block, and the share of a shard's documents
-#: from which a term counts as frequent and is laid out by document.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERIES, DENSE = 1 << 14, 1 << 21, 16, 1024, 1 / 16
+#: Documents and postings that end a shard, documents of a block, queries of a block, shards that a task goes through.
+SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERIES, SHARDS = 1 << 14, 1 << 21, 64, 1024, 8
+#: Blocks with the greatest bounds, which are read first, and pivots that are read together after them, at first.
+SEEDS, PIVOTS = 4, 16
+#: Scores count to six decimals: what is less than this below the score to reach may still tie with it.
+SLACK = 1.1e-6
 _TERM = re.compile(r"\w+")
 
 
@@ -81,58 +85,105 @@ def index(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, "payload binary, terms array<long>, dfs array<long>, docs long, length long")
 
 
+def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+
+
+class Best:
+    """The best k scores of each query so far, least first; those that aren't there yet are 0."""
+
+    def __init__(self, k: int):
+        self.k, self.scores = k, {}
+
+    def reach(self, query: int) -> float:
+        found = self.scores.get(query)
+        return 0.0 if found is None else float(found[0])
+
+    def add(self, query: int, scores: np.ndarray) -> float:
+        """The score to reach after more scores of a query."""
+        found = self.scores.get(query)
+        if found is None:
+            found = np.zeros(self.k)
+        if len(scores) > self.k:
+            scores = np.partition(scores, len(scores) - self.k)[-self.k :]
+        self.scores[query] = np.sort(np.concatenate([found, scores]))[-self.k :]
+        return float(self.scores[query][0])
+
+
 class Shard:
-    """A shard with its BM25 parts: for each posting, what the term's weight is multiplied by."""
+    """A shard with its BM25 parts: for each posting, what the term's weight is multiplied by; and their maxima by list and
+    by block. `read` and `skipped` count the postings of queries' terms that were scored and that weren't."""
 
     def __init__(self, data: dict[str, np.ndarray], mean: float):
         self.ids, self.null, self.terms, self.starts, self.doc = data["ids"], data["null"], data["terms"], data["starts"], data["doc"].astype(np.int64)
         norm = K1 * (1 - B + B * data["length"] / max(mean, 1e-9))
         tf = data["tf"].astype(np.float64)
         self.part = tf * (K1 + 1) / (tf + norm[self.doc])
-        self.n, df = len(self.ids), np.diff(self.starts)
-        frequent = np.flatnonzero(df > max(DENSE * self.n, 8))
-        self.row = np.full(len(df), -1)
-        self.row[frequent] = np.arange(len(frequent))
-        size = -(-self.n // BLOCK) * BLOCK
-        self.dense = np.zeros((len(frequent), size))
-        for i, t in enumerate(frequent.tolist()):
-            s = slice(self.starts[t], self.starts[t + 1])
-            self.dense[i, self.doc[s]] = self.part[s]
-        self.most = self.dense.reshape(len(frequent), size // BLOCK, BLOCK).max(2)
-
-    def search(self, q: dict[str, np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query of the block: its id, the documents with an id that are among its best k here (with all that tie
-        with the last), and their scores."""
+        self.n, self.df, self.blocks = len(self.ids), np.diff(self.starts), -(-len(self.ids) // BLOCK)
+        of = np.repeat(np.arange(len(self.df), dtype=np.int64), self.df) << 16 | self.doc // BLOCK
+        self.first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.first, len(of)))
+        self.block = (of[self.first] & 0xFFFF).astype(np.uint16)  # so that sorting by it is quick
+        self.most = np.maximum.reduceat(self.part, self.first) if len(of) else np.zeros(0)
+        self.entries = np.searchsorted(self.first, self.starts)  # where a term's blocks begin
+        self.list_most = np.maximum.reduceat(self.part, self.starts[:-1]) if len(of) else np.zeros(0)
+        self.read = self.skipped = 0
+
+    def search(self, q: dict[str, np.ndarray], best: Best) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query of the block: its id, the documents with an id that may be among its best so far, and their scores."""
         at = np.searchsorted(self.terms, q["terms"])
         at[at == len(self.terms)] = 0
         here = self.terms[at] == q["terms"] if len(self.terms) else np.zeros(len(at), bool)
-        of = np.repeat(np.arange(len(q["ids"])), np.diff(q["starts"]))
-        row = np.where(here, self.row[at] if len(self.row) else -1, -1)
-        heavy = np.zeros((len(q["ids"]), len(self.dense)))
-        heavy[of[row >= 0], row[row >= 0]] = q["weights"][row >= 0]
-        bounds = heavy @ self.most
         for i, query in enumerate(q["ids"].tolist()):
-            mine = np.arange(q["starts"][i], q["starts"][i + 1])
-            mine = mine[here[mine] & (row[mine] < 0)]
-            rare = at[mine]
-            n = self.starts[rare + 1] - self.starts[rare]
-            where = np.repeat(self.starts[rare] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            own = np.bincount(self.doc[where], np.repeat(q["weights"][mine], n) * self.part[where], self.n)
-            upper = (own + np.repeat(bounds[i], BLOCK)[: self.n]) * (1 + 1e-9)
-            upper[self.null] = 0  # these can't be found, so they mustn't raise the threshold
-            use = np.flatnonzero(heavy[i])
-            weights = heavy[i, use]
-            live = np.flatnonzero(upper > 0)
-            if len(live) > 4 * k:
-                seeds = np.argpartition(upper, self.n - 4 * k)[-4 * k :]
-                score = own[seeds] + weights @ self.dense[np.ix_(use, seeds)]
-                live = np.flatnonzero((upper >= np.partition(score, 3 * k)[3 * k]) & (upper > 0))
-            score = own[live] + weights @ self.dense[np.ix_(use, live)]
-            live, score = live[score > 0], score[score > 0]
-            if len(live) > k:
-                keep = score >= np.partition(score, len(score) - k)[len(score) - k] * (1 - 1e-9)
-                live, score = live[keep], score[keep]
-            yield query, live, score
+            mine = slice(q["starts"][i], q["starts"][i + 1])
+            term, weight = at[mine][here[mine]], q["weights"][mine][here[mine]]
+            if len(term):
+                found = self._one(query, term, weight, best)
+                if found is not None:
+                    yield query, *found
+
+    def _one(self, query: int, term: np.ndarray, weight: np.ndarray, best: Best) -> tuple[np.ndarray, np.ndarray] | None:
+        reach, total = best.reach(query) - SLACK, int(self.df[term].sum())
+        self.skipped += total
+        if float(weight @ self.list_most[term]) < reach:
+            return None
+        n = self.entries[term + 1] - self.entries[term]
+        entry, own = _ranges(self.entries[term], n), np.repeat(weight, n)
+        order = np.argsort(self.block[entry], kind="stable")
+        entry, own = entry[order], own[order]
+        ends = np.searchsorted(self.block[entry], np.arange(self.blocks + 1))  # a block's entries, in document order
+        bound = np.add.reduceat(np.append(own * self.most[entry], 0.0), ends[:-1]) * (ends[1:] > ends[:-1])
+        docs, scores = [], []
+
+        def score(pivots: np.ndarray) -> float:
+            some = _ranges(ends[pivots], ends[pivots + 1] - ends[pivots])
+            posting, w = _ranges(self.first[entry[some]], self.size[entry[some]]), np.repeat(own[some], self.size[entry[some]])
+            self.read += len(posting)
+            self.skipped -= len(posting)
+            value = np.bincount(self.doc[posting], w * self.part[posting])
+            doc = np.flatnonzero(value >= max(reach, 1e-12))
+            doc = doc[~self.null[doc]]  # those without an id can't be found, so they mustn't raise the score to reach
+            docs.append(doc)
+            scores.append(value[doc])
+            return best.add(query, value[doc]) - SLACK
+
+        open_ = (bound > 0) & (bound >= reach)
+        if open_.sum() > SEEDS:
+            seeds = np.sort(np.argpartition(np.where(open_, bound, 0), self.blocks - SEEDS)[-SEEDS:])
+            reach = max(reach, score(seeds))
+            open_[seeds] = False
+        together, after = PIVOTS, 0
+        while True:
+            pivots = after + np.flatnonzero(open_[after:] & (bound[after:] >= reach))[:together]
+            if not len(pivots):
+                break
+            reach, after, together = max(reach, score(pivots)), int(pivots[-1]) + 1, 2 * together
+        if not docs:
+            return None
+        doc, value = np.concatenate(docs), np.concatenate(scores)
+        keep = value >= reach
+        return doc[keep], value[keep]
 
 
 def query_blocks(docs: DataFrame, df: DataFrame, n_docs: int, at_a_time: int = QUERIES) -> DataFrame:
@@ -162,28 +213,33 @@ def query_blocks(docs: DataFrame, df: DataFrame, n_docs: int, at_a_time: int = Q
 def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best rows of docs (doc_id, text) for each of queries (doc_id, text), itself
     included. Equal scores (to 6 decimals) rank by id. Rows without an id can't be queries nor be found, but count in the
-    statistics; repeated rows are each found; queries without a term, or with none that a document has, give no rows."""
+    statistics; repeated rows are each found; queries without a term, or with none that a document has, give no rows.
+    Texts are indexed and asked whole; other columns, whatever their names, aren't read.
+
+    A block of queries meets every shard, a task going through several: what a task holds is a shard, a block of queries
+    and k scores for each of these.
+    """
     shards = cut(index(docs))
-    stats = shards.agg(F.sum("docs"), F.sum("length")).first()
-    n_docs, mean = stats[0] or 0, (stats[1] or 0) / max(stats[0] or 0, 1)
+    stats = shards.agg(F.count("*"), F.sum("docs"), F.sum("length")).first()
+    n_docs, mean = stats[1] or 0, (stats[2] or 0) / max(stats[1] or 0, 1)
     df = shards.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
     asked = cut(query_blocks(queries, df, n_docs))
-    shard: list = [None, None]
+    state: list = [None, None, None]
 
     def run(block: dict, q: dict) -> pa.RecordBatch:
-        if shard[0] is not block:
-            shard[:] = [block, Shard(block, mean)]
-        s, out = shard[1], ([], [], [])
-        for query, live, own in s.search(q, k):
+        if state[0] is not block:
+            state[:] = [block, Shard(block, mean), state[2] or Best(k)]
+        s, out = state[1], ([], [], [])
+        for query, live, own in s.search(q, state[2]):
             ids, own = s.ids[live], np.round(own, 6)
             order = np.lexsort((ids, -own))[:k]
             out[0].append(np.full(len(order), query))
             out[1].append(ids[order])
             out[2].append(own[order])
-        cols = [np.concatenate(x) for x in out]
+        cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "doc_id", "score"])
 
-    found = blocks.pairs(shards, asked, run, "query_id long, doc_id long, score double")
+    found = blocks.pairs(shards.coalesce(max(1, -(-stats[0] // SHARDS))), asked, run, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

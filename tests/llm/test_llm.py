@@ -463,6 +463,36 @@ def test_search(spark, docs):
         assert {x[1] for x in found} == {i for i, _ in want} or want[-1][1] == pytest.approx(want[-2][1], abs=3e-6)
 
 
+def test_block_max_wand():
+    """Against full scoring, shard after shard: the same best, with postings skipped that can't be among them."""
+    rng = np.random.default_rng(31)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    zipf = 1 / np.arange(1, 751)
+    texts = []
+    for i in range(4000):  # four groups of documents with words of their own
+        texts.append(collections.Counter(rng.choice(vocabulary[i % 4 :: 4], rng.integers(5, 120), p=zipf / zipf.sum()).tolist()))
+    n, mean = len(texts), np.mean([c.total() for c in texts])
+    df = collections.Counter(t for c in texts for t in c)
+    idf = {t: math.log1p((n - x + 0.5) / (x + 0.5)) for t, x in df.items()}
+    shards = [search.Shard(search.build_shard([(i if i % 50 else None, texts[i]) for i in range(a, a + 1000)]), mean) for a in range(0, 4000, 1000)]
+    asked = list(range(1, 4000, 97))
+    terms = [sorted((search._hash(t), idf[t] * m) for t, m in texts[i].items()) for i in asked]
+    q = {"ids": np.array(asked), "starts": np.cumsum([0, *map(len, terms)]), "terms": np.array([h for x in terms for h, _ in x]), "weights": np.array([w for x in terms for _, w in x])}
+    best, found = search.Best(10), collections.defaultdict(list)
+    for s in shards:
+        for query, docs_, scores in s.search(q, best):
+            found[query] += zip(np.round(scores, 6).tolist(), s.ids[docs_].tolist(), strict=True)
+    for i in asked:
+        slow = {j: round(sum(m * idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for t, m in texts[i].items() if c[t]), 6) for j, c in enumerate(texts) if j % 50}
+        want = sorted(((s, j) for j, s in slow.items() if s), key=lambda x: (-x[0], x[1]))[:10]
+        got = sorted(found[i], key=lambda x: (-x[0], x[1]))[:10]
+        assert [j for _, j in got] == [j for _, j in want]
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=2e-6)
+    total = [sum(int(s.df[np.searchsorted(s.terms, h)]) for x in terms for h, _ in x if h in set(s.terms.tolist())) for s in shards[:1]]
+    assert shards[0].read + shards[0].skipped == total[0]
+    assert all(s.skipped > 0.02 * s.read for s in shards)
+
+
 @pytest.mark.parametrize("copies", [15, 200])
 def test_search_passes_over_rows_without_id(spark, copies):
     words = "one two three four five six seven eight nine ten eleven twelve".split()
