@@ -471,8 +471,9 @@ def test_block_max_wand(monkeypatch, size):
     vocabulary = np.array([f"w{i}" for i in range(3000)])
     zipf = 1 / np.arange(1, 751)
     texts = []
-    for i in range(4000):  # four groups of documents with words of their own
-        texts.append(collections.Counter(rng.choice(vocabulary[i % 4 :: 4], rng.integers(5, 120), p=zipf / zipf.sum()).tolist()))
+    for i in range(4000):  # four groups of documents with words of their own, and words that all have
+        own = rng.choice(vocabulary[i % 4 :: 4], rng.integers(5, 120), p=zipf / zipf.sum())
+        texts.append(collections.Counter([*own.tolist(), *rng.choice(["the", "of", "and", "to", "in"], 20).tolist()]))
     n, mean = len(texts), np.mean([c.total() for c in texts])
     df = collections.Counter(t for c in texts for t in c)
     idf = {t: math.log1p((n - x + 0.5) / (x + 0.5)) for t, x in df.items()}
