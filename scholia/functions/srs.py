@@ -69,13 +69,21 @@ def fold_sql(answers: str, spark: bool) -> str:
     return f"list_reduce({answers}, lambda s, x: {step_sql('s', 'x.phase', 'x.last', False)}, {state_sql(*NEW, False)})"
 
 
-def replay(reviews: DataFrame) -> DataFrame:
-    """(headword, phase, step, stability, difficulty, due, last, n) for each headword of reviews (uid, headword, rating,
+def states(reviews: DataFrame) -> DataFrame:
+    """(headword, x: the state after all answers, n: how many) for each headword of reviews (uid, headword, rating,
     reviewed_at). Rows of one uid count once. A headword's log is one learner's answers to one word, which is what bounds
     the array; ties in time go by uid. Ratings outside 1..4 and rows without a time are passed over."""
     seconds = F.unix_micros(F.col("reviewed_at").cast("timestamp")).cast("long")
     valid = reviews.filter("rating between 1 and 4 and reviewed_at is not null and headword is not null").dropDuplicates(["uid"])
     logs = valid.groupBy("headword").agg(F.array_sort(F.collect_list(F.struct(F.floor(seconds / 1_000_000).alias("last"), "uid", "rating"))).alias("log"))
-    return logs.select("headword", F.expr(fold_sql("log", True)).alias("x"), F.size("log").cast("long").alias("n")).select(
-        "headword", "x.phase", "x.step", F.round("x.s", 5).alias("stability"), F.round("x.d", 5).alias("difficulty"), "x.due", "x.last", "n"
-    )
+    return logs.select("headword", F.expr(fold_sql("log", True)).alias("x"), F.size("log").cast("long").alias("n"))
+
+
+def replay(reviews: DataFrame) -> DataFrame:
+    """(headword, phase, step, stability, difficulty, due, last, n) for each headword: `states` spelled out."""
+    return states(reviews).select("headword", "x.phase", "x.step", F.round("x.s", 5).alias("stability"), F.round("x.d", 5).alias("difficulty"), "x.due", "x.last", "n")
+
+
+def preview_sql(state: str, now: str, spark: bool) -> list[str]:
+    """Seconds until a card of a state is due again after each rating, 1 to 4, at `now`."""
+    return [f"({step_sql(state, str(r), now, spark)}).due - {now}" for r in range(1, 5)]
