@@ -10,6 +10,10 @@ from scholia.functions.text import compounds, join_lines, speech, term_key
 from scholia.sources.stored import stored
 
 
+#: Characters of a pronunciation rule's two sides at most.
+MOST_FIND, MOST_PUT = 60, 120
+
+
 def joined(lines: DataFrame, group: str) -> DataFrame:
     """(doc_id, <group>, text): lines (doc_id, n, <group>, line) joined with their hyphens undone. Compounds are those of the
     whole document; a document's own lines are what bounds both arrays."""
@@ -121,6 +125,16 @@ def rename_sections(sections: DataFrame, names: DataFrame) -> DataFrame:
     return sections.join(names, ["doc_id", "n"], "left").withColumn("title", F.when(new != "", new).otherwise(F.col("title"))).select(*sections.columns)
 
 
+def kept_rules(rules: DataFrame) -> DataFrame:
+    """The pronunciation rules (rule_id, find, put, whole_case) that can be used: trimmed, not blank, not too long, the first
+    for what it finds. Whether case counts is as said, or else by whether there is a capital."""
+    find, put = F.trim("find"), F.trim("put")
+    good = rules.withColumn("find", find).withColumn("put", put).filter((F.length("find").between(1, MOST_FIND)) & F.length("put").between(1, MOST_PUT))
+    case = F.coalesce("whole_case", F.col("find") != F.lower("find"))
+    first = good.groupBy("find").agg(F.min(F.struct("rule_id", "put", case.alias("whole_case"))).alias("x"))
+    return first.select("x.rule_id", "find", "x.put", "x.whole_case")
+
+
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     """rows with place, from 1, in one order over the whole table and without a single task for all rows: a range exchange
     sorts, each part counts its rows, and the few counts give each part's start."""

@@ -43,7 +43,7 @@ def blanks(words: DataFrame, key: list[str], level: int, seed: int = 7) -> DataF
     acronym = F.col("word").rlike("^[A-Z0-9]{2,}s?$")
     content = ~F.lower("word").isin(COMMON) & (n >= 3) & (F.lit(level >= 4) | ~acronym)
     rows = words.withColumn("_content", content | F.lit(level >= 5))
-    rows = rows.filter(F.col("_content") | (F.count_if("_content").over(own) == 0))
+    rows = rows.withColumn("_any", F.count_if("_content").over(own)).filter(F.col("_content") | (F.col("_any") == 0))
     if level >= 4:
         return rows.select(*key, "pos", "word")
     by = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key], F.col("pos").cast("string")))

@@ -206,24 +206,11 @@ def undo_last_device_event(spark: SparkSession, d: str) -> DataFrame:
     return logs.undo_last(a.reviews(spark, d), 1).groupBy("device").agg(F.count("*").alias("n"), F.max("reviewed_at").alias("last_at"))
 
 
-@query(v.sql(v.REVIEWS, query="SELECT headword, uid, row_number() OVER (PARTITION BY headword ORDER BY reviewed_at DESC, uid DESC) AS back FROM reviews QUALIFY back <= 3"))
-def vocab_top_examples(spark: SparkSession, d: str) -> DataFrame:
-    return logs.tail(a.reviews(spark, d), "headword", 3, [F.desc("reviewed_at"), F.desc("uid")]).select("headword", "uid", F.col("back").cast("long").alias("back"))
-
-
 @query(v.sql(v.REVIEWS, query="SELECT device, uid, row_number() OVER (PARTITION BY device ORDER BY reviewed_at DESC, uid DESC) AS back FROM reviews QUALIFY back <= 80"))
 def ring_buffer_tail(spark: SparkSession, d: str) -> DataFrame:
     return logs.tail(a.reviews(spark, d), "device", 80, [F.desc("reviewed_at"), F.desc("uid")]).select("device", "uid", F.col("back").cast("long").alias("back"))
 
 
-@query(v.sql(v.REVIEWS, "last20 AS (SELECT headword, rating, row_number() OVER (PARTITION BY headword ORDER BY reviewed_at DESC, uid DESC) AS back FROM reviews QUALIFY back <= 20)",
-    query="SELECT headword, count(*) AS n, round(avg(CASE WHEN rating >= 3 THEN 1.0 WHEN rating = 2 THEN 0.5 ELSE 0.0 END), 6) AS score, CASE WHEN count(*) < 10 THEN 'none' WHEN avg(CASE WHEN rating >= 3 THEN 1.0 WHEN rating = 2 THEN 0.5 ELSE 0.0 END) > 0.9 THEN 'up' WHEN avg(CASE WHEN rating >= 3 THEN 1.0 WHEN rating = 2 THEN 0.5 ELSE 0.0 END) < 0.5 THEN 'down' ELSE 'none' END AS advice FROM last20 GROUP BY 1"))
-def level_advice(spark: SparkSession, d: str) -> DataFrame:
-    score = F.avg(F.when(F.col("rating") >= 3, 1.0).when(F.col("rating") == 2, 0.5).otherwise(0.0))
-    last = logs.tail(a.reviews(spark, d), "headword", 20, [F.desc("reviewed_at"), F.desc("uid")]).groupBy("headword").agg(F.count("*").alias("n"), score.alias("score"))
-    return last.select("headword", "n", F.round("score", 6).alias("score"), F.when(F.col("n") < 10, "none").when(F.col("score") > 0.9, "up").when(F.col("score") < 0.5, "down").otherwise("none").alias("advice"))
-
-
 @query(v.sql(v.PAPERS, v.MARKS, "live AS (SELECT * FROM marks QUALIFY row_number() OVER (PARTITION BY uid ORDER BY updated_at DESC, event_id) = 1)",
     query="SELECT p.paper_id, m.uid, m.note, row_number() OVER (PARTITION BY m.paper ORDER BY m.updated_at, m.uid) AS place, coalesce(m.device <> lag(m.device) OVER (PARTITION BY m.paper ORDER BY m.updated_at, m.uid), true) AS new_header FROM live m LEFT JOIN papers p ON p.doc_id = m.paper WHERE m.deleted = 0"))
 def marks_export_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -394,14 +381,6 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return a.papers(spark, d).select("doc_id", F.posexplode(align.sentences_udf("text"))).select("doc_id", F.col("pos").cast("long").alias("k"), F.col("col").alias("sentence"))
 
 
-@query(v.sql(v.PAPERS, v.TOKENS, f"w AS (SELECT *, md5('7:' || doc_id || ':' || pos) AS h FROM tokens WHERE length(token) >= 3 AND lower(token) NOT IN ({v.STOPS}))",
-    query="SELECT doc_id, pos, token FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY h, pos) <= greatest(1, floor(0.2 * count(*) OVER (PARTITION BY doc_id)))"))
-def blank_selection(spark: SparkSession, d: str) -> DataFrame:
-    w = a.tokens(spark, d).filter((F.length("token") >= 3) & ~F.lower("token").isin(a.STOP)).withColumn("h", F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("pos").cast("string"))))
-    place, n = F.row_number().over(a.over("doc_id", order=[F.col("h"), F.col("pos")])), F.count("*").over(a.Window.partitionBy("doc_id"))
-    return _as_long(w.withColumn("place", place).withColumn("size", n).filter(F.col("place") <= F.greatest(F.lit(1), F.floor(0.2 * F.col("size")))).select("doc_id", "pos", "token"), "pos")
-
-
 _KNOWN = ["AO", "DM", "USA"]
 _HITS = r"""w AS (SELECT doc_id, n, unnest(regexp_extract_all(spoken, '[A-Za-z0-9_À-ÿ]+')) AS x FROM spoken),
 hits AS (SELECT doc_id, 'equation' AS risk, '(equation)' AS x, n FROM (SELECT doc_id, n, unnest(regexp_extract_all(spoken, '\(equation\)')) FROM spoken)

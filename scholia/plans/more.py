@@ -74,32 +74,6 @@ def reference_grouping(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "entry", "n_lines", F.array_join(F.transform("x", lambda i: i["s"]), "|").alias("starts"))
 
 
-@query(v.sql(v.REVIEWS, query="SELECT headword, list(uid ORDER BY reviewed_at DESC, uid DESC)[CAST(count(*) % least(count(*), 3) AS INT) + 1] AS example FROM reviews GROUP BY 1"))
-def example_rotation(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("headword")
-    rows = a.reviews(spark, d).withColumn("n", F.count("*").over(w)).withColumn("back", F.row_number().over(w.orderBy(F.desc("reviewed_at"), F.desc("uid"))))
-    return rows.filter(F.col("back") == F.col("n") % F.least("n", F.lit(3)) + 1).select("headword", F.col("uid").alias("example"))
-
-
-@query("SELECT lower(trim(p_name, ' ')) AS rule_from, min(p_partkey) AS rule_id FROM part WHERE length(trim(p_name, ' ')) <= 60 GROUP BY 1")
-def rule_dedup(spark: SparkSession, d: str) -> DataFrame:
-    name = F.trim("p_name")
-    return a.table(spark, d, "part").filter(F.length(name) <= 60).groupBy(F.lower(name).alias("rule_from")).agg(F.min("p_partkey").alias("rule_id"))
-
-
-@query(v.sql(v.MARKS, query="SELECT uid, updated_at, event_id FROM (SELECT *, lag(updated_at) OVER (PARTITION BY paper ORDER BY updated_at, event_id) AS before FROM marks) WHERE before IS NULL OR updated_at - before >= INTERVAL 6 HOUR"))
-def position_throttle(spark: SparkSession, d: str) -> DataFrame:
-    w = a.over("paper", order=[F.col("updated_at"), F.col("event_id")])
-    rows = a.marks(spark, d).withColumn("before", F.lag("updated_at").over(w))
-    return rows.filter("before is null or updated_at - before >= interval 6 hours").select("uid", "updated_at", "event_id")
-
-
-@query(v.sql(v.REVIEWS, query="SELECT device, count(*) AS n FROM reviews WHERE headword NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150 AND user_id IS NOT NULL) GROUP BY 1"))
-def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
-    gone = a.table(spark, d, "events").filter("event_type = 'error' and value > 150").select(F.col("user_id").alias("headword"))
-    return a.reviews(spark, d).join(gone, "headword", "left_anti").groupBy("device").agg(F.count("*").alias("n"))
-
-
 @query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query="SELECT doc_id, chapter, count(*) AS sections FROM (SELECT doc_id, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS chapter FROM annotated WHERE opens) GROUP BY 1, 2"))
 def chapter_groups(spark: SparkSession, d: str) -> DataFrame:
     s = a.annotated(spark, d).filter("opens").withColumn("chapter", F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).over(a.over("doc_id", order=[F.col("n")])))
