@@ -324,24 +324,27 @@ def sonify(note: int = 512, rate: int = 8000) -> Callable[[dict | None], bytes |
 
 
 def recordings(vectors: DataFrame) -> DataFrame:
-    """(vec_id, sound {id, vector, late, noise}) of vectors (vec_id, embedding): what is played. Of each hundred ids, those that
-    end in 3 are recordings of the hundred's first vector: later by the id's tens, and the noisier the greater these are."""
+    """(vec_id, sound {id, vector, late, noise}) of vectors (vec_id, embedding): what is played of each."""
     i = F.col("vec_id")
-    first = vectors.filter(i % 100 == 0).groupBy(i.alias("first_id")).agg(F.first("embedding", ignorenulls=True).alias("first"))
-    again = F.coalesce(i % 10 == 3, F.lit(False))
-    rows = vectors.select("vec_id", "embedding", F.when(again, i - i % 100).alias("first_id")).join(first, "first_id", "left")
-    tens = F.floor(i % 100 / 10).cast("int")
-    sound = F.struct(i.alias("id"), F.when(again, F.coalesce("first", "embedding")).otherwise(F.col("embedding")).alias("vector"), F.when(again, tens).otherwise(0).alias("late"), F.when(again, tens * 0.01).otherwise(0.0).alias("noise"))
-    return rows.select("vec_id", sound.alias("sound"))
+    return vectors.select("vec_id", F.struct(i.alias("id"), F.col("embedding").alias("vector"), F.lit(0).alias("late"), F.lit(0.0).alias("noise")).alias("sound"))
+
+
+def heard(vectors: DataFrame) -> DataFrame:
+    """The same as somebody records it who starts too early, in a noisy room: by the hundreds of the id up to eleven notes
+    early, and with noise of up to 4 % of full loudness."""
+    i = F.col("vec_id")
+    hundreds = F.floor(F.abs(i) / 100)
+    return vectors.select("vec_id", F.struct(i.alias("id"), F.col("embedding").alias("vector"), (hundreds % 12).cast("int").alias("late"), (hundreds % 5 * 0.01).alias("noise")).alias("sound"))
 
 
 def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of `embeddings`, played (see `recordings`): vec_id, n_frames, fingerprint (hex of the integers), and how it
-    aligns with the recordings whose id is divisible by 100: the best one, its offset and share of differing bits, and how
-    many align (null and 0 where none, as for null and too short vectors). Rows without an id are aligned, but aren't
-    queries; repeated rows are each reported, and a query's count once for each id. Long recordings are taken whole.
-    An empty table gives no rows; further columns aren't read."""
-    fps = stored(fingerprints(recordings(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")), "vec_id", "sound", sonify))
-    found = align(fps, fps.filter("id % 100 = 0"))
+    """Each row of `embeddings`, played: vec_id, n_frames, fingerprint (hex of the integers), and how it aligns with the
+    queries, which are the rows whose id is divisible by 100, as `heard` records them: the best one, its offset and share
+    of differing bits, and how many align (null and 0 where none, as for null and too short vectors). Rows without an id
+    are aligned, but aren't queries; repeated rows are each reported, and a query's count once for each id. Long
+    recordings are taken whole. An empty table gives no rows; further columns aren't read."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    fps = stored(fingerprints(recordings(vectors), "vec_id", "sound", sonify))
+    found = align(fps, fingerprints(heard(vectors.filter("vec_id % 100 = 0")), "vec_id", "sound", sonify))
     size: Column = (F.octet_length("fp") / 4).cast("long")
     return fps.join(found, "fp", "left").select(F.col("id").alias("vec_id"), size.alias("n_frames"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("query").alias("aligned_id"), "offset", F.round("errors", 6).alias("bit_error_rate"), F.coalesce("n_queries", F.lit(0)).alias("n_aligned"))
