@@ -1,11 +1,12 @@
 """SimHash near-dedup by a self-join of binary tries.
 
-Fingerprints within 3 of 64 bits agree wholly in one of four 16-bit blocks. Every distinct fingerprint goes to the four
-groups that its blocks name. A group with more than GROUP of them is dealt again by four 12-bit blocks of its other 48
-bits, and what then is still too large by pairs of chunks: all three steps are exact. Within a group, a binary trie (path
-compressed) is joined with itself: pairs of nodes descend together, differing bits of their known prefixes add up, and a
-pair goes as soon as they exceed the budget, or when its leaves are known to be linked already. A group gives a star for
-each set that it links, never all pairs.
+Fingerprints within the budget of 3 of 64 bits agree wholly in one of four 16-bit blocks. Every distinct fingerprint goes
+to the four groups that its blocks name. A group with more than GROUP of them is dealt again by four blocks of the bits
+that its members needn't share, and so on until groups are small or their bits used up: each step is exact, as a budget of
+n bits leaves one of n + 1 blocks alone, and splits a group by more than it repeats its members. Within a group, a binary
+trie (path compressed) is joined with itself: pairs of nodes descend together, differing bits add up as prefixes get
+longer, and a pair goes as soon as they exceed the budget, or when its leaves are known to be linked already. A group
+gives a star for each set that it links, never all pairs.
 """
 
 from __future__ import annotations
@@ -114,30 +115,31 @@ class Tries:
         """Links all leaves of a group within `budget` bits of each other."""
         near = self.inner[np.bitwise_count(self.fp[self.inner] ^ self.fp[self.inner - 1]) <= budget]
         self._link(near, near - 1)
-        stack = [(self.left[self.inner], self.right[self.inner])]
-        while stack:
-            a, b = stack.pop()
+        n = len(self.inner)
+        stack = [(self.left[self.inner], self.right[self.inner], np.zeros(n, np.int64), np.zeros(n, np.uint64))]
+        while stack:  # pairs of nodes, the bits that differ so far, and the prefix in which they were counted
+            a, b, differ, seen = stack.pop()
             if len(a) > FRONTIER:
                 half = len(a) // 2
-                stack += [(a[:half], b[:half]), (a[half:], b[half:])]
+                stack += [(a[:half], b[:half], differ[:half], seen[:half]), (a[half:], b[half:], differ[half:], seen[half:])]
                 continue
             top = np.maximum(self.bit[a], self.bit[b])
             known = ~((np.uint64(2) << np.maximum(top, 0).astype(np.uint64)) - np.uint64(1))
             known[top < 0] = ~np.uint64(0)
-            differ = np.bitwise_count((self.fp[self.lo[a]] ^ self.fp[self.lo[b]]) & known)
+            differ = differ + np.bitwise_count((self.fp[self.lo[a]] ^ self.fp[self.lo[b]]) & known & ~seen)
             changes = np.concatenate([[0], np.cumsum(self.label[1:] != self.label[:-1])])
             one = (changes[self.hi[a] - 1] == changes[self.lo[a]]) & (changes[self.hi[b] - 1] == changes[self.lo[b]])
             linked = one & (self.label[self.lo[a]] == self.label[self.lo[b]])
             keep = (differ <= budget) & ~linked
-            a, b, top = a[keep], b[keep], top[keep]
+            a, b, top, differ, known = a[keep], b[keep], top[keep], differ[keep], known[keep]
             leaves = top < 0
             if leaves.any():
                 self._link(a[leaves], b[leaves])
-            a, b = a[~leaves], b[~leaves]
+            a, b, differ, known = a[~leaves], b[~leaves], differ[~leaves], known[~leaves]
             if len(a):
                 turn = self.bit[b] > self.bit[a]
                 a, b = np.where(turn, b, a), np.where(turn, a, b)
-                stack.append((np.concatenate([self.left[a - self.n], self.right[a - self.n]]), np.concatenate([b, b])))
+                stack.append((np.concatenate([self.left[a - self.n], self.right[a - self.n]]), np.concatenate([b, b]), np.concatenate([differ, differ]), np.concatenate([known, known])))
 
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
         other = np.flatnonzero(self.label != np.arange(self.n))
@@ -179,38 +181,29 @@ def link_groups(rows: DataFrame, budget: int = BITS) -> DataFrame:
     return map_arrow(rows, run, "a long, b long")
 
 
-def grouped(fps: DataFrame, most: int = GROUP) -> DataFrame:
-    """Rows (key, fp) such that fingerprints within 3 bits share a key, and no key has more than about `most`.
+def grouped(fps: DataFrame, most: int = GROUP, budget: int = BITS) -> DataFrame:
+    """Rows (key, fp) such that fingerprints within `budget` bits share a key, and no key has more than `most`, unless so many
+    differ in no more than its last few bits.
 
     The counts of large groups are written before they are joined: both sides of each join are plain exchanges then.
     """
-
-    def divided(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Rows of the groups that are small enough; those of the others, with the group's size n."""
-        large = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most))
-        if large.isEmpty():
-            return rows, None
-        rows = rows.join(large, "key", "left")
-        return rows.filter("n is null").select("key", "fp"), rows.filter("n is not null")
-
-    def bits(at, width: int):
-        return F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-
-    blocks = [F.lit(t << 16).cast("long") + bits(16 * t, 16) for t in range(4)]
-    small, large = divided(fps.select(F.explode(F.array(*blocks)).alias("key"), "fp"))
-    if large is None:
-        return small
-    block = F.shiftright("key", 16).cast("int")
-    rest = F.when(block == 0, bits(16, 48)).when(block == 1, F.shiftleft(bits(32, 32), 16) + bits(0, 16)).when(block == 2, F.shiftleft(bits(48, 16), 32) + bits(0, 32)).otherwise(bits(0, 48))
-    twelve = [F.shiftleft("key", 14) + F.lit((1 << 40) + (t << 12)) + F.shiftrightunsigned("rest", 12 * t).bitwiseAND(F.lit(4095).cast("long")) for t in range(4)]
-    less, most_hot = divided(large.withColumn("rest", rest).select(F.explode(F.array(*twelve)).alias("key"), "fp"))
-    if most_hot is None:
-        return small.union(less)
-    chunks = F.ceil(2 * F.col("n") / most).cast("int")
-    chunk = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("chunk"))).alias("other")
-    pairs = most_hot.withColumn("chunks", chunks).withColumn("chunk", chunk).select("key", "fp", "chunk", other)
-    return small.union(less).union(pairs.select(F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")), "fp"))
+    parts = budget + 1
+    rows, width, done = fps.select(F.lit(0).cast("long").alias("key"), "fp", F.col("fp").alias("rest")), 64, None
+    while True:  # rest: the bits that members of a key needn't share
+        n = width // parts
+        low = lambda k: F.lit((1 << k) - 1 if k < 64 else -1).cast("long")
+        block = lambda t: F.shiftrightunsigned("rest", t * n).bitwiseAND(low(n))  # noqa: E731, B023
+        left = lambda t: F.shiftleft(F.shiftrightunsigned("rest", (t + 1) * n) if (t + 1) * n < 64 else F.lit(0).cast("long"), t * n).bitwiseOR(F.col("rest").bitwiseAND(low(t * n)))  # noqa: E731, B023
+        dealt = F.explode(F.array(*[F.struct(F.xxhash64("key", F.lit(t), block(t)).alias("key"), left(t).alias("rest")) for t in range(parts)])).alias("x")
+        rows, width = rows.select("fp", dealt).select("x.key", "fp", "x.rest"), width - n
+        large = None if width < parts else cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key", F.lit(True).alias("large")))
+        if large is None or large.isEmpty():
+            found = rows.select("key", "fp")
+            return found if done is None else done.union(found)
+        marked = rows.join(large, "key", "left")
+        found = marked.filter("large is null").select("key", "fp")
+        done = found if done is None else done.union(found)
+        rows = cut(marked.filter("large").select("key", "fp", "rest"))
 
 
 def edges_of(fps: DataFrame) -> DataFrame:
@@ -247,4 +240,7 @@ def first_rows(docs: DataFrame) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and component of every document. Null and empty texts have fingerprint zero, texts are read whole, rows
+    without an id never name a component, repeated rows are each returned, an empty table gives no rows; further columns,
+    whatever their names, aren't read."""
     return near_groups(table(spark, sf_dir, "documents"))
