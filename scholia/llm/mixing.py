@@ -7,7 +7,7 @@ only where a whole subtree is short. A leaf repeats its documents for whole epoc
 in an order seeded by the epoch, as long as the tokens fit.
 
 The order within a leaf is never built: documents fall into 256 bins by two hex digits of a hash, the bin that the cut
-falls in is divided again, and only what stands in a bin of the last level is ordered, by a window.
+falls in is divided again, and only what stands in a bin of the last level is ordered, by a window over groups of rows that share a place.
 """
 
 from __future__ import annotations
@@ -78,15 +78,16 @@ def budgets(totals: DataFrame, weights: DataFrame, budget: Column, epochs: int =
     return rows.alias("r").join(level3.alias("l"), [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in LEAF], "left").select("r.domain", "r.lang", "r.source", "r.tokens", F.coalesce("target", F.lit(0)).cast("long").alias("target"))
 
 
-def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """(doc_id, domain, lang, source, tokens, copies): how often each row of docs is taken, 0 included.
+def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *keys, domain, lang, source, tokens, copies): how often each row of docs is taken, 0 included.
 
     The budget is share_percent of all tokens. Documents without tokens are taken as often as whole epochs are. Null
     languages and sources form leaves of their own; rows without an id, and rows of one id, share a place in the order
-    and are told apart by their tokens only: those that are equal in both are taken or left together. An empty table
-    gives no rows.
+    and are told apart by their tokens only: those that are equal in both are taken or left together, and weigh as one
+    group in the order, however many they are. An empty table gives no rows. Texts are counted whole; columns other than
+    doc_id, text, lang, source and keys, whatever their names, aren't read.
     """
-    narrow = cut(docs.select("doc_id", domain.alias("domain"), "lang", "source", tokens(F.col("text")).alias("tokens")))
+    narrow = cut(docs.select("doc_id", *keys, domain.alias("domain"), "lang", "source", tokens(F.col("text")).alias("tokens")))
     totals = cut(narrow.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")))
     budget = (totals.agg(F.sum("tokens")).first()[0] or 0) * share_percent // 100
     leaves = budgets(totals, weights(totals.select(*LEAF)), F.lit(budget), epochs)
@@ -96,7 +97,7 @@ def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent:
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     rows = cut(narrow.withColumn("leaf", F.xxhash64(*LEAF, F.isnull("lang"), F.isnull("source"), F.isnull("domain"))).join(leaves.select("leaf", "whole", "part"), "leaf").withColumn("place", place))
     open_rows, parts = rows.filter("part > 0"), []
-    names = ["doc_id", *LEAF, "tokens", "whole"]
+    names = ["doc_id", *keys, *LEAF, "tokens", "whole"]
     parts.append(rows.filter("part <= 0").select(*names, F.lit(0).alias("more")))
     for level in range(LEVELS):
         binned = open_rows.withColumn("bin", F.substring("place", 1 + level * DIGITS, DIGITS))
@@ -106,12 +107,14 @@ def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent:
         binned = binned.drop("part").join(sums, ["leaf", "bin"])
         parts.append(binned.filter("left >= n or left <= 0").select(*names, F.when(F.col("left") >= F.col("n"), 1).otherwise(0).alias("more")))
         open_rows = cut(binned.filter("left > 0 and left < n").withColumnRenamed("left", "part").withColumn("leaf", F.xxhash64("leaf", "bin")).drop("bin", "n"))
-    running = F.sum("tokens").over(Window.partitionBy("leaf").orderBy("place", "tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    parts.append(open_rows.withColumn("upto", running).select(*names, F.when(F.col("upto") <= F.col("part"), 1).otherwise(0).alias("more")))
+    running = F.sum("n").over(Window.partitionBy("leaf").orderBy("place", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    upto = cut(open_rows.groupBy("leaf", "place", "tokens").agg(F.sum("tokens").alias("n")).select("leaf", "place", "tokens", running.alias("upto")))
+    open_rows = open_rows.join(upto, ["leaf", "place", "tokens"])
+    parts.append(open_rows.select(*names, F.when(F.col("upto") <= F.col("part"), 1).otherwise(0).alias("more")))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.select("doc_id", *LEAF, "tokens", (F.col("whole") + F.when(F.col("tokens") > 0, F.col("more")).otherwise(0)).cast("int").alias("copies"))
+    return out.select("doc_id", *keys, *LEAF, "tokens", (F.col("whole") + F.when(F.col("tokens") > 0, F.col("more")).otherwise(0)).cast("int").alias("copies"))
 
 
 def domain_of(source: Column) -> Column:
@@ -120,6 +123,8 @@ def domain_of(source: Column) -> Column:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken. Nulls, empty and long texts, ties and repeated rows, empty tables and further columns
+    are as `mix` defines them."""
     return mix(table(spark, sf_dir, "documents"), domain_of(F.col("source")))
 
 
