@@ -125,6 +125,35 @@ def rename_sections(sections: DataFrame, names: DataFrame) -> DataFrame:
     return sections.join(names, ["doc_id", "n"], "left").withColumn("title", F.when(new != "", new).otherwise(F.col("title"))).select(*sections.columns)
 
 
+#: Fixed value: how a reference begins.
+REFERENCE = r"^(\[\d+\]|\d{1,3}\.\s|\d{1,3}\s+[A-Z])"
+
+
+def references(lines: DataFrame) -> DataFrame:
+    """(doc_id, entry, n_lines, text): the references of lines (doc_id, n, line), from 1. A line that doesn't begin one goes on
+    with the last; the first begins one in any case."""
+    w = Window.partitionBy("doc_id").orderBy("n")
+    rows = lines.withColumn("entry", F.greatest(F.count_if(F.col("line").rlike(REFERENCE)).over(w), F.lit(1)))
+    return joined(rows, "entry").join(rows.groupBy("doc_id", "entry").agg(F.count("*").alias("n_lines")), ["doc_id", "entry"]).select("doc_id", "entry", "n_lines", "text")
+
+
+#: The keys that papers are sorted by.
+SORTS = ["imported", "created", "downloaded", "title", "pages"]
+
+
+def sorted_every_way(metas: DataFrame) -> DataFrame:
+    """(sort, newest, doc_id, place): papers (doc_id, imported, created, downloaded, title, pages) in the order of each key, both
+    ways; unknown values come last either way, titles compare without case. All orders are made by one sort."""
+    number = lambda c: F.unix_date(c).cast("double") if c not in ("title", "pages") else F.col(c).cast("double")
+    value = [F.struct(F.lit(k).alias("sort"), (F.lit(None).cast("double") if k == "title" else number(k)).alias("number"), (F.nullif(F.lower("title"), F.lit("")) if k == "title" else F.lit(None).cast("string")).alias("word")) for k in SORTS]
+    rows = metas.select("doc_id", F.explode(F.array(*value)).alias("v"), ).select("doc_id", "v.*").withColumn("newest", F.explode(F.array(F.lit(True), F.lit(False))))
+    way = lambda c, up: F.when(F.col("newest") != F.lit(up), F.col(c))
+    order = [F.col("sort"), F.col("newest"), (F.col("number").isNull() & F.col("word").isNull()), way("number", True).asc(), way("number", False).desc(), way("word", True).asc(), way("word", False).desc(), F.col("doc_id")]
+    placed = ranked(rows, *order)
+    starts = placed.groupBy("sort", "newest").agg((F.min("place") - 1).alias("before"))
+    return placed.join(F.broadcast(starts), ["sort", "newest"]).select("sort", "newest", "doc_id", (F.col("place") - F.col("before")).alias("place"))
+
+
 def kept_rules(rules: DataFrame) -> DataFrame:
     """The pronunciation rules (rule_id, find, put, whole_case) that can be used: trimmed, not blank, not too long, the first
     for what it finds. Whether case counts is as said, or else by whether there is a capital."""

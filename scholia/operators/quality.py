@@ -147,6 +147,13 @@ def missing_figures(cited: DataFrame, available: DataFrame) -> DataFrame:
     return cited.distinct().join(available.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
 
 
+def first_missing(missing: DataFrame, most: int = 10) -> DataFrame:
+    """(doc_id, key, place): the first missing figures of each paper, by kind and number."""
+    number = F.regexp_extract("key", r"\d+", 0).try_cast("long")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.substring_index("key", ":", 1), number, "key"))
+    return missing.withColumn("place", place).filter(F.col("place") <= most).select("doc_id", "key", "place")
+
+
 def set_scores(truth: DataFrame, found: DataFrame, by: str) -> DataFrame:
     """Precision, recall and F1 to three places of sets of (by, key)."""
     t, f = truth.select(by, "key").distinct().withColumn("t", F.lit(1)), found.select(by, "key").distinct().withColumn("f", F.lit(1))

@@ -129,6 +129,28 @@ def expanded(texts: DataFrame, stop: list[str] = STOP) -> DataFrame:
     return hits.groupBy("doc_id", F.col("x.acronym").alias("acronym")).agg(F.min_by("x.expansion", F.struct("n", "x.at")).alias("expansion"))
 
 
+def with_glossary(asked: DataFrame, found: DataFrame, index: DataFrame) -> DataFrame:
+    """(doc_id, word, headword, match, also) of words asked for in papers (doc_id, word), as found in the dictionary (word,
+    headword, match) or in the glossaries (index: key, doc_id, term, n): a glossary's term where the dictionary has nothing,
+    or only a near word or a part, which then stands in `also`. The paper's own glossary comes first, then that with the
+    greatest count. Words that neither has give no row."""
+    keyed = asked.withColumn("key", term_key(normalise(F.col("word"))))
+    own = index.select("key", "doc_id", F.col("term").alias("own"))
+    most = index.groupBy("key").agg(F.max_by("term", F.struct("n", -F.col("doc_id"))).alias("most"))
+    rows = keyed.join(found, "word", "left").join(own, ["key", "doc_id"], "left").join(most, "key", "left")
+    term, weak = F.coalesce("own", "most"), F.coalesce(F.col("match").isin("near", "part"), F.lit(True))
+    use = weak & term.isNotNull()
+    rows = rows.filter(use | F.col("headword").isNotNull())
+    return rows.select("doc_id", "word", F.when(use, term).otherwise(F.col("headword")).alias("headword"), F.when(use, "term").otherwise(F.col("match")).alias("match"), F.when(use, F.col("headword")).alias("also"))
+
+
+def translated_terms(terms: DataFrame, translations: DataFrame) -> DataFrame:
+    """terms (term, ...) with translated, from translations (term, translated): blank where there is none, or where it is the
+    term itself, whatever its case."""
+    same = F.lower(F.trim("translated")) == F.lower(F.trim("term"))
+    return terms.join(translations, "term", "left").withColumn("translated", F.when(~same, F.col("translated")).otherwise(""))
+
+
 def glossary_index(terms: DataFrame) -> DataFrame:
     """(key, doc_id, term, n): for each term key and document the row with the greatest count."""
     best = F.max(F.struct("n", F.col("word").alias("term"))).alias("best")

@@ -36,16 +36,6 @@ def import_dedup(spark: SparkSession, d: str) -> DataFrame:
     return a.papers(spark, d).select("paper_id", "doc_id", "folder", "lang", "title", F.length("text").cast("long").alias("chars"))
 
 
-@query(v.sql(v.PAPERS, v.LINES, v.MARKS, query="""SELECT p.paper_id, p.folder, coalesce(l.n, 0) AS n_lines, coalesce(m.n, 0) AS n_marks, m.last_at AS last_read
-  FROM papers p LEFT JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1) l USING (doc_id)
-  LEFT JOIN (SELECT paper, count(*) AS n, max(updated_at) AS last_at FROM marks WHERE deleted = 0 GROUP BY 1) m ON m.paper = p.doc_id"""))
-def paper_catalog_join(spark: SparkSession, d: str) -> DataFrame:
-    n = a.lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    m = a.marks(spark, d).filter("deleted = 0").groupBy("paper").agg(F.count("*").alias("n_marks"), F.max("updated_at").alias("last_read"))
-    p = a.papers(spark, d).select("paper_id", "doc_id", "folder").join(n, "doc_id", "left").join(m, F.col("paper") == F.col("doc_id"), "left")
-    return p.select("paper_id", "folder", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_marks", F.lit(0)).alias("n_marks"), "last_read")
-
-
 @query(v.sql(v.PAPERS, v.LINES, query="SELECT doc_id, n, 'p' || n || '_' || length(line) AS item_id, trim(line, ' ') AS spoken FROM lines WHERE trim(line, ' ') <> '' UNION ALL SELECT doc_id, 0, 'h', title || '.' FROM papers"))
 def sentence_items(spark: SparkSession, d: str) -> DataFrame:
     rows = a.lines(spark, d).filter("trim(line) <> ''").select("doc_id", F.col("n").cast("long").alias("n"), F.concat(F.lit("p"), F.col("n").cast("string"), F.lit("_"), F.length("line").cast("string")).alias("item_id"), F.trim("line").alias("spoken"))
@@ -105,12 +95,6 @@ def glossary_index(spark: SparkSession, d: str) -> DataFrame:
     return terms.glossary_index(terms.glossary_words(a.tokens(spark, d), a.dictionary(spark, d)))
 
 
-@query(v.sql(v.PAPERS, v.TOKENS, v.DICTIONARY, _COUNTS, _WORDS, query="""SELECT word, arg_max(doc_id, (n, -doc_id)) AS doc_id, max(n) AS n FROM words GROUP BY word"""))
-def glossary_fallback(spark: SparkSession, d: str) -> DataFrame:
-    found = terms.glossary_words(a.tokens(spark, d), a.dictionary(spark, d))
-    return found.groupBy("word").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id"), F.max("n").alias("n"))
-
-
 #: Candidates of a word by rank, as `terms.ranked_lookup` tries them, and the first that the dictionary has.
 _DERIVED_SQL = ", ".join(f"CASE WHEN key LIKE '%{s_}' AND length(key) - {len(s_)} >= 3 THEN substr(key, 1, length(key) - {len(s_)}) || '{p}' END" for s_, p in text.DERIVED)
 _LOOKUP = rf"""asked AS (SELECT *, lower(regexp_replace(regexp_replace(word, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'), '[''’]s$', '')) AS key FROM (SELECT DISTINCT token AS word FROM tokens)),
@@ -211,14 +195,6 @@ def ring_buffer_tail(spark: SparkSession, d: str) -> DataFrame:
     return logs.tail(a.reviews(spark, d), "device", 80, [F.desc("reviewed_at"), F.desc("uid")]).select("device", "uid", F.col("back").cast("long").alias("back"))
 
 
-@query(v.sql(v.PAPERS, v.MARKS, "live AS (SELECT * FROM marks QUALIFY row_number() OVER (PARTITION BY uid ORDER BY updated_at DESC, event_id) = 1)",
-    query="SELECT p.paper_id, m.uid, m.note, row_number() OVER (PARTITION BY m.paper ORDER BY m.updated_at, m.uid) AS place, coalesce(m.device <> lag(m.device) OVER (PARTITION BY m.paper ORDER BY m.updated_at, m.uid), true) AS new_header FROM live m LEFT JOIN papers p ON p.doc_id = m.paper WHERE m.deleted = 0"))
-def marks_export_rows(spark: SparkSession, d: str) -> DataFrame:
-    w = a.over("paper", order=[F.col("updated_at"), F.col("uid")])
-    rows = logs.live(a.marks(spark, d), "uid").join(a.papers(spark, d).select("doc_id", "paper_id"), F.col("doc_id") == F.col("paper"), "left")
-    return rows.select("paper_id", "uid", "note", F.row_number().over(w).cast("long").alias("place"), F.coalesce(F.col("device") != F.lag("device").over(w), F.lit(True)).alias("new_header"))
-
-
 # --- outlines --------------------------------------------------------------------------------------------------------
 
 

@@ -44,11 +44,6 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(layout.reading_order(rows).select("page", "line", "place"), "place")
 
 
-@query(v.sql(v.PAPERS, v.LINES, v.TOKENS, query="SELECT doc_id, count(*) AS n FROM lines WHERE len(regexp_extract_all(line, '[A-Za-z]+')) >= 4 GROUP BY 1"))
-def practice_eligible(spark: SparkSession, d: str) -> DataFrame:
-    return a.lines(spark, d).filter(F.size(F.regexp_extract_all("line", F.lit("[A-Za-z]+"), F.lit(0))) >= 4).groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 @query(v.sql(v.REVIEWS, query="SELECT headword, count(*) AS n, max(c) / sum(c) > 0.6 AND sum(c) >= 6 AS skewed FROM (SELECT headword, rating, count(*) AS c FROM reviews GROUP BY 1, 2) GROUP BY 1"))
 def answer_position_skew(spark: SparkSession, d: str) -> DataFrame:
     c = a.reviews(spark, d).groupBy("headword", "rating").agg(F.count("*").alias("c"))
@@ -64,17 +59,3 @@ def last_attempt(spark: SparkSession, d: str) -> DataFrame:
 def table_cardinalities(spark: SparkSession, d: str) -> DataFrame:
     one = lambda n: a.table(spark, d, n).agg(F.lit(n).alias("name"), F.count("*").alias("n")).select("name", "n")
     return one("documents").union(one("events")).union(one("pages")).union(one("conversations"))
-
-
-@query(v.sql(v.PAPERS, v.LINES, "g AS (SELECT doc_id, n, line, sum(CASE WHEN regexp_matches(line, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS entry FROM lines)",
-    query="SELECT doc_id, entry, count(*) AS n_lines, string_agg(substr(line, 1, 5), '|' ORDER BY n) AS starts FROM g WHERE entry > 0 GROUP BY 1, 2"))
-def reference_grouping(spark: SparkSession, d: str) -> DataFrame:
-    g = a.lines(spark, d).withColumn("entry", F.sum(F.when(F.col("line").rlike("^[A-Z]"), 1).otherwise(0)).over(a.over("doc_id", order=[F.col("n")])))
-    rows = g.filter("entry > 0").groupBy("doc_id", "entry").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("n", F.substring("line", 1, 5).alias("s")))).alias("x"))
-    return rows.select("doc_id", "entry", "n_lines", F.array_join(F.transform("x", lambda i: i["s"]), "|").alias("starts"))
-
-
-@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, query="SELECT doc_id, chapter, count(*) AS sections FROM (SELECT doc_id, sum(CASE WHEN level = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS chapter FROM annotated WHERE opens) GROUP BY 1, 2"))
-def chapter_groups(spark: SparkSession, d: str) -> DataFrame:
-    s = a.annotated(spark, d).filter("opens").withColumn("chapter", F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).over(a.over("doc_id", order=[F.col("n")])))
-    return s.groupBy("doc_id", "chapter").agg(F.count("*").alias("sections"))

@@ -174,12 +174,6 @@ def file_match(spark: SparkSession, d: str) -> DataFrame:
     return a.papers(spark, d).select("paper_id", "doc_id", *key).join(files_, ["size", "sha"]).select("paper_id", "doc_id", "size", "oldest", "files")
 
 
-@query(v.sql(v.PAPERS, query="SELECT row_number() OVER (ORDER BY nullif(lower(lang), 'de') DESC NULLS LAST, lower(title), doc_id) AS place, doc_id FROM papers"))
-def paper_sort_nulls_last(spark: SparkSession, d: str) -> DataFrame:
-    key = [F.nullif(F.lower("lang"), F.lit("de")).desc_nulls_last(), F.lower("title"), F.col("doc_id")]
-    return papers.ranked(a.papers(spark, d).select("doc_id", "lang", "title"), *key).select("place", "doc_id")
-
-
 # --- outlines and edits ----------------------------------------------------------------------------------------------
 
 
