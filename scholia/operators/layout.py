@@ -1,10 +1,18 @@
-"""Page geometry: lines in tables, captions near graphics, wide lines, reading order. All joins are within a page."""
+"""Page geometry: rows of fragments, lines in tables, captions near graphics, reading order, and papers made of laid-out lines.
+All joins are within a page."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scholia.functions import text
+from scholia.operators.papers import joined
+
+#: How much smaller than the body small print is; how far from a page's ends a margin reaches, and on how many
+#: pages a line must stand there; by how much a run's size and height may change; how much of a row is mathematics.
+SMALL, MARGIN, TIMES, SIZE_STEP, MATH = 0.4, 0.08, 3, 0.3, 0.5
+
 
 def outside(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """Lines (page, line, x, y: centres) whose centre is in none of the page's boxes (page, x0, y0, x1, y1)."""
@@ -14,13 +22,35 @@ def outside(lines: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def nearest_graphic(captions: DataFrame, boxes: DataFrame, band: float) -> DataFrame:
-    """(page, line, box, gap): for each caption (page, line, x, y) the closest box above it within the band that spans its x."""
-    b = boxes.select(F.col("page").alias("p"), "box", "x0", "x1", "y1")
-    gap = F.col("y") - F.col("y1")
-    near = captions.join(b, (F.col("page") == F.col("p")) & F.col("x").between(F.col("x0"), F.col("x1")) & gap.between(0, band))
+    """(page, line, box, gap): for each caption (page, line, x0, x1, y0, y1) the closest box (page, box, x0, x1, y0, y1) above or
+    below it within the band that it shares some width with."""
+    b = boxes.select(F.col("page").alias("p"), "box", *[F.col(c).alias(f"b{c}") for c in ("x0", "x1", "y0", "y1")])
+    gap = F.greatest(F.col("y0") - F.col("by1"), F.col("by0") - F.col("y1"))
+    near = captions.join(b, (F.col("page") == F.col("p")) & (F.col("x0") <= F.col("bx1")) & (F.col("bx0") <= F.col("x1")) & gap.between(0, band))
     return near.groupBy("page", "line").agg(F.min(F.struct(gap.alias("gap"), "box")).alias("b")).select("page", "line", "b.box", "b.gap")
 
 
+def equation_rows(rows: DataFrame) -> DataFrame:
+    """Rows (page, n, y0, y1, math: share of mathematical signs) that are equations: mathematics, and no prose beside them."""
+    prose = rows.filter(F.col("math") < MATH).select(F.col("page").alias("p"), F.col("y0").alias("py0"), F.col("y1").alias("py1"))
+    beside = (F.col("page") == F.col("p")) & (F.col("y0") < F.col("py1")) & (F.col("py0") < F.col("y1"))
+    return rows.filter(F.col("math") >= MATH).join(prose, beside, "left_anti")
+
+
+def rows_of_fragments(fragments: DataFrame, height: float, gap: float) -> DataFrame:
+    """(page, row, y, x0, x1, text): fragments (page, n, x0, x1, y, text) of one height joined from left to right, with a space
+    where at least `gap` is free between them. A fragment that is printed over the same one doesn't count again."""
+    w = Window.partitionBy("page").orderBy("y", "x0", "n")
+    rows = fragments.withColumn("row", F.count_if(F.coalesce(F.col("y") - F.lag("y").over(w) > height, F.lit(True))).over(w))
+    in_row = Window.partitionBy("page", "row").orderBy("x0", "n")
+    again = (F.lag("text").over(in_row) == F.col("text")) & (F.col("x0") < F.lag("x1").over(in_row))
+    rows = rows.withColumn("again", F.coalesce(again, F.lit(False))).filter("not again")
+    space = F.when(F.col("x0") - F.lag("x1").over(in_row) >= gap, " ").otherwise("")
+    rows = rows.withColumn("piece", F.concat(space, "text"))
+    parts = rows.groupBy("page", "row").agg(F.min("y").alias("y"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_sort(F.collect_list(F.struct("x0", "n", "piece"))).alias("p"))
+    return parts.select("page", "row", "y", "x0", "x1", F.trim(F.array_join(F.transform("p", lambda i: i["piece"]), "")).alias("text"))
+
+
 def single_column(lines: DataFrame, wide: float, share: float = 0.35) -> DataFrame:
     """(page, wide_share, single): pages of which at least a share of the lines (width) are wide."""
     out = lines.groupBy("page").agg(F.avg(F.when(F.col("width") >= wide, 1.0).otherwise(0.0)).alias("wide_share"))
@@ -30,3 +60,69 @@ def single_column(lines: DataFrame, wide: float, share: float = 0.35) -> DataFra
 def reading_order(lines: DataFrame) -> DataFrame:
     """Adds place: by column, rounded height, then x."""
     return lines.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("col", F.round("y"), "x", "line")))
+
+
+# --- papers of laid-out lines ----------------------------------------------------------------------------------------
+
+
+def body_size(lines: DataFrame) -> DataFrame:
+    """(doc_id, size, chars): the size that most characters of lines (doc_id, size, text) have; of equals the smaller."""
+    sizes = lines.groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("chars"))
+    return sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", -F.col("size"))).alias("size"), F.max("chars").alias("chars"))
+
+
+def margins(lines: DataFrame) -> DataFrame:
+    """(doc_id, mark, n): what stands in a document's upper or lower margin three times or more, digits counting alike. Heights
+    y of lines (doc_id, y, text) go from 0 to 1."""
+    near = lines.filter((F.col("y") < MARGIN) | (F.col("y") > 1 - MARGIN))
+    return near.groupBy("doc_id", margin_mark().alias("mark")).agg(F.count("*").alias("n")).filter(F.col("n") >= TIMES)
+
+
+def margin_mark():
+    return F.regexp_replace("text", r"\d+", "#")
+
+
+def line_runs(lines: DataFrame, gap: float) -> DataFrame:
+    """lines (doc_id, n, page, size, y) with run: a new one on a new page, at another size, or after a gap."""
+    w = Window.partitionBy("doc_id").orderBy("n")
+    page, size, up = F.col("page") != F.lag("page").over(w), F.abs(F.col("size") - F.lag("size").over(w)) >= SIZE_STEP, F.col("y") - F.lag("y").over(w) > gap
+    return lines.withColumn("run", F.count_if(F.coalesce(page | size | up, F.lit(True))).over(w))
+
+
+def abstract_run(runs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(doc_id, run): of the first page's runs (see `line_runs`, with text) the one that is the abstract: one that says so first,
+    else one of the body's size (sizes: doc_id, size), else any; of several the longest, then the first."""
+    first = runs.filter("page = 1").join(sizes.select("doc_id", F.col("size").alias("body")), "doc_id")
+    own = first.groupBy("doc_id", "run").agg(F.sum(F.length("text")).alias("chars"), F.min_by("text", "n").alias("head"), F.bool_and(F.abs(F.col("size") - F.col("body")) < SIZE_STEP).alias("plain"))
+    labelled = F.lower("head").startswith("abstract")
+    return own.groupBy("doc_id").agg(F.max_by("run", F.struct(labelled, "plain", "chars", -F.col("run"))).alias("run"))
+
+
+def paper(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sections, texts) of a document's lines (doc_id, n, page, size, bold, y, text) in reading order.
+
+    Lines that repeat in margins and small print go. A heading opens a section; a heading line that follows another of its
+    size on the page goes on with it. sections are (doc_id, n, title, number, level, kind, page): "Abstract" is front, what
+    follows a back-matter name is back, all else body; what stands before the first heading is section 0, without title.
+    texts are (doc_id, section, text), lines joined.
+    """
+    sizes = body_size(lines).select("doc_id", F.col("size").alias("body"))
+    kept = lines.withColumn("mark", margin_mark())
+    edge = (F.col("y") < MARGIN) | (F.col("y") > 1 - MARGIN)
+    repeated = margins(lines).select("doc_id", "mark", F.lit(True).alias("repeated"))
+    kept = kept.join(repeated, ["doc_id", "mark"], "left").filter(~(edge & F.coalesce("repeated", F.lit(False)))).join(sizes, "doc_id").filter(F.col("size") >= F.col("body") - SMALL)
+    w = Window.partitionBy("doc_id").orderBy("n")
+    heads = kept.withColumn("head", text.page_heading(F.col("text"), F.col("size"), F.col("bold"), F.col("body")))
+    goes_on = F.col("head") & F.lag("head").over(w) & (F.lag("page").over(w) == F.col("page")) & (F.lag("size").over(w) == F.col("size")) & ~F.col("text").rlike(r"^\d+(\.\d+)*\.?\s")
+    opened = heads.withColumn("opens", F.col("head") & ~F.coalesce(goes_on, F.lit(False)))
+    placed = opened.withColumn("section", F.count_if("opens").over(w))
+    titles = placed.filter("head").groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("t"), F.min("page").alias("page"))
+    title = F.array_join(F.transform("t", lambda i: i["text"]), " ")
+    number = F.regexp_extract("title", r"^(\d+(?:\.\d+)*)\.?\s", 1)
+    bare = F.regexp_replace("title", r"^\d+(?:\.\d+)*\.?\s+", "")
+    order = Window.partitionBy("doc_id").orderBy("section")
+    rows = titles.select("doc_id", "section", title.alias("title"), "page").withColumn("back", F.max(text.is_back_matter(bare)).over(order))
+    kind = F.when(F.lower("title").startswith("abstract"), "front").when(F.col("back"), "back").otherwise("body")
+    sections = rows.select("doc_id", F.col("section").alias("n"), "title", number.alias("number"), text.section_level(number).alias("level"), kind.alias("kind"), "page")
+    body = placed.filter("not head").select("doc_id", "n", "section", F.col("text").alias("line"))
+    return sections, joined(body, "section")

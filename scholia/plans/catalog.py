@@ -233,29 +233,6 @@ def seek_item(spark: SparkSession, d: str) -> DataFrame:
     return outline.seek(playlist_timeline(spark, d), "l_orderkey", F.lit(60))
 
 
-@query(v.sql(v.PAPERS, v.LINES, query="SELECT doc_id, run, count(*) AS n_lines, sum(length(line)) AS chars FROM (SELECT *, sum(CASE WHEN breaks OR n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM (SELECT *, length(line) < 20 AS breaks FROM lines)) GROUP BY 1, 2"))
-def line_runs(spark: SparkSession, d: str) -> DataFrame:
-    rows = outline.runs(a.lines(spark, d), F.length("line") < 20)
-    return _as_long(rows.groupBy("doc_id", "run").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars")), "run")
-
-
-@query(v.sql(v.PAPERS, v.LINES, "r AS (SELECT doc_id, sum(CASE WHEN length(line) < 20 OR n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS run, length(line) AS c FROM lines)",
-    query="SELECT doc_id, run, sum(c) AS chars FROM r GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sum(c) DESC, run) = 1"))
-def abstract_run(spark: SparkSession, d: str) -> DataFrame:
-    return line_runs(spark, d).groupBy("doc_id").agg(F.max_by("run", F.struct("chars", -F.col("run"))).alias("run"), F.max("chars").alias("chars"))
-
-
-@query(v.sql(v.PAPERS, v.LINES, query="SELECT doc_id, regexp_replace(substr(line, 1, 12), '[0-9]', '#', 'g') AS mark, count(*) AS n FROM lines GROUP BY 1, 2 HAVING count(*) >= 3"))
-def repeated_margins(spark: SparkSession, d: str) -> DataFrame:
-    return a.lines(spark, d).groupBy("doc_id", F.regexp_replace(F.substring("line", 1, 12), "[0-9]", "#").alias("mark")).agg(F.count("*").alias("n")).filter("n >= 3")
-
-
-@query(v.sql(v.PAPERS, v.LINES, query="SELECT doc_id, size, chars FROM (SELECT doc_id, length(line) // 50 AS size, sum(length(line)) AS chars FROM lines GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, size) = 1"))
-def weighted_mode(spark: SparkSession, d: str) -> DataFrame:
-    sizes = a.lines(spark, d).groupBy("doc_id", F.floor(F.length("line") / 50).alias("size")).agg(F.sum(F.length("line")).alias("chars"))
-    return sizes.groupBy("doc_id").agg(F.max_by("size", F.struct("chars", -F.col("size"))).alias("size"), F.max("chars").alias("chars"))
-
-
 def _as_long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 

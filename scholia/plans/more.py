@@ -28,11 +28,6 @@ def lines_outside_tables(spark: SparkSession, d: str) -> DataFrame:
     return layout.outside(_marks(spark, d), _boxes(spark, d)).select("page", "line", "x", "y")
 
 
-@query(v.sql(_BOXES, _LINES, query="SELECT m.page, line, box, round(y - y1, 6) AS gap FROM marks m JOIN boxes b ON b.page = m.page AND m.x BETWEEN x0 AND x1 AND y - y1 BETWEEN 0 AND 0.05 QUALIFY row_number() OVER (PARTITION BY m.page, line ORDER BY y - y1, box) = 1"))
-def caption_graphics(spark: SparkSession, d: str) -> DataFrame:
-    return layout.nearest_graphic(_marks(spark, d), _boxes(spark, d), 0.05).withColumn("gap", F.round("gap", 6))
-
-
 @query(v.sql(_LINES, query="SELECT page, round(avg(CASE WHEN width >= 40000 THEN 1.0 ELSE 0.0 END), 6) AS wide_share, avg(CASE WHEN width >= 40000 THEN 1.0 ELSE 0.0 END) >= 0.35 AS single FROM marks GROUP BY 1"))
 def single_column_pages(spark: SparkSession, d: str) -> DataFrame:
     return layout.single_column(_marks(spark, d), 40000).withColumn("wide_share", F.round("wide_share", 6))

@@ -12,6 +12,7 @@ from scholia.plans.catalog import _COUNTS, _WORDS, _as_long, query
 from scholia.plans.more import _LINES, _marks
 from scholia.sources import adapters as a
 from scholia.sources import files
+from scholia.sources.stored import stored
 
 _TEXTS = "texts AS (SELECT doc_id, n * 10 AS id, title AS text FROM sections UNION ALL SELECT doc_id, section * 10 + k, text FROM sentences)"
 _DOUBLES = """voc AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM texts) GROUP BY 1, 2),
@@ -29,14 +30,14 @@ def _texts(sections: DataFrame, sentences: DataFrame) -> DataFrame:
 
 @query(v.sql(*_PAPER, _TEXTS, _DOUBLES, query="SELECT doc_id, id, x, y FROM doubles"))
 def doubled_words(spark: SparkSession, d: str) -> DataFrame:
-    return quality.doubled(_texts(*a.outlined(spark, d)))
+    return quality.doubled(stored(_texts(*a.outlined(spark, d))))
 
 
 def _issues(spark: SparkSession, d: str) -> DataFrame:
-    sections, sentences = a.outlined(spark, d)
+    sections, sentences = map(stored, a.outlined(spark, d))  # every rule reads them
     body = sections.filter("kind = 'body'")
-    doubles = quality.doubled(_texts(sections, sentences)).withColumn("section", F.floor(F.col("id") / 10)).withColumn("heading", F.col("id") % 10 == 0)
-    docs = a.papers(spark, d).select("doc_id")
+    doubles = stored(quality.doubled(_texts(sections, sentences))).withColumn("section", F.floor(F.col("id") / 10)).withColumn("heading", F.col("id") % 10 == 0)
+    docs = sections.filter("n = 1").select("doc_id")
     figures = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("doc_id", F.concat(F.lit("figure:"), F.col("i").cast("string")).alias("key"), F.lit("figure").alias("kind"))
     figures = figures.union(docs.filter("doc_id % 3 = 0").select("doc_id", F.lit(None).cast("string"), F.lit("image")))
     cited = sentences.join(body.select("doc_id", F.col("n").alias("section")), ["doc_id", "section"], "left_semi").select("doc_id", F.explode(text.figure_keys(F.col("text"))).alias("key"))
@@ -126,9 +127,9 @@ def translations_view(spark: SparkSession, d: str) -> DataFrame:
     lines = a.lines(spark, d)
     n = F.col("n").cast("string")
     items = lines.select("doc_id", F.concat(F.lit("p"), n).alias("item_id"), F.col("line").alias("text"))
-    stored = lines.filter("n % 2 = 0").select("doc_id", F.concat(F.lit("p"), n).alias("item_id"), F.concat(F.lit("s"), n).alias("translated"))
+    by_item = lines.filter("n % 2 = 0").select("doc_id", F.concat(F.lit("p"), n).alias("item_id"), F.concat(F.lit("s"), n).alias("translated"))
     cache = lines.filter("n % 3 = 0").select(F.col("line").alias("text")).distinct().withColumn("translated", F.concat(F.lit("c"), F.length("text").cast("string")))
-    out = papers.translated_items(items, stored, cache, a.papers(spark, d).filter("doc_id % 2 = 0"))
+    out = papers.translated_items(items, by_item, cache, a.papers(spark, d).filter("doc_id % 2 = 0"))
     return out.select("doc_id", "item_id", F.length("text").cast("long").alias("chars"), "translated")
 
 

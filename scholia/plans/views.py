@@ -22,6 +22,11 @@ FIRST_REFERENCE = rf"""first_refs AS (SELECT doc_id, n, CASE lower(r[1]) WHEN 'f
 SECTIONS = """rows3 AS (SELECT *, section + 1 AS sec FROM annotated),
 sections AS (SELECT doc_id, sec AS n, level, number, CASE WHEN sec = 1 AND doc_id % 2 = 0 THEN 'front' WHEN sec > 12 THEN 'back' ELSE 'body' END AS kind, CASE WHEN sec = 4 AND doc_id % 5 = 0 THEN 'Abstract' ELSE number || ' ' || substr(line, 1, 40) END AS title FROM rows3 WHERE opens),
 sentences AS (SELECT doc_id, sec AS section, (n - 1) % 3 AS k, body AS text FROM rows3 WHERE NOT opens)"""
+PAGE_LINES = """page_rows AS (SELECT doc_id, n, opens, number, line, body, (n - 1) // 10 + 1 AS page, (n - 1) % 10 AS r, section AS k FROM annotated),
+page_lines AS (SELECT doc_id, n * 10 AS n, page, CASE WHEN opens THEN 12.0 WHEN n % 11 = 0 THEN 7.0 ELSE 10.0 END AS size, opens AS bold, (r + 1) * 0.08 + 0.02 AS y,
+    CASE WHEN NOT opens THEN body WHEN k = 0 AND doc_id % 2 = 0 THEN 'Abstract' WHEN k = 12 THEN 'References' ELSE number || ' ' || substr(line, 1, 40) END AS text FROM page_rows
+  UNION ALL SELECT doc_id, n * 10 + 1, page, 12.0, true, (r + 1) * 0.08 + 0.03, 'and more of it' FROM page_rows WHERE (n - 1) % 12 = 0
+  UNION ALL SELECT doc_id, min(n) * 10 - 5, page, 8.0, false, 0.03, 'Journal of Tests, page ' || page FROM page_rows GROUP BY doc_id, page)"""
 TOKENS = f"""tokens AS (SELECT doc_id, pos - 1 AS pos, words[pos] AS token FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS words FROM papers)))"""
 DICTIONARY = f"""dictionary AS (SELECT DISTINCT lower(w) AS lower FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS w FROM benchmark))"""
 REVIEWS = """reviews AS (SELECT event_id AS uid, user_id AS headword, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 3 ELSE 4 END AS rating, ts AS reviewed_at, event_id % 2 AS device FROM events)"""

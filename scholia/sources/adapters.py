@@ -86,6 +86,22 @@ def outlined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return sections, rows.filter("not opens").select("doc_id", "section", ((F.col("n") - 1) % 3).cast("long").alias("k"), F.col("body").alias("text"))
 
 
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n, page, size, bold, y, text): the papers' lines laid out, ten on a page, n from 10 in tens. Synthetic: pages
+    begin with a running title, every third line is a bold heading, numbered as in `annotated` and in two lines now and
+    then, small print stands here and there, and the thirteenth section is titled References."""
+    k = F.floor((F.col("n") - 1) / 3)
+    page, row = F.floor((F.col("n") - 1) / 10) + 1, (F.col("n") - 1) % 10
+    rows = annotated(spark, sf_dir).select("doc_id", "n", "opens", "number", "line", "body", page.cast("long").alias("page"), row.alias("row"), k.alias("k"))
+    name = F.when((F.col("k") == 0) & (F.col("doc_id") % 2 == 0), "Abstract").when(F.col("k") == 12, "References").otherwise(F.concat("number", F.lit(" "), F.substring("line", 1, 40)))
+    small = F.col("n") % 11 == 0
+    size = F.when(F.col("opens"), 12.0).when(small, 7.0).otherwise(10.0)
+    laid = rows.select("doc_id", (F.col("n") * 10).cast("long").alias("n"), "page", size.alias("size"), F.col("opens").alias("bold"), ((F.col("row") + 1) * 0.08 + 0.02).alias("y"), F.when(F.col("opens"), name).otherwise(F.col("body")).alias("text"))
+    more = rows.filter((F.col("n") - 1) % 12 == 0).select("doc_id", (F.col("n") * 10 + 1).cast("long"), "page", F.lit(12.0), F.lit(True), (F.col("row") + 1) * 0.08 + 0.03, F.lit("and more of it"))
+    head = rows.groupBy("doc_id", "page").agg(F.min("n").alias("n")).select("doc_id", (F.col("n") * 10 - 5).cast("long"), "page", F.lit(8.0), F.lit(False), F.lit(0.03), F.concat(F.lit("Journal of Tests, page "), F.col("page").cast("string")))
+    return laid.union(more).union(head)
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(uid, headword, rating, reviewed_at, device): the events as answers; error 1, view 2, click 3, others 4."""
     rating = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "view", 2).when(F.col("event_type").isin("click", "purchase"), 3).otherwise(4)

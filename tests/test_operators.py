@@ -4,8 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.functions import align, srs, text
-from scholia.operators import folders, logs, outline, papers, quality, terms
+from scholia.functions import align, srs, text, times
+from scholia.operators import folders, layout, logs, outline, papers, quality, reading, study, terms
 from scholia.sources import files
 
 
@@ -303,3 +303,136 @@ def test_edits_within_random():
                 diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
         most = 2 if len(a) >= 8 else 1
         assert align.edits_within(a, b, most) == (row[-1] <= most)
+
+
+AT = dt.datetime(2026, 9, 24, 1, 0, tzinfo=dt.UTC)
+T0 = int(AT.timestamp())
+REVIEW = "uid string, headword string, rating int, reviewed_at timestamp, device string"
+
+
+def card(spark, words, answers, now, quota=20):
+    w = spark.createDataFrame([(h, AT + dt.timedelta(seconds=i)) for i, h in enumerate(words)], "headword string, first_seen timestamp")
+    r = spark.createDataFrame([(str(i), h, rating, AT + dt.timedelta(seconds=s), "mac") for i, (h, rating, s) in enumerate(answers)], REVIEW)
+    return study.next_card(w, r, now, quota).first(), r
+
+
+def test_review_queue(spark):
+    first, _ = card(spark, ["alpha", "beta"], [], T0 + 60)
+    assert first[:] == ("alpha", "New", 0, 60, 330, 600, 8 * 86400)
+    answers = [("alpha", 3, 0)]
+    assert card(spark, ["alpha", "beta"], answers, T0 + 60)[0].headword == "beta"
+    again, reviews = card(spark, ["alpha", "beta"], answers, T0 + 660)
+    assert (again.headword, again.phase, again.reviews) == ("alpha", "Learning", 1)
+    assert card(spark, ["alpha", "beta"], answers, T0 + 60, quota=1)[0] is None
+    left, state = study.undo(reviews, "mac")
+    assert left.count() == 0
+    assert state.count() == 0
+    two = spark.createDataFrame([("1", "a", 3, AT, "mac"), ("2", "a", 1, AT + dt.timedelta(days=2), "mac"), ("3", "a", 4, AT + dt.timedelta(days=3), "phone")], REVIEW)
+    left, state = study.undo(two, "mac")
+    assert sorted(r.uid for r in left.collect()) == ["1", "3"]
+    assert state.first().n == 2
+
+
+def test_merge_progress(spark):
+    known = spark.createDataFrame([("alpha",)], "headword string")
+    look, rev = "uid string, headword string, looked_at timestamp, sentence string", REVIEW
+    state = "uid string, paper string, sentence string, note string, updated_at timestamp, deleted int, event_id long"
+    none = lambda schema: spark.createDataFrame([], schema)
+    old = {"lookups": none(look), "reviews": spark.createDataFrame([("R0", "alpha", 3, AT, "mac")], rev), "positions": none(state), "marks": spark.createDataFrame([("m", "p", "s", "old", AT, 0, 1)], state)}
+    later = AT + dt.timedelta(minutes=10)
+    new = {
+        "lookups": spark.createDataFrame([("L1", "delta", AT, "A delta."), (None, "x", AT, None)], look),
+        "reviews": spark.createDataFrame([("R1", "alpha", 3, later, "phone"), ("R2", "delta", 4, later, "phone"), ("R3", "gone", 3, later, "phone"), (None, "alpha", 1, later, "phone")], rev),
+        "positions": spark.createDataFrame([("x", "p", "s", None, AT, 0, 1), ("y", "p", "", None, later, 0, 2), ("z", None, "s", None, later, 0, 3)], state),
+        "marks": spark.createDataFrame([("m", "p", "s", None, later, 7, 2), ("n", "p", "s", None, AT, None, 3)], state),
+    }
+    added = study.merge_progress(known, old, new)
+    assert study.merge_counts(added).first().asDict() == {"lookups": 1, "reviews": 2, "positions": 1, "marks": 2}
+    marks = {r.uid: r for r in logs.merged(old["marks"], added["marks"], "uid").collect()}
+    assert (marks["m"].deleted, marks["m"].note, marks["n"].deleted) == (1, "", 0)
+    all_ = {"lookups": added["lookups"], "reviews": old["reviews"].union(added["reviews"].select(old["reviews"].columns)), "positions": added["positions"], "marks": logs.merged(old["marks"], added["marks"], "uid")}
+    assert set(study.merge_counts(study.merge_progress(known, all_, new)).first()) == {0}
+
+
+def test_times(spark):
+    stamps = ["2026-09-24T02:30:00Z", "2026-09-24T12:00:00+09:00", "2026-09-24T12:00:00", "x", None]
+    rows = spark.createDataFrame([(s,) for s in stamps], "t string")
+    got = [r[0] for r in rows.select(times.seconds(times.instant(F.col("t"), "Asia/Tokyo"))).collect()]
+    assert got == [T0 + 5400, T0 + 7200, T0 + 7200, None, None]
+    for zone, midnight, local in (("UTC", T0 - 3600, "2026-09-24T01:00:00"), ("Asia/Tokyo", T0 - 10 * 3600, "2026-09-24T10:00:00"), ("America/New_York", T0 - 21 * 3600, "2026-09-23T21:00:00")):
+        assert rows.limit(1).select(times.local_midnight(F.lit(T0), zone), times.local_stamp(F.lit(T0), zone)).first()[:] == (midnight, local)
+
+
+def test_marks_and_saves(spark):
+    saves = spark.createDataFrame([("p", x) for x in (0, 3, 4, 7, 8, 20)] + [("q", 5)], "paper string, at long")
+    assert {r.paper: r.kept for r in logs.throttled(saves, "paper", 4).collect()} == {"p": [0, 4, 8, 20], "q": [5]}
+    marks = spark.createDataFrame([("m", "p", "s", AT, 0), ("n", "p", "t", AT, 1)], "uid string, paper string, sentence string, updated_at timestamp, deleted int")
+    later = AT + dt.timedelta(hours=1)
+    taps = spark.createDataFrame([("a", "p", "s", later), ("b", "p", "t", later)], "uid string, paper string, sentence string, at timestamp")
+    got = {r.uid: r.deleted for r in logs.toggle_marks(marks, taps).collect()}
+    assert got == {"m": 1, "n": 1, "b": 0}
+    sections = spark.createDataFrame([("p", 1, "One"), ("p", 2, "Two")], "doc_id string, n int, title string")
+    sentences = spark.createDataFrame([("p", 1, 1, "b"), ("p", 2, 1, "a"), ("p", 2, 2, "b")], "doc_id string, section int, k int, text string")
+    made = spark.createDataFrame([("1", "p", "a", "x", "n", 1), ("2", "p", "b", "x", "n", 2), ("3", "p", "gone", "kept", "n", 0)], "uid string, paper_id string, sentence string, section string, note string, created_at int")
+    found = reading.marks_in_order(made, sections, sentences, spark.createDataFrame([("p", 1, 1, "B")], "doc_id string, section int, k int, translated string")).orderBy("place").collect()
+    assert [(r.uid, r.section, r.new_header, r.translated) for r in found] == [("2", "One", True, "B"), ("1", "Two", True, None), ("3", "kept", True, None)]
+
+
+def test_loading(spark):
+    papers_ = [
+        (1, '{"title":"T","sections":[{"title":"1.2 Start","kind":"body","sentences":["It is [3].",{"t":"Two."},{"t":"Three.","s":"3"}]},{"title":"REFERENCES","kind":"back","level":2,"sentences":[]}]}'),
+        (2, '{"title":'), (3, "[]"), (4, '{"sections":{}}'), (5, '{"sections":[{"title":" ","kind":"x"},{"title":"A","kind":"x"},{"title":"B","kind":"body","sentences":[{"s":"no"}, 5]}]}'), (6, None),
+    ]
+    sections, sentences, errors = reading.loaded(spark.createDataFrame(papers_, "doc_id int, json string"))
+    assert [tuple(r)[1:] for r in sections.orderBy("n").collect()] == [(1, "1.2 Start", "1.2", 2, "body", 1, "Section 1.2. Start."), (2, "REFERENCES", "", 2, "back", 1, "References.")]
+    assert [(r.k, r.text, r.spoken) for r in sentences.orderBy("k").collect()] == [(1, "It is [3].", "It is."), (2, "Two.", "Two."), (3, "Three.", "3")]
+    got = {(r.doc_id, r["at"], r.code) for r in errors.collect()}
+    assert {x for x in got if x[0] == 5} == {(5, "0", "title"), (5, "1", "kind"), (5, "1", "sentences"), (5, "2.0", "t")}
+    assert {(i, c) for i, _, c in got if i != 5} == {(2, "json"), (3, "sections"), (4, "sections"), (6, "json")}
+    metas = spark.createDataFrame([(1, "{}", "v1"), (2, '{"manual":1}', "v1"), (3, None, "v2"), (4, "{}", "v2")], "doc_id int, json string, extractor_version string")
+    assert sorted(r.doc_id for r in reading.needs_rebuild(metas, "v2").collect()) == [1, 3]
+
+
+def test_sorts(spark):
+    day = dt.date
+    rows = [("a", day(2026, 1, 1), day(2020, 1, 1), None, "Beta", 3), ("b", day(2026, 1, 3), day(2021, 1, 1), day(2022, 1, 1), "alpha", 1), ("c", day(2026, 1, 2), None, day(2023, 1, 1), "Gamma", 9)]
+    got = papers.sorted_every_way(spark.createDataFrame(rows, "doc_id string, imported date, created date, downloaded date, title string, pages int")).collect()
+    order = lambda key, newest: "".join(r.doc_id for r in sorted((r for r in got if r.sort == key and r.newest == newest), key=lambda r: r.place))
+    assert (order("imported", True), order("created", True), order("created", False), order("downloaded", True), order("title", False), order("pages", True)) == ("bca", "bac", "abc", "cba", "bac", "cab")
+
+
+def test_glossary_behind_dictionary(spark):
+    asked = spark.createDataFrame([(1, "actuators"), (2, "actuators"), (2, "mirror"), (2, "tip"), (2, "nothing")], "doc_id int, word string")
+    found = spark.createDataFrame([("actuators", "actuate", "near"), ("mirror", "mirror", "exact")], "word string, headword string, match string")
+    index = spark.createDataFrame([("actuator", 1, "actuator", 3), ("actuator", 3, "Actuators", 9), ("mirror", 2, "mirrors", 9), ("tip", 1, "tip", 1)], "key string, doc_id int, term string, n int")
+    got = {(r.doc_id, r.word): tuple(r)[2:] for r in terms.with_glossary(asked, found, index).collect()}
+    assert got == {(1, "actuators"): ("actuator", "term", "actuate"), (2, "actuators"): ("Actuators", "term", "actuate"), (2, "mirror"): ("mirror", "exact", None), (2, "tip"): ("tip", "term", None)}
+    t = spark.createDataFrame([("XAO", " xao "), ("mirror", "Spiegel")], "term string, translated string")
+    assert {r.term: r.translated for r in terms.translated_terms(spark.createDataFrame([("XAO",), ("mirror",), ("z",)], "term string"), t).collect()} == {"XAO": "", "mirror": "Spiegel", "z": ""}
+
+
+def test_paper_of_pages(spark):
+    rows, n = [], 0
+    for page in (1, 2, 3):
+        said = {1: [("Abstract", 10.0, True), ("We sum up.", 10.0, False), ("1 Long", 12.0, True), ("title", 12.0, True), ("Text that is bro-", 10.0, False)], 2: [("ken over pages.", 10.0, False), ("1.1 Part", 12.0, True), ("tiny", 6.0, False), ("More of it.", 10.0, False)], 3: [("References", 10.0, True), ("[1] X.", 10.0, False)]}[page]
+        for i, (t, size, bold) in enumerate([(f"Journal {page}", 10.0, False), *said]):
+            n += 1
+            rows.append((1, n, page, size, bold, 0.03 + 0.1 * i, t))
+    lines = spark.createDataFrame(rows, "doc_id int, n int, page int, size double, bold boolean, y double, text string")
+    sections, texts = layout.paper(lines)
+    assert [tuple(r)[1:] for r in sections.orderBy("n").collect()] == [(1, "Abstract", "", 1, "front", 1), (2, "1 Long title", "1", 1, "body", 1), (3, "1.1 Part", "1.1", 2, "body", 2), (4, "References", "", 1, "back", 3)]
+    assert [r.text for r in texts.orderBy("section").collect()] == ["We sum up.", "Text that is broken over pages.", "More of it.", "[1] X."]
+    pieces = spark.createDataFrame([(1, 1, 0.0, 4.0, 0.1, "The"), (1, 2, 5.0, 8.0, 0.1, "mir"), (1, 3, 8.1, 12.0, 0.101, "ror"), (1, 4, 8.2, 12.0, 0.102, "ror"), (1, 5, 0.0, 4.0, 0.2, "Next")], "page int, n int, x0 double, x1 double, y double, text string")
+    assert [r.text for r in layout.rows_of_fragments(pieces, 0.01, 0.5).orderBy("row").collect()] == ["The mirror", "Next"]
+
+
+def test_advice_and_blanks(spark):
+    history = spark.createDataFrame([("a", 2, 0.95, i, i) for i in range(12)] + [("a", 3, 0.3, i, i) for i in range(12)] + [("b", 2, 1.0, i, i) for i in range(5)] + [("c", 5, 1.0, i, i) for i in range(12)], "who string, level int, score double, at int, uid int")
+    assert {(r.who, r.level): r.advice for r in study.level_advice(history, "who").collect()} == {("a", 2): "up", ("a", 3): "down", ("b", 2): "none", ("c", 5): "none"}
+    said = "The DM moves seven small mirrors and ten large actuators quickly".split()
+    words = spark.createDataFrame([(1, i, w) for i, w in enumerate(said)] + [(2, 0, "The"), (2, 1, "of")], "s int, pos int, word string")
+    size = lambda level: [study.blanks(words, ["s"], level).filter(f"s = {s}").count() for s in (1, 2)]
+    assert [size(level) for level in range(1, 6)] == [[1, 1], [2, 1], [3, 2], [8, 2], [11, 2]]
+    picked = {study.blanks(words, ["s"], 1, seed).filter("s = 1").first().word for seed in range(40)}
+    assert len(picked) >= 5
+    assert not picked & {"The", "DM", "and"}
