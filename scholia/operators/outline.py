@@ -48,21 +48,45 @@ def runs(lines: DataFrame, breaks: Column) -> DataFrame:
     return lines.withColumn("run", F.sum(F.when(breaks | (F.row_number().over(w) == 1), 1).otherwise(0)).over(w))
 
 
+def shifted(sections: DataFrame, moves: DataFrame) -> DataFrame:
+    """sections (doc_id, n, level, ...) after moves (doc_id, n, by), one a document: the section and all that hangs below it one
+    level deeper (by 1) or higher (by -1). A move that isn't allowed changes nothing: deeper for a document's first
+    section, for one that is deeper than the one before it, or where something would pass level 3; higher at level 1."""
+    w = Window.partitionBy("doc_id").orderBy("n")
+    root = subtree_end(sections).withColumn("before", F.lag("level").over(w)).join(moves, ["doc_id", "n"])
+    root = root.select("doc_id", F.col("n").alias("_n"), F.col("until").alias("_until"), F.col("level").alias("_level"), F.col("before").alias("_before"), F.col("by").alias("_by"))
+    rows = sections.join(root, "doc_id", "left")
+    inside = F.coalesce((F.col("n") >= F.col("_n")) & (F.col("_until").isNull() | (F.col("n") < F.col("_until"))), F.lit(False))
+    rows = rows.withColumn("_in", inside).withColumn("_deepest", F.max(F.when(F.col("_in"), F.col("level"))).over(Window.partitionBy("doc_id")))
+    deeper = F.col("_before").isNotNull() & (F.col("_level") <= F.col("_before")) & (F.col("_deepest") < 3)
+    legal = F.when(F.col("_by") > 0, deeper).otherwise(F.col("_level") > 1)
+    level = F.when(F.col("_in") & legal, F.col("level") + F.col("_by")).otherwise(F.col("level"))
+    return rows.withColumn("level", level).select(*sections.columns)
+
+
 def indent(sections: DataFrame, doc_id: int, n: int, by: int) -> DataFrame:
-    """Sections with the subtree at n one level deeper (by 1) or higher (by -1), unless that is illegal: the first section,
-    one already deeper than the one before it, a subtree that reaches level 3, or, upwards, level 1."""
-    own = subtree_end(sections.filter(F.col("doc_id") == doc_id)).withColumn("before", F.lag("level").over(Window.partitionBy("doc_id").orderBy("n")))
-    root = own.filter(F.col("n") == n).select(F.col("doc_id").alias("d"), F.col("until").alias("u"), F.col("level").alias("root_level"), "before")
-    with_root = sections.join(F.broadcast(root), sections["doc_id"] == F.col("d"), "left")
-    inside = (F.col("d").isNotNull()) & (F.col("n") >= n) & (F.col("u").isNull() | (F.col("n") < F.col("u")))
-    deepest = F.max(F.when(inside, F.col("level"))).over(Window.partitionBy("doc_id"))
-    legal = (F.col("before").isNotNull() & (F.col("root_level") <= F.col("before")) & (deepest < 3)) if by > 0 else F.col("root_level") > 1
-    return with_root.withColumn("new", F.when(inside & legal, F.col("level") + by).otherwise(F.col("level"))).select(*[c for c in sections.columns if c != "level"], F.col("new").alias("level"))
-
-
-def rekeyed(sentences: DataFrame, split_doc: int, split_section: int, split_at: int) -> DataFrame:
-    """Sentences (doc_id, section, k) after a section of a document is split at a sentence: it and later ones follow as a
-    section of their own, and later sections move on by one."""
-    later = (F.col("doc_id") == split_doc) & ((F.col("section") > split_section) | ((F.col("section") == split_section) & (F.col("k") >= split_at)))
-    moved = F.when((F.col("doc_id") == split_doc) & (F.col("section") == split_section) & (F.col("k") >= split_at), F.col("k") - split_at + 1).otherwise(F.col("k"))
-    return sentences.withColumn("k", moved).withColumn("section", F.when(later, F.col("section") + 1).otherwise(F.col("section")))
+    """`shifted` by one move."""
+    return shifted(sections, sections.sparkSession.createDataFrame([(doc_id, n, by)], "doc_id long, n long, by int"))
+
+
+def split_sections(sections: DataFrame, sentences: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sections, sentences) after splits (doc_id, section, at, title, take), one a document: the sentences from `at` on follow in
+    a section of their own, of the same level and kind. It has the given title; with take, the sentence at `at` becomes
+    the heading and goes, and without a title its text is it, less a final full stop or colon. A split without take that
+    is at the first sentence or has no title changes nothing. sections are (doc_id, n, level, kind, title), sentences
+    (doc_id, section, k, text), k from 1."""
+    s = splits.select("doc_id", F.col("section").alias("_s"), F.col("at").alias("_at"), F.trim(F.coalesce("title", F.lit(""))).alias("_title"), F.coalesce("take", F.lit(False)).alias("_take"))
+    s = s.filter(F.col("_take") | ((F.col("_at") > 1) & (F.col("_title") != "")))
+    there = sentences.select("doc_id", F.col("section").alias("_s"), F.col("k").alias("_at"), F.col("text").alias("_text"))
+    s = s.join(there, ["doc_id", "_s", "_at"])  # the sentence must be there
+    rows = sentences.join(s, "doc_id", "left")
+    own = F.coalesce((F.col("section") == F.col("_s")) & (F.col("k") >= F.col("_at")), F.lit(False))
+    later = F.coalesce(F.col("section") > F.col("_s"), F.lit(False))
+    rows = rows.filter(~(own & F.col("_take") & (F.col("k") == F.col("_at"))))
+    k = F.when(own, F.col("k") - F.col("_at") + F.when(F.col("_take"), 0).otherwise(1)).otherwise(F.col("k"))
+    moved = rows.select("doc_id", (F.col("section") + F.when(own | later, 1).otherwise(0)).alias("section"), k.alias("k"), "text")
+    heads = sections.join(s, "doc_id", "left")
+    kept = heads.select("doc_id", (F.col("n") + F.when(F.coalesce(F.col("n") > F.col("_s"), F.lit(False)), 1).otherwise(0)).alias("n"), "level", "kind", "title")
+    title = F.coalesce(F.nullif("_title", F.lit("")), F.regexp_replace("_text", "[.:]$", ""))
+    new = heads.filter(F.col("n") == F.col("_s")).select("doc_id", (F.col("n") + 1).alias("n"), "level", "kind", title.alias("title"))
+    return kept.unionByName(new), moved

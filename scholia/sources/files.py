@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,13 +65,24 @@ def headings(text_lines: DataFrame) -> DataFrame:
     return out.withColumn("heading", F.when(F.col("level").isNotNull(), F.coalesce(F.nullif(rest, F.lit("")), line)))
 
 
+#: Characters of a progress file at most, and the version that is read.
+MOST_PROGRESS, VERSION = 20_000_000, 1
+
+
 def read_progress(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) progress files, one JSON document a file: accepted ones have the right kind and version, and only
-    ratings from 1 to 4."""
-    raw = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-    rows = raw.select("file", F.from_json("value", PROGRESS).alias("x")).select("file", "x.*")
-    good = F.coalesce((F.col("kind") == "progress") & (F.col("version") == 1), F.lit(False)) & F.coalesce(F.forall("reviews", lambda r: r["rating"].between(1, 4)), F.lit(True))
-    return rows.filter(good), rows.filter(~good).select("file")
+    """(accepted, rejected) progress files, one JSON document a file. accepted are (file, and what PROGRESS names); rejected are
+    (file, reason): json, kind, version, reviews or lookups (one of them lacks what it needs, or a rating isn't 1 to 4)."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).filter(F.length("value") <= MOST_PROGRESS).withColumn("file", F.col("_metadata.file_path"))
+    rows = raw.select("file", F.try_parse_json("value").isNull().alias("broken"), F.from_json("value", PROGRESS).alias("x")).select("file", "broken", "x.*")
+    filled = lambda x, *names: F.forall(F.array(*[x[n] for n in names]), lambda v: v.isNotNull())
+    review = lambda x: filled(x, "uid", "headword", "reviewed_at") & F.coalesce(x["rating"].between(1, 4), F.lit(False))
+    fine = lambda rows, test: F.coalesce(F.forall(rows, test), F.lit(True))
+    reason = (
+        F.when(F.col("broken"), "json").when(~F.coalesce(F.col("kind") == "progress", F.lit(False)), "kind").when(~F.coalesce(F.col("version") == VERSION, F.lit(False)), "version")
+        .when(~fine("reviews", review), "reviews").when(~fine("lookups", lambda x: filled(x, "uid", "headword", "meaning", "looked_at")), "lookups")
+    )
+    rows = rows.withColumn("reason", reason)
+    return rows.filter("reason is null").drop("reason", "broken"), rows.filter("reason is not null").select("file", "reason")
 
 
 def own_progress(lookups: DataFrame, reviews: DataFrame, device: str) -> tuple[DataFrame, DataFrame]:
@@ -76,16 +90,54 @@ def own_progress(lookups: DataFrame, reviews: DataFrame, device: str) -> tuple[D
     return lookups, reviews.filter(F.col("device") == device)
 
 
-def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes the tables of a bundle as Parquet folders, a manifest last: a bundle without one isn't complete."""
+def write_progress(device: str, tables: dict[str, DataFrame], exported_at: str, path: str) -> None:
+    """Writes a device's progress file: its lookups, positions and marks, and of the reviews its own, in one JSON document. One
+    learner's records are what bounds it."""
+    tables = {**tables, "reviews": tables["reviews"].filter(F.col("device") == device)}
+    spark = tables["reviews"].sparkSession
+    doc = spark.range(1).select(F.lit("progress").alias("kind"), F.lit(VERSION).alias("version"), F.lit(device).alias("device"), F.lit(exported_at).alias("exported_at"))
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        doc = doc.crossJoin(F.broadcast(df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))))  # one row each
+    doc.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
+    """Writes the tables of a bundle as Parquet folders of a new version, and then a line of the manifest that names it. A reader
+    sees the last version that is complete, whatever a write leaves unfinished."""
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(n, ) for n in sorted(tables)], "name string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    version = uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{version}/{name}")
+    line = spark.createDataFrame([(version, time.time_ns(), sorted(tables))], "version string, written long, names array<string>")
+    line.coalesce(1).write.mode("append").json(f"{path}/manifest")
 
 
 def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {r.name: spark.read.parquet(f"{path}/{r.name}") for r in spark.read.schema("name string").json(f"{path}/manifest").collect()}
+    """The tables of a bundle's last version, by name."""
+    manifest = spark.read.schema("version string, written long, names array<string>").json(f"{path}/manifest")
+    last = manifest.orderBy(F.desc("written")).first()
+    return {n: spark.read.parquet(f"{path}/{last.version}/{n}") for n in last.names}
+
+
+def ingest(existing: DataFrame, incoming: DataFrame, key: str, origin: str) -> DataFrame:
+    """existing (key, ..., origin) with the rows of a bundle in place of its own of the same key; new ones are marked by where
+    they come from, those that were there keep their origin."""
+    once = incoming.dropDuplicates([key]).join(existing.select(key, F.col("origin").alias("_had")), key, "left").withColumn("origin", F.coalesce("_had", F.lit(origin)))
+    return existing.join(incoming.select(key), key, "left_anti").select(*existing.columns).unionByName(once.select(*existing.columns))
+
+
+def read_shard(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
+    """(word, lower, mean) of some words from a sharded dictionary: only the folders of their first letters are read."""
+    low = [w.lower() for w in words]
+    initials = sorted({w[:1] if w[:1].isascii() and w[:1].isalpha() else "_" for w in low})
+    return spark.read.parquet(path).filter(F.col("initial").isin(initials) & F.col("lower").isin(low)).select("word", "lower", "mean")
+
+
+def find_pdfs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size, modified) of the PDF files in a folder and those below it, but for folders and files whose name begins with
+    a dot. No content is read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
+    return found.filter(~F.col("path").rlike(r"/\.[^/]")).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -94,12 +146,14 @@ def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def marks_markdown(marks: DataFrame) -> DataFrame:
-    """(paper_id, markdown) of marks (paper_id, place, section, sentence, note): quotes in order, a heading where the section
-    changes, notes below. A reader's marks in one paper are what bounds the text."""
+    """(paper_id, markdown) of marks (paper_id, place, section, sentence, translated, note), as `reading.marks_in_order` has
+    them: quotes in order with their translations, a heading where the section changes, notes below. A reader's marks in
+    one paper are what bounds the text."""
     w = Window.partitionBy("paper_id").orderBy("place")
     changed = F.coalesce(F.col("section") != F.lag("section").over(w), F.lit(True))
+    quote = F.concat(F.lit("> "), F.col("sentence"), F.when(F.coalesce("translated", F.lit("")) != "", F.concat(F.lit("\n>\n> "), F.col("translated"))).otherwise(""))
     note: Column = F.when(F.coalesce(F.trim("note"), F.lit("")) != "", F.concat(F.lit("\n\n"), F.trim("note"))).otherwise("")
-    item = F.concat(F.when(changed, F.concat(F.lit("## "), F.col("section"), F.lit("\n\n"))).otherwise(""), F.lit("> "), F.col("sentence"), note)
+    item = F.concat(F.when(changed, F.concat(F.lit("## "), F.col("section"), F.lit("\n\n"))).otherwise(""), quote, note)
     rows = marks.withColumn("item", item).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("x"))
     return rows.select("paper_id", F.array_join(F.transform("x", lambda i: i["item"]), "\n\n").alias("markdown"))
 

@@ -274,10 +274,10 @@ def test_files(spark, tmp_path):
     files.write_dictionary_shards(words, str(tmp_path / "shards"))
     assert spark.read.parquet(str(tmp_path / "shards")).filter("initial = 'r'").count() == 2
     (tmp_path / "p").mkdir()
-    (tmp_path / "p/a.json").write_text('{"kind":"progress","version":1,"reviews":[{"uid":"u","headword":"a","rating":3}]}')
-    (tmp_path / "p/b.json").write_text('{"kind":"progress","version":1,"reviews":[{"uid":"u","headword":"a","rating":9}]}')
+    (tmp_path / "p/a.json").write_text('{"kind":"progress","version":1,"reviews":[{"uid":"u","headword":"a","rating":3,"reviewed_at":"2026-01-01"}]}')
+    (tmp_path / "p/b.json").write_text('{"kind":"progress","version":1,"reviews":[{"uid":"u","headword":"a","rating":9,"reviewed_at":"2026-01-01"}]}')
     good, bad = files.read_progress(spark, str(tmp_path / "p"))
-    assert (good.count(), bad.count()) == (1, 1)
+    assert (good.count(), [r.reason for r in bad.collect()]) == (1, ["reviews"])
     files.write_bundle({"words": words}, str(tmp_path / "bundle"))
     assert files.read_bundle(spark, str(tmp_path / "bundle"))["words"].count() == 3
     texts = spark.createDataFrame([("t", " body "), ("t", "body"), (None, "  "), (None, None)], "title string, text string")
@@ -286,8 +286,15 @@ def test_files(spark, tmp_path):
     assert files.import_texts(texts, found).count() == 0
     d = spark.createDataFrame([("D:20240203040506",), ("D:2024",), ("x",)], "d string").select(files.pdf_date(F.col("d"))).collect()
     assert [r[0] for r in d] == [dt.datetime(2024, 2, 3, 4, 5, 6), dt.datetime(2024, 1, 1), None]
-    marks = spark.createDataFrame([("p", 2, "B", "second", ""), ("p", 1, "A", "first", "why")], "paper_id string, place int, section string, sentence string, note string")
-    assert files.marks_markdown(marks).first().markdown == "## A\n\n> first\n\nwhy\n\n## B\n\n> second"
+    marks = spark.createDataFrame([("p", 2, "B", "second", None, ""), ("p", 1, "A", "first", "erst", "why")], "paper_id string, place int, section string, sentence string, translated string, note string")
+    assert files.marks_markdown(marks).first().markdown == "## A\n\n> first\n>\n> erst\n\nwhy\n\n## B\n\n> second"
+    assert [r.lower for r in files.read_shard(spark, str(tmp_path / "shards"), ["RUN", "zz"]).collect()] == ["run"]
+    files.write_bundle({"words": words.limit(1)}, str(tmp_path / "bundle"))
+    assert files.read_bundle(spark, str(tmp_path / "bundle"))["words"].count() == 1
+    for name in ("a.pdf", ".b.pdf", "x/c.PDF", ".h/d.pdf", "x/e.txt"):
+        (tmp_path / "w" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "w" / name).write_text("x")
+    assert sorted(r.path[-5:] for r in files.find_pdfs(spark, str(tmp_path / "w")).collect()) == ["a.pdf"[-5:], "c.PDF"[-5:]]
     page = spark.createDataFrame([(1, i, x) for i, x in enumerate(["# Top", "", "2.1 Setup", "Some longer text follows here.", "", "Results", ""])], "doc_id int, n int, line string")
     assert [r.level for r in files.headings(page).orderBy("n").collect()] == [1, None, 2, None, None, 1, None]
 
