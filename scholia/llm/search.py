@@ -1,10 +1,11 @@
 """Exact top-k search by BM25 over an inverted index with block-max WAND pruning.
 
 The index is cut into shards of bounded size. Within a shard, documents are ordered so that like ones stand together, and
-postings by term and document. Every term has the maximum of its scores in the whole list and in every block of BLOCK
-documents. For a query, the lists' maxima tell first whether any document of the shard can reach the k-th best score so
-far; then the sums of the block maxima give each block's bound. The pivot is the next block in document order whose bound
-reaches that score; only pivots' postings are read, several pivots at a time, and the score to reach rises with them. It
+every term has the maximum of its scores in every block of BLOCK documents. A block of queries goes through a shard
+together: the sum of the block maxima of a query's terms bounds its score in each block. Then documents are passed in
+order, SPAN blocks at a time. Pivots are the queries for which some block of the span reaches their k-th best score so
+far; for all others the span is skipped and none of its postings read. Pivots' scores come from the rare terms' postings
+and, as most postings are of few terms, from rows of scores of the frequent ones; the score to reach rises with them. It
 is carried from shard to shard within a task. Term weights use the statistics of the whole corpus, so the shards' best k,
 merged, are exactly the best k of all.
 """
@@ -25,10 +26,10 @@ from scholia.llm import blocks
 from scholia.llm.common import cut, map_arrow, table
 
 K1, B, TOP = 1.2, 0.75, 10
-#: Documents and postings that end a shard, documents of a block, queries of a block, shards that a task goes through.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK, QUERIES, SHARDS = 1 << 14, 1 << 21, 64, 1024, 8
-#: Blocks with the greatest bounds, which are read first, and pivots that are read together after them, at first.
-SEEDS, PIVOTS = 4, 16
+#: Documents and postings that end a shard, documents of a block, blocks of a span, queries of a block, those of it that go
+#: through a shard together, shards that a task goes through, and the share of a shard's documents from which a term is
+#: frequent and has a row of scores.
+SHARD_DOCS, SHARD_POSTINGS, BLOCK, SPAN, QUERIES, TOGETHER, SHARDS, DENSE = 1 << 12, 1 << 20, 32, 16, 512, 128, 4, 1 / 24
 #: Scores count to six decimals: what is less than this below the score to reach may still tie with it.
 SLACK = 1.1e-6
 _TERM = re.compile(r"\w+")
@@ -43,43 +44,62 @@ def _hash(term: str) -> int:
     return xxhash.xxh64_intdigest(term.encode(), 0) - (1 << 63)
 
 
+class Builder:
+    """Gathers documents into a shard. What it holds of a posting are a number of the term and a count."""
+
+    def __init__(self):
+        self.vocabulary: dict[str, int] = {}
+        self.ids, self.tops, self.local, self.tf, self.postings = [], [], [], [], 0
+
+    def add(self, doc: int | None, counts: Counter) -> None:
+        self.ids.append(doc)
+        self.tops.append((max(counts, key=counts.get) if counts else "", counts.total()))
+        self.local.append(np.fromiter((self.vocabulary.setdefault(t, len(self.vocabulary)) for t in counts), np.int32, len(counts)))
+        self.tf.append(np.fromiter(counts.values(), np.float32, len(counts)))
+        self.postings += len(counts)
+
+    def build(self) -> dict[str, np.ndarray]:
+        """The shard's index, documents with the same leading term together, short ones first. A null id is -1 with its flag."""
+        by = sorted(range(len(self.ids)), key=self.tops.__getitem__)
+        local, tf = np.concatenate([self.local[i] for i in by]), np.concatenate([self.tf[i] for i in by])
+        doc = np.repeat(np.arange(len(by), dtype=np.uint16), [len(self.local[i]) for i in by])
+        hashes = np.fromiter(map(_hash, self.vocabulary), np.int64, len(self.vocabulary))
+        rank = np.argsort(hashes, kind="stable")
+        place = np.empty_like(rank)
+        place[rank] = np.arange(len(rank))
+        order = np.argsort(place[local], kind="stable")
+        df = np.bincount(place[local], minlength=len(rank))
+        ids = [self.ids[i] for i in by]
+        return {
+            "ids": np.array([-1 if i is None else i for i in ids], np.int64), "null": np.array([i is None for i in ids]), "length": np.array([self.tops[i][1] for i in by], np.int64),
+            "terms": hashes[rank], "starts": np.concatenate([[0], np.cumsum(df)]), "doc": doc[order], "tf": tf[order],
+        }
+
+
 def build_shard(docs: list[tuple[int | None, Counter]]) -> dict[str, np.ndarray]:
-    """A shard's index. A null id is -1 with its flag."""
-    vocabulary: dict[str, int] = {}
-    docs = sorted(docs, key=lambda d: (max(d[1], key=d[1].get) if d[1] else "", d[1].total()))
-    local = np.fromiter((vocabulary.setdefault(t, len(vocabulary)) for _, c in docs for t in c), np.int32)
-    tf = np.fromiter((n for _, c in docs for n in c.values()), np.float32)
-    doc = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(c) for _, c in docs])
-    hashes = np.fromiter(map(_hash, vocabulary), np.int64, len(vocabulary))
-    rank = np.argsort(hashes, kind="stable")
-    place = np.empty_like(rank)
-    place[rank] = np.arange(len(rank))
-    order = np.argsort(place[local], kind="stable")
-    df = np.bincount(place[local], minlength=len(rank))
-    return {
-        "ids": np.array([-1 if i is None else i for i, _ in docs], np.int64), "null": np.array([i is None for i, _ in docs]), "length": np.array([c.total() for _, c in docs], np.int64),
-        "terms": hashes[rank], "starts": np.concatenate([[0], np.cumsum(df)]), "doc": doc[order], "tf": tf[order],
-    }
+    b = Builder()
+    for d in docs:
+        b.add(*d)
+    return b.build()
 
 
 def index(docs: DataFrame) -> DataFrame:
     """(payload, terms array, dfs array, docs, length): a row for each shard of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, n = [], 0
+        b = Builder()
 
         def flush() -> pa.RecordBatch:
-            s = build_shard(waiting)
-            return pa.RecordBatch.from_pydict({"payload": [blocks.dump(**s)], "terms": [s["terms"]], "dfs": [np.diff(s["starts"]).astype(np.int64)], "docs": [len(waiting)], "length": [int(s["length"].sum())]})
+            s = b.build()
+            return pa.RecordBatch.from_pydict({"payload": [blocks.dump(**s)], "terms": [s["terms"]], "dfs": [np.diff(s["starts"]).astype(np.int64)], "docs": [len(s["ids"])], "length": [int(s["length"].sum())]})
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                waiting.append((i, terms(t.as_py())))
-                n += len(waiting[-1][1])
-                if len(waiting) >= SHARD_DOCS or n >= SHARD_POSTINGS:
+                b.add(i, terms(t.as_py()))
+                if len(b.ids) >= SHARD_DOCS or b.postings >= SHARD_POSTINGS:
                     yield flush()
-                    waiting, n = [], 0
-        if waiting:
+                    b = Builder()
+        if b.ids:
             yield flush()
 
     return map_arrow(docs.select("doc_id", "text"), run, "payload binary, terms array<long>, dfs array<long>, docs long, length long")
@@ -91,99 +111,119 @@ def _ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Best:
-    """The best k scores of each query so far, least first; those that aren't there yet are 0."""
+    """The best k scores of each query so far, in rows; those that aren't there yet are 0."""
 
     def __init__(self, k: int):
-        self.k, self.scores = k, {}
+        self.k, self.row, self.scores = k, {}, np.zeros((0, k))
+
+    def rows(self, queries: list[int]) -> np.ndarray:
+        for q in queries:
+            self.row.setdefault(q, len(self.row))
+        if len(self.row) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros((len(self.row) - len(self.scores), self.k))])
+        return np.array([self.row[q] for q in queries], np.int64)
 
-    def reach(self, query: int) -> float:
-        found = self.scores.get(query)
-        return 0.0 if found is None else float(found[0])
+    def reach(self, rows: np.ndarray) -> np.ndarray:
+        """The least score that may still be among a query's best."""
+        return self.scores[rows].min(1) - SLACK
 
-    def add(self, query: int, scores: np.ndarray) -> float:
-        """The score to reach after more scores of a query."""
-        found = self.scores.get(query)
-        if found is None:
-            found = np.zeros(self.k)
-        if len(scores) > self.k:
-            scores = np.partition(scores, len(scores) - self.k)[-self.k :]
-        self.scores[query] = np.sort(np.concatenate([found, scores]))[-self.k :]
-        return float(self.scores[query][0])
+    def add(self, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        """`reach` after more scores of queries, a row each."""
+        if scores.shape[1] > self.k:
+            scores = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, -self.k :]
+        both = np.concatenate([self.scores[rows], scores], axis=1)
+        self.scores[rows] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+        return self.reach(rows)
 
 
 class Shard:
-    """A shard with its BM25 parts: for each posting, what the term's weight is multiplied by; and their maxima by list and
-    by block. `read` and `skipped` count the postings of queries' terms that were scored and that weren't."""
+    """A shard with its BM25 parts: for each posting, what the term's weight is multiplied by; and their maxima by block.
+    `read` and `skipped` count the postings of queries' terms that were scored and that weren't."""
 
     def __init__(self, data: dict[str, np.ndarray], mean: float):
-        self.ids, self.null, self.terms, self.starts, self.doc = data["ids"], data["null"], data["terms"], data["starts"], data["doc"].astype(np.int64)
+        self.ids, self.terms, self.n = data["ids"], data["terms"], len(data["ids"])
         norm = K1 * (1 - B + B * data["length"] / max(mean, 1e-9))
-        tf = data["tf"].astype(np.float64)
-        self.part = tf * (K1 + 1) / (tf + norm[self.doc])
-        self.n, self.df, self.blocks = len(self.ids), np.diff(self.starts), -(-len(self.ids) // BLOCK)
-        of = np.repeat(np.arange(len(self.df), dtype=np.int64), self.df) << 16 | self.doc // BLOCK
+        doc, part = data["doc"].astype(np.int32), data["tf"].astype(np.float64)
+        part *= (K1 + 1) / (part + norm[doc])
+        self.df = np.diff(data["starts"])
+        self.width = BLOCK * SPAN
+        self.spans = -(-self.n // self.width)
+        self.blocks, size = self.spans * SPAN, self.spans * self.width
+        self.null = np.concatenate([data["null"], np.ones(size - self.n, bool)])
+        frequent = self.df > max(DENSE * self.n, 8)
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.dense = np.zeros((int(frequent.sum()), size))
+        in_row = np.repeat(self.row, self.df)
+        some = in_row >= 0
+        self.dense[in_row[some], doc[some]] = part[some]
+        self.dense_most = self.dense.reshape(len(self.dense), self.blocks, BLOCK).max(2)
+        self.dense_df = (self.dense > 0).reshape(len(self.dense), self.spans, self.width).sum(2)
+        # of the rare terms: postings, and where each term's blocks begin in them
+        self.doc, self.part = doc[~some], part[~some]
+        of = np.repeat(np.arange(len(self.df), dtype=np.int64) << 16, np.where(frequent, 0, self.df))
+        of |= self.doc // BLOCK
         self.first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
         self.size = np.diff(np.append(self.first, len(of)))
-        self.block = (of[self.first] & 0xFFFF).astype(np.uint16)  # so that sorting by it is quick
+        self.block = of[self.first] & 0xFFFF
         self.most = np.maximum.reduceat(self.part, self.first) if len(of) else np.zeros(0)
-        self.entries = np.searchsorted(self.first, self.starts)  # where a term's blocks begin
-        self.list_most = np.maximum.reduceat(self.part, self.starts[:-1]) if len(of) else np.zeros(0)
+        self.entries = np.searchsorted(of[self.first] >> 16, np.arange(len(self.df) + 1))
         self.read = self.skipped = 0
 
-    def search(self, q: dict[str, np.ndarray], best: Best) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each query of the block: its id, the documents with an id that may be among its best so far, and their scores."""
+    def search(self, q: dict[str, np.ndarray], best: Best) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document, score) of the documents with an id that may be among a query's best so far."""
+        found = []
+        for a in range(0, len(q["ids"]), TOGETHER):
+            starts = q["starts"][a : a + TOGETHER + 1]
+            terms = slice(starts[0], starts[-1])
+            found.append(self._some({"ids": q["ids"][a : a + TOGETHER], "starts": starts - starts[0], "terms": q["terms"][terms], "weights": q["weights"][terms]}, best))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def _some(self, q: dict[str, np.ndarray], best: Best) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = len(q["ids"])
         at = np.searchsorted(self.terms, q["terms"])
         at[at == len(self.terms)] = 0
         here = self.terms[at] == q["terms"] if len(self.terms) else np.zeros(len(at), bool)
-        for i, query in enumerate(q["ids"].tolist()):
-            mine = slice(q["starts"][i], q["starts"][i + 1])
-            term, weight = at[mine][here[mine]], q["weights"][mine][here[mine]]
-            if len(term):
-                found = self._one(query, term, weight, best)
-                if found is not None:
-                    yield query, *found
-
-    def _one(self, query: int, term: np.ndarray, weight: np.ndarray, best: Best) -> tuple[np.ndarray, np.ndarray] | None:
-        reach, total = best.reach(query) - SLACK, int(self.df[term].sum())
-        self.skipped += total
-        if float(weight @ self.list_most[term]) < reach:
-            return None
-        n = self.entries[term + 1] - self.entries[term]
-        entry, own = _ranges(self.entries[term], n), np.repeat(weight, n)
-        order = np.argsort(self.block[entry], kind="stable")
-        entry, own = entry[order], own[order]
-        ends = np.searchsorted(self.block[entry], np.arange(self.blocks + 1))  # a block's entries, in document order
-        bound = np.add.reduceat(np.append(own * self.most[entry], 0.0), ends[:-1]) * (ends[1:] > ends[:-1])
-        docs, scores = [], []
-
-        def score(pivots: np.ndarray) -> float:
-            some = _ranges(ends[pivots], ends[pivots + 1] - ends[pivots])
-            posting, w = _ranges(self.first[entry[some]], self.size[entry[some]]), np.repeat(own[some], self.size[entry[some]])
-            self.read += len(posting)
-            self.skipped -= len(posting)
-            value = np.bincount(self.doc[posting], w * self.part[posting])
-            doc = np.flatnonzero(value >= max(reach, 1e-12))
-            doc = doc[~self.null[doc]]  # those without an id can't be found, so they mustn't raise the score to reach
-            docs.append(doc)
-            scores.append(value[doc])
-            return best.add(query, value[doc]) - SLACK
-
-        open_ = (bound > 0) & (bound >= reach)
-        if open_.sum() > SEEDS:
-            seeds = np.sort(np.argpartition(np.where(open_, bound, 0), self.blocks - SEEDS)[-SEEDS:])
-            reach = max(reach, score(seeds))
-            open_[seeds] = False
-        together, after = PIVOTS, 0
-        while True:
-            pivots = after + np.flatnonzero(open_[after:] & (bound[after:] >= reach))[:together]
+        of, at, weight = np.repeat(np.arange(n), np.diff(q["starts"]))[here], at[here], q["weights"][here]
+        heavy, rare = np.zeros((n, len(self.dense))), self.row[at] < 0
+        heavy[of[~rare], self.row[at[~rare]]] = weight[~rare]
+        # each rare term's blocks, by span
+        many = self.entries[at[rare] + 1] - self.entries[at[rare]]
+        entry, whose, own = _ranges(self.entries[at[rare]], many), np.repeat(of[rare], many), np.repeat(weight[rare], many)
+        bound = heavy @ self.dense_most + np.bincount(whose * self.blocks + self.block[entry], own * self.most[entry], n * self.blocks).reshape(n, self.blocks)
+        bound *= 1 + 1e-12
+        order = np.argsort((self.block[entry] // SPAN).astype(np.uint16), kind="stable")
+        entry, whose, own = entry[order], whose[order], own[order]
+        ends = np.searchsorted(self.block[entry] // SPAN, np.arange(self.spans + 1))
+        postings = (heavy > 0).astype(np.float64) @ self.dense_df
+        rows = best.rows(q["ids"].tolist())
+        reach, found = best.reach(rows), []
+        for s in range(self.spans):
+            top = bound[:, s * SPAN : (s + 1) * SPAN].max(1)
+            pivots = np.flatnonzero((top > 0) & (top >= reach))
+            mine = slice(ends[s], ends[s + 1])
+            place = np.full(n, -1)
+            place[pivots] = np.arange(len(pivots))
+            keep = place[whose[mine]] >= 0
+            e, w, p = entry[mine][keep], own[mine][keep], place[whose[mine][keep]]
+            read = int(postings[pivots, s].sum() + self.size[e].sum())
+            self.read += read
+            self.skipped += int(postings[:, s].sum() + self.size[entry[mine]].sum()) - read
             if not len(pivots):
-                break
-            reach, after, together = max(reach, score(pivots)), int(pivots[-1]) + 1, 2 * together
-        if not docs:
-            return None
-        doc, value = np.concatenate(docs), np.concatenate(scores)
-        keep = value >= reach
-        return doc[keep], value[keep]
+                continue
+            scores = heavy[pivots] @ self.dense[:, s * self.width : (s + 1) * self.width]
+            length = self.size[e]
+            posting = _ranges(self.first[e], length)
+            cell = np.repeat(p * self.width - s * self.width, length) + self.doc[posting]
+            scores += np.bincount(cell, np.repeat(w, length) * self.part[posting], scores.size).reshape(scores.shape)
+            scores[:, self.null[s * self.width : (s + 1) * self.width]] = 0  # without an id: can't be found, nor raise what is to be reached
+            reach[pivots] = best.add(rows[pivots], scores)
+            who, doc = np.nonzero((scores >= reach[pivots, None]) & (scores > 0))
+            found.append((pivots[who], doc + s * self.width, scores[who, doc]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        who, doc, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = scores >= reach[who]
+        return q["ids"][who[keep]], doc[keep], scores[keep]
 
 
 def query_blocks(docs: DataFrame, df: DataFrame, n_docs: int, at_a_time: int = QUERIES) -> DataFrame:
@@ -229,15 +269,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     def run(block: dict, q: dict) -> pa.RecordBatch:
         if state[0] is not block:
             state[:] = [block, Shard(block, mean), state[2] or Best(k)]
-        s, out = state[1], ([], [], [])
-        for query, live, own in s.search(q, state[2]):
-            ids, own = s.ids[live], np.round(own, 6)
-            order = np.lexsort((ids, -own))[:k]
-            out[0].append(np.full(len(order), query))
-            out[1].append(ids[order])
-            out[2].append(own[order])
-        cols = [np.concatenate(x) if x else np.zeros(0) for x in out]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "doc_id", "score"])
+        query, doc, score = state[1].search(q, state[2])
+        ids, score = state[1].ids[doc], np.round(score, 6)
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+        return pa.RecordBatch.from_arrays([pa.array(query[keep], pa.int64()), pa.array(ids[keep], pa.int64()), pa.array(score[keep], pa.float64())], names=["query_id", "doc_id", "score"])
 
     found = blocks.pairs(shards.coalesce(max(1, -(-stats[0] // SHARDS))), asked, run, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
