@@ -137,31 +137,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     kept = np.sort(seen.filter(often).select("f").toArrow()["f"].to_numpy().astype(np.int64))
 
     def only(batches):
+        known = np.zeros(SPACE, bool)
+        known[kept] = True
         for batch in batches:
             lists = [np.asarray(x.values) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[np.isin(x, kept)].astype("<i4").tobytes() for x in lists], pa.binary())], names=["toxic", "key", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[known[x]].astype("<i4").tobytes() for x in lists], pa.binary())], names=["toxic", "key", "x"])
 
     got = map_arrow(rows.select("toxic", "x", "key"), only, "toxic int, key long, x binary").toArrow().sort_by([("toxic", "ascending"), ("key", "ascending")])
     x = [np.frombuffer(b.as_py(), "<i4").astype(np.int64) for b in got["x"]]
     return fit(x, grade(x, got["toxic"].to_numpy().astype(np.int64)))
 
 
-def _scorer(model: OrdinalModel):
-    known: dict[str, float] = {}
+def _scorer(model: OrdinalModel, keep: int = 500_000):
+    """What gives a text's probabilities. Words are looked at once: those with a weighed feature and those without are kept
+    apart, so that most words of a text cost a set operation."""
+    live: dict[str, list[int]] = {}
+    dead: set[str] = set()
 
     def score(text: str | None) -> list[float]:
-        z = 0.0
-        own: dict[int, int] = {}
-        for w in words(text):
-            v = known.get(w)
-            if v is None:
-                if len(known) > 500_000:
-                    known.clear()
-                v = known[w] = tuple(f for f in word_features(w) if f in model.weights)
-            for f in v:
-                own[f] = own.get(f, 0) + 1
-        z = sum(model.weights[f] * float(np.log1p(n)) for f, n in sorted(own.items()))
-        return model.probabilities(z)
+        own = words(text)
+        for w in own.difference(dead, live):
+            if found := [f for f in word_features(w) if f in model.weights]:
+                live[w] = found
+            else:
+                dead.add(w)
+        counts: dict[int, int] = {}
+        for w in own.intersection(live):
+            for f in live[w]:
+                counts[f] = counts.get(f, 0) + 1
+        if len(dead) + len(live) > keep:
+            dead.clear()
+            live.clear()
+        return model.probabilities(sum(model.weights[f] * float(np.log1p(n)) for f, n in sorted(counts.items())))
 
     return score
 
