@@ -2,8 +2,8 @@
 
 Every letter has a random bipolar vector. A trigram's vector binds (multiplies) its letters' vectors, rotated by their
 place; a text's vector bundles (adds) those of its trigrams, words being set off by a space that counts as a letter. A
-language's prototype bundles the unit vectors of its training texts. The language with the greatest cosine wins, after
-the mean prototype, what all languages share, is taken from each.
+language's prototype bundles the unit vectors of its training texts, less the mean of all prototypes, which is what all
+languages share: sums of many texts point much the same way without that. The language with the greatest cosine wins.
 """
 
 from __future__ import annotations
@@ -151,7 +151,7 @@ def held_out_reference(doc_id: int) -> bool:
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every whole document. Rows without an id count as not held out and aren't learned from; repeated
+    """The language of every whole document, however long. Further columns aren't read. Rows without an id count as not held out and aren't learned from; repeated
     rows are each predicted; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
