@@ -19,6 +19,23 @@ def stale(now: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return now.join(stored.select(key, F.col("items_hash").alias("old")), key, "left").filter(~F.col("items_hash").eqNullSafe(F.col("old"))).select(key, "items_hash")
 
 
+def current(now: DataFrame, stored: DataFrame, key: str, version: str) -> DataFrame:
+    """(key, upgraded) of what is up to date: fingerprints (now: key, items_hash) that stored (key, items_hash, state, version,
+    manual) has; or what was done by this version before fingerprints were kept, and not edited since, which gets its
+    fingerprint now."""
+    both = now.join(stored.select(key, F.col("items_hash").alias("old"), "state", "version", "manual"), key)
+    legacy = F.col("old").isNull() & (F.col("state") == "done") & (F.col("version") == version) & ~F.coalesce("manual", F.lit(False))
+    return both.filter((F.col("items_hash") == F.col("old")) | legacy).select(key, F.col("old").isNull().alias("upgraded"))
+
+
+def translated(items: DataFrame, cache: DataFrame, translator) -> DataFrame:
+    """(text, translated) of the distinct texts of items: from the cache (text, translated), and what it lacks by the translator,
+    a function of a Column (a vectorised UDF, say). A text that comes back as it was has no translation."""
+    new = todo(items, cache, "text").select("text", translator(F.col("text")).alias("translated"))
+    new = new.withColumn("translated", F.when(F.lower(F.trim("translated")) != F.lower(F.trim("text")), F.col("translated")).otherwise(""))
+    return in_use(cache.select("text", "translated"), items, "text").unionByName(new)
+
+
 def todo(items: DataFrame, cache: DataFrame, text: str) -> DataFrame:
     """Distinct texts that the cache (text) lacks."""
     return items.select(text).distinct().join(cache.select(text), text, "left_anti")

@@ -129,6 +129,16 @@ def expanded(texts: DataFrame, stop: list[str] = STOP) -> DataFrame:
     return hits.groupBy("doc_id", F.col("x.acronym").alias("acronym")).agg(F.min_by("x.expansion", F.struct("n", "x.at")).alias("expansion"))
 
 
+def first_places_of(terms: DataFrame, texts: DataFrame, token: str) -> DataFrame:
+    """(doc_id, word, section, k): where each term (doc_id, word) first stands in its document's texts (doc_id, section, k, text),
+    in the singular or plural."""
+    key = lambda c: term_key(F.lower(c))
+    asked = terms.select("doc_id", "word", key(F.col("word")).alias("key"))
+    found = texts.select("doc_id", "section", "k", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(token), F.lit(0)), key))).alias("key"))
+    first = found.join(asked, ["doc_id", "key"]).groupBy("doc_id", "word").agg(F.min(F.struct("section", "k")).alias("at"))
+    return first.select("doc_id", "word", "at.section", "at.k")
+
+
 def with_glossary(asked: DataFrame, found: DataFrame, index: DataFrame) -> DataFrame:
     """(doc_id, word, headword, match, also) of words asked for in papers (doc_id, word), as found in the dictionary (word,
     headword, match) or in the glossaries (index: key, doc_id, term, n): a glossary's term where the dictionary has nothing,

@@ -376,6 +376,23 @@ def translation_todo(spark: SparkSession, d: str) -> DataFrame:
     return artefacts.todo(c.filter("text is not null"), c.filter("role = 'assistant'"), "text")
 
 
+@query("""SELECT DISTINCT text, CASE WHEN text IN (SELECT text FROM conversations WHERE role = 'assistant') THEN 'kept' WHEN reverse(text) = text THEN '' ELSE reverse(text) END AS translated FROM conversations WHERE text IS NOT NULL""")
+def translation_run(spark: SparkSession, d: str) -> DataFrame:
+    """A run of a translator that says texts backwards; what assistants said is translated already."""
+    c = a.table(spark, d, "conversations").filter("text is not null")
+    cache = c.filter("role = 'assistant'").select("text").distinct().withColumn("translated", F.lit("kept"))
+    return artefacts.translated(c, cache, F.reverse)
+
+
+@query(v.sql(v.PAPERS, v.LINES, "now AS (SELECT doc_id, sha1(string_agg(sha1(line), ',' ORDER BY n)) AS h FROM lines GROUP BY 1)", query="SELECT doc_id, doc_id % 4 = 1 AS upgraded FROM now WHERE doc_id % 4 = 0 OR doc_id % 4 = 1 AND doc_id % 3 > 0 AND doc_id % 5 > 0"))
+def artefacts_current(spark: SparkSession, d: str) -> DataFrame:
+    """Of four papers one has its fingerprint, one was made before these were kept, one has another and one none."""
+    now, m = artefacts.fingerprint(a.lines(spark, d), "doc_id", "n", "line"), F.col("doc_id") % 4
+    kept = F.when(m == 0, F.col("items_hash")).when(m == 2, "other")
+    stored = now.filter("doc_id % 4 < 3").select("doc_id", kept.alias("items_hash"), F.lit("done").alias("state"), F.when(F.col("doc_id") % 3 == 0, "v1").otherwise("v2").alias("version"), (F.col("doc_id") % 5 == 0).alias("manual"))
+    return artefacts.current(now, stored, "doc_id", "v2")
+
+
 @query("SELECT DISTINCT text FROM conversations WHERE role = 'assistant' AND text IN (SELECT text FROM conversations WHERE turn % 2 = 1)")
 def cache_gc(spark: SparkSession, d: str) -> DataFrame:
     c = a.table(spark, d, "conversations")

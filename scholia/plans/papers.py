@@ -108,14 +108,15 @@ def quiz_check(spark: SparkSession, d: str) -> DataFrame:
 # --- first-match joins -----------------------------------------------------------------------------------------------
 
 
-_LOOKUPS = "lookups AS (SELECT e.event_id AS uid, l.doc_id, l.line AS sentence FROM events e JOIN lines l ON l.doc_id = e.event_id % 500 AND l.n = 1 + e.event_id % 3)"
+_LOOKUPS = "lookups AS (SELECT e.event_id AS uid, l.doc_id, l.line AS sentence FROM events e JOIN lines l ON l.doc_id = e.event_id % (SELECT max(doc_id) + 1 FROM documents) AND l.n = 1 + e.event_id % 11)"
 
 
 @query(v.sql(v.PAPERS, v.LINES, _LOOKUPS, "heard AS (SELECT doc_id, line, min(n) AS n FROM lines WHERE n % 2 = 1 AND line <> '' GROUP BY 1, 2)", "seen AS (SELECT doc_id, line, min(n) AS n FROM lines GROUP BY 1, 2)",
     query="SELECT k.uid, k.doc_id, k.sentence, h.doc_id || '/' || h.n || '_1' AS audio_ref, CASE WHEN s.n % 3 <> 0 THEN 't' || length(s.line) END AS translated FROM lookups k LEFT JOIN heard h ON h.doc_id = k.doc_id AND h.line = k.sentence LEFT JOIN seen s ON s.doc_id = k.doc_id AND s.line = k.sentence"))
 def lookup_examples(spark: SparkSession, d: str) -> DataFrame:
     lines = _as_long(a.lines(spark, d), "n")
-    e = a.table(spark, d, "events").select(F.col("event_id").alias("uid"), (F.col("event_id") % 500).alias("doc_id"), (1 + F.col("event_id") % 3).alias("n"))
+    last = F.broadcast(a.table(spark, d, "documents").agg((F.max("doc_id") + 1).alias("docs")))  # one row
+    e = a.table(spark, d, "events").crossJoin(last).select(F.col("event_id").alias("uid"), (F.col("event_id") % F.col("docs")).alias("doc_id"), (1 + F.col("event_id") % 11).alias("n"))
     lookups = e.join(lines, ["doc_id", "n"]).select("uid", "doc_id", F.col("line").alias("sentence"))
     sentences = lines.select("doc_id", F.col("n").alias("section"), F.lit(1).alias("k"), F.col("line").alias("text"), F.when(F.col("n") % 2 == 1, F.col("line")).otherwise("").alias("spoken"))
     translations = lines.filter("n % 3 <> 0").select("doc_id", F.col("n").alias("section"), F.lit(1).alias("k"), F.concat(F.lit("t"), F.length("line").cast("string")).alias("translated"))

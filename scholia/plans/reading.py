@@ -305,3 +305,13 @@ def glossary_fallback(spark: SparkSession, d: str) -> DataFrame:
     asked = tokens.filter("pos % 3 = 0").select("doc_id", F.col("token").alias("word")).distinct()
     index = terms.glossary_index(terms.glossary_words(tokens, dictionary))
     return terms.with_glossary(asked, terms.ranked_lookup(asked.select("word").distinct(), dictionary), index)
+
+
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, v.SECTIONS, v.TOKENS, v.DICTIONARY, _COUNTS, _WORDS,
+    f"said AS (SELECT doc_id, section, k, lower(unnest(regexp_extract_all(text, '{a.TOKEN}'))) AS t FROM sentences)",
+    "keys AS (SELECT doc_id, section, k, CASE WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN substr(t, 1, length(t) - 1) ELSE t END AS key FROM said)",
+    "asked AS (SELECT doc_id, word, CASE WHEN length(word) > 3 AND word LIKE '%s' AND word NOT LIKE '%ss' THEN substr(word, 1, length(word) - 1) ELSE word END AS key FROM words)",
+    query="SELECT doc_id, word, section, k FROM asked JOIN keys USING (doc_id, key) QUALIFY row_number() OVER (PARTITION BY doc_id, word ORDER BY section, k) = 1"))
+def glossary_places(spark: SparkSession, d: str) -> DataFrame:
+    words = terms.glossary_words(a.tokens(spark, d), a.dictionary(spark, d))
+    return _as_long(terms.first_places_of(words, a.outlined(spark, d)[1], a.TOKEN), "section", "k")

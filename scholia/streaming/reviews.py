@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
 from scholia.functions.srs import replay
@@ -38,17 +39,33 @@ def logs(stream: DataFrame) -> DataFrame:
     return stream.groupBy("headword").applyInPandasWithState(fold, SCHEMA, "uids array<long>, ratings array<int>, times array<long>", "update", "NoTimeout")
 
 
-def merge_into(batch: DataFrame, path: str) -> DataFrame:
+#: Parts of the stored log, by a hash of the headword: a batch reads those that its headwords are in.
+PARTS = 64
+
+
+def merge_into(batch: DataFrame, path: str, parts: int = PARTS) -> DataFrame:
     """Adds a batch's new answers to the Parquet log at path (by its own anti-join, so repeats of any age change nothing) and
-    gives the new state of the headwords that it touches. For foreachBatch."""
-    spark = batch.sparkSession
+    gives the new state of the headwords that it touches. For foreachBatch. A uid belongs to one headword, so only the
+    parts of the log that the batch's headwords are in are read."""
+    spark, schema = batch.sparkSession, batch.schema
+    part = F.pmod(F.xxhash64("headword"), F.lit(parts)).cast("int")
+    rows = batch.dropDuplicates(["uid"]).withColumn("part", part)
+    touched = [r.part for r in rows.select("part").distinct().collect()]  # `parts` numbers at most
+
+    def log() -> DataFrame:
+        return spark.read.schema(_ddl(schema)).parquet(path).filter(F.col("part").isin(touched))
+
     try:
-        old = spark.read.parquet(path)
+        old = log()
+        old.schema  # noqa: B018
     except Exception as e:  # noqa: BLE001  no log yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        old = spark.createDataFrame([], batch.schema)
-    new = batch.dropDuplicates(["uid"]).join(old.select("uid"), "uid", "left_anti").select(*batch.columns)
-    new.write.mode("append").parquet(path)
-    touched = batch.select("headword").distinct()
-    return replay(spark.read.schema(batch.schema).parquet(path).join(touched, "headword", "left_semi"))
+        old = spark.createDataFrame([], schema).withColumn("part", F.lit(0))
+    new = rows.join(old.select("uid"), "uid", "left_anti").select(*batch.columns, "part")
+    new.write.partitionBy("part").mode("append").parquet(path)
+    return replay(log().join(batch.select("headword").distinct(), "headword", "left_semi"))
+
+
+def _ddl(schema) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", part int"

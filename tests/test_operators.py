@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scholia.functions import align, srs, text, times
+from scholia.functions import align, register, srs, text, times
 from scholia.operators import folders, layout, logs, outline, papers, quality, reading, study, terms
 from scholia.sources import files
 
@@ -443,3 +443,15 @@ def test_advice_and_blanks(spark):
     picked = {study.blanks(words, ["s"], 1, seed).filter("s = 1").first().word for seed in range(40)}
     assert len(picked) >= 5
     assert not picked & {"The", "DM", "and"}
+
+
+def test_register_and_rules(spark):
+    assert set(register.register(spark)) == set(register.UDFS)
+    assert spark.sql("select scholia_sentences('One is. Two are.') as x").first().x == ["One is.", "Two are."]
+    rules = spark.createDataFrame([(1, " DM ", "D M", None), (2, "ALPAO", "al pao", False), (3, "", "x", None), (4, "DM", "again", None), (5, "y" * 61, "x", None)], "rule_id int, find string, put string, whole_case boolean")
+    kept = papers.kept_rules(rules)
+    assert sorted((r.rule_id, r.find, r.whole_case) for r in kept.collect()) == [(1, "DM", True), (2, "ALPAO", False)]
+    said = spark.createDataFrame([("The DM and DMs, not ADMIN; Alpao at 5 V.",)], "text string")
+    assert register.spoken(said, kept).first().spoken == "The D M and DMs, not ADMIN; al pao at 5 volts."
+    assert one(spark, text.highlighted(F.col("t"), F.lit("mirror")), t="Mirrors and a mirror, no amirror.") == "<mark>Mirrors</mark> and a <mark>mirror</mark>, no amirror."
+    assert [one(spark, text.valid_id(F.col("t")), t=x) for x in ("0123abcd", "0123ABCD", "0123abc", "0123abcde")] == [True, False, False, False]
