@@ -146,7 +146,8 @@ def in_blocks(fps: DataFrame, most: int) -> DataFrame:
         ids, fp, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            payload = blocks.dump(ids=np.array(ids, np.int64), starts=np.cumsum([0, *(len(x) // 4 for x in fp)]), fp=np.frombuffer(b"".join(fp), "<u4"))
+            payload = blocks.dump(ids=np.array(ids, np.int64), starts=np.cumsum([0, *(len(x) // 4 for x in fp)]),
+                fp=np.frombuffer(b"".join(fp), "<u4"))
             return pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], names=["payload"])
 
         for batch in batches:
@@ -288,7 +289,8 @@ def align(fps: DataFrame, queries: DataFrame) -> DataFrame:
     with: the best one, and how many ids align. Queries without an id are passed over; those of equal fingerprints are
     compared once, under the least of their ids, and each counts."""
     classes = stored(fps.select("fp").filter(F.octet_length("fp") > 0).distinct().withColumn("id", F.monotonically_increasing_id()))
-    asked = stored(queries.filter("id is not null").filter(F.octet_length("fp") > 0).groupBy("fp").agg(F.min("id").alias("id"), F.countDistinct("id").alias("n")))
+    asked = stored(queries.filter("id is not null").filter(F.octet_length("fp") > 0).groupBy("fp").agg(F.min("id").alias("id"),
+        F.countDistinct("id").alias("n")))
     names = ["id", "query", "offset", "errors", "n", "which"]
 
     def run(rows: dict, q: dict) -> pa.RecordBatch:
@@ -296,10 +298,12 @@ def align(fps: DataFrame, queries: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(align_block(rows, q), kinds, strict=True)], names=names)
 
     few = asked.coalesce(max(1, asked.count() // QUERIES))
-    found = stored(blocks.pairs(in_blocks(classes.select("id", "fp"), ROWS), stored(in_blocks(few, QUERIES)), run, "id long, query long, offset long, errors double, n long, which array<long>"))
+    found = stored(blocks.pairs(in_blocks(classes.select("id", "fp"), ROWS), stored(in_blocks(few, QUERIES)), run,
+         "id long, query long, offset long, errors double, n long, which array<long>"))
     best = found.groupBy("id").agg(F.min(F.struct("errors", "query", "offset")).alias("best"))
     weights = asked.filter("n > 1").select(F.col("id").alias("q"), "n")  # an id of several fingerprints may count for each
-    count = found.select("id", F.explode("which").alias("q")).join(weights, "q", "left").groupBy("id").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n_queries"))
+    count = found.select("id", F.explode("which").alias("q")).join(weights, "q", "left").groupBy("id").agg(F.sum(F.coalesce("n",
+        F.lit(1))).alias("n_queries"))
     return classes.join(best.join(count, "id"), "id").select("fp", "best.query", "best.offset", "best.errors", "n_queries")
 
 
@@ -326,7 +330,8 @@ def sonify(note: int = 512, rate: int = 8000) -> Callable[[dict | None], bytes |
 def recordings(vectors: DataFrame) -> DataFrame:
     """(vec_id, sound {id, vector, late, noise}) of vectors (vec_id, embedding): what is played of each."""
     i = F.col("vec_id")
-    return vectors.select("vec_id", F.struct(i.alias("id"), F.col("embedding").alias("vector"), F.lit(0).alias("late"), F.lit(0.0).alias("noise")).alias("sound"))
+    return vectors.select("vec_id", F.struct(i.alias("id"), F.col("embedding").alias("vector"), F.lit(0).alias("late"),
+        F.lit(0.0).alias("noise")).alias("sound"))
 
 
 def heard(vectors: DataFrame) -> DataFrame:
@@ -334,7 +339,8 @@ def heard(vectors: DataFrame) -> DataFrame:
     early, and with noise of up to 4 % of full loudness."""
     i = F.col("vec_id")
     hundreds = F.floor(F.abs(i) / 100)
-    return vectors.select("vec_id", F.struct(i.alias("id"), F.col("embedding").alias("vector"), (hundreds % 12).cast("int").alias("late"), (hundreds % 5 * 0.01).alias("noise")).alias("sound"))
+    return vectors.select("vec_id", F.struct(i.alias("id"), F.col("embedding").alias("vector"),
+        (hundreds % 12).cast("int").alias("late"), (hundreds % 5 * 0.01).alias("noise")).alias("sound"))
 
 
 def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,4 +353,6 @@ def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = stored(fingerprints(recordings(vectors), "vec_id", "sound", sonify))
     found = align(fps, fingerprints(heard(vectors.filter("vec_id % 100 = 0")), "vec_id", "sound", sonify))
     size: Column = (F.octet_length("fp") / 4).cast("long")
-    return fps.join(found, "fp", "left").select(F.col("id").alias("vec_id"), size.alias("n_frames"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("query").alias("aligned_id"), "offset", F.round("errors", 6).alias("bit_error_rate"), F.coalesce("n_queries", F.lit(0)).alias("n_aligned"))
+    return fps.join(found, "fp", "left").select(F.col("id").alias("vec_id"), size.alias("n_frames"),
+        F.lower(F.hex("fp")).alias("fingerprint"), F.col("query").alias("aligned_id"), "offset", F.round("errors",
+        6).alias("bit_error_rate"), F.coalesce("n_queries", F.lit(0)).alias("n_aligned"))

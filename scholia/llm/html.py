@@ -25,8 +25,11 @@ BLOCK = frozenset(
     "head header hgroup hr html legend li main menu nav ol p pre section summary table caption thead tbody tfoot tr td th ul".split()
 )
 #: Elements that a start tag ends if they are open, up to an element of the second set.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-GONE_TAGS = frozenset("head script style title textarea iframe noembed noframes xmp noscript nav aside footer form button input select option label fieldset dialog template svg canvas object embed audio video menu annotation annotation-xml".split())
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "tr": ({"tr", "td",
+    "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"},
+    {"select"})}
+GONE_TAGS = frozenset("head script style title textarea iframe noembed noframes xmp noscript nav aside footer form button input "
+     "select option label fieldset dialog template svg canvas object embed audio video menu annotation " "annotation-xml".split())
 GONE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 GONE_WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead topbar footer foot bottombar sidebar side aside rail widget widgets "
@@ -36,8 +39,10 @@ GONE_WORDS = frozenset(
 )
 #: What such names have beside these words.
 FILLER = frozenset(
-    "area bar block body bottom box btn button buttons cell center col column container content div elem element first full group head heading holder icon icons id inner item items "
-    "last left link links list main mobile module nested new node outer page panel part post posts primary right row sec secondary section site slot small story stories sub text "
+    "area bar block body bottom box btn button buttons cell center col column container content div elem "
+         "element first full group head heading holder icon icons id inner item items "
+    "last left link links list main mobile module nested new node outer page panel part post posts primary "
+         "right row sec secondary section site slot small story stories sub text "
     "title top unit wrap wrapper zone article articles a in of on the to us your follow feed sticky fixed global js".split()
 )
 #: Of the first, what stays gone even where an article stands in it: a comment or a teaser may be an article too.
@@ -46,7 +51,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: What comes next inside a tag: its end, or an attribute with a double-quoted, single-quoted or unquoted value, a quoted
 #: value that nothing ends, or none. Possessive, so that every character is read once.
-_NEXT = re.compile(r"""[ \t\n\f\r/]*+(?:(>)|([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"([^"]*+)"|'([^']*+)'|(["'])|([^ \t\n\f\r>"'][^ \t\n\f\r>]*+)|(?=>)))?+)""")
+_NEXT = re.compile(r"""[ \t\n\f\r/]*+(?:(>)|([^ \t\n\f\r/>][^ \t\n\f\r/>=]*+)(?:[ \t\n\f\r]*+=[ """
+     r"""\t\n\f\r]*+(?:"([^"]*+)"|'([^']*+)'|(["'])|([^ \t\n\f\r>"'][^ \t\n\f\r>]*+)|(?=>)))?+)""")
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _SPACE = re.compile(r"\s+")
 
@@ -171,7 +177,8 @@ def boilerplate(node: Node) -> bool:
     if node.tag == "article":
         return _named(node, HARD_WORDS)
     a = node.attrs
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in GONE_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role",
+        "").lower() in GONE_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
     return _named(node, GONE_WORDS)
 
@@ -277,7 +284,8 @@ def main_text(source: str | None) -> str:
             kept.append(k)
         elif isinstance(k, Node) and not k.gone and k.chars:
             plain = k.linked / k.chars < 0.3
-            if k.tag in HEADINGS | {"p", "blockquote", "pre", "ul", "ol", "dl", "table", "figure"} and plain and whole is None or rank(k) >= least and plain:
+            if k.tag in HEADINGS | {"p", "blockquote", "pre", "ul", "ol", "dl", "table",
+                "figure"} and plain and whole is None or rank(k) >= least and plain:
                 kept.append(k)
     return "\n".join(_lines(best, kept))
 

@@ -92,7 +92,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     places = 1_000_003
     within = F.lit(False)
     for lang, n in sizes.items():
-        within = within | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(places)) < max(1, int(places * min(1.0, per_language / n)) + 1)))
+        within = within | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(places)) < max(1,
+            int(places * min(1.0, per_language / n)) + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sums = Encoder(), {}

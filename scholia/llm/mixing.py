@@ -45,7 +45,8 @@ def share(nodes: DataFrame, parent: list[str], weight: str, got: str, out: str)
     Sorted by capacity for its weight, a row is full if what is left for it and all later ones would give it at least its
     capacity. The others share the rest, rounded down. Only whole numbers are used, so that every engine agrees.
     """
-    w = Window.partitionBy(*parent).orderBy((F.col("cap") / F.col(weight)).asc(), *[F.col(c).asc_nulls_first() for c in LEAF if c in nodes.columns and c not in parent])
+    w = Window.partitionBy(*parent).orderBy((F.col("cap") / F.col(weight)).asc(), *[F.col(c).asc_nulls_first() for c in LEAF
+        if c in nodes.columns and c not in parent])
     before, rest = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(0, Window.unboundedFollowing)
     used, weights = F.coalesce(F.sum("cap").over(before), F.lit(0)), F.sum(weight).over(rest)
     big = "decimal(38,0)"
@@ -54,7 +55,8 @@ def share(nodes: DataFrame, parent: list[str], weight: str, got: str, out: str)
     nodes = nodes.withColumn("_full", full)
     # the first row that isn't full fixes the level for itself and all later ones
     each = Window.partitionBy(*parent)
-    nodes = nodes.withColumn("_left", F.max(F.when(~F.col("_full"), F.col("_left"))).over(each)).withColumn("_weights", F.max(F.when(~F.col("_full"), F.col("_weights"))).over(each))
+    nodes = nodes.withColumn("_left", F.max(F.when(~F.col("_full"), F.col("_left"))).over(each)).withColumn("_weights",
+        F.max(F.when(~F.col("_full"), F.col("_weights"))).over(each))
     part = F.floor(F.col("_left").cast(big) * F.col(weight).cast(big) / F.col("_weights").cast(big)).cast("long")
     return nodes.withColumn(out, F.when(F.col("_full"), F.col("cap")).otherwise(F.least(part, F.col("cap")))).drop("_left", "_weights", "_full")
 
@@ -65,20 +67,26 @@ def budgets(totals: DataFrame, weights: DataFrame, budget: Column, epochs: int =
     weights has w1, w2, w3 for the domain, language and source of each leaf; one that is missing, null or not above zero
     gives its node nothing. A leaf without tokens gets nothing.
     """
-    rows = totals.alias("t").join(weights.alias("x"), [F.col(f"t.{c}").eqNullSafe(F.col(f"x.{c}")) for c in LEAF], "left").select("t.*", "w1", "w2", "w3")
-    rows = rows.withColumn("usable", F.coalesce((F.col("w1") > 0) & (F.col("w2") > 0) & (F.col("w3") > 0), F.lit(False))).withColumn("cap3", F.when(F.col("usable"), F.col("tokens") * epochs).otherwise(0)).withColumn("got0", budget.cast("long"))
+    rows = totals.alias("t").join(weights.alias("x"), [F.col(f"t.{c}").eqNullSafe(F.col(f"x.{c}")) for c in LEAF],
+        "left").select("t.*", "w1", "w2", "w3")
+    rows = rows.withColumn("usable", F.coalesce((F.col("w1") > 0) & (F.col("w2") > 0) & (F.col("w3") > 0),
+        F.lit(False))).withColumn("cap3", F.when(F.col("usable"), F.col("tokens") * epochs).otherwise(0)).withColumn("got0",
+         budget.cast("long"))
     live = rows.filter("cap3 > 0")
     level1 = live.groupBy("domain", "got0").agg(F.sum("cap3").alias("cap"), F.max("w1").alias("w1"))
     level1 = share(level1.withColumn("root", F.lit(0)), ["root"], "w1", "got0", "got1").select("domain", "got1")
     level2 = live.groupBy("domain", "lang").agg(F.sum("cap3").alias("cap"), F.max("w2").alias("w2"))
     level2 = level2.join(level1, level2["domain"].eqNullSafe(level1["domain"])).select(level2["*"], "got1")
     level2 = share(level2, ["domain"], "w2", "got1", "got2").select("domain", "lang", "got2")
-    level3 = live.join(level2, live["domain"].eqNullSafe(level2["domain"]) & live["lang"].eqNullSafe(level2["lang"])).select(live["*"], "got2").withColumn("cap", F.col("cap3"))
+    level3 = live.join(level2, live["domain"].eqNullSafe(level2["domain"])
+        & live["lang"].eqNullSafe(level2["lang"])).select(live["*"], "got2").withColumn("cap", F.col("cap3"))
     level3 = share(level3, ["domain", "lang"], "w3", "got2", "target").select(*LEAF, "target")
-    return rows.alias("r").join(level3.alias("l"), [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in LEAF], "left").select("r.domain", "r.lang", "r.source", "r.tokens", F.coalesce("target", F.lit(0)).cast("long").alias("target"))
+    return rows.alias("r").join(level3.alias("l"), [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in LEAF],
+        "left").select("r.domain", "r.lang", "r.source", "r.tokens", F.coalesce("target", F.lit(0)).cast("long").alias("target"))
 
 
-def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent: int = SHARE_PERCENT, epochs: int = EPOCHS, seed: int = SEED, keys: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent: int = SHARE_PERCENT, epochs: int = EPOCHS,
+    seed: int = SEED, keys: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keys, domain, lang, source, tokens, copies): how often each row of docs is taken, 0 included.
 
     The budget is share_percent of all tokens. Documents without tokens are taken as often as whole epochs are. Null
@@ -92,10 +100,12 @@ def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent:
     budget = (totals.agg(F.sum("tokens")).first()[0] or 0) * share_percent // 100
     leaves = budgets(totals, weights(totals.select(*LEAF)), F.lit(budget), epochs)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("target") / F.greatest(F.col("tokens"), F.lit(1)))).otherwise(0).cast("int")
-    leaves = leaves.select(*LEAF, whole.alias("whole"), (F.col("target") - whole * F.col("tokens")).alias("part"), F.xxhash64(*LEAF, F.isnull("lang"), F.isnull("source"), F.isnull("domain")).alias("leaf"))
+    leaves = leaves.select(*LEAF, whole.alias("whole"), (F.col("target") - whole * F.col("tokens")).alias("part"),
+        F.xxhash64(*LEAF, F.isnull("lang"), F.isnull("source"), F.isnull("domain")).alias("leaf"))
     leaves = cut(leaves)
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = cut(narrow.withColumn("leaf", F.xxhash64(*LEAF, F.isnull("lang"), F.isnull("source"), F.isnull("domain"))).join(leaves.select("leaf", "whole", "part"), "leaf").withColumn("place", place))
+    rows = cut(narrow.withColumn("leaf", F.xxhash64(*LEAF, F.isnull("lang"), F.isnull("source"),
+        F.isnull("domain"))).join(leaves.select("leaf", "whole", "part"), "leaf").withColumn("place", place))
     open_rows, parts = rows.filter("part > 0"), []
     names = ["doc_id", *keys, *LEAF, "tokens", "whole"]
     parts.append(rows.filter("part <= 0").select(*names, F.lit(0).alias("more")))
@@ -106,7 +116,8 @@ def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent:
         sums = cut(sums.select("leaf", "bin", "n", (F.col("part") - before).alias("left")))
         binned = binned.drop("part").join(sums, ["leaf", "bin"])
         parts.append(binned.filter("left >= n or left <= 0").select(*names, F.when(F.col("left") >= F.col("n"), 1).otherwise(0).alias("more")))
-        open_rows = cut(binned.filter("left > 0 and left < n").withColumnRenamed("left", "part").withColumn("leaf", F.xxhash64("leaf", "bin")).drop("bin", "n"))
+        open_rows = cut(binned.filter("left > 0 and left < n").withColumnRenamed("left", "part").withColumn("leaf",
+            F.xxhash64("leaf", "bin")).drop("bin", "n"))
     running = F.sum("n").over(Window.partitionBy("leaf").orderBy("place", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     upto = cut(open_rows.groupBy("leaf", "place", "tokens").agg(F.sum("tokens").alias("n")).select("leaf", "place", "tokens", running.alias("upto")))
     open_rows = open_rows.join(upto, ["leaf", "place", "tokens"])
@@ -114,7 +125,8 @@ def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent:
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
-    return out.select("doc_id", *keys, *LEAF, "tokens", (F.col("whole") + F.when(F.col("tokens") > 0, F.col("more")).otherwise(0)).cast("int").alias("copies"))
+    return out.select("doc_id", *keys, *LEAF, "tokens", (F.col("whole") + F.when(F.col("tokens") > 0,
+        F.col("more")).otherwise(0)).cast("int").alias("copies"))
 
 
 def domain_of(source: Column) -> Column:

@@ -90,7 +90,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # --- candidates beyond the base rules -------------------------------------------------------------------------------
 
 _WIDE = [
-    ("email", re.compile(r"(?<![\w.-])[A-Za-z0-9][A-Za-z0-9._-]*+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?:(?:\.| ?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot )[A-Za-z0-9-]++)++", re.I)),
+    ("email", re.compile(r"(?<![\w.-])[A-Za-z0-9][A-Za-z0-9._-]*+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?:(?:\.| "
+         r"?(?:\(dot\)|\[dot\]|\{dot\}) ?| dot )[A-Za-z0-9-]++)++", re.I)),
     ("email", re.compile(r"(?<![\w.-])[A-Za-z0-9][A-Za-z0-9._-]*+ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++", re.I)),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}(?![0-9])")),
@@ -152,8 +153,10 @@ def votes(kind: str, text: str, a: int, b: int) -> list[int]:
     d, low = _digits(s), before.lower()
     near = bool(NEAR[kind] & {w.lower() for w in _WORD.findall(low)})
     shape = {
-        "email": 1 if re.search(r"\(at\)|\[at\]|\{at\}", s, re.I) and s.lower().rsplit(".", 1)[-1].rsplit("dot", 1)[-1].strip(" )]}") in TOP_LEVEL else 0,
-        "ip": 1, "card": 1 if re.fullmatch(r"[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}", s) else -1, "phone": 1 if s.startswith(("(", "00")) else 0,
+        "email": 1 if re.search(r"\(at\)|\[at\]|\{at\}", s, re.I) and s.lower().rsplit(".", 1)[-1].rsplit("dot",
+            1)[-1].strip(" )]}") in TOP_LEVEL else 0,
+        "ip": 1, "card": 1 if re.fullmatch(r"[0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}", s) else -1, "phone": 1
+            if s.startswith(("(", "00")) else 0,
         "secret": 1 if re.fullmatch(r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|sk_[0-9A-Za-z]{16,}", s) else 0,
     }[kind]
     checksum = (1 if luhn(d) else -1) if kind == "card" else (1 if 9 <= len(d) <= 15 else -1) if kind == "phone" else 0
@@ -166,7 +169,8 @@ def votes(kind: str, text: str, a: int, b: int) -> list[int]:
 
 def features(kind: str, text: str, a: int, b: int) -> list[float]:
     s = text[a:b]
-    return [float(kind == k) for k in KINDS] + [float(v) for v in votes(kind, text, a, b)] + [math.log1p(b - a), sum(map(str.isdigit, s)) / len(s), _entropy(s) / 4]
+    return [float(kind == k) for k in KINDS] + [float(v) for v in votes(kind, text, a, b)] + [math.log1p(b - a),
+        sum(map(str.isdigit, s)) / len(s), _entropy(s) / 4]
 
 
 #: What is believed before any candidate is seen: a labeler is right in 7 of 10 votes, and it takes 1.5 such votes more for
@@ -286,7 +290,8 @@ def find_pii(docs: DataFrame, model: SpanModel) -> DataFrame:
 
         return step
 
-    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, " + "".join(f"n_{k} long, " for k in BASE) + "base_sha256 string, spans string")
+    return map_rows(docs.select("doc_id", "text"), make, "doc_id long, " + "".join(f"n_{k} long, "
+        for k in BASE) + "base_sha256 string, spans string")
 
 
 def redact_pii(docs: DataFrame, model: SpanModel) -> DataFrame:

@@ -71,7 +71,8 @@ class Builder:
         df = np.bincount(place[local], minlength=len(rank))
         ids = [self.ids[i] for i in by]
         return {
-            "ids": np.array([-1 if i is None else i for i in ids], np.int64), "null": np.array([i is None for i in ids]), "length": np.array([self.tops[i][1] for i in by], np.int64),
+            "ids": np.array([-1 if i is None else i for i in ids], np.int64), "null": np.array([i is None for i in ids]),
+                "length": np.array([self.tops[i][1] for i in by], np.int64),
             "terms": hashes[rank], "starts": np.concatenate([[0], np.cumsum(df)]), "doc": doc[order], "tf": tf[order],
         }
 
@@ -91,7 +92,8 @@ def index(docs: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             s = b.build()
-            return pa.RecordBatch.from_pydict({"payload": [blocks.dump(**s)], "terms": [s["terms"]], "dfs": [np.diff(s["starts"]).astype(np.int64)], "docs": [len(s["ids"])], "length": [int(s["length"].sum())]})
+            return pa.RecordBatch.from_pydict({"payload": [blocks.dump(**s)], "terms": [s["terms"]],
+                "dfs": [np.diff(s["starts"]).astype(np.int64)], "docs": [len(s["ids"])], "length": [int(s["length"].sum())]})
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -175,7 +177,8 @@ class Shard:
         for a in range(0, len(q["ids"]), TOGETHER):
             starts = q["starts"][a : a + TOGETHER + 1]
             terms = slice(starts[0], starts[-1])
-            found.append(self._some({"ids": q["ids"][a : a + TOGETHER], "starts": starts - starts[0], "terms": q["terms"][terms], "weights": q["weights"][terms]}, best))
+            found.append(self._some({"ids": q["ids"][a : a + TOGETHER], "starts": starts - starts[0], "terms": q["terms"][terms],
+                 "weights": q["weights"][terms]}, best))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
     def _some(self, q: dict[str, np.ndarray], best: Best) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +192,8 @@ class Shard:
         # each rare term's blocks, by span
         many = self.entries[at[rare] + 1] - self.entries[at[rare]]
         entry, whose, own = _ranges(self.entries[at[rare]], many), np.repeat(of[rare], many), np.repeat(weight[rare], many)
-        bound = heavy @ self.dense_most + np.bincount(whose * self.blocks + self.block[entry], own * self.most[entry], n * self.blocks).reshape(n, self.blocks)
+        bound = heavy @ self.dense_most + np.bincount(whose * self.blocks + self.block[entry], own * self.most[entry],
+            n * self.blocks).reshape(n, self.blocks)
         bound *= 1 + 1e-12
         order = np.argsort((self.block[entry] // SPAN).astype(np.uint16), kind="stable")
         entry, whose, own = entry[order], whose[order], own[order]
@@ -235,7 +239,8 @@ def query_blocks(docs: DataFrame, df: DataFrame, n_docs: int, at_a_time: int = Q
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if c := terms(t.as_py()):
-                    yield pa.RecordBatch.from_pydict({"query": pa.array([i] * len(c), pa.int64()), "term": pa.array([_hash(x) for x in c], pa.int64()), "qtf": pa.array(list(c.values()), pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"query": pa.array([i] * len(c), pa.int64()), "term": pa.array([_hash(x)
+                        for x in c], pa.int64()), "qtf": pa.array(list(c.values()), pa.int64())})
 
     rows = cut(map_arrow(queries.distinct(), explode, "query long, term long, qtf long")).join(df, "term")
     idf = F.log1p((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -245,7 +250,8 @@ def query_blocks(docs: DataFrame, df: DataFrame, n_docs: int, at_a_time: int = Q
         g = group.sort_by([("query", "ascending"), ("df", "ascending"), ("term", "ascending")])
         q = g["query"].to_numpy()
         ids, starts = np.unique(q, return_index=True)
-        return pa.table({"payload": pa.array([blocks.dump(ids=ids, starts=np.append(starts, len(q)), terms=g["term"].to_numpy(), weights=g["weight"].to_numpy())], pa.binary())})
+        return pa.table({"payload": pa.array([blocks.dump(ids=ids, starts=np.append(starts, len(q)), terms=g["term"].to_numpy(),
+             weights=g["weight"].to_numpy())], pa.binary())})
 
     return rows.groupBy("block").applyInArrow(gather, "payload binary")
 
@@ -274,7 +280,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         order = np.lexsort((ids, -score, query))
         query, ids, score = query[order], ids[order], score[order]
         keep = np.arange(len(query)) - np.searchsorted(query, query) < k
-        return pa.RecordBatch.from_arrays([pa.array(query[keep], pa.int64()), pa.array(ids[keep], pa.int64()), pa.array(score[keep], pa.float64())], names=["query_id", "doc_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(query[keep], pa.int64()), pa.array(ids[keep], pa.int64()),
+            pa.array(score[keep], pa.float64())], names=["query_id", "doc_id", "score"])
 
     found = blocks.pairs(shards.coalesce(max(1, -(-stats[0] // SHARDS))), asked, run, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))

@@ -139,7 +139,8 @@ class Tries:
             if len(a):
                 turn = self.bit[b] > self.bit[a]
                 a, b = np.where(turn, b, a), np.where(turn, a, b)
-                stack.append((np.concatenate([self.left[a - self.n], self.right[a - self.n]]), np.concatenate([b, b]), np.concatenate([differ, differ]), np.concatenate([known, known])))
+                stack.append((np.concatenate([self.left[a - self.n], self.right[a - self.n]]), np.concatenate([b, b]),
+                    np.concatenate([differ, differ]), np.concatenate([known, known])))
 
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
         other = np.flatnonzero(self.label != np.arange(self.n))
@@ -193,10 +194,13 @@ def grouped(fps: DataFrame, most: int = GROUP, budget: int = BITS) -> DataFrame:
         n = width // parts
         low = lambda k: F.lit((1 << k) - 1 if k < 64 else -1).cast("long")
         block = lambda t: F.shiftrightunsigned("rest", t * n).bitwiseAND(low(n))  # noqa: E731, B023
-        left = lambda t: F.shiftleft(F.shiftrightunsigned("rest", (t + 1) * n) if (t + 1) * n < 64 else F.lit(0).cast("long"), t * n).bitwiseOR(F.col("rest").bitwiseAND(low(t * n)))  # noqa: E731, B023
-        dealt = F.explode(F.array(*[F.struct(F.xxhash64("key", F.lit(t), block(t)).alias("key"), left(t).alias("rest")) for t in range(parts)])).alias("x")
+        left = lambda t: F.shiftleft(F.shiftrightunsigned("rest", (t + 1) * n) if (t + 1) * n < 64 else F.lit(0).cast("long"),
+            t * n).bitwiseOR(F.col("rest").bitwiseAND(low(t * n)))  # noqa: E731, B023
+        dealt = F.explode(F.array(*[F.struct(F.xxhash64("key", F.lit(t), block(t)).alias("key"), left(t).alias("rest"))
+            for t in range(parts)])).alias("x")
         rows, width = rows.select("fp", dealt).select("x.key", "fp", "x.rest"), width - n
-        large = None if width < parts else cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key", F.lit(True).alias("large")))
+        large = None if width < parts else cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key",
+             F.lit(True).alias("large")))
         if large is None or large.isEmpty():
             found = rows.select("key", "fp")
             return found if done is None else done.union(found)

@@ -125,14 +125,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
 
         return step
 
-    found = map_rows(rows.select("text", "toxic"), make, "toxic int, x array<int>").withColumn("key", F.xxhash64("x")).dropDuplicates(["toxic", "key"])
+    found = map_rows(rows.select("text", "toxic"), make, "toxic int, x array<int>").withColumn("key",
+        F.xxhash64("x")).dropDuplicates(["toxic", "key"])
     found = stored(found)
     rows = found.filter("toxic = 1").orderBy("key").limit(sample[1]).union(found.filter("toxic = 0").orderBy("key").limit(sample[0]))
     rows = stored(rows)
     total = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
         return OrdinalModel()
-    seen = rows.select("toxic", F.explode(F.array_distinct("x")).alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    seen = rows.select("toxic", F.explode(F.array_distinct("x")).alias("f")).groupBy("f").agg(F.sum("toxic").alias("a"),
+        F.sum(1 - F.col("toxic")).alias("b"))
     often = (F.col("a") >= max(LEAST, SHARE * total[1])) | (F.col("b") >= max(LEAST, SHARE * total[0]))
     kept = np.sort(seen.filter(often).select("f").toArrow()["f"].to_numpy().astype(np.int64))
 
@@ -141,9 +143,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
         known[kept] = True
         for batch in batches:
             lists = [np.asarray(x.values) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[known[x]].astype("<i4").tobytes() for x in lists], pa.binary())], names=["toxic", "key", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[known[x]].astype("<i4").tobytes()
+                for x in lists], pa.binary())], names=["toxic", "key", "x"])
 
-    got = map_arrow(rows.select("toxic", "x", "key"), only, "toxic int, key long, x binary").toArrow().sort_by([("toxic", "ascending"), ("key", "ascending")])
+    got = map_arrow(rows.select("toxic", "x", "key"), only, "toxic int, key long, x binary").toArrow().sort_by([("toxic",
+         "ascending"), ("key", "ascending")])
     x = [np.frombuffer(b.as_py(), "<i4").astype(np.int64) for b in got["x"]]
     return fit(x, grade(x, got["toxic"].to_numpy().astype(np.int64)))
 

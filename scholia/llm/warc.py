@@ -58,7 +58,8 @@ def make_record(key: int | None, url: str | None, payload: bytes, refers_to: int
     block = head if refers_to is not None else head + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_id(key)), ("WARC-Date", date),
-        ("WARC-Payload-Digest", "sha256:" + base64.b32encode(digest).decode()), ("WARC-Block-Digest", "sha256:" + base64.b32encode(hashlib.sha256(block).digest()).decode()),
+        ("WARC-Payload-Digest", "sha256:" + base64.b32encode(digest).decode()), ("WARC-Block-Digest",
+            "sha256:" + base64.b32encode(hashlib.sha256(block).digest()).decode()),
         ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block))),
     ]
     if url is not None:
@@ -233,7 +234,8 @@ def with_types(pages: DataFrame, at_least: int = 100) -> DataFrame:
     written first: Spark knows the size of what it joins rows with, and broadcasts it only below its threshold. Beyond it
     rows shuffle once: short payloads get keys of their own, and a hot digest is split, as both sides are plain exchanges."""
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    digest = F.when(F.octet_length("payload") >= at_least, F.sha2(F.col("payload"), 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url")))
+    digest = F.when(F.octet_length("payload") >= at_least, F.sha2(F.col("payload"), 256)).otherwise(F.concat(F.lit("-"),
+        F.xxhash64("page_id", "url")))
     rows = rows.withColumn("digest", digest)
     copied = rows.filter(F.octet_length("payload") >= at_least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     firsts = stored(copied.filter("n > 1").select("digest", "first"))
@@ -250,7 +252,8 @@ def write_archives(rows: DataFrame, path: str, dictionary: bytes) -> None:
 
         def flush() -> pa.RecordBatch:
             content = pack([make_record(*x) for x in waiting], dictionary)
-            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(content).hexdigest()]), pa.array([content], pa.binary())], names=["archive", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(content).hexdigest()]), pa.array([content], pa.binary())],
+                 names=["archive", "content"])
 
         for batch in batches:
             for key, url, html, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -267,7 +270,8 @@ def write_archives(rows: DataFrame, path: str, dictionary: bytes) -> None:
 
 #: What reading gives of a record, with Arrow's types.
 RECORD = {
-    "page_id": pa.int64(), "record_id": pa.string(), "url": pa.string(), "record_type": pa.string(), "payload": pa.binary(), "payload_bytes": pa.int64(),
+    "page_id": pa.int64(), "record_id": pa.string(), "url": pa.string(), "record_type": pa.string(), "payload": pa.binary(),
+         "payload_bytes": pa.int64(),
     "payload_digest": pa.string(), "digest_kind": pa.string(), "refers_to": pa.int64(), "refers_to_id": pa.string(),
 }
 
@@ -285,7 +289,8 @@ def read_archives(archives: DataFrame, content: str = "content") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), RECORD.values(), strict=True)], names=list(RECORD))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), RECORD.values(),
+                strict=True)], names=list(RECORD))
 
         for batch in batches:
             for item in batch.column(0):

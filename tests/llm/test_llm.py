@@ -31,8 +31,10 @@ def docs(spark, sf):
 def odd(spark):
     """Nulls in every column, empty and long texts, repeated rows, and columns that clash with the operators' own."""
     rows = [
-        (1, "same words here again and again", "en", "src1", 5), (1, "same words here again and again", "en", "src1", 5), (2, "same words here again and again", "en", None, None),
-        (3, None, "en", "src2", None), (4, "", None, "src2", 0), (None, "text without an id", "en", "src3", 1), (5, "a" * 200_000, None, "src3", 1), (6, "word " * 60_000, "de", "src4", 1), (100, "x", None, None, None),
+        (1, "same words here again and again", "en", "src1", 5), (1, "same words here again and again", "en", "src1", 5), (2,
+             "same words here again and again", "en", None, None),
+        (3, None, "en", "src2", None), (4, "", None, "src2", 0), (None, "text without an id", "en", "src3", 1), (5, "a" * 200_000,
+             None, "src3", 1), (6, "word " * 60_000, "de", "src4", 1), (100, "x", None, None, None),
     ]
     df = spark.createDataFrame(rows, DOCS)
     return df.withColumns({c: F.lit(-1) for c in CLASH})
@@ -51,8 +53,12 @@ def put(spark, tmp_path, **tables):
 
 def test_awkward_tables(spark, odd, none, sf, tmp_path):
     labels = spark.createDataFrame([(1, 1, 1), (3, 0, None), (None, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
-    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None), (None, "u", ""), (3, "a\r\nb", "<p" * 5000), (4, "u", "x" * 300), (5, "u", "x" * 300), (5, "u", "x" * 300)], "page_id long, url string, html string").withColumns({c: F.lit(-1) for c in CLASH})
-    vectors = spark.createDataFrame([(0, [0.1] * 64, 1), (100, None, 1), (None, [0.1] * 64, 1), (5, [0.1] * 64, None), (6, [], 1), (7, [None, float("nan")] * 32, 1), (5, [0.1] * 64, 1)], "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(-1) for c in CLASH})
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (2, None, None), (None, "u", ""), (3, "a\r\nb",
+         "<p" * 5000), (4, "u", "x" * 300), (5, "u", "x" * 300), (5, "u", "x" * 300)],
+        "page_id long, url string, html string").withColumns({c: F.lit(-1) for c in CLASH})
+    vectors = spark.createDataFrame([(0, [0.1] * 64, 1), (100, None, 1), (None, [0.1] * 64, 1), (5, [0.1] * 64, None), (6, [], 1),
+         (7, [None, float("nan")] * 32, 1), (5, [0.1] * 64, 1)],
+        "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(-1) for c in CLASH})
     full = put(spark, tmp_path / "full", documents=odd, labels=labels, pages=pages, embeddings=vectors)
     empty = put(spark, tmp_path / "empty", documents=none, labels=labels.limit(0), pages=pages.limit(0), embeddings=vectors.limit(0))
     size = {"op2_html": 8, "op9_warc": 8, "op5_chroma": 7}
@@ -107,7 +113,8 @@ def test_defined_results(spark, odd, sf, tmp_path):
 
     found = rows("op7_pii")
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == sorted((i is None, i or 0) for i, _ in texts)
-    assert all((r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) == (0, 0, 0, 0, "") and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in found)
+    assert all((r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) == (0, 0, 0, 0, "")
+        and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in found)
 
     found = rows("op8_mixing")
     tokens = collections.Counter((r.doc_id, r.tokens) for r in found)
@@ -121,12 +128,16 @@ def test_defined_results(spark, odd, sf, tmp_path):
     assert {r.held_out for r in found if r.doc_id is None} == {False}
     assert all(0 <= r.score <= 1 for r in found)
 
-    pages = spark.createDataFrame([(1, "u", "x" * 300), (5, "u", "x" * 300), (5, "u", "x" * 300), (None, "u", "x" * 300), (2, None, None), (3, "u", "short"), (4, "u", "short")], "page_id long, url string, html string").withColumns({c: F.lit(-1) for c in CLASH})
+    pages = spark.createDataFrame([(1, "u", "x" * 300), (5, "u", "x" * 300), (5, "u", "x" * 300), (None, "u", "x" * 300), (2,
+        None, None), (3, "u", "short"), (4, "u", "short")], "page_id long, url string, html string").withColumns({c: F.lit(-1)
+        for c in CLASH})
     at = put(spark, tmp_path / "web", pages=pages)
     assert collections.Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in rows("op9_warc")) == collections.Counter(
-        [(1, "response", None, 300), (5, "revisit", 1, 300), (5, "revisit", 1, 300), (None, "revisit", 1, 300), (2, "response", None, 0), (3, "response", None, 5), (4, "response", None, 5)]
+        [(1, "response", None, 300), (5, "revisit", 1, 300), (5, "revisit", 1, 300), (None, "revisit", 1, 300), (2, "response",
+             None, 0), (3, "response", None, 5), (4, "response", None, 5)]
     )
-    assert collections.Counter((r.page_id, r.text, r.n_chars) for r in rows("op2_html")) == collections.Counter([(1, "x" * 300, 300), (5, "x" * 300, 300), (5, "x" * 300, 300), (None, "x" * 300, 300), (2, "", 0), (3, "short", 5), (4, "short", 5)])
+    assert collections.Counter((r.page_id, r.text, r.n_chars) for r in rows("op2_html")) == collections.Counter([(1, "x" * 300,
+         300), (5, "x" * 300, 300), (5, "x" * 300, 300), (None, "x" * 300, 300), (2, "", 0), (3, "short", 5), (4, "short", 5)])
 
 
 # --- 1 -------------------------------------------------------------------------------------------------------------------
@@ -215,7 +226,9 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var x = "</p>";</sc
 def test_main_text():
     assert html.main_text(PAGE) == "The & title\nFirst, with a link, and more text. Next line.\nSecond <b> one.\nitem one\nitem two"
     assert html.main_text("<div><div><p>One, two, three.</p><p>Four.</p></div><div class=menu><a>x</a></div></div>") == "One, two, three.\nFour."
-    assert html.main_text("<main><article><h1>T</h1><p>Body, text.</p><section id=comments><article class=comment><p>Nice, post, this.</p></article></section></article></main><section class='comments'><article><p>More, of it.</p></article></section>") == "T\nBody, text."
+    assert html.main_text("<main><article><h1>T</h1><p>Body, text.</p><section id=comments><article class=comment><p>Nice, post, "
+         "this.</p></article></section></article></main><section class='comments'><article><p>More, of "
+         "it.</p></article></section>") == "T\nBody, text."
     assert html.main_text("no markup  at all") == "no markup at all"
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
     assert html.main_text("<p>1 < 2 & 3</p>") == "1 < 2 & 3"
@@ -229,21 +242,24 @@ def test_tag_ends():
         for quote in "\"'":
             assert around(f"<div data-x={quote}{'<b>x</b>' * n}{quote}></div>") == plain
             assert around(f"</i x={quote}{'<b>x</b>' * n}{quote}>") == plain
-    for tag in ("<img alt='24\" screen'>", '<img alt="it\'s">', "<img alt=it's>", "<img alt=24\">", "<img alt='\">\"'>", "<br 'x>", '<img alt="a"">', "<img alt=>", "<img alt = 'a>b' id=\"c>d'\"/>", "<img alt='no end>", '<img alt="no end>'):
+    for tag in ("<img alt='24\" screen'>", '<img alt="it\'s">', "<img alt=it's>", "<img alt=24\">", "<img alt='\">\"'>",
+        "<br 'x>", '<img alt="a"">', "<img alt=>", "<img alt = 'a>b' id=\"c>d'\"/>", "<img alt='no end>", '<img alt="no end>'):
         assert around(tag) == plain, tag
     assert html.parse("<a b=\"c>'d\" e='f\"' G=h'i/ j k = l>m")[1][1].attrs == {"b": "c>'d", "e": 'f"', "g": "h'i/", "j": "", "k": "l"}
     for tag in ("<a b='", '<a b="', "<a b=", "<a b='>", "<a b=x "):  # linear: these would take hours otherwise
         html.parse(tag * 20000)
 
 
-@pytest.mark.parametrize("attrs", ['class="share-price"', 'class="side-effects"', 'id="related-work"', 'id="search-methods"', 'class="notice-period wide"', 'class="advertising-law"', 'class="menuContentsIndex7x"'])
+@pytest.mark.parametrize("attrs", ['class="share-price"', 'class="side-effects"', 'id="related-work"', 'id="search-methods"',
+     'class="notice-period wide"', 'class="advertising-law"', 'class="menuContentsIndex7x"'])
 def test_names_that_hint_at_nothing(attrs):
     for tag in ("p", "div", "section"):
         said = html.main_text(f"<article><h1>T</h1><p>First, of all.</p><{tag} {attrs}>It has, by all means, words.</{tag}><p>Last, a word.</p></article>")
         assert said == "T\nFirst, of all.\nIt has, by all means, words.\nLast, a word."
 
 
-@pytest.mark.parametrize("attrs", ['class="ad"', 'class="x ad-banner"', 'id="comments-section"', 'class="relatedPosts"', 'class="share-buttons"', 'class="newsletter-box"', 'role="navigation"', "hidden"])
+@pytest.mark.parametrize("attrs", ['class="ad"', 'class="x ad-banner"', 'id="comments-section"', 'class="relatedPosts"',
+     'class="share-buttons"', 'class="newsletter-box"', 'role="navigation"', "hidden"])
 def test_names_of_layout(attrs):
     assert html.main_text(f"<article><h1>T</h1><p>First, of all.</p><div {attrs}><p>Buy, subscribe, and share.</p></div><p>Last, a word.</p></article>") == "T\nFirst, of all.\nLast, a word."
 
@@ -251,7 +267,8 @@ def test_names_of_layout(attrs):
 def test_hints_with_links():
     page = "<article><h1>T</h1><p>First, of all.</p><div class='jp-related-posts-jx'><a href=/a>One more, of these</a> <a href=/b>Two</a></div><p class='share-x'>A <a href=/>link</a> in a longer, much longer text.</p></article>"
     assert html.main_text(page) == "T\nFirst, of all.\nA link in a longer, much longer text."
-    assert html.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>") == "So x=2 holds."
+    assert html.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> "
+         "holds.</p></article>") == "So x=2 holds."
 
 
 def slow_page(source):
@@ -278,8 +295,12 @@ def test_pages_against_plain_version(spark, sf):
         for _ in range(rng.integers(2, 9)):
             kind = rng.integers(0, 5)
             text = f"{said(8)} <a href=/x>{word()}</a> &amp; <b>{said(rng.integers(5, 40))}</b>"
-            blocks.append([f"<p>{text}</p>", f"<h2>{said(4)}</h2><p>{text}<br>{said(3)}</p>", f"<ul><li>{said(6)}<li>{text}</ul>", f"<blockquote>{text}</blockquote>", f'<div class="{word()}-price"><p>{text}</p></div>'][kind])
-        around = ["<nav><ul><li><a href=/>x</a></ul></nav>", f"<header><a href=/>{said(3)}</a></header>", f"<aside><p>{said(30)}</p></aside>", f'<div class="ad">{said(20)}</div>', f'<div id="comments"><p>{said(30)}</p></div>', f"<form>{said(4)}<input></form>", f'<div class="cookie-notice">{said(12)}</div>', f"<script>{said(9)}</script>"]
+            blocks.append([f"<p>{text}</p>", f"<h2>{said(4)}</h2><p>{text}<br>{said(3)}</p>", f"<ul><li>{said(6)}<li>{text}</ul>",
+                 f"<blockquote>{text}</blockquote>", f'<div class="{word()}-price"><p>{text}</p></div>'][kind])
+        around = ["<nav><ul><li><a href=/>x</a></ul></nav>", f"<header><a href=/>{said(3)}</a></header>",
+             f"<aside><p>{said(30)}</p></aside>", f'<div class="ad">{said(20)}</div>',
+             f'<div id="comments"><p>{said(30)}</p></div>', f"<form>{said(4)}<input></form>",
+             f'<div class="cookie-notice">{said(12)}</div>', f"<script>{said(9)}</script>"]
         some = [around[i] for i in rng.permutation(len(around))[: rng.integers(0, len(around))]]
         cut_at = int(rng.integers(0, len(some) + 1))
         page = f"<html><head><title>{said(3)}</title></head><body>{''.join(some[:cut_at])}<article>{''.join(blocks)}</article>{''.join(some[cut_at:])}<footer>{said(6)}</footer></body></html>"
@@ -298,14 +319,16 @@ def test_ordinal_regression():
         grades.append(min(bad, 3))
     model = toxicity.fit(rows, np.array(grades))
     assert model.thresholds == sorted(model.thresholds)
-    expected = [sum(model.probabilities(sum(model.weights.get(f, 0) * math.log1p(n) for f, n in collections.Counter(r.tolist()).items()))) for r in rows]
+    expected = [sum(model.probabilities(sum(model.weights.get(f, 0) * math.log1p(n) for f,
+        n in collections.Counter(r.tolist()).items()))) for r in rows]
     assert np.mean(np.abs(np.array(expected) - grades)) < 0.3
     assert toxicity.fit([], np.array([])).probabilities(3) == []
 
 
 def test_toxicity(spark, sf, docs):
     name = lambda i: "".join(chr(97 + int(c)) for c in str(i)) + "o"
-    rows = [(1000 + i, f"calm words about {name(i)} rivers and {name(i % 7)} hills") for i in range(300)] + [(2000 + i, f"you vilest and grubbish {name(i)} person of {name(i % 5)}") for i in range(60)]
+    rows = [(1000 + i, f"calm words about {name(i)} rivers and {name(i % 7)} hills") for i in range(300)] + [(2000 + i,
+         f"you vilest and grubbish {name(i)} person of {name(i % 5)}") for i in range(60)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i >= 2000)) for i, _ in rows if i % 3], "doc_id long, toxic int")
     got = {r.doc_id: r.toxic for r in toxicity.severity(d, toxicity.train(d, labels)).collect()}
@@ -319,7 +342,8 @@ def test_severity_against_plain_version(spark, docs):
     model = toxicity.OrdinalModel(weights, [-1.0, 0.5, 2.0])
     got = {r.doc_id: r for r in toxicity.severity(docs, model).collect()}
     for r in docs.collect():
-        counts = collections.Counter(zlib.crc32(p.encode()) % toxicity.SPACE for w in set(re.findall(r"[^\W\d_]+", (r.text or "").lower())) for p in ("=" + w, *(w[:n] for n in (4, 5, 6) if len(w) >= n)))
+        counts = collections.Counter(zlib.crc32(p.encode()) % toxicity.SPACE for w in set(re.findall(r"[^\W\d_]+", (r.text
+            or "").lower())) for p in ("=" + w, *(w[:n] for n in (4, 5, 6) if len(w) >= n)))
         z = sum(weights.get(f, 0) * math.log1p(n) for f, n in counts.items())
         p = [1 / (1 + math.exp(min(max(t - z, -40), 40))) for t in (-1.0, 0.5, 2.0)]
         assert got[r.doc_id].severity == pytest.approx(sum(p), abs=1e-6)
@@ -343,11 +367,13 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_bounds(spark):
     """Neither repeated labels nor repeated ids let the fit read more than its sample."""
-    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} fine day") for i in range(200)] + [(7, f"nasty fool{chr(97 + i % 26)} {chr(97 + i // 26)}x") for i in range(300)]
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} fine day") for i in range(200)] + [(7,
+         f"nasty fool{chr(97 + i % 26)} {chr(97 + i // 26)}x") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 0) for i in range(200) if i != 7] + [(7, 1)] * 50 + [(7, 0)] * 50, "doc_id long, toxic int")
     model = toxicity.train(docs, labels, {1: 100, 0: 100})
-    got = {r.text: r.toxic for r in toxicity.severity(docs, model).withColumnRenamed("doc_id", "d").join(docs, F.col("d") == docs.doc_id).select("text", "toxic").distinct().collect() if "nasty" in r.text}
+    got = {r.text: r.toxic for r in toxicity.severity(docs, model).withColumnRenamed("doc_id", "d").join(docs,
+        F.col("d") == docs.doc_id).select("text", "toxic").distinct().collect() if "nasty" in r.text}
     assert any(got.values())
     assert toxicity.train(docs, labels.limit(0)).thresholds == []
 
@@ -358,7 +384,8 @@ def test_toxicity_bounds(spark):
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
-    some = docs.union(spark.createDataFrame([(9001, "a <|endoftext|> b", "en", "s", 1), (9002, None, None, None, None), (9003, "word " * 5000, "en", "s", 1)], docs.schema))
+    some = docs.union(spark.createDataFrame([(9001, "a <|endoftext|> b", "en", "s", 1), (9002, None, None, None, None), (9003,
+         "word " * 5000, "en", "s", 1)], docs.schema))
     got = packing.pack_documents(some, packing.tokenizer_path()).collect()
     t = Tokenizer.from_file(packing.tokenizer_path())
     ids = {r.doc_id: np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in some.collect()}
@@ -461,7 +488,8 @@ def test_alignment_recall():
     rng = np.random.default_rng(12)
     songs = [rng.uniform(-0.3, 0.3, 80).tolist() for _ in range(20)]
     queries = [chroma.fingerprint(played(s)) for s in songs]
-    rows = [chroma.fingerprint(played(songs[i % 20], int(rng.integers(0, 12)), float(rng.choice([0.0, 0.02, 0.05, 0.1, 0.2])), i)) for i in range(120)]
+    rows = [chroma.fingerprint(played(songs[i % 20], int(rng.integers(0, 12)), float(rng.choice([0.0, 0.02, 0.05, 0.1, 0.2])), i))
+         for i in range(120)]
     slow = {(i, j): slow_align(a, b) for i, a in enumerate(rows) for j, b in enumerate(queries)}
     want = {p for p, (e, _) in slow.items() if e <= chroma.MOST_ERRORS}
     got = chroma.align_block(in_block(rows), in_block(queries))
@@ -536,7 +564,8 @@ def test_search(spark, docs):
     for q, found in got.items():
         scores = {}
         for i, c in rows.items():
-            s = sum(k * math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for t, k in rows[q].items() if t in c)
+            s = sum(k * math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / mean))
+                 for t, k in rows[q].items() if t in c)
             if s:
                 scores[i] = round(s, 6)
         want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:10]
@@ -562,13 +591,15 @@ def test_block_max_wand(monkeypatch, size):
     shards = [search.Shard(search.build_shard([(i if i % 50 else None, texts[i]) for i in range(a, a + 1000)]), mean) for a in range(0, 4000, 1000)]
     asked = list(range(1, 4000, 97))
     terms = [sorted((search._hash(t), idf[t] * m) for t, m in texts[i].items()) for i in asked]
-    q = {"ids": np.array(asked), "starts": np.cumsum([0, *map(len, terms)]), "terms": np.array([h for x in terms for h, _ in x]), "weights": np.array([w for x in terms for _, w in x])}
+    q = {"ids": np.array(asked), "starts": np.cumsum([0, *map(len, terms)]), "terms": np.array([h for x in terms for h, _ in x]),
+         "weights": np.array([w for x in terms for _, w in x])}
     best, found = search.Best(10), collections.defaultdict(list)
     for s in shards:
         for query, doc, score in zip(*(x.tolist() for x in s.search(q, best)), strict=True):
             found[query].append((round(score, 6), int(s.ids[doc])))
     for i in asked:
-        slow = {j: round(sum(m * idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for t, m in texts[i].items() if c[t]), 6) for j, c in enumerate(texts) if j % 50}
+        slow = {j: round(sum(m * idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for t,
+            m in texts[i].items() if c[t]), 6) for j, c in enumerate(texts) if j % 50}
         want = sorted(((s, j) for j, s in slow.items() if s), key=lambda x: (-x[0], x[1]))[:10]
         got = sorted(found[i], key=lambda x: (-x[0], x[1]))[:10]
         assert [j for _, j in got] == [j for _, j in want]
@@ -612,7 +643,8 @@ def test_base_spans_random():
     for _ in range(3000):
         t = "".join(rng.choice(alphabet, rng.integers(0, 40)))
         assert pii.base_spans(t) == slow_base(t)
-    for t in ("1.2.3.4.5.6.7.8", "a@b.c@d.e", "4897498761550726", "+1 (207) 555-2084", "é+1 (207) 555-2084 x@y.zz", "9" * 50_000, "a" * 50_000, "a@" * 20_000, "+" * 20_000):
+    for t in ("1.2.3.4.5.6.7.8", "a@b.c@d.e", "4897498761550726", "+1 (207) 555-2084", "é+1 (207) 555-2084 x@y.zz", "9" * 50_000,
+         "a" * 50_000, "a@" * 20_000, "+" * 20_000):
         assert pii.base_spans(t) == (slow_base(t) if len(t) < 1000 else [])
 
 
@@ -666,7 +698,8 @@ def slow_candidates(text):
 
 def test_pii_candidates(docs):
     rng = np.random.default_rng(11)
-    parts = ["ann (at) x.org", "ann at x dot org", "1.2.3.4", "1234 5678 9012 3456", "555-123-4567", "+1 (207) 555-2084", "key=ABCD1234567890AB", "a@b.co", "ghp_" + "a1" * 200, "0" * 300, "x" * 200 + "(at)y.org", ", ", " ", "=", "(", "-"]
+    parts = ["ann (at) x.org", "ann at x dot org", "1.2.3.4", "1234 5678 9012 3456", "555-123-4567", "+1 (207) 555-2084",
+         "key=ABCD1234567890AB", "a@b.co", "ghp_" + "a1" * 200, "0" * 300, "x" * 200 + "(at)y.org", ", ", " ", "=", "(", "-"]
     for _ in range(400):
         t = "".join(rng.choice(parts, rng.integers(0, 25)))
         assert pii.candidates(t) == slow_candidates(t)
@@ -723,7 +756,8 @@ def test_mixing(spark, docs):
 
     def level(keys, budget, depth):
         groups = sorted({k[depth] for k in keys})
-        parts = slow_share(budget, [(weights[next(k for k in keys if k[depth] == g)][depth], sum(2 * cap[k] for k in keys if k[depth] == g)) for g in groups])
+        parts = slow_share(budget, [(weights[next(k for k in keys if k[depth] == g)][depth], sum(2 * cap[k] for k in keys
+            if k[depth] == g)) for g in groups])
         for g, b in zip(groups, parts, strict=True):
             own = [k for k in keys if k[depth] == g]
             if depth == 2:
@@ -753,7 +787,8 @@ def test_mixing_null_and_short_sources(spark):
     got = {r.source: r.target for r in mixing.budgets(totals, none, F.lit(budget)).collect()}
     assert got == dict(zip(sizes, [0, *slow_share(budget, nodes[1:])], strict=True))
     rows = [(i, "a b c d e", "en", s) for i, s in enumerate([s for s in sizes for _ in range(40)])]
-    taken = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), F.lit("d0")).groupBy("source").agg(F.sum("copies").alias("n")).collect()
+    taken = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"),
+        F.lit("d0")).groupBy("source").agg(F.sum("copies").alias("n")).collect()
     assert {r.source for r in taken if r.n} == set(sizes)
 
 
@@ -774,7 +809,8 @@ def test_warc_archives(spark, tmp_path):
     rng = np.random.default_rng(4)
     names = ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(300)]
     payloads = [f"<p>some words {' '.join(rng.choice(names, 150))} {i}</p>".encode() for i in range(400)]
-    records = [warc.make_record(i, "http://x/é", p, None) for i, p in enumerate(payloads)] + [warc.make_record(-5, None, payloads[0], 0), warc.make_record(None, "u\r\nX: y", b"", None)]
+    records = [warc.make_record(i, "http://x/é", p, None) for i, p in enumerate(payloads)] + [warc.make_record(-5, None,
+        payloads[0], 0), warc.make_record(None, "u\r\nX: y", b"", None)]
     dictionary = warc.train(payloads)
     assert dictionary
     content = warc.pack(records, dictionary)
@@ -822,7 +858,8 @@ def foreign(kind, block, *fields, content_type="application/http; msgtype=respon
     """A record as other writers make it: random ids, SHA-1 digests, other header orders, a folded header."""
     import uuid
 
-    head = [("WARC-Date", "2020-01-01T00:00:00Z"), ("Content-Length", str(len(block))), ("warc-type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.UUID(int=len(block) + (7 << 100))}>"), ("Content-Type", content_type), *fields]
+    head = [("WARC-Date", "2020-01-01T00:00:00Z"), ("Content-Length", str(len(block))), ("warc-type", kind), ("WARC-Record-ID",
+         f"<urn:uuid:{uuid.UUID(int=len(block) + (7 << 100))}>"), ("Content-Type", content_type), *fields]
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"X-Long: one\r\n  two\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -831,23 +868,33 @@ def test_warc_of_other_writers(spark, tmp_path):
     http = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(page)
     sha1 = "sha1:" + base64.b32encode(hashlib.sha1(page).digest()).decode()
     records = [
-        foreign("warcinfo", b"software: x\r\n", content_type="application/warc-fields"), foreign("request", b"GET / HTTP/1.1\r\n\r\n", content_type="application/http; msgtype=request"),
-        foreign("response", http + page, ("WARC-Payload-Digest", sha1), ("WARC-Block-Digest", "md5:" + hashlib.md5(http + page).hexdigest())), foreign("revisit", http, ("WARC-Payload-Digest", sha1), ("WARC-Refers-To", "<urn:x:1>")),
-        foreign("response", http + page[:4], ("WARC-Truncated", "length")), foreign("metadata", b"a: b", content_type="text/plain"), foreign("resource", page, ("WARC-Payload-Digest", "blake3:xyz"), content_type="text/html"), foreign("response", b"HTTP/1.1 204 No\r\n\r\n"),
+        foreign("warcinfo", b"software: x\r\n", content_type="application/warc-fields"), foreign("request",
+             b"GET / HTTP/1.1\r\n\r\n", content_type="application/http; msgtype=request"),
+        foreign("response", http + page, ("WARC-Payload-Digest", sha1), ("WARC-Block-Digest",
+            "md5:" + hashlib.md5(http + page).hexdigest())), foreign("revisit", http, ("WARC-Payload-Digest", sha1),
+            ("WARC-Refers-To", "<urn:x:1>")),
+        foreign("response", http + page[:4], ("WARC-Truncated", "length")), foreign("metadata", b"a: b",
+            content_type="text/plain"), foreign("resource", page, ("WARC-Payload-Digest", "blake3:xyz"),
+            content_type="text/html"), foreign("response", b"HTTP/1.1 204 No\r\n\r\n"),
     ]
-    content = zstandard.ZstdCompressor().compress(records[0]) + b"\x50\x2a\x4d\x18\x03\0\0\0abc" + b"".join(map(zstandard.ZstdCompressor().compress, records[1:]))
+    content = zstandard.ZstdCompressor().compress(records[0]) + b"\x50\x2a\x4d\x18\x03\0\0\0abc" + b"".join(map(zstandard.ZstdCompressor().compress,
+         records[1:]))
     (tmp_path / "x.warc.zst").write_bytes(content)
     back = warc.read_archives(spark.read.format("binaryFile").load(str(tmp_path))).collect()
     assert [r.record_type for r in back] == ["warcinfo", "request", "response", "revisit", "response", "metadata", "resource", "response"]
     assert all(r.page_id is None and r.record_id.startswith("<urn:uuid:") for r in back)
     assert [r.payload_bytes for r in back] == [13, 0, 16, 16, 4, 4, 16, 0]
     assert (back[2].payload_digest, back[2].digest_kind) == (hashlib.sha256(page).hexdigest(), "sha256")
-    assert (back[3].payload_digest, back[3].digest_kind, back[3].refers_to, back[3].refers_to_id) == (hashlib.sha1(page).hexdigest(), "sha1", None, "<urn:x:1>")
+    assert (back[3].payload_digest, back[3].digest_kind, back[3].refers_to,
+        back[3].refers_to_id) == (hashlib.sha1(page).hexdigest(), "sha1", None, "<urn:x:1>")
     good = records[2]
-    for bad in (good.replace(b"some page", b"same page"), good.replace(b"Content-Length: 5", b"Content-Length: -5", 1), good.replace(sha1.encode(), b"sha1:xyz"), foreign("response", http + page[:4]), foreign("response", http.replace(b"16", b"1x") + page), b"", b"\r\n\r\n"):
+    for bad in (good.replace(b"some page", b"same page"), good.replace(b"Content-Length: 5", b"Content-Length: -5", 1),
+        good.replace(sha1.encode(), b"sha1:xyz"), foreign("response", http + page[:4]), foreign("response", http.replace(b"16",
+         b"1x") + page), b"", b"\r\n\r\n"):
         with pytest.raises(warc.WarcError):
             warc.parse(bad)
-    for bad in (b"", content[:5], struct.pack("<II", warc.SKIPPABLE, 9) + b"abc", struct.pack("<II", warc.SKIPPABLE, 4) + struct.pack("<I", warc.FRAME) + content):
+    for bad in (b"", content[:5], struct.pack("<II", warc.SKIPPABLE, 9) + b"abc", struct.pack("<II", warc.SKIPPABLE,
+        4) + struct.pack("<I", warc.FRAME) + content):
         with pytest.raises(warc.WarcError):
             list(warc.frames(bad))
 
@@ -868,7 +915,8 @@ def test_every_archive_carries_the_dictionary(spark, sf, tmp_path):
 
 def test_revisits(spark):
     same = "y" * 100
-    pages = spark.createDataFrame([(3, "u", same), (1, "u", same), (2, "u", same[:-1]), (4, "u", same[:-1]), (5, "u", None)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(3, "u", same), (1, "u", same), (2, "u", same[:-1]), (4, "u", same[:-1]), (5, "u", None)],
+         "page_id long, url string, html string")
     assert {r.page_id: r.refers_to for r in warc.with_types(pages).collect()} == {1: None, 2: None, 3: 1, 4: None, 5: None}
 
 
@@ -893,7 +941,8 @@ def test_hypervector():
         want += np.roll(enc.letter(ord(gram[0])), 2) * np.roll(enc.letter(ord(gram[1])), 1) * enc.letter(ord(gram[2]))
     assert enc.vector("1 ABC!") == pytest.approx(want / np.linalg.norm(want), abs=1e-6)
     small = langid.Encoder(dim=64, keep=8)
-    assert small.vector("many different letters stand here") == pytest.approx(langid.Encoder(dim=64).vector("many different letters stand here"), abs=1e-5)
+    assert small.vector("many different letters stand here") == pytest.approx(langid.Encoder(dim=64).vector("many different letters stand here"),
+         abs=1e-5)
 
 
 def test_pipeline_stages(spark, sf, docs):
@@ -923,10 +972,12 @@ def test_one_row_of_each_group_stays(spark, docs):
     assert sum(got.values()) == 5
     assert all(got[x] == 1 for x in [(1, a), (2, b), (3, c), (None, d)]) and got[4, None] + got[4, ""] == 1
     twice = corpus_pipeline.drop_near_copies(spark, docs.union(docs), "").groupBy("doc_id").count().collect()
-    assert collections.Counter({r.doc_id: r["count"] for r in twice}) == collections.Counter(dict.fromkeys({r.component_id for r in simhash.near_groups(docs).collect()}, 1))
+    assert collections.Counter({r.doc_id: r["count"] for r in twice}) == collections.Counter(dict.fromkeys({r.component_id
+        for r in simhash.near_groups(docs).collect()}, 1))
 
 
-@pytest.mark.parametrize("lengths", [lambda rnd: 600, lambda rnd: rnd.integers(520, 1000), lambda rnd: rnd.integers(1, 3000), lambda rnd: 1024, lambda rnd: 341], ids=["600", "520-999", "1-2999", "1024", "341"])
+@pytest.mark.parametrize("lengths", [lambda rnd: 600, lambda rnd: rnd.integers(520, 1000), lambda rnd: rnd.integers(1, 3000),
+     lambda rnd: 1024, lambda rnd: 341], ids=["600", "520-999", "1-2999", "1024", "341"])
 def test_packing_window_is_bounded(lengths):
     """No lengths let a window grow, and nothing is padded or lost."""
     rnd, packer, seen, fill = np.random.default_rng(5), packing.Packer(0, 1024, 512), collections.Counter(), collections.Counter()
@@ -996,7 +1047,9 @@ def slow_language(texts, asked, dim=128, seed=17):
 def test_language_against_plain_version(spark, docs, monkeypatch):
     monkeypatch.setattr(langid, "DIM", 128)
     monkeypatch.setattr(langid.Encoder.__init__, "__defaults__", (128, 17, 1 << 14))
-    some = docs.select("doc_id", F.substring("text", 1, 300).alias("text"), "lang").union(spark.createDataFrame([(9001, None, "en"), (9002, "12 34!", "de"), (9003, "Ünïcode Straße ß ǅ İx", None), (9004, "", "fr"), (9005, "a", "en")], "doc_id long, text string, lang string"))
+    some = docs.select("doc_id", F.substring("text", 1, 300).alias("text"), "lang").union(spark.createDataFrame([(9001, None,
+        "en"), (9002, "12 34!", "de"), (9003, "Ünïcode Straße ß ǅ İx", None), (9004, "", "fr"), (9005, "a", "en")],
+         "doc_id long, text string, lang string"))
     rows = some.collect()
     langs, prototypes = langid.train(some)
     want = slow_language([(r.lang, r.text) for r in rows], [(r.doc_id, r.text) for r in rows])
@@ -1017,7 +1070,8 @@ def test_language_against_plain_version(spark, docs, monkeypatch):
 def mixed(spark, docs):
     """Documents with repeated rows, rows of one id with other texts, and rows without an id."""
     rows = [tuple(r) for r in docs.limit(120).collect()]
-    rows += rows[:10] + [(rows[0][0], "another text of the first id", "en", "src1", 28), (None, "no id at all here", "en", "src2", 17), (None, "no id at all here", "en", "src2", 17), (None, None, None, None, None), (7001, "", "de", "src3", 0)]
+    rows += rows[:10] + [(rows[0][0], "another text of the first id", "en", "src1", 28), (None, "no id at all here", "en", "src2",
+         17), (None, "no id at all here", "en", "src2", 17), (None, None, None, None, None), (7001, "", "de", "src3", 0)]
     return spark.createDataFrame(rows, docs.schema)
 
 
@@ -1032,7 +1086,8 @@ def test_stage_toxicity(spark, sf, mixed):
 
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.train(mixed, labels)
-    score = lambda t: sum(model.weights.get(f, 0) * math.log1p(n) for f, n in collections.Counter(f for w in toxicity.words(t) for f in toxicity.word_features(w)).items())
+    score = lambda t: sum(model.weights.get(f, 0) * math.log1p(n) for f, n in collections.Counter(f for w in toxicity.words(t)
+        for f in toxicity.word_features(w)).items())
     want = collections.Counter({r: n for r, n in counted(mixed).items() if not model.thresholds or score(r[1]) <= model.thresholds[0]})
     assert counted(corpus_pipeline.drop_toxic(spark, mixed, sf)) == want
 
