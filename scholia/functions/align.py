@@ -42,7 +42,8 @@ def split_sentences(text: str | None) -> list[str]:
         out[-1].append(w)
         at = next((j for j in range(i, -1, -1) if not _NUMBERS.fullmatch(words[j])), i)  # the word that citations follow
         after = words[i + 1] if i + 1 < len(words) else ""
-        if after and not _NUMBERS.fullmatch(after) and _ends(words[at], words[at - 1] if at else "", after) and sum(c.isalnum() for x in out[-1] for c in x) >= 3:
+        if after and not _NUMBERS.fullmatch(after) and _ends(words[at], words[at - 1] if at else "", after) and sum(c.isalnum()
+             for x in out[-1] for c in x) >= 3:
             out.append([])
     found = [" ".join(x) for x in out if x]
     if len(found) > 1 and sum(c.isalnum() for c in found[-1]) < 3:
@@ -147,7 +148,8 @@ def sentences_udf(text: pd.Series) -> pd.Series:
     return text.map(split_sentences)
 
 
-@F.pandas_udf(StructType([StructField("grades", ArrayType(StringType())), StructField("extra", ArrayType(StringType())), StructField("score", DoubleType())]))
+@F.pandas_udf(StructType([StructField("grades", ArrayType(StringType())), StructField("extra", ArrayType(StringType())),
+     StructField("score", DoubleType())]))
 def sentence_grade_udf(original: pd.Series, typed: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([sentence_grade(a, b) for a, b in zip(original, typed, strict=True)], columns=["grades", "extra", "score"])
 

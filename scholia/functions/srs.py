@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: The scheduler's 21 parameters, retention, steps in seconds, the longest interval in days, new words a day.
-W = (0.212, 1.2931, 2.3065, 8.2956, 6.4133, 0.8334, 3.0194, 0.001, 1.8722, 0.1666, 0.796, 1.4835, 0.0614, 0.2629, 1.6483, 0.6014, 1.8729, 0.5425, 0.0912, 0.0658, 0.1542)
+W = (0.212, 1.2931, 2.3065, 8.2956, 6.4133, 0.8334, 3.0194, 0.001, 1.8722, 0.1666, 0.796, 1.4835, 0.0614, 0.2629, 1.6483, 0.6014,
+     1.8729, 0.5425, 0.0912, 0.0658, 0.1542)
 RETENTION, LEARNING, RELEARNING, LONGEST, NEW_PER_DAY = 0.9, (60, 600), (600,), 36500, 20
 DECAY = -W[20]
 FACTOR = RETENTION ** (1 / DECAY) - 1
@@ -52,7 +53,8 @@ def step_sql(s: str, r: str, t: str, spark: bool) -> str:
 
 
 def state_sql(phase: str, step: str, s: str, d: str, due: str, last: str, spark: bool) -> str:
-    parts = [("phase", phase, "BIGINT"), ("step", step, "BIGINT"), ("s", s, "DOUBLE"), ("d", d, "DOUBLE"), ("due", due, "BIGINT"), ("last", last, "BIGINT")]
+    parts = [("phase", phase, "BIGINT"), ("step", step, "BIGINT"), ("s", s, "DOUBLE"), ("d", d, "DOUBLE"), ("due", due, "BIGINT"),
+         ("last", last, "BIGINT")]
     if spark:
         return "named_struct(" + ", ".join(f"'{k}', CAST({v} AS {t})" for k, v, t in parts) + ")"
     return "{" + ", ".join(f"'{k}': CAST({v} AS {t})" for k, v, t in parts) + "}"
@@ -75,13 +77,15 @@ def states(reviews: DataFrame) -> DataFrame:
     the array; ties in time go by uid. Ratings outside 1..4 and rows without a time are passed over."""
     seconds = F.unix_micros(F.col("reviewed_at").cast("timestamp")).cast("long")
     valid = reviews.filter("rating between 1 and 4 and reviewed_at is not null and headword is not null").dropDuplicates(["uid"])
-    logs = valid.groupBy("headword").agg(F.array_sort(F.collect_list(F.struct(F.floor(seconds / 1_000_000).alias("last"), "uid", "rating"))).alias("log"))
+    logs = valid.groupBy("headword").agg(F.array_sort(F.collect_list(F.struct(F.floor(seconds / 1_000_000).alias("last"), "uid",
+         "rating"))).alias("log"))
     return logs.select("headword", F.expr(fold_sql("log", True)).alias("x"), F.size("log").cast("long").alias("n"))
 
 
 def replay(reviews: DataFrame) -> DataFrame:
     """(headword, phase, step, stability, difficulty, due, last, n) for each headword: `states` spelled out."""
-    return states(reviews).select("headword", "x.phase", "x.step", F.round("x.s", 5).alias("stability"), F.round("x.d", 5).alias("difficulty"), "x.due", "x.last", "n")
+    return states(reviews).select("headword", "x.phase", "x.step", F.round("x.s", 5).alias("stability"), F.round("x.d",
+        5).alias("difficulty"), "x.due", "x.last", "n")
 
 
 def preview_sql(state: str, now: str, spark: bool) -> list[str]:

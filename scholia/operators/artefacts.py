@@ -16,7 +16,8 @@ def fingerprint(items: DataFrame, key: str, order: str, text: str) -> DataFrame:
 
 def stale(now: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     """Keys whose stored fingerprint is missing or differs."""
-    return now.join(stored.select(key, F.col("items_hash").alias("old")), key, "left").filter(~F.col("items_hash").eqNullSafe(F.col("old"))).select(key, "items_hash")
+    return now.join(stored.select(key, F.col("items_hash").alias("old")), key,
+        "left").filter(~F.col("items_hash").eqNullSafe(F.col("old"))).select(key, "items_hash")
 
 
 def current(now: DataFrame, stored: DataFrame, key: str, version: str) -> DataFrame:

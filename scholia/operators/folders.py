@@ -13,7 +13,9 @@ def add(folders: Column, name: str) -> Column:
 def rename(folders: Column, papers: Column, old: str, new: str) -> tuple[Column, Column]:
     """Members go with the folder; a name that is taken changes nothing."""
     free = ~F.array_contains(folders, new)
-    return F.when(free, F.transform(folders, lambda x: F.when(x == old, F.lit(new)).otherwise(x))).otherwise(folders), F.when(free, F.transform_values(papers, lambda k, v: F.when(v == old, F.lit(new)).otherwise(v))).otherwise(papers)
+    return F.when(free, F.transform(folders, lambda x: F.when(x == old,
+        F.lit(new)).otherwise(x))).otherwise(folders), F.when(free, F.transform_values(papers, lambda k, v: F.when(v == old,
+        F.lit(new)).otherwise(v))).otherwise(papers)
 
 
 def delete(folders: Column, papers: Column, name: str) -> tuple[Column, Column]:
@@ -26,7 +28,8 @@ def move(folders: Column, name: str, by: int) -> Column:
     at = F.array_position(folders, name).cast("int")
     to = at + by
     legal = (at > 0) & (to >= 1) & (to <= F.size(folders))
-    return F.when(legal, F.transform(folders, lambda x, i: F.when(i + 1 == at, folders[to - 1]).when(i + 1 == to, folders[at - 1]).otherwise(x))).otherwise(folders)
+    return F.when(legal, F.transform(folders, lambda x, i: F.when(i + 1 == at, folders[to - 1]).when(i + 1 == to,
+        folders[at - 1]).otherwise(x))).otherwise(folders)
 
 
 def placed(folders: Column, papers: Column) -> Column:

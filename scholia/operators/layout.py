@@ -47,7 +47,8 @@ def rows_of_fragments(fragments: DataFrame, height: float, gap: float) -> DataFr
     rows = rows.withColumn("again", F.coalesce(again, F.lit(False))).filter("not again")
     space = F.when(F.col("x0") - F.lag("x1").over(in_row) >= gap, " ").otherwise("")
     rows = rows.withColumn("piece", F.concat(space, "text"))
-    parts = rows.groupBy("page", "row").agg(F.min("y").alias("y"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_sort(F.collect_list(F.struct("x0", "n", "piece"))).alias("p"))
+    parts = rows.groupBy("page", "row").agg(F.min("y").alias("y"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
+        F.array_sort(F.collect_list(F.struct("x0", "n", "piece"))).alias("p"))
     return parts.select("page", "row", "y", "x0", "x1", F.trim(F.array_join(F.transform("p", lambda i: i["piece"]), "")).alias("text"))
 
 
@@ -93,7 +94,8 @@ def abstract_run(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(doc_id, run): of the first page's runs (see `line_runs`, with text) the one that is the abstract: one that says so first,
     else one of the body's size (sizes: doc_id, size), else any; of several the longest, then the first."""
     first = runs.filter("page = 1").join(sizes.select("doc_id", F.col("size").alias("body")), "doc_id")
-    own = first.groupBy("doc_id", "run").agg(F.sum(F.length("text")).alias("chars"), F.min_by("text", "n").alias("head"), F.bool_and(F.abs(F.col("size") - F.col("body")) < SIZE_STEP).alias("plain"))
+    own = first.groupBy("doc_id", "run").agg(F.sum(F.length("text")).alias("chars"), F.min_by("text", "n").alias("head"),
+        F.bool_and(F.abs(F.col("size") - F.col("body")) < SIZE_STEP).alias("plain"))
     labelled = F.lower("head").startswith("abstract")
     return own.groupBy("doc_id").agg(F.max_by("run", F.struct(labelled, "plain", "chars", -F.col("run"))).alias("run"))
 
@@ -110,19 +112,22 @@ def paper(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     kept = lines.withColumn("mark", margin_mark())
     edge = (F.col("y") < MARGIN) | (F.col("y") > 1 - MARGIN)
     repeated = margins(lines).select("doc_id", "mark", F.lit(True).alias("repeated"))
-    kept = kept.join(repeated, ["doc_id", "mark"], "left").filter(~(edge & F.coalesce("repeated", F.lit(False)))).join(sizes, "doc_id").filter(F.col("size") >= F.col("body") - SMALL)
+    kept = kept.join(repeated, ["doc_id", "mark"], "left").filter(~(edge & F.coalesce("repeated", F.lit(False)))).join(sizes,
+         "doc_id").filter(F.col("size") >= F.col("body") - SMALL)
     w = Window.partitionBy("doc_id").orderBy("n")
     heads = kept.withColumn("head", text.page_heading(F.col("text"), F.col("size"), F.col("bold"), F.col("body")))
     goes_on = F.col("head") & F.lag("head").over(w) & (F.lag("page").over(w) == F.col("page")) & (F.lag("size").over(w) == F.col("size")) & ~F.col("text").rlike(r"^\d+(\.\d+)*\.?\s")
     opened = heads.withColumn("opens", F.col("head") & ~F.coalesce(goes_on, F.lit(False)))
     placed = opened.withColumn("section", F.count_if("opens").over(w))
-    titles = placed.filter("head").groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("t"), F.min("page").alias("page"))
+    titles = placed.filter("head").groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("n",
+        "text"))).alias("t"), F.min("page").alias("page"))
     title = F.array_join(F.transform("t", lambda i: i["text"]), " ")
     number = F.regexp_extract("title", r"^(\d+(?:\.\d+)*)\.?\s", 1)
     bare = F.regexp_replace("title", r"^\d+(?:\.\d+)*\.?\s+", "")
     order = Window.partitionBy("doc_id").orderBy("section")
     rows = titles.select("doc_id", "section", title.alias("title"), "page").withColumn("back", F.max(text.is_back_matter(bare)).over(order))
     kind = F.when(F.lower("title").startswith("abstract"), "front").when(F.col("back"), "back").otherwise("body")
-    sections = rows.select("doc_id", F.col("section").alias("n"), "title", number.alias("number"), text.section_level(number).alias("level"), kind.alias("kind"), "page")
+    sections = rows.select("doc_id", F.col("section").alias("n"), "title", number.alias("number"),
+        text.section_level(number).alias("level"), kind.alias("kind"), "page")
     body = placed.filter("not head").select("doc_id", "n", "section", F.col("text").alias("line"))
     return sections, joined(body, "section")

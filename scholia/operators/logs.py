@@ -16,7 +16,8 @@ def merge_new(existing: DataFrame, incoming: DataFrame, known: DataFrame | None
     if known is not None:
         incoming = incoming.join(known.select("headword"), "headword", "left_semi")
     columns = [c for c in incoming.columns if c != "uid"]
-    once = incoming.groupBy("uid").agg(F.min(F.struct("reviewed_at", *[c for c in columns if c != "reviewed_at"])).alias("x")).select("uid", "x.*").select(*incoming.columns)
+    once = incoming.groupBy("uid").agg(F.min(F.struct("reviewed_at", *[c for c in columns
+        if c != "reviewed_at"])).alias("x")).select("uid", "x.*").select(*incoming.columns)
     return once.join(existing.select("uid"), "uid", "left_anti")
 
 
@@ -24,7 +25,8 @@ def last_write(log: DataFrame, key: str, at: str = "updated_at", tie: str = "eve
     """The newest row of each key; on a tie the one that came first stays. A partial aggregate: a hot key is no hot task."""
     rest = [c for c in log.columns if c not in (key, at, tie)]
     newest = F.max(F.struct(at, (-F.col(tie)).alias("_tie"), *rest)).alias("x")
-    return log.groupBy(key).agg(newest).select(key, F.col(f"x.{at}").alias(at), (-F.col("x._tie")).alias(tie), *[F.col(f"x.{c}").alias(c) for c in rest])
+    return log.groupBy(key).agg(newest).select(key, F.col(f"x.{at}").alias(at), (-F.col("x._tie")).alias(tie),
+        *[F.col(f"x.{c}").alias(c) for c in rest])
 
 
 def merge_state(existing: DataFrame, incoming: DataFrame, key: str, needed: list[str], defaults: dict | None = None) -> DataFrame:
@@ -53,16 +55,20 @@ def toggle_marks(marks: DataFrame, taps: DataFrame) -> DataFrame:
     mark of the place becomes a tombstone, and where none lives, a new mark with the tap's uid begins."""
     place = ["paper", "sentence"]
     hit = marks.filter("deleted = 0").join(taps.select(*place, "at"), place)
-    gone = hit.select(*[F.col("at").alias("updated_at") if c == "updated_at" else F.lit(1).alias("deleted") if c == "deleted" else F.col(c) for c in marks.columns])
-    fresh = taps.join(marks.filter("deleted = 0").select(*place), place, "left_anti").select("uid", *place, F.col("at").alias("updated_at"), F.lit(0).alias("deleted"))
-    return marks.join(hit.select("uid"), "uid", "left_anti").select(*marks.columns).unionByName(gone).unionByName(fresh, allowMissingColumns=True).select(*marks.columns)
+    gone = hit.select(*[F.col("at").alias("updated_at") if c == "updated_at" else F.lit(1).alias("deleted") if c == "deleted"
+        else F.col(c) for c in marks.columns])
+    fresh = taps.join(marks.filter("deleted = 0").select(*place), place, "left_anti").select("uid", *place,
+        F.col("at").alias("updated_at"), F.lit(0).alias("deleted"))
+    return marks.join(hit.select("uid"), "uid", "left_anti").select(*marks.columns).unionByName(gone).unionByName(fresh,
+         allowMissingColumns=True).select(*marks.columns)
 
 
 def with_notes(marks: DataFrame, notes: DataFrame, most: int = 2000) -> DataFrame:
     """marks (uid, note, updated_at, ...) with the notes of notes (uid, new, at), trimmed and cut to `most` characters."""
     n = notes.select("uid", F.substring(F.trim("new"), 1, most).alias("_new"), F.col("at").alias("_at"))
     rows = marks.join(n, "uid", "left")
-    return rows.select(*[F.coalesce("_new", c).alias(c) if c == "note" else F.coalesce("_at", c).alias(c) if c == "updated_at" else F.col(c) for c in marks.columns])
+    return rows.select(*[F.coalesce("_new", c).alias(c) if c == "note" else F.coalesce("_at", c).alias(c) if c == "updated_at"
+         else F.col(c) for c in marks.columns])
 
 
 def without_words(words: DataFrame, lookups: DataFrame, reviews: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -114,6 +120,8 @@ def queue_counts(state: DataFrame, words: DataFrame, reviews: DataFrame, now: in
     cards = words.join(state, "headword", "left")
     counts = cards.agg(
         F.count_if(F.col("phase").isNull()).alias("new_waiting"), F.count_if((F.col("due") <= now) & (F.col("phase") != 2)).alias("learning"),
-        F.count_if((F.col("due") <= now) & (F.col("phase") == 2)).alias("review"), F.count("*").alias("total"), F.min(F.when(F.col("due") > now, F.col("due"))).alias("next_due"),
+        F.count_if((F.col("due") <= now) & (F.col("phase") == 2)).alias("review"), F.count("*").alias("total"),
+            F.min(F.when(F.col("due") > now, F.col("due"))).alias("next_due"),
     )
-    return counts.join(F.broadcast(used)).select(F.least("new_waiting", F.greatest(quota - F.col("used"), F.lit(0))).alias("new"), "learning", "review", "total", "new_waiting", "next_due")
+    return counts.join(F.broadcast(used)).select(F.least("new_waiting", F.greatest(quota - F.col("used"), F.lit(0))).alias("new"),
+         "learning", "review", "total", "new_waiting", "next_due")

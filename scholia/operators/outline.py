@@ -34,7 +34,8 @@ def numbering_gaps(sections: DataFrame) -> DataFrame:
 def offsets(items: DataFrame, key: str, order: list[str], length: str) -> DataFrame:
     """Adds starts, the sum of the lengths before, and total, that of all, within each key."""
     w = Window.partitionBy(key).orderBy(*order)
-    return items.withColumn("starts", F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum(length).over(Window.partitionBy(key)))
+    return items.withColumn("starts", F.coalesce(F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0))).withColumn("total", F.sum(length).over(Window.partitionBy(key)))
 
 
 def seek(timeline: DataFrame, key: str, at: Column) -> DataFrame:
@@ -54,7 +55,8 @@ def shifted(sections: DataFrame, moves: DataFrame) -> DataFrame:
     section, for one that is deeper than the one before it, or where something would pass level 3; higher at level 1."""
     w = Window.partitionBy("doc_id").orderBy("n")
     root = subtree_end(sections).withColumn("before", F.lag("level").over(w)).join(moves, ["doc_id", "n"])
-    root = root.select("doc_id", F.col("n").alias("_n"), F.col("until").alias("_until"), F.col("level").alias("_level"), F.col("before").alias("_before"), F.col("by").alias("_by"))
+    root = root.select("doc_id", F.col("n").alias("_n"), F.col("until").alias("_until"), F.col("level").alias("_level"),
+        F.col("before").alias("_before"), F.col("by").alias("_by"))
     rows = sections.join(root, "doc_id", "left")
     inside = F.coalesce((F.col("n") >= F.col("_n")) & (F.col("_until").isNull() | (F.col("n") < F.col("_until"))), F.lit(False))
     rows = rows.withColumn("_in", inside).withColumn("_deepest", F.max(F.when(F.col("_in"), F.col("level"))).over(Window.partitionBy("doc_id")))
@@ -75,7 +77,8 @@ def split_sections(sections: DataFrame, sentences: DataFrame, splits: DataFrame)
     the heading and goes, and without a title its text is it, less a final full stop or colon. A split without take that
     is at the first sentence or has no title changes nothing. sections are (doc_id, n, level, kind, title), sentences
     (doc_id, section, k, text), k from 1."""
-    s = splits.select("doc_id", F.col("section").alias("_s"), F.col("at").alias("_at"), F.trim(F.coalesce("title", F.lit(""))).alias("_title"), F.coalesce("take", F.lit(False)).alias("_take"))
+    s = splits.select("doc_id", F.col("section").alias("_s"), F.col("at").alias("_at"), F.trim(F.coalesce("title",
+        F.lit(""))).alias("_title"), F.coalesce("take", F.lit(False)).alias("_take"))
     s = s.filter(F.col("_take") | ((F.col("_at") > 1) & (F.col("_title") != "")))
     there = sentences.select("doc_id", F.col("section").alias("_s"), F.col("k").alias("_at"), F.col("text").alias("_text"))
     s = s.join(there, ["doc_id", "_s", "_at"])  # the sentence must be there
@@ -86,7 +89,8 @@ def split_sections(sections: DataFrame, sentences: DataFrame, splits: DataFrame)
     k = F.when(own, F.col("k") - F.col("_at") + F.when(F.col("_take"), 0).otherwise(1)).otherwise(F.col("k"))
     moved = rows.select("doc_id", (F.col("section") + F.when(own | later, 1).otherwise(0)).alias("section"), k.alias("k"), "text")
     heads = sections.join(s, "doc_id", "left")
-    kept = heads.select("doc_id", (F.col("n") + F.when(F.coalesce(F.col("n") > F.col("_s"), F.lit(False)), 1).otherwise(0)).alias("n"), "level", "kind", "title")
+    kept = heads.select("doc_id", (F.col("n") + F.when(F.coalesce(F.col("n") > F.col("_s"), F.lit(False)),
+        1).otherwise(0)).alias("n"), "level", "kind", "title")
     title = F.coalesce(F.nullif("_title", F.lit("")), F.regexp_replace("_text", "[.:]$", ""))
     new = heads.filter(F.col("n") == F.col("_s")).select("doc_id", (F.col("n") + 1).alias("n"), "level", "kind", title.alias("title"))
     return kept.unionByName(new), moved

@@ -27,7 +27,8 @@ def pasted_paragraphs(headed: DataFrame) -> DataFrame:
     a blank line a paragraph."""
     w = Window.partitionBy("doc_id").orderBy("n")
     opens = F.col("level").isNotNull()
-    marked = headed.withColumn("section", F.count_if(opens).over(w)).withColumn("paragraph", F.count_if((F.trim("line") == "") | opens).over(w)).filter(~opens & (F.trim("line") != ""))
+    marked = headed.withColumn("section", F.count_if(opens).over(w)).withColumn("paragraph", F.count_if((F.trim("line") == "")
+        | opens).over(w)).filter(~opens & (F.trim("line") != ""))
     both = marked.withColumn("place", F.struct("section", "paragraph")).withColumn("line", F.trim("line"))
     return joined(both, "place").select("doc_id", "place.section", "place.paragraph", "text")
 
@@ -49,16 +50,20 @@ def with_examples(lookups: DataFrame, sentences: DataFrame, translations: DataFr
     """lookups (uid, doc_id, sentence) with audio_ref, the item of the first sentence with that text that is spoken, and
     translated, what the first one with that text, spoken or not, is in translations (doc_id, section, k, translated)."""
     text = F.col("sentence")
-    heard = first_places(sentences.filter("spoken <> ''")).select("doc_id", F.col("text").alias("sentence"), F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("section").cast("string"), F.lit("_"), F.col("k").cast("string")).alias("audio_ref"))
+    heard = first_places(sentences.filter("spoken <> ''")).select("doc_id", F.col("text").alias("sentence"),
+        F.concat(F.col("doc_id").cast("string"), F.lit("/"), F.col("section").cast("string"), F.lit("_"),
+        F.col("k").cast("string")).alias("audio_ref"))
     seen = first_places(sentences).join(translations, ["doc_id", "section", "k"]).select("doc_id", F.col("text").alias("sentence"), "translated")
-    return lookups.filter(text.isNotNull()).join(heard, ["doc_id", "sentence"], "left").join(seen, ["doc_id", "sentence"], "left").unionByName(lookups.filter(text.isNull()), allowMissingColumns=True)
+    return lookups.filter(text.isNotNull()).join(heard, ["doc_id", "sentence"], "left").join(seen, ["doc_id", "sentence"],
+        "left").unionByName(lookups.filter(text.isNull()), allowMissingColumns=True)
 
 
 def translated_items(items: DataFrame, stored: DataFrame, cache: DataFrame, current: DataFrame) -> DataFrame:
     """items (doc_id, item_id, text) with translated: of documents that are current (doc_id) by item from stored (doc_id,
     item_id, translated), of the others by text from cache (text, translated)."""
     up = items.join(current.select("doc_id", F.lit(True).alias("current")).distinct(), "doc_id", "left")
-    up = up.join(stored.select("doc_id", "item_id", F.col("translated").alias("by_item")), ["doc_id", "item_id"], "left").join(cache.select("text", F.col("translated").alias("by_text")), "text", "left")
+    up = up.join(stored.select("doc_id", "item_id", F.col("translated").alias("by_item")), ["doc_id", "item_id"],
+        "left").join(cache.select("text", F.col("translated").alias("by_text")), "text", "left")
     return up.select("doc_id", "item_id", "text", F.when(F.col("current"), F.col("by_item")).otherwise(F.col("by_text")).alias("translated"))
 
 
@@ -70,7 +75,8 @@ def resume(items: DataFrame, positions: DataFrame) -> DataFrame:
     found = items.join(p, "doc_id")
     same, by_id = F.col("text") == F.col("said"), F.col("item_id") == F.col("id")
     first = lambda where: F.min(F.when(where, F.col("n")))
-    at = found.groupBy("doc_id").agg(first(same & (F.col("heading") == F.col("id").endswith("h"))).alias("a"), first(same).alias("b"), first(by_id).alias("c"))
+    at = found.groupBy("doc_id").agg(first(same & (F.col("heading") == F.col("id").endswith("h"))).alias("a"),
+        first(same).alias("b"), first(by_id).alias("c"))
     return at.select("doc_id", F.coalesce("a", "b", "c", F.lit(0)).cast("long").alias("at"), F.col("b").isNotNull().alias("exact"))
 
 
@@ -86,18 +92,21 @@ def record_words(words: DataFrame, lookups: DataFrame, known: DataFrame) -> Data
     new = lookups.dropDuplicates(["uid"]).join(known.select("uid"), "uid", "left_anti")
     more = new.groupBy("headword").agg(F.count("*").alias("lookups"), F.min("looked_at").alias("first_seen"), F.max("looked_at").alias("last_seen"))
     both = words.select("headword", "lookups", "first_seen", "last_seen").union(more)
-    return both.groupBy("headword").agg(F.sum("lookups").alias("lookups"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return both.groupBy("headword").agg(F.sum("lookups").alias("lookups"), F.min("first_seen").alias("first_seen"),
+        F.max("last_seen").alias("last_seen"))
 
 
 def registered(results: DataFrame, words: DataFrame) -> DataFrame:
     """results (headword) with whether the word list has them."""
-    return results.join(words.select("headword", F.lit(True).alias("hit")).distinct(), "headword", "left").withColumn("registered", F.coalesce("hit", F.lit(False))).drop("hit")
+    return results.join(words.select("headword", F.lit(True).alias("hit")).distinct(), "headword",
+        "left").withColumn("registered", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
 def first_labels(figures: DataFrame, key: Column) -> DataFrame:
     """figures (doc_id, n) of which those with a label's key are kept once a key, the first; those without one all stay."""
     keyed = figures.withColumn("key", key)
-    return keyed.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", F.coalesce("key", F.col("n").cast("string"))).orderBy("n"))).filter("r = 1").drop("r")
+    return keyed.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", F.coalesce("key",
+        F.col("n").cast("string"))).orderBy("n"))).filter("r = 1").drop("r")
 
 
 def rule_chains(rules: DataFrame, gap: float = 260) -> DataFrame:
@@ -112,8 +121,10 @@ def merge_section(sentences: DataFrame, sections: DataFrame, at: Column) -> tupl
     (section, k) stay dense and start at 1."""
     w = Window.partitionBy("doc_id").orderBy("n")
     gone = sections.withColumn("gone", at & (F.row_number().over(w) > 1)).withColumn("new", F.count_if(~F.col("gone")).over(w))
-    heads = gone.filter("gone").select("doc_id", F.col("new").alias("section"), F.col("n").alias("old"), F.lit(0).alias("k"), F.col("title").alias("text"))
-    moved = sentences.join(gone.select("doc_id", F.col("n").alias("section"), "new"), ["doc_id", "section"]).select("doc_id", F.col("new").alias("section"), F.col("section").alias("old"), "k", "text")
+    heads = gone.filter("gone").select("doc_id", F.col("new").alias("section"), F.col("n").alias("old"), F.lit(0).alias("k"),
+        F.col("title").alias("text"))
+    moved = sentences.join(gone.select("doc_id", F.col("n").alias("section"), "new"), ["doc_id", "section"]).select("doc_id",
+        F.col("new").alias("section"), F.col("section").alias("old"), "k", "text")
     again = Window.partitionBy("doc_id", "section").orderBy("old", "k")
     rows = moved.union(heads).withColumn("k", F.row_number().over(again)).select("doc_id", "section", "k", "text")
     return rows, gone.filter("not gone").select(*[c for c in sections.columns if c != "n"], F.col("new").alias("n")).select(*sections.columns)
@@ -122,7 +133,8 @@ def merge_section(sentences: DataFrame, sections: DataFrame, at: Column) -> tupl
 def rename_sections(sections: DataFrame, names: DataFrame) -> DataFrame:
     """sections (doc_id, n, title) with the titles of names (doc_id, n, new) that aren't blank."""
     new = F.trim("new")
-    return sections.join(names, ["doc_id", "n"], "left").withColumn("title", F.when(new != "", new).otherwise(F.col("title"))).select(*sections.columns)
+    return sections.join(names, ["doc_id", "n"], "left").withColumn("title", F.when(new != "",
+        new).otherwise(F.col("title"))).select(*sections.columns)
 
 
 #: Fixed value: how a reference begins.
@@ -134,7 +146,8 @@ def references(lines: DataFrame) -> DataFrame:
     with the last; the first begins one in any case."""
     w = Window.partitionBy("doc_id").orderBy("n")
     rows = lines.withColumn("entry", F.greatest(F.count_if(F.col("line").rlike(REFERENCE)).over(w), F.lit(1)))
-    return joined(rows, "entry").join(rows.groupBy("doc_id", "entry").agg(F.count("*").alias("n_lines")), ["doc_id", "entry"]).select("doc_id", "entry", "n_lines", "text")
+    return joined(rows, "entry").join(rows.groupBy("doc_id", "entry").agg(F.count("*").alias("n_lines")), ["doc_id",
+        "entry"]).select("doc_id", "entry", "n_lines", "text")
 
 
 #: The keys that papers are sorted by.
@@ -145,10 +158,13 @@ def sorted_every_way(metas: DataFrame) -> DataFrame:
     """(sort, newest, doc_id, place): papers (doc_id, imported, created, downloaded, title, pages) in the order of each key, both
     ways; unknown values come last either way, titles compare without case. All orders are made by one sort."""
     number = lambda c: F.unix_date(c).cast("double") if c not in ("title", "pages") else F.col(c).cast("double")
-    value = [F.struct(F.lit(k).alias("sort"), (F.lit(None).cast("double") if k == "title" else number(k)).alias("number"), (F.nullif(F.lower("title"), F.lit("")) if k == "title" else F.lit(None).cast("string")).alias("word")) for k in SORTS]
-    rows = metas.select("doc_id", F.explode(F.array(*value)).alias("v"), ).select("doc_id", "v.*").withColumn("newest", F.explode(F.array(F.lit(True), F.lit(False))))
+    value = [F.struct(F.lit(k).alias("sort"), (F.lit(None).cast("double") if k == "title" else number(k)).alias("number"),
+        (F.nullif(F.lower("title"), F.lit("")) if k == "title" else F.lit(None).cast("string")).alias("word")) for k in SORTS]
+    rows = metas.select("doc_id", F.explode(F.array(*value)).alias("v"), ).select("doc_id", "v.*").withColumn("newest",
+        F.explode(F.array(F.lit(True), F.lit(False))))
     way = lambda c, up: F.when(F.col("newest") != F.lit(up), F.col(c))
-    order = [F.col("sort"), F.col("newest"), (F.col("number").isNull() & F.col("word").isNull()), way("number", True).asc(), way("number", False).desc(), way("word", True).asc(), way("word", False).desc(), F.col("doc_id")]
+    order = [F.col("sort"), F.col("newest"), (F.col("number").isNull() & F.col("word").isNull()), way("number", True).asc(),
+        way("number", False).desc(), way("word", True).asc(), way("word", False).desc(), F.col("doc_id")]
     placed = ranked(rows, *order)
     starts = placed.groupBy("sort", "newest").agg((F.min("place") - 1).alias("before"))
     return placed.join(F.broadcast(starts), ["sort", "newest"]).select("sort", "newest", "doc_id", (F.col("place") - F.col("before")).alias("place"))
@@ -158,7 +174,8 @@ def kept_rules(rules: DataFrame) -> DataFrame:
     """The pronunciation rules (rule_id, find, put, whole_case) that can be used: trimmed, not blank, not too long, the first
     for what it finds. Whether case counts is as said, or else by whether there is a capital."""
     find, put = F.trim("find"), F.trim("put")
-    good = rules.withColumn("find", find).withColumn("put", put).filter((F.length("find").between(1, MOST_FIND)) & F.length("put").between(1, MOST_PUT))
+    good = rules.withColumn("find", find).withColumn("put", put).filter((F.length("find").between(1, MOST_FIND))
+        & F.length("put").between(1, MOST_PUT))
     case = F.coalesce("whole_case", F.col("find") != F.lower("find"))
     first = good.groupBy("find").agg(F.min(F.struct("rule_id", "put", case.alias("whole_case"))).alias("x"))
     return first.select("x.rule_id", "find", "x.put", "x.whole_case")
@@ -170,5 +187,7 @@ def ranked(rows: DataFrame, *order: Column) -> DataFrame:
     parts = stored(rows.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     sizes = parts.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return parts.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_start")
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding,
+        -1)), F.lit(0)).alias("_start"))
+    return parts.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("place",
+        F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_part", "_start")

@@ -24,9 +24,11 @@ def doubled(texts: DataFrame) -> DataFrame:
     pieces = F.regexp_extract_all("text", F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
     vocabulary = texts.select("doc_id", F.explode(F.transform(words, F.lower)).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("c"))
     triples = F.arrays_zip(F.col("p").alias("a"), F.slice("p", 2, F.size("p")).alias("b"), F.slice("p", 3, F.size("p")).alias("c"))
-    pairs = texts.select("doc_id", "id", pieces.alias("p")).filter(F.size("p") >= 3).select("doc_id", "id", F.explode(triples).alias("t")).select("doc_id", "id", "t.*").toDF("doc_id", "id", "a", "b", "c")
+    pairs = texts.select("doc_id", "id", pieces.alias("p")).filter(F.size("p") >= 3).select("doc_id", "id",
+        F.explode(triples).alias("t")).select("doc_id", "id", "t.*").toDF("doc_id", "id", "a", "b", "c")
     x, y = F.lower("a"), F.lower("c")
-    fits = (F.length("b") == 1) & F.col("a").rlike("^[A-Za-z]{2}") & F.col("c").rlike("^[A-Za-z]{2}") & (F.substring(x, -1, 1) == F.substring(y, 1, 1))
+    fits = (F.length("b") == 1) & F.col("a").rlike("^[A-Za-z]{2}") & F.col("c").rlike("^[A-Za-z]{2}") & (F.substring(x, -1,
+        1) == F.substring(y, 1, 1))
     pairs = pairs.filter(fits).select("doc_id", "id", x.alias("x"), y.alias("y"), F.concat(x, F.substring(y, F.lit(2), F.length(y))).alias("whole"))
     for word, count in (("whole", "cw"), ("x", "cx"), ("y", "cy")):
         pairs = pairs.join(vocabulary.select("doc_id", F.col("w").alias(word), F.col("c").alias(count)), ["doc_id", word])
@@ -44,29 +46,40 @@ def inspect(sections: DataFrame, sentences: DataFrame, figures: DataFrame, gaps:
     rows = sentences.join(kind, ["doc_id", "section"])
     body, size = F.col("kind") == "body", F.length("text")
     per = rows.groupBy("doc_id", "section", "kind").agg(
-        F.count("*").alias("size"), F.count_if(F.col("text").rlike(PRIVATE)).alias("pua"), F.count_if(F.col("text").rlike(GARBLED)).alias("garbled"), F.sum(F.size(F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0)))).alias("refs"),
-        F.count_if(size > 450).alias("long"), F.count_if(size < 15).alias("short"), F.sum(F.size(F.regexp_extract_all("text", F.lit("[A-Za-z]{25,}"), F.lit(0)))).alias("glued"),
+        F.count("*").alias("size"), F.count_if(F.col("text").rlike(PRIVATE)).alias("pua"),
+            F.count_if(F.col("text").rlike(GARBLED)).alias("garbled"), F.sum(F.size(F.regexp_extract_all("text", F.lit(REFERENCE),
+             F.lit(0)))).alias("refs"),
+        F.count_if(size > 450).alias("long"), F.count_if(size < 15).alias("short"), F.sum(F.size(F.regexp_extract_all("text",
+            F.lit("[A-Za-z]{25,}"), F.lit(0)))).alias("glued"),
     )
     every = kind.join(per.drop("kind"), ["doc_id", "section"], "left").fillna(0, ["size", "pua", "garbled", "refs", "long", "short", "glued"])
     of = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0))
     front = F.col("kind") == "front"
     paper = every.groupBy("doc_id").agg(
-        F.count_if(body).alias("sections"), of("size", body).alias("sentences"), F.sum("pua").alias("pua"), F.sum("garbled").alias("garbled"), of("refs", front).alias("refs"), of("size", front).alias("abstract"),
-        of("long", body).alias("long"), of("short", body).alias("short"), of("glued", body).alias("glued"), F.min(F.when(body, F.col("section"))).alias("first_body"),
+        F.count_if(body).alias("sections"), of("size", body).alias("sentences"), F.sum("pua").alias("pua"),
+            F.sum("garbled").alias("garbled"), of("refs", front).alias("refs"), of("size", front).alias("abstract"),
+        of("long", body).alias("long"), of("short", body).alias("short"), of("glued", body).alias("glued"), F.min(F.when(body,
+            F.col("section"))).alias("first_body"),
     )
-    many = doubles.join(kind.filter(body), ["doc_id", "section"], "left_semi").filter("not heading").groupBy("doc_id").agg(F.countDistinct("id").alias("doubled"))
+    many = doubles.join(kind.filter(body), ["doc_id", "section"],
+        "left_semi").filter("not heading").groupBy("doc_id").agg(F.countDistinct("id").alias("doubled"))
     paper = paper.join(many, "doc_id", "left").fillna(0, ["doubled"])
     rules = [
-        ("few_sections", "major", "sections <= 3 and sentences >= 120", "sentences"), ("doubled_text", "major", "sentences > 0 and doubled / sentences > 0.05", "doubled"), ("pua", "major", "pua > 0", "pua"),
-        ("garbled", "major", "garbled >= 3", "garbled"), ("garbled", "minor", "garbled between 1 and 2", "garbled"), ("abstract_refs", "major", "refs >= 4", "refs"),
-        ("no_abstract", "minor", "abstract = 0", "abstract"), ("abstract_long", "major", "abstract > 20", "abstract"), ("long_sentences", "minor", "long >= 3", "long"),
+        ("few_sections", "major", "sections <= 3 and sentences >= 120", "sentences"), ("doubled_text", "major",
+             "sentences > 0 and doubled / sentences > 0.05", "doubled"), ("pua", "major", "pua > 0", "pua"),
+        ("garbled", "major", "garbled >= 3", "garbled"), ("garbled", "minor", "garbled between 1 and 2", "garbled"),
+            ("abstract_refs", "major", "refs >= 4", "refs"),
+        ("no_abstract", "minor", "abstract = 0", "abstract"), ("abstract_long", "major", "abstract > 20", "abstract"),
+            ("long_sentences", "minor", "long >= 3", "long"),
         ("short_sentences", "minor", "short >= 5", "short"), ("glued", "minor", "glued > 0", "glued"),
     ]
-    each = F.array(*[F.when(F.expr(test), F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), F.lit(None).cast("long").alias("section"), F.col(n).cast("long").alias("n"))) for code, level, test, n in rules])
+    each = F.array(*[F.when(F.expr(test), F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"),
+        F.lit(None).cast("long").alias("section"), F.col(n).cast("long").alias("n"))) for code, level, test, n in rules])
     out = [paper.select("doc_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("i")).select("doc_id", "i.*")]
 
     def add(df: DataFrame, level: str, code: str, section, n) -> None:
-        out.append(df.select("doc_id", F.lit(level).alias("level"), F.lit(code).alias("code"), section.cast("long").alias("section"), n.cast("long").alias("n")))
+        out.append(df.select("doc_id", F.lit(level).alias("level"), F.lit(code).alias("code"),
+            section.cast("long").alias("section"), n.cast("long").alias("n")))
 
     abstracts = sections.filter(F.lower("title").rlike(r"^abstract\b")).join(paper.select("doc_id", "first_body"), "doc_id")
     add(abstracts.filter(F.col("n") > F.col("first_body")), "major", "abstract_order", F.col("n"), F.lit(1))
@@ -101,9 +114,11 @@ def sentence_warnings(sentences: DataFrame) -> DataFrame:
     first = F.substring(t, 1, 1)
     named = F.regexp_extract(t, r"^(\p{L}+\.?)\s*(\d+)(.?)", 1), F.regexp_extract(t, r"^(\p{L}+\.?)\s*(\d+)(.?)", 3)
     said = F.split(s, r"\s+")
-    et_al = lambda w: F.exists(F.sequence(F.lit(0), F.size(w)), lambda i: (F.get(w, i) == "et") & F.get(w, i + 1).isin("al.", "al.,") & F.get(w, i + 2).rlike("^[0-9]{4}"))
+    et_al = lambda w: F.exists(F.sequence(F.lit(0), F.size(w)), lambda i: (F.get(w, i) == "et") & F.get(w, i + 1).isin("al.",
+         "al.,") & F.get(w, i + 2).rlike("^[0-9]{4}"))
     rules = {
-        "glued": F.exists(F.split(t, "[^A-Za-z]+"), lambda w: F.length(w) >= GLUED), "short": F.length(t) < SHORT, "starts_small": (F.lower(first) == first) & (F.upper(first) != first),
+        "glued": F.exists(F.split(t, "[^A-Za-z]+"), lambda w: F.length(w) >= GLUED), "short": F.length(t) < SHORT,
+            "starts_small": (F.lower(first) == first) & (F.upper(first) != first),
         "garbled": reduce(lambda x, y: x | y, [F.contains(s, F.lit(c)) for c in BROKEN]),
         "citation_left": F.exists(text.pieces(s, text.BRACKETS), text.is_numbers) | text.let(said, et_al),
         "caption": F.coalesce(named[0].isin(CAPTIONS) & named[1].isin(".", ":", "|"), F.lit(False)),
@@ -117,12 +132,18 @@ def quiz_issues(questions: DataFrame, titles: DataFrame, texts: DataFrame) -> Da
     paper's titles (doc_id, title) and texts (doc_id, text)."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     four = (F.size("choices") == 4) & F.forall("choices", lambda c: ~blank(c))
-    rules = [("question", "error", blank(F.col("q"))), ("choices", "error", ~F.coalesce(four, F.lit(False))), ("answer", "error", ~F.coalesce(F.col("answer").between(0, 3), F.lit(False))), ("explain", "warning", blank(F.col("explain"))), ("evidence", "warning", F.coalesce(F.size("evidence"), F.lit(0)) <= 0)]
-    found = F.filter(F.array(*[F.when(test, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"))) for code, level, test in rules]), lambda x: x.isNotNull())
+    rules = [("question", "error", blank(F.col("q"))), ("choices", "error", ~F.coalesce(four, F.lit(False))), ("answer", "error",
+         ~F.coalesce(F.col("answer").between(0, 3), F.lit(False))), ("explain", "warning", blank(F.col("explain"))), ("evidence",
+         "warning", F.coalesce(F.size("evidence"), F.lit(0)) <= 0)]
+    found = F.filter(F.array(*[F.when(test, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"))) for code, level,
+         test in rules]), lambda x: x.isNotNull())
     out = questions.select("doc_id", "question", F.explode(found).alias("i")).select("doc_id", "question", "i.*")
-    strangers = questions.join(titles.select("doc_id", F.col("title").alias("chapter")), ["doc_id", "chapter"], "left_anti").select("doc_id", "question", F.lit("error"), F.lit("chapter"))
-    quoted = questions.select("doc_id", "question", F.explode("evidence").alias("text")).join(texts.select("doc_id", "text"), ["doc_id", "text"], "left_anti").select("doc_id", "question", F.lit("warning"), F.lit("evidence_unknown")).distinct()
-    c = questions.filter("answer between 0 and 3").groupBy("doc_id", "answer").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.sum("c").alias("all"), F.max("c").alias("most"))
+    strangers = questions.join(titles.select("doc_id", F.col("title").alias("chapter")), ["doc_id", "chapter"],
+        "left_anti").select("doc_id", "question", F.lit("error"), F.lit("chapter"))
+    quoted = questions.select("doc_id", "question", F.explode("evidence").alias("text")).join(texts.select("doc_id", "text"),
+        ["doc_id", "text"], "left_anti").select("doc_id", "question", F.lit("warning"), F.lit("evidence_unknown")).distinct()
+    c = questions.filter("answer between 0 and 3").groupBy("doc_id",
+        "answer").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.sum("c").alias("all"), F.max("c").alias("most"))
     skewed = c.filter("all >= 6 and most > 0.6 * all").select("doc_id", F.lit(None).cast("int"), F.lit("warning"), F.lit("skewed"))
     return out.union(strangers).union(quoted).union(skewed)
 
@@ -133,7 +154,8 @@ def speech_risks(spoken: DataFrame, known: list[str]) -> DataFrame:
     word = F.regexp_extract_all("spoken", F.lit("[A-Za-z0-9_À-ÿ]+"), F.lit(0))
     mixed = F.filter(word, lambda x: x.rlike("^[A-Za-z0-9]+$") & x.rlike("[0-9]") & x.rlike("[A-Za-z]") & ~x.rlike("^[0-9]+s$"))
     acronym = F.filter(word, lambda x: x.rlike("^[A-Z][A-Z0-9]{1,6}s?$") & ~x.isin(known))
-    kinds = {"equation": F.regexp_extract_all("spoken", F.lit(r"\(equation\)"), F.lit(0)), "symbol": F.regexp_extract_all("spoken", F.lit(SYMBOLS), F.lit(0)), "mixed": mixed, "acronym": acronym}
+    kinds = {"equation": F.regexp_extract_all("spoken", F.lit(r"\(equation\)"), F.lit(0)),
+        "symbol": F.regexp_extract_all("spoken", F.lit(SYMBOLS), F.lit(0)), "mixed": mixed, "acronym": acronym}
 
     def named(kind: str):
         return lambda x: F.struct(F.lit(kind).alias("risk"), x.alias("example"))
@@ -157,6 +179,8 @@ def first_missing(missing: DataFrame, most: int = 10) -> DataFrame:
 def set_scores(truth: DataFrame, found: DataFrame, by: str) -> DataFrame:
     """Precision, recall and F1 to three places of sets of (by, key)."""
     t, f = truth.select(by, "key").distinct().withColumn("t", F.lit(1)), found.select(by, "key").distinct().withColumn("f", F.lit(1))
-    both = t.join(f, [by, "key"], "full").groupBy(by).agg(F.sum("t").alias("nt"), F.sum("f").alias("nf"), F.count_if(F.col("t").isNotNull() & F.col("f").isNotNull()).alias("hits"))
+    both = t.join(f, [by, "key"], "full").groupBy(by).agg(F.sum("t").alias("nt"), F.sum("f").alias("nf"),
+        F.count_if(F.col("t").isNotNull() & F.col("f").isNotNull()).alias("hits"))
     p, r = F.col("hits") / F.greatest(F.coalesce("nf", F.lit(0)), F.lit(1)), F.col("hits") / F.greatest(F.coalesce("nt", F.lit(0)), F.lit(1))
-    return both.select(by, "hits", F.round(p, 3).alias("precision"), F.round(r, 3).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 3).alias("f1"))
+    return both.select(by, "hits", F.round(p, 3).alias("precision"), F.round(r, 3).alias("recall"), F.round(F.when(p + r > 0,
+        2 * p * r / (p + r)).otherwise(0.0), 3).alias("f1"))

@@ -19,7 +19,8 @@ def marks_in_order(marks: DataFrame, sections: DataFrame, sentences: DataFrame,
     that place, else the one that was kept with the mark. translations are (doc_id, section, k, translated)."""
     first = first_places(sentences).select("doc_id", "text", F.col("section").alias("at_section"), F.col("k").alias("at_k"))
     named = first.join(sections.select("doc_id", F.col("n").alias("at_section"), "title"), ["doc_id", "at_section"], "left")
-    spoken = named.join(translations.select("doc_id", F.col("section").alias("at_section"), F.col("k").alias("at_k"), "translated"), ["doc_id", "at_section", "at_k"], "left")
+    spoken = named.join(translations.select("doc_id", F.col("section").alias("at_section"), F.col("k").alias("at_k"),
+        "translated"), ["doc_id", "at_section", "at_k"], "left")
     where = spoken.select(F.col("doc_id").alias("paper_id"), F.col("text").alias("sentence"), "at_section", "at_k", "title", "translated")
     rows = marks.join(where, ["paper_id", "sentence"], "left")
     w = Window.partitionBy("paper_id").orderBy(F.coalesce("at_section", F.lit(GONE)), F.coalesce("at_k", F.lit(GONE)), "created_at", "uid")
@@ -33,7 +34,8 @@ def spoken_items(sections: DataFrame, sentences: DataFrame, skip_back: bool = Fa
     """(doc_id, section, k, item_id, said): what is read of a paper, each section's heading (k 0, id s<n>_h) and its sentences
     that have anything to say (k from 1, id s<n>_<k>); without back matter if asked."""
     kept = sections.filter(F.coalesce(F.col("kind") != "back", F.lit(True))) if skip_back else sections
-    heads = kept.select("doc_id", F.col("n").alias("section"), F.lit(0).cast("long").alias("k"), text.heading_speech(F.col("number"), F.col("title")).alias("said"))
+    heads = kept.select("doc_id", F.col("n").alias("section"), F.lit(0).cast("long").alias("k"),
+        text.heading_speech(F.col("number"), F.col("title")).alias("said"))
     said = sentences.join(kept.select("doc_id", F.col("n").alias("section")), ["doc_id", "section"], "left_semi")
     rows = said.select("doc_id", "section", F.col("k").cast("long").alias("k"), F.col("spoken").alias("said")).filter("said <> ''").unionByName(heads)
     part = F.when(F.col("k") == 0, "h").otherwise(F.col("k").cast("string"))
@@ -69,11 +71,14 @@ def quiz_view(questions: DataFrame, sections: DataFrame, sentences: DataFrame) -
     their papers that have it; chapters without a question don't show. An id is s<n>_<k> of a text's first place."""
     asked = questions.filter(F.col("q").isNotNull())
     count = asked.groupBy("doc_id", "chapter").agg(F.count("*").alias("questions"))
-    quoted = asked.select("doc_id", "chapter", "question", F.posexplode("evidence").alias("pos", "text")).join(first_places(sentences), ["doc_id", "text"])
+    quoted = asked.select("doc_id", "chapter", "question", F.posexplode("evidence").alias("pos",
+        "text")).join(first_places(sentences), ["doc_id", "text"])
     sid = F.concat(F.lit("s"), F.col("section").cast("string"), F.lit("_"), F.col("k").cast("string"))
     ids = quoted.groupBy("doc_id", "chapter").agg(F.array_sort(F.collect_list(F.struct("question", "pos", sid.alias("id")))).alias("x"))
-    rows = sections.select("doc_id", F.col("n").alias("section"), F.col("title").alias("chapter")).join(count, ["doc_id", "chapter"]).join(ids, ["doc_id", "chapter"], "left")
-    return rows.select("doc_id", "section", "questions", F.coalesce(F.transform("x", lambda i: i["id"]), F.array().cast("array<string>")).alias("evidence"))
+    rows = sections.select("doc_id", F.col("n").alias("section"), F.col("title").alias("chapter")).join(count, ["doc_id",
+         "chapter"]).join(ids, ["doc_id", "chapter"], "left")
+    return rows.select("doc_id", "section", "questions", F.coalesce(F.transform("x", lambda i: i["id"]),
+        F.array().cast("array<string>")).alias("evidence"))
 
 
 def quiz_counts(questions: DataFrame) -> DataFrame:
@@ -103,10 +108,13 @@ def loaded(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     what can't be mended: json, sections, title, kind, sentences, t; `at` is the section, or section.sentence. Papers with
     an error give no rows.
     """
-    parsed = raw.select("doc_id", F.from_json("json", PAPER).alias("x"), F.from_json("json", "sections string").alias("y"), F.try_parse_json("json").isNull().alias("broken"))
+    parsed = raw.select("doc_id", F.from_json("json", PAPER).alias("x"), F.from_json("json", "sections string").alias("y"),
+        F.try_parse_json("json").isNull().alias("broken"))
     listed = F.coalesce(F.ltrim(F.col("y.sections")).startswith("["), F.lit(False))
-    top = parsed.filter(F.col("broken") | ~listed).select("doc_id", F.lit("").alias("at"), F.when(F.col("broken"), "json").otherwise("sections").alias("code"))
-    s = parsed.filter(~F.col("broken") & listed).select("doc_id", F.posexplode("x.sections").alias("i", "s")).select("doc_id", F.col("i").cast("long").alias("i"), "s.*")
+    top = parsed.filter(F.col("broken") | ~listed).select("doc_id", F.lit("").alias("at"), F.when(F.col("broken"),
+        "json").otherwise("sections").alias("code"))
+    s = parsed.filter(~F.col("broken") & listed).select("doc_id", F.posexplode("x.sections").alias("i", "s")).select("doc_id",
+        F.col("i").cast("long").alias("i"), "s.*")
     untitled, unlisted = F.trim(F.coalesce("title", F.lit(""))) == "", ~F.coalesce(F.ltrim("sentences").startswith("["), F.lit(False))
     odd = ~F.coalesce(F.col("kind").isin(KINDS), F.lit(False))
     found = F.array(F.when(untitled, "title"), F.when(~untitled & odd, "kind"), F.when(~untitled & unlisted, "sentences"))
@@ -114,15 +122,20 @@ def loaded(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     each = s.filter(~untitled & ~unlisted).select("doc_id", "i", F.posexplode(F.from_json("sentences", "array<string>")).alias("k", "j"))
     plain = ~F.coalesce(F.ltrim("j").startswith("{"), F.lit(False))
     each = each.withColumn("o", F.from_json("j", SENTENCE)).withColumn("text", F.when(plain, F.col("j")).otherwise(F.col("o.t")))
-    mute = each.filter(F.col("text").isNull()).select("doc_id", F.concat_ws(".", F.col("i").cast("string"), F.col("k").cast("string")).alias("at"), F.lit("t").alias("code"))
+    mute = each.filter(F.col("text").isNull()).select("doc_id", F.concat_ws(".", F.col("i").cast("string"),
+        F.col("k").cast("string")).alias("at"), F.lit("t").alias("code"))
     errors = top.union(flawed).union(mute)
     bad = errors.select("doc_id").distinct()
     number = F.coalesce("number", F.regexp_extract("title", r"^(\d+(?:\.\d+)*)\.?\s", 1))
-    level = F.coalesce(F.when(F.col("level").try_cast("int") >= 1, F.col("level").try_cast("int")), F.when(number != "", F.size(F.split(number, r"\."))).otherwise(1))
+    level = F.coalesce(F.when(F.col("level").try_cast("int") >= 1, F.col("level").try_cast("int")), F.when(number != "",
+        F.size(F.split(number, r"\."))).otherwise(1))
     bare = F.when(number != "", F.regexp_replace("title", r"^\d+(?:\.\d+)*\.?\s+", "")).otherwise(F.col("title"))
-    sections = s.join(bad, "doc_id", "left_anti").select("doc_id", (F.col("i") + 1).alias("n"), "title", number.alias("number"), level.alias("level"), "kind", F.coalesce(F.col("page").try_cast("int"), F.lit(1)).alias("page"), text.heading_speech(number, bare).alias("speech_title"))
+    sections = s.join(bad, "doc_id", "left_anti").select("doc_id", (F.col("i") + 1).alias("n"), "title", number.alias("number"),
+         level.alias("level"), "kind", F.coalesce(F.col("page").try_cast("int"), F.lit(1)).alias("page"),
+        text.heading_speech(number, bare).alias("speech_title"))
     spoken = F.coalesce(F.when(~plain, F.col("o.s")), text.speech(F.col("text")))
-    sentences = each.join(bad, "doc_id", "left_anti").select("doc_id", (F.col("i") + 1).alias("section"), (F.col("k") + 1).cast("long").alias("k"), "text", spoken.alias("spoken"))
+    sentences = each.join(bad, "doc_id", "left_anti").select("doc_id", (F.col("i") + 1).alias("section"),
+        (F.col("k") + 1).cast("long").alias("k"), "text", spoken.alias("spoken"))
     return sections, sentences, errors
 
 
@@ -133,8 +146,10 @@ def figure_issues(items: DataFrame, files: DataFrame) -> DataFrame:
     there = items.join(files.select("doc_id", "file", F.lit(True).alias("there")).distinct(), ["doc_id", "file"], "left").withColumn("named", named)
     fine, kind = F.col("named") & F.coalesce("there", F.lit(False)), F.col("kind")
     rules = [
-        ("error", "file", ~F.col("named")), ("error", "missing", F.col("named") & ~F.coalesce("there", F.lit(False))), ("error", "kind", fine & ~F.coalesce(kind.isin(FIGURE_KINDS), F.lit(False))),
-        ("warning", "label", fine & kind.isin("figure", "table", "equation") & (F.coalesce("label", F.lit("")) == "")), ("warning", "image", fine & (kind == "image")),
+        ("error", "file", ~F.col("named")), ("error", "missing", F.col("named") & ~F.coalesce("there", F.lit(False))), ("error",
+             "kind", fine & ~F.coalesce(kind.isin(FIGURE_KINDS), F.lit(False))),
+        ("warning", "label", fine & kind.isin("figure", "table", "equation") & (F.coalesce("label", F.lit("")) == "")),
+            ("warning", "image", fine & (kind == "image")),
     ]
     found = F.array(*[F.when(test, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"))) for level, code, test in rules])
     return there.select("doc_id", "item", F.explode(F.array_compact(found)).alias("i")).select("doc_id", "item", "i.level", "i.code")
@@ -164,5 +179,7 @@ def figure_recall(truth: DataFrame, found: DataFrame) -> DataFrame:
     t = truth.filter("key is not null").select("doc_id", "key").distinct().withColumn("t", F.lit(1))
     f = found.groupBy("doc_id", "key").agg(F.count("*").alias("f"))
     hit = F.col("t").isNotNull() & F.col("f").isNotNull()
-    both = t.join(f, ["doc_id", "key"], "full").groupBy("doc_id").agg(F.count("t").alias("truth"), F.coalesce(F.sum("f"), F.lit(0)).alias("auto"), F.count_if(hit).alias("hits"), F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("f"))), F.lit(0)).alias("unlabeled"))
+    both = t.join(f, ["doc_id", "key"], "full").groupBy("doc_id").agg(F.count("t").alias("truth"), F.coalesce(F.sum("f"),
+        F.lit(0)).alias("auto"), F.count_if(hit).alias("hits"), F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("f"))),
+        F.lit(0)).alias("unlabeled"))
     return both.select("doc_id", "truth", "auto", F.round(F.col("hits") / F.greatest("truth", F.lit(1)), 3).alias("recall"), "unlabeled")

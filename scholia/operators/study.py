@@ -13,8 +13,10 @@ PHASES = ["New", "Learning", "Review", "Relearning"]
 LAST, NEEDED, LEVELS = 20, 10, 5
 #: Words that no blank is made of.
 COMMON = (
-    "a an the of to in on at by for from with and or but as is are was were be been being it its this that these those we our they their he his she her which who whom "
-    "whose what when where how than then so such not no can could may might will would shall should must do does did has have had into onto over under about also there "
+    "a an the of to in on at by for from with and or but as is are was were be been being it its this that "
+         "these those we our they their he his she her which who whom "
+    "whose what when where how than then so such not no can could may might will would shall should must do "
+         "does did has have had into onto over under about also there "
     "here if while both each"
 ).split()
 
@@ -63,7 +65,8 @@ def word_list(words: DataFrame, lookups: DataFrame, most: int = 500) -> DataFram
     """The words (headword, last_seen, ...) that were seen last, newest first (then by headword), at most so many, each with the
     sentence of its newest lookup, which may be null. Only what is listed is joined with the lookups."""
     listed = words.orderBy(F.desc("last_seen"), "headword").limit(most)
-    newest = lookups.join(listed.select("headword"), "headword", "left_semi").groupBy("headword").agg(F.max_by("sentence", F.struct("looked_at", "uid")).alias("example"))
+    newest = lookups.join(listed.select("headword"), "headword", "left_semi").groupBy("headword").agg(F.max_by("sentence",
+        F.struct("looked_at", "uid")).alias("example"))
     return listed.join(newest, "headword", "left").orderBy(F.desc("last_seen"), "headword")
 
 
@@ -78,7 +81,8 @@ def next_card(words: DataFrame, reviews: DataFrame, now: int, quota: int = srs.N
     cards = words.select("headword", "first_seen").join(states, "headword", "left")
     due, new = cards.filter(F.col("x.due") <= now), cards.filter(F.col("x").isNull()).join(F.broadcast(used.filter(F.col("used") < quota)))
     order = lambda rank, by: F.struct(F.lit(rank).alias("rank"), by.alias("by"), F.col("headword"))
-    both = due.select("headword", "x", "n", order(0, F.col("x.due")).alias("o")).union(new.select("headword", "x", "n", order(1, times.seconds(F.col("first_seen"))).alias("o")))
+    both = due.select("headword", "x", "n", order(0, F.col("x.due")).alias("o")).union(new.select("headword", "x", "n", order(1,
+         times.seconds(F.col("first_seen"))).alias("o")))
     first = both.orderBy("o").limit(1).withColumn("x", F.coalesce("x", F.expr(srs.state_sql(*srs.NEW, True))))
     names = F.array(*[F.lit(x) for x in PHASES])
     waits = [F.expr(sql).alias(name) for sql, name in zip(srs.preview_sql("x", f"{now}L", True), ("again", "hard", "good", "easy"), strict=True)]

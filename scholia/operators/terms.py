@@ -17,7 +17,8 @@ def word_counts(tokens: DataFrame) -> DataFrame:
     """(doc_id, word, n, lower_n, first_pos) of tokens (doc_id, pos, token), without acronyms; words in lower case."""
     plain = tokens.filter(~F.regexp_replace("token", "s$", "").rlike(ACRONYM))
     lower = F.lower("token")
-    return plain.groupBy("doc_id", lower.alias("word")).agg(F.count("*").alias("n"), F.count_if(F.substring("token", 1, 1) == F.substring(lower, 1, 1)).alias("lower_n"), F.min("pos").alias("first_pos"))
+    return plain.groupBy("doc_id", lower.alias("word")).agg(F.count("*").alias("n"), F.count_if(F.substring("token", 1,
+        1) == F.substring(lower, 1, 1)).alias("lower_n"), F.min("pos").alias("first_pos"))
 
 
 def singulars(counts: DataFrame) -> DataFrame:
@@ -25,8 +26,10 @@ def singulars(counts: DataFrame) -> DataFrame:
     looked up, by an equi-join on the document and the form."""
     w = F.col("word")
     cut = lambda k, put="": F.concat(F.substring(w, F.lit(1), F.length(w) - k), F.lit(put))
-    forms = F.array(F.when(w.endswith("ies"), cut(3, "y")), F.when(w.endswith("es") & F.substring(w, -3, 1).isin("s", "x", "z"), cut(2)), F.when(~w.endswith("ss"), cut(1)))
-    asked = counts.filter(w.endswith("s")).select("doc_id", "word", F.posexplode(forms)).filter("col is not null").select("doc_id", "word", "pos", F.col("col").alias("form"))
+    forms = F.array(F.when(w.endswith("ies"), cut(3, "y")), F.when(w.endswith("es") & F.substring(w, -3, 1).isin("s", "x", "z"),
+         cut(2)), F.when(~w.endswith("ss"), cut(1)))
+    asked = counts.filter(w.endswith("s")).select("doc_id", "word",
+        F.posexplode(forms)).filter("col is not null").select("doc_id", "word", "pos", F.col("col").alias("form"))
     known = counts.select("doc_id", F.col("word").alias("form"))
     return asked.join(known, ["doc_id", "form"]).groupBy("doc_id", "word").agg(F.min_by("form", "pos").alias("one"))
 
@@ -47,7 +50,8 @@ def found_surely(words: DataFrame, dictionary: DataFrame) -> DataFrame:
 def technical_words(counts: DataFrame, dictionary: DataFrame, stop: list[str] = STOP) -> DataFrame:
     """Of `word_counts`, words of each document that are no stop words, stand somewhere in lower case, and that the dictionary lacks or knows
     by a derivation or part only: seen three times up to five letters, else twice."""
-    kept = folded_words(counts).filter((F.length("word") >= 4) & (F.col("n") >= F.when(F.length("word") <= 5, 3).otherwise(2)) & (F.col("lower_n") > 0) & ~F.col("word").isin(stop))
+    kept = folded_words(counts).filter((F.length("word") >= 4) & (F.col("n") >= F.when(F.length("word") <= 5, 3).otherwise(2))
+        & (F.col("lower_n") > 0) & ~F.col("word").isin(stop))
     return kept.join(found_surely(kept, dictionary), "word", "left_anti").select("doc_id", "word", "n", "first_pos")
 
 
@@ -62,7 +66,8 @@ def glossary_words(tokens: DataFrame, dictionary: DataFrame, top: int = TOP_WORD
 def acronyms(tokens: DataFrame, top: int = TOP_ACRONYMS) -> DataFrame:
     """(doc_id, acronym, n): two to seven capitals and digits, a plural s folded, seen twice."""
     bare = F.when(F.col("token").rlike("^[A-Z][A-Z0-9]{1,6}s$"), F.regexp_replace("token", "s$", "")).otherwise(F.col("token"))
-    counts = tokens.select("doc_id", "pos", bare.alias("acronym")).filter(F.col("acronym").rlike(ACRONYM)).groupBy("doc_id", "acronym").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).filter("n >= 2")
+    counts = tokens.select("doc_id", "pos", bare.alias("acronym")).filter(F.col("acronym").rlike(ACRONYM)).groupBy("doc_id",
+         "acronym").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos")).filter("n >= 2")
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first_pos", "acronym"))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= top).select("doc_id", "acronym", "n")
 
@@ -73,7 +78,8 @@ def phrases(papers: DataFrame, token: str, tokens: DataFrame, dictionary: DataFr
     of the same count goes. N-grams are made from a document's own array of tokens: no window over its words."""
     words = papers.select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(token), 0), F.lower).alias("w"))
     known = stored(word_counts(tokens))
-    triples = words.select("doc_id", F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"), F.slice("w", 3, F.greatest(F.size("w"), F.lit(1))).alias("c")).alias("z"))
+    triples = words.select("doc_id", F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"),
+        F.lit(1))).alias("b"), F.slice("w", 3, F.greatest(F.size("w"), F.lit(1))).alias("c")).alias("z"))
     triples = triples.select("doc_id", F.explode("z").alias("z")).select("doc_id", "z.*").toDF("doc_id", "a", "b", "c")
 
     def good(name: str):
@@ -87,7 +93,8 @@ def phrases(papers: DataFrame, token: str, tokens: DataFrame, dictionary: DataFr
     named = named.withColumn("phrase", F.array_join(F.concat(F.slice("g", 1, F.size("g") - 1), F.array(F.coalesce("one", "last"))), " "))
     counts = stored(named.groupBy("doc_id", "phrase").agg(F.sum("n").alias("n")).filter("n >= 3"))
     technical = technical_words(known, dictionary).select("doc_id", "word")
-    rare = counts.filter("n = 3").select("doc_id", "phrase", F.explode(F.split("phrase", " ")).alias("word")).join(technical, ["doc_id", "word"], "left_semi").select("doc_id", "phrase", F.lit(True).alias("has")).distinct()
+    rare = counts.filter("n = 3").select("doc_id", "phrase", F.explode(F.split("phrase", " ")).alias("word")).join(technical,
+        ["doc_id", "word"], "left_semi").select("doc_id", "phrase", F.lit(True).alias("has")).distinct()
     kept = counts.join(rare, ["doc_id", "phrase"], "left").filter("n >= 4 or has")
     triple = F.size(F.split("phrase", " ")) == 3
     three = counts.filter(triple).select(F.col("doc_id").alias("d"), F.col("phrase").alias("longer"), F.col("n").alias("m"))
@@ -104,7 +111,8 @@ def ranked_lookup(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     w = words.select("word", normalise(F.col("word")).alias("key")).filter(F.col("key").rlike("^[a-z][a-z'-]*$"))
 
     def ranked(forms, start: int, match) -> DataFrame:
-        return w.select("word", F.posexplode(forms)).select("word", (F.col("pos") + start).alias("rank"), F.col("col").alias("form"), match.alias("match"))
+        return w.select("word", F.posexplode(forms)).select("word", (F.col("pos") + start).alias("rank"),
+            F.col("col").alias("form"), match.alias("match"))
 
     key = F.col("key")
     forms = ranked(inflected(key), 0, F.when(F.col("pos") == 0, "exact").otherwise("base")).union(ranked(derived(key), 100, F.lit("near")))
@@ -134,7 +142,8 @@ def first_places_of(terms: DataFrame, texts: DataFrame, token: str) -> DataFrame
     in the singular or plural."""
     key = lambda c: term_key(F.lower(c))
     asked = terms.select("doc_id", "word", key(F.col("word")).alias("key"))
-    found = texts.select("doc_id", "section", "k", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(token), F.lit(0)), key))).alias("key"))
+    found = texts.select("doc_id", "section", "k", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text",
+        F.lit(token), F.lit(0)), key))).alias("key"))
     first = found.join(asked, ["doc_id", "key"]).groupBy("doc_id", "word").agg(F.min(F.struct("section", "k")).alias("at"))
     return first.select("doc_id", "word", "at.section", "at.k")
 
@@ -151,7 +160,8 @@ def with_glossary(asked: DataFrame, found: DataFrame, index: DataFrame) -> DataF
     term, weak = F.coalesce("own", "most"), F.coalesce(F.col("match").isin("near", "part"), F.lit(True))
     use = weak & term.isNotNull()
     rows = rows.filter(use | F.col("headword").isNotNull())
-    return rows.select("doc_id", "word", F.when(use, term).otherwise(F.col("headword")).alias("headword"), F.when(use, "term").otherwise(F.col("match")).alias("match"), F.when(use, F.col("headword")).alias("also"))
+    return rows.select("doc_id", "word", F.when(use, term).otherwise(F.col("headword")).alias("headword"), F.when(use,
+        "term").otherwise(F.col("match")).alias("match"), F.when(use, F.col("headword")).alias("also"))
 
 
 def translated_terms(terms: DataFrame, translations: DataFrame) -> DataFrame:

@@ -65,24 +65,30 @@ def _progress_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     review = F.struct(s("event_id").alias("uid"), s("user_id").alias("headword"), rating.alias("rating"), s("ts").alias("reviewed_at"))
     docs = a.table(spark, d, "events").filter("user_id is not null").groupBy(device.alias("device")).agg(F.collect_list(review).alias("reviews"))
     n = F.col("device")
-    whole = F.to_json(F.struct(F.when(n == 2, "other").otherwise("progress").alias("kind"), F.when(n == 3, 2).otherwise(1).alias("version"), F.concat(F.lit("d"), n.cast("string")).alias("device"), "reviews"))
+    whole = F.to_json(F.struct(F.when(n == 2, "other").otherwise("progress").alias("kind"), F.when(n == 3,
+        2).otherwise(1).alias("version"), F.concat(F.lit("d"), n.cast("string")).alias("device"), "reviews"))
     text = F.when(n == 5, F.substring(whole, F.lit(1), F.length(whole) - 3)).otherwise(whole)
     docs.select(n.alias("part"), text.alias("value")).write.partitionBy("part").text(path := _folder(spark, "progress"))
     return files.read_progress(spark, path)
 
 
-@query(v.sql(_PROGRESS, query="SELECT ['kind', 'version', 'reviews', 'json'][device - 1] AS reason, count(*) AS n FROM devices WHERE device > 1 GROUP BY 1"))
+@query(v.sql(_PROGRESS,
+    query="SELECT ['kind', 'version', 'reviews', 'json'][device - 1] AS reason, count(*) AS n FROM devices WHERE device "
+     "> 1 GROUP BY 1"))
 def progress_rejected(spark: SparkSession, d: str) -> DataFrame:
     return _progress_files(spark, d)[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'd' || event_id % 6 AS device, event_id::VARCHAR AS uid, user_id::VARCHAR AS headword, 3 AS rating FROM events WHERE event_id % 6 < 2 AND user_id IS NOT NULL")
+@query("SELECT 'd' || event_id % 6 AS device, event_id::VARCHAR AS uid, user_id::VARCHAR AS headword, 3 AS rating "
+     "FROM events WHERE event_id % 6 < 2 AND user_id IS NOT NULL")
 def progress_accepted(spark: SparkSession, d: str) -> DataFrame:
     rows = _progress_files(spark, d)[0].select("device", F.explode("reviews").alias("r"))
     return rows.select("device", "r.uid", "r.headword", "r.rating")
 
 
-@query(v.sql(LOOKUPS, v.REVIEWS, query="SELECT 'lookups' AS name, count(*) AS n FROM lookups WHERE uid % 100 = 0 UNION ALL SELECT 'reviews', count(*) FROM reviews WHERE uid % 100 < 4 AND device = 1"))
+@query(v.sql(LOOKUPS, v.REVIEWS,
+    query="SELECT 'lookups' AS name, count(*) AS n FROM lookups WHERE uid % 100 = 0 UNION ALL SELECT 'reviews', count(*) "
+     "FROM reviews WHERE uid % 100 < 4 AND device = 1"))
 def progress_written(spark: SparkSession, d: str) -> DataFrame:
     """A device's own file, written and read back: all of its lookups, and its own answers only."""
     s = lambda c: F.col(c).cast("string").alias(c)
@@ -90,12 +96,15 @@ def progress_written(spark: SparkSession, d: str) -> DataFrame:
     answers = a.reviews(spark, d).filter("uid % 100 < 4").select(s("uid"), s("headword"), "rating", s("reviewed_at"), s("device"))
     files.write_progress("1", {"lookups": seen, "reviews": answers}, "2024-02-01", path := _folder(spark, "own"))
     got = files.read_progress(spark, path)[0]
-    one = lambda name: got.select(F.explode(name).alias("x")).agg(F.lit(name).alias("name"), F.count("*").alias("n")).select("name", "n")
+    one = lambda name: got.select(F.explode(name).alias("x")).agg(F.lit(name).alias("name"),
+        F.count("*").alias("n")).select("name", "n")
     return one("lookups").union(one("reviews"))
 
 
-@query(v.sql(v.PAPERS, "had AS (SELECT doc_id, 'old ' || title AS title, 'mac' AS origin FROM papers WHERE doc_id % 2 = 0)", "came AS (SELECT doc_id, title FROM papers WHERE doc_id % 3 = 0)",
-    query="SELECT doc_id, c.title, coalesce(h.origin, 'phone') AS origin FROM came c LEFT JOIN had h USING (doc_id) UNION ALL SELECT * FROM had WHERE doc_id NOT IN (SELECT doc_id FROM came)"))
+@query(v.sql(v.PAPERS, "had AS (SELECT doc_id, 'old ' || title AS title, 'mac' AS origin FROM papers WHERE doc_id % 2 = 0)",
+     "came AS (SELECT doc_id, title FROM papers WHERE doc_id % 3 = 0)",
+    query="SELECT doc_id, c.title, coalesce(h.origin, 'phone') AS origin FROM came c LEFT JOIN had h USING (doc_id) "
+         "UNION ALL SELECT * FROM had WHERE doc_id NOT IN (SELECT doc_id FROM came)"))
 def bundle_ingested(spark: SparkSession, d: str) -> DataFrame:
     """A bundle with every third paper, written, read back and taken in beside every second one."""
     p = a.papers(spark, d).select("doc_id", "title")
@@ -104,16 +113,20 @@ def bundle_ingested(spark: SparkSession, d: str) -> DataFrame:
     return files.ingest(had, files.read_bundle(spark, path)["papers"], "doc_id", "phone")
 
 
-@query(v.sql(v.PAPERS, query="SELECT paper_id AS id, title, DATE '2024-01-01' + CAST(doc_id % 300 AS INT) AS imported_at FROM papers WHERE doc_id % 10 > 0"))
+@query(v.sql(v.PAPERS,
+    query="SELECT paper_id AS id, title, DATE '2024-01-01' + CAST(doc_id % 300 AS INT) AS imported_at FROM papers WHERE "
+     "doc_id % 10 > 0"))
 def catalog_scan(spark: SparkSession, d: str) -> DataFrame:
     """The papers' meta files, every tenth of them broken."""
     imported = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))
     rows = a.papers(spark, d).select("doc_id", F.to_json(F.struct(F.col("paper_id").alias("id"), "title", imported.alias("imported_at"))).alias("j"))
-    rows.select(F.when(F.col("doc_id") % 10 == 0, F.substring("j", 1, 20)).otherwise(F.col("j")).alias("value")).write.text(path := _folder(spark, "metas"))
+    rows.select(F.when(F.col("doc_id") % 10 == 0, F.substring("j", 1,
+        20)).otherwise(F.col("j")).alias("value")).write.text(path := _folder(spark, "metas"))
     return files.read_catalog(spark, path, "id string, title string, imported_at date")
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts) WHEN 2 THEN date_trunc('year', ts) END AS created FROM events""")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts) "
+     "WHEN 2 THEN date_trunc('year', ts) END AS created FROM events")
 def pdf_dates(spark: SparkSession, d: str) -> DataFrame:
     t = lambda f: F.concat(F.lit("D:"), F.date_format("ts", f))
     m = F.col("event_id") % 4
@@ -129,10 +142,13 @@ roots AS (SELECT m.*, l.level AS root, l.before, coalesce((SELECT min(y.n) FROM
 legal AS (SELECT r.*, CASE WHEN "by" > 0 THEN before IS NOT NULL AND root <= before AND (SELECT max(y.level) FROM sections y WHERE y.doc_id = r.doc_id AND y.n >= r.n AND y.n < r.until) < 3 ELSE root > 1 END AS ok FROM roots r)"""
 
 
-@query(v.sql(*_PAPER, _MOVES, query='SELECT s.doc_id, s.n, s.level + CASE WHEN ok AND s.n >= l.n AND s.n < l.until THEN l."by" ELSE 0 END AS level FROM sections s LEFT JOIN legal l ON l.doc_id = s.doc_id'))
+@query(v.sql(*_PAPER, _MOVES,
+    query='SELECT s.doc_id, s.n, s.level + CASE WHEN ok AND s.n >= l.n AND s.n < l.until THEN l."by" ELSE 0 END AS level '
+     'FROM sections s LEFT JOIN legal l ON l.doc_id = s.doc_id'))
 def sections_shifted(spark: SparkSession, d: str) -> DataFrame:
     sections = a.outlined(spark, d)[0].select("doc_id", "n", "level")
-    moves = sections.select("doc_id").distinct().select("doc_id", (F.col("doc_id") % 4 + 1).alias("n"), F.when(F.col("doc_id") % 3 == 0, -1).otherwise(1).alias("by"))
+    moves = sections.select("doc_id").distinct().select("doc_id", (F.col("doc_id") % 4 + 1).alias("n"),
+        F.when(F.col("doc_id") % 3 == 0, -1).otherwise(1).alias("by"))
     return _as_long(outline.shifted(sections, moves), "level")
 
 
@@ -143,7 +159,8 @@ ok AS (SELECT p.*, s.text FROM splits p JOIN sentences s ON s.doc_id = p.doc_id
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sections, sentences = a.outlined(spark, d)
     i = F.col("doc_id")
-    splits = sections.select("doc_id").distinct().select("doc_id", (i % 3 + 1).alias("section"), (i % 2 + 1).alias("at"), F.when(i % 5 > 1, F.concat(F.lit("Cut "), i.cast("string"))).otherwise("").alias("title"), (i % 4 == 0).alias("take"))
+    splits = sections.select("doc_id").distinct().select("doc_id", (i % 3 + 1).alias("section"), (i % 2 + 1).alias("at"),
+        F.when(i % 5 > 1, F.concat(F.lit("Cut "), i.cast("string"))).otherwise("").alias("title"), (i % 4 == 0).alias("take"))
     return outline.split_sections(sections, sentences, splits)
 
 
@@ -159,11 +176,15 @@ def sentences_split(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(_split(spark, d)[1], "section", "k")
 
 
-@query("""SELECT headword, array_to_string(list_transform(f, lambda x: CASE WHEN x = 'event1' THEN 'renamed' ELSE x END), ',') AS renamed, array_to_string(list_filter(f, lambda x: x <> 'event2'), ',') AS left FROM (SELECT user_id AS headword, list_sort(list_distinct(list('event' || event_id % 4))) AS f FROM events WHERE user_id IS NOT NULL GROUP BY 1)""")
+@query("SELECT headword, array_to_string(list_transform(f, lambda x: CASE WHEN x = 'event1' THEN 'renamed' ELSE x "
+     "END), ',') AS renamed, array_to_string(list_filter(f, lambda x: x <> 'event2'), ',') AS left FROM (SELECT "
+     "user_id AS headword, list_sort(list_distinct(list('event' || event_id % 4))) AS f FROM events WHERE user_id "
+     "IS NOT NULL GROUP BY 1)")
 def folder_edits(spark: SparkSession, d: str) -> DataFrame:
     """A list of folders for each user, with one renamed and one deleted."""
     e = a.table(spark, d, "events").filter("user_id is not null")
     name = F.concat(F.lit("event"), (F.col("event_id") % 4).cast("string"))
-    rows = e.groupBy(F.col("user_id").alias("headword")).agg(F.array_sort(F.collect_set(name)).alias("f"), F.map_from_entries(F.array_distinct(F.array_sort(F.collect_set(F.struct(name.alias("p"), name.alias("q")))))).alias("m"))
+    rows = e.groupBy(F.col("user_id").alias("headword")).agg(F.array_sort(F.collect_set(name)).alias("f"),
+        F.map_from_entries(F.array_distinct(F.array_sort(F.collect_set(F.struct(name.alias("p"), name.alias("q")))))).alias("m"))
     renamed, left = folders.rename(F.col("f"), F.col("m"), "event1", "renamed")[0], folders.delete(F.col("f"), F.col("m"), "event2")[0]
     return rows.select("headword", F.array_join(renamed, ",").alias("renamed"), F.array_join(left, ",").alias("left"))

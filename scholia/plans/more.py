@@ -16,19 +16,27 @@ _LINES = "marks AS (SELECT l_orderkey AS page, l_partkey AS line, min(l_quantity
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
     """Synthetic boxes on pages (orders): one each, from its smallest quantity and discount."""
-    return a.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.min("l_linenumber").alias("box"), F.min("l_quantity").alias("x0"), (F.min("l_quantity") + 20).alias("x1"), F.min("l_discount").alias("y0"), (F.min("l_discount") + 0.03).alias("y1"))
+    return a.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.min("l_linenumber").alias("box"),
+        F.min("l_quantity").alias("x0"), (F.min("l_quantity") + 20).alias("x1"), F.min("l_discount").alias("y0"),
+        (F.min("l_discount") + 0.03).alias("y1"))
 
 
 def _marks(spark: SparkSession, d: str) -> DataFrame:
-    return a.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("line")).agg(F.min("l_quantity").alias("x"), F.min("l_discount").alias("y"), F.max("l_extendedprice").alias("width"))
+    return a.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"),
+        F.col("l_partkey").alias("line")).agg(F.min("l_quantity").alias("x"), F.min("l_discount").alias("y"),
+        F.max("l_extendedprice").alias("width"))
 
 
-@query(v.sql(_BOXES, _LINES, query="SELECT page, line, x, y FROM marks m WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.page = m.page AND m.x BETWEEN x0 AND x1 AND m.y BETWEEN y0 AND y1)"))
+@query(v.sql(_BOXES, _LINES,
+    query="SELECT page, line, x, y FROM marks m WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.page = m.page AND m.x "
+     "BETWEEN x0 AND x1 AND m.y BETWEEN y0 AND y1)"))
 def lines_outside_tables(spark: SparkSession, d: str) -> DataFrame:
     return layout.outside(_marks(spark, d), _boxes(spark, d)).select("page", "line", "x", "y")
 
 
-@query(v.sql(_LINES, query="SELECT page, round(avg(CASE WHEN width >= 40000 THEN 1.0 ELSE 0.0 END), 6) AS wide_share, avg(CASE WHEN width >= 40000 THEN 1.0 ELSE 0.0 END) >= 0.35 AS single FROM marks GROUP BY 1"))
+@query(v.sql(_LINES,
+    query="SELECT page, round(avg(CASE WHEN width >= 40000 THEN 1.0 ELSE 0.0 END), 6) AS wide_share, avg(CASE WHEN width "
+     ">= 40000 THEN 1.0 ELSE 0.0 END) >= 0.35 AS single FROM marks GROUP BY 1"))
 def single_column_pages(spark: SparkSession, d: str) -> DataFrame:
     return layout.single_column(_marks(spark, d), 40000).withColumn("wide_share", F.round("wide_share", 6))
 
@@ -39,18 +47,23 @@ def reading_order(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(layout.reading_order(rows).select("page", "line", "place"), "place")
 
 
-@query(v.sql(v.REVIEWS, query="SELECT headword, count(*) AS n, max(c) / sum(c) > 0.6 AND sum(c) >= 6 AS skewed FROM (SELECT headword, rating, count(*) AS c FROM reviews GROUP BY 1, 2) GROUP BY 1"))
+@query(v.sql(v.REVIEWS,
+    query="SELECT headword, count(*) AS n, max(c) / sum(c) > 0.6 AND sum(c) >= 6 AS skewed FROM (SELECT headword, "
+     "rating, count(*) AS c FROM reviews GROUP BY 1, 2) GROUP BY 1"))
 def answer_position_skew(spark: SparkSession, d: str) -> DataFrame:
     c = a.reviews(spark, d).groupBy("headword", "rating").agg(F.count("*").alias("c"))
     return c.groupBy("headword").agg(F.count("*").alias("n"), ((F.max("c") / F.sum("c") > 0.6) & (F.sum("c") >= 6)).alias("skewed"))
 
 
-@query(v.sql(v.REVIEWS, query="SELECT headword, device, rating FROM reviews QUALIFY row_number() OVER (PARTITION BY headword, device ORDER BY reviewed_at DESC, uid DESC) = 1"))
+@query(v.sql(v.REVIEWS,
+    query="SELECT headword, device, rating FROM reviews QUALIFY row_number() OVER (PARTITION BY headword, device ORDER "
+     "BY reviewed_at DESC, uid DESC) = 1"))
 def last_attempt(spark: SparkSession, d: str) -> DataFrame:
     return a.reviews(spark, d).groupBy("headword", "device").agg(F.max_by("rating", F.struct("reviewed_at", "uid")).alias("rating"))
 
 
-@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'conversations', count(*) FROM conversations")
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'events', count(*) FROM events "
+     "UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'conversations', count(*) FROM conversations")
 def table_cardinalities(spark: SparkSession, d: str) -> DataFrame:
     one = lambda n: a.table(spark, d, n).agg(F.lit(n).alias("name"), F.count("*").alias("n")).select("name", "n")
     return one("documents").union(one("events")).union(one("pages")).union(one("conversations"))

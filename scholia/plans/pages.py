@@ -32,11 +32,16 @@ _RUNS = """runs AS (SELECT *, count(*) FILTER (breaks) OVER (PARTITION BY doc_id
 
 @query(v.sql(*_PAGES, _RUNS, query="SELECT doc_id, run, count(*) AS n_lines, sum(length(text)) AS chars FROM runs GROUP BY 1, 2"))
 def line_runs(spark: SparkSession, d: str) -> DataFrame:
-    return layout.line_runs(a.page_lines(spark, d), 0.1).groupBy("doc_id", "run").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).alias("chars"))
+    return layout.line_runs(a.page_lines(spark, d), 0.1).groupBy("doc_id", "run").agg(F.count("*").alias("n_lines"),
+        F.sum(F.length("text")).alias("chars"))
 
 
-@query(v.sql(*_PAGES, _SIZES, _RUNS, "own AS (SELECT r.doc_id, run, sum(length(text)) AS chars, starts_with(lower(arg_min(text, n)), 'abstract') AS labelled, bool_and(abs(r.size - s.size) < 0.3) AS plain FROM runs r JOIN sizes s ON s.doc_id = r.doc_id WHERE page = 1 GROUP BY 1, 2)",
-    query="SELECT doc_id, run FROM own QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY labelled DESC, plain DESC, chars DESC, run) = 1"))
+@query(v.sql(*_PAGES, _SIZES, _RUNS,
+     "own AS (SELECT r.doc_id, run, sum(length(text)) AS chars, starts_with(lower(arg_min(text, n)), 'abstract') AS "
+     "labelled, bool_and(abs(r.size - s.size) < 0.3) AS plain FROM runs r JOIN sizes s ON s.doc_id = r.doc_id WHERE "
+     "page = 1 GROUP BY 1, 2)",
+    query="SELECT doc_id, run FROM own QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY labelled DESC, plain "
+         "DESC, chars DESC, run) = 1"))
 def abstract_run(spark: SparkSession, d: str) -> DataFrame:
     lines = a.page_lines(spark, d)
     return layout.abstract_run(layout.line_runs(lines, 0.1), layout.body_size(lines))
@@ -53,12 +58,16 @@ titles AS (SELECT doc_id, section, string_agg(text, ' ' ORDER BY n) AS title, mi
 named AS (SELECT *, regexp_extract(title, '^(\d+(?:\.\d+)*)\.?\s', 1) AS number, bool_or(regexp_matches(lower(regexp_replace(title, '^\d+(?:\.\d+)*\.?\s+', '')), '^({_BACK})\b')) OVER (PARTITION BY doc_id ORDER BY section) AS back FROM titles)"""
 
 
-@query(v.sql(*_PAGES, _SIZES, _MARGINS, _PAPER_SQL, query="SELECT doc_id, section AS n, title, number, CASE WHEN number = '' THEN 1 ELSE least(len(string_split(number, '.')), 3) END AS level, CASE WHEN starts_with(lower(title), 'abstract') THEN 'front' WHEN back THEN 'back' ELSE 'body' END AS kind, page FROM named"))
+@query(v.sql(*_PAGES, _SIZES, _MARGINS, _PAPER_SQL,
+    query="SELECT doc_id, section AS n, title, number, CASE WHEN number = '' THEN 1 ELSE least(len(string_split(number, "
+     "'.')), 3) END AS level, CASE WHEN starts_with(lower(title), 'abstract') THEN 'front' WHEN back THEN 'back' "
+     "ELSE 'body' END AS kind, page FROM named"))
 def page_sections(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(layout.paper(a.page_lines(spark, d))[0], "level")
 
 
-@query(v.sql(*_PAGES, _SIZES, _MARGINS, _PAPER_SQL, query="SELECT doc_id, section, string_agg(text, ' ' ORDER BY n) AS text FROM placed WHERE NOT head GROUP BY 1, 2"))
+@query(v.sql(*_PAGES, _SIZES, _MARGINS, _PAPER_SQL,
+    query="SELECT doc_id, section, string_agg(text, ' ' ORDER BY n) AS text FROM placed WHERE NOT head GROUP BY 1, 2"))
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
     return layout.paper(a.page_lines(spark, d))[1]
 
@@ -66,7 +75,8 @@ def page_texts(spark: SparkSession, d: str) -> DataFrame:
 @query(v.sql(_BOXES, _LINES, query="""SELECT m.page, line, box, round(greatest(y - b.y1, b.y0 - (y + 0.01)), 6) AS gap FROM marks m JOIN boxes b ON b.page = m.page AND x <= b.x1 AND b.x0 <= x + 5 AND greatest(y - b.y1, b.y0 - (y + 0.01)) BETWEEN 0 AND 0.05
   QUALIFY row_number() OVER (PARTITION BY m.page, line ORDER BY greatest(y - b.y1, b.y0 - (y + 0.01)), box) = 1"""))
 def caption_graphics(spark: SparkSession, d: str) -> DataFrame:
-    captions = _marks(spark, d).select("page", "line", F.col("x").alias("x0"), (F.col("x") + 5).alias("x1"), F.col("y").alias("y0"), (F.col("y") + 0.01).alias("y1"))
+    captions = _marks(spark, d).select("page", "line", F.col("x").alias("x0"), (F.col("x") + 5).alias("x1"),
+        F.col("y").alias("y0"), (F.col("y") + 0.01).alias("y1"))
     return layout.nearest_graphic(captions, _boxes(spark, d), 0.05).withColumn("gap", F.round("gap", 6))
 
 
@@ -78,18 +88,26 @@ def _fragments(spark: SparkSession, d: str) -> DataFrame:
     first = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag")).alias("x")
     rows = a.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n")).agg(first)
     said = F.when(F.col("n") % 3 == 0, "ab").otherwise(F.concat("x.l_returnflag", F.col("n").cast("string")))
-    return rows.select("page", "n", F.col("x.l_quantity").alias("x0"), (F.col("x.l_quantity") + 4).alias("x1"), F.round("x.l_discount", 2).alias("y"), said.alias("text"))
-
-
-@query(v.sql(_ROWS, "numbered AS (SELECT *, count(*) FILTER (breaks) OVER (PARTITION BY page ORDER BY y, x0, n) AS line FROM (SELECT *, coalesce(y - lag(y) OVER (PARTITION BY page ORDER BY y, x0, n) > 0.015, true) AS breaks FROM frags))",
-    "fresh AS (SELECT * FROM numbered WINDOW w AS (PARTITION BY page, line ORDER BY x0, n) QUALIFY NOT coalesce(lag(text) OVER w = text AND x0 < lag(x1) OVER w, false))",
-    "spaced AS (SELECT *, CASE WHEN x0 - lag(x1) OVER w >= 3 THEN ' ' ELSE '' END || text AS piece FROM fresh WINDOW w AS (PARTITION BY page, line ORDER BY x0, n))",
-    query="SELECT page, line AS row, min(y) AS y, min(x0) AS x0, max(x1) AS x1, trim(string_agg(piece, '' ORDER BY x0, n), ' ') AS text FROM spaced GROUP BY 1, 2"))
+    return rows.select("page", "n", F.col("x.l_quantity").alias("x0"), (F.col("x.l_quantity") + 4).alias("x1"),
+        F.round("x.l_discount", 2).alias("y"), said.alias("text"))
+
+
+@query(v.sql(_ROWS, "numbered AS (SELECT *, count(*) FILTER (breaks) OVER (PARTITION BY page ORDER BY y, x0, n) AS line FROM "
+     "(SELECT *, coalesce(y - lag(y) OVER (PARTITION BY page ORDER BY y, x0, n) > 0.015, true) AS breaks FROM " "frags))",
+    "fresh AS (SELECT * FROM numbered WINDOW w AS (PARTITION BY page, line ORDER BY x0, n) QUALIFY NOT "
+         "coalesce(lag(text) OVER w = text AND x0 < lag(x1) OVER w, false))",
+    "spaced AS (SELECT *, CASE WHEN x0 - lag(x1) OVER w >= 3 THEN ' ' ELSE '' END || text AS piece FROM fresh "
+         "WINDOW w AS (PARTITION BY page, line ORDER BY x0, n))",
+    query="SELECT page, line AS row, min(y) AS y, min(x0) AS x0, max(x1) AS x1, trim(string_agg(piece, '' ORDER BY "
+         "x0, n), ' ') AS text FROM spaced GROUP BY 1, 2"))
 def page_rows(spark: SparkSession, d: str) -> DataFrame:
     return layout.rows_of_fragments(_fragments(spark, d), 0.015, 3)
 
 
-@query(v.sql(_ROWS, "r AS (SELECT page, n, y AS y0, y + 0.012 AS y1, (n * 7 % 10) / 10.0 AS math FROM frags)", query="SELECT page, n FROM r WHERE math >= 0.5 AND NOT EXISTS (SELECT 1 FROM r p WHERE p.page = r.page AND p.math < 0.5 AND r.y0 < p.y1 AND p.y0 < r.y1)"))
+@query(v.sql(_ROWS, "r AS (SELECT page, n, y AS y0, y + 0.012 AS y1, (n * 7 % 10) / 10.0 AS math FROM frags)",
+    query="SELECT page, n FROM r WHERE math >= 0.5 AND NOT EXISTS (SELECT 1 FROM r p WHERE p.page = r.page AND p.math < "
+     "0.5 AND r.y0 < p.y1 AND p.y0 < r.y1)"))
 def equation_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = _fragments(spark, d).select("page", "n", F.col("y").alias("y0"), (F.col("y") + 0.012).alias("y1"), (F.col("n") * 7 % 10 / 10).alias("math"))
+    rows = _fragments(spark, d).select("page", "n", F.col("y").alias("y0"), (F.col("y") + 0.012).alias("y1"),
+        (F.col("n") * 7 % 10 / 10).alias("math"))
     return layout.equation_rows(rows).select("page", "n")

@@ -25,7 +25,8 @@ _PAPER = v.PAPERS, v.LINES, v.ANNOTATED, v.SECTIONS, v.REFERENCES
 
 def _texts(sections: DataFrame, sentences: DataFrame) -> DataFrame:
     """Titles and sentences with ids: ten times the section's number, plus the sentence's place."""
-    return sections.select("doc_id", (F.col("n") * 10).alias("id"), F.col("title").alias("text")).union(sentences.select("doc_id", (F.col("section") * 10 + F.col("k")).alias("id"), "text"))
+    return sections.select("doc_id", (F.col("n") * 10).alias("id"), F.col("title").alias("text")).union(sentences.select("doc_id",
+         (F.col("section") * 10 + F.col("k")).alias("id"), "text"))
 
 
 @query(v.sql(*_PAPER, _TEXTS, _DOUBLES, query="SELECT doc_id, id, x, y FROM doubles"))
@@ -36,11 +37,14 @@ def doubled_words(spark: SparkSession, d: str) -> DataFrame:
 def _issues(spark: SparkSession, d: str) -> DataFrame:
     sections, sentences = map(stored, a.outlined(spark, d))  # every rule reads them
     body = sections.filter("kind = 'body'")
-    doubles = stored(quality.doubled(_texts(sections, sentences))).withColumn("section", F.floor(F.col("id") / 10)).withColumn("heading", F.col("id") % 10 == 0)
+    doubles = stored(quality.doubled(_texts(sections, sentences))).withColumn("section",
+        F.floor(F.col("id") / 10)).withColumn("heading", F.col("id") % 10 == 0)
     docs = sections.filter("n = 1").select("doc_id")
-    figures = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("doc_id", F.concat(F.lit("figure:"), F.col("i").cast("string")).alias("key"), F.lit("figure").alias("kind"))
+    figures = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select("doc_id",
+        F.concat(F.lit("figure:"), F.col("i").cast("string")).alias("key"), F.lit("figure").alias("kind"))
     figures = figures.union(docs.filter("doc_id % 3 = 0").select("doc_id", F.lit(None).cast("string"), F.lit("image")))
-    cited = sentences.join(body.select("doc_id", F.col("n").alias("section")), ["doc_id", "section"], "left_semi").select("doc_id", F.explode(text.figure_keys(F.col("text"))).alias("key"))
+    cited = sentences.join(body.select("doc_id", F.col("n").alias("section")), ["doc_id", "section"],
+        "left_semi").select("doc_id", F.explode(text.figure_keys(F.col("text"))).alias("key"))
     gaps = outline.numbering_gaps(body.filter(F.col("title").rlike("^[0-9]")).select("doc_id", "n", "number"))
     return quality.inspect(sections, sentences, figures, gaps, doubles, cited)
 
@@ -71,12 +75,16 @@ def quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return _issues(spark, d)
 
 
-@query(v.sql(*_PAPER, _TEXTS, _DOUBLES, _ISSUES, query="SELECT doc_id, major, minor, major > 0 AS recommend FROM (SELECT doc_id, count(*) FILTER (level = 'major') AS major, count(*) FILTER (level = 'minor') AS minor FROM issues GROUP BY 1)"))
+@query(v.sql(*_PAPER, _TEXTS, _DOUBLES, _ISSUES,
+    query="SELECT doc_id, major, minor, major > 0 AS recommend FROM (SELECT doc_id, count(*) FILTER (level = 'major') AS "
+     "major, count(*) FILTER (level = 'minor') AS minor FROM issues GROUP BY 1)"))
 def quality_summary(spark: SparkSession, d: str) -> DataFrame:
     return quality.summary(_issues(spark, d))
 
 
-@query(v.sql(*_PAPER, _TEXTS, _DOUBLES, _ISSUES, query="SELECT doc_id, level, code, section, n, row_number() OVER (PARTITION BY doc_id ORDER BY level, code, section NULLS FIRST) AS place FROM issues QUALIFY place <= 8"))
+@query(v.sql(*_PAPER, _TEXTS, _DOUBLES, _ISSUES,
+    query="SELECT doc_id, level, code, section, n, row_number() OVER (PARTITION BY doc_id ORDER BY level, code, section "
+     "NULLS FIRST) AS place FROM issues QUALIFY place <= 8"))
 def quality_top_issues(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(quality.top_issues(_issues(spark, d)), "place")
 
@@ -99,10 +107,14 @@ def quiz_check(spark: SparkSession, d: str) -> DataFrame:
     """The benchmark as a quiz, with errors put in by modular arithmetic."""
     i, b = F.col("item_id"), a.table(spark, d, "benchmark")
     quiz = b.select(
-        (i % 20).alias("doc_id"), i.alias("question"), F.when(i % 3 == 0, "x").otherwise("c").alias("chapter"), F.when(i % 5 == 0, "").otherwise(F.col("text")).alias("q"), F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.when(i % 7 == 0, " ").otherwise("d")).alias("choices"),
-        (i % 5).alias("answer"), F.when(i % 4 != 0, "why").alias("explain"), F.when(i % 6 == 0, F.array().cast("array<string>")).otherwise(F.array("text")).alias("evidence"),
+        (i % 20).alias("doc_id"), i.alias("question"), F.when(i % 3 == 0, "x").otherwise("c").alias("chapter"), F.when(i % 5 == 0,
+             "").otherwise(F.col("text")).alias("q"), F.array(F.lit("a"), F.lit("b"), F.lit("c"), F.when(i % 7 == 0,
+            " ").otherwise("d")).alias("choices"),
+        (i % 5).alias("answer"), F.when(i % 4 != 0, "why").alias("explain"), F.when(i % 6 == 0,
+            F.array().cast("array<string>")).otherwise(F.array("text")).alias("evidence"),
     )
-    return quality.quiz_issues(quiz, b.select((i % 20).alias("doc_id"), F.lit("c").alias("title")).distinct(), b.filter(i % 8 < 4).select((i % 20).alias("doc_id"), "text"))
+    return quality.quiz_issues(quiz, b.select((i % 20).alias("doc_id"), F.lit("c").alias("title")).distinct(),
+        b.filter(i % 8 < 4).select((i % 20).alias("doc_id"), "text"))
 
 
 # --- first-match joins -----------------------------------------------------------------------------------------------
@@ -111,55 +123,79 @@ def quiz_check(spark: SparkSession, d: str) -> DataFrame:
 _LOOKUPS = "lookups AS (SELECT e.event_id AS uid, l.doc_id, l.line AS sentence FROM events e JOIN lines l ON l.doc_id = e.event_id % (SELECT max(doc_id) + 1 FROM documents) AND l.n = 1 + e.event_id % 11)"
 
 
-@query(v.sql(v.PAPERS, v.LINES, _LOOKUPS, "heard AS (SELECT doc_id, line, min(n) AS n FROM lines WHERE n % 2 = 1 AND line <> '' GROUP BY 1, 2)", "seen AS (SELECT doc_id, line, min(n) AS n FROM lines GROUP BY 1, 2)",
-    query="SELECT k.uid, k.doc_id, k.sentence, h.doc_id || '/' || h.n || '_1' AS audio_ref, CASE WHEN s.n % 3 <> 0 THEN 't' || length(s.line) END AS translated FROM lookups k LEFT JOIN heard h ON h.doc_id = k.doc_id AND h.line = k.sentence LEFT JOIN seen s ON s.doc_id = k.doc_id AND s.line = k.sentence"))
+@query(v.sql(v.PAPERS, v.LINES, _LOOKUPS,
+     "heard AS (SELECT doc_id, line, min(n) AS n FROM lines WHERE n % 2 = 1 AND line <> '' GROUP BY 1, 2)",
+     "seen AS (SELECT doc_id, line, min(n) AS n FROM lines GROUP BY 1, 2)",
+    query="SELECT k.uid, k.doc_id, k.sentence, h.doc_id || '/' || h.n || '_1' AS audio_ref, CASE WHEN s.n % 3 <> 0 "
+         "THEN 't' || length(s.line) END AS translated FROM lookups k LEFT JOIN heard h ON h.doc_id = k.doc_id AND "
+         "h.line = k.sentence LEFT JOIN seen s ON s.doc_id = k.doc_id AND s.line = k.sentence"))
 def lookup_examples(spark: SparkSession, d: str) -> DataFrame:
     lines = _as_long(a.lines(spark, d), "n")
     last = F.broadcast(a.table(spark, d, "documents").agg((F.max("doc_id") + 1).alias("docs")))  # one row
-    e = a.table(spark, d, "events").crossJoin(last).select(F.col("event_id").alias("uid"), (F.col("event_id") % F.col("docs")).alias("doc_id"), (1 + F.col("event_id") % 11).alias("n"))
+    e = a.table(spark, d, "events").crossJoin(last).select(F.col("event_id").alias("uid"),
+        (F.col("event_id") % F.col("docs")).alias("doc_id"), (1 + F.col("event_id") % 11).alias("n"))
     lookups = e.join(lines, ["doc_id", "n"]).select("uid", "doc_id", F.col("line").alias("sentence"))
-    sentences = lines.select("doc_id", F.col("n").alias("section"), F.lit(1).alias("k"), F.col("line").alias("text"), F.when(F.col("n") % 2 == 1, F.col("line")).otherwise("").alias("spoken"))
-    translations = lines.filter("n % 3 <> 0").select("doc_id", F.col("n").alias("section"), F.lit(1).alias("k"), F.concat(F.lit("t"), F.length("line").cast("string")).alias("translated"))
+    sentences = lines.select("doc_id", F.col("n").alias("section"), F.lit(1).alias("k"), F.col("line").alias("text"),
+        F.when(F.col("n") % 2 == 1, F.col("line")).otherwise("").alias("spoken"))
+    translations = lines.filter("n % 3 <> 0").select("doc_id", F.col("n").alias("section"), F.lit(1).alias("k"),
+        F.concat(F.lit("t"), F.length("line").cast("string")).alias("translated"))
     return papers.with_examples(lookups, sentences, translations).select("uid", "doc_id", "sentence", "audio_ref", "translated")
 
 
-@query(v.sql(v.PAPERS, v.LINES, "cache AS (SELECT DISTINCT line FROM lines WHERE n % 3 = 0)", query="SELECT doc_id, 'p' || n AS item_id, length(l.line) AS chars, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN n % 2 = 0 THEN 's' || n END WHEN c.line IS NOT NULL THEN 'c' || length(c.line) END AS translated FROM lines l LEFT JOIN cache c ON c.line = l.line"))
+@query(v.sql(v.PAPERS, v.LINES, "cache AS (SELECT DISTINCT line FROM lines WHERE n % 3 = 0)",
+    query="SELECT doc_id, 'p' || n AS item_id, length(l.line) AS chars, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN n % 2 = "
+     "0 THEN 's' || n END WHEN c.line IS NOT NULL THEN 'c' || length(c.line) END AS translated FROM lines l LEFT "
+     "JOIN cache c ON c.line = l.line"))
 def translations_view(spark: SparkSession, d: str) -> DataFrame:
     lines = a.lines(spark, d)
     n = F.col("n").cast("string")
     items = lines.select("doc_id", F.concat(F.lit("p"), n).alias("item_id"), F.col("line").alias("text"))
     by_item = lines.filter("n % 2 = 0").select("doc_id", F.concat(F.lit("p"), n).alias("item_id"), F.concat(F.lit("s"), n).alias("translated"))
-    cache = lines.filter("n % 3 = 0").select(F.col("line").alias("text")).distinct().withColumn("translated", F.concat(F.lit("c"), F.length("text").cast("string")))
+    cache = lines.filter("n % 3 = 0").select(F.col("line").alias("text")).distinct().withColumn("translated", F.concat(F.lit("c"),
+         F.length("text").cast("string")))
     out = papers.translated_items(items, by_item, cache, a.papers(spark, d).filter("doc_id % 2 = 0"))
     return out.select("doc_id", "item_id", F.length("text").cast("long").alias("chars"), "translated")
 
 
-@query(v.sql(v.PAPERS, v.LINES, "items AS (SELECT doc_id, n, 'p' || n AS item_id, line AS text, false AS heading FROM lines UNION ALL SELECT doc_id, 0, 'h', title, true FROM papers)",
-    "positions AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'gone' ELSE line END AS said, CASE WHEN doc_id % 4 = 0 THEN 'h' ELSE 'p' || n END AS id FROM lines WHERE n = doc_id % 5 + 1)",
-    query="SELECT doc_id, coalesce(min(n) FILTER (text = said AND heading = (id LIKE '%h')), min(n) FILTER (text = said), min(n) FILTER (item_id = id), 0) AS at, count(*) FILTER (text = said) > 0 AS exact FROM items JOIN positions USING (doc_id) GROUP BY 1"))
+@query(v.sql(v.PAPERS, v.LINES,
+     "items AS (SELECT doc_id, n, 'p' || n AS item_id, line AS text, false AS heading FROM lines UNION ALL SELECT "
+     "doc_id, 0, 'h', title, true FROM papers)",
+    "positions AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'gone' ELSE line END AS said, CASE WHEN doc_id "
+         "% 4 = 0 THEN 'h' ELSE 'p' || n END AS id FROM lines WHERE n = doc_id % 5 + 1)",
+    query="SELECT doc_id, coalesce(min(n) FILTER (text = said AND heading = (id LIKE '%h')), min(n) FILTER (text = "
+         "said), min(n) FILTER (item_id = id), 0) AS at, count(*) FILTER (text = said) > 0 AS exact FROM items JOIN "
+         "positions USING (doc_id) GROUP BY 1"))
 def resume_position(spark: SparkSession, d: str) -> DataFrame:
     lines = _as_long(a.lines(spark, d), "n")
     name = F.concat(F.lit("p"), F.col("n").cast("string"))
-    items = lines.select("doc_id", "n", name.alias("item_id"), F.col("line").alias("text"), F.lit(False).alias("heading")).union(a.papers(spark, d).select("doc_id", F.lit(0), F.lit("h"), "title", F.lit(True)))
-    positions = lines.filter("n = doc_id % 5 + 1").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "gone").otherwise(F.col("line")).alias("text"), F.when(F.col("doc_id") % 4 == 0, "h").otherwise(name).alias("item_id"))
+    items = lines.select("doc_id", "n", name.alias("item_id"), F.col("line").alias("text"),
+        F.lit(False).alias("heading")).union(a.papers(spark, d).select("doc_id", F.lit(0), F.lit("h"), "title", F.lit(True)))
+    positions = lines.filter("n = doc_id % 5 + 1").select("doc_id", F.when(F.col("doc_id") % 3 == 0,
+        "gone").otherwise(F.col("line")).alias("text"), F.when(F.col("doc_id") % 4 == 0, "h").otherwise(name).alias("item_id"))
     return papers.resume(items, positions)
 
 
 _KEY = "CASE WHEN length({0}) > 3 AND {0} LIKE '%s' AND {0} NOT LIKE '%ss' THEN substr({0}, 1, length({0}) - 1) ELSE {0} END"
 
 
-@query(v.sql(v.PAPERS, v.TOKENS, v.DICTIONARY, _COUNTS, _WORDS, f"keys AS (SELECT DISTINCT doc_id, {_KEY.format('word')} AS key FROM words)", f"t AS (SELECT doc_id, pos, token, {_KEY.format('lower(token)')} AS key FROM tokens)", query="SELECT doc_id, pos, token FROM t SEMI JOIN keys USING (doc_id, key)"))
+@query(v.sql(v.PAPERS, v.TOKENS, v.DICTIONARY, _COUNTS, _WORDS,
+     f"keys AS (SELECT DISTINCT doc_id, {_KEY.format('word')} AS key FROM words)",
+     f"t AS (SELECT doc_id, pos, token, {_KEY.format('lower(token)')} AS key FROM tokens)",
+    query="SELECT doc_id, pos, token FROM t SEMI JOIN keys USING (doc_id, key)"))
 def term_marks(spark: SparkSession, d: str) -> DataFrame:
     tokens = a.tokens(spark, d)
     return _as_long(papers.term_marks(tokens, terms.glossary_words(tokens, a.dictionary(spark, d))), "pos")
 
 
-@query(v.sql(v.REVIEWS, query="SELECT headword, count(*) AS lookups, min(reviewed_at) AS first_seen, max(reviewed_at) AS last_seen FROM reviews GROUP BY 1"))
+@query(v.sql(v.REVIEWS,
+    query="SELECT headword, count(*) AS lookups, min(reviewed_at) AS first_seen, max(reviewed_at) AS last_seen FROM "
+     "reviews GROUP BY 1"))
 def record_words(spark: SparkSession, d: str) -> DataFrame:
     """A list made from one device's lookups, then all lookups merged into it twice over."""
     log = a.reviews(spark, d).select("uid", "headword", F.col("reviewed_at").alias("looked_at"), "device")
     known = log.filter("device = 0")
-    words = known.groupBy("headword").agg(F.count("*").alias("lookups"), F.min("looked_at").alias("first_seen"), F.max("looked_at").alias("last_seen"))
+    words = known.groupBy("headword").agg(F.count("*").alias("lookups"), F.min("looked_at").alias("first_seen"),
+        F.max("looked_at").alias("last_seen"))
     return papers.record_words(words, log.union(log).drop("device"), known)
 
 
@@ -168,29 +204,40 @@ def lookup_registered(spark: SparkSession, d: str) -> DataFrame:
     return papers.registered(a.table(spark, d, "customer").select(F.col("c_custkey").alias("headword")), a.reviews(spark, d))
 
 
-@query(v.sql(v.PAPERS, query="SELECT p.paper_id, p.doc_id, length(p.text) AS size, min(f.doc_id) AS oldest, count(*) AS files FROM papers p JOIN documents f ON length(f.text) = length(p.text) AND sha256(f.text) = sha256(p.text) GROUP BY ALL"))
+@query(v.sql(v.PAPERS,
+    query="SELECT p.paper_id, p.doc_id, length(p.text) AS size, min(f.doc_id) AS oldest, count(*) AS files FROM papers p "
+     "JOIN documents f ON length(f.text) = length(p.text) AND sha256(f.text) = sha256(p.text) GROUP BY ALL"))
 def file_match(spark: SparkSession, d: str) -> DataFrame:
     """Papers with the files (all copies of documents) of their size and hash; the smallest id stands for the oldest."""
     key = [F.length("text").cast("long").alias("size"), F.sha2("text", 256).alias("sha")]
-    files_ = a.table(spark, d, "documents").filter("text is not null").select("doc_id", *key).groupBy("size", "sha").agg(F.min("doc_id").alias("oldest"), F.count("*").alias("files"))
+    files_ = a.table(spark, d, "documents").filter("text is not null").select("doc_id", *key).groupBy("size",
+        "sha").agg(F.min("doc_id").alias("oldest"), F.count("*").alias("files"))
     return a.papers(spark, d).select("paper_id", "doc_id", *key).join(files_, ["size", "sha"]).select("paper_id", "doc_id", "size", "oldest", "files")
 
 
 # --- outlines and edits ----------------------------------------------------------------------------------------------
 
 
-@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, v.FIRST_REFERENCE, query="SELECT doc_id, n, key FROM annotated LEFT JOIN first_refs USING (doc_id, n) QUALIFY key IS NULL OR row_number() OVER (PARTITION BY doc_id, key ORDER BY n) = 1"))
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, v.FIRST_REFERENCE,
+    query="SELECT doc_id, n, key FROM annotated LEFT JOIN first_refs USING (doc_id, n) QUALIFY key IS NULL OR "
+     "row_number() OVER (PARTITION BY doc_id, key ORDER BY n) = 1"))
 def figure_labels(spark: SparkSession, d: str) -> DataFrame:
-    return _as_long(papers.first_labels(a.annotated(spark, d).select("doc_id", "n", "body"), text.first_figure_key(F.col("body"))).select("doc_id", "n", "key"), "n")
+    return _as_long(papers.first_labels(a.annotated(spark, d).select("doc_id", "n", "body"),
+        text.first_figure_key(F.col("body"))).select("doc_id", "n", "key"), "n")
 
 
-@query(v.sql(_LINES, query="SELECT page, line, sum(CASE WHEN up > 0.025 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y, line) AS chain FROM (SELECT *, y - lag(y) OVER (PARTITION BY page ORDER BY y, line) AS up FROM marks)"))
+@query(v.sql(_LINES,
+    query="SELECT page, line, sum(CASE WHEN up > 0.025 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y, line) AS "
+     "chain FROM (SELECT *, y - lag(y) OVER (PARTITION BY page ORDER BY y, line) AS up FROM marks)"))
 def table_rules(spark: SparkSession, d: str) -> DataFrame:
     return papers.rule_chains(_marks(spark, d).select("page", F.col("line").alias("n"), "y"), 0.025).select("page", F.col("n").alias("line"), "chain")
 
 
-@query(v.sql(*_PAPER, "g AS (SELECT *, n % 4 = 0 AND row_number() OVER (PARTITION BY doc_id ORDER BY n) > 1 AS gone FROM sections)", "h AS (SELECT *, count(*) FILTER (NOT gone) OVER (PARTITION BY doc_id ORDER BY n) AS new FROM g)",
-    "m AS (SELECT s.doc_id, h.new AS section, s.section AS old, s.k, s.text FROM sentences s JOIN h ON h.doc_id = s.doc_id AND h.n = s.section UNION ALL SELECT doc_id, new, n, 0, title FROM h WHERE gone)",
+@query(v.sql(*_PAPER,
+     "g AS (SELECT *, n % 4 = 0 AND row_number() OVER (PARTITION BY doc_id ORDER BY n) > 1 AS gone FROM sections)",
+     "h AS (SELECT *, count(*) FILTER (NOT gone) OVER (PARTITION BY doc_id ORDER BY n) AS new FROM g)",
+    "m AS (SELECT s.doc_id, h.new AS section, s.section AS old, s.k, s.text FROM sentences s JOIN h ON "
+         "h.doc_id = s.doc_id AND h.n = s.section UNION ALL SELECT doc_id, new, n, 0, title FROM h WHERE gone)",
     query="SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id, section ORDER BY old, k) AS k, text FROM m"))
 def sections_merged(spark: SparkSession, d: str) -> DataFrame:
     sections, sentences = a.outlined(spark, d)
@@ -200,7 +247,8 @@ def sections_merged(spark: SparkSession, d: str) -> DataFrame:
 @query(v.sql(*_PAPER, query="SELECT doc_id, n, CASE WHEN n % 3 = 0 THEN 'Part ' || n ELSE title END AS title FROM sections"))
 def sections_renamed(spark: SparkSession, d: str) -> DataFrame:
     sections = a.outlined(spark, d)[0]
-    names = sections.filter("n % 3 < 2").select("doc_id", "n", F.when(F.col("n") % 3 == 0, F.concat(F.lit(" Part "), F.col("n").cast("string"))).otherwise(" ").alias("new"))
+    names = sections.filter("n % 3 < 2").select("doc_id", "n", F.when(F.col("n") % 3 == 0, F.concat(F.lit(" Part "),
+        F.col("n").cast("string"))).otherwise(" ").alias("new"))
     return papers.rename_sections(sections, names).select("doc_id", "n", "title")
 
 
@@ -208,7 +256,9 @@ def _pasted(spark: SparkSession, d: str) -> DataFrame:
     """Lines with headings put in: every seventh is a Markdown one, every seventh a numbered one, and a word is broken over
     every fifth and sixth of seven."""
     m = F.col("n") % 7
-    line = F.when(m == 1, F.concat(F.lit("## "), F.substring("line", 1, 20), F.lit(" #"))).when(m == 4, "2.1 Setup of parts").when(m == 5, F.concat("line", F.lit(" inter-"))).when(m == 6, F.concat(F.lit("national "), "line")).otherwise(F.col("line"))
+    line = F.when(m == 1, F.concat(F.lit("## "), F.substring("line", 1, 20), F.lit(" #"))).when(m == 4,
+        "2.1 Setup of parts").when(m == 5, F.concat("line", F.lit(" inter-"))).when(m == 6, F.concat(F.lit("national "),
+        "line")).otherwise(F.col("line"))
     return files.headings(_as_long(a.lines(spark, d), "n").withColumn("line", line))
 
 
@@ -218,13 +268,18 @@ levels AS (SELECT doc_id, n, line, CASE WHEN regexp_matches(line, '^#{1,3}\s+\S'
   WHEN regexp_matches(line, '^\d+(\.\d+)*\.?\s+[A-Z]') THEN least(len(string_split(regexp_extract(line, '^\d+(\.\d+)*', 0), '.')), 3) WHEN coalesce(before, '') = '' AND (coalesce(after, '') = '' OR regexp_matches(after, '^[A-Z]')) AND words <= 8 AND regexp_matches(line, '^[A-Z0-9]') THEN 1 END AS level FROM w)"""
 
 
-@query(v.sql(v.PAPERS, v.LINES, _PASTED, query=r"SELECT doc_id, n, level, CASE WHEN regexp_matches(line, '^#{1,3}\s+\S') THEN regexp_replace(regexp_replace(line, '^#+\s+', ''), '\s*#*$', '') ELSE line END AS heading FROM levels WHERE level IS NOT NULL"))
+@query(v.sql(v.PAPERS, v.LINES, _PASTED, query=r"SELECT doc_id, n, level, CASE WHEN regexp_matches(line, '^#{1,3}\s+\S') THEN "
+     r"regexp_replace(regexp_replace(line, '^#+\s+', ''), '\s*#*$', '') ELSE line END AS heading FROM levels WHERE "
+     r"level IS NOT NULL"))
 def pasted_outline(spark: SparkSession, d: str) -> DataFrame:
     return _pasted(spark, d).filter("level is not null").select("doc_id", "n", "level", "heading")
 
 
-@query(v.sql(v.PAPERS, v.LINES, _PASTED, "g AS (SELECT *, count(level) OVER o AS section, count(*) FILTER (line = '' OR level IS NOT NULL) OVER o AS paragraph FROM levels WINDOW o AS (PARTITION BY doc_id ORDER BY n))",
-    query=r"SELECT doc_id, section, paragraph, regexp_replace(string_agg(line, ' ' ORDER BY n), 'inter- national', 'international', 'g') AS text FROM g WHERE level IS NULL AND line <> '' GROUP BY 1, 2, 3"))
+@query(v.sql(v.PAPERS, v.LINES, _PASTED,
+     "g AS (SELECT *, count(level) OVER o AS section, count(*) FILTER (line = '' OR level IS NOT NULL) OVER o AS "
+     "paragraph FROM levels WINDOW o AS (PARTITION BY doc_id ORDER BY n))",
+    query=r"SELECT doc_id, section, paragraph, regexp_replace(string_agg(line, ' ' ORDER BY n), 'inter- national', "
+         r"'international', 'g') AS text FROM g WHERE level IS NULL AND line <> '' GROUP BY 1, 2, 3"))
 def pasted_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return papers.pasted_paragraphs(_pasted(spark, d))
 
@@ -237,7 +292,8 @@ def pasted_sentences(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT doc_id, CASE WHEN line <> '' AND len(regexp_split_to_array(line, '\s+')) <= 12 AND NOT regexp_matches(line, '[.!?]$') THEN regexp_replace(line, '^#{1,3}\s+(\S.*?)\s*#*$', '\1') WHEN line <> '' THEN array_to_string(regexp_split_to_array(line, '\s+')[1:8], ' ') ELSE 'Untitled' END AS title
   FROM (SELECT doc_id, trim(regexp_extract(CASE doc_id % 3 WHEN 0 THEN '## ' || substr(text, 1, 30) || ' #' || chr(10) ELSE '' END || text, '^\s*([^\r\n]*)', 1), ' ') AS line FROM documents)""")
 def title_inferred(spark: SparkSession, d: str) -> DataFrame:
-    return a.table(spark, d, "documents").select("doc_id", text.title(F.lit(" "), F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("## "), F.substring("text", 1, 30), F.lit(" #\n"))).otherwise(""), "text")).alias("title"))
+    return a.table(spark, d, "documents").select("doc_id", text.title(F.lit(" "), F.concat(F.when(F.col("doc_id") % 3 == 0,
+        F.concat(F.lit("## "), F.substring("text", 1, 30), F.lit(" #\n"))).otherwise(""), "text")).alias("title"))
 
 
 @query(v.sql(v.PAPERS, v.LINES, query=r"SELECT doc_id, n, regexp_replace(line, '[\x{0700}-\x{0DFF}]+', '', 'g') || 'μ α' AS cleaned FROM lines"))
@@ -263,21 +319,32 @@ places AS (SELECT *, coalesce(list_position(list_transform(low, lambda x: x IN (
 sides AS (SELECT conv_id, turn, headword, p[spot] AS answer, regexp_replace(array_to_string(p[1:spot - 1], ''), '{_CITED_SQL}', '', 'g') AS b, regexp_replace(array_to_string(p[spot + 1:], ''), '{_CITED_SQL}', '', 'g') AS c FROM places WHERE spot > 0)"""
 
 
-@query(v.sql(_CLOZE, query=r"""SELECT conv_id, turn, headword, CASE WHEN length(b) > 110 THEN '… ' || regexp_replace(right(b, 90), '^\S*\s', '') ELSE b END AS before, answer, CASE WHEN length(c) > 110 THEN regexp_replace(left(c, 90), '\s\S*$', '') || ' …' ELSE c END AS after FROM sides"""))
+@query(v.sql(_CLOZE,
+    query=r"SELECT conv_id, turn, headword, CASE WHEN length(b) > 110 THEN '… ' || regexp_replace(right(b, 90), '^\S*\s', "
+     r"'') ELSE b END AS before, answer, CASE WHEN length(c) > 110 THEN regexp_replace(left(c, 90), '\s\S*$', '') || "
+     r"' …' ELSE c END AS after FROM sides"))
 def cloze_questions(spark: SparkSession, d: str) -> DataFrame:
     """Each turn of a conversation with each of its words of nine letters or more left out, one at a time."""
     words = F.filter(text.pieces(F.col("text"), text.LETTERS), lambda x: F.length(x) >= 9)
     heads = F.array_distinct(F.transform(words, lambda w: text.term_key(F.lower(w))))
     asked = a.table(spark, d, "conversations").select("conv_id", "turn", "text", F.explode(heads).alias("headword"))
-    parts = asked.select("conv_id", "turn", "headword", text.cloze_parts(F.col("text"), F.col("headword"), F.lit(None).cast("string")).alias("p")).filter("p is not null")
-    return parts.select("conv_id", "turn", "headword", text.cloze_context(F.col("p")).alias("c")).select("conv_id", "turn", "headword", "c.before", "c.answer", "c.after")
+    parts = asked.select("conv_id", "turn", "headword", text.cloze_parts(F.col("text"), F.col("headword"),
+        F.lit(None).cast("string")).alias("p")).filter("p is not null")
+    return parts.select("conv_id", "turn", "headword", text.cloze_context(F.col("p")).alias("c")).select("conv_id", "turn",
+         "headword", "c.before", "c.answer", "c.after")
 
 
-@query("SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '[A-Za-z0-9_-]+|[^A-Za-z0-9_-]+'), lambda x: CASE WHEN lower(x) = 'the' THEN 'thee' WHEN x = 'a' THEN 'ay' ELSE x END), '') AS spoken FROM conversations")
+@query("SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, "
+     "'[A-Za-z0-9_-]+|[^A-Za-z0-9_-]+'), lambda x: CASE WHEN lower(x) = 'the' THEN 'thee' WHEN x = 'a' THEN 'ay' "
+     "ELSE x END), '') AS spoken FROM conversations")
 def pronunciation_rules(spark: SparkSession, d: str) -> DataFrame:
-    return a.table(spark, d, "conversations").select("conv_id", "turn", text.apply_rules(F.col("text"), [("the", "thee", False), ("a", "ay", True)]).alias("spoken"))
+    return a.table(spark, d, "conversations").select("conv_id", "turn", text.apply_rules(F.col("text"), [("the", "thee", False),
+        ("a", "ay", True)]).alias("spoken"))
 
 
-@query(v.sql(v.REVIEWS, query="SELECT uid, CASE WHEN s < 3600 THEN (s // 60) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') ELSE (s // 3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') END AS clock FROM (SELECT uid, uid * 37 % 9000 AS s FROM reviews)"))
+@query(v.sql(v.REVIEWS,
+    query="SELECT uid, CASE WHEN s < 3600 THEN (s // 60) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') ELSE (s // "
+     "3600) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') "
+     "END AS clock FROM (SELECT uid, uid * 37 % 9000 AS s FROM reviews)"))
 def clock_labels(spark: SparkSession, d: str) -> DataFrame:
     return a.reviews(spark, d).select("uid", text.clock(F.col("uid") * 37 % 9000).alias("clock"))

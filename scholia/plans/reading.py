@@ -71,8 +71,11 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return reading.spoken_items(sections, sentences.withColumn("spoken", text.speech(F.col("text"))), skip_back=True)
 
 
-@query(v.sql(*_PAPER, _ITEMS, "kept AS (SELECT sha1('v|175|' || said) [1:20] AS key, max(length(said)) / 10.0 AS seconds FROM items WHERE said <> '' AND doc_id % 2 = 0 GROUP BY 1)",
-    query="SELECT doc_id, item_id, i.key, seconds IS NOT NULL AS reused, round(seconds, 3) AS seconds FROM (SELECT *, sha1('v|175|' || said)[1:20] AS key FROM items WHERE said <> '') i LEFT JOIN kept USING (key)"))
+@query(v.sql(*_PAPER, _ITEMS,
+     "kept AS (SELECT sha1('v|175|' || said) [1:20] AS key, max(length(said)) / 10.0 AS seconds FROM items WHERE "
+     "said <> '' AND doc_id % 2 = 0 GROUP BY 1)",
+    query="SELECT doc_id, item_id, i.key, seconds IS NOT NULL AS reused, round(seconds, 3) AS seconds FROM (SELECT "
+         "*, sha1('v|175|' || said)[1:20] AS key FROM items WHERE said <> '') i LEFT JOIN kept USING (key)"))
 def speech_plan(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
     cache = items.filter("doc_id % 2 = 0").select(reading.cache_key(F.col("said"), "v", 175).alias("key"), (F.length("said") / 10).alias("seconds"))
@@ -83,16 +86,20 @@ _CHAPTERS = """kept AS (SELECT *, level = 1 OR row_number() OVER (PARTITION BY d
 counted AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY n) AS chapter FROM kept)"""
 
 
-@query(v.sql(*_PAPER, _CHAPTERS, query="""SELECT doc_id, n, chapter, lpad(chapter::VARCHAR, 2, '0') || '_' || coalesce(nullif(substr(array_to_string(regexp_extract_all(first_value(title) OVER (PARTITION BY doc_id, chapter ORDER BY n), '[A-Za-z0-9]+'), '_'), 1, 60), ''), 'section') || '.m4a' AS file FROM counted"""))
+@query(v.sql(*_PAPER, _CHAPTERS, query="SELECT doc_id, n, chapter, lpad(chapter::VARCHAR, 2, '0') || '_' || "
+     "coalesce(nullif(substr(array_to_string(regexp_extract_all(first_value(title) OVER (PARTITION BY doc_id, "
+     "chapter ORDER BY n), '[A-Za-z0-9]+'), '_'), 1, 60), ''), 'section') || '.m4a' AS file FROM counted"))
 def chapter_files(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(reading.chapters(a.outlined(spark, d)[0]).select("doc_id", "n", "chapter", "file"), "chapter")
 
 
-@query(v.sql(*_PAPER, query=rf"SELECT doc_id, count(*) AS n FROM sentences JOIN (SELECT doc_id, n AS section FROM sections WHERE kind <> 'back') USING (doc_id, section) WHERE {spoken_sql('text')} <> '' AND len(regexp_extract_all(text, '[A-Za-z](?:[A-Za-z''’-]*[A-Za-z])?')) >= 4 GROUP BY 1"))
+@query(v.sql(*_PAPER,
+    query=rf"SELECT doc_id, count(*) AS n FROM sentences JOIN (SELECT doc_id, n AS section FROM sections WHERE kind <> 'back') USING (doc_id, section) WHERE {spoken_sql('text')} <> '' AND len(regexp_extract_all(text, '[A-Za-z](?:[A-Za-z''’-]*[A-Za-z])?')) >= 4 GROUP BY 1"))
 def practice_eligible(spark: SparkSession, d: str) -> DataFrame:
     sections, sentences = a.outlined(spark, d)
     kept = sections.filter("kind <> 'back'").select("doc_id", F.col("n").alias("section"))
-    rows = sentences.join(kept, ["doc_id", "section"], "left_semi").filter((text.speech(F.col("text")) != "") & (F.size(text.shown_words(F.col("text"))) >= 4))
+    rows = sentences.join(kept, ["doc_id", "section"], "left_semi").filter((text.speech(F.col("text")) != "")
+        & (F.size(text.shown_words(F.col("text"))) >= 4))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
@@ -108,13 +115,19 @@ asked AS (SELECT doc_id, chapter, count(*) AS questions FROM quiz WHERE q IS NOT
 def _quizzes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A question on each section with two sentences of every third paper; those on every fifth section are not asked."""
     sections, sentences = a.outlined(spark, d)
-    both = sentences.filter("doc_id % 3 = 0").groupBy("doc_id", F.col("section").alias("n")).agg(F.max(F.when(F.col("k") == 1, F.col("text"))).alias("x"), F.max(F.when(F.col("k") == 2, F.col("text"))).alias("y")).filter("x is not null and y is not null")
+    both = sentences.filter("doc_id % 3 = 0").groupBy("doc_id", F.col("section").alias("n")).agg(F.max(F.when(F.col("k") == 1,
+        F.col("text"))).alias("x"), F.max(F.when(F.col("k") == 2,
+        F.col("text"))).alias("y")).filter("x is not null and y is not null")
     q = F.when(F.col("n") % 5 > 0, F.concat(F.lit("Why "), F.col("n").cast("string"), F.lit("?")))
-    rows = sections.join(both, ["doc_id", "n"]).select("doc_id", (F.col("n") * 10).alias("question"), F.col("title").alias("chapter"), q.alias("q"), F.array("x", "y", F.lit("nowhere")).alias("evidence"))
+    rows = sections.join(both, ["doc_id", "n"]).select("doc_id", (F.col("n") * 10).alias("question"),
+        F.col("title").alias("chapter"), q.alias("q"), F.array("x", "y", F.lit("nowhere")).alias("evidence"))
     return rows, sections, sentences
 
 
-@query(v.sql(*_PAPER, _QUIZZES, query="""SELECT s.doc_id, n AS section, questions, coalesce((SELECT string_agg(id, ',' ORDER BY question, i) FROM quoted q WHERE q.doc_id = s.doc_id AND q.chapter = s.title), '') AS evidence FROM sections s JOIN asked c ON c.doc_id = s.doc_id AND c.chapter = s.title"""))
+@query(v.sql(*_PAPER, _QUIZZES,
+    query="SELECT s.doc_id, n AS section, questions, coalesce((SELECT string_agg(id, ',' ORDER BY question, i) FROM "
+     "quoted q WHERE q.doc_id = s.doc_id AND q.chapter = s.title), '') AS evidence FROM sections s JOIN asked c ON "
+     "c.doc_id = s.doc_id AND c.chapter = s.title"))
 def quiz_view(spark: SparkSession, d: str) -> DataFrame:
     return reading.quiz_view(*_quizzes(spark, d)).withColumn("evidence", F.array_join("evidence", ","))
 
@@ -140,10 +153,12 @@ def _stored_papers(spark: SparkSession, d: str) -> DataFrame:
     title = F.when((m == 3) & (F.col("n") == 1), " ").otherwise(F.col("title"))
     kind = F.when((m == 4) & (F.col("n") == 1), "odd").otherwise(F.col("kind"))
     head = F.to_json(F.struct(title.alias("title"), kind.alias("kind"), F.when(F.col("n") % 2 == 1, F.col("level")).alias("level")))
-    listed = F.concat(F.lit(', "sentences": ['), F.array_join(F.coalesce(F.transform("j", lambda x: x["j"]), F.array().cast("array<string>")), ", "), F.lit("]"))
+    listed = F.concat(F.lit(', "sentences": ['), F.array_join(F.coalesce(F.transform("j", lambda x: x["j"]),
+        F.array().cast("array<string>")), ", "), F.lit("]"))
     section = F.concat(F.regexp_replace(head, "}$", ""), F.when((m == 5) & (F.col("n") == 1), "").otherwise(listed), F.lit("}"))
     docs = rows.select("doc_id", "n", section.alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("x"))
-    whole = F.concat(F.lit('{"title": "T", '), F.when(F.col("doc_id") % 9 == 0, '"manual": {"by": "x"}, ').otherwise(""), F.lit('"sections": ['), F.array_join(F.transform("x", lambda i: i["s"]), ", "), F.lit("]}"))
+    whole = F.concat(F.lit('{"title": "T", '), F.when(F.col("doc_id") % 9 == 0, '"manual": {"by": "x"}, ').otherwise(""),
+        F.lit('"sections": ['), F.array_join(F.transform("x", lambda i: i["s"]), ", "), F.lit("]}"))
     json = F.when(m == 1, F.regexp_replace(whole, r"\]}$", "")).when(m == 2, '{"title": "T"}').otherwise(whole)
     return docs.select("doc_id", json.alias("json"), F.when(F.col("doc_id") % 4 == 0, "v2").otherwise("v3").alias("extractor_version"))
 
@@ -155,13 +170,15 @@ def document_errors(spark: SparkSession, d: str) -> DataFrame:
     return reading.loaded(_stored_papers(spark, d))[2]
 
 
-@query(v.sql(*_PAPER, rf"n AS (SELECT *, {_NUMBER} AS x FROM sections WHERE doc_id % 7 = 0 OR doc_id % 7 = 6 AND NOT EXISTS (SELECT 1 FROM sentences t WHERE t.doc_id = sections.doc_id AND t.section = 1 AND t.k = 1))",
+@query(v.sql(*_PAPER,
+     rf"n AS (SELECT *, {_NUMBER} AS x FROM sections WHERE doc_id % 7 = 0 OR doc_id % 7 = 6 AND NOT EXISTS (SELECT 1 FROM sentences t WHERE t.doc_id = sections.doc_id AND t.section = 1 AND t.k = 1))",
     query=rf"SELECT doc_id, n, title, x AS number, CASE WHEN n % 2 = 1 THEN level WHEN x <> '' THEN len(string_split(x, '.')) ELSE 1 END AS level, kind, 1 AS page, {headed_sql('x', chr(39).join(['regexp_replace(title, ', r'^\d+(?:\.\d+)*\.?\s+', ', ', '', ')']))} AS speech_title FROM n"))
 def document_sections(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(reading.loaded(_stored_papers(spark, d))[0], "n", "level", "page")
 
 
-@query(v.sql(*_PAPER, query=f"SELECT s.doc_id, section, row_number() OVER (PARTITION BY s.doc_id, section ORDER BY k) AS k, text, {spoken_sql('text')} AS spoken FROM sentences s WHERE s.doc_id % 7 = 0 OR s.doc_id % 7 = 6 AND NOT EXISTS (SELECT 1 FROM sentences t WHERE t.doc_id = s.doc_id AND t.section = 1 AND t.k = 1)"))
+@query(v.sql(*_PAPER,
+    query=f"SELECT s.doc_id, section, row_number() OVER (PARTITION BY s.doc_id, section ORDER BY k) AS k, text, {spoken_sql('text')} AS spoken FROM sentences s WHERE s.doc_id % 7 = 0 OR s.doc_id % 7 = 6 AND NOT EXISTS (SELECT 1 FROM sentences t WHERE t.doc_id = s.doc_id AND t.section = 1 AND t.k = 1)"))
 def document_sentences(spark: SparkSession, d: str) -> DataFrame:
     return reading.loaded(_stored_papers(spark, d))[1]
 
@@ -175,14 +192,18 @@ _FIGURES = """figs AS (SELECT p_partkey % 50 AS doc_id, p_partkey AS item, CASE
   ['figure', 'table', 'equation', 'image', 'odd'][p_partkey % 5 + 1] AS kind, CASE WHEN p_partkey % 4 > 0 THEN 'Fig. ' || p_size ELSE '' END AS label FROM part), names AS (SELECT p_partkey % 50 AS doc_id, 'f' || p_partkey || '.png' AS file FROM part WHERE p_partkey % 7 > 0)"""
 
 
-@query(v.sql(_FIGURES, "j AS (SELECT f.*, coalesce(regexp_matches(f.file, '^[A-Za-z0-9_-]+\\.png$'), false) AS named, n.file IS NOT NULL AS there FROM figs f LEFT JOIN names n USING (doc_id, file))",
+@query(v.sql(_FIGURES,
+     "j AS (SELECT f.*, coalesce(regexp_matches(f.file, '^[A-Za-z0-9_-]+\\.png$'), false) AS named, n.file IS NOT "
+     "NULL AS there FROM figs f LEFT JOIN names n USING (doc_id, file))",
     query="""SELECT doc_id, item, 'error' AS level, 'file' AS code FROM j WHERE NOT named UNION ALL SELECT doc_id, item, 'error', 'missing' FROM j WHERE named AND NOT there UNION ALL SELECT doc_id, item, 'error', 'kind' FROM j WHERE named AND there AND kind = 'odd'
   UNION ALL SELECT doc_id, item, 'warning', 'label' FROM j WHERE named AND there AND label = '' AND kind IN ('figure', 'table', 'equation') UNION ALL SELECT doc_id, item, 'warning', 'image' FROM j WHERE named AND there AND kind = 'image'"""))
 def figure_issues(spark: SparkSession, d: str) -> DataFrame:
     i, p = F.col("p_partkey"), a.table(spark, d, "part")
     name = F.concat(F.lit("f"), i.cast("string"), F.lit(".png"))
     kinds = F.array(*[F.lit(x) for x in ("figure", "table", "equation", "image", "odd")])
-    items = p.select((i % 50).alias("doc_id"), i.alias("item"), F.when(i % 6 == 0, "../x.png").when(i % 6 > 1, name).alias("file"), F.get(kinds, (i % 5).cast("int")).alias("kind"), F.when(i % 4 > 0, F.concat(F.lit("Fig. "), F.col("p_size").cast("string"))).otherwise("").alias("label"))
+    items = p.select((i % 50).alias("doc_id"), i.alias("item"), F.when(i % 6 == 0, "../x.png").when(i % 6 > 1,
+        name).alias("file"), F.get(kinds, (i % 5).cast("int")).alias("kind"), F.when(i % 4 > 0, F.concat(F.lit("Fig. "),
+        F.col("p_size").cast("string"))).otherwise("").alias("label"))
     return reading.figure_issues(items, p.filter(i % 7 > 0).select((i % 50).alias("doc_id"), name.alias("file")))
 
 
@@ -207,13 +228,18 @@ def heading_scores(spark: SparkSession, d: str) -> DataFrame:
     return _head_scores(spark, d)
 
 
-@query(v.sql(*_PAPER, _HEADS, _HEAD_SETS, _SCORES, query='SELECT count(*) AS papers, round(avg("precision"), 3) AS "precision", round(avg(recall), 3) AS recall, round(avg(f1), 3) AS f1 FROM scores'))
+@query(v.sql(*_PAPER, _HEADS, _HEAD_SETS, _SCORES,
+    query='SELECT count(*) AS papers, round(avg("precision"), 3) AS "precision", round(avg(recall), 3) AS recall, '
+     'round(avg(f1), 3) AS f1 FROM scores'))
 def heading_scores_mean(spark: SparkSession, d: str) -> DataFrame:
     return reading.macro(_head_scores(spark, d), "precision", "recall", "f1")
 
 
-@query(v.sql(*_PAPER, r"keys AS (SELECT s.doc_id, section, k, trim(lower(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS key FROM sentences s JOIN sections h ON h.doc_id = s.doc_id AND h.n = section WHERE kind <> 'back')",
-    "t AS (SELECT DISTINCT doc_id, key FROM keys), f AS (SELECT DISTINCT doc_id, key FROM keys WHERE (section + k) % 4 > 0)", _SCORES, query="SELECT * FROM scores"))
+@query(v.sql(*_PAPER,
+     r"keys AS (SELECT s.doc_id, section, k, trim(lower(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS key FROM "
+     r"sentences s JOIN sections h ON h.doc_id = s.doc_id AND h.n = section WHERE kind <> 'back')",
+    "t AS (SELECT DISTINCT doc_id, key FROM keys), f AS (SELECT DISTINCT doc_id, key FROM keys WHERE (section " "+ k) % 4 > 0)",
+         _SCORES, query="SELECT * FROM scores"))
 def sentence_scores(spark: SparkSession, d: str) -> DataFrame:
     sections, sentences = a.outlined(spark, d)
     kept = sections.filter("kind <> 'back'").select("doc_id", F.col("n").alias("section"))
@@ -222,9 +248,14 @@ def sentence_scores(spark: SparkSession, d: str) -> DataFrame:
     return quality.set_scores(rows.select("doc_id", reading.squeezed(F.col("text")).alias("key")), found, "doc_id")
 
 
-@query(v.sql(*_PAPER, "t AS (SELECT DISTINCT doc_id, key FROM refs)", "f AS (SELECT doc_id, key FROM refs WHERE n % 3 > 0 UNION ALL SELECT doc_id, NULL FROM papers WHERE doc_id % 4 = 0)",
-    "ft AS (SELECT doc_id, count(*) AS auto, count(*) FILTER (key IS NULL) AS unlabeled FROM f GROUP BY 1)", "hit AS (SELECT doc_id, count(*) AS hits FROM t SEMI JOIN f USING (doc_id, key) GROUP BY 1)", "tt AS (SELECT doc_id, count(*) AS truth FROM t GROUP BY 1)",
-    query="SELECT doc_id, coalesce(truth, 0) AS truth, coalesce(auto, 0) AS auto, round(coalesce(hits, 0) / greatest(coalesce(truth, 0), 1), 3) AS recall, coalesce(unlabeled, 0) AS unlabeled FROM tt FULL JOIN ft USING (doc_id) LEFT JOIN hit USING (doc_id)"))
+@query(v.sql(*_PAPER, "t AS (SELECT DISTINCT doc_id, key FROM refs)",
+     "f AS (SELECT doc_id, key FROM refs WHERE n % 3 > 0 UNION ALL SELECT doc_id, NULL FROM papers WHERE doc_id % 4 " "= 0)",
+    "ft AS (SELECT doc_id, count(*) AS auto, count(*) FILTER (key IS NULL) AS unlabeled FROM f GROUP BY 1)",
+         "hit AS (SELECT doc_id, count(*) AS hits FROM t SEMI JOIN f USING (doc_id, key) GROUP BY 1)",
+         "tt AS (SELECT doc_id, count(*) AS truth FROM t GROUP BY 1)",
+    query="SELECT doc_id, coalesce(truth, 0) AS truth, coalesce(auto, 0) AS auto, round(coalesce(hits, 0) / "
+         "greatest(coalesce(truth, 0), 1), 3) AS recall, coalesce(unlabeled, 0) AS unlabeled FROM tt FULL JOIN ft "
+         "USING (doc_id) LEFT JOIN hit USING (doc_id)"))
 def figure_recall(spark: SparkSession, d: str) -> DataFrame:
     refs = a.annotated(spark, d).select("doc_id", "n", F.explode(text.figure_keys(F.col("body"))).alias("key"))
     none = a.papers(spark, d).filter("doc_id % 4 = 0").select("doc_id", F.lit(None).cast("string"))
@@ -232,7 +263,8 @@ def figure_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(v.sql(*_PAPER, "missing AS (SELECT DISTINCT doc_id, key FROM refs WHERE key NOT IN ('figure:1', 'figure:2', 'figure:3', 'figure:4'))",
-    query=r"SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY split_part(key, ':', 1), TRY_CAST(regexp_extract(key, '\d+', 0) AS BIGINT), key) AS place FROM missing QUALIFY place <= 10"))
+    query=r"SELECT doc_id, key, row_number() OVER (PARTITION BY doc_id ORDER BY split_part(key, ':', 1), "
+         r"TRY_CAST(regexp_extract(key, '\d+', 0) AS BIGINT), key) AS place FROM missing QUALIFY place <= 10"))
 def missing_figures_first(spark: SparkSession, d: str) -> DataFrame:
     cited = a.annotated(spark, d).select("doc_id", F.explode(text.figure_keys(F.col("body"))).alias("key"))
     there = a.papers(spark, d).select("doc_id", F.explode(F.array(*[F.lit(f"figure:{i}") for i in range(1, 5)])).alias("key"))
@@ -245,7 +277,8 @@ _METAS = """metas AS (SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN title ELSE ''
   CASE WHEN doc_id % 3 > 0 THEN DATE '2020-01-01' + CAST(doc_id % 900 AS INT) END AS created, CASE WHEN doc_id % 4 = 1 THEN DATE '2022-01-01' + CAST(doc_id % 77 AS INT) END AS downloaded FROM papers)"""
 _SORTS = " UNION ALL ".join(
     f"SELECT '{key}' AS sort, {desc} AS newest, doc_id, row_number() OVER (ORDER BY {value} {'DESC' if desc == 'true' else 'ASC'} NULLS LAST, doc_id) AS place FROM metas"
-    for key, value in (("imported", "imported"), ("created", "created"), ("downloaded", "downloaded"), ("title", "nullif(lower(title), '')"), ("pages", "pages"))
+    for key, value in (("imported", "imported"), ("created", "created"), ("downloaded", "downloaded"), ("title",
+         "nullif(lower(title), '')"), ("pages", "pages"))
     for desc in ("true", "false")
 )
 
@@ -256,13 +289,16 @@ def paper_sorts(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     day = lambda start, n: F.date_add(F.lit(start).cast("date"), (i % n).cast("int"))
     metas = a.papers(spark, d).select(
-        "doc_id", F.when(i % 5 > 0, F.col("title")).otherwise("").alias("title"), F.when(i % 7 > 0, F.floor(F.length("text") / 1000)).alias("pages"), day("2024-01-01", 300).alias("imported"),
+        "doc_id", F.when(i % 5 > 0, F.col("title")).otherwise("").alias("title"), F.when(i % 7 > 0,
+            F.floor(F.length("text") / 1000)).alias("pages"), day("2024-01-01", 300).alias("imported"),
         F.when(i % 3 > 0, day("2020-01-01", 900)).alias("created"), F.when(i % 4 == 1, day("2022-01-01", 77)).alias("downloaded"),
     )
     return papers.sorted_every_way(metas)
 
 
-@query(v.sql(v.PAPERS, v.LINES, v.MARKS, "saved AS (SELECT paper, updated_at AS read_at, event_id % 10 AS done FROM marks QUALIFY row_number() OVER (PARTITION BY paper ORDER BY updated_at DESC, event_id) = 1)",
+@query(v.sql(v.PAPERS, v.LINES, v.MARKS,
+     "saved AS (SELECT paper, updated_at AS read_at, event_id % 10 AS done FROM marks QUALIFY row_number() OVER "
+     "(PARTITION BY paper ORDER BY updated_at DESC, event_id) = 1)",
     query="""SELECT p.paper_id, coalesce(p.folder, '') AS folder, coalesce(l.n, 0) AS n_lines, coalesce(m.n, 0) AS n_marks, s.read_at, s.done FROM papers p LEFT JOIN (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1) l USING (doc_id)
   LEFT JOIN (SELECT paper, count(*) AS n FROM marks WHERE deleted = 0 GROUP BY 1) m ON m.paper = p.doc_id LEFT JOIN saved s ON s.paper = p.doc_id"""))
 def paper_catalog_join(spark: SparkSession, d: str) -> DataFrame:
@@ -270,20 +306,28 @@ def paper_catalog_join(spark: SparkSession, d: str) -> DataFrame:
     marks = a.marks(spark, d)
     n = a.lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
     m = marks.filter("deleted = 0").groupBy(F.col("paper").alias("doc_id")).agg(F.count("*").alias("n_marks"))
-    saved = logs.last_write(marks.select("paper", "updated_at", "event_id"), "paper").select(F.col("paper").alias("doc_id"), F.col("updated_at").alias("read_at"), (F.col("event_id") % 10).alias("done"))
+    saved = logs.last_write(marks.select("paper", "updated_at", "event_id"), "paper").select(F.col("paper").alias("doc_id"),
+        F.col("updated_at").alias("read_at"), (F.col("event_id") % 10).alias("done"))
     p = a.papers(spark, d).select("paper_id", "doc_id", F.coalesce("folder", F.lit("")).alias("folder"))
     rows = reduce(lambda x, y: x.join(y, "doc_id", "left"), [n, m, saved], p)
-    return rows.select("paper_id", "folder", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_marks", F.lit(0)).alias("n_marks"), "read_at", "done")
+    return rows.select("paper_id", "folder", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_marks",
+        F.lit(0)).alias("n_marks"), "read_at", "done")
 
 
-@query(v.sql(v.PAPERS, v.LINES, "p AS (SELECT doc_id, n, CASE n % 3 WHEN 1 THEN CASE n % 2 WHEN 0 THEN '[' || n || '] ' ELSE n || '. ' END || line ELSE line END AS line FROM lines WHERE trim(line, ' ') <> '')",
-    r"g AS (SELECT *, count(*) FILTER (regexp_matches(line, '^(\[\d+\]|\d{1,3}\.\s|\d{1,3}\s+[A-Z])')) OVER (PARTITION BY doc_id ORDER BY n) AS entry, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM p)",
-    query="SELECT doc_id, entry, count(*) AS n_lines, string_agg(line, ' ' ORDER BY n) AS text FROM (SELECT * REPLACE (greatest(entry, 1) AS entry) FROM g) GROUP BY 1, 2"))
+@query(v.sql(v.PAPERS, v.LINES,
+     "p AS (SELECT doc_id, n, CASE n % 3 WHEN 1 THEN CASE n % 2 WHEN 0 THEN '[' || n || '] ' ELSE n || '. ' END || "
+     "line ELSE line END AS line FROM lines WHERE trim(line, ' ') <> '')",
+    r"g AS (SELECT *, count(*) FILTER (regexp_matches(line, '^(\[\d+\]|\d{1,3}\.\s|\d{1,3}\s+[A-Z])')) OVER "
+         r"(PARTITION BY doc_id ORDER BY n) AS entry, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS r FROM " r"p)",
+    query="SELECT doc_id, entry, count(*) AS n_lines, string_agg(line, ' ' ORDER BY n) AS text FROM (SELECT * "
+         "REPLACE (greatest(entry, 1) AS entry) FROM g) GROUP BY 1, 2"))
 def reference_grouping(spark: SparkSession, d: str) -> DataFrame:
     """Lines as references, of which every third begins one."""
     n = F.col("n").cast("string")
-    head = F.when(F.col("n") % 3 == 1, F.when(F.col("n") % 2 == 0, F.concat(F.lit("["), n, F.lit("] "))).otherwise(F.concat(n, F.lit(". ")))).otherwise("")
-    return _as_long(papers.references(a.lines(spark, d).select("doc_id", "n", F.concat(head, "line").alias("line")).filter("trim(line) <> ''")), "entry")
+    head = F.when(F.col("n") % 3 == 1, F.when(F.col("n") % 2 == 0, F.concat(F.lit("["), n, F.lit("] "))).otherwise(F.concat(n,
+        F.lit(". ")))).otherwise("")
+    return _as_long(papers.references(a.lines(spark, d).select("doc_id", "n", F.concat(head,
+        "line").alias("line")).filter("trim(line) <> ''")), "entry")
 
 
 # --- the glossary behind the dictionary ------------------------------------------------------------------------------
@@ -309,9 +353,12 @@ def glossary_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED, v.SECTIONS, v.TOKENS, v.DICTIONARY, _COUNTS, _WORDS,
     f"said AS (SELECT doc_id, section, k, lower(unnest(regexp_extract_all(text, '{a.TOKEN}'))) AS t FROM sentences)",
-    "keys AS (SELECT doc_id, section, k, CASE WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN substr(t, 1, length(t) - 1) ELSE t END AS key FROM said)",
-    "asked AS (SELECT doc_id, word, CASE WHEN length(word) > 3 AND word LIKE '%s' AND word NOT LIKE '%ss' THEN substr(word, 1, length(word) - 1) ELSE word END AS key FROM words)",
-    query="SELECT doc_id, word, section, k FROM asked JOIN keys USING (doc_id, key) QUALIFY row_number() OVER (PARTITION BY doc_id, word ORDER BY section, k) = 1"))
+    "keys AS (SELECT doc_id, section, k, CASE WHEN length(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN "
+         "substr(t, 1, length(t) - 1) ELSE t END AS key FROM said)",
+    "asked AS (SELECT doc_id, word, CASE WHEN length(word) > 3 AND word LIKE '%s' AND word NOT LIKE '%ss' THEN "
+         "substr(word, 1, length(word) - 1) ELSE word END AS key FROM words)",
+    query="SELECT doc_id, word, section, k FROM asked JOIN keys USING (doc_id, key) QUALIFY row_number() OVER "
+         "(PARTITION BY doc_id, word ORDER BY section, k) = 1"))
 def glossary_places(spark: SparkSession, d: str) -> DataFrame:
     words = terms.glossary_words(a.tokens(spark, d), a.dictionary(spark, d))
     return _as_long(terms.first_places_of(words, a.outlined(spark, d)[1], a.TOKEN), "section", "k")

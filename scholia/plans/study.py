@@ -72,7 +72,8 @@ def review_next_new(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(v.sql(v.REVIEWS, "gone AS (SELECT uid, headword FROM reviews WHERE device = 1 ORDER BY reviewed_at DESC, uid DESC LIMIT 1)",
-    "past AS (SELECT * FROM reviews WHERE headword = (SELECT headword FROM gone) AND uid <> (SELECT uid FROM gone))", LISTS, STATES, query=STATE))
+    "past AS (SELECT * FROM reviews WHERE headword = (SELECT headword FROM gone) AND uid <> (SELECT uid FROM " "gone))", LISTS,
+         STATES, query=STATE))
 def review_undo(spark: SparkSession, d: str) -> DataFrame:
     return study.undo(a.reviews(spark, d), 1)[1]
 
@@ -93,13 +94,16 @@ def _progress(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], dict[s
     seen, rows = lookups(spark, d), a.reviews(spark, d)
     marks = a.marks(spark, d).withColumn("sentence", F.concat(F.lit("s"), F.col("uid").cast("string")))
     new = marks.filter("device = 1").withColumns({
-        "paper": F.when(F.col("event_id") % 19 > 0, F.col("paper")), "sentence": F.when(F.col("event_id") % 3 > 0, F.col("sentence")).otherwise(""), "note": F.when(F.col("event_id") % 2 > 0, F.col("note")),
+        "paper": F.when(F.col("event_id") % 19 > 0, F.col("paper")), "sentence": F.when(F.col("event_id") % 3 > 0,
+            F.col("sentence")).otherwise(""), "note": F.when(F.col("event_id") % 2 > 0, F.col("note")),
     })
     uid = F.col("uid")
-    old = {"lookups": seen.filter("uid % 3 = 0"), "reviews": rows.filter("device = 0"), "positions": marks.filter("device = 0"), "marks": marks.filter("device = 0")}
+    old = {"lookups": seen.filter("uid % 3 = 0"), "reviews": rows.filter("device = 0"), "positions": marks.filter("device = 0"),
+         "marks": marks.filter("device = 0")}
     incoming = {
         "lookups": seen.filter("uid % 4 > 0").withColumn("uid", F.when(uid % 11 > 0, uid)),
-        "reviews": rows.filter("uid % 5 > 0").select(F.when(uid % 13 > 0, uid).alias("uid"), F.when(uid % 17 > 0, F.col("headword")).alias("headword"), "rating", "reviewed_at", "device"),
+        "reviews": rows.filter("uid % 5 > 0").select(F.when(uid % 13 > 0, uid).alias("uid"), F.when(uid % 17 > 0,
+            F.col("headword")).alias("headword"), "rating", "reviewed_at", "device"),
         "positions": new, "marks": new,
     }
     return old, incoming
@@ -123,8 +127,11 @@ def marks_merged(spark: SparkSession, d: str) -> DataFrame:
     return logs.merged(old["marks"], changes, "uid").select("uid", "paper", "note", "updated_at", "deleted", "device")
 
 
-@query(v.sql(v.MARKS, """stamped AS (SELECT *, CAST(floor(epoch(updated_at)) AS BIGINT) - CASE WHEN event_id % 3 = 0 THEN 0 ELSE 32400 END AS moment FROM marks)""",
-    query="SELECT uid, moment, event_id, note FROM stamped QUALIFY row_number() OVER (PARTITION BY uid ORDER BY moment DESC, event_id) = 1"))
+@query(v.sql(v.MARKS,
+     "stamped AS (SELECT *, CAST(floor(epoch(updated_at)) AS BIGINT) - CASE WHEN event_id % 3 = 0 THEN 0 ELSE 32400 "
+     "END AS moment FROM marks)",
+    query="SELECT uid, moment, event_id, note FROM stamped QUALIFY row_number() OVER (PARTITION BY uid ORDER BY "
+         "moment DESC, event_id) = 1"))
 def lww_across_zones(spark: SparkSession, d: str) -> DataFrame:
     """Versions stamped in UTC, with an offset, and in a device's local time without any."""
     local = F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss")
@@ -137,7 +144,8 @@ def lww_across_zones(spark: SparkSession, d: str) -> DataFrame:
   CAST(floor((epoch(reviewed_at) + 32400) / 86400) * 86400 - 32400 AS BIGINT) AS midnight FROM reviews"""))
 def phone_times(spark: SparkSession, d: str) -> DataFrame:
     at = times.seconds(F.col("reviewed_at"))
-    return a.reviews(spark, d).select("uid", times.local_stamp(at, "Asia/Tokyo").alias("local_time"), times.local_midnight(at, "Asia/Tokyo").alias("midnight"))
+    return a.reviews(spark, d).select("uid", times.local_stamp(at, "Asia/Tokyo").alias("local_time"), times.local_midnight(at,
+         "Asia/Tokyo").alias("midnight"))
 
 
 # --- marks, notes, saves ---------------------------------------------------------------------------------------------
@@ -156,13 +164,18 @@ def _placed(spark: SparkSession, d: str) -> DataFrame:
 def marks_toggled(spark: SparkSession, d: str) -> DataFrame:
     at = F.lit("2024-02-01").cast("timestamp_ntz")
     p = a.table(spark, d, "events").select((F.col("event_id") % 50).alias("paper")).distinct()
-    taps = p.select("paper", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("sentence")).filter("(paper + sentence) % 3 = 0")
+    taps = p.select("paper", F.explode(F.sequence(F.lit(0).cast("long"),
+        F.lit(6).cast("long"))).alias("sentence")).filter("(paper + sentence) % 3 = 0")
     taps = taps.select((1_000_000 + F.col("paper") * 7 + F.col("sentence")).alias("uid"), "paper", "sentence", at.alias("at"))
     return _as_long(logs.toggle_marks(_placed(spark, d), taps), "deleted")
 
 
-@query(v.sql(v.MARKS, "m AS (SELECT uid, note, updated_at FROM marks QUALIFY row_number() OVER (PARTITION BY uid ORDER BY updated_at DESC, event_id) = 1)",
-    query="SELECT uid, CASE WHEN uid % 4 = 0 THEN substr(repeat('n' || uid, 600), 1, 2000) WHEN uid % 4 = 1 THEN 'short' ELSE note END AS note, CASE WHEN uid % 4 < 2 THEN TIMESTAMP '2024-02-01' ELSE updated_at END AS updated_at FROM m"))
+@query(v.sql(v.MARKS,
+     "m AS (SELECT uid, note, updated_at FROM marks QUALIFY row_number() OVER (PARTITION BY uid ORDER BY updated_at "
+     "DESC, event_id) = 1)",
+    query="SELECT uid, CASE WHEN uid % 4 = 0 THEN substr(repeat('n' || uid, 600), 1, 2000) WHEN uid % 4 = 1 THEN "
+         "'short' ELSE note END AS note, CASE WHEN uid % 4 < 2 THEN TIMESTAMP '2024-02-01' ELSE updated_at END AS "
+         "updated_at FROM m"))
 def marks_noted(spark: SparkSession, d: str) -> DataFrame:
     m = logs.last_write(a.marks(spark, d), "uid").select("uid", "note", "updated_at")
     uid = F.col("uid").cast("string")
@@ -171,18 +184,23 @@ def marks_noted(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(v.sql(v.MARKS, "saves AS (SELECT paper, CAST(floor(epoch(updated_at)) AS BIGINT) AS moment FROM marks)",
-    query="""SELECT paper, unnest(list_reduce(list_transform(list(moment ORDER BY moment), lambda x: [x]), lambda kept, x: CASE WHEN x[1] - kept[-1] >= 21600 THEN list_append(kept, x[1]) ELSE kept END)) AS moment FROM saves GROUP BY paper"""))
+    query="SELECT paper, unnest(list_reduce(list_transform(list(moment ORDER BY moment), lambda x: [x]), lambda "
+         "kept, x: CASE WHEN x[1] - kept[-1] >= 21600 THEN list_append(kept, x[1]) ELSE kept END)) AS moment FROM "
+         "saves GROUP BY paper"))
 def position_throttle(spark: SparkSession, d: str) -> DataFrame:
     saves = a.marks(spark, d).select("paper", times.seconds(F.col("updated_at")).alias("at"))
     return logs.throttled(saves, "paper", 21_600).select("paper", F.explode("kept").alias("moment"))
 
 
 @query(v.sql(v.REVIEWS, LOOKUPS, WORDS, "gone AS (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150 AND user_id IS NOT NULL)",
-    query="""SELECT 'words' AS name, count(*) AS n FROM words WHERE headword NOT IN (FROM gone) UNION ALL SELECT 'lookups', count(*) FROM lookups WHERE headword NOT IN (FROM gone) UNION ALL SELECT 'reviews', count(*) FROM reviews WHERE headword NOT IN (FROM gone)"""))
+    query="SELECT 'words' AS name, count(*) AS n FROM words WHERE headword NOT IN (FROM gone) UNION ALL SELECT "
+         "'lookups', count(*) FROM lookups WHERE headword NOT IN (FROM gone) UNION ALL SELECT 'reviews', count(*) "
+         "FROM reviews WHERE headword NOT IN (FROM gone)"))
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     gone = a.table(spark, d, "events").filter("event_type = 'error' and value > 150").select(F.col("user_id").alias("headword"))
     left = logs.without_words(words(spark, d), lookups(spark, d), a.reviews(spark, d), gone)
-    return reduce(DataFrame.union, [t.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, t in zip(("words", "lookups", "reviews"), left, strict=True)])
+    return reduce(DataFrame.union, [t.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, t in zip(("words",
+         "lookups", "reviews"), left, strict=True)])
 
 
 # --- practice --------------------------------------------------------------------------------------------------------
@@ -192,10 +210,13 @@ last20 AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY headword
 rates AS (SELECT headword, level, count(*) AS n, avg(score) AS rate FROM last20 GROUP BY 1, 2)"""
 
 
-@query(v.sql(v.REVIEWS, _SCORED, query="SELECT headword, level, n, round(rate, 6) AS rate, CASE WHEN n < 10 THEN 'none' WHEN rate > 0.9 AND level < 5 THEN 'up' WHEN rate < 0.5 AND level > 1 THEN 'down' ELSE 'none' END AS advice FROM rates"))
+@query(v.sql(v.REVIEWS, _SCORED,
+    query="SELECT headword, level, n, round(rate, 6) AS rate, CASE WHEN n < 10 THEN 'none' WHEN rate > 0.9 AND level < 5 "
+     "THEN 'up' WHEN rate < 0.5 AND level > 1 THEN 'down' ELSE 'none' END AS advice FROM rates"))
 def level_advice(spark: SparkSession, d: str) -> DataFrame:
     score = F.when(F.col("rating") >= 3, 1.0).when(F.col("rating") == 2, 0.5).otherwise(0.0)
-    history = a.reviews(spark, d).select("headword", (F.col("uid") % 5 + 1).alias("level"), score.alias("score"), F.col("reviewed_at").alias("at"), "uid")
+    history = a.reviews(spark, d).select("headword", (F.col("uid") % 5 + 1).alias("level"), score.alias("score"),
+        F.col("reviewed_at").alias("at"), "uid")
     return study.level_advice(history, "headword").withColumn("rate", F.round("rate", 6))
 
 
@@ -222,25 +243,34 @@ def shown_words(spark: SparkSession, d: str) -> DataFrame:
   WHERE level >= 4 OR place <= CASE level WHEN 1 THEN 1 WHEN 2 THEN greatest(1, floor(0.2 * size + 0.5)) ELSE greatest(2, floor(0.4 * size + 0.5)) END"""))
 def blank_selection(spark: SparkSession, d: str) -> DataFrame:
     rows = _shown(spark, d)
-    each = [study.blanks(rows, ["conv_id", "turn"], level).select(F.lit(level).cast("long").alias("level"), "conv_id", "turn", "pos", "word") for level in range(1, 6)]
+    each = [study.blanks(rows, ["conv_id", "turn"], level).select(F.lit(level).cast("long").alias("level"), "conv_id", "turn",
+         "pos", "word") for level in range(1, 6)]
     return reduce(DataFrame.union, each)
 
 
-@query(v.sql(LOOKUPS, query="SELECT headword, uid, row_number() OVER (PARTITION BY headword ORDER BY looked_at DESC, uid DESC) AS back FROM lookups WHERE sentence IS NOT NULL QUALIFY back <= 3"))
+@query(v.sql(LOOKUPS,
+    query="SELECT headword, uid, row_number() OVER (PARTITION BY headword ORDER BY looked_at DESC, uid DESC) AS back "
+     "FROM lookups WHERE sentence IS NOT NULL QUALIFY back <= 3"))
 def vocab_top_examples(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(study.latest_examples(lookups(spark, d)).select("headword", "uid", "back"), "back")
 
 
-@query(v.sql(LOOKUPS, "seen AS (SELECT headword, max(looked_at) AS last_seen, count(*) AS lookups, arg_max(uid, (looked_at, uid)) AS newest FROM lookups GROUP BY 1)",
-    query="SELECT s.headword, last_seen, lookups, l.sentence AS example FROM (SELECT * FROM seen ORDER BY last_seen DESC, headword LIMIT 500) s LEFT JOIN lookups l ON l.uid = newest"))
+@query(v.sql(LOOKUPS,
+     "seen AS (SELECT headword, max(looked_at) AS last_seen, count(*) AS lookups, arg_max(uid, (looked_at, uid)) AS "
+     "newest FROM lookups GROUP BY 1)",
+    query="SELECT s.headword, last_seen, lookups, l.sentence AS example FROM (SELECT * FROM seen ORDER BY last_seen "
+         "DESC, headword LIMIT 500) s LEFT JOIN lookups l ON l.uid = newest"))
 def vocab_list(spark: SparkSession, d: str) -> DataFrame:
     seen = lookups(spark, d)
     known = seen.groupBy("headword").agg(F.max("looked_at").alias("last_seen"), F.count("*").alias("lookups"))
     return study.word_list(known, seen)
 
 
-@query(v.sql(v.REVIEWS, "e AS (SELECT headword, uid, CASE WHEN uid % 4 = 0 THEN 't' || uid END AS translated, row_number() OVER (PARTITION BY headword ORDER BY reviewed_at DESC, uid DESC) AS back, count(*) OVER (PARTITION BY headword) AS n FROM reviews QUALIFY back <= 3)",
-    "pools AS (SELECT headword, any_value(n) AS n, CASE WHEN count(translated) > 0 THEN list(uid ORDER BY back) FILTER (translated IS NOT NULL) ELSE list(uid ORDER BY back) END AS pool FROM e GROUP BY 1)",
+@query(v.sql(v.REVIEWS, "e AS (SELECT headword, uid, CASE WHEN uid % 4 = 0 THEN 't' || uid END AS translated, row_number() OVER "
+     "(PARTITION BY headword ORDER BY reviewed_at DESC, uid DESC) AS back, count(*) OVER (PARTITION BY headword) AS "
+     "n FROM reviews QUALIFY back <= 3)",
+    "pools AS (SELECT headword, any_value(n) AS n, CASE WHEN count(translated) > 0 THEN list(uid ORDER BY "
+         "back) FILTER (translated IS NOT NULL) ELSE list(uid ORDER BY back) END AS pool FROM e GROUP BY 1)",
     query="SELECT headword, pool[CAST(n % len(pool) AS INT) + 1] AS example FROM pools"))
 def example_rotation(spark: SparkSession, d: str) -> DataFrame:
     rows = a.reviews(spark, d)
@@ -254,5 +284,6 @@ def example_rotation(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT rule_id, find, put, find <> lower(find) AS whole_case FROM (SELECT p_partkey AS rule_id, trim(p_name, ' ') AS find, repeat(p_name, CAST(p_partkey % 9 AS INT)) AS put FROM part)
   WHERE find <> '' AND trim(put, ' ') <> '' AND length(find) <= 60 AND length(trim(put, ' ')) <= 120 QUALIFY row_number() OVER (PARTITION BY find ORDER BY rule_id) = 1""")
 def rule_dedup(spark: SparkSession, d: str) -> DataFrame:
-    rules = a.table(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_name").alias("find"), F.expr("repeat(p_name, cast(p_partkey % 9 as int))").alias("put"), F.lit(None).cast("boolean").alias("whole_case"))
+    rules = a.table(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_name").alias("find"),
+        F.expr("repeat(p_name, cast(p_partkey % 9 as int))").alias("put"), F.lit(None).cast("boolean").alias("whole_case"))
     return papers.kept_rules(rules)

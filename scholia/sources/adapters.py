@@ -17,9 +17,12 @@ LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 TOKEN = f"[{LETTER}][{LETTER}-]*[{LETTER}]|[{LETTER}]"
 #: English function words that are never terms. Fixed values.
 STOP = (
-    "about above after again against all also and any are because been before being below between both but can could did does doing down during each few for from "
-    "further had has have having her here hers him his how into its itself just more most not now off once only other our out over own same she should some such "
-    "than that the their them then there these they this those through too under until very was were what when where which while who why will with would you your"
+    "about above after again against all also and any are because been before being below between both but can "
+         "could did does doing down during each few for from "
+    "further had has have having her here hers him his how into its itself just more most not now off once "
+         "only other our out over own same she should some such "
+    "than that the their them then there these they this those through too under until very was were what when "
+         "where which while who why will with would you your"
 ).split()
 
 
@@ -41,12 +44,14 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = row.groupBy(F.sha2("text", 256).alias("sha")).agg(F.min(place).alias("p")).select("sha", "p.file", "p.row")
     title = F.substring_index("text", "\n", 1)
     named = row.join(first, ["file", "row"])
-    return named.select(F.substring("sha", 1, 8).alias("paper_id"), "doc_id", F.col("source").alias("folder"), "lang", F.substring(title, 1, 60).alias("title"), "text")
+    return named.select(F.substring("sha", 1, 8).alias("paper_id"), "doc_id", F.col("source").alias("folder"), "lang",
+        F.substring(title, 1, 60).alias("title"), "text")
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n, line): the papers' lines, from 1."""
-    return papers(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n"))).select("doc_id", (F.col("pos") + 1).alias("n"), F.col("col").alias("line"))
+    return papers(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n"))).select("doc_id",
+        (F.col("pos") + 1).alias("n"), F.col("col").alias("line"))
 
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +63,8 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.floor((F.col("n") - 1) / 3)
     top = F.floor(k / 2) + 1 + F.when((F.col("doc_id") % 7 == 0) & (k >= 4), 1).otherwise(0)
     number = F.when(k % 2 == 0, top.cast("string")).otherwise(F.concat(top.cast("string"), F.lit("."), F.lit("1")))
-    cite = F.when(F.col("n") % 2 == 0, F.concat(F.lit(" ["), F.col("n").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit(" (Smith et al., "), (2000 + F.col("n") % 20).cast("string"), F.lit(")")))
+    cite = F.when(F.col("n") % 2 == 0, F.concat(F.lit(" ["), F.col("n").cast("string"),
+        F.lit("]"))).otherwise(F.concat(F.lit(" (Smith et al., "), (2000 + F.col("n") % 20).cast("string"), F.lit(")")))
     i, j = (F.col("n") % 9 + 1).cast("string"), (F.col("n") % 4 + 1).cast("string")
     figure = (
         F.when(F.col("n") % 5 == 0, F.concat(F.lit(" as in Fig. "), i, F.lit(".")))
@@ -70,7 +76,8 @@ def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         lines(spark, sf_dir)
         .withColumn("opens", (F.col("n") - 1) % 3 == 0)
-        .select("doc_id", "n", "line", "opens", k.alias("section"), number.alias("number"), F.when(k % 2 == 0, 1).otherwise(2).alias("level"), F.concat("line", cite, figure).alias("body"))
+        .select("doc_id", "n", "line", "opens", k.alias("section"), number.alias("number"), F.when(k % 2 == 0,
+            1).otherwise(2).alias("level"), F.concat("line", cite, figure).alias("body"))
     )
 
 
@@ -81,7 +88,8 @@ def outlined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     k = F.floor((F.col("n") - 1) / 3).cast("long")
     rows = annotated(spark, sf_dir).select("doc_id", "n", "opens", "level", "number", "line", "body", (k + 1).alias("section"))
     kind = F.when((F.col("section") == 1) & (F.col("doc_id") % 2 == 0), "front").when(F.col("section") > 12, "back").otherwise("body")
-    title = F.when((F.col("section") == 4) & (F.col("doc_id") % 5 == 0), "Abstract").otherwise(F.concat(F.col("number"), F.lit(" "), F.substring("line", 1, 40)))
+    title = F.when((F.col("section") == 4) & (F.col("doc_id") % 5 == 0), "Abstract").otherwise(F.concat(F.col("number"),
+        F.lit(" "), F.substring("line", 1, 40)))
     sections = rows.filter("opens").select("doc_id", F.col("section").alias("n"), "level", "number", kind.alias("kind"), title.alias("title"))
     return sections, rows.filter("not opens").select("doc_id", "section", ((F.col("n") - 1) % 3).cast("long").alias("k"), F.col("body").alias("text"))
 
@@ -92,35 +100,47 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     then, small print stands here and there, and the thirteenth section is titled References."""
     k = F.floor((F.col("n") - 1) / 3)
     page, row = F.floor((F.col("n") - 1) / 10) + 1, (F.col("n") - 1) % 10
-    rows = annotated(spark, sf_dir).select("doc_id", "n", "opens", "number", "line", "body", page.cast("long").alias("page"), row.alias("row"), k.alias("k"))
-    name = F.when((F.col("k") == 0) & (F.col("doc_id") % 2 == 0), "Abstract").when(F.col("k") == 12, "References").otherwise(F.concat("number", F.lit(" "), F.substring("line", 1, 40)))
+    rows = annotated(spark, sf_dir).select("doc_id", "n", "opens", "number", "line", "body", page.cast("long").alias("page"),
+        row.alias("row"), k.alias("k"))
+    name = F.when((F.col("k") == 0) & (F.col("doc_id") % 2 == 0), "Abstract").when(F.col("k") == 12,
+        "References").otherwise(F.concat("number", F.lit(" "), F.substring("line", 1, 40)))
     small = F.col("n") % 11 == 0
     size = F.when(F.col("opens"), 12.0).when(small, 7.0).otherwise(10.0)
-    laid = rows.select("doc_id", (F.col("n") * 10).cast("long").alias("n"), "page", size.alias("size"), F.col("opens").alias("bold"), ((F.col("row") + 1) * 0.08 + 0.02).alias("y"), F.when(F.col("opens"), name).otherwise(F.col("body")).alias("text"))
-    more = rows.filter((F.col("n") - 1) % 12 == 0).select("doc_id", (F.col("n") * 10 + 1).cast("long"), "page", F.lit(12.0), F.lit(True), (F.col("row") + 1) * 0.08 + 0.03, F.lit("and more of it"))
-    head = rows.groupBy("doc_id", "page").agg(F.min("n").alias("n")).select("doc_id", (F.col("n") * 10 - 5).cast("long"), "page", F.lit(8.0), F.lit(False), F.lit(0.03), F.concat(F.lit("Journal of Tests, page "), F.col("page").cast("string")))
+    laid = rows.select("doc_id", (F.col("n") * 10).cast("long").alias("n"), "page", size.alias("size"),
+        F.col("opens").alias("bold"), ((F.col("row") + 1) * 0.08 + 0.02).alias("y"), F.when(F.col("opens"),
+        name).otherwise(F.col("body")).alias("text"))
+    more = rows.filter((F.col("n") - 1) % 12 == 0).select("doc_id", (F.col("n") * 10 + 1).cast("long"), "page", F.lit(12.0),
+        F.lit(True), (F.col("row") + 1) * 0.08 + 0.03, F.lit("and more of it"))
+    head = rows.groupBy("doc_id", "page").agg(F.min("n").alias("n")).select("doc_id", (F.col("n") * 10 - 5).cast("long"), "page",
+         F.lit(8.0), F.lit(False), F.lit(0.03), F.concat(F.lit("Journal of Tests, page "), F.col("page").cast("string")))
     return laid.union(more).union(head)
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(uid, headword, rating, reviewed_at, device): the events as answers; error 1, view 2, click 3, others 4."""
-    rating = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "view", 2).when(F.col("event_type").isin("click", "purchase"), 3).otherwise(4)
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("uid"), F.col("user_id").alias("headword"), rating.alias("rating"), F.col("ts").alias("reviewed_at"), (F.col("event_id") % 2).alias("device"))
+    rating = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "view",
+        2).when(F.col("event_type").isin("click", "purchase"), 3).otherwise(4)
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("uid"), F.col("user_id").alias("headword"),
+        rating.alias("rating"), F.col("ts").alias("reviewed_at"), (F.col("event_id") % 2).alias("device"))
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(uid, paper, note, updated_at, deleted, device): events as versions of marks; every fifth is a tombstone."""
-    return table(spark, sf_dir, "events").select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("uid"), (F.col("event_id") % 50).alias("paper"), F.substring("props", 1, 20).alias("note"), F.col("ts").alias("updated_at"), F.when(F.col("event_id") % 5 == 0, 1).otherwise(0).alias("deleted"), (F.col("event_id") % 2).alias("device"), "event_id")
+    return table(spark, sf_dir, "events").select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("uid"),
+        (F.col("event_id") % 50).alias("paper"), F.substring("props", 1, 20).alias("note"), F.col("ts").alias("updated_at"),
+        F.when(F.col("event_id") % 5 == 0, 1).otherwise(0).alias("deleted"), (F.col("event_id") % 2).alias("device"), "event_id")
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(lower): the distinct words of `benchmark`."""
-    return table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN), 0)).alias("w")).select(F.lower("w").alias("lower")).distinct()
+    return table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN),
+        0)).alias("w")).select(F.lower("w").alias("lower")).distinct()
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, token) of the papers."""
-    return papers(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), 0))).select("doc_id", "pos", F.col("col").alias("token"))
+    return papers(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), 0))).select("doc_id",
+         "pos", F.col("col").alias("token"))
 
 
 def over(*keys: str, order: list[Column]) -> Window:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 #: Characters of a pasted text that are accepted.
 MOST_TEXT = 2_000_000
 PROGRESS = (
-    "kind string, version int, device string, exported_at string, lookups array<struct<uid:string,headword:string,meaning:string,source:string,looked_at:string,sentence:string>>, "
-    "reviews array<struct<uid:string,headword:string,rating:int,reviewed_at:string,device:string>>, positions array<struct<paper_id:string,sentence:string,item_id:string,offset:double,updated_at:string,device:string>>, "
+    "kind string, version int, device string, exported_at string, lookups "
+         "array<struct<uid:string,headword:string,meaning:string,source:string,looked_at:string,sentence:string>>, "
+    "reviews array<struct<uid:string,headword:string,rating:int,reviewed_at:string,device:string>>, positions "
+         "array<struct<paper_id:string,sentence:string,item_id:string,offset:double,updated_at:string,device:string>>, " ""
     "marks array<struct<uid:string,paper_id:string,sentence:string,note:string,updated_at:string,deleted:int,device:string>>"
 )
 
@@ -22,18 +24,22 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).filter(F.instr("value", "\t") > 0)
     at = F.instr("value", "\t")
     heads = F.explode(F.split(F.substring("value", F.lit(1), at - 1), ",")).alias("word")
-    return rows.select(heads, F.trim(F.substring("value", at + 1, F.length("value"))).alias("mean")).select(F.trim("word").alias("word"), "mean").filter("word <> ''").select("word", F.lower("word").alias("lower"), "mean")
+    return rows.select(heads, F.trim(F.substring("value", at + 1,
+        F.length("value"))).alias("mean")).select(F.trim("word").alias("word"), "mean").filter("word <> ''").select("word",
+        F.lower("word").alias("lower"), "mean")
 
 
 def write_dictionary_shards(words: DataFrame, path: str) -> None:
     """Writes a dictionary by first ASCII letter, so that a lookup reads one folder."""
     initial = F.substring("lower", 1, 1)
-    words.withColumn("initial", F.when(initial.rlike("^[a-z]$"), initial).otherwise("_")).repartition("initial", F.pmod(F.xxhash64("lower"), F.lit(8))).write.partitionBy("initial").parquet(path)
+    words.withColumn("initial", F.when(initial.rlike("^[a-z]$"), initial).otherwise("_")).repartition("initial",
+        F.pmod(F.xxhash64("lower"), F.lit(8))).write.partitionBy("initial").parquet(path)
 
 
 def import_texts(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     """(id, title, text) of texts (title, text) that are new to the catalog (id): not blank, not too long, once each."""
-    rows = texts.select(F.coalesce("title", F.lit("")).alias("title"), F.trim("text").alias("text")).filter((F.length("text") > 0) & (F.length("text") <= MOST_TEXT))
+    rows = texts.select(F.coalesce("title", F.lit("")).alias("title"), F.trim("text").alias("text")).filter((F.length("text") > 0)
+         & (F.length("text") <= MOST_TEXT))
     rows = rows.withColumn("id", F.substring(F.sha2(F.concat_ws("\n", "title", "text"), 256), 1, 8))
     return rows.dropDuplicates(["id"]).join(catalog.select("id"), "id", "left_anti").select("id", "title", "text")
 
@@ -59,7 +65,8 @@ def headings(text_lines: DataFrame) -> DataFrame:
     parts = F.when(F.forall(F.split(number, r"\."), lambda x: x.rlike("^[0-9]+$")), F.size(F.split(number, r"\.")))
     phrase = (F.size(words) <= MOST_WORDS) & ~F.substring(line, -1, 1).isin(*".!?,;:") & line.rlike("[A-Za-z]")
     lone = blank(F.lag("line").over(w)) & (blank(F.lead("line").over(w)) | capital(F.lead("line").over(w)))
-    plain = F.when(parts.isNotNull() & F.coalesce(capital(words[1]), F.lit(False)), F.least(parts, F.lit(DEEPEST))).when(lone & (F.size(words) <= MOST_LONE) & (capital(line) | line.rlike("^[0-9]")), 1)
+    plain = F.when(parts.isNotNull() & F.coalesce(capital(words[1]), F.lit(False)), F.least(parts, F.lit(DEEPEST))).when(lone
+        & (F.size(words) <= MOST_LONE) & (capital(line) | line.rlike("^[0-9]")), 1)
     level = F.when(hashes.between(1, DEEPEST) & (rest != ""), hashes).when(phrase, plain)
     out = text_lines.withColumn("level", level.cast("int"))
     return out.withColumn("heading", F.when(F.col("level").isNotNull(), F.coalesce(F.nullif(rest, F.lit("")), line)))
@@ -72,13 +79,16 @@ MOST_PROGRESS, VERSION = 20_000_000, 1
 def read_progress(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) progress files, one JSON document a file. accepted are (file, and what PROGRESS names); rejected are
     (file, reason): json, kind, version, reviews or lookups (one of them lacks what it needs, or a rating isn't 1 to 4)."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).filter(F.length("value") <= MOST_PROGRESS).withColumn("file", F.col("_metadata.file_path"))
-    rows = raw.select("file", F.try_parse_json("value").isNull().alias("broken"), F.from_json("value", PROGRESS).alias("x")).select("file", "broken", "x.*")
+    raw = spark.read.text(path, wholetext=True,
+        recursiveFileLookup=True).filter(F.length("value") <= MOST_PROGRESS).withColumn("file", F.col("_metadata.file_path"))
+    rows = raw.select("file", F.try_parse_json("value").isNull().alias("broken"), F.from_json("value",
+        PROGRESS).alias("x")).select("file", "broken", "x.*")
     filled = lambda x, *names: F.forall(F.array(*[x[n] for n in names]), lambda v: v.isNotNull())
     review = lambda x: filled(x, "uid", "headword", "reviewed_at") & F.coalesce(x["rating"].between(1, 4), F.lit(False))
     fine = lambda rows, test: F.coalesce(F.forall(rows, test), F.lit(True))
     reason = (
-        F.when(F.col("broken"), "json").when(~F.coalesce(F.col("kind") == "progress", F.lit(False)), "kind").when(~F.coalesce(F.col("version") == VERSION, F.lit(False)), "version")
+        F.when(F.col("broken"), "json").when(~F.coalesce(F.col("kind") == "progress", F.lit(False)),
+            "kind").when(~F.coalesce(F.col("version") == VERSION, F.lit(False)), "version")
         .when(~fine("reviews", review), "reviews").when(~fine("lookups", lambda x: filled(x, "uid", "headword", "meaning", "looked_at")), "lookups")
     )
     rows = rows.withColumn("reason", reason)
@@ -95,7 +105,8 @@ def write_progress(device: str, tables: dict[str, DataFrame], exported_at: str,
     learner's records are what bounds it."""
     tables = {**tables, "reviews": tables["reviews"].filter(F.col("device") == device)}
     spark = tables["reviews"].sparkSession
-    doc = spark.range(1).select(F.lit("progress").alias("kind"), F.lit(VERSION).alias("version"), F.lit(device).alias("device"), F.lit(exported_at).alias("exported_at"))
+    doc = spark.range(1).select(F.lit("progress").alias("kind"), F.lit(VERSION).alias("version"), F.lit(device).alias("device"),
+        F.lit(exported_at).alias("exported_at"))
     for name, df in tables.items():
         doc = doc.crossJoin(F.broadcast(df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))))  # one row each
     doc.coalesce(1).write.mode("overwrite").json(path)
@@ -122,7 +133,8 @@ def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 def ingest(existing: DataFrame, incoming: DataFrame, key: str, origin: str) -> DataFrame:
     """existing (key, ..., origin) with the rows of a bundle in place of its own of the same key; new ones are marked by where
     they come from, those that were there keep their origin."""
-    once = incoming.dropDuplicates([key]).join(existing.select(key, F.col("origin").alias("_had")), key, "left").withColumn("origin", F.coalesce("_had", F.lit(origin)))
+    once = incoming.dropDuplicates([key]).join(existing.select(key, F.col("origin").alias("_had")), key,
+        "left").withColumn("origin", F.coalesce("_had", F.lit(origin)))
     return existing.join(incoming.select(key), key, "left_anti").select(*existing.columns).unionByName(once.select(*existing.columns))
 
 
@@ -151,7 +163,8 @@ def marks_markdown(marks: DataFrame) -> DataFrame:
     one paper are what bounds the text."""
     w = Window.partitionBy("paper_id").orderBy("place")
     changed = F.coalesce(F.col("section") != F.lag("section").over(w), F.lit(True))
-    quote = F.concat(F.lit("> "), F.col("sentence"), F.when(F.coalesce("translated", F.lit("")) != "", F.concat(F.lit("\n>\n> "), F.col("translated"))).otherwise(""))
+    quote = F.concat(F.lit("> "), F.col("sentence"), F.when(F.coalesce("translated", F.lit("")) != "", F.concat(F.lit("\n>\n> "),
+         F.col("translated"))).otherwise(""))
     note: Column = F.when(F.coalesce(F.trim("note"), F.lit("")) != "", F.concat(F.lit("\n\n"), F.trim("note"))).otherwise("")
     item = F.concat(F.when(changed, F.concat(F.lit("## "), F.col("section"), F.lit("\n\n"))).otherwise(""), quote, note)
     rows = marks.withColumn("item", item).groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("x"))
@@ -160,5 +173,7 @@ def marks_markdown(marks: DataFrame) -> DataFrame:
 
 def pdf_date(raw: Column) -> Column:
     """A PDF date (D:YYYYMMDDhhmmss, later parts may lack) as a timestamp; null where it is none."""
-    part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(raw, r"^D:(\d{4})(\d\d)?(\d\d)?(\d\d)?(\d\d)?(\d\d)?", i), F.lit("")), F.lit(default))
-    return F.try_to_timestamp(F.concat(part(1, "x"), F.lit("-"), part(2, "01"), F.lit("-"), part(3, "01"), F.lit(" "), part(4, "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00")))
+    part = lambda i, default: F.coalesce(F.nullif(F.regexp_extract(raw, r"^D:(\d{4})(\d\d)?(\d\d)?(\d\d)?(\d\d)?(\d\d)?", i),
+        F.lit("")), F.lit(default))
+    return F.try_to_timestamp(F.concat(part(1, "x"), F.lit("-"), part(2, "01"), F.lit("-"), part(3, "01"), F.lit(" "), part(4,
+         "00"), F.lit(":"), part(5, "00"), F.lit(":"), part(6, "00")))

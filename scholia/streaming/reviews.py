@@ -34,9 +34,11 @@ def logs(stream: DataFrame) -> DataFrame:
                 kept.setdefault(int(uid), (int(rating), int(pd.Timestamp(at).value // 1_000_000_000)))
         state.update((list(kept), [r for r, _ in kept.values()], [t for _, t in kept.values()]))
         order = sorted(kept, key=lambda u: (kept[u][1], u))
-        yield pd.DataFrame([{"headword": key[0], "uids": order, "ratings": [kept[u][0] for u in order], "times": [kept[u][1] for u in order], "n": len(order)}])
+        yield pd.DataFrame([{"headword": key[0], "uids": order, "ratings": [kept[u][0] for u in order], "times": [kept[u][1]
+            for u in order], "n": len(order)}])
 
-    return stream.groupBy("headword").applyInPandasWithState(fold, SCHEMA, "uids array<long>, ratings array<int>, times array<long>", "update", "NoTimeout")
+    return stream.groupBy("headword").applyInPandasWithState(fold, SCHEMA,
+         "uids array<long>, ratings array<int>, times array<long>", "update", "NoTimeout")
 
 
 #: Parts of the stored log, by a hash of the headword: a batch reads those that its headwords are in.

@@ -11,11 +11,13 @@ def test_stream_gives_the_batch_state(spark, sf, tmp_path):
     rows.union(rows.limit(50)).repartition(3).write.parquet(path)
     seen = []
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    stream.writeStream.foreachBatch(lambda b, i: seen.extend((i, *r) for r in reviews.merge_into(b, log).collect())).option("checkpointLocation", str(tmp_path / "c1")).start().processAllAvailable()
+    stream.writeStream.foreachBatch(lambda b, i: seen.extend((i, *r) for r in reviews.merge_into(b,
+        log).collect())).option("checkpointLocation", str(tmp_path / "c1")).start().processAllAvailable()
     last = {r[1]: r[1:] for r in sorted(seen)}
     want = {r.headword: tuple(r) for r in replay(rows).collect()}
     assert last == want
-    q = reviews.logs(stream).writeStream.outputMode("update").format("memory").queryName("logs").option("checkpointLocation", str(tmp_path / "c2")).start()
+    q = reviews.logs(stream).writeStream.outputMode("update").format("memory").queryName("logs").option("checkpointLocation",
+        str(tmp_path / "c2")).start()
     q.processAllAvailable()
     got = spark.table("logs").groupBy("headword").agg(F.max("n").alias("n")).collect()
     assert {r.headword: r.n for r in got} == {w: x[-1] for w, x in want.items()}
