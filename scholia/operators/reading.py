@@ -93,6 +93,23 @@ PAPER = "title string, manual string, sections array<struct<title:string,number:
 SENTENCE = "t string, s string"
 
 
+def edited(sections: DataFrame, sentences: DataFrame, by: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """(sections, sentences) after an edit by hand of sections (doc_id, n, title, level, kind) and sentences (doc_id, section, k,
+    text): what follows from titles and texts (number, speech_title, spoken) is made anew, sections and sentences are
+    counted from 1 again, and the edit is stamped in `manual`."""
+    w, own = Window.partitionBy("doc_id").orderBy("n"), Window.partitionBy("doc_id", "section").orderBy("k")
+    number = F.regexp_extract("title", r"^(\d+(?:\.\d+)*)\.?\s", 1)
+    bare = F.when(number != "", F.regexp_replace("title", r"^\d+(?:\.\d+)*\.?\s+", "")).otherwise(F.col("title"))
+    stamp = F.struct(F.lit(by).alias("by"), F.lit(at).alias("at"))
+    rows = sections.withColumn("new", F.row_number().over(w))
+    heads = rows.select("doc_id", F.col("new").alias("n"), "title", number.alias("number"), "level", "kind",
+                        text.heading_speech(number, bare).alias("speech_title"), stamp.alias("manual"))
+    moved = sentences.join(rows.select("doc_id", F.col("n").alias("section"), "new"), ["doc_id", "section"])
+    said = moved.select("doc_id", F.col("new").alias("section"), F.row_number().over(own).alias("k"), "text",
+                        text.speech(F.col("text")).alias("spoken"))
+    return heads, said
+
+
 def needs_rebuild(meta: DataFrame, version: str) -> DataFrame:
     """Papers (doc_id, json, extractor_version) whose content must be made anew: there is none, or another version made it and
     nobody edited it by hand."""

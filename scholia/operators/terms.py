@@ -130,6 +130,13 @@ def entries(found: DataFrame, dictionary: DataFrame, most: int = 5) -> DataFrame
     return rows.withColumn("place", place).filter(F.col("place") <= most).select("word", "headword", "match", "mean", "place")
 
 
+def meanings(entries: DataFrame, most: int = 2) -> DataFrame:
+    """(word, headword, meaning): what is kept of a word that was looked up: its first entries' meanings, a line each."""
+    first = entries.filter(F.col("place") <= most).groupBy("word", "headword")
+    listed = first.agg(F.array_sort(F.collect_list(F.struct("place", "mean"))).alias("x"))
+    return listed.select("word", "headword", F.array_join(F.transform("x", lambda i: i["mean"]), "\n").alias("meaning"))
+
+
 def expanded(texts: DataFrame, stop: list[str] = STOP) -> DataFrame:
     """(doc_id, acronym, expansion) of texts (doc_id, n, text): for each acronym of a document what it stands for by the
     first place where its words stand before it in parentheses."""

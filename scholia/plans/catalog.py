@@ -132,6 +132,12 @@ def dictionary_entries(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(terms.entries(dictionary_ranked_lookup(spark, d), words.select(F.lower("w").alias("lower"), "mean", "id").distinct()), "place")
 
 
+@query(v.sql(v.PAPERS, v.TOKENS, v.DICTIONARY, _LOOKUP, _ENTRIES, query="""SELECT word, headword, string_agg(mean, chr(10) ORDER BY place) AS meaning
+  FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY id, mean) AS place FROM looked JOIN entries ON lower = headword) WHERE place <= 2 GROUP BY 1, 2"""))
+def recorded_meanings(spark: SparkSession, d: str) -> DataFrame:
+    return terms.meanings(dictionary_entries(spark, d))
+
+
 #: Every fourth line with its last three words' initials after it, as an acronym is defined.
 _DEFINED = """defined AS (SELECT doc_id, n, line || ' (' || upper(array_to_string(list_transform(w[-3:], lambda x: x[1]), '')) || ')' AS text FROM (SELECT *, regexp_extract_all(line, '[A-Za-z]+') AS w FROM lines) WHERE n % 4 = 0)"""
 _EXPANDED = rf"""told AS (SELECT doc_id, n, regexp_extract_all(text, '\(\s*{text.ACRONYM}s?\s*\)|[A-Za-z][A-Za-z-]*') AS w FROM defined),

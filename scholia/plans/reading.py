@@ -188,6 +188,27 @@ def document_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return reading.needs_rebuild(_stored_papers(spark, d), "v3")
 
 
+_EDITED = "kept AS (SELECT *, CASE WHEN n % 2 = 0 THEN 'New ' || title ELSE title END AS name, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS new FROM sections WHERE n % 3 > 0)"
+_NAMED = "regexp_extract(name, '^(\\d+(?:\\.\\d+)*)\\.?\\s', 1)"
+
+
+def _edited(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Papers of which every third section was taken out, every second one renamed, and every third sentence taken out."""
+    sections, sentences = a.outlined(spark, d)
+    kept = sections.filter("n % 3 > 0").withColumn("title", F.when(F.col("n") % 2 == 0, F.concat(F.lit("New "), "title")).otherwise(F.col("title")))
+    return reading.edited(kept, sentences.filter("(section + k) % 3 > 0"), "x", "2024-02-01")
+
+
+@query(v.sql(*_PAPER, _EDITED, query=f"SELECT doc_id, new AS n, name AS title, {_NAMED} AS number, {headed_sql(_NAMED, 'regexp_replace(name, ' + chr(39) + '^[0-9]+(?:[.][0-9]+)*[.]?[ ]+' + chr(39) + ', ' + chr(39) * 2 + ')')} AS speech_title FROM kept"))
+def edited_sections(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(_edited(spark, d)[0].select("doc_id", "n", "title", "number", "speech_title"), "n")
+
+
+@query(v.sql(*_PAPER, _EDITED, query=f"SELECT s.doc_id, new AS section, row_number() OVER (PARTITION BY s.doc_id, new ORDER BY s.k) AS k, text, {spoken_sql('text')} AS spoken FROM sentences s JOIN kept ON kept.doc_id = s.doc_id AND kept.n = s.section WHERE (s.section + s.k) % 3 > 0"))
+def edited_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(_edited(spark, d)[1], "section", "k")
+
+
 _FIGURES = """figs AS (SELECT p_partkey % 50 AS doc_id, p_partkey AS item, CASE p_partkey % 6 WHEN 0 THEN '../x.png' WHEN 1 THEN NULL ELSE 'f' || p_partkey || '.png' END AS file,
   ['figure', 'table', 'equation', 'image', 'odd'][p_partkey % 5 + 1] AS kind, CASE WHEN p_partkey % 4 > 0 THEN 'Fig. ' || p_size ELSE '' END AS label FROM part), names AS (SELECT p_partkey % 50 AS doc_id, 'f' || p_partkey || '.png' AS file FROM part WHERE p_partkey % 7 > 0)"""
 
