@@ -26,7 +26,7 @@ from scholia.sources.stored import stored
 #: Hashed features, and texts of a class that must have one for it to take part: five, and this share.
 SPACE, LEAST, SHARE = 1 << 22, 5, 0.005
 #: Labelled rows that the fit reads of each class, at most.
-SAMPLE = {1: 3000, 0: 3000}
+SAMPLE = {1: 2000, 0: 2000}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -64,6 +64,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 150, ridge: fl
     ids, col = np.unique(np.concatenate([u for u, _ in own]), return_inverse=True)
     row = np.repeat(np.arange(len(rows)), [len(u) for u, _ in own])
     value = np.log1p(np.concatenate([n for _, n in own]))
+    by_col = np.argsort(col, kind="stable")  # the same entries in the order of features
+    row_of, value_of = row[by_col], value[by_col]
+    row_at, col_at = np.searchsorted(row, np.arange(len(rows))), np.searchsorted(col[by_col], np.arange(len(ids)))
+    filled = np.array([len(u) > 0 for u, _ in own])
     steps, total = int(grades.max()), len(rows)
     at_least = grades[:, None] >= np.arange(1, steps + 1)
     clean = (grades == grades.min()).mean()
@@ -72,11 +76,11 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, rounds: int = 150, ridge: fl
     state = [np.zeros(len(ids) + steps), np.zeros(len(ids) + steps)]
     for k in range(1, rounds + 1):  # proximal Adam on the mean log loss of the binary events grade >= k
         t = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        z = np.bincount(row, w[col] * value, total)[:, None] - t
+        z = np.where(filled, np.add.reduceat(np.append(w[col] * value, 0.0), row_at), 0.0)[:, None] - t
         e = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - at_least) / total
         gt = -e.sum(0)
         gg = np.exp(gaps) * np.array([gt[i + 1 :].sum() for i in range(steps - 1)])
-        g = np.concatenate([np.bincount(col, e.sum(1)[row] * value, len(ids)) + ridge * w / total, [gt.sum()], gg])
+        g = np.concatenate([np.add.reduceat(e.sum(1)[row_of] * value_of, col_at) + ridge * w / total, [gt.sum()], gg])
         state = [0.9 * state[0] + 0.1 * g, 0.999 * state[1] + 0.001 * g * g]
         pace = 0.1 / (np.sqrt(state[1] / (1 - 0.999**k)) + 1e-9)
         move = pace * state[0] / (1 - 0.9**k)
@@ -155,23 +159,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
 def _scorer(model: OrdinalModel, keep: int = 500_000):
     """What gives a text's probabilities. Words are looked at once: those with a weighed feature and those without are kept
     apart, so that most words of a text cost a set operation."""
-    live: dict[str, list[int]] = {}
+    features: dict[str, list[int]] = {}
+    live: set[str] = set()
     dead: set[str] = set()
 
     def score(text: str | None) -> list[float]:
         own = words(text)
-        for w in own.difference(dead, live):
+        for w in own - dead - live:  # sets on both sides: what is iterated is the smaller one
             if found := [f for f in word_features(w) if f in model.weights]:
-                live[w] = found
+                features[w] = found
+                live.add(w)
             else:
                 dead.add(w)
         counts: dict[int, int] = {}
-        for w in own.intersection(live):
-            for f in live[w]:
+        for w in own & live:
+            for f in features[w]:
                 counts[f] = counts.get(f, 0) + 1
         if len(dead) + len(live) > keep:
             dead.clear()
             live.clear()
+            features.clear()
         return model.probabilities(sum(model.weights[f] * float(np.log1p(n)) for f, n in sorted(counts.items())))
 
     return score
