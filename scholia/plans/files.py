@@ -114,7 +114,7 @@ def bundle_ingested(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(v.sql(v.PAPERS,
-    query="SELECT paper_id AS id, title, DATE '2024-01-01' + CAST(doc_id % 300 AS INT) AS imported_at FROM papers WHERE "
+    query="SELECT paper_id AS id, title, strftime(DATE '2024-01-01' + CAST(doc_id % 300 AS INT), '%Y-%m-%d') AS imported_at FROM papers WHERE "
      "doc_id % 10 > 0"))
 def catalog_scan(spark: SparkSession, d: str) -> DataFrame:
     """The papers' meta files, every tenth of them broken."""
@@ -122,7 +122,8 @@ def catalog_scan(spark: SparkSession, d: str) -> DataFrame:
     rows = a.papers(spark, d).select("doc_id", F.to_json(F.struct(F.col("paper_id").alias("id"), "title", imported.alias("imported_at"))).alias("j"))
     rows.select(F.when(F.col("doc_id") % 10 == 0, F.substring("j", 1,
         20)).otherwise(F.col("j")).alias("value")).write.text(path := _folder(spark, "metas"))
-    return files.read_catalog(spark, path, "id string, title string, imported_at date")
+    found = files.read_catalog(spark, path, "id string, title string, imported_at date")
+    return found.withColumn("imported_at", F.col("imported_at").cast("string"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts) "
