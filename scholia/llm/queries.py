@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scholia.llm import chroma, html, langid, mixing, packing, pii, search, simhash, toxicity, warc
+from scholia.llm import chroma, html, langid, mixing, packing, pii, resample, search, simhash, toxicity, urls, variants, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_warc": warc.op9_warc,
     "op10_langid": langid.op10_langid,
+    "op11_resample": resample.op11_resample,
+    "op12_variants": variants.op12_variants,
+    "op13_urls": urls.op13_urls,
+}
+ORACLES = {
+    "op8_mixing": mixing.ORACLE,
+    "op9_warc": warc.ORACLE,
+    "op11_resample": resample.ORACLE,
+    "op12_variants": variants.ORACLE,
 }
-ORACLES = {"op8_mixing": mixing.ORACLE, "op9_warc": warc.ORACLE}
