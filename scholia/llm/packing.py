@@ -11,6 +11,7 @@ sequence, whatever the lengths. Tasks pack what they read: no row is shuffled.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -25,13 +26,17 @@ from scholia.llm.common import map_arrow, table
 SEQUENCE, END = 1024, 0
 #: Remainders that a window gathers before it is packed, and those that wait for the next one.
 WINDOW, RESERVE = 16_384, 512
+#: White-space characters in a row from which a text is encoded by the tokenizers library.
+LONG = 256
+BLANK = re.compile(rf"\s{{{LONG}}}")
 
 
 def encoder(file: str) -> Callable[[str], np.ndarray]:
     """Text to ids, as the tokenizers library gives them for `file` without added special tokens.
 
     Where the same vocabulary lies beside it as ranks, those are used, as they give the same ids faster; but texts that
-    hold a special token's string go through the library itself, which makes it that token.
+    hold a special token's string go through the library itself, which makes it that token, and so do texts with a run of
+    LONG white-space characters, over which the faster one takes quadratic time, and its whole stack from about a million on.
     """
     from tokenizers import Tokenizer
 
@@ -47,7 +52,7 @@ def encoder(file: str) -> Callable[[str], np.ndarray]:
         fast = None
 
     def encode(text: str) -> np.ndarray:
-        if fast is None or any(x in text for x in special):
+        if fast is None or any(x in text for x in special) or BLANK.search(text):
             return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(fast.encode_ordinary(text), "<u4")
 
