@@ -6,8 +6,9 @@ child can't take goes to its siblings by weight. So a shortage passes to sibling
 only where a whole subtree is short. A leaf repeats its documents for whole epochs, then takes a prefix of the documents
 in an order seeded by the epoch, as long as the tokens fit.
 
-The order within a leaf is never built: documents fall into 256 bins by two hex digits of a hash, the bin that the cut
-falls in is divided again, and only what stands in a bin of the last level is ordered, by a window over groups of rows that share a place.
+The order within a leaf is never built: documents fall into bins by two hex digits of a hash of their id, the bin that the
+cut falls in is divided again, and only what stands in a bin of the last level is ordered. Rows of one id (or of none) share
+that hash; where the cut falls among them, they are dealt with in the same way by a hash of their own keys or number.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from scholia.llm.common import cut, table
 
 LEAF = ["domain", "lang", "source"]
 SEED, EPOCHS, SHARE_PERCENT = 7, 2, 60
-#: Hex digits of the hash that each level of bins uses, and levels before the window.
-DIGITS, LEVELS = 2, 2
+#: The hex digits that each level of bins uses of a row's place: 32 by its id, then those by the row. The last bins hold one row.
+LEVELS = ((1, 2), (3, 2), (5, 28), (33, 3), (36, 100))
 
 
 def default_weights(leaves: DataFrame) -> DataFrame:
@@ -90,12 +91,15 @@ def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent:
     """(doc_id, *keys, domain, lang, source, tokens, copies): how often each row of docs is taken, 0 included.
 
     The budget is share_percent of all tokens. Documents without tokens are taken as often as whole epochs are. Null
-    languages and sources form leaves of their own; rows without an id, and rows of one id, share a place in the order
-    and are told apart by their tokens only: those that are equal in both are taken or left together, and weigh as one
-    group in the order, however many they are. An empty table gives no rows. Texts are counted whole; columns other than
-    doc_id, text, lang, source and keys, whatever their names, aren't read.
+    languages and sources form leaves of their own. The order is by a hash of the id, so of all rows of one id (those
+    without an id count as such) all come before or after others; among themselves, whatever their tokens, by a hash of
+    their keys, or where there are none by a number that each stored row gets; keys that don't tell rows apart leave these
+    in the order of their numbers. So each row is taken by itself, and a leaf's target is met within one row. An empty table
+    gives no rows. Texts are counted whole; columns other than doc_id, text, lang, source and keys, whatever their names,
+    aren't read.
     """
-    narrow = cut(docs.select("doc_id", *keys, domain.alias("domain"), "lang", "source", tokens(F.col("text")).alias("tokens")))
+    number = F.monotonically_increasing_id().alias("number_")
+    narrow = cut(docs.select("doc_id", *keys, domain.alias("domain"), "lang", "source", tokens(F.col("text")).alias("tokens"), number))
     totals = cut(narrow.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")))
     budget = (totals.agg(F.sum("tokens")).first()[0] or 0) * share_percent // 100
     leaves = budgets(totals, weights(totals.select(*LEAF)), F.lit(budget), epochs)
@@ -103,14 +107,15 @@ def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent:
     leaves = leaves.select(*LEAF, whole.alias("whole"), (F.col("target") - whole * F.col("tokens")).alias("part"),
         F.xxhash64(*LEAF, F.isnull("lang"), F.isnull("source"), F.isnull("domain")).alias("leaf"))
     leaves = cut(leaves)
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    seeded = lambda *c: F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in c])
+    place = F.concat(F.md5(seeded("doc_id")), F.md5(seeded(*(keys or ["number_"]))), F.col("number_").cast("string"))
     rows = cut(narrow.withColumn("leaf", F.xxhash64(*LEAF, F.isnull("lang"), F.isnull("source"),
         F.isnull("domain"))).join(leaves.select("leaf", "whole", "part"), "leaf").withColumn("place", place))
     open_rows, parts = rows.filter("part > 0"), []
     names = ["doc_id", *keys, *LEAF, "tokens", "whole"]
     parts.append(rows.filter("part <= 0").select(*names, F.lit(0).alias("more")))
-    for level in range(LEVELS):
-        binned = open_rows.withColumn("bin", F.substring("place", 1 + level * DIGITS, DIGITS))
+    for start, digits in LEVELS:
+        binned = open_rows.withColumn("bin", F.substring("place", start, digits))
         sums = binned.groupBy("leaf", "bin").agg(F.sum("tokens").alias("n"), F.first("part").alias("part"))
         before = F.coalesce(F.sum("n").over(Window.partitionBy("leaf").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         sums = cut(sums.select("leaf", "bin", "n", (F.col("part") - before).alias("left")))
@@ -118,10 +123,7 @@ def mix(docs: DataFrame, domain: Column, weights=default_weights, share_percent:
         parts.append(binned.filter("left >= n or left <= 0").select(*names, F.when(F.col("left") >= F.col("n"), 1).otherwise(0).alias("more")))
         open_rows = cut(binned.filter("left > 0 and left < n").withColumnRenamed("left", "part").withColumn("leaf",
             F.xxhash64("leaf", "bin")).drop("bin", "n"))
-    running = F.sum("n").over(Window.partitionBy("leaf").orderBy("place", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    upto = cut(open_rows.groupBy("leaf", "place", "tokens").agg(F.sum("tokens").alias("n")).select("leaf", "place", "tokens", running.alias("upto")))
-    open_rows = open_rows.join(upto, ["leaf", "place", "tokens"])
-    parts.append(open_rows.select(*names, F.when(F.col("upto") <= F.col("part"), 1).otherwise(0).alias("more")))
+    parts.append(open_rows.select(*names, F.lit(0).alias("more")))  # single rows that are longer than what is left
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -147,7 +149,7 @@ def _share_sql(parent: str, keys: str, weight: str, got: str, out: str, nodes: s
 
 
 ORACLE = rf"""
-WITH d AS (SELECT doc_id, 'd' || coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT), 0) % 4 AS domain, lang, source,
+WITH d AS (SELECT doc_id, row_number() OVER () AS number, 'd' || coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT), 0) % 4 AS domain, lang, source,
   coalesce(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')), 0) AS tokens FROM documents),
 leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens, {EPOCHS} * sum(tokens) AS cap3, CAST(substr(domain, 2) AS INT) + 1 AS w1, CASE WHEN lang = 'en' THEN 3 ELSE 1 END AS w2, length(source) - 3 AS w3 FROM d GROUP BY domain, lang, source),
 live AS (SELECT *, (SELECT sum(tokens) * {SHARE_PERCENT} // 100 FROM leaves) AS got0 FROM leaves WHERE cap3 > 0 AND least(w1, w2, w3) > 0),
@@ -159,5 +161,5 @@ n3 AS (SELECT domain, lang, source, tokens, cap3 AS cap, w3, got2 FROM live JOIN
 s3 AS ({_share_sql("domain, lang", "source", "w3", "got2", "target", "n3")}),
 t AS (SELECT domain, lang, source, CAST(target // tokens AS BIGINT) AS whole, CAST(target % tokens AS BIGINT) AS part FROM s3),
 r AS (SELECT d.*, coalesce(whole, 0) AS whole, coalesce(part, 0) AS part FROM d LEFT JOIN t USING (domain, lang, source))
-SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens, CAST(whole + CASE WHEN tokens > 0 AND part > 0 AND sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || whole || ':' || doc_id), tokens) <= part THEN 1 ELSE 0 END AS INT) AS copies FROM r
+SELECT doc_id, domain, lang, source, CAST(tokens AS BIGINT) AS tokens, CAST(whole + CASE WHEN tokens > 0 AND part > 0 AND sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('{SEED}:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), md5('{SEED}:' || whole || ':' || number), number) <= part THEN 1 ELSE 0 END AS INT) AS copies FROM r
 """
