@@ -28,7 +28,7 @@ RUN, SHORTEST, LEAST, TIMES, ODD = r"[A-Za-z\u00C0-\u00FF]", 7, 2, 10, 31
 #: Code points that words of a group share at first: half of the shortest word, less or more the odd one.
 FIRST, LAST = SHORTEST // 2, SHORTEST - SHORTEST // 2
 #: Words of a group from which it is dealt again.
-MOST = 20_000
+MOST = 4_000
 #: Beyond every place in a word.
 FAR = 1 << 30
 
