@@ -59,9 +59,10 @@ def test_awkward_tables(spark, odd, none, sf, tmp_path):
     vectors = spark.createDataFrame([(0, [0.1] * 64, 1), (100, None, 1), (None, [0.1] * 64, 1), (5, [0.1] * 64, None), (6, [], 1),
          (7, [None, float("nan")] * 32, 1), (5, [0.1] * 64, 1)],
         "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(-1) for c in CLASH})
-    full = put(spark, tmp_path / "full", documents=odd, labels=labels, pages=pages, embeddings=vectors)
-    empty = put(spark, tmp_path / "empty", documents=none, labels=labels.limit(0), pages=pages.limit(0), embeddings=vectors.limit(0))
-    size = {"op2_html": 8, "op9_warc": 8, "op5_chroma": 7}
+    target = spark.createDataFrame([(1, "same words here"), (None, None)], "item_id long, text string").withColumns({c: F.lit(-1) for c in CLASH})
+    full = put(spark, tmp_path / "full", documents=odd, labels=labels, pages=pages, embeddings=vectors, benchmark=target)
+    empty = put(spark, tmp_path / "empty", documents=none, labels=labels.limit(0), pages=pages.limit(0), embeddings=vectors.limit(0), benchmark=target.limit(0))
+    size = {"op2_html": 8, "op9_warc": 8, "op5_chroma": 7, "op12_variants": 0, "op13_urls": 8}
     for name, query in queries.QUERIES.items():
         assert query(spark, empty).count() == 0, name
         got = query(spark, full).collect()
@@ -410,6 +411,23 @@ def test_packing(spark, docs):
         assert at & at - 1 == 0
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + "\n" * 5_000_000 + "b", " \n\t\r  \x1c" * 200_000, (" " * 255 + "x") * 4_000, (" " * 9_999 + "x") * 50])
+def test_packing_of_white_space(text):
+    """Runs of any length, on both sides of the bound from which the library takes over, give the library's ids."""
+    from tokenizers import Tokenizer
+
+    file = packing.tokenizer_path()
+    assert packing.encoder(file)(text).tolist() == Tokenizer.from_file(file).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_long_white_space_in_a_job(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, " " * 1_500_000, "en", "s", 1), (2, "\n" * 1_000_000 + "x", "en", "s", 1)], DOCS)
+    for got in (packing.pack_documents(docs, packing.tokenizer_path()), corpus_pipeline.pack(spark, docs, sf)):
+        assert {r.doc_id for r in got.collect()} == {1, 2}
+
+
 def test_fill_is_best():
     rng = np.random.default_rng(3)
     for _ in range(200):
@@ -792,6 +810,27 @@ def test_mixing_null_and_short_sources(spark):
     assert {r.source for r in taken if r.n} == set(sizes)
 
 
+@pytest.mark.parametrize("keys", [(), ("row",)])
+@pytest.mark.parametrize("ids", [None, 5])
+def test_mixing_rows_that_share_an_id(spark, ids, keys):
+    """Rows without an id, or of one id, are taken by a seeded order of their own: not the short ones first, not all or none."""
+    rows = [(ids, "w " * (1 + i % 100), "en", "src1", i) for i in range(2000)] + [(i + 10, "w " * 7, "de", "src1", 9000 + i) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, row long").repartition(3)
+    got = mixing.mix(df, F.lit("d1"), keys=keys, epochs=1).filter("lang = 'en'").collect()
+    target = mixing.budgets(*_one_leaf(spark, rows)).filter("lang = 'en'").first()
+    taken = [r.tokens for r in got if r.copies]
+    assert len(got) == 2000 and target.target - 100 < sum(taken) <= target.target < target.tokens
+    assert abs(sum(taken) / len(taken) - 50.5) < 4
+    equal = spark.createDataFrame([(ids, "w " * 20, "en", "src1", i) for i in range(1000)], df.schema)
+    assert sum(r.copies for r in mixing.mix(equal, F.lit("d1"), keys=keys).collect()) == 600
+
+
+def _one_leaf(spark, rows):
+    totals = spark.createDataFrame([("d1", lang, "src1", sum(len(r[1].split()) for r in rows if r[2] == lang)) for lang in ("en", "de")], "domain string, lang string, source string, tokens long")
+    budget = totals.agg(F.sum("tokens")).first()[0] * mixing.SHARE_PERCENT // 100
+    return totals, mixing.default_weights(totals), F.lit(budget), 1
+
+
 # --- 9 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -1120,13 +1159,11 @@ def test_stage_pii(spark, sf, mixed):
 def test_stage_mixing(spark, sf, mixed):
     import corpus_pipeline
 
-    taken = mixing.mix(mixed.withColumn("row", F.monotonically_increasing_id()), mixing.domain_of(F.col("source")), keys=("row",)).collect()
-    copies = collections.defaultdict(set)
-    for r in taken:
-        copies[r.doc_id, r.lang, r.source, r.tokens].add(r.copies)
-    assert all(len(x) == 1 for x in copies.values())
-    words = lambda t: len([w for w in re.split("[ \t\n\x0b\x0c\r]+", t or "") if w])
-    want = collections.Counter({r: n * min(copies[r[0], r[2], r[3], words(r[1])]) for r, n in counted(mixed).items()})
+    rows = mixed.withColumn("row", F.monotonically_increasing_id())
+    taken = mixing.mix(rows, mixing.domain_of(F.col("source")), keys=("row",)).select("row", "copies")
+    want = collections.Counter()
+    for r in rows.join(taken, "row").collect():
+        want[tuple(r[c] for c in corpus_pipeline.COLUMNS)] += r.copies
     assert counted(corpus_pipeline.mix_sources(spark, mixed, sf)) == +want
 
 
