@@ -16,7 +16,8 @@ GRADES = ("ng", "near", "ok")
 SHORT = frozenset("e.g. i.e. et al. etc. vs. cf. Dr. Mr. Ms. Mrs. Prof. Fig. Figs. Eq. Eqs. Ref. Refs. Sec. Secs. Tab. No. Vol. pp. approx.".split())
 UNIT_ENDS = frozenset("K V Hz nm mm cm μm µm kHz MHz s h W mW %".split())
 #: Words of a citation in brackets, however many spaces it has inside; what may close a sentence after its stop.
-_WORDS, _NUMBERS, _CLOSING = re.compile(r"\[\d[\d\s,–-]*\]|\S+"), re.compile(r"\[\d+(?:\s*[,–-]\s*\d+)*\]"), "\"”’')]"
+WORD = r"\[[0-9][0-9 \t\n\r\f,–-]*\]|[^ \t\n\r\f]+"
+_WORDS, _NUMBERS, _CLOSING = re.compile(WORD), re.compile(r"\[\d+(?:\s*[,–-]\s*\d+)*\]"), "\"”’')]"
 
 
 def _ends(word: str, before: str, after: str) -> bool:
@@ -33,18 +34,25 @@ def _ends(word: str, before: str, after: str) -> bool:
     return not (len(lone) == 1 and lone.isupper()) or unit and after[1:2].islower()
 
 
-def split_sentences(text: str | None) -> list[str]:
+def split_sentences(text: str | None, yes: frozenset[int] = frozenset(), no: frozenset[int] = frozenset()) -> list[str]:
     """Sentences by rule, word by word. A citation in brackets after a sentence's stop belongs to that sentence; what has
-    fewer than three letters and digits is no sentence of its own."""
+    fewer than three letters and digits is no sentence of its own. Of the words numbered in yes and no it is known already
+    whether a sentence ends with them."""
     words = _WORDS.findall(text or "")
     out: list[list[str]] = [[]]
+    at, signs = 0, 0  # the word that citations follow; letters and digits of the sentence so far
     for i, w in enumerate(words):
         out[-1].append(w)
-        at = next((j for j in range(i, -1, -1) if not _NUMBERS.fullmatch(words[j])), i)  # the word that citations follow
+        signs += sum(c.isalnum() for c in w)
+        cited = _NUMBERS.fullmatch(w) is not None
+        if not cited or not i:
+            at = i
         after = words[i + 1] if i + 1 < len(words) else ""
-        if after and not _NUMBERS.fullmatch(after) and _ends(words[at], words[at - 1] if at else "", after) and sum(c.isalnum()
-             for x in out[-1] for c in x) >= 3:
+        if not after or signs < 3 or _NUMBERS.fullmatch(after):
+            continue
+        if at in yes or at not in no and _ends(words[at], words[at - 1] if at else "", after):
             out.append([])
+            signs = 0
     found = [" ".join(x) for x in out if x]
     if len(found) > 1 and sum(c.isalnum() for c in found[-1]) < 3:
         found[-2:] = [" ".join(found[-2:])]
@@ -148,6 +156,11 @@ def sentences_udf(text: pd.Series) -> pd.Series:
     return text.map(split_sentences)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def learned_sentences_udf(text: pd.Series, yes: pd.Series, no: pd.Series) -> pd.Series:
+    return pd.Series([split_sentences(t, frozenset(y), frozenset(n)) for t, y, n in zip(text, yes, no, strict=True)])
+
+
 @F.pandas_udf(StructType([StructField("grades", ArrayType(StringType())), StructField("extra", ArrayType(StringType())),
      StructField("score", DoubleType())]))
 def sentence_grade_udf(original: pd.Series, typed: pd.Series) -> pd.DataFrame:

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from scholia.plans import files, more, pages, papers, reading, study  # noqa: F401  register their queries
+from scholia.plans import files, more, pages, papers, reading, segments, study  # noqa: F401  register their queries
 from scholia.plans.catalog import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
