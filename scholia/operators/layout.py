@@ -3,11 +3,12 @@ All joins are within a page."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text
 from scholia.operators.papers import joined
+from scholia.sources.stored import stored
 
 #: How much smaller than the body small print is; how far from a page's ends a margin reaches, and on how many
 #: pages a line must stand there; by how much a run's size and height may change; how much of a row is mathematics.
@@ -131,3 +132,107 @@ def paper(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         text.section_level(number).alias("level"), kind.alias("kind"), "page")
     body = placed.filter("not head").select("doc_id", "n", "section", F.col("text").alias("line"))
     return sections, joined(body, "section")
+
+
+# --- papers of two-column pages --------------------------------------------------------------------------------------
+
+#: A page is of one column if this share of its long lines crosses the middle by the slack on both sides; where
+#: the right column begins; how much larger than the body a title is; how small an abstract's print may be; characters of a long
+#: line and of a heading at most; the stamp of a preprint server; names of what follows an abstract; what stands beside one.
+WIDE_SHARE, SLACK, RIGHT, TITLE, ABSTRACT_SMALL, LONG_LINE, LONG_HEAD = 0.35, 0.05, 0.45, 1.4, 2.1, 25, 120
+STAMP = r"^arXiv:\d{4}\.\d{4,5}(v\d+)?\s+\[[^\]]+\]\s+\d{1,2}\s+[A-Z][a-z]{2}\s+\d{4}$"
+AFTER_ABSTRACT = r"^(keywords?|index terms|ocis codes?)\b"
+NUMBER = r"^(\d+(?:\.\d+)*)\.?\s+(\S.*)$"
+
+
+def in_columns(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, page, line, x0, x1, y0, width, text) with col and n, the place in the document's reading order. On a page of
+    which WIDE_SHARE of the long lines cross the middle all are in column 0, else those that begin right of RIGHT in 1."""
+    mid, slack = F.col("width") / 2, F.col("width") * SLACK
+    long_, wide = F.length("text") >= LONG_LINE, (F.col("x0") < mid - slack) & (F.col("x1") > mid + slack)
+    pages = rows.groupBy("doc_id", "page").agg(F.count_if(long_).alias("long"), F.count_if(long_ & wide).alias("wide"))
+    single = (F.col("long") > 0) & (F.col("wide") >= WIDE_SHARE * F.col("long"))
+    placed = rows.join(pages, ["doc_id", "page"]).withColumn("col", F.when(single, 0).otherwise((F.col("x0") >= F.col("width") * RIGHT).cast("int")))
+    order = Window.partitionBy("doc_id").orderBy("page", "col", F.round("y0"), "x0", "line")
+    return placed.withColumn("n", F.row_number().over(order).cast("long")).drop("long", "wide")
+
+
+def heading_line(body: Column) -> Column:
+    """Whether a line (text, size, bold, italic, ocr) of at most LONG_HEAD characters is a heading: read from a picture if it is
+    numbered and short; set in italics if it has a number of two levels and the body's size; bold if it is larger, or of about
+    the body's size and numbered or named like a section."""
+    line, size = F.col("text"), F.col("size")
+    number, name = F.regexp_extract("text", NUMBER, 1), F.regexp_extract("text", NUMBER, 2)
+    capital, stop = name.rlike("^[A-Z]"), line.endswith(".")
+    seen = (number != "") & capital & ~stop & (F.length("text") < 70)
+    slanted = F.col("italic") & number.contains(".") & capital & ~stop & (F.length("text") < 80) & (F.abs(size - body) < 0.6)
+    named = F.lower(F.when(number != "", name).otherwise(line)).rlike(rf"^({text.SECTION_NAMES})\s*:?$")
+    level = (size >= body - 1.5) & (F.length("text") < 80) & ~stop & (((number != "") & capital) | named)
+    bold = (size >= body + 0.9) | level
+    return (F.length("text") <= LONG_HEAD) & F.when(F.col("ocr"), seen).when(F.col("bold"), bold).otherwise(slanted)
+
+
+def laid_out_paper(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(titles, sections, texts) of pages' rows (doc_id, page, line, x0, x1, y0, y1, width, height, text, size, bold, italic, ocr,
+    math), pages from 1.
+
+    Repeated margins and preprint stamps go. The largest print of the first page is the title, if it is large enough. Before
+    the first heading all is front: the lines under a heading "Abstract", up to the keywords, are the abstract. After it small
+    print and mathematics go, a heading opens a section, and one close below another of its size goes on with it. A section
+    named like back matter is back, and all after it, once there was a body; one that comes before the body is moved behind
+    all. titles are (doc_id, title); sections (doc_id, n, title, number, level, kind, page), the abstract being n 0, front;
+    texts (doc_id, n, paragraph, text): lines joined, a bullet opens a paragraph. Pages without text give nothing.
+    """
+    placed = in_columns(rows).withColumn("mark", margin_mark())
+    edge = (F.col("y0") < MARGIN * F.col("height")) | (F.col("y1") > (1 - MARGIN) * F.col("height"))
+    often = placed.filter(edge).groupBy("doc_id", "mark").agg(F.count("*").alias("times")).filter(F.col("times") >= TIMES)
+    kept = placed.join(often.select("doc_id", "mark"), ["doc_id", "mark"], "left_anti").filter(~F.trim("text").rlike(STAMP))
+    font = kept.filter(~F.col("ocr"))
+    sizes = body_size(font).select("doc_id", F.col("size").alias("body"))
+    largest = font.filter("page = 1").groupBy("doc_id").agg(F.max("size").alias("top"))
+    kept = stored(kept.join(sizes, "doc_id", "left").join(largest, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(0.0))))
+    is_title = F.coalesce((F.col("page") == 1) & ~F.col("ocr") & (F.col("size") == F.col("top")) & (F.col("top") >= TITLE * F.col("body")), F.lit(False))
+    titles = joined(kept.filter(is_title).select("doc_id", "n", F.lit(0).alias("title_"), F.col("text").alias("line")), "title_")
+
+    w = Window.partitionBy("doc_id").orderBy("n")
+    upto, before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
+    number, name = F.regexp_extract("text", NUMBER, 1), F.regexp_extract("text", NUMBER, 2)
+    lines = kept.filter(~is_title).withColumn("head", heading_line(F.col("body")))
+    says = F.col("head") & F.lower("text").rlike(r"^abstract\b")
+    started = F.coalesce(F.bool_or(F.col("head") & ~F.lower("text").rlike(r"^abstract\b")).over(upto), F.lit(False))
+    lines = lines.withColumn("started", started).withColumn("said", F.coalesce(F.bool_or(says & ~started).over(upto), F.lit(False)))
+    closing = F.col("said") & ~F.col("head") & F.lower("text").rlike(AFTER_ABSTRACT)
+    lines = lines.withColumn("closed", F.coalesce(F.bool_or(closing & ~F.col("started")).over(upto), F.lit(False)))
+    large = F.col("ocr") | (F.col("size") >= F.col("body") - ABSTRACT_SMALL)
+    abstract = lines.filter("not started and said and not closed and not ocr").filter(large)
+    abstract = abstract.withColumn("line", F.when(F.col("head"), F.regexp_replace("text", r"(?i)^abstract\s*[:.—-]?\s*", "")).otherwise(F.col("text")))
+    abstract = abstract.filter("line <> ''").select("doc_id", "n", F.lit(0).alias("section"), F.lit(0).alias("paragraph"), "line")
+
+    print_ = F.col("head") | ((F.col("ocr") | (F.col("size") >= F.col("body") - SMALL)) & (F.col("math") < 0.6))
+    rest = lines.filter(F.col("started") & print_)
+    last = lambda c: F.lag(c).over(w)
+    gap = F.col("y0") - last("y1")
+    close = (last("page") == F.col("page")) & (last("col") == F.col("col")) & (F.abs(F.col("size") - last("size")) < 0.2) & (gap >= 0) & (gap < 0.9 * F.col("size"))
+    opens = F.col("head") & ~F.coalesce(last("head") & close & (number == ""), F.lit(False))
+    rest = rest.withColumn("opens", opens).withColumn("section", F.count_if("opens").over(upto))
+    rest = stored(rest.withColumn("paragraph", F.count_if(F.col("text").startswith("•")).over(Window.partitionBy("doc_id", "section").orderBy("n"))))
+
+    heads = rest.filter("head").groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("t"), F.min_by("page", "n").alias("page"))
+    heads = heads.select("doc_id", "section", F.array_join(F.transform("t", lambda i: i["text"]), " ").alias("title"), F.col("t")[0]["text"].alias("text"), "page")
+    heads = heads.withColumn("number", number).withColumn("back", text.is_back_matter(F.when(number != "", name).otherwise(F.col("text"))))
+    s = Window.partitionBy("doc_id").orderBy("section")
+    sections = heads.withColumn("had_body", F.coalesce(F.bool_or(~F.col("back")).over(s.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    late = F.coalesce(F.bool_or(F.col("back") & F.col("had_body")).over(s.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(False))
+    sections = sections.withColumn("kind", F.when(F.col("back") | late, "back").otherwise("body"))
+    has_body = F.bool_or(F.col("kind") == "body").over(Window.partitionBy("doc_id"))
+    early = (F.col("kind") == "back") & ~F.col("had_body") & has_body
+    sections = sections.withColumn("new", F.row_number().over(Window.partitionBy("doc_id").orderBy(early, "section")).cast("long"))
+    front = abstract.select("doc_id").distinct().select("doc_id", F.lit(0).cast("long").alias("n"), F.lit("Abstract").alias("title"), F.lit("").alias("number"), F.lit(1).alias("level"), F.lit("front").alias("kind"), F.lit(1).cast("long").alias("page"))
+    named = sections.select("doc_id", F.col("new").alias("n"), "title", "number", text.section_level(F.col("number")).alias("level"), "kind", F.col("page").cast("long").alias("page"))
+
+    said = rest.filter("not head").select("doc_id", "n", "section", "paragraph", F.regexp_replace("text", r"^[•\s]+", "").alias("line")).unionByName(abstract)
+    said = said.filter("line <> ''").withColumn("group", F.struct("section", "paragraph"))
+    new = sections.select("doc_id", F.col("section").alias("old"), F.col("new"))
+    texts = joined(said, "group").select("doc_id", F.col("group.section").alias("old"), "group.paragraph", "text").join(new, ["doc_id", "old"], "left")
+    texts = texts.select("doc_id", F.coalesce("new", F.lit(0)).cast("long").alias("n"), "paragraph", "text")
+    return titles.select("doc_id", F.col("text").alias("title")), front.unionByName(named), texts

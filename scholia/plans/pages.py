@@ -111,3 +111,53 @@ def equation_rows(spark: SparkSession, d: str) -> DataFrame:
     rows = _fragments(spark, d).select("page", "n", F.col("y").alias("y0"), (F.col("y") + 0.012).alias("y1"),
         (F.col("n") * 7 % 10 / 10).alias("math"))
     return layout.equation_rows(rows).select("page", "n")
+
+
+# --- pages of two columns ----------------------------------------------------------------------------------------------
+
+_COLUMNS = """columned AS (SELECT doc_id, page, count(*) FILTER (length(text) >= 25) AS l, count(*) FILTER (length(text) >= 25 AND x0 < 270 AND x1 > 330) AS wide FROM page_rows GROUP BY ALL),
+ordered AS (SELECT r.*, CASE WHEN l > 0 AND wide >= 0.35 * l THEN 0 ELSE (x0 >= 270)::INT END AS col FROM page_rows r JOIN columned USING (doc_id, page)),
+placed_rows AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, col, round(y0), x0, line) AS n FROM ordered)"""
+_LAID = rf"""often AS (SELECT doc_id, regexp_replace(text, '\d+', '#', 'g') AS mark FROM placed_rows WHERE y0 < 64 OR y1 > 736 GROUP BY ALL HAVING count(*) >= 3),
+clean AS (SELECT * FROM placed_rows WHERE (doc_id, regexp_replace(text, '\d+', '#', 'g')) NOT IN (SELECT (doc_id, mark) FROM often) AND NOT regexp_matches(text, '^arXiv:\d{{4}}\.\d{{4,5}}(v\d+)?\s+\[[^\]]+\]')),
+bodies AS (SELECT doc_id, arg_max(size, {{'chars': chars, 'smaller': -size}}) AS body FROM (SELECT doc_id, size, sum(length(text)) AS chars FROM clean WHERE NOT ocr GROUP BY ALL) GROUP BY doc_id),
+tops AS (SELECT doc_id, max(size) AS top FROM clean WHERE page = 1 AND NOT ocr GROUP BY doc_id),
+sized AS MATERIALIZED (SELECT c.*, body, coalesce(page = 1 AND NOT ocr AND size = top AND top >= 1.4 * body, false) AS is_title, regexp_extract(text, '^(\d+(?:\.\d+)*)\.?\s+\S.*$', 1) AS num, regexp_extract(text, '^\d+(?:\.\d+)*\.?\s+(\S.*)$', 1) AS name,
+  regexp_matches(lower(text), '^abstract\b') AS abs FROM clean c LEFT JOIN bodies USING (doc_id) LEFT JOIN tops USING (doc_id)),
+tested AS (SELECT *, regexp_matches(name, '^[A-Z]') AND num <> '' AS numbered, NOT ends_with(text, '.') AS open_end, regexp_matches(lower(CASE WHEN num <> '' THEN name ELSE text END), '^({_NAMES})\s*:?$') AS named FROM sized WHERE NOT is_title),
+headed AS MATERIALIZED (SELECT *, length(text) <= 120 AND CASE WHEN ocr THEN numbered AND open_end AND length(text) < 70 WHEN bold THEN size >= body + 0.9 OR size >= body - 1.5 AND length(text) < 80 AND open_end AND (numbered OR named)
+  ELSE italic AND numbered AND contains(num, '.') AND open_end AND length(text) < 80 AND abs(size - body) < 0.6 END AS head FROM tested),
+marks2 AS (SELECT h.*, coalesce(h.n >= s.start, false) AS started, coalesce(h.n >= s.abstract AND (s.start IS NULL OR s.abstract < s.start), false) AS said, coalesce(h.n >= s.closing, false) AS closed
+  FROM headed h LEFT JOIN (SELECT x.doc_id, start, abstract, min(y.n) FILTER (regexp_matches(lower(y.text), '^(keywords?|index terms|ocis codes?)\b') AND NOT y.head AND y.n > abstract AND (start IS NULL OR y.n < start)) AS closing
+    FROM (SELECT doc_id, min(n) FILTER (head AND NOT abs) AS start, min(n) FILTER (head AND abs) AS abstract FROM headed GROUP BY doc_id) x JOIN headed y USING (doc_id) GROUP BY ALL) s USING (doc_id)),
+fronts AS (SELECT doc_id, n, CASE WHEN head THEN regexp_replace(text, '^abstract\s*[:.—-]?\s*', '', 'i') ELSE text END AS line FROM marks2 WHERE NOT started AND said AND NOT closed AND NOT ocr AND size >= body - 2.1),
+inner_rows AS (SELECT *, lag(head) OVER w AND lag(page) OVER w = page AND lag(col) OVER w = col AND abs(size - lag(size) OVER w) < 0.2 AND y0 - lag(y1) OVER w >= 0 AND y0 - lag(y1) OVER w < 0.9 * size AND num = '' AS goes_on
+  FROM marks2 WHERE started AND (head OR (ocr OR size >= body - 0.4) AND math < 0.6) WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+parts AS MATERIALIZED (SELECT *, count(*) FILTER (head AND NOT coalesce(goes_on, false)) OVER (PARTITION BY doc_id ORDER BY n) AS section FROM inner_rows),
+heads2 AS (SELECT doc_id, section, string_agg(text, ' ' ORDER BY n) AS title, arg_min(page, n) AS page, arg_min(num, n) AS number, arg_min(regexp_matches(lower(CASE WHEN num <> '' THEN name ELSE text END), '^({_BACK})\b'), n) AS back FROM parts WHERE head GROUP BY ALL),
+first_bodies AS (SELECT doc_id, min(section) FILTER (NOT back) AS b FROM heads2 GROUP BY doc_id),
+kinds AS (SELECT h.*, b, back OR section >= (SELECT min(x.section) FROM heads2 x WHERE x.doc_id = h.doc_id AND x.back AND x.section > b) AS late FROM heads2 h JOIN first_bodies USING (doc_id)),
+numbered2 AS MATERIALIZED (SELECT *, coalesce(late, back) AS is_back, row_number() OVER (PARTITION BY doc_id ORDER BY b IS NOT NULL AND section < b, section) AS new FROM kinds)"""
+_ROW_VIEWS = v.PAPERS, v.LINES, v.ANNOTATED, v.PAGE_ROWS, _COLUMNS
+
+
+@query(v.sql(*_ROW_VIEWS, query="SELECT doc_id, page, line, col::BIGINT AS col, n FROM placed_rows"))
+def columns_in_order(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(layout.in_columns(a.page_rows(spark, d)).select("doc_id", "page", "line", "col", "n"), "col")
+
+
+@query(v.sql(*_ROW_VIEWS, _LAID, query="""SELECT doc_id, 0 AS n, 'Abstract' AS title, '' AS number, 1 AS level, 'front' AS kind, 1 AS page FROM fronts WHERE line <> '' GROUP BY doc_id
+  UNION ALL SELECT doc_id, new, title, number, CASE WHEN number = '' THEN 1 ELSE least(len(string_split(number, '.')), 3) END, CASE WHEN is_back THEN 'back' ELSE 'body' END, page FROM numbered2"""))
+def laid_out_sections(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(layout.laid_out_paper(a.page_rows(spark, d))[1], "level")
+
+
+@query(v.sql(*_ROW_VIEWS, _LAID, r"""bullets AS (SELECT *, count(*) FILTER (starts_with(text, '•')) OVER (PARTITION BY doc_id, section ORDER BY n) AS paragraph FROM parts)""",
+    query=r"""SELECT doc_id, 0 AS n, 0 AS paragraph, string_agg(line, ' ' ORDER BY n) AS text FROM fronts WHERE line <> '' GROUP BY doc_id
+  UNION ALL SELECT p.doc_id, new, paragraph, string_agg(regexp_replace(text, '^[•\s]+', ''), ' ' ORDER BY n) FROM bullets p JOIN numbered2 USING (doc_id, section) WHERE NOT p.head GROUP BY ALL
+  UNION ALL SELECT doc_id, -1, 0, string_agg(text, ' ' ORDER BY n) FROM sized WHERE is_title GROUP BY doc_id"""))
+def laid_out_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Titles stand with n -1."""
+    titles, _, texts = layout.laid_out_paper(a.page_rows(spark, d))
+    rows = texts.unionByName(titles.select("doc_id", F.lit(-1).cast("long").alias("n"), F.lit(0).cast("long").alias("paragraph"), F.col("title").alias("text")))
+    return _as_long(rows, "paragraph")

@@ -27,6 +27,17 @@ page_lines AS (SELECT doc_id, n * 10 AS n, page, CASE WHEN opens THEN 12.0 WHEN
     CASE WHEN NOT opens THEN body WHEN k = 0 AND doc_id % 2 = 0 THEN 'Abstract' WHEN k = 12 THEN 'References' ELSE number || ' ' || substr(line, 1, 40) END AS text FROM page_rows
   UNION ALL SELECT doc_id, n * 10 + 1, page, 12.0, true, (r + 1) * 0.08 + 0.03, 'and more of it' FROM page_rows WHERE (n - 1) % 12 = 0
   UNION ALL SELECT doc_id, min(n) * 10 - 5, page, 8.0, false, 0.03, 'Journal of Tests, page ' || page FROM page_rows GROUP BY doc_id, page)"""
+PAGE_ROWS = """laid AS (SELECT *, (n - 1) // 12 + 1 AS page, (n - 1) % 12 AS slot, ((n - 1) // 12 + 1) % 3 <> 2 AS two, section = 1 AND doc_id % 5 = 0 AS early FROM annotated),
+laid2 AS (SELECT *, CASE WHEN two THEN slot // 6 * 270 + 50 ELSE 50 END::DOUBLE AS x0, CASE WHEN two THEN slot % 6 * 100 + 80 ELSE slot * 50 + 80 END::DOUBLE AS y0, CASE WHEN early THEN 0 ELSE section % 4 END AS style FROM laid),
+page_rows AS (SELECT doc_id, page, n * 10 AS line, x0, x0 + CASE WHEN two THEN 240 ELSE 490 END AS x1, y0, y0 + 12 AS y1,
+    CASE WHEN opens THEN CASE WHEN section = 0 AND doc_id % 2 = 0 THEN 'ABSTRACT' WHEN early THEN 'References and links' WHEN section = 12 THEN 'References' ELSE number || ' ' || substr(line, 1, 40) END
+      WHEN n = 3 AND doc_id % 2 = 0 THEN 'Keywords: a few words' WHEN n % 9 = 5 THEN '• ' || body ELSE body END AS text,
+    CASE WHEN opens THEN CASE WHEN style = 0 THEN 12.0 ELSE 10.0 END WHEN n % 11 = 0 THEN 7.0 ELSE 10.0 END::DOUBLE AS size,
+    opens AND style IN (0, 2) AS bold, opens AND style = 1 AS italic, opens AND style = 3 AS ocr, CASE WHEN NOT opens AND n % 13 = 0 THEN 0.8 ELSE 0 END::DOUBLE AS math FROM laid2
+  UNION ALL SELECT doc_id, page, n * 10 + 1, x0, x0 + CASE WHEN two THEN 240 ELSE 490 END, y0 + 14, y0 + 26, 'and more of it', 12.0, true, false, false, 0 FROM laid2 WHERE n % 12 = 1 AND n > 1
+  UNION ALL SELECT DISTINCT doc_id, page, 1, 50, 300, 20, 30, 'Journal of Tests, page ' || page, 8.0, true, false, false, 0 FROM laid2
+  UNION ALL SELECT DISTINCT doc_id, page, 2, 50, 540, 66, 76, 'A paper of ' || doc_id, 18.0, true, false, false, 0 FROM laid2 WHERE page = 1
+  UNION ALL SELECT DISTINCT doc_id, page, 3, 5, 20, 300, 500, 'arXiv:2101.00001v1 [cs.CL] 1 Jan 2021', 20.0, true, false, false, 0 FROM laid2 WHERE page = 1)"""
 TOKENS = f"""tokens AS (SELECT doc_id, pos - 1 AS pos, words[pos] AS token FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS words FROM papers)))"""
 DICTIONARY = f"""dictionary AS (SELECT DISTINCT lower(w) AS lower FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS w FROM benchmark))"""
 REVIEWS = """reviews AS (SELECT event_id AS uid, user_id AS headword, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 3 ELSE 4 END AS rating, ts AS reviewed_at, event_id % 2 AS device FROM events)"""

@@ -116,6 +116,39 @@ def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid.union(more).union(head)
 
 
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, line, x0, x1, y0, y1, width, height, text, size, bold, italic, ocr, math): the papers' lines on pages of two
+    columns, every third page of one. Synthetic: twelve lines a page below a running title; headings large and bold, in italics,
+    small and bold, or read from a picture; a title, a preprint stamp, an abstract with keywords, early references, bullets,
+    small print and mathematics here and there."""
+    n, k, odd = F.col("n"), F.floor((F.col("n") - 1) / 3), F.col("doc_id") % 2 == 1
+    page, slot = (F.floor((n - 1) / 12) + 1).cast("long"), (n - 1) % 12
+    two = page % 3 != 2
+    x0 = F.when(two, F.floor(slot / 6) * 270 + 50).otherwise(50).cast("double")
+    y0 = F.when(two, slot % 6 * 100 + 80).otherwise(slot * 50 + 80).cast("double")
+    early = (k == 1) & (F.col("doc_id") % 5 == 0)
+    name = F.when((k == 0) & ~odd, "ABSTRACT").when(early, "References and links").when(k == 12, "References").otherwise(F.concat("number", F.lit(" "), F.substring("line", 1, 40)))
+    said = F.when((n == 3) & ~odd, F.lit("Keywords: a few words")).when(n % 9 == 5, F.concat(F.lit("• "), "body")).otherwise(F.col("body"))
+    style, head = F.when(early, 0).otherwise(k % 4), F.col("opens")
+    rows = annotated(spark, sf_dir).select(
+        "doc_id", page.alias("page"), (n * 10).cast("long").alias("line"), x0.alias("x0"), (x0 + F.when(two, 240).otherwise(490)).alias("x1"), y0.alias("y0"), (y0 + 12).alias("y1"),
+        F.when(head, name).otherwise(said).alias("text"),
+        F.when(head, F.when(style == 0, 12.0).otherwise(10.0)).otherwise(F.when(n % 11 == 0, 7.0).otherwise(10.0)).alias("size"),
+        (head & style.isin(0, 2)).alias("bold"), (head & (style == 1)).alias("italic"), (head & (style == 3)).alias("ocr"),
+        F.when(~head & (n % 13 == 0), 0.8).otherwise(0.0).alias("math"), "n",
+    )
+    plain = [F.lit(True).alias("bold"), F.lit(False).alias("italic"), F.lit(False).alias("ocr"), F.lit(0.0).alias("math")]
+    more = rows.filter("n % 12 = 1 and n > 1").select("doc_id", "page", (F.col("line") + 1).alias("line"), "x0", "x1", (F.col("y0") + 14).alias("y0"), (F.col("y1") + 14).alias("y1"), F.lit("and more of it").alias("text"), F.lit(12.0).alias("size"), *plain)
+    at = lambda x0, x1, y0, y1: [F.lit(float(v)).alias(c) for c, v in zip(("x0", "x1", "y0", "y1"), (x0, x1, y0, y1), strict=True)]
+    pages = rows.select("doc_id", "page").distinct()
+    running = pages.select("doc_id", "page", F.lit(1).cast("long").alias("line"), *at(50, 300, 20, 30), F.concat(F.lit("Journal of Tests, page "), F.col("page").cast("string")).alias("text"), F.lit(8.0).alias("size"), *plain)
+    first = pages.filter("page = 1")
+    title = first.select("doc_id", "page", F.lit(2).cast("long").alias("line"), *at(50, 540, 66, 76), F.concat(F.lit("A paper of "), F.col("doc_id").cast("string")).alias("text"), F.lit(18.0).alias("size"), *plain)
+    stamp = first.select("doc_id", "page", F.lit(3).cast("long").alias("line"), *at(5, 20, 300, 500), F.lit("arXiv:2101.00001v1 [cs.CL] 1 Jan 2021").alias("text"), F.lit(20.0).alias("size"), *plain)
+    both = rows.drop("n").union(more).union(running).union(title).union(stamp)
+    return both.withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(uid, headword, rating, reviewed_at, device): the events as answers; error 1, view 2, click 3, others 4."""
     rating = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "view",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 
@@ -78,21 +79,22 @@ MOST_PROGRESS, VERSION = 20_000_000, 1
 
 def read_progress(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) progress files, one JSON document a file. accepted are (file, and what PROGRESS names); rejected are
-    (file, reason): json, kind, version, reviews or lookups (one of them lacks what it needs, or a rating isn't 1 to 4)."""
-    raw = spark.read.text(path, wholetext=True,
-        recursiveFileLookup=True).filter(F.length("value") <= MOST_PROGRESS).withColumn("file", F.col("_metadata.file_path"))
-    rows = raw.select("file", F.try_parse_json("value").isNull().alias("broken"), F.from_json("value",
-        PROGRESS).alias("x")).select("file", "broken", "x.*")
+    (file, reason): size (over MOST_PROGRESS characters, not parsed), json, kind, version, reviews or lookups (one of them lacks
+    what it needs, or a rating isn't 1 to 4)."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("file", F.col("_metadata.file_path"))
+    raw = raw.withColumn("large", F.length("value") > MOST_PROGRESS).withColumn("value", F.when(~F.col("large"), F.col("value")))
+    rows = raw.select("file", "large", F.try_parse_json("value").isNull().alias("broken"), F.from_json("value",
+        PROGRESS).alias("x")).select("file", "large", "broken", "x.*")
     filled = lambda x, *names: F.forall(F.array(*[x[n] for n in names]), lambda v: v.isNotNull())
     review = lambda x: filled(x, "uid", "headword", "reviewed_at") & F.coalesce(x["rating"].between(1, 4), F.lit(False))
     fine = lambda rows, test: F.coalesce(F.forall(rows, test), F.lit(True))
     reason = (
-        F.when(F.col("broken"), "json").when(~F.coalesce(F.col("kind") == "progress", F.lit(False)),
+        F.when(F.col("large"), "size").when(F.col("broken"), "json").when(~F.coalesce(F.col("kind") == "progress", F.lit(False)),
             "kind").when(~F.coalesce(F.col("version") == VERSION, F.lit(False)), "version")
         .when(~fine("reviews", review), "reviews").when(~fine("lookups", lambda x: filled(x, "uid", "headword", "meaning", "looked_at")), "lookups")
     )
     rows = rows.withColumn("reason", reason)
-    return rows.filter("reason is null").drop("reason", "broken"), rows.filter("reason is not null").select("file", "reason")
+    return rows.filter("reason is null").drop("reason", "broken", "large"), rows.filter("reason is not null").select("file", "reason")
 
 
 def own_progress(lookups: DataFrame, reviews: DataFrame, device: str) -> tuple[DataFrame, DataFrame]:
@@ -146,10 +148,12 @@ def read_shard(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
 
 
 def find_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size, modified) of the PDF files in a folder and those below it, but for folders and files whose name begins with
-    a dot. No content is read."""
+    """(path, size, modified) of the PDF files in a folder and those below it, but for folders and files below it whose name
+    begins with a dot. No content is read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
-    return found.filter(~F.col("path").rlike(r"/\.[^/]")).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    root = re.sub(r"^[A-Za-z0-9]+:(//[^/]*)?", "", path).rstrip("/")
+    below = F.substring("path", F.instr("path", root) + len(root), F.length("path"))
+    return found.filter(~below.rlike(r"/\.[^/]")).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
