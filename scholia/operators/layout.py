@@ -236,3 +236,152 @@ def laid_out_paper(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = joined(said, "group").select("doc_id", F.col("group.section").alias("old"), "group.paragraph", "text").join(new, ["doc_id", "old"], "left")
     texts = texts.select("doc_id", F.coalesce("new", F.lit(0)).cast("long").alias("n"), "paragraph", "text")
     return titles.select("doc_id", F.col("text").alias("title")), front.unionByName(named), texts
+
+
+# --- regions of figures, tables and equations ------------------------------------------------------------------------
+
+#: Fixed values, in points: what a page leaves free above and below; how far a caption's band reaches beyond it on both sides;
+#: slack where boxes meet; the least area of a graphic; the part of a table that must lie in the band; how far from the caption
+#: a table's first rule is at most, and a rule from the next; lines of the body that an equation's rows may be away.
+PAGE_EDGE, BESIDE, WIDE_CAPTION, TOUCH, LEAST_AREA, OF_TABLE, FIRST_RULE, NEXT_RULE, EQUATION_ROWS = 20, 25, 0.6, 2, 400, 0.6, 40, 260, 1.6
+EQUATION_NUMBER = r"\(\s*(\d{1,3})\s*\)\s*$"
+_BOX = ["x0", "x1", "y0", "y1"]
+
+
+def _box(df: DataFrame, name: str, *more: str) -> DataFrame:
+    """df (page, x0, x1, y0, y1, more) with page as it is and the rest behind a prefix."""
+    return df.select("page", *[F.col(c).alias(f"{name}_{c}") for c in (*_BOX, *more)])
+
+
+def _share(a: str, b: str, slack: float = 0) -> Column:
+    return (F.col(f"{a}x0") - slack < F.col(f"{b}x1")) & (F.col(f"{b}x0") - slack < F.col(f"{a}x1"))
+
+
+def figure_regions(captions: DataFrame, blocks: DataFrame, graphics: DataFrame, tables: DataFrame, width: float, height: float) -> DataFrame:
+    """(page, n, way, of, x0, x1, y0, y1): the region that each caption (page, n, box, below: whether it stands above its figure)
+    speaks of.
+
+    Above and below the caption a band reaches to the next paragraph or caption of blocks (page, n, box, kind: para, caption,
+    small or other) that shares its width, or to the page's edge. A ruled table (page, box) most of which lies in the band is
+    the region; else it is the box around all graphics (page, box) in the band, if one of them is large enough, and around
+    the small blocks in it beside them. The caption's own way is looked at first. Captions without either have no row. All
+    joins are within a page, and aggregates give each band and box.
+    """
+    c = captions.select("page", F.col("n").alias("cap"), *_BOX, "below")
+    stops = _box(blocks.filter(F.col("kind").isin("para", "caption")), "b", "n")
+    near = c.join(stops, "page", "left").withColumn("meets", F.coalesce(_share("b_", "") & (F.col("b_n") != F.col("cap")), F.lit(False)))
+    up, down = F.col("meets") & (F.col("b_y1") <= F.col("y0") + 1), F.col("meets") & (F.col("b_y0") >= F.col("y1") - 1)
+    bounds = near.groupBy("page", "cap", *_BOX, "below").agg(F.max(F.when(up, F.col("b_y1"))).alias("top"), F.min(F.when(down, F.col("b_y0"))).alias("bottom"))
+    top, bottom = F.greatest(F.lit(float(PAGE_EDGE)), "top"), F.least(F.lit(float(height - PAGE_EDGE)), "bottom")
+    wide = F.col("x1") - F.col("x0") > WIDE_CAPTION * width
+    bounds = bounds.select(
+        "page", "cap", "below", F.col("y0").alias("c_y0"), F.col("y1").alias("c_y1"),
+        F.when(wide, F.least("x0", F.lit(30.0))).otherwise(F.col("x0") - BESIDE).alias("x0"), F.when(wide, F.greatest("x1", F.lit(width - 30.0))).otherwise(F.col("x1") + BESIDE).alias("x1"),
+        F.explode(F.array(F.struct(F.lit("up").alias("way"), top.alias("lo"), (F.col("y0") + TOUCH).alias("hi")), F.struct(F.lit("down").alias("way"), (F.col("y1") - TOUCH).alias("lo"), bottom.alias("hi")))).alias("w"),
+    )
+    bands = stored(bounds.select("page", "cap", "below", "c_y0", "c_y1", "x0", "x1", "w.*"))
+    key = ["page", "cap", "way"]
+
+    t = bands.join(_box(tables, "t"), "page").filter(_share("t_", ""))
+    inside = F.least("hi", "t_y1") - F.greatest("lo", "t_y0")
+    ruled = t.filter(inside > OF_TABLE * (F.col("t_y1") - F.col("t_y0")))
+    ruled = ruled.groupBy(*key).agg(F.min(F.struct("t_y0", "t_x0", "t_x1", "t_y1")).alias("t"))
+    ruled = ruled.select(*key, F.lit("table").alias("of"), *[F.col(f"t.t_{x}").alias(x) for x in _BOX])
+
+    g, middle = bands.join(_box(graphics, "g"), "page").filter(_share("g_", "")), (F.col("g_y0") + F.col("g_y1")) / 2
+    above = (F.col("g_y0") >= F.col("lo") - TOUCH) & (F.col("g_y0") < F.col("c_y0")) & (middle <= F.col("c_y1"))
+    under = (F.col("g_y1") <= F.col("hi") + TOUCH) & (F.col("g_y1") > F.col("c_y1")) & (middle >= F.col("c_y0"))
+    drawn = g.filter(F.when(F.col("way") == "up", above).otherwise(under))
+    around = lambda p: [F.min(f"{p}_x0").alias("x0"), F.max(f"{p}_x1").alias("x1"), F.min(f"{p}_y0").alias("y0"), F.max(f"{p}_y1").alias("y1")]
+    area = F.max((F.col("g_x1") - F.col("g_x0")) * (F.col("g_y1") - F.col("g_y0"))).alias("area")
+    drawn = drawn.groupBy(*key, "lo", "hi").agg(area, *around("g")).filter(F.col("area") >= LEAST_AREA)
+    labels = drawn.join(_box(blocks.filter(F.col("kind").isin("small", "other")), "l"), "page")
+    labels = labels.filter(_share("l_", "", 10) & (F.col("l_y0") >= F.col("lo") - TOUCH) & (F.col("l_y1") <= F.col("hi") + TOUCH))
+    both = drawn.select(*key, *_BOX).unionByName(labels.select(*key, *[F.col(f"l_{x}").alias(x) for x in _BOX]))
+    both = both.groupBy(*key).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).withColumn("of", F.lit("graphics"))
+
+    found = ruled.unionByName(both).join(captions.select("page", F.col("n").alias("cap"), "below"), ["page", "cap"])
+    own = (F.col("way") == "down") == F.col("below")
+    best = F.row_number().over(Window.partitionBy("page", "cap").orderBy(F.desc(own), F.desc("of")))
+    return found.withColumn("r", best).filter("r = 1").select("page", F.col("cap").alias("n"), "way", "of", *_BOX)
+
+
+def rule_tables(captions: DataFrame, rules: DataFrame, height: float) -> DataFrame:
+    """(page, n, rules, x0, x1, y0, y1): the table below each caption (page, n, box) that only horizontal rules (page, box) draw: the
+    first rules below it, as long as each is near the next. At least two, the first near the caption."""
+    under = captions.select("page", F.col("n").alias("cap"), *_BOX).join(_box(rules, "r"), "page")
+    under = under.filter((F.col("r_y0") > F.col("y1") - TOUCH) & (F.col("r_y0") < F.col("y1") + 0.7 * height) & _share("r_", "", 30))
+    w = Window.partitionBy("page", "cap").orderBy("r_y0", "r_x0", "r_x1")
+    chain = F.count_if(F.coalesce(F.col("r_y0") - F.lag("r_y0").over(w) > NEXT_RULE, F.lit(False))).over(w)
+    first = under.withColumn("chain", chain).filter("chain = 0").groupBy("page", F.col("cap").alias("n"), "y1").agg(
+        F.count("*").alias("rules"), F.min("r_x0").alias("a"), F.max("r_x1").alias("b"), F.min("r_y0").alias("c"), F.max("r_y1").alias("d"))
+    near = first.filter((F.col("rules") >= 2) & (F.col("c") - F.col("y1") <= FIRST_RULE))
+    return near.select("page", "n", "rules", F.col("a").alias("x0"), F.col("b").alias("x1"), F.col("c").alias("y0"), F.col("d").alias("y1"))
+
+
+def equation_regions(lines: DataFrame, width: float, body: float) -> DataFrame:
+    """(page, n, number, x0, x1, y0, y1): one box for each numbered equation of lines (page, n, box, text, math: whether it is
+    mathematics, prose): around the line with the number at its right end and the mathematics at its height, up to some lines
+    above and below, that no prose stands beside. Lines that hold nothing but the number need such rows, left of it."""
+    said = lines.withColumn("number", F.regexp_extract("text", EQUATION_NUMBER, 1))
+    numbered = said.filter((F.col("number") != "") & (F.col("x1") >= 0.6 * width) & (F.length("text") <= 160))
+    alone = F.trim(F.regexp_replace("text", EQUATION_NUMBER, "")) == ""
+    numbered = numbered.select("page", "n", "number", *_BOX, alone.alias("alone"), (~alone & F.col("math")).alias("own"))
+    prose = _box(lines.filter("prose"), "p")
+    rows = _box(lines.filter(F.col("math") & (F.col("x1") - F.col("x0") <= 0.75 * width)), "e", "n")
+    beside = F.least("e_y1", "p_y1") - F.greatest("e_y0", "p_y0") > 0.5 * F.least(F.col("e_y1") - F.col("e_y0"), F.col("p_y1") - F.col("p_y0"))
+    rows = rows.join(prose, [rows["page"] == prose["page"], beside, _share("p_", "e_", 30)], "left_anti")
+    reach = EQUATION_ROWS * body
+    at_height = (F.col("e_y1") > F.col("y0") - reach) & (F.col("e_y0") < F.col("y1") + reach)
+    left = ~F.col("alone") | (F.col("e_x1") <= F.col("x0") + TOUCH)
+    parts = numbered.join(rows, "page", "left").withColumn("part", F.coalesce(at_height & left & (F.col("e_n") != F.col("n")), F.lit(False)))
+    only = lambda c: F.when(F.col("part"), F.col(c))
+    each = parts.groupBy("page", "n", "number", *_BOX, "own").agg(F.count_if("part").alias("parts"), F.min(only("e_x0")).alias("a"), F.max(only("e_x1")).alias("b"), F.min(only("e_y0")).alias("c"), F.max(only("e_y1")).alias("d"))
+    found = each.filter(F.col("own") | (F.col("parts") > 0))
+    return found.select("page", "n", "number", F.least("x0", "a").alias("x0"), F.greatest("x1", "b").alias("x1"), (F.least("y0", "c") - 0.3 * body).alias("y0"), (F.greatest("y1", "d") + 0.45 * body).alias("y1"))
+
+
+# --- lines of glyphs -------------------------------------------------------------------------------------------------
+
+#: Fixed values, of a glyph's size: the gap from which there is a space; how close glyphs of one row are in height and by how many
+#: points in size; how small and how high raised digits are; what can be raised, and what it becomes.
+GLYPH_GAP, ROW_HEIGHT, ROW_SIZE, RAISED_SIZE, RAISED_HEIGHT = 0.1, 0.35, 1.5, 0.8, 0.2
+CAN_BE_RAISED, IS_RAISED = "0123456789+-−,()", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁻˒⁽⁾"
+
+
+def glyph_rows(glyphs: DataFrame) -> DataFrame:
+    """glyphs (page, n, x0, x1, y, size, c; y grows downward) with row. A row begins where a glyph lies lower than the one before
+    it in height by ROW_HEIGHT of the larger size; raised glyphs are close enough to theirs."""
+    w = Window.partitionBy("page").orderBy("y", "x0", "n")
+    apart = F.col("y") - F.lag("y").over(w) >= ROW_HEIGHT * F.greatest("size", F.lag("size").over(w))
+    return glyphs.withColumn("row", F.count_if(F.coalesce(apart, F.lit(True))).over(w))
+
+
+def lines_of_glyphs(glyphs: DataFrame) -> DataFrame:
+    """(page, row, x0, x1, size, text): the lines that a page's glyphs (page, n, x0, x1, y, size, c) spell from left to right.
+
+    A glyph printed again over the same one, by more than half of its width, counts once, in whatever order they come. There
+    is a space where the gap to all that stands before is over GLYPH_GAP of the size, unless one is drawn. A line's size is
+    that of most of its glyphs, of equals the larger; small digits and signs above its middle are raised, and without space
+    before them. Private letters of the Symbol font become what they show, other private ones go. Null glyphs have no part.
+    Windows run along a line, so that long lines take no more than a sort.
+    """
+    known = F.create_map(*[F.lit(x) for k, c in text.SYMBOL.items() for x in (chr(k), c)])
+    shown = F.when(F.col("c").rlike("[\uE000-\uF8FF]"), F.coalesce(F.try_element_at(known, F.col("c")), F.lit(""))).otherwise(F.col("c"))
+    rows = glyph_rows(glyphs.filter("c is not null")).withColumn("c", shown).filter("c <> ''")
+    line = Window.partitionBy("page", "row").orderBy("x0", "n")
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy("page", "row", "c").orderBy("x0", "n")
+    over = F.max("x1").over(earlier(same)) - F.col("x0") > 0.5 * (F.col("x1") - F.col("x0"))
+    rows = rows.withColumn("again", F.coalesce(over, F.lit(False))).filter("not again").drop("again")
+    sizes = rows.groupBy("page", "row", "size").agg(F.count("*").alias("k"), F.max("y").alias("y"))
+    main = sizes.groupBy("page", "row").agg(F.max(F.struct("k", "size", "y")).alias("m")).select("page", "row", F.col("m.size").alias("main"), F.col("m.y").alias("base"))
+    rows = rows.join(main, ["page", "row"])
+    small = (F.col("size") < RAISED_SIZE * F.col("main")) & (F.col("y") < F.col("base") - RAISED_HEIGHT * F.col("main"))
+    rows = rows.withColumn("raised", small & F.lit(CAN_BE_RAISED).contains(F.col("c")))
+    gap = F.col("x0") - F.max("x1").over(earlier(line)) > GLYPH_GAP * F.col("size")
+    blank = ~F.col("raised") & gap & (F.col("c") != " ") & (F.lag("c").over(line) != " ")
+    spelt = F.when(F.col("raised"), F.translate("c", CAN_BE_RAISED, IS_RAISED)).otherwise(F.col("c"))
+    rows = rows.withColumn("piece", F.concat(F.when(F.coalesce(blank, F.lit(False)), " ").otherwise(""), spelt))
+    lines = rows.groupBy("page", "row", F.col("main").alias("size")).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_sort(F.collect_list(F.struct("x0", "n", "piece"))).alias("p"))
+    return lines.select("page", "row", "x0", "x1", "size", F.trim(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("text"))

@@ -161,3 +161,100 @@ def laid_out_texts(spark: SparkSession, d: str) -> DataFrame:
     titles, _, texts = layout.laid_out_paper(a.page_rows(spark, d))
     rows = texts.unionByName(titles.select("doc_id", F.lit(-1).cast("long").alias("n"), F.lit(0).cast("long").alias("paragraph"), F.col("title").alias("text")))
     return _as_long(rows, "paragraph")
+
+
+# --- regions -------------------------------------------------------------------------------------------------------------
+
+_GEOMETRY = """geometry AS MATERIALIZED (SELECT l_orderkey AS page, l_linenumber AS n, (20 + l_partkey * 7 % 400)::DOUBLE AS x0, (70 + l_partkey * 7 % 400 + l_suppkey * 13 % 200)::DOUBLE AS x1,
+  (l_quantity * 14)::DOUBLE AS y0, (l_quantity * 14 + 8 + l_suppkey % 60)::DOUBLE AS y1 FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1),
+captions AS (SELECT *, n = 6 AS below FROM geometry WHERE n IN (1, 6)), graphics AS (SELECT * FROM geometry WHERE n IN (2, 3)), tables AS (SELECT * FROM geometry WHERE n = 7),
+blocks AS (SELECT *, CASE n WHEN 4 THEN 'para' WHEN 5 THEN 'small' ELSE 'caption' END AS kind FROM geometry WHERE n IN (1, 4, 5, 6))"""
+_WIDTH, _HEIGHT, _BODY = 600.0, 800.0, 10.0
+
+
+def _geometry(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as boxes of a page, one for each number: captions (1 above its figure's text, 6 below), graphics, a paragraph,
+    small print and a table."""
+    first = F.min(F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("x")
+    rows = a.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("n")).agg(first)
+    left, top, more = F.col("x.l_partkey") * 7 % 400, F.col("x.l_quantity") * 14, F.col("x.l_suppkey")
+    box = {"x0": left + 20, "x1": left + 70 + more * 13 % 200, "y0": top, "y1": top + 8 + more % 60}
+    return rows.select("page", "n", *[c.cast("double").alias(k) for k, c in box.items()])
+
+
+_REGIONS = """stops AS (SELECT c.*, (SELECT max(b.y1) FROM blocks b WHERE b.page = c.page AND b.n <> c.n AND b.kind <> 'small' AND b.x0 < c.x1 AND c.x0 < b.x1 AND b.y1 <= c.y0 + 1) AS top,
+  (SELECT min(b.y0) FROM blocks b WHERE b.page = c.page AND b.n <> c.n AND b.kind <> 'small' AND b.x0 < c.x1 AND c.x0 < b.x1 AND b.y0 >= c.y1 - 1) AS bottom FROM captions c),
+bands AS MATERIALIZED (SELECT page, n, below, y0 AS cy0, y1 AS cy1, CASE WHEN x1 - x0 > 360 THEN least(x0, 30) ELSE x0 - 25 END AS bx0, CASE WHEN x1 - x0 > 360 THEN greatest(x1, 570) ELSE x1 + 25 END AS bx1,
+  unnest(['up', 'down']) AS way, unnest([greatest(20, coalesce(top, 20)), y1 - 2]) AS lo, unnest([y0 + 2, least(780, coalesce(bottom, 780))]) AS hi FROM stops),
+ruled AS (SELECT b.page, b.n, way, below, 'table' AS part, t.x0, t.x1, t.y0, t.y1 FROM bands b JOIN tables t ON t.page = b.page AND t.x0 < bx1 AND bx0 < t.x1 AND least(hi, t.y1) - greatest(lo, t.y0) > 0.6 * (t.y1 - t.y0)),
+drawn AS (SELECT b.page, b.n, way, below, lo, hi, min(g.x0) AS x0, max(g.x1) AS x1, min(g.y0) AS y0, max(g.y1) AS y1 FROM bands b JOIN graphics g ON g.page = b.page AND g.x0 < bx1 AND bx0 < g.x1
+  AND CASE way WHEN 'up' THEN g.y0 >= lo - 2 AND g.y0 < cy0 AND (g.y0 + g.y1) / 2 <= cy1 ELSE g.y1 <= hi + 2 AND g.y1 > cy1 AND (g.y0 + g.y1) / 2 >= cy0 END
+  GROUP BY b.page, b.n, way, below, lo, hi HAVING max((g.x1 - g.x0) * (g.y1 - g.y0)) >= 400),
+labelled AS (SELECT d.page, d.n, way, below, 'graphics' AS part, least(d.x0, min(l.x0)) AS x0, greatest(d.x1, max(l.x1)) AS x1, least(d.y0, min(l.y0)) AS y0, greatest(d.y1, max(l.y1)) AS y1
+  FROM drawn d LEFT JOIN blocks l ON l.page = d.page AND l.kind = 'small' AND l.x0 - 10 < d.x1 AND d.x0 - 10 < l.x1 AND l.y0 >= lo - 2 AND l.y1 <= hi + 2 GROUP BY d.page, d.n, way, below, d.x0, d.x1, d.y0, d.y1)"""
+
+
+@query(v.sql(_GEOMETRY, _REGIONS, query="""SELECT page, n, way, part AS of, x0, x1, y0, y1 FROM (SELECT * FROM ruled UNION ALL SELECT * FROM labelled)
+  QUALIFY row_number() OVER (PARTITION BY page, n ORDER BY (way = 'down') = below DESC, part DESC) = 1"""))
+def figure_regions(spark: SparkSession, d: str) -> DataFrame:
+    rows = _geometry(spark, d)
+    kind = F.when(F.col("n") == 4, "para").when(F.col("n") == 5, "small").otherwise("caption")
+    blocks = rows.filter(F.col("n").isin(1, 4, 5, 6)).withColumn("kind", kind)
+    captions = rows.filter(F.col("n").isin(1, 6)).withColumn("below", F.col("n") == 6)
+    return layout.figure_regions(captions, blocks, rows.filter(F.col("n").isin(2, 3)), rows.filter("n = 7"), _WIDTH, _HEIGHT)
+
+
+@query(v.sql(_GEOMETRY, "under AS (SELECT c.page, c.n, c.y1 AS cy, r.x0, r.x1, r.y0, r.y0 + 2 AS y1 FROM geometry c JOIN geometry r ON r.page = c.page AND r.n > 1 AND c.n = 1 AND r.y0 > c.y1 - 2 AND r.y0 < c.y1 + 560 AND r.x0 - 30 < c.x1 AND c.x0 - 30 < r.x1)",
+    query="""SELECT page, n, count(*) AS rules, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM under u WHERE NOT EXISTS (SELECT 1 FROM under p WHERE p.page = u.page AND p.y0 <= u.y0
+    AND p.y0 - 260 > (SELECT max(q.y0) FROM under q WHERE q.page = p.page AND (q.y0, q.x0, q.x1) < (p.y0, p.x0, p.x1))) GROUP BY page, n, cy HAVING count(*) >= 2 AND min(y0) - cy <= 40"""))
+def rule_tables(spark: SparkSession, d: str) -> DataFrame:
+    rows = _geometry(spark, d)
+    return layout.rule_tables(rows.filter("n = 1"), rows.filter("n > 1").withColumn("y1", F.col("y0") + 2), _HEIGHT)
+
+
+_EQUATIONS = """erows AS MATERIALIZED (SELECT *, CASE WHEN n = 1 THEN 'a = b (' || page % 1000 || ')' WHEN n = 2 THEN '( ' || page % 2000 || ')' ELSE 'x' END AS text, n IN (1, 3, 4) AS math, n > 4 AS prose, n = 2 AS alone FROM geometry),
+free AS MATERIALIZED (SELECT * FROM erows e WHERE math AND x1 - x0 <= 450 AND NOT EXISTS (SELECT 1 FROM erows p WHERE p.page = e.page AND p.prose AND least(e.y1, p.y1) - greatest(e.y0, p.y0) > 0.5 * least(e.y1 - e.y0, p.y1 - p.y0) AND p.x0 - 30 < e.x1 AND e.x0 - 30 < p.x1)),
+eq AS (SELECT *, regexp_extract(text, '\\( *([0-9]*)\\)$', 1) AS number FROM erows WHERE n <= 2 AND x1 >= 360 AND (n = 1 OR page % 2000 < 1000))""".replace("\\\\", "\\")
+
+
+@query(v.sql(_GEOMETRY, _EQUATIONS, query="""SELECT q.page, q.n, number, least(q.x0, min(e.x0)) AS x0, greatest(q.x1, max(e.x1)) AS x1, least(q.y0, min(e.y0)) - 3 AS y0, greatest(q.y1, max(e.y1)) + 4.5 AS y1 FROM eq q
+  LEFT JOIN free e ON e.page = q.page AND e.n <> q.n AND e.y1 > q.y0 - 16 AND e.y0 < q.y1 + 16 AND (NOT q.alone OR e.x1 <= q.x0 + 2) GROUP BY q.page, q.n, number, q.x0, q.x1, q.y0, q.y1, q.math HAVING q.math OR count(e.n) > 0"""))
+def equation_regions(spark: SparkSession, d: str) -> DataFrame:
+    n, page = F.col("n"), lambda k: (F.col("page") % k).cast("string")
+    said = F.when(n == 1, F.concat(F.lit("a = b ("), page(1000), F.lit(")"))).when(n == 2, F.concat(F.lit("( "), page(2000), F.lit(")"))).otherwise("x")
+    lines = _geometry(spark, d).withColumns({"text": said, "math": n.isin(1, 3, 4), "prose": n > 4})
+    return layout.equation_regions(lines, _WIDTH, _BODY)
+
+
+# --- glyphs ----------------------------------------------------------------------------------------------------------------
+
+_GLYPHS = """chars AS (SELECT doc_id, n, i, c, length(line) AS l FROM (SELECT doc_id, n, line, unnest(range(1, length(line) + 1)) AS i FROM lines), LATERAL (SELECT substr(line, i::INT, 1) AS c)),
+glyphs AS MATERIALIZED (SELECT doc_id AS page, n * 1000000 + i * 10 AS n, i * 5.0::DOUBLE AS x0, i * 5.0 + 4.8::DOUBLE AS x1, n * 20.0::DOUBLE AS y, 10.0::DOUBLE AS size, c FROM chars WHERE c <> ' '
+  UNION ALL SELECT doc_id, n * 1000000 + i * 10 + 1, i * 5.0 + 0.5, i * 5.0 + 5.3, n * 20.0, 10.0, c FROM chars WHERE i % 11 = 0 AND c <> ' '
+  UNION ALL SELECT doc_id, n * 1000000 + i * 10 + 2, i * 5.0 + 5, i * 5.0 + 7, n * 20.0 - 3, 6.0, (i % 10)::VARCHAR FROM chars WHERE i % 29 = 0
+  UNION ALL SELECT doc_id, n * 1000000 + i * 10 + 3, i * 5.0, i * 5.0 + 4.8, n * 20.0, 10.0, CASE WHEN i % 2 = 0 THEN chr(61549) ELSE chr(57345) END FROM chars WHERE i = l AND n % 3 = 0 AND c = ' ')"""
+
+
+def _glyphs(spark: SparkSession, d: str) -> DataFrame:
+    """The papers' letters as glyphs, spaces left out. Synthetic: every eleventh is printed twice, small raised digits follow
+    every 29th, and a space at a line's end may be a private letter."""
+    chars = a.lines(spark, d).select("doc_id", "n", F.length("line").alias("l"), F.posexplode(F.split("line", "")).alias("i", "c")).withColumn("i", (F.col("i") + 1).cast("long"))
+    x, y, no = F.col("i") * 5.0, F.col("n") * 20.0, F.col("n").cast("long") * 1_000_000 + F.col("i") * 10
+    of = lambda rows, k, x0, x1, up, size, c: rows.select(F.col("doc_id").alias("page"), (no + k).alias("n"), x0.alias("x0"), x1.alias("x1"), (y - up).alias("y"), F.lit(float(size)).alias("size"), c.alias("c"))
+    c, i, drawn = F.col("c"), F.col("i"), chars.filter("c <> ' '")
+    private = chars.filter("i = l and n % 3 = 0 and c = ' '")
+    out = of(drawn, 0, x, x + 4.8, 0, 10, c).union(of(drawn.filter("i % 11 = 0"), 1, x + 0.5, x + 5.3, 0, 10, c))
+    out = out.union(of(chars.filter("i % 29 = 0"), 2, x + 5, x + 7, 3, 6, (i % 10).cast("string")))
+    return out.union(of(private, 3, x, x + 4.8, 0, 10, F.when(i % 2 == 0, "\uf06d").otherwise("\ue001")))
+
+
+@query(v.sql(v.PAPERS, v.LINES, _GLYPHS, """stepped AS (SELECT *, coalesce(y - lag(y) OVER w >= 0.35 * greatest(size, lag(size) OVER w), true) AS starts FROM glyphs WINDOW w AS (PARTITION BY page ORDER BY y, x0, n)),
+rowed AS (SELECT * REPLACE (CASE WHEN ascii(c) = 61549 THEN 'μ' ELSE c END AS c), count(*) FILTER (starts) OVER (PARTITION BY page ORDER BY y, x0, n) AS row FROM stepped),
+fresh AS MATERIALIZED (SELECT * FROM rowed WHERE ascii(c) <> 57345 QUALIFY NOT coalesce(max(x1) OVER (PARTITION BY page, row, c ORDER BY x0, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - x0 > 0.5 * (x1 - x0), false)),
+mains AS (SELECT page, row, arg_max(size, {'k': k, 'size': size}) AS main FROM (SELECT page, row, size, count(*) AS k FROM fresh GROUP BY ALL) GROUP BY ALL),
+based AS (SELECT f.*, main, max(CASE WHEN f.size = main THEN y END) OVER (PARTITION BY f.page, f.row) AS base FROM fresh f JOIN mains USING (page, row)),
+lifted AS (SELECT *, size < 0.8 * main AND y < base - 0.2 * main AND regexp_matches(c, '^[0-9]$') AS up FROM based),
+spelt AS (SELECT *, CASE WHEN NOT up AND x0 - max(x1) OVER (PARTITION BY page, row ORDER BY x0, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0.1 * size THEN ' ' ELSE '' END || CASE WHEN up THEN substr('⁰¹²³⁴⁵⁶⁷⁸⁹', c::INT + 1, 1) ELSE c END AS piece FROM lifted)""",
+    query="SELECT page, row, min(x0) AS x0, max(x1) AS x1, any_value(main) AS size, trim(string_agg(piece, '' ORDER BY x0, n), ' ') AS text FROM spelt GROUP BY page, row"))
+def glyph_lines(spark: SparkSession, d: str) -> DataFrame:
+    return layout.lines_of_glyphs(_glyphs(spark, d))
