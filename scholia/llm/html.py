@@ -2,10 +2,13 @@
 
 A tolerant parser builds the element tree. Elements that by tag or role hold menus, headers, footers, sidebars, notices,
 adverts, forms, comments or no text go first, and those that by class or id do. A name is taken whole: all its words must be
-words of layout ("ad-banner", but not "share-price"), or links must hold a good part of the text. Each paragraph then passes points for its length and commas to its
+words of layout ("ad-banner", but not "share-price"; modifiers and a one-letter prefix don't count), or links must hold a good part of
+the text, or it says that readers comment there. Inside an article a paragraph or a section with paragraphs isn't a header
+or a notice whatever it is called. Each paragraph then passes points for its length and commas to its
 parent, half to the next ancestor, a third to the one above, and so on; a container's score is discounted by the share of
 its text that stands in links. The best container, widened to an article that encloses it, and those of its siblings that
-look like text are kept, block by block.
+look like text, or have its tag and class and hold paragraphs, are kept, block by block. Lists of nothing but links are
+menus, but not in an article, nor where they follow a heading or a paragraph of the best container.
 """
 
 from __future__ import annotations
@@ -47,6 +50,10 @@ FILLER = frozenset(
 )
 #: Of the first, what stays gone even where an article stands in it: a comment or a teaser may be an article too.
 HARD_WORDS = frozenset("comment comments commentlist respond disqus discussion replies reply sidebar related recommended ad ads advert".split())
+#: Of those, what says by itself that readers comment there, whatever stands beside it.
+COMMENT_WORDS = frozenset("comment comments commentlist respond disqus replies".split())
+#: What a paragraph, or an element that holds some, may be called inside an article.
+OWN_WORDS = frozenset("header notice notices alert".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: What comes next inside a tag: its end, or an attribute with a double-quoted, single-quoted or unquoted value, a quoted
@@ -159,13 +166,23 @@ def parse(source: str) -> tuple[Node, list[Node]]:
 
 
 def _names(node: Node) -> list[set[str]]:
-    """The words of each class and id."""
-    return [{w.lower() for w in _TOKEN.findall(name)} for k in ("class", "id") for name in node.attrs.get(k, "").split()]
+    """The words of each class and id, without modifiers and a prefix of one letter."""
+    named = (_TOKEN.findall(name.split("--")[0]) for k in ("class", "id") for name in node.attrs.get(k, "").split())
+    return [{w.lower() for w in (words[1:] if len(words) > 1 and len(words[0]) == 1 else words)} for words in named]
 
 
 def _named(node: Node, words: frozenset[str]) -> bool:
-    """Whether a class or id of the node has one of the words and no other than words of layout."""
-    return any(x & words and x <= GONE_WORDS | FILLER for x in _names(node))
+    """Whether a class or id of the node has one of the words and no other than words of layout; of an element that holds
+    others, whether it has a word for comments."""
+    outer = any(isinstance(k, Node) for k in node.kids) or node.tag in ("div", "section", "ol", "ul")
+    return any(x & words and x <= GONE_WORDS | FILLER or outer and node.tag != "p" and x & words & COMMENT_WORDS for x in _names(node))
+
+
+def _in_article(node: Node) -> bool:
+    p = node.parent
+    while p is not None and p.tag != "article":
+        p = p.parent
+    return p is not None
 
 
 def boilerplate(node: Node) -> bool:
@@ -180,7 +197,10 @@ def boilerplate(node: Node) -> bool:
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role",
         "").lower() in GONE_ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return True
-    return _named(node, GONE_WORDS)
+    if not _named(node, GONE_WORDS):
+        return False
+    own = node.tag == "p" or any(isinstance(k, Node) and k.tag == "p" for k in node.kids)
+    return not (own and not _named(node, GONE_WORDS - OWN_WORDS) and _in_article(node))
 
 
 def _lines(node: Node, only: list | None = None) -> list[str]:
@@ -210,6 +230,35 @@ def _lines(node: Node, only: list | None = None) -> list[str]:
     return out
 
 
+def _menu(node: Node) -> bool:
+    """Whether it is a list of links and nothing else."""
+    return node.tag in ("ul", "ol") and node.chars > 0 and node.linked / node.chars > 0.9 and sum(isinstance(k, Node) for k in node.kids) >= 3
+
+
+def _within(node: Node, outer: Node) -> bool:
+    while node is not None and node is not outer:
+        node = node.parent
+    return node is outer
+
+
+def _follows_text(node: Node) -> bool:
+    """Whether it comes right after a heading or paragraph of its parent, or lies in an article."""
+    if node.parent.tag in ("article", "main"):
+        return True
+    before = None
+    for k in node.parent.kids:
+        if k is node:
+            break
+        if isinstance(k, Node) and not k.gone:
+            before = k
+    return before is not None and (before.tag in HEADINGS or before.tag == "p")
+
+
+def _alike(node: Node, best: Node) -> bool:
+    """Whether a sibling has the best container's tag and class, and paragraphs of its own."""
+    return node.tag == best.tag and node.attrs.get("class") == best.attrs.get("class") and any(isinstance(k, Node) and k.tag == "p" and not k.gone for k in node.kids)
+
+
 def main_text(source: str | None) -> str:
     """The main text of a page: its blocks, joined by one line feed; empty if there is none."""
     root, nodes = parse(source or "")
@@ -260,10 +309,9 @@ def main_text(source: str | None) -> str:
         if n.parent is not None and not n.gone:
             n.parent.chars += n.chars
             n.parent.linked += n.linked
-    for n in nodes:  # lists that are links and nothing else are menus; so is what a name hints at and links make out
-        menu = n.tag in ("ul", "ol") and n.chars and n.linked / n.chars > 0.9 and sum(isinstance(k, Node) for k in n.kids) >= 3
+    for n in nodes:  # what a name hints at and links make out
         hinted = n.attrs and n.chars and n.linked / n.chars > 0.3 and id(n) not in holds and any(x & GONE_WORDS for x in _names(n))
-        if not n.gone and n.tag not in ("html", "body", "main", "article") and (menu or hinted):
+        if not n.gone and n.tag not in ("html", "body", "main", "article") and hinted:
             n.gone = True
     live = [n for n in nodes if not n.gone and n.chars and n.tag in BLOCK and n.tag not in HEADINGS | {"p", "li", "html"}]
     if not live:
@@ -276,6 +324,9 @@ def main_text(source: str | None) -> str:
             whole = p
         p = p.parent
     best = whole or best
+    for n in nodes:
+        if not n.gone and _menu(n) and not (_follows_text(n) if n.parent is best else whole is not None and _within(n, best)):
+            n.gone = True
     if best.parent is None or best.tag == "body":
         return "\n".join(_lines(best))
     least, kept = max(3.0, 0.2 * rank(best)), []
@@ -285,7 +336,7 @@ def main_text(source: str | None) -> str:
         elif isinstance(k, Node) and not k.gone and k.chars:
             plain = k.linked / k.chars < 0.3
             if k.tag in HEADINGS | {"p", "blockquote", "pre", "ul", "ol", "dl", "table",
-                "figure"} and plain and whole is None or rank(k) >= least and plain:
+                "figure"} and plain and whole is None or rank(k) >= least and plain or whole is None and plain and _alike(k, best):
                 kept.append(k)
     return "\n".join(_lines(best, kept))
 
@@ -305,6 +356,6 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's main text, however long. Further columns of the table aren't read. Null and empty html give an empty text; markup without any element gives its text; repeated
-    rows are each extracted; an empty table gives no rows."""
+    """Every page's main text, however long. Further columns of the table aren't read. Null and empty html give an empty text;
+    markup without any element gives its text; repeated rows are each extracted; an empty table gives no rows."""
     return extract(table(spark, sf_dir, "pages"))

@@ -272,6 +272,34 @@ def test_hints_with_links():
          "holds.</p></article>") == "So x=2 holds."
 
 
+BODY = "<h1>T</h1><p>First of all, there is much to say, and more of it, in a long text, with commas.</p><p>Second, as long, and with as many, commas, as the first one has.</p>"
+SAID = "T\nFirst of all, there is much to say, and more of it, in a long text, with commas.\nSecond, as long, and with as many, commas, as the first one has."
+LINKS = "<ul><li><a href=/a>One source</a></li><li><a href=/b>Two</a></li><li><a href=/c>Three</a></li></ul>"
+
+
+@pytest.mark.parametrize("more, kept", [
+    ('<section id="header"><p>A word before.</p></section>', "A word before."), ('<p class="notice">Take note.</p>', "Take note."),
+    (f"<h2>Sources</h2>{LINKS}", "Sources\nOne source\nTwo\nThree"), (LINKS, "One source\nTwo\nThree"),
+    ('<div id="disqus_thread"><p>Nice, post.</p></div>', ""), ('<section class="user-comments-list"><p>Nice, post.</p></section>', ""),
+    ('<div class="c-Promo--large"><p>Buy, now.</p></div>', ""), ('<div class="notice"><a href=/>Read</a> this <a href=/>now</a></div>', ""),
+])
+def test_articles_decide_by_structure(more, kept):
+    assert html.main_text(f"<body><article>{BODY}{more}</article></body>") == "\n".join(x for x in (SAID, kept) if x)
+
+
+@pytest.mark.parametrize("more, kept", [
+    ("<div class=s><h2>Results</h2><p>Short closing remark.</p></div>", "Results\nShort closing remark."), ("<div class=t><p>Something else.</p></div>", ""),
+    (LINKS, ""), ('<div class="s" id="disqus_thread"><p>Nice, post.</p></div>', ""), ('<div class="comment-list"><p>Nice, post.</p></div>', ""),
+])
+def test_siblings_by_pattern(more, kept):
+    assert html.main_text(f"<body><div><div class=s>{BODY}</div>{more}</div></body>") == "\n".join(x for x in (SAID, kept) if x)
+
+
+def test_plain_siblings_and_link_lists():
+    assert html.main_text(f"<body><div><div>{BODY}</div><div><p>Tail text.</p></div></div></body>") == f"{SAID}\nTail text."
+    assert html.main_text(f"<body><div id=x>{LINKS}{BODY}<h2>Sources</h2>{LINKS}</div></body>") == f"{SAID}\nSources\nOne source\nTwo\nThree"
+
+
 def slow_page(source):
     """The article of a generated page: what stands between its tags, block by block."""
     from html import unescape
