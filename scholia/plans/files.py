@@ -13,7 +13,7 @@ from scholia.plans.catalog import _as_long, query
 from scholia.plans.papers import _PAPER
 from scholia.plans.study import LOOKUPS, lookups
 from scholia.sources import adapters as a
-from scholia.sources import files
+from scholia.sources import archives, files
 from scholia.sources.stored import shared_folder
 
 
@@ -189,3 +189,41 @@ def folder_edits(spark: SparkSession, d: str) -> DataFrame:
         F.map_from_entries(F.array_distinct(F.array_sort(F.collect_set(F.struct(name.alias("p"), name.alias("q")))))).alias("m"))
     renamed, left = folders.rename(F.col("f"), F.col("m"), "event1", "renamed")[0], folders.delete(F.col("f"), F.col("m"), "event2")[0]
     return rows.select("headword", F.array_join(renamed, ",").alias("renamed"), F.array_join(left, ",").alias("left"))
+
+
+_ENTRIES = v.PAPERS, v.LINES, "packed AS (SELECT 'bundle-' || lpad((doc_id % 16)::VARCHAR, 2, '0') || '.zip' AS archive, * FROM papers)"
+
+
+def _bundles(spark: SparkSession, d: str) -> str:
+    """The folder of 16 archives with all papers: their meta data, their lines, and a manifest each."""
+    archive = F.concat(F.lit("bundle-"), F.lpad((F.col("doc_id") % 16).cast("string"), 2, "0"), F.lit(".zip"))
+    entry = lambda name: F.concat(F.lit("papers/"), "paper_id", F.lit(f"/{name}.json")).alias("entry")
+    content = lambda x: F.to_json(x).cast("binary").alias("content")
+    papers = a.papers(spark, d)
+    meta = papers.select(archive.alias("archive"), entry("meta"), content(F.struct("doc_id", "title", "folder", "lang")))
+    text = papers.select(archive.alias("archive"), entry("sentences"), content(F.struct("doc_id", F.split("text", "\n").alias("lines"))))
+    archives.register(spark)
+    rows = archives.with_manifests(meta.union(text), "2024-02-01T00:00:00")
+    archives.by_archive(rows).write.format("scholia_bundle").mode("append").save(path := _folder(spark, "bundles"))
+    return path
+
+
+@query(v.sql(*_ENTRIES, query="""SELECT archive, doc_id, title, folder, lang, len(string_split(text, chr(10))) AS n_lines, length(text) AS n_chars FROM packed"""))
+def bundle_archives(spark: SparkSession, d: str) -> DataFrame:
+    """All papers, written into archives and read back from their entries."""
+    rows = spark.read.format("scholia_bundle").load(_bundles(spark, d)).filter("reason is null")
+    said = F.col("content").cast("string")
+    meta = rows.filter(F.col("entry").endswith("/meta.json")).select("archive", F.from_json(said, "doc_id long, title string, folder string, lang string").alias("x")).select("archive", "x.*")
+    lines = rows.filter(F.col("entry").endswith("/sentences.json")).select(F.from_json(said, "doc_id long, lines array<string>").alias("x")).select("x.doc_id", "x.lines")
+    both = meta.join(lines, "doc_id")
+    n_chars = F.length(F.array_join("lines", "\n")).cast("long")
+    return both.select("archive", "doc_id", "title", "folder", "lang", F.size("lines").cast("long").alias("n_lines"), n_chars.alias("n_chars"))
+
+
+@query(v.sql(*_ENTRIES, query="SELECT archive, count(*) AS papers, min(paper_id) AS first FROM packed WHERE doc_id % 16 IN (3, 5) GROUP BY archive"))
+def bundle_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """Of two archives only the manifests are read."""
+    only = spark.read.format("scholia_bundle").option("archives", "bundle-03.zip,bundle-05.zip").option("entries", archives.MANIFEST)
+    rows = only.load(_bundles(spark, d))
+    papers = F.from_json(F.col("content").cast("string"), "papers array<string>")["papers"]
+    return rows.select("archive", F.size(papers).cast("long").alias("papers"), papers[0].alias("first"))
