@@ -320,6 +320,11 @@ def test_files(spark, tmp_path):
     (tmp_path / "p/b.json").write_text('{"kind":"progress","version":1,"reviews":[{"uid":"u","headword":"a","rating":9,"reviewed_at":"2026-01-01"}]}')
     good, bad = files.read_progress(spark, str(tmp_path / "p"))
     assert (good.count(), [r.reason for r in bad.collect()]) == (1, ["reviews"])
+    (tmp_path / "large").mkdir()
+    (tmp_path / "large/a.json").write_text('{"kind":"progress","version":1,"device":"' + "x" * files.MOST_PROGRESS + '"}')
+    (tmp_path / "large/b.json").write_text('{"kind":"progress","version":1}')
+    good, bad = files.read_progress(spark, str(tmp_path / "large"))
+    assert (good.count(), [(r.file[-6:], r.reason) for r in bad.collect()]) == (1, [("a.json", "size")])
     files.write_bundle({"words": words}, str(tmp_path / "bundle"))
     assert files.read_bundle(spark, str(tmp_path / "bundle"))["words"].count() == 3
     texts = spark.createDataFrame([("t", " body "), ("t", "body"), (None, "  "), (None, None)], "title string, text string")
@@ -335,9 +340,9 @@ def test_files(spark, tmp_path):
     files.write_bundle({"words": words.limit(1)}, str(tmp_path / "bundle"))
     assert files.read_bundle(spark, str(tmp_path / "bundle"))["words"].count() == 1
     for name in ("a.pdf", ".b.pdf", "x/c.PDF", ".h/d.pdf", "x/e.txt"):
-        (tmp_path / "w" / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / "w" / name).write_text("x")
-    assert sorted(r.path[-5:] for r in files.find_pdfs(spark, str(tmp_path / "w")).collect()) == ["a.pdf"[-5:], "c.PDF"[-5:]]
+        (tmp_path / ".w" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / ".w" / name).write_text("x")
+    assert sorted(r.path[-5:] for r in files.find_pdfs(spark, str(tmp_path / ".w")).collect()) == ["a.pdf"[-5:], "c.PDF"[-5:]]
     page = spark.createDataFrame([(1, i, x) for i, x in enumerate(["# Top", "", "2.1 Setup", "Some longer text follows here.", "",
          "Results", ""])], "doc_id int, n int, line string")
     assert [r.level for r in files.headings(page).orderBy("n").collect()] == [1, None, 2, None, None, 1, None]
