@@ -88,6 +88,37 @@ def replay(reviews: DataFrame) -> DataFrame:
         5).alias("difficulty"), "x.due", "x.last", "n")
 
 
+def step(state: tuple, rating: int, t: int) -> tuple:
+    """The state (phase, step, s, d, due, last) after one answer, for streams, which fold a few answers at a time."""
+    phase, at, s, d, _, last = state
+    difficulty = lambda r: W[4] - math.exp(W[5] * (r - 1)) + 1
+    if phase == 0:
+        s2, d2 = W[rating - 1], difficulty(rating)
+    else:
+        days = max(t - last, 0) // 86400
+        forgotten = 1 - (1 + FACTOR * days / s) ** DECAY
+        d2 = W[7] * difficulty(4) + (1 - W[7]) * (d + (10 - d) * -W[6] * (rating - 3) / 9)
+        if days < 1:
+            growth = math.exp(W[17] * (rating - 3 + W[18])) * s ** -W[19]
+            s2 = s * (max(growth, 1) if rating > 1 else growth)
+        elif rating == 1:
+            s2 = min(W[11] * d ** -W[12] * ((s + 1) ** W[13] - 1) * math.exp(forgotten * W[14]), s / math.exp(W[17] * W[18]))
+        else:
+            bonus = {2: W[15], 4: W[16]}.get(rating, 1)
+            s2 = s * (1 + math.exp(W[8]) * (11 - d) * s ** -W[9] * math.expm1(forgotten * W[10]) * bonus)
+    s2, d2 = max(s2, 0.001), min(max(d2, 1.0), 10.0)
+    steps, learning = (RELEARNING, 3) if phase in (2, 3) else (LEARNING, 1)
+    if phase == 2 and rating > 1 or phase != 2 and (rating == 4 or rating > 1 and at + (rating == 3) >= len(steps)):
+        days = min(max(round(s2 / FACTOR * (RETENTION ** (1 / DECAY) - 1)), 1), LONGEST)
+        return 2, 0, s2, d2, t + days * 86400, t
+    if rating == 1:
+        return learning, 0, s2, d2, t + steps[0], t
+    if rating == 3:
+        return learning, at + 1, s2, d2, t + steps[at + 1], t
+    hard = steps[at] if at else sum(steps[:2]) // 2 if len(steps) > 1 else steps[0] * 3 // 2
+    return learning, at, s2, d2, t + hard, t
+
+
 def preview_sql(state: str, now: str, spark: bool) -> list[str]:
     """Seconds until a card of a state is due again after each rating, 1 to 4, at `now`."""
     return [f"({step_sql(state, str(r), now, spark)}).due - {now}" for r in range(1, 5)]

@@ -1,19 +1,22 @@
 """The review log as a stream: an addition to the batch operators, which stay the definition of every result.
 
-Answers arrive late, twice and out of order. The stream keeps each headword's answers and folds them anew whenever one
-arrives, so that a late answer changes the state just as it does in a batch.
+Answers arrive late, twice and out of order. A late answer changes the state just as it does in a batch: `logs` gives each
+touched headword's whole log; `states` keeps the log in segments with the state before each, and folds again only from
+the segment in which the earliest new answer lies; `merge_into` merges into a log in files.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState
 
-from scholia.functions.srs import replay
+from scholia.functions.srs import replay, step
 
 SCHEMA = "headword long, uids array<long>, ratings array<int>, times array<long>, n long"
 
@@ -41,6 +44,110 @@ def logs(stream: DataFrame) -> DataFrame:
          "uids array<long>, ratings array<int>, times array<long>", "update", "NoTimeout")
 
 
+#: What `states` gives; refolded is the number of answers that a batch folded for the headword.
+STATES = "headword long, phase long, step long, stability double, difficulty double, due long, last long, n long, refolded long"
+#: Answers of a segment at most.
+SEGMENT = 64
+#: The state store that `states` needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Segments(StatefulProcessor):
+    """One headword's log, cut into segments by (time, uid). `index` has a row of arrays with the segments in order: number,
+    time and uid of the first answer, and how many there are; `segments` has each one's answers and the state before it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.index = handle.getValueState("index", "ids array<long>, times array<long>, uids array<long>, sizes array<long>")
+        self.segments = handle.getMapState("segments", "id long", "uids array<long>, ratings array<long>, times array<long>, "
+            "phase long, step long, s double, d double, due long, last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = sorted({(int(t), int(u), int(r)) for f in rows for t, u, r in zip(f["t"], f["uid"], f["rating"], strict=True)})
+        index = list(zip(*self.index.get(), strict=True)) if self.index.exists() else [(0, *new[0][:2], 0)]
+        starts = [i[1:3] for i in index]
+        place = lambda x: max(bisect_right(starts, x[:2]) - 1, 0)
+        into: dict[int, list[tuple]] = {}
+        for x in new:
+            into.setdefault(place(x), []).append(x)
+        loaded: dict[int, tuple[list, tuple]] = {}
+        for i, xs in into.items():
+            answers, before = self._load(index[i][0])
+            known = {a[1] for a in answers}
+            for x in xs:
+                if x[1] not in known:
+                    known.add(x[1])
+                    insort(answers, x)
+            if len(answers) > index[i][3]:
+                loaded[i] = answers, before
+        if loaded:
+            yield self._refold(key, index, loaded)
+
+    def _load(self, number: int) -> tuple[list, tuple]:
+        if not self.segments.containsKey((number,)):
+            return [], (0, 0, 0.0, 0.0, 0, 0)
+        uids, ratings, times, *before = self.segments.getValue((number,))
+        return list(zip(times, uids, ratings, strict=True)), tuple(before)
+
+    def _refold(self, key, index: list[tuple], loaded: dict[int, tuple[list, tuple]]) -> pd.DataFrame:
+        """Folds from the first changed segment on; segments that grew too long are cut."""
+        first, fresh = min(loaded), max(i[0] for i in index) + 1
+        kept, state, folded = index[:first], loaded[first][1], 0
+        for i in range(first, len(index)):
+            answers = loaded[i][0] if i in loaded else self._load(index[i][0])[0]
+            size = SEGMENT // 2 if len(answers) > SEGMENT else SEGMENT
+            for k in range(0, len(answers), size):
+                part, number = answers[k : k + size], index[i][0] if k == 0 else fresh
+                fresh += k > 0
+                times, uids, ratings = (list(c) for c in zip(*part, strict=True))
+                self.segments.updateValue((number,), (uids, ratings, times, *state))
+                kept.append((number, times[0], uids[0], len(part)))
+                for t, _, r in part:
+                    state = step(state, r, t)
+                folded += len(part)
+        self.index.update(tuple(list(c) for c in zip(*kept, strict=True)))
+        phase, at, s, d, due, last = state
+        return pd.DataFrame([{"headword": key[0], "phase": phase, "step": at, "stability": s, "difficulty": d, "due": due, "last": last,
+            "n": sum(k[3] for k in kept), "refolded": folded}])
+
+
+def states(stream: DataFrame) -> DataFrame:
+    """STATES of the headwords whose log a batch changes, for a stream of reviews (uid, headword, rating, reviewed_at): after
+    any number of batches, in any order of arrival, the row of a headword with the largest n is what `replay` gives for
+    all answers that came. A uid stands for one answer, so its repeats are equal and change nothing. Rows that `replay` passes
+    over are passed over. A headword's log is what bounds its state; a batch reads the segments from its earliest answer on.
+    Needs ROCKSDB as spark.sql.streaming.stateStore.providerClass."""
+    seconds = F.floor(F.unix_micros(F.col("reviewed_at").cast("timestamp")) / 1_000_000)
+    valid = stream.filter("rating between 1 and 4 and reviewed_at is not null and headword is not null and uid is not null")
+    rows = valid.select(F.col("headword").cast("long").alias("headword"), F.col("uid").cast("long").alias("uid"),
+        F.col("rating").cast("long").alias("rating"), seconds.cast("long").alias("t"))
+    return rows.groupBy("headword").transformWithStateInPandas(Segments(), STATES, "Update", "None")
+
+
+def run_states(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Folds what is there into the checkpoint's state and writes each batch's rows to a folder of its own, so that a batch that
+    is done again after a failure replaces its rows."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    had = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        run = states(stream).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint)
+        run.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, had)
+
+
+def latest(written: DataFrame) -> DataFrame:
+    """The last row of each headword of what `run_states` wrote, in the columns of `replay`."""
+    last = written.groupBy("headword").agg(F.max_by(F.struct("phase", "step", "stability", "difficulty", "due", "last", "n"),
+        "n").alias("x"))
+    return last.select("headword", "x.phase", "x.step", F.round("x.stability", 5).alias("stability"), F.round("x.difficulty",
+        5).alias("difficulty"), "x.due", "x.last", "x.n")
+
+
 #: Parts of the stored log, by a hash of the headword: a batch reads those that its headwords are in.
 PARTS = 64
 

@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from scholia.functions.srs import replay
+from scholia.functions.srs import replay, step
 from scholia.sources import adapters
 from scholia.streaming import reviews
 
@@ -23,3 +25,42 @@ def test_stream_gives_the_batch_state(spark, sf, tmp_path):
     assert {r.headword: r.n for r in got} == {w: x[-1] for w, x in want.items()}
     for s in spark.streams.active:
         s.stop()
+
+
+def test_states_fold_only_the_tail_and_survive_a_restart(spark, sf, tmp_path):
+    rnd = random.Random(5)
+    answers = [(u, u % 2, rnd.randint(1, 4), 1_700_000_000 + rnd.randint(0, 400) * 43200) for u in range(600)]
+    answers += [(1000, 1, 9, 1_700_000_000), (1001, None, 3, 1_700_000_000), (1002, 1, 3, None)]
+    order = sorted(answers[:600], key=lambda x: (x[3], x[0]))
+    middle = order.pop(300)
+    batches = [order[:200] + answers[600:], order[150:400], order[400:], order[590:] + order[:5], [middle]]
+    source, out, state = (str(tmp_path / n) for n in ("source", "out", "state"))
+    schema = "uid long, headword long, rating int, t long"
+    for rows in batches:  # each a run of its own, from the checkpoint of the last
+        df = spark.createDataFrame(rows, schema).select("uid", "headword", "rating", F.timestamp_seconds("t").alias("reviewed_at"))
+        df.coalesce(1).write.mode("append").parquet(source)
+        reviews.run_states(spark.readStream.schema(df.schema).parquet(source), out, state)
+    every = spark.createDataFrame(answers, schema).withColumn("reviewed_at", F.timestamp_seconds("t"))
+    got = spark.read.parquet(out)
+    assert sorted(map(tuple, reviews.latest(got).collect())) == sorted(map(tuple, replay(every).collect()))
+    rows = sorted((r.batch, r.headword, r.n, r.refolded) for r in got.collect())
+    assert {r[0] for r in rows} == {0, 1, 2, 4}  # repeats alone give no row
+    tail = [r for r in rows if r[0] == 4]
+    assert len(tail) == 1 and tail[0][2] == 300 and 150 <= tail[0][3] <= 150 + reviews.SEGMENT
+    assert all(r[3] < 180 for r in rows if r[0] == 2)  # about 100 new ones of 300, and a segment
+
+
+def test_step_is_the_fold(spark):
+    rnd, logs = random.Random(3), []
+    for k in range(60):
+        t = 1_700_000_000
+        for i in range(rnd.randint(1, 12)):
+            t += rnd.choice([0, 30, 700, 90_000, 4_000_000])
+            logs.append((k * 100 + i, k, rnd.randint(1, 4), t))
+    df = spark.createDataFrame(logs, "uid long, headword long, rating int, t long").withColumn("reviewed_at", F.timestamp_seconds("t"))
+    for r in replay(df).collect():
+        state = (0, 0, 0.0, 0.0, 0, 0)
+        for _, _, rating, t in (x for x in logs if x[1] == r.headword):
+            state = step(state, rating, t)
+        assert (r.phase, r.step, r.due, r.last) == (*state[:2], *state[4:])
+        assert abs(r.stability - state[2]) < 1e-4 and abs(r.difficulty - state[3]) < 1e-4
