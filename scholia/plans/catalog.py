@@ -160,13 +160,7 @@ def acronym_expansion(spark: SparkSession, d: str) -> DataFrame:
 # --- logs ------------------------------------------------------------------------------------------------------------
 
 
-@query(v.sql(v.REVIEWS,
-     "lists AS (SELECT headword, list({'phase': CAST(rating AS BIGINT), 'step': CAST(0 AS BIGINT), 's': CAST(0 AS "
-     "DOUBLE), 'd': CAST(0 AS DOUBLE), 'due': CAST(uid AS BIGINT), 'last': CAST(floor(epoch(reviewed_at)) AS "
-     "BIGINT)} ORDER BY reviewed_at, uid) AS log, count(*) AS n FROM reviews GROUP BY 1)",
-    f"states AS (SELECT headword, n, {srs.fold_sql('log', False)} AS x FROM lists)",
-        query="SELECT headword, x.phase AS phase, x.step AS step, round(x.s, 5) AS stability, round(x.d, 5) AS "
-         "difficulty, x.due AS due, x.last AS last, n FROM states"))
+@query(v.sql(v.REVIEWS, "past AS (SELECT * FROM reviews WHERE headword IS NOT NULL)", v.replay(), query=v.STATE))
 def review_replay_state(spark: SparkSession, d: str) -> DataFrame:
     return srs.replay(a.reviews(spark, d))
 
@@ -177,17 +171,12 @@ def review_first_seen(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(v.sql(v.REVIEWS, "words AS (SELECT c_custkey AS headword FROM customer)",
-     "past AS (SELECT * FROM reviews WHERE floor(epoch(reviewed_at)) <= 1705320000)",
-    "lists AS (SELECT headword, list({'phase': CAST(rating AS BIGINT), 'step': CAST(0 AS BIGINT), 's': CAST(0 "
-         "AS DOUBLE), 'd': CAST(0 AS DOUBLE), 'due': CAST(uid AS BIGINT), 'last': CAST(floor(epoch(reviewed_at)) AS "
-         "BIGINT)} ORDER BY reviewed_at, uid) AS log FROM past GROUP BY 1)",
-    f"states AS (SELECT headword, {srs.fold_sql('log', False)} AS x FROM lists)",
-         "cards AS (SELECT w.headword, x.phase AS phase, x.due AS due FROM words w LEFT JOIN states USING " "(headword))",
+    "past AS (SELECT * FROM reviews WHERE headword IS NOT NULL AND floor(epoch(reviewed_at)) <= 1705320000)", v.replay(),
+    "cards AS (SELECT w.headword, phase, due FROM words w LEFT JOIN states USING (headword))",
     "used AS (SELECT count(*) AS used FROM (SELECT min(floor(epoch(reviewed_at))) AS f FROM past GROUP BY headword) WHERE f >= 1705276800)",
-    query="SELECT least(new_waiting, greatest(20 - used, 0)) AS new, learning, review, total, new_waiting, next_due "
-         "FROM (SELECT count(*) FILTER (phase IS NULL) AS new_waiting, count(*) FILTER (due <= 1705320000 AND phase "
-         "<> 2) AS learning, count(*) FILTER (due <= 1705320000 AND phase = 2) AS review, count(*) AS total, "
-         "min(due) FILTER (due > 1705320000) AS next_due FROM cards), used"))
+    query="""SELECT least(new_waiting, greatest(20 - used, 0)) AS new, learning, review, total, new_waiting, next_due FROM
+  (SELECT count(*) FILTER (phase IS NULL) AS new_waiting, count(*) FILTER (due <= 1705320000 AND phase <> 2) AS learning,
+    count(*) FILTER (due <= 1705320000 AND phase = 2) AS review, count(*) AS total, min(due) FILTER (due > 1705320000) AS next_due FROM cards), used"""))
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
     past = a.reviews(spark, d).filter(F.floor(F.unix_micros(F.col("reviewed_at").cast("timestamp")) / 1_000_000) <= NOW)
     words = a.table(spark, d, "customer").select(F.col("c_custkey").alias("headword"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,16 +13,12 @@ from scholia.operators import logs, papers, study
 from scholia.plans import views as v
 from scholia.plans.catalog import NOW, _as_long, query
 from scholia.sources import adapters as a
+from scholia.sources.stored import shared_folder
+from scholia.streaming import reviews
 
 LOOKUPS = """lookups AS (SELECT event_id AS uid, user_id AS headword, ts AS looked_at,
   CASE WHEN event_id % 3 > 0 THEN substr(props, 1, 20) END AS sentence FROM events)"""
 WORDS = "words AS (SELECT c_custkey AS headword, TIMESTAMP '2024-01-01' + to_minutes(c_custkey) AS first_seen FROM customer)"
-LISTS = """lists AS (SELECT headword, count(*) AS n, list({'phase': CAST(rating AS BIGINT), 'step': CAST(0 AS BIGINT),
-  's': CAST(0 AS DOUBLE), 'd': CAST(0 AS DOUBLE), 'due': CAST(uid AS BIGINT), 'last': CAST(floor(epoch(reviewed_at)) AS BIGINT)}
-  ORDER BY reviewed_at, uid) AS log FROM past GROUP BY 1)"""
-STATES = f"states AS (SELECT headword, n, {srs.fold_sql('log', False)} AS x FROM lists)"
-STATE = """SELECT headword, x.phase AS phase, x.step AS step, round(x.s, 5) AS stability, round(x.d, 5) AS difficulty,
-  x.due AS due, x.last AS last, n FROM states"""
 
 
 def lookups(spark: SparkSession, d: str) -> DataFrame:
@@ -38,20 +35,35 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     return a.table(spark, d, "customer").select(F.col("c_custkey").alias("headword"), first.alias("first_seen"))
 
 
-# --- the review queue ------------------------------------------------------------------------------------------------
+@query(v.sql(v.REVIEWS, "past AS (SELECT * FROM reviews WHERE headword IS NOT NULL)", v.replay(), query=v.STATE))
+def review_states_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The answers as a stream of files in two runs, the second from the first one's checkpoint: one device's, and then the
+    other's, which are late as often as not, with the first one's again."""
+    rows = a.reviews(spark, d)
+    root = f"{shared_folder(spark)}/reviews-{uuid.uuid4().hex}"
+    source, out, state = (f"{root}/{name}" for name in ("source", "states", "checkpoint"))
+    for part in (rows.filter("device = 0"), rows):
+        part.write.mode("append").parquet(source)
+        reviews.run_states(spark.readStream.schema(rows.schema).parquet(source), out, state)
+    return reviews.latest(spark.read.schema(reviews.STATES).parquet(out))
 
-_PREVIEWS = ", ".join(f"{sql} AS {n}" for sql, n in zip(srs.preview_sql("x", f"{NOW}", False), ("again", "hard", "good", "easy"), strict=True))
 
+# --- the review queue ------------------------------------------------------------------------------------------------
 
 def _next_sql(past: str, quota: int) -> str:
+    """Each rating is tried as a further answer of the card's log, and that log is folded from its start."""
+    waits = ", ".join(f"(SELECT due FROM after WHERE headword = {k}) - {NOW} AS {n}" for k, n in enumerate(("again", "hard", "good", "easy"), 1))
     return v.sql(
-        v.REVIEWS, WORDS, f"past AS (SELECT * FROM reviews WHERE {past})", LISTS, STATES,
-        "cards AS (SELECT w.headword, w.first_seen, x, n FROM words w LEFT JOIN states USING (headword))",
+        v.REVIEWS, WORDS, f"past AS (SELECT * FROM reviews WHERE headword IS NOT NULL AND {past})", v.replay(),
+        "cards AS (SELECT w.headword, w.first_seen, phase, due, n FROM words w LEFT JOIN states USING (headword))",
         f"used AS (SELECT count(*) AS used FROM (SELECT min(floor(epoch(reviewed_at))) AS f FROM past GROUP BY headword) WHERE f BETWEEN {NOW - NOW % 86400} AND {NOW})",
-        f"""picks AS (SELECT headword, x, n, 0 AS kind, x.due AS came FROM cards WHERE x.due <= {NOW}
-  UNION ALL SELECT headword, x, n, 1, CAST(epoch(first_seen) AS BIGINT) FROM cards, used WHERE x IS NULL AND used < {quota})""",
-        f"best AS (SELECT headword, coalesce(x, {srs.state_sql(*srs.NEW, False)}) AS x, coalesce(n, 0) AS n FROM picks ORDER BY kind, came, headword LIMIT 1)",
-        query=f"SELECT headword, ['New', 'Learning', 'Review', 'Relearning'][x.phase + 1] AS phase, n AS reviews, {_PREVIEWS} FROM best",
+        f"""picks AS (SELECT headword, phase, n, 0 AS kind, due AS came FROM cards WHERE due <= {NOW}
+  UNION ALL SELECT headword, 0, 0, 1, CAST(epoch(first_seen) AS BIGINT) FROM cards, used WHERE phase IS NULL AND used < {quota})""",
+        "best AS (SELECT * FROM picks ORDER BY kind, came, headword LIMIT 1)",
+        f"""tried AS (SELECT k AS headword, uid, rating, reviewed_at FROM past JOIN best USING (headword), range(1, 5) AS t(k)
+  UNION ALL SELECT k, 1000000000000000, k, TIMESTAMP '1970-01-01' + to_seconds({NOW}) FROM range(1, 5) AS t(k))""",
+        v.replay("tried", "after"),
+        query=f"SELECT headword, ['New', 'Learning', 'Review', 'Relearning'][phase + 1] AS phase, n AS reviews, {waits} FROM best",
     )
 
 
@@ -72,8 +84,8 @@ def review_next_new(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(v.sql(v.REVIEWS, "gone AS (SELECT uid, headword FROM reviews WHERE device = 1 ORDER BY reviewed_at DESC, uid DESC LIMIT 1)",
-    "past AS (SELECT * FROM reviews WHERE headword = (SELECT headword FROM gone) AND uid <> (SELECT uid FROM " "gone))", LISTS,
-         STATES, query=STATE))
+    "past AS (SELECT * FROM reviews WHERE headword = (SELECT headword FROM gone) AND uid <> (SELECT uid FROM gone))", v.replay(),
+    query=v.STATE))
 def review_undo(spark: SparkSession, d: str) -> DataFrame:
     return study.undo(a.reviews(spark, d), 1)[1]
 

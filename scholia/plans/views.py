@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from scholia.functions import srs
 from scholia.sources.adapters import STOP, TOKEN
 
 PAPERS = """papers AS (SELECT substr(sha256(text), 1, 8) AS paper_id, doc_id, source AS folder, lang, substr(split_part(text, chr(10), 1), 1, 60) AS title, text
@@ -42,6 +43,32 @@ TOKENS = f"""tokens AS (SELECT doc_id, pos - 1 AS pos, words[pos] AS token FROM
 DICTIONARY = f"""dictionary AS (SELECT DISTINCT lower(w) AS lower FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS w FROM benchmark))"""
 REVIEWS = """reviews AS (SELECT event_id AS uid, user_id AS headword, CASE event_type WHEN 'error' THEN 1 WHEN 'view' THEN 2 WHEN 'click' THEN 3 WHEN 'purchase' THEN 3 ELSE 4 END AS rating, ts AS reviewed_at, event_id % 2 AS device FROM events)"""
 MARKS = """marks AS (SELECT user_id * 10 + event_id % 10 AS uid, event_id % 50 AS paper, substr(props, 1, 20) AS note, ts AS updated_at, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS deleted, event_id % 2 AS device, event_id FROM events)"""
+_W = ", ".join(str(x) for x in srs.W)
+_REPLAY = f"""w_of_STATES AS (SELECT [{_W}]::DOUBLE[] AS w),
+ordered_for_STATES AS (SELECT headword, rating AS r, CAST(floor(epoch(reviewed_at)) AS BIGINT) AS t, row_number() OVER (PARTITION BY headword ORDER BY floor(epoch(reviewed_at)), uid) AS i, count(*) OVER (PARTITION BY headword) AS n FROM PAST),
+STATES AS (WITH RECURSIVE fold AS (
+  SELECT headword, n, 0::BIGINT AS i, 0::BIGINT AS phase, 0::BIGINT AS step, 0::DOUBLE AS s, 0::DOUBLE AS d, 0::BIGINT AS due, 0::BIGINT AS last FROM ordered_for_STATES WHERE i = 1
+  UNION ALL
+  SELECT headword, n, i, CASE WHEN up THEN 2 WHEN phase >= 2 THEN 3 ELSE 1 END, CASE WHEN up OR r = 1 THEN 0 WHEN r = 3 THEN step + 1 ELSE step END, s2, d2,
+    t + CASE WHEN up THEN 86400 * CAST(least(greatest(round_even(s2, 0), 1), 36500) AS BIGINT) WHEN phase >= 2 THEN CASE r WHEN 2 THEN 900 ELSE 600 END WHEN r = 1 THEN 60 WHEN r = 3 OR step > 0 THEN 600 ELSE 330 END, t
+  FROM (SELECT *, CASE WHEN phase = 2 THEN r > 1 ELSE r = 4 OR r = 3 AND step + 1 >= stairs OR r = 2 AND step >= stairs END AS up
+    FROM (SELECT *, CASE phase WHEN 3 THEN 1 ELSE 2 END AS stairs, greatest(0.001, CASE WHEN phase = 0 THEN w[r] WHEN away = 0 THEN s * CASE WHEN r = 1 THEN g ELSE greatest(g, 1) END
+        WHEN r = 1 THEN least(s / exp(w[18] * w[19]), w[12] * ((s + 1) ** w[14] - 1) / d ** w[13] * exp(w[15] * (1 - held)))
+        ELSE s + s * exp(w[9]) * (11 - d) / s ** w[10] * (exp(w[11] * (1 - held)) - 1) * CASE r WHEN 2 THEN w[16] WHEN 4 THEN w[17] ELSE 1 END END) AS s2,
+      least(10, greatest(1, CASE WHEN phase = 0 THEN w[5] + 1 - exp(w[6] * (r - 1)) ELSE w[8] * (w[5] + 1 - exp(3 * w[6])) + (1 - w[8]) * (d - w[7] * (r - 3) * (10 - d) / 9) END)) AS d2
+      FROM (SELECT o.headword, o.n, o.i, o.r, o.t, f.phase, f.step, f.s, f.d, w, greatest(o.t - f.last, 0) // 86400 AS away,
+          exp(w[18] * (o.r - 3 + w[19])) / f.s ** w[20] AS g, (1 + (0.9 ** (-1 / w[21]) - 1) * (greatest(o.t - f.last, 0) // 86400) / f.s) ** -w[21] AS held
+        FROM fold f JOIN ordered_for_STATES o ON o.headword = f.headword AND o.i = f.i + 1, w_of_STATES))))
+  SELECT headword, n, phase, step, s, d, due, last FROM fold WHERE i = n)"""
+
+
+def replay(past: str = "past", states: str = "states") -> str:
+    """The replay fold by recursion over the answers of `past`, one at a time, written from the published model and not from
+    the expression that Spark runs: phase 0 new, 1 learning, 2 review, 3 relearning; steps 1 and 10 minutes, relearning 10."""
+    return _REPLAY.replace("STATES", states).replace("PAST", past)
+
+
+STATE = "SELECT headword, phase, step, round(s, 5) AS stability, round(d, 5) AS difficulty, due, last, n FROM states"
 STOPS = ", ".join(f"'{w}'" for w in STOP)
 
 
