@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholia.operators import folders, outline
+from scholia.operators import folders, logs, outline
 from scholia.plans import views as v
 from scholia.plans.catalog import _as_long, query
 from scholia.plans.papers import _PAPER
-from scholia.plans.study import LOOKUPS, lookups
+from scholia.plans.study import LOOKUPS, WORDS, lookups, words
 from scholia.sources import adapters as a
-from scholia.sources import archives, files
+from scholia.sources import archives, files, library
 from scholia.sources.stored import shared_folder
 
 
@@ -113,6 +114,85 @@ def bundle_ingested(spark: SparkSession, d: str) -> DataFrame:
     return files.ingest(had, files.read_bundle(spark, path)["papers"], "doc_id", "phone")
 
 
+# --- a library that takes in a bundle ----------------------------------------------------------------------------------
+
+
+def _library(spark: SparkSession, d: str, *names: str) -> dict[str, DataFrame]:
+    """A library with half of each table, which takes in a bundle with another part of it; the two overlap. What a write that
+    failed would leave, a folder that no version names, is there as well."""
+    i = F.col("doc_id")
+    papers = a.papers(spark, d).select("doc_id", "paper_id", "title")
+    figures = a.lines(spark, d).filter("n % 5 = 0").select("doc_id", i.cast("string").alias("paper_id"), F.concat(F.lit("f"),
+        F.col("n").cast("string"), F.lit(".png")).alias("file"), F.length("line").cast("long").alias("size"), "n")
+    seen = words(spark, d)
+    k, last = F.col("headword"), F.col("first_seen") + F.expr("INTERVAL 1 DAY")
+    own = seen.select("headword", "first_seen", F.when(k % 5 > 0, last).alias("last_seen"), F.when(k % 4 == 0, "phone").otherwise("mac").alias("origin"))
+    marks = a.marks(spark, d).filter("uid is not null")
+    had = {
+        "papers": papers.filter("doc_id % 2 = 0").select("paper_id", F.concat(F.lit("old "), "title").alias("title")),
+        "figures": figures.filter("doc_id % 2 = 0").select("paper_id", "file", F.lit(0).cast("long").alias("size")),
+        "words": own.filter("headword % 2 = 0"), "reviews": a.reviews(spark, d).filter("device = 0"),
+        "marks": logs.last_write(marks.filter("event_id % 2 = 0"), "uid"),
+    }
+    came = {
+        "papers": papers.filter("doc_id % 3 = 0").select("paper_id", "title"),
+        "figures": figures.filter("doc_id % 3 = 0 and n % 10 = 0").select("paper_id", "file", "size"),
+        "words": seen.filter("headword % 3 = 0"), "reviews": a.reviews(spark, d).filter("uid % 3 = 0"),
+        "marks": marks.filter("event_id % 2 = 1"),
+    }
+    library.change(spark, path := _folder(spark, "library"), {n: had[n] for n in names}, parts=8)
+    came[names[0]].write.parquet(f"{path}/00000002-unfinished/{names[0]}/_part=0")
+    library.ingest(spark, path, {n: came[n] for n in names})
+    return library.read(spark, path)
+
+
+_FIGURES = "figures AS (SELECT doc_id, n, doc_id::VARCHAR AS paper_id, 'f' || n || '.png' AS file, length(line) AS size FROM lines WHERE n % 5 = 0)"
+_TAKEN = {
+    "papers": "SELECT paper_id, CASE WHEN doc_id % 3 = 0 THEN title ELSE 'old ' || title END AS title FROM papers WHERE doc_id % 3 = 0 OR doc_id % 2 = 0",
+    "figures": """SELECT paper_id, file, CASE WHEN doc_id % 3 = 0 AND n % 10 = 0 THEN size ELSE 0 END AS size FROM figures
+  WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 AND n % 10 = 0""",
+    "words": """SELECT headword, first_seen, CASE WHEN headword % 2 > 0 THEN first_seen WHEN headword % 5 > 0 THEN first_seen + INTERVAL 1 DAY WHEN headword % 3 = 0 THEN first_seen END AS last_seen,
+  CASE WHEN headword % 4 > 0 THEN 'mac' WHEN headword % 3 = 0 THEN 'both' ELSE 'phone' END AS origin FROM words WHERE headword % 2 = 0 OR headword % 3 = 0""",
+    "reviews": "SELECT uid, headword, rating, reviewed_at, device FROM reviews WHERE device = 0 OR uid % 3 = 0",
+    "marks": """SELECT uid, updated_at, event_id, paper, note, deleted, device FROM marks WHERE uid IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY uid ORDER BY updated_at DESC, event_id % 2, event_id) = 1""",
+}
+_SOURCES = {"papers": [v.PAPERS], "figures": [v.PAPERS, v.LINES, _FIGURES], "words": [WORDS], "reviews": [v.REVIEWS], "marks": [v.MARKS]}
+
+
+@query(v.sql(*_SOURCES["papers"], query=_TAKEN["papers"]))
+def library_papers(spark: SparkSession, d: str) -> DataFrame:
+    return _library(spark, d, "papers")["papers"]
+
+
+@query(v.sql(*_SOURCES["figures"], query=_TAKEN["figures"]))
+def library_figures(spark: SparkSession, d: str) -> DataFrame:
+    return _library(spark, d, "figures")["figures"]
+
+
+@query(v.sql(*_SOURCES["words"], query=_TAKEN["words"]))
+def library_words(spark: SparkSession, d: str) -> DataFrame:
+    return _library(spark, d, "words")["words"]
+
+
+@query(v.sql(*_SOURCES["reviews"], query=_TAKEN["reviews"]))
+def library_reviews(spark: SparkSession, d: str) -> DataFrame:
+    return _library(spark, d, "reviews")["reviews"]
+
+
+@query(v.sql(*_SOURCES["marks"], query=_TAKEN["marks"]))
+def library_marks(spark: SparkSession, d: str) -> DataFrame:
+    return _library(spark, d, "marks")["marks"]
+
+
+@query(v.sql(v.PAPERS, v.LINES, _FIGURES, WORDS, v.REVIEWS, v.MARKS,
+    query=" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM ({q})" for n, q in _TAKEN.items())))
+def library_tables(spark: SparkSession, d: str) -> DataFrame:
+    """All five tables, taken in as one version."""
+    counts = [t.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, t in _library(spark, d, *_TAKEN).items()]
+    return reduce(DataFrame.union, counts)
+
+
 @query(v.sql(v.PAPERS,
     query="SELECT paper_id AS id, title, strftime(DATE '2024-01-01' + CAST(doc_id % 300 AS INT), '%Y-%m-%d') AS imported_at FROM papers WHERE "
      "doc_id % 10 > 0"))
