@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,16 +103,33 @@ def own_progress(lookups: DataFrame, reviews: DataFrame, device: str) -> tuple[D
     return lookups, reviews.filter(F.col("device") == device)
 
 
-def write_progress(device: str, tables: dict[str, DataFrame], exported_at: str, path: str) -> None:
-    """Writes a device's progress file: its lookups, positions and marks, and of the reviews its own, in one JSON document. One
-    learner's records are what bounds it."""
-    tables = {**tables, "reviews": tables["reviews"].filter(F.col("device") == device)}
-    spark = tables["reviews"].sparkSession
-    doc = spark.range(1).select(F.lit("progress").alias("kind"), F.lit(VERSION).alias("version"), F.lit(device).alias("device"),
-        F.lit(exported_at).alias("exported_at"))
+#: Records of a progress file at most: what a learner has more goes to further files, as merges go by uid and not by file.
+MOST_RECORDS = 20_000
+
+
+def progress_documents(tables: dict[str, DataFrame], owner: str, most: int = MOST_RECORDS) -> DataFrame:
+    """(owner, _file, a list for each table) of the learners in tables, each of which has the column `owner`: one row of at most
+    about `most` records for each file, so that no learner's records are gathered whole however many there are. Records
+    are dealt to a learner's files by a hash of all their columns; rows without an owner are passed over."""
+    tables = {name: df.filter(F.col(owner).isNotNull()) for name, df in tables.items()}
+    sizes = reduce(DataFrame.unionByName, [df.select(owner) for df in tables.values()]).groupBy(owner).agg(F.count("*").alias("_n"))
+    many = sizes.filter(F.col("_n") > most).withColumn("_files", F.ceil(F.col("_n") / most)).drop("_n")
+    lists = []
     for name, df in tables.items():
-        doc = doc.crossJoin(F.broadcast(df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))))  # one row each
-    doc.coalesce(1).write.mode("overwrite").json(path)
+        columns = [c for c in df.columns if c != owner]
+        file = F.pmod(F.xxhash64(*columns), F.coalesce("_files", F.lit(1))).alias("_file")
+        rows = df.join(many, owner, "left").select(owner, file, F.struct(*columns).alias("x"))
+        lists.append(rows.groupBy(owner, "_file").agg(F.array_sort(F.collect_list("x")).alias(name)))
+    return reduce(lambda x, y: x.join(y, [owner, "_file"], "full"), lists)
+
+
+def write_progress(device: str, tables: dict[str, DataFrame], owner: str, exported_at: str, path: str) -> None:
+    """Writes the progress files of a device: of each learner (a column `owner` of all tables) its lookups, positions and marks,
+    and of the reviews the device's own, as JSON documents in a folder for each."""
+    tables = {**tables, "reviews": tables["reviews"].filter(F.col("device") == device)}
+    head = [F.lit("progress").alias("kind"), F.lit(VERSION).alias("version"), F.lit(device).alias("device"), F.lit(exported_at).alias("exported_at")]
+    docs = progress_documents(tables, owner).select(owner, "_file", F.to_json(F.struct(*head, *tables)).alias("value"))
+    docs.write.partitionBy(owner, "_file").mode("overwrite").text(path)
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
