@@ -168,10 +168,38 @@ def read_shard(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
 def find_pdfs(spark: SparkSession, path: str) -> DataFrame:
     """(path, size, modified) of the PDF files in a folder and those below it, but for folders and files below it whose name
     begins with a dot. No content is read."""
+    return _pdfs(spark, path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def _pdfs(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path)
     root = re.sub(r"^[A-Za-z0-9]+:(//[^/]*)?", "", path).rstrip("/")
     below = F.substring("path", F.instr("path", root) + len(root), F.length("path"))
-    return found.filter(~below.rlike(r"/\.[^/]")).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return found.filter(~below.rlike(r"/\.[^/]"))
+
+
+#: Sizes up to which each is a condition of its own for the scan; beyond, the scan takes the range from least to greatest.
+MOST_SIZES = 500
+
+
+def originals(spark: SparkSession, path: str, papers: DataFrame) -> DataFrame:
+    """(paper_id, path, modified, files) of papers (paper_id, size, sha): the files that `find_pdfs` finds with a paper's size and
+    SHA-256, of which the oldest counts (a tie: the least path), and how many there are. Content is read only of files whose
+    size some paper has, or lies in the range of these; papers without a file give no row."""
+    wanted = papers.select("size").dropna().distinct()
+    sizes = [r["size"] for r in wanted.limit(MOST_SIZES + 1).collect()]
+    if not sizes:
+        return spark.createDataFrame([], "paper_id string, path string, modified timestamp, files long")
+    if len(sizes) <= MOST_SIZES:
+        fits = reduce(lambda x, y: x | y, [F.col("length") == n for n in sizes])
+    else:
+        low, high = wanted.agg(F.min("size"), F.max("size")).first()
+        fits = (F.col("length") >= low) & (F.col("length") <= high)
+    found = _pdfs(spark, path).filter(fits).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
+        F.sha2("content", 256).alias("sha"))
+    each = papers.select("paper_id", "size", "sha").join(found, ["size", "sha"]).groupBy("paper_id")
+    best = each.agg(F.min(F.struct("modified", "path")).alias("x"), F.count("*").alias("files"))
+    return best.select("paper_id", "x.path", "x.modified", "files")
 
 
 def read_catalog(spark: SparkSession, path: str, schema: str) -> DataFrame:
