@@ -102,6 +102,13 @@ def registered(results: DataFrame, words: DataFrame) -> DataFrame:
         "left").withColumn("registered", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
+def resolved(references: DataFrame, labels: DataFrame) -> DataFrame:
+    """references (doc_id, n, key) with label_n, the first n of labels (doc_id, n, key) that has their key in their document; null
+    where none has. Labels without a key are passed over."""
+    first = labels.filter(F.col("key").isNotNull()).groupBy("doc_id", "key").agg(F.min("n").alias("label_n"))
+    return references.join(first, ["doc_id", "key"], "left").select("doc_id", "n", "key", "label_n")
+
+
 def first_labels(figures: DataFrame, key: Column) -> DataFrame:
     """figures (doc_id, n) of which those with a label's key are kept once a key, the first; those without one all stay."""
     keyed = figures.withColumn("key", key)

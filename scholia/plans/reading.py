@@ -82,6 +82,13 @@ def speech_plan(spark: SparkSession, d: str) -> DataFrame:
     return reading.speech_plan(items, cache, "v", 175).select("doc_id", "item_id", "key", "reused", F.round("seconds", 3).alias("seconds"))
 
 
+@query(v.sql(*_PAPER, _ITEMS.replace("WHERE kind <> 'back'", ""), query="SELECT doc_id, section, k, item_id, said FROM items WHERE k = 0 OR said <> ''"))
+def playlist_with_back(spark: SparkSession, d: str) -> DataFrame:
+    """All that is read of the papers, back matter too."""
+    sections, sentences = a.outlined(spark, d)
+    return _as_long(reading.spoken_items(sections, sentences.withColumn("spoken", text.speech(F.col("text")))), "section")
+
+
 _CHAPTERS = """kept AS (SELECT *, level = 1 OR row_number() OVER (PARTITION BY doc_id ORDER BY n) = 1 AS opens FROM sections WHERE kind <> 'back'),
 counted AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY doc_id ORDER BY n) AS chapter FROM kept)"""
 
