@@ -351,6 +351,15 @@ def pronunciation_builtin(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(a.annotated(spark, d).select("doc_id", "n", text.pronounce(said).alias("spoken")), "n")
 
 
+@query(v.sql(v.PAPERS, v.LINES, v.ANNOTATED,
+    query="SELECT doc_id, n, " + _said_sql(f"replace(replace(replace({_hard_sql()}, 'Peak of', 'Summit of'), 'Stroke', 'Way'), 'run', '2 h')") + " AS spoken FROM annotated"))
+def spoken_composed(spark: SparkSession, d: str) -> DataFrame:
+    """A paper's rules, then the user's, who changes what the paper's made, then the readings of numbers and units."""
+    said = F.replace(F.get(F.array(*[F.lit(x) for x in _HARD]), (F.col("n") % len(_HARD)).cast("int")), F.lit("#"), F.col("n").cast("string"))
+    spoken = text.spoken_form(said, [("peak", "Top", False), ("Stroke", "Way", True), ("RUN", "no run", True)], [("top", "Summit", False), ("run", "2 h", True)])
+    return _as_long(a.annotated(spark, d).select("doc_id", "n", spoken.alias("spoken")), "n")
+
+
 _STEMS = text.INFLECTIONS[: text.SAME_WORD]
 #: Words of the papers, and what a learner typed for them: right, in another form, with a letter too much, or nothing like it.
 _TYPED = f"""typed AS (SELECT *, CASE WHEN t = a THEN 'exact' WHEN list_has_any({v.undone('t', _STEMS)}, {v.undone('a', _STEMS)}) THEN 'form'
