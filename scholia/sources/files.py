@@ -39,11 +39,18 @@ def write_dictionary_shards(words: DataFrame, path: str) -> None:
 
 
 def import_texts(texts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(id, title, text) of texts (title, text) that are new to the catalog (id): not blank, not too long, once each."""
+    """(id, title, text) of texts (title, text) that are new to the catalog: not blank, not too long, once each. The id is the first
+    8 hex digits of the SHA-256, which different texts share now and then: texts are told apart by their title and the whole
+    hash, and so is what a catalog (id, title, text) has; a catalog of ids alone has all texts of its ids."""
     rows = texts.select(F.coalesce("title", F.lit("")).alias("title"), F.trim("text").alias("text")).filter((F.length("text") > 0)
          & (F.length("text") <= MOST_TEXT))
-    rows = rows.withColumn("id", F.substring(F.sha2(F.concat_ws("\n", "title", "text"), 256), 1, 8))
-    return rows.dropDuplicates(["id"]).join(catalog.select("id"), "id", "left_anti").select("id", "title", "text")
+    sha = F.sha2(F.concat_ws("\n", "title", "text"), 256).alias("sha")
+    rows = rows.select("title", "text", sha).dropDuplicates(["sha", "title"]).withColumn("id", F.substring("sha", 1, 8))
+    if "text" in catalog.columns:
+        known, key = catalog.select(F.coalesce("title", F.lit("")).alias("title"), sha), ["sha", "title"]
+    else:
+        known, key = catalog.select("id"), ["id"]
+    return rows.join(known, key, "left_anti").select("id", "title", "text")
 
 
 #: Words of a heading at most, words of one without a number at most, and the deepest level.
