@@ -101,13 +101,13 @@ def abstract_run(runs: DataFrame, sizes: DataFrame) -> DataFrame:
     return own.groupBy("doc_id").agg(F.max_by("run", F.struct(labelled, "plain", "chars", -F.col("run"))).alias("run"))
 
 
-def paper(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def paper(lines: DataFrame, mend: bool = True) -> tuple[DataFrame, DataFrame]:
     """(sections, texts) of a document's lines (doc_id, n, page, size, bold, y, text) in reading order.
 
     Lines that repeat in margins and small print go. A heading opens a section; a heading line that follows another of its
     size on the page goes on with it. sections are (doc_id, n, title, number, level, kind, page): "Abstract" is front, what
     follows a back-matter name is back, all else body; what stands before the first heading is section 0, without title.
-    texts are (doc_id, section, text), lines joined.
+    texts are (doc_id, section, text), lines joined, with words that hyphens break mended unless `mend` says no.
     """
     sizes = body_size(lines).select("doc_id", F.col("size").alias("body"))
     kept = lines.withColumn("mark", margin_mark())
@@ -131,7 +131,7 @@ def paper(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     sections = rows.select("doc_id", F.col("section").alias("n"), "title", number.alias("number"),
         text.section_level(number).alias("level"), kind.alias("kind"), "page")
     body = placed.filter("not head").select("doc_id", "n", "section", F.col("text").alias("line"))
-    return sections, joined(body, "section")
+    return sections, joined(body, "section", mend)
 
 
 # --- papers of two-column pages --------------------------------------------------------------------------------------
@@ -172,7 +172,7 @@ def heading_line(body: Column) -> Column:
     return (F.length("text") <= LONG_HEAD) & F.when(F.col("ocr"), seen).when(F.col("bold"), bold).otherwise(slanted)
 
 
-def laid_out_paper(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def laid_out_paper(rows: DataFrame, mend: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(titles, sections, texts) of pages' rows (doc_id, page, line, x0, x1, y0, y1, width, height, text, size, bold, italic, ocr,
     math), pages from 1.
 
@@ -181,7 +181,7 @@ def laid_out_paper(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     print and mathematics go, a heading opens a section, and one close below another of its size goes on with it. A section
     named like back matter is back, and all after it, once there was a body; one that comes before the body is moved behind
     all. titles are (doc_id, title); sections (doc_id, n, title, number, level, kind, page), the abstract being n 0, front;
-    texts (doc_id, n, paragraph, text): lines joined, a bullet opens a paragraph. Pages without text give nothing.
+    texts (doc_id, n, paragraph, text): lines joined (broken words mended unless `mend` says no), a bullet opens a paragraph. Pages without text give nothing.
     """
     placed = in_columns(rows).withColumn("mark", margin_mark())
     edge = (F.col("y0") < MARGIN * F.col("height")) | (F.col("y1") > (1 - MARGIN) * F.col("height"))
@@ -192,7 +192,7 @@ def laid_out_paper(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     largest = font.filter("page = 1").groupBy("doc_id").agg(F.max("size").alias("top"))
     kept = stored(kept.join(sizes, "doc_id", "left").join(largest, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(0.0))))
     is_title = F.coalesce((F.col("page") == 1) & ~F.col("ocr") & (F.col("size") == F.col("top")) & (F.col("top") >= TITLE * F.col("body")), F.lit(False))
-    titles = joined(kept.filter(is_title).select("doc_id", "n", F.lit(0).alias("title_"), F.col("text").alias("line")), "title_")
+    titles = joined(kept.filter(is_title).select("doc_id", "n", F.lit(0).alias("title_"), F.col("text").alias("line")), "title_", mend)
 
     w = Window.partitionBy("doc_id").orderBy("n")
     upto, before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
@@ -233,7 +233,7 @@ def laid_out_paper(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     said = rest.filter("not head").select("doc_id", "n", "section", "paragraph", F.regexp_replace("text", r"^[•\s]+", "").alias("line")).unionByName(abstract)
     said = said.filter("line <> ''").withColumn("group", F.struct("section", "paragraph"))
     new = sections.select("doc_id", F.col("section").alias("old"), F.col("new"))
-    texts = joined(said, "group").select("doc_id", F.col("group.section").alias("old"), "group.paragraph", "text").join(new, ["doc_id", "old"], "left")
+    texts = joined(said, "group", mend).select("doc_id", F.col("group.section").alias("old"), "group.paragraph", "text").join(new, ["doc_id", "old"], "left")
     texts = texts.select("doc_id", F.coalesce("new", F.lit(0)).cast("long").alias("n"), "paragraph", "text")
     return titles.select("doc_id", F.col("text").alias("title")), front.unionByName(named), texts
 

@@ -14,9 +14,12 @@ from scholia.sources.stored import stored
 MOST_FIND, MOST_PUT = 60, 120
 
 
-def joined(lines: DataFrame, group: str) -> DataFrame:
-    """(doc_id, <group>, text): lines (doc_id, n, <group>, line) joined with their hyphens undone. Compounds are those of the
-    whole document; a document's own lines are what bounds both arrays."""
+def joined(lines: DataFrame, group: str, mend: bool = True) -> DataFrame:
+    """(doc_id, <group>, text): lines (doc_id, n, <group>, line) joined with their hyphens undone, or as they are unless `mend`.
+    Compounds are those of the whole document; a document's own lines are what bounds both arrays."""
+    if not mend:
+        pieces = lines.groupBy("doc_id", group).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
+        return pieces.select("doc_id", group, F.array_join(F.transform("x", lambda i: i["line"]), " ").alias("text"))
     words = lines.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(compounds(F.col("line"))))).alias("compounds"))
     ordered = lines.groupBy("doc_id", group).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
     return ordered.join(words, "doc_id").select("doc_id", group, join_lines(F.transform("x", lambda i: i["line"]), F.col("compounds")).alias("text"))
