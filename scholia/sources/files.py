@@ -57,17 +57,17 @@ def import_texts(texts: DataFrame, catalog: DataFrame) -> DataFrame:
 MOST_WORDS, MOST_LONE, DEEPEST = 12, 8, 3
 
 
-def headings(text_lines: DataFrame) -> DataFrame:
+def headings(text_lines: DataFrame, capitals: str = r"\p{Lu}\p{Lt}") -> DataFrame:
     """Adds level and heading to lines (doc_id, n, line) of pasted text; both are null where a line is no heading.
 
     Markdown's hashes give the level themselves. Any other heading is short, names something and doesn't end like a
     sentence or a clause. If it begins with a section number and a capital, the number's parts give the level; without
-    one it stands alone between a blank line (or the start) and a blank line or a capital.
+    one it stands alone between a blank line (or the start) and a blank line or a capital, one of `capitals`.
     """
     w = Window.partitionBy("doc_id").orderBy("n")
     line = F.trim("line")
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    capital = lambda c: (F.substring(F.trim(c), 1, 1) != F.lower(F.substring(F.trim(c), 1, 1)))
+    capital = lambda c: F.trim(c).rlike(f"^[{capitals}]")
     words = F.split(line, r"\s+")
     hashes, rest = F.length(F.regexp_extract(line, "^#*", 0)), F.regexp_extract(line, r"^#+\s+(\S.*?)\s*#*$", 1)
     number = F.regexp_replace(words[0], r"\.$", "")
