@@ -364,7 +364,7 @@ def lines_of_glyphs(glyphs: DataFrame) -> DataFrame:
     is a space where the gap to all that stands before is over GLYPH_GAP of the size, unless one is drawn. A line's size is
     that of most of its glyphs, of equals the larger; small digits and signs above its middle are raised, and without space
     before them. Private letters of the Symbol font become what they show, other private ones go. Null glyphs have no part.
-    Windows run along a line, so that long lines take no more than a sort.
+    Windows run along a line, so that long lines take no more than a sort; all are by page, so that glyphs move once at most.
     """
     known = F.create_map(*[F.lit(x) for k, c in text.SYMBOL.items() for x in (chr(k), c)])
     shown = F.when(F.col("c").rlike("[\uE000-\uF8FF]"), F.coalesce(F.try_element_at(known, F.col("c")), F.lit(""))).otherwise(F.col("c"))
@@ -374,9 +374,9 @@ def lines_of_glyphs(glyphs: DataFrame) -> DataFrame:
     same = Window.partitionBy("page", "row", "c").orderBy("x0", "n")
     over = F.max("x1").over(earlier(same)) - F.col("x0") > 0.5 * (F.col("x1") - F.col("x0"))
     rows = rows.withColumn("again", F.coalesce(over, F.lit(False))).filter("not again").drop("again")
-    sizes = rows.groupBy("page", "row", "size").agg(F.count("*").alias("k"), F.max("y").alias("y"))
-    main = sizes.groupBy("page", "row").agg(F.max(F.struct("k", "size", "y")).alias("m")).select("page", "row", F.col("m.size").alias("main"), F.col("m.y").alias("base"))
-    rows = rows.join(main, ["page", "row"])
+    alike, whole = Window.partitionBy("page", "row", "size"), Window.partitionBy("page", "row")
+    rows = rows.withColumns({"k": F.count("*").over(alike), "low": F.max("y").over(alike)})
+    rows = rows.withColumn("m", F.max(F.struct("k", "size", "low")).over(whole)).withColumns({"main": F.col("m.size"), "base": F.col("m.low")}).drop("k", "low", "m")
     small = (F.col("size") < RAISED_SIZE * F.col("main")) & (F.col("y") < F.col("base") - RAISED_HEIGHT * F.col("main"))
     rows = rows.withColumn("raised", small & F.lit(CAN_BE_RAISED).contains(F.col("c")))
     gap = F.col("x0") - F.max("x1").over(earlier(line)) > GLYPH_GAP * F.col("size")
