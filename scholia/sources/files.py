@@ -89,7 +89,13 @@ def read_progress(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """(accepted, rejected) progress files, one JSON document a file. accepted are (file, and what PROGRESS names); rejected are
     (file, reason): size (over MOST_PROGRESS characters, not parsed), json, kind, version, reviews or lookups (one of them lacks
     what it needs, or a rating isn't 1 to 4)."""
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("file", F.col("_metadata.file_path"))
+    return checked_progress(spark.read.text(path, wholetext=True, recursiveFileLookup=True).withColumn("file", F.col("_metadata.file_path")))
+
+
+def checked_progress(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) progress documents (file, value), as `read_progress` has them. A pack of documents, Parquet with these
+    columns, holds those of many learners in a few files."""
+    raw = documents.select("file", "value")
     raw = raw.withColumn("large", F.length("value") > MOST_PROGRESS).withColumn("value", F.when(~F.col("large"), F.col("value")))
     rows = raw.select("file", "large", F.try_parse_json("value").isNull().alias("broken"), F.from_json("value",
         PROGRESS).alias("x")).select("file", "large", "broken", "x.*")
@@ -130,13 +136,21 @@ def progress_documents(tables: dict[str, DataFrame], owner: str, most: int = MOS
     return reduce(lambda x, y: x.join(y, [owner, "_file"], "full"), lists)
 
 
-def write_progress(device: str, tables: dict[str, DataFrame], owner: str, exported_at: str, path: str) -> None:
+def write_progress(device: str, tables: dict[str, DataFrame], owner: str, exported_at: str, path: str, packed: bool = False) -> None:
     """Writes the progress files of a device: of each learner (a column `owner` of all tables) its lookups, positions and marks,
-    and of the reviews the device's own, as JSON documents in a folder for each."""
+    and of the reviews the device's own, as JSON documents in a folder for each; or, packed, as rows of a pack."""
     tables = {**tables, "reviews": tables["reviews"].filter(F.col("device") == device)}
     head = [F.lit("progress").alias("kind"), F.lit(VERSION).alias("version"), F.lit(device).alias("device"), F.lit(exported_at).alias("exported_at")]
     docs = progress_documents(tables, owner).select(owner, "_file", F.to_json(F.struct(*head, *tables)).alias("value"))
-    docs.write.partitionBy(owner, "_file").mode("overwrite").text(path)
+    if packed:
+        pack(docs, owner).write.mode("overwrite").parquet(path)
+    else:
+        docs.write.partitionBy(owner, "_file").mode("overwrite").text(path)
+
+
+def pack(docs: DataFrame, owner: str) -> DataFrame:
+    """(file, value) of documents (owner, _file, value): file is the place that each would have in a folder of its own."""
+    return docs.select(F.concat(F.lit(f"/{owner}="), F.col(owner).cast("string"), F.lit("/_file="), F.col("_file").cast("string")).alias("file"), "value")
 
 
 def write_bundle(tables: dict[str, DataFrame], path: str) -> None:
