@@ -13,6 +13,7 @@ from scholia.plans import views as v
 from scholia.plans.catalog import _COUNTS, _LOOKUP, _WORDS, _as_long, query
 from scholia.plans.papers import _PAPER
 from scholia.sources import adapters as a
+from scholia.sources.stored import stored
 
 
 def spoken_sql(x: str) -> str:
@@ -374,7 +375,7 @@ most AS (SELECT key, arg_max(term, (n, -doc_id)) AS term FROM entries GROUP BY 1
   WHERE f.headword IS NOT NULL OR coalesce(o.term, m.term) IS NOT NULL"""))
 def glossary_fallback(spark: SparkSession, d: str) -> DataFrame:
     tokens, dictionary = a.tokens(spark, d), a.dictionary(spark, d)
-    asked = tokens.filter("pos % 3 = 0").select("doc_id", F.col("token").alias("word")).distinct()
+    asked = stored(tokens.filter("pos % 3 = 0").select("doc_id", F.col("token").alias("word")).distinct())
     index = terms.glossary_index(terms.glossary_words(tokens, dictionary))
     return terms.with_glossary(asked, terms.ranked_lookup(asked.select("word").distinct(), dictionary), index)
 
