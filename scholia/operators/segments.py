@@ -12,6 +12,7 @@ texts have key columns that name a text (`keys`) and text. Null and empty texts
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from scholia.sources.stored import stored
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 SMALL, CAPITAL = "a-zß-öø-ÿ", "A-ZÀ-ÖØ-Þ"
 _OPENS, _CLOSES = "[\"“‘'(\\[]+", "[\"”’')\\]]+"
+_OPEN_SIGNS, _CLOSE_SIGNS = "\"“‘'([", "\"”’')]"
 
 
 @dataclass(frozen=True)
@@ -36,16 +38,24 @@ class Model:
     collocations: DataFrame
 
 
-def word_rows(texts: DataFrame, keys: list[str]) -> DataFrame:
+def word_rows(texts: DataFrame, keys: list[str], stops: bool = False) -> DataFrame:
     """(*keys, k, word, before, after): the words of texts from 0, without quotes and brackets around them, beside their
-    neighbours."""
-    bare = lambda w: F.regexp_replace(w, f"^{_OPENS}|{_CLOSES}$", "")
+    neighbours; or only those with a stop that another word follows."""
+    bare = lambda w: F.rtrim(F.ltrim(w, F.lit(_OPEN_SIGNS)), F.lit(_CLOSE_SIGNS))
     found = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"({WORD})"), F.lit(0)), bare)
-    rows = F.transform(
-        F.array(found),
-        lambda ws: F.transform(ws, lambda w, i: F.struct(i.alias("k"), w.alias("word"), F.get(ws, i - 1).alias("before"), F.get(ws, i + 1).alias("after"))),
-    )
-    return texts.select(*keys, F.explode(rows[0]).alias("x")).select(*keys, F.col("x.k").cast("long").alias("k"), "x.word", "x.before", "x.after")
+    row = lambda ws, w, i: F.struct(i.alias("k"), w.alias("word"), F.get(ws, i - 1).alias("before"), F.get(ws, i + 1).alias("after"))
+    asked = lambda ws, w, i: F.when(w.endswith(".") & (i + 1 < F.size(ws)), row(ws, w, i)) if stops else row(ws, w, i)
+    rows = F.transform(F.array(found), lambda ws: F.transform(ws, lambda w, i: asked(ws, w, i)))
+    out = texts.select(*keys, F.explode(rows[0]).alias("x")).filter("x is not null")
+    return out.select(*keys, F.col("x.k").cast("long").alias("k"), "x.word", "x.before", "x.after")
+
+
+def word_counts(words: DataFrame) -> DataFrame:
+    """(word, inside, after, n): how often a word stands, whether within a sentence (not after a stop, and not first), and
+    before which word, where it has a stop. All that is learned is sums of these, so that patterns look at each once."""
+    stopped = reduce(lambda x, y: x | y, [F.col("before").endswith(c) for c in ".!?:"])
+    after = F.when(F.col("word").endswith("."), F.col("after"))
+    return words.groupBy("word", F.coalesce(~stopped, F.lit(False)).alias("inside"), after.alias("after")).agg(F.count("*").alias("n"))
 
 
 def type_of(word: Column) -> Column:
@@ -57,15 +67,21 @@ def capital(word: Column) -> Column:
     return F.coalesce(word.rlike(f"^[{CAPITAL}]"), F.lit(False))
 
 
-def type_counts(words: DataFrame) -> DataFrame:
-    """(type, n, n_stop, n_small, n_capital): how often a type stands, with a stop, in small letters, and capital within a
-    sentence (not after a stop, and not first)."""
-    word, inside = F.col("word"), F.coalesce(~F.col("before").rlike(r"[.!?:]$"), F.lit(False))
-    return (
-        words.select(type_of(word).alias("type"), word.endswith(".").alias("stop"), (~capital(word)).alias("small"), (capital(word) & inside).alias("mid"))
-        .filter("type is not null").groupBy("type")
-        .agg(F.count("*").alias("n"), F.count_if("stop").alias("n_stop"), F.count_if("small").alias("n_small"), F.count_if("mid").alias("n_capital"))
-    )
+def type_counts(counts: DataFrame) -> DataFrame:
+    """(type, n, n_stop, n_small, n_capital) of `word_counts`: how often a type stands, with a stop, in small letters, and capital
+    within a sentence."""
+    word = F.col("word")
+    each = counts.groupBy("word").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("inside"), F.col("n"))), F.lit(0)).alias("inside"))
+    typed = each.select(type_of(word).alias("type"), "n", "inside", word.endswith(".").alias("stop"), capital(word).alias("capital"))
+    of = lambda where, n: F.sum(F.when(where, F.col(n)).otherwise(0))
+    return typed.filter("type is not null").groupBy("type").agg(F.sum("n").alias("n"), of(F.col("stop"), "n").alias("n_stop"),
+        of(~F.col("capital"), "n").alias("n_small"), of(F.col("capital"), "inside").alias("n_capital"))
+
+
+def followed(counts: DataFrame) -> DataFrame:
+    """(type, after, capital, n) of `word_counts`: the types with a stop, the types after them, and whether these are capital."""
+    pairs = counts.filter("after is not null").groupBy("word", "after").agg(F.sum("n").alias("n"))
+    return pairs.select(type_of(F.col("word")).alias("type"), type_of(F.col("after")).alias("after"), capital(F.col("after")).alias("capital"), "n").filter("after is not null")
 
 
 def abbreviations(types: DataFrame) -> DataFrame:
@@ -92,12 +108,11 @@ def likelihood(a: Column, b: Column, both: Column, n: Column) -> Column:
     return 2 * (part(both, a, both / a) + part(b - both, n - a, alone) - part(both, a, b / n) - part(b - both, n - a, b / n))
 
 
-def starters(words: DataFrame, types: DataFrame, abbreviated: DataFrame) -> DataFrame:
-    """(type, ratio) of the types that stand, capital, after a sure end of a sentence (a stop after a word of two letters or more
+def starters(pairs: DataFrame, types: DataFrame, abbreviated: DataFrame) -> DataFrame:
+    """(type, ratio) of the types that by `followed` stand, capital, after a sure end of a sentence (a stop after a word of two letters or more
     that is no abbreviation) more often than anywhere."""
-    ends = words.filter(F.col("word").endswith(".") & capital(F.col("after"))).select(type_of(F.col("word")).alias("type"), type_of(F.col("after")).alias("next"))
-    sure = ends.filter((F.length("type") > 1) & F.col("next").isNotNull()).join(abbreviated, "type", "left_anti")
-    first = sure.groupBy(F.col("next").alias("type")).agg(F.count("*").alias("first"))
+    sure = pairs.filter(F.col("capital") & (F.length("type") > 1)).join(abbreviated, "type", "left_anti")
+    first = sure.groupBy(F.col("after").alias("type")).agg(F.sum("n").alias("first"))
     first = stored(first)
     total = F.broadcast(types.agg(F.sum("n").alias("words")).join(first.agg(F.sum("first").alias("ends"))))  # one row
     rows = first.join(types.select("type", "n"), "type").join(total)
@@ -105,10 +120,9 @@ def starters(words: DataFrame, types: DataFrame, abbreviated: DataFrame) -> Data
     return rows.filter(F.col("n") / F.col("words") < F.col("first") / F.col("ends")).select("type", ratio.alias("ratio")).filter(F.col("ratio") >= STARTER)
 
 
-def collocations(words: DataFrame, types: DataFrame, abbreviated: DataFrame) -> DataFrame:
-    """(type, after, ratio): abbreviations and the types that follow their stop more often than chance has it."""
-    rows = words.filter(F.col("word").endswith(".")).select(type_of(F.col("word")).alias("type"), type_of(F.col("after")).alias("after"))
-    pairs = rows.filter("after is not null").join(abbreviated, "type", "left_semi").groupBy("type", "after").agg(F.count("*").alias("both"))
+def collocations(pairs: DataFrame, types: DataFrame, abbreviated: DataFrame) -> DataFrame:
+    """(type, after, ratio): abbreviations and the types that by `followed` stand after their stop more often than chance has it."""
+    pairs = pairs.join(abbreviated, "type", "left_semi").groupBy("type", "after").agg(F.sum("n").alias("both"))
     of = lambda name, as_: types.select(F.col("type").alias(name), F.col("n").alias(as_))
     total = F.broadcast(types.agg(F.sum("n").alias("words")))  # one row
     counted = pairs.join(of("type", "a"), "type").join(of("after", "b"), "after").join(total)
@@ -117,19 +131,18 @@ def collocations(words: DataFrame, types: DataFrame, abbreviated: DataFrame) ->
 
 
 def learn(texts: DataFrame, keys: list[str]) -> Model:
-    """The model of all texts. Words are made once and stored; three passes read the few columns that they need."""
-    words = stored(word_rows(texts, keys).select("word", "before", "after"))
-    types = stored(type_counts(words))
+    """The model of all texts. Words are made and counted once; only counts are stored."""
+    counts = stored(word_counts(word_rows(texts, keys)))
+    types, pairs = stored(type_counts(counts)), stored(followed(counts))
     short = stored(abbreviations(types))
-    return Model(types, short, stored(starters(words, types, short)), stored(collocations(words, types, short)))
+    return Model(types, short, stored(starters(pairs, types, short)), stored(collocations(pairs, types, short)))
 
 
 def decided(texts: DataFrame, keys: list[str], model: Model) -> DataFrame:
     """(*keys, k, type, after, ends): each word with an abbreviation's stop that another follows, and whether a sentence ends
     with it all the same."""
     word, after = F.col("word"), F.col("after")
-    rows = word_rows(texts, keys).filter(word.endswith(".") & after.isNotNull())
-    rows = rows.select(*keys, "k", type_of(word).alias("type"), type_of(after).alias("after"), capital(after).alias("capital"))
+    rows = word_rows(texts, keys, stops=True).select(*keys, "k", type_of(word).alias("type"), type_of(after).alias("after"), capital(after).alias("capital"))
     rows = rows.join(model.abbreviations.select("type"), "type")
     rows = rows.join(model.starters.select(F.col("type").alias("after"), F.lit(True).alias("starter")), "after", "left")
     rows = rows.join(model.collocations.select("type", "after", F.lit(True).alias("together")), ["type", "after"], "left")

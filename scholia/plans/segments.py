@@ -48,7 +48,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(v.sql(*_FROM, query="SELECT s.type, n, n_stop, n_small, n_capital, round(score, 4) AS score FROM short s JOIN types USING (type)"))
 def abbreviations_learned(spark: SparkSession, d: str) -> DataFrame:
-    types = segments.stored(segments.type_counts(segments.word_rows(_texts(spark, d), _KEYS)))
+    types = segments.stored(segments.type_counts(segments.word_counts(segments.word_rows(_texts(spark, d), _KEYS))))
     return segments.abbreviations(types).join(types, "type").select("type", "n", "n_stop", "n_small", "n_capital", F.round("score", 4).alias("score"))
 
 
