@@ -371,8 +371,8 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
     w = F.lower("token")
     typed = F.when(F.col("pos") % 4 == 0, w).when(F.col("pos") % 4 == 1, F.concat(F.lit("x"), w)).when(F.col("pos") % 4 == 2,
         F.concat(w, F.lit("ing"))).otherwise("qqqqqqqqqqqq")
-    return a.tokens(spark, d).filter(F.length("token") >= 4).select("doc_id", "pos", text.cloze_grade(typed, F.col("token"),
-        F.col("token")).alias("grade"))
+    rows = a.tokens(spark, d).filter(F.length("token") >= 4).select("doc_id", "pos", w.alias("asked"), typed.alias("typed"))
+    return rows.select("doc_id", "pos", text.cloze_grade(F.col("typed"), F.col("asked"), F.col("asked")).alias("grade"))
 
 
 @query(v.sql(v.PAPERS, v.TOKENS, _TYPED, query="SELECT doc_id, pos, grade FROM typed"))
