@@ -15,6 +15,11 @@ REFERENCE = r"\b(Opt|Soc|Proc|Phys|Astron|Appl|Rev|Lett|Eng|Instrum|J|Vol|vol|pp
 #: Signs that a voice reads wrongly or not at all.
 SYMBOLS = r"[_^=<>≈~√∑∫∂/\\|²³⁰¹⁴⁵⁶⁷⁸⁹⁻⁺₀₁₂₃₄₅₆₇₈₉]"
 
+#: Whole words of letters and digits, times like "90s" apart, and acronyms; words are runs of LETTER.
+LETTER = "[A-Za-z0-9_À-ÿ]"
+MIXED = f"(?<!{LETTER})(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])(?![0-9]+s(?!{LETTER}))[A-Za-z0-9]++(?!{LETTER})"
+ACRONYMS = f"(?<!{LETTER})[A-Z][A-Z0-9]{{1,6}}s?(?!{LETTER})"
+
 
 def doubled(texts: DataFrame) -> DataFrame:
     """(doc_id, id, x, y) for texts (doc_id, id, text): adjacent words, one sign apart, where a word was split with its letter
@@ -151,11 +156,9 @@ def quiz_issues(questions: DataFrame, titles: DataFrame, texts: DataFrame) -> Da
 def speech_risks(spoken: DataFrame, known: list[str]) -> DataFrame:
     """(doc_id, n, risk, example), a row for each place in texts (doc_id, n, spoken) that a voice may misread: equations,
     symbols, words of letters and digits, and acronyms other than the known ones."""
-    word = F.regexp_extract_all("spoken", F.lit("[A-Za-z0-9_À-ÿ]+"), F.lit(0))
-    mixed = F.filter(word, lambda x: x.rlike("^[A-Za-z0-9]+$") & x.rlike("[0-9]") & x.rlike("[A-Za-z]") & ~x.rlike("^[0-9]+s$"))
-    acronym = F.filter(word, lambda x: x.rlike("^[A-Z][A-Z0-9]{1,6}s?$") & ~x.isin(known))
-    kinds = {"equation": F.regexp_extract_all("spoken", F.lit(r"\(equation\)"), F.lit(0)),
-        "symbol": F.regexp_extract_all("spoken", F.lit(SYMBOLS), F.lit(0)), "mixed": mixed, "acronym": acronym}
+    found = lambda pattern: F.regexp_extract_all("spoken", F.lit(pattern), F.lit(0))
+    acronym = F.filter(found(ACRONYMS), lambda x: ~x.isin(known))
+    kinds = {"equation": found(r"\(equation\)"), "symbol": found(SYMBOLS), "mixed": found(MIXED), "acronym": acronym}
 
     def named(kind: str):
         return lambda x: F.struct(F.lit(kind).alias("risk"), x.alias("example"))
