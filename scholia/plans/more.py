@@ -10,6 +10,7 @@ from scholia.operators import layout, papers
 from scholia.plans import views as v
 from scholia.plans.catalog import _as_long, query
 from scholia.sources import adapters as a
+from scholia.sources.stored import stored
 
 _BOXES = "boxes AS (SELECT l_orderkey AS page, min(l_linenumber) AS box, min(l_quantity) AS x0, min(l_quantity) + 20 AS x1, min(l_discount) AS y0, min(l_discount) + 0.03 AS y1 FROM lineitem GROUP BY 1)"
 _LINES = "marks AS (SELECT l_orderkey AS page, l_partkey AS line, min(l_quantity) AS x, min(l_discount) AS y, max(l_extendedprice) AS width FROM lineitem GROUP BY 1, 2)"
@@ -78,9 +79,9 @@ def table_cardinalities(spark: SparkSession, d: str) -> DataFrame:
     query="SELECT doc_id, n, key, label_n FROM refs LEFT JOIN labels USING (doc_id, key)"))
 def references_resolved(spark: SparkSession, d: str) -> DataFrame:
     """Each reference with the first line that the figure's label is on; synthetic: three lines of four are read as labels."""
-    lines = a.annotated(spark, d).select("doc_id", "n", "body")
-    labels = lines.filter("n % 4 > 0").select("doc_id", "n", text.first_figure_key(F.col("body")).alias("key"))
-    refs = lines.select("doc_id", "n", F.explode(text.figure_keys(F.col("body"))).alias("key"))
+    lines = stored(a.annotated(spark, d).select("doc_id", "n", text.figure_keys(F.col("body")).alias("keys")).filter(F.size("keys") > 0))
+    labels = lines.filter("n % 4 > 0").select("doc_id", "n", F.get("keys", F.lit(0)).alias("key"))
+    refs = lines.select("doc_id", "n", F.explode("keys").alias("key"))
     return _as_long(papers.resolved(refs, labels), "n", "label_n")
 
 
