@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text
+from scholia.sources.stored import stored
 
 #: Characters that only appear where decoding went wrong, the private-use area, abbreviations of references.
 GARBLED, PRIVATE = r"[ðÞ\x{FFFD}\x{0700}-\x{0DFF}]|1⁄4|1⁄2", r"[\x{E000}-\x{F8FF}]"
@@ -19,6 +20,8 @@ SYMBOLS = r"[_^=<>≈~√∑∫∂/\\|²³⁰¹⁴⁵⁶⁷⁸⁹⁻⁺₀₁₂
 LETTER = "[A-Za-z0-9_À-ÿ]"
 MIXED = f"(?<!{LETTER})(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])(?![0-9]+s(?!{LETTER}))[A-Za-z0-9]++(?!{LETTER})"
 ACRONYMS = f"(?<!{LETTER})[A-Z][A-Z0-9]{{1,6}}s?(?!{LETTER})"
+#: A word of two letters or more, and after one sign another that begins with its last letter.
+DOUBLED = "(?<![A-Za-z])([A-Za-z]+([A-Za-z]))[^A-Za-z](?=((?i:\\2)[A-Za-z]+))"
 
 
 def doubled(texts: DataFrame) -> DataFrame:
@@ -26,17 +29,14 @@ def doubled(texts: DataFrame) -> DataFrame:
     doubled ("Actua ator"): x ends as y begins, joined less that letter they are a word of the document, and x or y stands
     in it twice at most."""
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    pieces = F.regexp_extract_all("text", F.lit("[A-Za-z]+|[^A-Za-z]+"), F.lit(0))
-    vocabulary = texts.select("doc_id", F.explode(F.transform(words, F.lower)).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("c"))
-    triples = F.arrays_zip(F.col("p").alias("a"), F.slice("p", 2, F.size("p")).alias("b"), F.slice("p", 3, F.size("p")).alias("c"))
-    pairs = texts.select("doc_id", "id", pieces.alias("p")).filter(F.size("p") >= 3).select("doc_id", "id",
-        F.explode(triples).alias("t")).select("doc_id", "id", "t.*").toDF("doc_id", "id", "a", "b", "c")
-    x, y = F.lower("a"), F.lower("c")
-    fits = (F.length("b") == 1) & F.col("a").rlike("^[A-Za-z]{2}") & F.col("c").rlike("^[A-Za-z]{2}") & (F.substring(x, -1,
-        1) == F.substring(y, 1, 1))
-    pairs = pairs.filter(fits).select("doc_id", "id", x.alias("x"), y.alias("y"), F.concat(x, F.substring(y, F.lit(2), F.length(y))).alias("whole"))
+    vocabulary = stored(texts.select("doc_id", F.explode(words).alias("w")).groupBy("doc_id", F.lower("w").alias("w")).agg(F.count("*").alias("c")))
+    of = lambda k: F.regexp_extract_all("text", F.lit(DOUBLED), F.lit(k))
+    both = texts.filter(F.col("text").rlike(DOUBLED)).select("doc_id", "id", F.explode(F.arrays_zip(of(1).alias("x"), of(3).alias("y"))).alias("t"))
+    x, y = F.lower("t.x"), F.lower("t.y")
+    pairs = both.select("doc_id", "id", x.alias("x"), y.alias("y"), F.concat(x, F.substring(y, F.lit(2), F.length(y))).alias("whole"))
     for word, count in (("whole", "cw"), ("x", "cx"), ("y", "cy")):
         pairs = pairs.join(vocabulary.select("doc_id", F.col("w").alias(word), F.col("c").alias(count)), ["doc_id", word])
+        pairs = stored(pairs) if word == "whole" else pairs  # few are left
     return pairs.filter(F.least("cx", "cy") <= 2).select("doc_id", "id", "x", "y")
 
 
