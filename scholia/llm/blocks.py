@@ -25,9 +25,10 @@ def load(data: bytes) -> dict[str, np.ndarray]:
         return {k: found[k] for k in found.files}
 
 
-def pairs(rows: DataFrame, queries: DataFrame, run: Callable[[dict, dict], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """`run` on each pair of a row block and a query block (both: payload binary). A block of rows is unpacked once for
-    the query blocks that follow it."""
+def pairs(rows: DataFrame, queries: DataFrame, run: Callable[[dict, dict], pa.RecordBatch | None], schema: str,
+        end: Callable[[], Iterator[pa.RecordBatch]] | None = None) -> DataFrame:
+    """`run` on each pair of a row block and a query block (both: payload binary), and `end` when a task has had its pairs. A
+    block of rows is unpacked once for the query blocks that follow it."""
     both = rows.select(F.col("payload").alias("r"), F.xxhash64("payload").alias("k")).crossJoin(queries.select(F.col("payload").alias("q")))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,5 +39,7 @@ def pairs(rows: DataFrame, queries: DataFrame, run: Callable[[dict, dict], pa.Re
                     last, block = k.as_py(), load(r.as_py())
                 if (out := run(block, load(q.as_py()))) is not None and out.num_rows:
                     yield out
+        if end is not None:
+            yield from end()
 
     return map_arrow(both, each, schema)

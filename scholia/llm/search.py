@@ -1,13 +1,13 @@
 """Exact top-k search by BM25 over an inverted index with block-max WAND pruning.
 
 The index is cut into shards of bounded size. Within a shard, documents are ordered so that like ones stand together, and
-every term has the maximum of its scores in every block of BLOCK documents. A block of queries goes through a shard
-together: the sum of the block maxima of a query's terms bounds its score in each block. Then documents are passed in
-order, SPAN blocks at a time. Pivots are the queries for which some block of the span reaches their k-th best score so
-far; for all others the span is skipped and none of its postings read. Pivots' scores come from the rare terms' postings
-and, as most postings are of few terms, from rows of scores of the frequent ones; the score to reach rises with them. It
-is carried from shard to shard within a task. Term weights use the statistics of the whole corpus, so the shards' best k,
-merged, are exactly the best k of all.
+passed in order, SPAN blocks of BLOCK documents at a time. A span has a matrix of scores of the terms that are frequent
+in it, as most postings are of few terms and each language has its own, and their maxima by block; the other postings are
+kept by terms. A block of queries goes through a shard together: the rare terms' postings give a part of each score, and
+what the frequent ones can add to it in a block bounds the score there. Pivots are the queries for which some block of the
+span reaches their k-th best score so far; for all others the span is skipped and its matrix not read. The score to reach
+rises with the pivots' scores, and is carried from shard to shard within a task. Term weights use the statistics of the
+whole corpus, so the shards' best k, merged, are exactly the best k of all.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ from scholia.llm.common import cut, map_arrow, table
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Documents and postings that end a shard, documents of a block, blocks of a span, queries of a block, those of it that go
-#: through a shard together, shards that a task goes through, and the share of a shard's documents from which a term is
-#: frequent and has a row of scores.
-SHARD_DOCS, SHARD_POSTINGS, BLOCK, SPAN, QUERIES, TOGETHER, SHARDS, DENSE = 1 << 12, 1 << 20, 32, 16, 512, 128, 4, 1 / 24
+#: through a shard together, and the share of a span's documents from which a term is frequent and has a row of scores.
+SHARD_DOCS, SHARD_POSTINGS, BLOCK, SPAN, QUERIES, TOGETHER, DENSE = 1 << 12, 1 << 20, 32, 16, 1024, 64, 1 / 8
+#: Shards and blocks of queries that meet in a task, at most. A shard is made ready once for the blocks that it meets there.
+SHARDS, BLOCKS = 16, 8
 #: Scores count to six decimals: what is less than this below the score to reach may still tie with it.
 SLACK = 1.1e-6
 _TERM = re.compile(r"\w+")
@@ -55,7 +56,7 @@ class Builder:
         self.ids.append(doc)
         self.tops.append((max(counts, key=counts.get) if counts else "", counts.total()))
         self.local.append(np.fromiter((self.vocabulary.setdefault(t, len(self.vocabulary)) for t in counts), np.int32, len(counts)))
-        self.tf.append(np.fromiter(counts.values(), np.float32, len(counts)))
+        self.tf.append(np.fromiter(counts.values(), np.int64, len(counts)).astype(np.min_scalar_type(max(counts.values(), default=0))))
         self.postings += len(counts)
 
     def build(self) -> dict[str, np.ndarray]:
@@ -73,7 +74,7 @@ class Builder:
         return {
             "ids": np.array([-1 if i is None else i for i in ids], np.int64), "null": np.array([i is None for i in ids]),
                 "length": np.array([self.tops[i][1] for i in by], np.int64),
-            "terms": hashes[rank], "starts": np.concatenate([[0], np.cumsum(df)]), "doc": doc[order], "tf": tf[order],
+            "terms": hashes[rank], "starts": np.concatenate([[0], np.cumsum(df)]).astype(np.int32), "doc": doc[order], "tf": tf[order],
         }
 
 
@@ -138,8 +139,29 @@ class Best:
         return self.reach(rows)
 
 
+class Found:
+    """The k best rows of each query of those that were added, as (query, id, score to 6 decimals)."""
+
+    def __init__(self, k: int):
+        self.k, self.kept, self.new = k, 0, []
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.new.append((query, ids, np.round(score, 6)))
+        if sum(len(x[0]) for x in self.new) > 2 * self.kept + (1 << 16):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, ids, score = (np.concatenate(x) for x in zip(*self.new, strict=True))
+        order = np.lexsort((ids, -score, query))
+        query = query[order]
+        keep = np.arange(len(query)) - np.searchsorted(query, query) < self.k
+        self.kept, self.new = int(keep.sum()), [(query[keep], ids[order][keep], score[order][keep])]
+        return self.new[0]
+
+
 class Shard:
-    """A shard with its BM25 parts: for each posting, what the term's weight is multiplied by; and their maxima by block.
+    """A shard with its BM25 parts: for each posting, what the term's weight is multiplied by. A span has a matrix of the
+    terms that are frequent in it, with the maxima of its blocks; what is left of the postings is kept by terms.
     `read` and `skipped` count the postings of queries' terms that were scored and that weren't."""
 
     def __init__(self, data: dict[str, np.ndarray], mean: float):
@@ -150,84 +172,92 @@ class Shard:
         self.df = np.diff(data["starts"])
         self.width = BLOCK * SPAN
         self.spans = -(-self.n // self.width)
-        self.blocks, size = self.spans * SPAN, self.spans * self.width
-        self.null = np.concatenate([data["null"], np.ones(size - self.n, bool)])
-        frequent = self.df > max(DENSE * self.n, 8)
-        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
-        self.dense = np.zeros((int(frequent.sum()), size))
-        in_row = np.repeat(self.row, self.df)
-        some = in_row >= 0
-        self.dense[in_row[some], doc[some]] = part[some]
-        self.dense_most = self.dense.reshape(len(self.dense), self.blocks, BLOCK).max(2)
-        self.dense_df = (self.dense > 0).reshape(len(self.dense), self.spans, self.width).sum(2)
-        # of the rare terms: postings, and where each term's blocks begin in them
+        self.size = self.spans * self.width
+        self.null = np.concatenate([data["null"], np.ones(self.size - self.n, bool)])
+        # groups of postings of one term in one span; those of many postings go into the span's matrix
+        of = np.repeat(np.arange(len(self.df), dtype=np.int32) * self.spans, self.df) + doc // self.width
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+        many = np.diff(np.append(first, len(of)))
+        term, span = np.divmod(of[first], self.spans)
+        frequent = many >= DENSE * self.width
+        some = np.repeat(frequent, many)
         self.doc, self.part = doc[~some], part[~some]
-        of = np.repeat(np.arange(len(self.df), dtype=np.int64) << 16, np.where(frequent, 0, self.df))
-        of |= self.doc // BLOCK
-        self.first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-        self.size = np.diff(np.append(self.first, len(of)))
-        self.block = of[self.first] & 0xFFFF
-        self.most = np.maximum.reduceat(self.part, self.first) if len(of) else np.zeros(0)
-        self.entries = np.searchsorted(of[self.first] >> 16, np.arange(len(self.df) + 1))
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, np.where(frequent, 0, many), len(self.df)).astype(np.int64))])
+        inside = np.flatnonzero(frequent)
+        inside = inside[np.argsort(span[inside], kind="stable")]
+        ends = np.searchsorted(span[inside], np.arange(self.spans + 1))
+        # terms that are in any matrix have a column of queries' weights
+        heavy = np.unique(term[inside])
+        self.column = np.full(len(self.df), -1)
+        self.column[heavy] = np.arange(len(heavy))
+        self.rows, self.dense, self.most, self.counts = [], [], [], []
+        for s in range(self.spans):
+            g = inside[ends[s] : ends[s + 1]]
+            at, row = _ranges(first[g], many[g]), np.repeat(np.arange(len(g)), many[g])
+            dense = np.zeros((len(g), self.width))
+            dense[row, doc[at] - s * self.width] = part[at]
+            self.rows.append(self.column[term[g]])
+            self.dense.append(dense)
+            self.most.append(dense.reshape(len(g), SPAN, BLOCK).max(2))
+            self.counts.append(many[g])
+        self.heavy = len(heavy)
         self.read = self.skipped = 0
 
     def search(self, q: dict[str, np.ndarray], best: Best) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, document, score) of the documents with an id that may be among a query's best so far."""
+        known, place = (q["known"], q["place"]) if "known" in q else np.unique(q["terms"], return_inverse=True)
+        at = np.searchsorted(self.terms, known)
+        at[at == len(self.terms)] = 0
+        at = np.where(self.terms[at] == known, at, -1)[place] if len(self.terms) else np.full(len(place), -1)
         found = []
         for a in range(0, len(q["ids"]), TOGETHER):
             starts = q["starts"][a : a + TOGETHER + 1]
-            terms = slice(starts[0], starts[-1])
-            found.append(self._some({"ids": q["ids"][a : a + TOGETHER], "starts": starts - starts[0], "terms": q["terms"][terms],
-                 "weights": q["weights"][terms]}, best))
+            mine = slice(starts[0], starts[-1])
+            here = at[mine] >= 0
+            of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[here]
+            found.append(self._some(q["ids"][a : a + TOGETHER], of, at[mine][here], q["weights"][mine][here], best))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
-    def _some(self, q: dict[str, np.ndarray], best: Best) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(q["ids"])
-        at = np.searchsorted(self.terms, q["terms"])
-        at[at == len(self.terms)] = 0
-        here = self.terms[at] == q["terms"] if len(self.terms) else np.zeros(len(at), bool)
-        of, at, weight = np.repeat(np.arange(n), np.diff(q["starts"]))[here], at[here], q["weights"][here]
-        heavy, rare = np.zeros((n, len(self.dense))), self.row[at] < 0
-        heavy[of[~rare], self.row[at[~rare]]] = weight[~rare]
-        # each rare term's blocks, by span
-        many = self.entries[at[rare] + 1] - self.entries[at[rare]]
-        entry, whose, own = _ranges(self.entries[at[rare]], many), np.repeat(of[rare], many), np.repeat(weight[rare], many)
-        bound = heavy @ self.dense_most + np.bincount(whose * self.blocks + self.block[entry], own * self.most[entry],
-            n * self.blocks).reshape(n, self.blocks)
-        bound *= 1 + 1e-12
-        order = np.argsort((self.block[entry] // SPAN).astype(np.uint16), kind="stable")
-        entry, whose, own = entry[order], whose[order], own[order]
-        ends = np.searchsorted(self.block[entry] // SPAN, np.arange(self.spans + 1))
-        postings = (heavy > 0).astype(np.float64) @ self.dense_df
-        rows = best.rows(q["ids"].tolist())
+    def _some(self, ids: np.ndarray, of: np.ndarray, at: np.ndarray, weight: np.ndarray, best: Best) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`search` of queries whose terms are `at` in the shard's, each with its query and its weight there."""
+        n, some = len(ids), self.column[at] >= 0
+        heavy = np.zeros((n, self.heavy))
+        heavy[of[some], self.column[at[some]]] = weight[some]
+        # scores of what is rare
+        start, many = self.starts[at], self.starts[at + 1] - self.starts[at]
+        posting = _ranges(start, many)
+        cell = np.repeat(of * self.size, many)
+        cell += self.doc[posting]
+        own = np.repeat(weight, many)
+        own *= self.part[posting]
+        scores = np.bincount(cell, own, n * self.size).reshape(n, self.size)
+        self.read += len(posting)
+        rows = best.rows(ids.tolist())
         reach, found = best.reach(rows), []
         for s in range(self.spans):
-            top = bound[:, s * SPAN : (s + 1) * SPAN].max(1)
+            columns = slice(s * self.width, (s + 1) * self.width)
+            weights, rare = heavy[:, self.rows[s]], scores[:, columns]
+            top = (weights @ self.most[s] + rare.reshape(n, SPAN, BLOCK).max(2)).max(1) * (1 + 1e-12)
             pivots = np.flatnonzero((top > 0) & (top >= reach))
-            mine = slice(ends[s], ends[s + 1])
-            place = np.full(n, -1)
-            place[pivots] = np.arange(len(pivots))
-            keep = place[whose[mine]] >= 0
-            e, w, p = entry[mine][keep], own[mine][keep], place[whose[mine][keep]]
-            read = int(postings[pivots, s].sum() + self.size[e].sum())
+            postings = (weights > 0) @ self.counts[s].astype(np.float64)
+            read = int(postings[pivots].sum())
             self.read += read
-            self.skipped += int(postings[:, s].sum() + self.size[entry[mine]].sum()) - read
+            self.skipped += int(postings.sum()) - read
             if not len(pivots):
                 continue
-            scores = heavy[pivots] @ self.dense[:, s * self.width : (s + 1) * self.width]
-            length = self.size[e]
-            posting = _ranges(self.first[e], length)
-            cell = np.repeat(p * self.width - s * self.width, length) + self.doc[posting]
-            scores += np.bincount(cell, np.repeat(w, length) * self.part[posting], scores.size).reshape(scores.shape)
-            scores[:, self.null[s * self.width : (s + 1) * self.width]] = 0  # without an id: can't be found, nor raise what is to be reached
-            reach[pivots] = best.add(rows[pivots], scores)
-            who, doc = np.nonzero((scores >= reach[pivots, None]) & (scores > 0))
-            found.append((pivots[who], doc + s * self.width, scores[who, doc]))
+            span = weights[pivots] @ self.dense[s]
+            span += rare[pivots]
+            span[:, self.null[columns]] = 0  # without an id: can't be found, nor raise what is to be reached
+            better = np.flatnonzero(span.max(1) >= reach[pivots])
+            pivots, span = pivots[better], span[better]
+            reach[pivots] = best.add(rows[pivots], span)
+            who, doc = np.nonzero((span >= reach[pivots, None]) & (span > 0))
+            found.append((pivots[who], doc + s * self.width, span[who, doc]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        who, doc, scores = (np.concatenate(x) for x in zip(*found, strict=True))
-        keep = scores >= reach[who]
-        return q["ids"][who[keep]], doc[keep], scores[keep]
+        who, doc, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = score >= reach[who]
+        return ids[who[keep]], doc[keep], score[keep]
 
 
 def query_blocks(docs: DataFrame, df: DataFrame, n_docs: int, at_a_time: int = QUERIES) -> DataFrame:
@@ -250,8 +280,9 @@ def query_blocks(docs: DataFrame, df: DataFrame, n_docs: int, at_a_time: int = Q
         g = group.sort_by([("query", "ascending"), ("df", "ascending"), ("term", "ascending")])
         q = g["query"].to_numpy()
         ids, starts = np.unique(q, return_index=True)
-        return pa.table({"payload": pa.array([blocks.dump(ids=ids, starts=np.append(starts, len(q)), terms=g["term"].to_numpy(),
-             weights=g["weight"].to_numpy())], pa.binary())})
+        known, place = np.unique(g["term"].to_numpy(), return_inverse=True)
+        return pa.table({"payload": pa.array([blocks.dump(ids=ids, starts=np.append(starts, len(q)), known=known,
+             place=place.astype(np.int32), weights=g["weight"].to_numpy())], pa.binary())})
 
     return rows.groupBy("block").applyInArrow(gather, "payload binary")
 
@@ -262,28 +293,32 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     statistics; repeated rows are each found; queries without a term, or with none that a document has, give no rows.
     Texts are indexed and asked whole; other columns, whatever their names, aren't read.
 
-    A block of queries meets every shard, a task going through several: what a task holds is a shard, a block of queries
-    and k scores for each of these.
+    A block of queries meets every shard, a task going through several of both: what a task holds is a shard, the packed
+    blocks of its queries, one of them unpacked, and k rows for each query, which it gives when it has seen all.
     """
     shards = cut(index(docs))
     stats = shards.agg(F.count("*"), F.sum("docs"), F.sum("length")).first()
     n_docs, mean = stats[1] or 0, (stats[2] or 0) / max(stats[1] or 0, 1)
     df = shards.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
     asked = cut(query_blocks(queries, df, n_docs))
-    state: list = [None, None, None]
+    state: list = [None, None]
+    best, rows = Best(k), Found(k)
 
-    def run(block: dict, q: dict) -> pa.RecordBatch:
+    def run(block: dict, q: dict) -> None:
         if state[0] is not block:
-            state[:] = [block, Shard(block, mean), state[2] or Best(k)]
-        query, doc, score = state[1].search(q, state[2])
-        ids, score = state[1].ids[doc], np.round(score, 6)
-        order = np.lexsort((ids, -score, query))
-        query, ids, score = query[order], ids[order], score[order]
-        keep = np.arange(len(query)) - np.searchsorted(query, query) < k
-        return pa.RecordBatch.from_arrays([pa.array(query[keep], pa.int64()), pa.array(ids[keep], pa.int64()),
-            pa.array(score[keep], pa.float64())], names=["query_id", "doc_id", "score"])
-
-    found = blocks.pairs(shards.coalesce(max(1, -(-stats[0] // SHARDS))), asked, run, "query_id long, doc_id long, score double")
+            state[:] = [block, Shard(block, mean)]
+        query, doc, score = state[1].search(q, best)
+        rows.add(query, state[1].ids[doc], score)
+
+    def end() -> Iterator[pa.RecordBatch]:
+        if rows.new:
+            query, ids, score = rows.cut()
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())],
+                names=["query_id", "doc_id", "score"])
+
+    tasks = max(-(-stats[0] // SHARDS), min(stats[0], 4 * docs.sparkSession.sparkContext.defaultParallelism), 1)
+    found = blocks.pairs(shards.coalesce(tasks), asked.coalesce(max(1, -(-asked.count() // BLOCKS))), run,
+        "query_id long, doc_id long, score double", end)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

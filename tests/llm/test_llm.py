@@ -655,6 +655,28 @@ def test_block_max_wand(monkeypatch, size):
     assert size > 4 or all(s.skipped > 0.1 * s.read for s in shards)
 
 
+def test_rows_of_scores_are_of_the_terms_frequent_in_their_span():
+    """What is multiplied for a query follows the postings: languages that lie apart don't fill each other's rows."""
+    rng = np.random.default_rng(7)
+    docs = [(i, collections.Counter(f"{i % 4}w{x}" for x in rng.integers(0, 300, 60))) for i in range(4000)]
+    data = search.build_shard([(i, c + collections.Counter({f"{i % 4}top": 99})) for i, c in docs])
+    shard = search.Shard(data, 159.0)
+    assert sum(x.size for x in shard.dense) <= 8 * len(data["doc"])
+
+
+def test_found_rows_are_the_best_of_a_task():
+    found, rng, every = search.Found(10), np.random.default_rng(5), collections.defaultdict(list)
+    for a in range(0, 300_000, 30_000):
+        q, ids, score = rng.integers(0, 50, 30_000), np.arange(a, a + 30_000), rng.integers(0, 900, 30_000) / 3
+        found.add(q, ids, score)
+        for x in zip(q.tolist(), (-np.round(score, 6)).tolist(), ids.tolist(), strict=True):
+            every[x[0]].append(x[1:])
+    got = collections.defaultdict(list)
+    for q, i, x in zip(*(x.tolist() for x in found.cut()), strict=True):
+        got[q].append((-x, i))
+    assert got == {q: sorted(x)[:10] for q, x in every.items()}
+
+
 @pytest.mark.parametrize("copies", [15, 200])
 def test_search_passes_over_rows_without_id(spark, copies):
     words = "one two three four five six seven eight nine ten eleven twelve".split()
