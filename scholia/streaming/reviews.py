@@ -8,10 +8,11 @@ the segment in which the earliest new answer lies; `merge_into` merges into a lo
 from __future__ import annotations
 
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState
@@ -52,26 +53,38 @@ SEGMENT = 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _packed(rows: list[tuple]) -> bytes:
+    """Rows of whole numbers as bytes: a state store's client goes through arrays one number at a time."""
+    return np.array(rows, np.int64).tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> list[tuple]:
+    return list(map(tuple, np.frombuffer(data, np.int64).reshape(-1, width).tolist()))
+
+
 class Segments(StatefulProcessor):
-    """One headword's log, cut into segments by (time, uid). `index` has a row of arrays with the segments in order: number,
-    time and uid of the first answer, and how many there are; `segments` has each one's answers and the state before it."""
+    """One headword's log, cut into segments by (time, uid). `head` has the segments in order (number, time and uid of the first
+    answer, and how many there are) and the last one's answers (time, uid, rating) and the state before it, so that a short
+    log takes one read and one write; `segments` has those of the others. Each call to the store is a message of its own."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.index = handle.getValueState("index", "ids array<long>, times array<long>, uids array<long>, sizes array<long>")
-        self.segments = handle.getMapState("segments", "id long", "uids array<long>, ratings array<long>, times array<long>, "
-            "phase long, step long, s double, d double, due long, last long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = sorted({(int(t), int(u), int(r)) for f in rows for t, u, r in zip(f["t"], f["uid"], f["rating"], strict=True)})
-        index = list(zip(*self.index.get(), strict=True)) if self.index.exists() else [(0, *new[0][:2], 0)]
+        before = "phase long, step long, s double, d double, due long, last long"
+        self.head = handle.getValueState("head", f"index binary, answers binary, {before}")
+        self.segments = handle.getMapState("segments", "id long", f"answers binary, {before}")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        new = sorted({(r["t"], r["uid"], r["rating"]) for r in rows})
+        index, *last = self.head.get() or (_packed([(0, *new[0][:2], 0)]), b"", 0, 0, 0.0, 0.0, 0, 0)
+        index = _unpacked(index, 4)
         starts = [i[1:3] for i in index]
         place = lambda x: max(bisect_right(starts, x[:2]) - 1, 0)
+        load = lambda i: self._load(last if i == len(index) - 1 else self.segments.getValue((index[i][0],)))
         into: dict[int, list[tuple]] = {}
         for x in new:
             into.setdefault(place(x), []).append(x)
         loaded: dict[int, tuple[list, tuple]] = {}
         for i, xs in into.items():
-            answers, before = self._load(index[i][0])
+            answers, before = load(i)
             known = {a[1] for a in answers}
             for x in xs:
                 if x[1] not in known:
@@ -80,34 +93,33 @@ class Segments(StatefulProcessor):
             if len(answers) > index[i][3]:
                 loaded[i] = answers, before
         if loaded:
-            yield self._refold(key, index, loaded)
+            yield self._refold(key, index, loaded, load)
 
-    def _load(self, number: int) -> tuple[list, tuple]:
-        if not self.segments.containsKey((number,)):
-            return [], (0, 0, 0.0, 0.0, 0, 0)
-        uids, ratings, times, *before = self.segments.getValue((number,))
-        return list(zip(times, uids, ratings, strict=True)), tuple(before)
+    def _load(self, value: tuple) -> tuple[list, tuple]:
+        answers, *before = value
+        return _unpacked(answers, 3), tuple(before)
 
-    def _refold(self, key, index: list[tuple], loaded: dict[int, tuple[list, tuple]]) -> pd.DataFrame:
+    def _refold(self, key, index: list[tuple], loaded: dict[int, tuple[list, tuple]], load: Callable[[int], tuple[list, tuple]]) -> Row:
         """Folds from the first changed segment on; segments that grew too long are cut."""
         first, fresh = min(loaded), max(i[0] for i in index) + 1
-        kept, state, folded = index[:first], loaded[first][1], 0
+        kept, state, folded, value = index[:first], loaded[first][1], 0, None
         for i in range(first, len(index)):
-            answers = loaded[i][0] if i in loaded else self._load(index[i][0])[0]
+            answers = loaded[i][0] if i in loaded else load(i)[0]
             size = SEGMENT // 2 if len(answers) > SEGMENT else SEGMENT
             for k in range(0, len(answers), size):
                 part, number = answers[k : k + size], index[i][0] if k == 0 else fresh
                 fresh += k > 0
-                times, uids, ratings = (list(c) for c in zip(*part, strict=True))
-                self.segments.updateValue((number,), (uids, ratings, times, *state))
-                kept.append((number, times[0], uids[0], len(part)))
+                if value:
+                    self.segments.updateValue((kept[-1][0],), value)
+                value = _packed(part), *state
+                kept.append((number, *part[0][:2], len(part)))
                 for t, _, r in part:
                     state = step(state, r, t)
                 folded += len(part)
-        self.index.update(tuple(list(c) for c in zip(*kept, strict=True)))
+        self.head.update((_packed(kept), *value))
         phase, at, s, d, due, last = state
-        return pd.DataFrame([{"headword": key[0], "phase": phase, "step": at, "stability": s, "difficulty": d, "due": due, "last": last,
-            "n": sum(k[3] for k in kept), "refolded": folded}])
+        return Row(headword=key[0], phase=phase, step=at, stability=s, difficulty=d, due=due, last=last, n=sum(k[3] for k in kept),
+            refolded=folded)
 
 
 def states(stream: DataFrame) -> DataFrame:
@@ -120,7 +132,7 @@ def states(stream: DataFrame) -> DataFrame:
     valid = stream.filter("rating between 1 and 4 and reviewed_at is not null and headword is not null and uid is not null")
     rows = valid.select(F.col("headword").cast("long").alias("headword"), F.col("uid").cast("long").alias("uid"),
         F.col("rating").cast("long").alias("rating"), seconds.cast("long").alias("t"))
-    return rows.groupBy("headword").transformWithStateInPandas(Segments(), STATES, "Update", "None")
+    return rows.groupBy("headword").transformWithState(Segments(), STATES, "Update", "None")
 
 
 def run_states(stream: DataFrame, path: str, checkpoint: str) -> None:

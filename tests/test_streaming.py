@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from scholia.functions.srs import replay, step
@@ -64,3 +65,47 @@ def test_step_is_the_fold(spark):
             state = step(state, rating, t)
         assert (r.phase, r.step, r.due, r.last) == (*state[:2], *state[4:])
         assert abs(r.stability - state[2]) < 1e-4 and abs(r.difficulty - state[3]) < 1e-4
+
+
+class Store:
+    """A state store's client that counts its messages; for each name the values by key."""
+
+    def __init__(self):
+        self.values, self.calls = {}, 0
+
+    def _of(self, name):
+        def call(f):
+            def counted(*x):
+                self.calls += 1
+                return f(*x)
+            return counted
+        held = self.values.setdefault(name, {})
+        methods = {"get": lambda: held.get(()), "update": lambda v: held.__setitem__((), v), "exists": lambda: () in held,
+            "getValue": held.get, "updateValue": held.__setitem__, "containsKey": held.__contains__}
+        return type("State", (), {k: staticmethod(call(f)) for k, f in methods.items()})
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self._of(name)
+
+    def getMapState(self, name, key, schema):  # noqa: N802
+        return self._of(name)
+
+
+def test_a_short_log_takes_one_read_and_one_write_of_the_store():
+    rnd, store, fold = random.Random(9), Store(), reviews.Segments()
+    fold.init(store)
+    answers = [(1_700_000_000 + rnd.randint(0, 900) * 43200, u, rnd.randint(1, 4)) for u in range(500)]
+    seen: list = []
+    for a, b in ((0, 20), (20, 45), (45, 64), (64, 300), (0, 30), (300, 500)):
+        calls = store.calls
+        got = list(fold.handleInputRows((7,), iter([Row(t=t, uid=u, rating=r) for t, u, r in answers[a:b]]), None))
+        if len(seen) < 64 and b <= 64:
+            assert store.calls - calls <= 2
+        seen = sorted({*seen, *answers[a:b]})
+        if a or not b == 30:
+            state = (0, 0, 0.0, 0.0, 0, 0)
+            for t, _, r in seen:
+                state = step(state, r, t)
+            assert [tuple(x)[:8] for x in got] == [(7, *state, len(seen))]
+        else:
+            assert not got  # repeats
