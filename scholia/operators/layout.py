@@ -3,6 +3,10 @@ All joins are within a page."""
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -349,39 +353,80 @@ GLYPH_GAP, ROW_HEIGHT, ROW_SIZE, RAISED_SIZE, RAISED_HEIGHT = 0.1, 0.35, 1.5, 0.
 CAN_BE_RAISED, IS_RAISED = "0123456789+-−,()", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁻˒⁽⁾"
 
 
-def glyph_rows(glyphs: DataFrame) -> DataFrame:
-    """glyphs (page, n, x0, x1, y, size, c; y grows downward) with row. A row begins where a glyph lies lower than the one before
-    it in height by ROW_HEIGHT of the larger size; raised glyphs are close enough to theirs."""
-    w = Window.partitionBy("page").orderBy("y", "x0", "n")
-    apart = F.col("y") - F.lag("y").over(w) >= ROW_HEIGHT * F.greatest("size", F.lag("size").over(w))
-    return glyphs.withColumn("row", F.count_if(F.coalesce(apart, F.lit(True))).over(w))
+def _higher(group: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The greatest x so far in each group, groups being sorted: complex numbers compare by their real parts first."""
+    both = np.empty(len(x), complex)
+    both.real, both.imag = group, x
+    return np.maximum.accumulate(both).imag
+
+
+def _begins(group: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.ones(min(len(group), 1), bool), group[1:] != group[:-1]))
+
+
+def _lines_of_page(page: pa.Table) -> pa.Table:
+    """The lines of one page's glyphs, by sorts alone: see `lines_of_glyphs`."""
+    c = page["c"].combine_chunks().dictionary_encode()
+    known = {chr(k): v for k, v in text.SYMBOL.items()}
+    codes: dict[str, int] = {"": 0}
+    shown = [known.get(x, "") if re.search("[\ue000-\uf8ff]", x) else x for x in c.dictionary.to_pylist()]
+    code = np.array([codes.setdefault(x, len(codes)) for x in shown], np.int64)[c.indices.to_numpy()]
+    glyphs = [page[k].to_numpy() for k in ("n", "x0", "x1", "y", "size")]
+
+    n, x0, x1, y, size = glyphs
+    order = np.lexsort((n, x0, y))
+    code, n, x0, x1, y, size = (v[order] for v in (code, *glyphs))
+    row = np.cumsum(np.concatenate(([True], y[1:] - y[:-1] >= ROW_HEIGHT * np.maximum(size[1:], size[:-1]))))
+
+    order = np.lexsort((n, x0, row))
+    order = order[code[order] != 0]
+    code, row, x0, x1, y, size = (v[order] for v in (code, row, x0, x1, y, size))
+    alike = row * len(codes) + code
+    same = np.argsort(alike, kind="stable")
+    alike, left, right = alike[same], x0[same], x1[same]
+    again = np.zeros(len(same), bool)
+    again[same[1:]] = (alike[1:] == alike[:-1]) & (_higher(alike, right)[:-1] - left[1:] > 0.5 * (right[1:] - left[1:]))
+    code, row, x0, x1, y, size = (v[~again] for v in (code, row, x0, x1, y, size))
+
+    new = _begins(row)
+    first, line = np.flatnonzero(new), np.cumsum(new) - 1
+    by_size = np.lexsort((size, row))
+    group = np.flatnonzero(_begins(row[by_size]) | _begins(size[by_size]))
+    count, low = np.diff(np.append(group, len(row))), np.maximum.reduceat(y[by_size], group) if len(group) else y
+    of, sizes = row[by_size][group], size[by_size][group]
+    best = np.lexsort((sizes, count, of))
+    best = best[np.append(of[1:] != of[:-1], np.ones(min(len(of), 1), bool))]
+    main, base = sizes[best][line], low[best][line]
+
+    words = list(codes)
+    can_be = np.array([x in CAN_BE_RAISED for x in words])
+    raised = can_be[code] & (size < RAISED_SIZE * main) & (y < base - RAISED_HEIGHT * main)
+    drawn = code != codes.get(" ", -1)
+    blank = np.zeros(len(row), bool)
+    blank[1:] = ~new[1:] & ~raised[1:] & drawn[1:] & drawn[:-1] & (x0[1:] - _higher(row, x1)[:-1] > GLYPH_GAP * size[1:])
+    spelt = words + [" " + x for x in words] + [x.translate(str.maketrans(CAN_BE_RAISED, IS_RAISED)) for x in words]
+    pieces = np.array(spelt, object)[code + len(words) * (blank + 2 * raised)].tolist()
+    ends = np.append(first[1:], len(row)) if len(first) else first
+    texts = ["".join(pieces[i:j]).strip(" ") for i, j in zip(first.tolist(), ends.tolist(), strict=True)]
+    farthest = np.maximum.reduceat(x1, first) if len(first) else x1
+    columns = [row[first], x0[first], farthest, sizes[best], pa.array(texts, pa.string())]
+    return pa.Table.from_arrays([page["page"].slice(0, len(first)), *[pa.array(v) for v in columns]], ["page", "row", "x0", "x1", "size", "text"])
 
 
 def lines_of_glyphs(glyphs: DataFrame) -> DataFrame:
-    """(page, row, x0, x1, size, text): the lines that a page's glyphs (page, n, x0, x1, y, size, c) spell from left to right.
+    """(page, row, x0, x1, size, text): the lines that a page's glyphs (page, n, x0, x1, y, size, c; y grows downward) spell from
+    left to right.
 
-    A glyph printed again over the same one, by more than half of its width, counts once, in whatever order they come. There
-    is a space where the gap to all that stands before is over GLYPH_GAP of the size, unless one is drawn. A line's size is
+    A row begins where a glyph lies lower than the one before it in height by ROW_HEIGHT of the larger size; raised glyphs are
+    close enough to theirs. A glyph printed again over the same one, by more than half of its width, counts once, in whatever
+    order they come. There is a space where the gap to all that stands before is over GLYPH_GAP of the size, unless one is drawn. A line's size is
     that of most of its glyphs, of equals the larger; small digits and signs above its middle are raised, and without space
-    before them. Private letters of the Symbol font become what they show, other private ones go. Null glyphs have no part.
-    Windows run along a line, so that long lines take no more than a sort; all are by page, so that glyphs move once at most.
+    before them. Private letters of the Symbol font become what they show, other private ones go. Glyphs without character, place
+    or size have no part. Pages are grouped, so that glyphs move once at most; a task holds the glyphs of one page, some 60 bytes
+    each, as vectors, and takes a few sorts for them, however long the lines are.
     """
-    known = F.create_map(*[F.lit(x) for k, c in text.SYMBOL.items() for x in (chr(k), c)])
-    shown = F.when(F.col("c").rlike("[\uE000-\uF8FF]"), F.coalesce(F.try_element_at(known, F.col("c")), F.lit(""))).otherwise(F.col("c"))
-    rows = glyph_rows(glyphs.filter("c is not null")).withColumn("c", shown).filter("c <> ''")
-    line = Window.partitionBy("page", "row").orderBy("x0", "n")
-    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy("page", "row", "c").orderBy("x0", "n")
-    over = F.max("x1").over(earlier(same)) - F.col("x0") > 0.5 * (F.col("x1") - F.col("x0"))
-    rows = rows.withColumn("again", F.coalesce(over, F.lit(False))).filter("not again").drop("again")
-    alike, whole = Window.partitionBy("page", "row", "size"), Window.partitionBy("page", "row")
-    rows = rows.withColumns({"k": F.count("*").over(alike), "low": F.max("y").over(alike)})
-    rows = rows.withColumn("m", F.max(F.struct("k", "size", "low")).over(whole)).withColumns({"main": F.col("m.size"), "base": F.col("m.low")}).drop("k", "low", "m")
-    small = (F.col("size") < RAISED_SIZE * F.col("main")) & (F.col("y") < F.col("base") - RAISED_HEIGHT * F.col("main"))
-    rows = rows.withColumn("raised", small & F.lit(CAN_BE_RAISED).contains(F.col("c")))
-    gap = F.col("x0") - F.max("x1").over(earlier(line)) > GLYPH_GAP * F.col("size")
-    blank = ~F.col("raised") & gap & (F.col("c") != " ") & (F.lag("c").over(line) != " ")
-    spelt = F.when(F.col("raised"), F.translate("c", CAN_BE_RAISED, IS_RAISED)).otherwise(F.col("c"))
-    rows = rows.withColumn("piece", F.concat(F.when(F.coalesce(blank, F.lit(False)), " ").otherwise(""), spelt))
-    lines = rows.groupBy("page", "row", F.col("main").alias("size")).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.array_sort(F.collect_list(F.struct("x0", "n", "piece"))).alias("p"))
-    return lines.select("page", "row", "x0", "x1", "size", F.trim(F.array_join(F.transform("p", lambda x: x["piece"]), "")).alias("text"))
+    numbers = ["x0", "x1", "y", "size"]
+    whole = glyphs.select("page", F.col("n").cast("long").alias("n"), *[F.col(k).cast("double").alias(k) for k in numbers], "c")
+    whole = whole.filter(" and ".join(f"{k} is not null" for k in ("n", *numbers, "c")))
+    kind = glyphs.schema["page"].dataType.simpleString()
+    return whole.groupBy("page").applyInArrow(_lines_of_page, f"page {kind}, row long, x0 double, x1 double, size double, text string")
