@@ -94,7 +94,7 @@ def glossary_acronyms(spark: SparkSession, d: str) -> DataFrame:
     query="""SELECT doc_id, phrase, n FROM c WHERE (n >= 4 OR (doc_id, phrase) IN (SELECT (doc_id, phrase) FROM rare)) AND (k = 3 OR NOT EXISTS (SELECT 1 FROM c t WHERE t.k = 3 AND t.doc_id = c.doc_id AND t.n = c.n AND contains(t.phrase, c.phrase)))
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(phrase) DESC, phrase) <= 25"""))
 def glossary_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return terms.phrases(a.papers(spark, d), a.TOKEN, a.tokens(spark, d), a.dictionary(spark, d))
+    return terms.phrases(a.papers(spark, d), a.TOKEN, a.dictionary(spark, d))
 
 
 @query(v.sql(v.PAPERS, v.TOKENS, v.DICTIONARY, _COUNTS, _WORDS, query="""SELECT key, doc_id, term, n FROM (SELECT CASE WHEN length(word) > 3 AND word LIKE '%s' AND word NOT LIKE '%ss' THEN substr(word, 1, length(word) - 1) ELSE word END AS key, doc_id, word AS term, n FROM words)
