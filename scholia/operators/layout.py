@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text
-from scholia.operators.papers import joined
+from scholia.operators.papers import joined, joined_parts
 from scholia.sources.stored import stored
 
 #: How much smaller than the body small print is; how far from a page's ends a margin reaches, and on how many
@@ -151,12 +151,14 @@ NUMBER = r"^(\d+(?:\.\d+)*)\.?\s+(\S.*)$"
 
 def in_columns(rows: DataFrame) -> DataFrame:
     """rows (doc_id, page, line, x0, x1, y0, width, text) with col and n, the place in the document's reading order. On a page of
-    which WIDE_SHARE of the long lines cross the middle all are in column 0, else those that begin right of RIGHT in 1."""
+    which WIDE_SHARE of the long lines cross the middle all are in column 0, else those that begin right of RIGHT in 1. Rows that
+    lie by documents don't move."""
     mid, slack = F.col("width") / 2, F.col("width") * SLACK
     long_, wide = F.length("text") >= LONG_LINE, (F.col("x0") < mid - slack) & (F.col("x1") > mid + slack)
-    pages = rows.groupBy("doc_id", "page").agg(F.count_if(long_).alias("long"), F.count_if(long_ & wide).alias("wide"))
+    whole = Window.partitionBy("doc_id", "page")
+    pages = rows.withColumns({"long": F.count_if(long_).over(whole), "wide": F.count_if(long_ & wide).over(whole)})
     single = (F.col("long") > 0) & (F.col("wide") >= WIDE_SHARE * F.col("long"))
-    placed = rows.join(pages, ["doc_id", "page"]).withColumn("col", F.when(single, 0).otherwise((F.col("x0") >= F.col("width") * RIGHT).cast("int")))
+    placed = pages.withColumn("col", F.when(single, 0).otherwise((F.col("x0") >= F.col("width") * RIGHT).cast("int")))
     order = Window.partitionBy("doc_id").orderBy("page", "col", F.round("y0"), "x0", "line")
     return placed.withColumn("n", F.row_number().over(order).cast("long")).drop("long", "wide")
 
@@ -186,60 +188,69 @@ def laid_out_paper(rows: DataFrame, mend: bool = True) -> tuple[DataFrame, DataF
     named like back matter is back, and all after it, once there was a body; one that comes before the body is moved behind
     all. titles are (doc_id, title); sections (doc_id, n, title, number, level, kind, page), the abstract being n 0, front;
     texts (doc_id, n, paragraph, text): lines joined (broken words mended unless `mend` says no), a bullet opens a paragraph. Pages without text give nothing.
+    All is found by windows within documents, so that rows that lie by documents don't move, and is stored once, as the
+    lines of each title, heading and paragraph.
     """
     placed = in_columns(rows).withColumn("mark", margin_mark())
     edge = (F.col("y0") < MARGIN * F.col("height")) | (F.col("y1") > (1 - MARGIN) * F.col("height"))
-    often = placed.filter(edge).groupBy("doc_id", "mark").agg(F.count("*").alias("times")).filter(F.col("times") >= TIMES)
-    kept = placed.join(often.select("doc_id", "mark"), ["doc_id", "mark"], "left_anti").filter(~F.trim("text").rlike(STAMP))
-    font = kept.filter(~F.col("ocr"))
-    sizes = body_size(font).select("doc_id", F.col("size").alias("body"))
-    largest = font.filter("page = 1").groupBy("doc_id").agg(F.max("size").alias("top"))
-    kept = stored(kept.join(sizes, "doc_id", "left").join(largest, "doc_id", "left").withColumn("body", F.coalesce("body", F.lit(0.0))))
-    is_title = F.coalesce((F.col("page") == 1) & ~F.col("ocr") & (F.col("size") == F.col("top")) & (F.col("top") >= TITLE * F.col("body")), F.lit(False))
-    titles = joined(kept.filter(is_title).select("doc_id", "n", F.lit(0).alias("title_"), F.col("text").alias("line")), "title_", mend)
+    doc, printed = Window.partitionBy("doc_id"), ~F.col("ocr")
+    often = F.count_if(edge).over(Window.partitionBy("doc_id", "mark"))
+    kept = placed.withColumn("times", often).filter((F.col("times") < TIMES) & ~F.trim("text").rlike(STAMP))
+    chars = F.sum(F.when(printed, F.length("text"))).over(Window.partitionBy("doc_id", "size"))
+    most = F.max(F.when(printed, F.struct("chars", (-F.col("size")).alias("smaller"), "size"))).over(doc)
+    top = F.max(F.when(printed & (F.col("page") == 1), F.col("size"))).over(doc)
+    kept = kept.withColumn("chars", chars).withColumns({"body": F.coalesce(most["size"], F.lit(0.0)), "top": top})
+    is_title = F.coalesce((F.col("page") == 1) & printed & (F.col("size") == F.col("top")) & (F.col("top") >= TITLE * F.col("body")), F.lit(False))
+    kept = kept.withColumn("is_title", is_title)
 
     w = Window.partitionBy("doc_id").orderBy("n")
-    upto, before = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.unboundedPreceding, -1)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     number, name = F.regexp_extract("text", NUMBER, 1), F.regexp_extract("text", NUMBER, 2)
-    lines = kept.filter(~is_title).withColumn("head", heading_line(F.col("body")))
+    lines = kept.withColumn("head", ~F.col("is_title") & heading_line(F.col("body")))
     says = F.col("head") & F.lower("text").rlike(r"^abstract\b")
     started = F.coalesce(F.bool_or(F.col("head") & ~F.lower("text").rlike(r"^abstract\b")).over(upto), F.lit(False))
     lines = lines.withColumn("started", started).withColumn("said", F.coalesce(F.bool_or(says & ~started).over(upto), F.lit(False)))
-    closing = F.col("said") & ~F.col("head") & F.lower("text").rlike(AFTER_ABSTRACT)
+    closing = F.col("said") & ~F.col("head") & ~F.col("is_title") & F.lower("text").rlike(AFTER_ABSTRACT)
     lines = lines.withColumn("closed", F.coalesce(F.bool_or(closing & ~F.col("started")).over(upto), F.lit(False)))
     large = F.col("ocr") | (F.col("size") >= F.col("body") - ABSTRACT_SMALL)
-    abstract = lines.filter("not started and said and not closed and not ocr").filter(large)
-    abstract = abstract.withColumn("line", F.when(F.col("head"), F.regexp_replace("text", r"(?i)^abstract\s*[:.—-]?\s*", "")).otherwise(F.col("text")))
-    abstract = abstract.filter("line <> ''").select("doc_id", "n", F.lit(0).alias("section"), F.lit(0).alias("paragraph"), "line")
-
+    abstract = ~F.col("is_title") & ~F.col("started") & F.col("said") & ~F.col("closed") & printed & large
     print_ = F.col("head") | ((F.col("ocr") | (F.col("size") >= F.col("body") - SMALL)) & (F.col("math") < 0.6))
-    rest = lines.filter(F.col("started") & print_)
-    last = lambda c: F.lag(c).over(w)
+    lines = lines.withColumns({"abstract": abstract, "rest": F.coalesce(~F.col("is_title") & F.col("started") & print_, F.lit(False))})
+    among = Window.partitionBy("doc_id", "rest").orderBy("n")
+    last = lambda c: F.lag(c).over(among)
     gap = F.col("y0") - last("y1")
     close = (last("page") == F.col("page")) & (last("col") == F.col("col")) & (F.abs(F.col("size") - last("size")) < 0.2) & (gap >= 0) & (gap < 0.9 * F.col("size"))
     opens = F.col("head") & ~F.coalesce(last("head") & close & (number == ""), F.lit(False))
-    rest = rest.withColumn("opens", opens).withColumn("section", F.count_if("opens").over(upto))
-    rest = stored(rest.withColumn("paragraph", F.count_if(F.col("text").startswith("•")).over(Window.partitionBy("doc_id", "section").orderBy("n"))))
-
-    heads = rest.filter("head").groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("t"), F.min_by("page", "n").alias("page"))
-    heads = heads.select("doc_id", "section", F.array_join(F.transform("t", lambda i: i["text"]), " ").alias("title"), F.col("t")[0]["text"].alias("text"), "page")
-    heads = heads.withColumn("number", number).withColumn("back", text.is_back_matter(F.when(number != "", name).otherwise(F.col("text"))))
-    s = Window.partitionBy("doc_id").orderBy("section")
-    sections = heads.withColumn("had_body", F.coalesce(F.bool_or(~F.col("back")).over(s.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    lines = lines.withColumn("opens", opens).withColumn("section", F.count_if("opens").over(among.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    lines = lines.withColumn("paragraph", F.count_if(F.col("text").startswith("•")).over(Window.partitionBy("doc_id", "rest", "section").orderBy("n")))
+
+    part = F.when(F.col("is_title"), "title").when(F.col("abstract"), "abstract").when(F.col("rest") & F.col("head"), "head").when(F.col("rest") & ~F.col("head"), "text")
+    line = F.when(F.col("part") == "text", F.regexp_replace("text", r"^[•\s]+", "")).when((F.col("part") == "abstract") & F.col("head"),
+        F.regexp_replace("text", r"(?i)^abstract\s*[:.—-]?\s*", "")).otherwise(F.col("text"))
+    lines = lines.withColumn("part", part).withColumn("line", line).filter("part in ('title', 'head') or part in ('abstract', 'text') and line <> ''")
+    inner, said = F.col("part").isin("head", "text"), F.col("part") == "text"
+    lines = lines.select("doc_id", "n", "page", "line", "part", F.when(inner, F.col("section")).otherwise(0).alias("section"), F.when(said, F.col("paragraph")).otherwise(0).alias("paragraph"))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "line", "page"))).alias("x")
+    parts = lines.groupBy("doc_id", "part", "section", "paragraph").agg(ordered)
+    parts = parts.select("doc_id", "part", "section", "paragraph", F.col("x")[0]["page"].cast("long").alias("page"), F.transform("x", lambda i: i["line"]).alias("x")).withColumn("text", F.col("x")[0])
+
+    head = F.col("part") == "head"
+    parts = parts.withColumn("number", F.when(head, number)).withColumn("back", F.when(head, text.is_back_matter(F.when(number != "", name).otherwise(F.col("text"))))).drop("text")
+    alike = Window.partitionBy("doc_id", "part")
+    s = alike.orderBy("section")
+    parts = parts.withColumn("had_body", F.coalesce(F.bool_or(~F.col("back")).over(s.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
     late = F.coalesce(F.bool_or(F.col("back") & F.col("had_body")).over(s.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(False))
-    sections = sections.withColumn("kind", F.when(F.col("back") | late, "back").otherwise("body"))
-    has_body = F.bool_or(F.col("kind") == "body").over(Window.partitionBy("doc_id"))
-    early = (F.col("kind") == "back") & ~F.col("had_body") & has_body
-    sections = sections.withColumn("new", F.row_number().over(Window.partitionBy("doc_id").orderBy(early, "section")).cast("long"))
-    front = abstract.select("doc_id").distinct().select("doc_id", F.lit(0).cast("long").alias("n"), F.lit("Abstract").alias("title"), F.lit("").alias("number"), F.lit(1).alias("level"), F.lit("front").alias("kind"), F.lit(1).cast("long").alias("page"))
-    named = sections.select("doc_id", F.col("new").alias("n"), "title", "number", text.section_level(F.col("number")).alias("level"), "kind", F.col("page").cast("long").alias("page"))
-
-    said = rest.filter("not head").select("doc_id", "n", "section", "paragraph", F.regexp_replace("text", r"^[•\s]+", "").alias("line")).unionByName(abstract)
-    said = said.filter("line <> ''").withColumn("group", F.struct("section", "paragraph"))
-    new = sections.select("doc_id", F.col("section").alias("old"), F.col("new"))
-    texts = joined(said, "group", mend).select("doc_id", F.col("group.section").alias("old"), "group.paragraph", "text").join(new, ["doc_id", "old"], "left")
-    texts = texts.select("doc_id", F.coalesce("new", F.lit(0)).cast("long").alias("n"), "paragraph", "text")
-    return titles.select("doc_id", F.col("text").alias("title")), front.unionByName(named), texts
+    parts = parts.withColumn("kind", F.when(F.col("back") | late, "back").otherwise("body"))
+    early = (F.col("kind") == "back") & ~F.col("had_body") & F.bool_or(F.col("kind") == "body").over(alike)
+    parts = parts.withColumn("early", early).withColumn("new", F.row_number().over(alike.orderBy("early", "section")).cast("long"))
+    new = F.max(F.when(head, F.col("new"))).over(Window.partitionBy("doc_id", "section"))
+    parts = stored(parts.withColumn("new", F.when(inner, new).otherwise(0)).select("doc_id", "part", F.col("new").alias("n"), "paragraph", "page", "number", "kind", "x"))
+
+    front = parts.filter("part = 'abstract'").select("doc_id", F.lit(0).cast("long").alias("n"), F.lit("Abstract").alias("title"), F.lit("").alias("number"), F.lit(1).alias("level"), F.lit("front").alias("kind"), F.lit(1).cast("long").alias("page"))
+    named = parts.filter(head).select("doc_id", "n", F.array_join("x", " ").alias("title"), "number", text.section_level(F.col("number")).alias("level"), "kind", "page")
+    titles = joined_parts(parts.filter("part = 'title'").select("doc_id", "x"), mend).select("doc_id", F.col("text").alias("title"))
+    texts = joined_parts(parts.filter("part in ('abstract', 'text')").select("doc_id", "n", "paragraph", "x"), mend)
+    return titles, front.unionByName(named), texts
 
 
 # --- regions of figures, tables and equations ------------------------------------------------------------------------

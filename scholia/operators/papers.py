@@ -25,6 +25,15 @@ def joined(lines: DataFrame, group: str, mend: bool = True) -> DataFrame:
     return ordered.join(words, "doc_id").select("doc_id", group, join_lines(F.transform("x", lambda i: i["line"]), F.col("compounds")).alias("text"))
 
 
+def joined_parts(parts: DataFrame, mend: bool = True) -> DataFrame:
+    """`joined` for lines that lie together already: parts (doc_id, ..., x: their lines in order) with text in the place of x."""
+    rest = [c for c in parts.columns if c != "x"]
+    if not mend:
+        return parts.select(*rest, F.array_join("x", " ").alias("text"))
+    words = parts.select("doc_id", F.explode("x").alias("line")).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set(compounds(F.col("line"))))).alias("compounds"))
+    return parts.join(words, "doc_id").select(*rest, join_lines(F.col("x"), F.col("compounds")).alias("text"))
+
+
 def pasted_paragraphs(headed: DataFrame) -> DataFrame:
     """(doc_id, section, paragraph, text) of lines with their heading level (see `files.headings`): a heading opens a section,
     a blank line a paragraph."""
